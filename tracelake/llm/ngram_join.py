@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import K1, K2, K3, Words, blocks, lists, mix, signed, sorted_runs
-from .graph import checkpointed, components
+from .graph import checkpointed, components, shuffle_partitions
 
 WIDTH = 3
 THRESHOLD = (90, 100)
 #: Cells of the hashed shingle counts by which prefixes are ordered.
 CELL_BITS = 18
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 2048
 #: Sets in a tile, beyond which it is cut into size bands and blocks.
 TILE = 1024
 
@@ -121,7 +121,8 @@ def _prefix_rows(width: int, threshold: tuple[int, int], weights):
             rank = np.arange(len(row)) - bounds[row]
             chosen = order[rank < kept[row]]
             chosen_bounds = np.concatenate([[0], np.cumsum(kept)])
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), signed(f1), signed(f2), lists(signed(name[chosen]), chosen_bounds)], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
+            bits = signatures(row, name, words.rows)
+            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), signed(f1), signed(f2), lists(signed(name[chosen]), chosen_bounds), lists(signed(bits.ravel()), np.arange(words.rows + 1) * bits.shape[1])], names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"])
 
     return rows
 
@@ -131,32 +132,51 @@ def _set_rows(width: int):
         for block in blocks(batches, "text"):
             words = Words(block["text"], lower=True)
             row, name = shingle_sets(words, width)
-            bounds, f1, f2 = set_prints(row, name, words.rows)
-            yield pa.RecordBatch.from_arrays([block["doc_id"], signed(f1), signed(f2), lists(signed(name), bounds)], names=["doc_id", "f1", "f2", "names"])
+            bounds = np.searchsorted(row, np.arange(words.rows + 1))
+            yield pa.RecordBatch.from_arrays([block["doc_id"], lists(signed(name), bounds)], names=["node", "names"])
 
     return rows
 
 
+def signatures(row: np.ndarray, name: np.ndarray, rows: int) -> np.ndarray:
+    """A bitmap of each row's set, one hashed bit a name: rows x SIGNATURE_BITS / 64."""
+    words = SIGNATURE_BITS // 64
+    bit = name & np.uint64(SIGNATURE_BITS - 1)
+    cell = row * words + (bit >> np.uint64(6)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    out = np.zeros(rows * words, np.uint64)
+    if len(order):
+        cell, value = cell[order], (np.uint64(1) << (bit & np.uint64(63)))[order]
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        out[cell[starts]] = np.bitwise_or.reduceat(value, starts)
+    return out.reshape(rows, words)
+
+
+def admitted(size: np.ndarray, signature: np.ndarray, x: int, others: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Of ``others``, those that sizes and bit counts do not rule out as partners of ``x``.
+
+    Each bit that only one set has stands for a name that the other lacks, so the overlap is
+    at most the set's size less its lone bits.
+    """
+    part, whole = threshold
+    others = others[np.minimum(size[others], size[x]) * whole >= np.maximum(size[others], size[x]) * part]
+    own, other = signature[x], signature[others]
+    most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[others] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+    return others[most * (whole + part) >= part * (size[others] + size[x])]
+
+
 def tile_links(node: np.ndarray, names: np.ndarray, bounds: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of one tile; each set's names are sorted."""
     part, whole = threshold
     size = np.diff(bounds)
-    signature = np.zeros((len(size), SIGNATURE_BITS // 64), np.uint64)
-    owner = np.repeat(np.arange(len(size)), size)
-    bit = names & np.uint64(SIGNATURE_BITS - 1)
-    np.bitwise_or.at(signature, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    signature = signatures(np.repeat(np.arange(len(size)), size), names, len(size))
     left = np.arange(len(size))
     found: list[tuple[int, int]] = []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop(0)
-            fits = left[(np.minimum(size[left], size[x]) * whole >= np.maximum(size[left], size[x]) * part)]
-            if not len(fits):
-                continue
-            own, other = signature[x], signature[fits]
-            most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[fits] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-            fits = fits[most * (whole + part) >= part * (size[fits] + size[x])]
+            fits = admitted(size, signature, x, left, threshold)
             if not len(fits):
                 continue
             mine = names[bounds[x] : bounds[x + 1]]
@@ -172,26 +192,57 @@ def tile_links(node: np.ndarray, names: np.ndarray, bounds: np.ndarray, threshol
     return found
 
 
-def _tiles(threshold: tuple[int, int]):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in sorted_runs(batches, ["tile", "part"]):
-            found: list[tuple[int, int]] = []
+def _groups(batches: Iterator[pa.RecordBatch], column: str):
+    """(table, its ``column`` as offsets and values, starts and ends of its tiles) of a sorted stream."""
+    for table, starts in sorted_runs(batches, ["tile", "part"]):
+        values = table[column].combine_chunks()
+        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        yield table, values.offsets.to_numpy(), values.values.to_numpy().view(np.uint64), list(zip(starts, [*starts[1:], table.num_rows], strict=True))
+
+
+def _candidates(threshold: tuple[int, int]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds, bits, tiles in _groups(batches, "signature"):
+            size = table["n_shingles"].to_numpy()
+            signature = bits[bounds[0] : bounds[-1]].reshape(table.num_rows, -1)
+            keep = np.zeros(table.num_rows, bool)
+            for lo, hi in tiles:
+                for x in range(lo, hi - 1):
+                    fits = admitted(size, signature, x, np.arange(x + 1, hi), threshold)
+                    keep[fits] = True
+                    keep[x] |= len(fits) > 0
+            yield from table.filter(pa.array(keep)).select(["tile", "part", "node"]).combine_chunks().to_batches()
+
+    return rows
+
+
+def _links(threshold: tuple[int, int]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds, names, tiles in _groups(batches, "names"):
             node = table["node"].to_numpy()
-            column = table["names"].combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            bounds, names = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-            for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                if hi - lo > 1:
-                    found += tile_links(node[lo:hi], unsigned_sorted(names, bounds[lo : hi + 1]), bounds[lo : hi + 1] - bounds[lo], threshold)
+            found = [x for lo, hi in tiles if hi - lo > 1 for x in tile_links(node[lo:hi], names[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], threshold)]
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return link
+    return rows
+
 
+def tiled(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``members`` (tile, node, n_shingles) with the ``part`` of the tile: "" or, of a large tile, band and blocks.
 
-def unsigned_sorted(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return names[bounds[0] : bounds[-1]]
+    Two sets that may link are of the same band of sizes or of neighbouring ones, and so
+    meet in the lower band; bands beyond TILE sets are hashed to blocks, which meet in pairs.
+    """
+    counts = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
+    told = members.join(counts, "tile")
+    small = told.where(F.col("members") <= TILE).select("tile", F.lit("").alias("part"), "node", "n_shingles")
+    band = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]))
+    banded = told.where(F.col("members") > TILE).select("tile", "node", "n_shingles", F.explode(F.array(band, band - 1)).alias("band"))
+    per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members")).where("members > 1").select("tile", "band", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    blocked = banded.join(per_band, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return small.unionByName(blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "n_shingles"))
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -205,30 +256,21 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(shingle_weights(docs, width))
-    sets = checkpointed(docs.mapInArrow(_prefix_rows(width, threshold, weights), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
+    sets = checkpointed(docs.mapInArrow(_prefix_rows(width, threshold, weights), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature array<long>"))
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    keyed = classes.select("node", "n_shingles", "f1", "f2", F.explode("keys").alias("key"))
+    classes = checkpointed(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
+    keyed = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("tile"), F.count("*").alias("n")).where("n > 1").select("key", "tile")
-    members = checkpointed(keyed.join(shared, "key").select("tile", "node", "n_shingles", "f1", "f2").distinct())
+    members = checkpointed(keyed.join(shared, "key").select("tile", "node", "n_shingles").distinct())
+    parts = shuffle_partitions(docs.sparkSession)
+    tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "signature"), ["node", "n_shingles"])
+    tiles = tiles.select("tile", "part", "node", "n_shingles", "signature").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
+    candidates = checkpointed(tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long"))
 
-    tiles = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = members.select(F.col("node").alias("doc_id"), "f1", "f2").distinct()
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    names = texts.mapInArrow(_set_rows(width), "doc_id long, f1 long, f2 long, names array<long>").join(wanted, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-
-    band = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    small = members.join(tiles.where(F.col("members") <= TILE), "tile").select("tile", F.lit("").alias("part"), "node", "f1", "f2")
-    large = members.join(tiles.where(F.col("members") > TILE), "tile").withColumn("band", band)
-    banded = large.select("tile", "node", "f1", "f2", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members")).where("members > 1").select("tile", "band", F.ceil(F.col("members") / TILE).alias("blocks"))
-    blocked = banded.join(per_band, ["tile", "band"]).withColumn("block", block)
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    blocked = blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "f1", "f2")
-    placed = small.unionByName(blocked).join(names.withColumnRenamed("doc_id", "node"), ["node", "f1", "f2"])
-    placed = placed.select("tile", "part", "node", "names").repartition(spark_partitions(docs), "tile", "part").sortWithinPartitions("tile", "part", "node")
-    links = placed.mapInArrow(_tiles(threshold), "a long, b long")
+    texts = docs.join(candidates.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    names = texts.mapInArrow(_set_rows(width), "node long, names array<long>")
+    placed = candidates.join(names, "node").select("tile", "part", "node", "names").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node")
+    links = placed.mapInArrow(_links(threshold), "a long, b long")
 
     linked = components(links)
     of_class = classes.select("n_shingles", "f1", "f2", F.col("node").alias("class_id"))
@@ -236,7 +278,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
 
 
-def spark_partitions(df: DataFrame) -> int:
-    from .graph import shuffle_partitions
-
-    return shuffle_partitions(df.sparkSession)
+def without_near_copies(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """``docs`` with one document of each component of links, the one with the smallest doc_id; all columns stay."""
+    gone = ngram_join(docs, width, threshold).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

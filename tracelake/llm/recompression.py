@@ -21,6 +21,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from .blocks import K1, K2, K3, K4, Words, blocks, lists, mix, range_hashes, sig
 from .graph import shuffle_partitions
 
 WINDOW = 13
+#: Rounds at least; wider windows take more, until about two symbols of the core are left.
 ROUNDS = 4
 #: One division of the names into left and right ones for each round.
 _SALTS = mix(np.arange(1, 65, dtype=np.uint64))
@@ -41,11 +43,15 @@ def _fold(name: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mix(name * K1 + more * K2 + K3)
 
 
+def rounds_for(width: int) -> int:
+    return max(ROUNDS, round(math.log(width / 6.5) / math.log(4 / 3)))
+
+
 class WindowNames:
     """For each window of ``width`` words of a block: ``at`` (first word), ``anchor`` and ``name``."""
 
-    def __init__(self, doc: np.ndarray, name: np.ndarray, width: int, rounds: int = ROUNDS):
-        n = len(name)
+    def __init__(self, doc: np.ndarray, name: np.ndarray, width: int):
+        n, rounds = len(name), rounds_for(width)
         at = np.flatnonzero(doc[: n - width + 1] == doc[width - 1 :]) if n >= width else np.zeros(0, np.int64)
         symbol, owner = name, doc
         lo, hi = at.copy(), at + width
@@ -238,7 +244,10 @@ def _kept_rows(width: int, texts_too: bool):
                 removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(text).hexdigest())
                 if texts_too:
-                    kept_texts.append(text.decode() if gone.any() else block["text"][r].as_py())
+                    # words that stay together keep what stood between them
+                    breaks = np.flatnonzero(np.diff(kept) > 1)
+                    firsts, lasts = kept[np.append(0, breaks + 1)] if len(kept) else kept, kept[np.append(breaks, len(kept) - 1)] if len(kept) else kept
+                    kept_texts.append("\n".join(data[a:b].decode() for a, b in zip(words.start[firsts].tolist(), words.end[lasts].tolist(), strict=True)))
             columns = {"row_id": block["row_id"], "n_words": pa.array(count), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             if texts_too:
                 columns["kept_text"] = pa.array(kept_texts, pa.string())
@@ -283,7 +292,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with repeated windows cut from the texts; a text that loses nothing stays as it is.
 
-    All columns and rows are kept; a text that loses words has the rest joined by one space.
+    All columns and rows are kept; what is left of a text is joined by line feeds.
     """
     told = removals(docs, width).select(F.struct("doc_id", F.xxhash64("text").alias("x"), F.octet_length("text").alias("l")).alias("row_id"), "text", "starts", "copy")
     changed = told.where("copy or starts is not null").mapInArrow(_kept_rows(width, True), "row_id struct<doc_id:long,x:long,l:int>, n_words long, n_removed long, kept_sha256 string, kept_text string")

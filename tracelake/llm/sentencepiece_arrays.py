@@ -33,7 +33,8 @@ from .blocks import K3, blocks, lists, mix, range_hashes, text_buffers
 SPACE = 0xFF  # stands for U+2581; no UTF-8 text holds this byte
 _MARK = "▁".encode()
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * K3)
-_START = np.int64(-1)
+#: Bytes of text indexed at a time: the more, the fewer of its stretches are distinct.
+BLOCK = 8 << 20
 
 
 def model_file() -> str:
@@ -249,7 +250,9 @@ class Coder:
         start, end, piece = self._edges(data, begins, unit_end)
         char_end = np.append(begins[1:], n)
         known = np.zeros(n + 1, bool)
-        known[start[is_end_of_char(start, end, begins, char_end)]] = True
+        end_of_char = np.zeros(n + 1, np.int64)
+        end_of_char[begins] = char_end
+        known[start[end == end_of_char[start]]] = True
         lone = np.flatnonzero(~known[begins])
         start = np.concatenate([start, begins[lone]])
         end = np.concatenate([end, char_end[lone]])
@@ -348,11 +351,6 @@ class Coder:
         return np.where(data == SPACE, 32, data).astype(np.uint8), place[at]
 
 
-def is_end_of_char(start: np.ndarray, end: np.ndarray, begins: np.ndarray, char_end: np.ndarray) -> np.ndarray:
-    """Which edges cover exactly one character."""
-    return end == char_end[np.searchsorted(begins, start)]
-
-
 def _bounded_search(values: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
     """np.searchsorted of each wanted value within its own sorted range."""
     lo, hi = lo.copy(), hi.copy()
@@ -376,10 +374,10 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def _encode_rows(path: str | None, passed: bool):
+def _encode_rows(path: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path or model_file())
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             ids, bounds = own.encode(block["text"])
             data, where = own.decode(ids, bounds)
             original, offsets = text_buffers(block["text"])
@@ -389,7 +387,7 @@ def _encode_rows(path: str | None, passed: bool):
                 said = data[where[r] : where[r + 1]]
                 digest.append(hashlib.sha256(said).hexdigest())
                 same.append(said == original[offsets[r] : offsets[r + 1]].replace(_MARK, b" "))
-            more = {name: block[name] for name in block.schema.names if name != "text" or passed}
+            more = {name: block[name] for name in block.schema.names if name != "text"}
             yield pa.RecordBatch.from_pydict(more | {"n_tokens": pa.array(np.diff(bounds)), "ids": lists(pa.array(ids, pa.int32()), bounds), "decoded_sha256": pa.array(digest, pa.string()), "round_trip": pa.array(same, pa.bool_())})
 
     return rows
@@ -401,8 +399,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ``ids`` are those of the vocabulary at ``path``; ``round_trip`` tells whether decoding
     them gives the text again, with U+2581 as a space.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encode_rows(path, False), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return encode_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], path)
+
+
+def encode_rows(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+    """The given columns, n_tokens, ids, decoded_sha256 and round_trip of each row."""
+    types = dict(docs.dtypes)
+    named = "".join(f"`{c}` {types[c]}, " for c in columns)
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(_encode_rows(path), named + "n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
