@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .bilinear_lm import lm_scores
+from .column_bwt import suffix_dedup
+from .cross_polytope import near_vectors
 from .language_crf import language_id
 from .mixing import mix_rates
 from .ngram_join import ngram_join
@@ -37,6 +40,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,14 +60,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_media_columns": op4_media_columns,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -34,7 +34,7 @@ SPACE = 0xFF  # stands for U+2581; no UTF-8 text holds this byte
 _MARK = "▁".encode()
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * K3)
 #: Bytes of text indexed at a time: the more, the fewer of its stretches are distinct.
-BLOCK = 8 << 20
+BLOCK = 5 << 20
 
 
 def model_file() -> str:
