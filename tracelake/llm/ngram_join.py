@@ -29,8 +29,9 @@ from .graph import checkpointed, components, shuffle_partitions
 WIDTH = 3
 THRESHOLD = (90, 100)
 #: Cells of the hashed shingle counts by which prefixes are ordered.
-CELL_BITS = 18
-SIGNATURE_BITS = 2048
+CELL_BITS = 22
+#: Bits of the filter that says which sets to fetch; of fixed size, so at worst it lets more through.
+FILTER_BITS = 24
 #: Sets in a tile, beyond which it is cut into size bands and blocks.
 TILE = 1024
 
@@ -84,25 +85,22 @@ def _cell_counts(width: int):
         for block in blocks(batches, "text"):
             _, name = shingle_names(Words(block["text"], lower=True), width)
             total += np.bincount((name >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        cell = np.flatnonzero(total)
-        for at in range(0, len(cell), 1 << 16):
-            part = cell[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+        cell = np.flatnonzero(total > 4 * total.mean() + 3)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell]), pa.array(np.full(len(cell), total.mean()))], names=["cell", "n", "mean"])
 
     return count
 
 
 def shingle_weights(docs: DataFrame, width: int) -> np.ndarray:
-    """How far each of 2**CELL_BITS hashed counts over all documents lies above the mean, in powers of two.
+    """How far each of 2**CELL_BITS hashed counts stands out from the mean of a partition, in powers of two.
 
-    Of fixed size whatever the input. Used only to order prefixes; any order gives whole results.
+    Counted over all documents, and of fixed size whatever the input. It only orders the
+    prefixes, so that frequent shingles come last; any order gives whole results.
     """
-    cells = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    mean = cells.agg(F.sum("n") / F.lit(1 << CELL_BITS)).first()[0] or 1.0
+    cells = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long, mean double").groupBy("cell").agg((F.sum("n") / F.sum(F.col("mean") + 1)).alias("over")).toArrow()
     weights = np.zeros(1 << CELL_BITS, np.uint8)
-    heavy = cells.where(F.col("n") > 2 * mean + 4).toArrow()
-    if heavy.num_rows:
-        weights[heavy["cell"].to_numpy()] = 1 + np.log2(heavy["n"].to_numpy() / mean).clip(0, 30).astype(np.uint8)
+    if cells.num_rows:
+        weights[cells["cell"].to_numpy()] = 1 + np.log2(1 + cells["over"].to_numpy()).clip(0, 30).astype(np.uint8)
     return weights
 
 
@@ -121,62 +119,122 @@ def _prefix_rows(width: int, threshold: tuple[int, int], weights):
             rank = np.arange(len(row)) - bounds[row]
             chosen = order[rank < kept[row]]
             chosen_bounds = np.concatenate([[0], np.cumsum(kept)])
-            bits = signatures(row, name, words.rows)
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), signed(f1), signed(f2), lists(signed(name[chosen]), chosen_bounds), lists(signed(bits.ravel()), np.arange(words.rows + 1) * bits.shape[1])], names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"])
+            bits, bit_bounds = signatures(name, bounds)
+            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), signed(f1), signed(f2), lists(signed(name[chosen]), chosen_bounds), lists(signed(bits), bit_bounds)], names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"])
 
     return rows
 
 
-def _set_rows(width: int):
+def _place_in_filter(node: np.ndarray) -> np.ndarray:
+    return (mix(node.astype(np.int64).view(np.uint64) + K3) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A hashed bitmap of the nodes, 2**FILTER_BITS bits as bytes, gathered as its words that hold a bit."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            words = Words(block["text"], lower=True)
-            row, name = shingle_sets(words, width)
-            bounds = np.searchsorted(row, np.arange(words.rows + 1))
-            yield pa.RecordBatch.from_arrays([block["doc_id"], lists(signed(name), bounds)], names=["node", "names"])
+        for batch in batches:
+            place = np.unique(_place_in_filter(batch["node"].to_numpy()))
+            if len(place):
+                word, starts = np.unique(place >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), signed(bits)], names=["word", "bits"])
 
-    return rows
+    told = nodes.select("node").mapInArrow(rows, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[told["word"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def signatures(row: np.ndarray, name: np.ndarray, rows: int) -> np.ndarray:
-    """A bitmap of each row's set, one hashed bit a name: rows x SIGNATURE_BITS / 64."""
-    words = SIGNATURE_BITS // 64
-    bit = name & np.uint64(SIGNATURE_BITS - 1)
-    cell = row * words + (bit >> np.uint64(6)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    out = np.zeros(rows * words, np.uint64)
-    if len(order):
-        cell, value = cell[order], (np.uint64(1) << (bit & np.uint64(63)))[order]
-        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        out[cell[starts]] = np.bitwise_or.reduceat(value, starts)
-    return out.reshape(rows, words)
+def _set_rows(width: int, wanted):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _place_in_filter(batch["doc_id"].fill_null(0).to_numpy())
+            hit = (wanted.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+            for block in blocks([batch.filter(pa.array(hit))], "text"):
+                words = Words(block["text"], lower=True)
+                row, name = shingle_sets(words, width)
+                bounds = np.searchsorted(row, np.arange(words.rows + 1))
+                yield pa.RecordBatch.from_arrays([block["doc_id"], lists(signed(name), bounds)], names=["node", "names"])
 
+    return rows
 
-def admitted(size: np.ndarray, signature: np.ndarray, x: int, others: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Of ``others``, those that sizes and bit counts do not rule out as partners of ``x``.
 
-    Each bit that only one set has stands for a name that the other lacks, so the overlap is
-    at most the set's size less its lone bits.
-    """
-    part, whole = threshold
-    others = others[np.minimum(size[others], size[x]) * whole >= np.maximum(size[others], size[x]) * part]
-    own, other = signature[x], signature[others]
-    most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[others] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-    return others[most * (whole + part) >= part * (size[others] + size[x])]
+def signature_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's bitmap: a power of two, two to four bits a name."""
+    return np.exp2(np.maximum(2, np.ceil(np.log2(np.maximum(size, 1) / 32)))).astype(np.int64)
+
+
+def signatures(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds): a bitmap of each set, one hashed bit a name."""
+    size = np.diff(bounds)
+    words = signature_words(size)
+    starts = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(size)), size)
+    bit = (names & (words[row] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    cell = starts[row] + (bit >> 6)
+    order = np.argsort(cell, kind="stable")
+    out = np.zeros(int(starts[-1]), np.uint64)
+    if len(order):
+        cell, value = cell[order], (np.uint64(1) << (bit & 63).astype(np.uint64))[order]
+        firsts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        out[cell[firsts]] = np.bitwise_or.reduceat(value, firsts)
+    return out, starts
+
+
+def _folded(bitmap: np.ndarray) -> np.ndarray:
+    half = bitmap.shape[-1] // 2
+    return bitmap[..., :half] | bitmap[..., half:]
+
+
+class Bitmaps:
+    """The bitmaps of a tile's sets; sizes of sets that may link differ by less than a factor of two."""
+
+    def __init__(self, size: np.ndarray, words: np.ndarray, bounds: np.ndarray):
+        self.size, self.width = size, np.diff(bounds)
+        self.place = np.zeros(len(size), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.whole[w] = words[bounds[rows][:, None] + np.arange(w)]
+        self.half = {w: _folded(x) for w, x in self.whole.items() if w // 2 in self.whole}
+
+    def admitted(self, x: int, others: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+        """Of ``others``, those that sizes and bit counts do not rule out as partners of ``x``.
+
+        Each bit that only one set has stands for a name that the other lacks, so the overlap
+        is at most the set's size less its lone bits.
+        """
+        part, whole = threshold
+        size, w = self.size, int(self.width[x])
+        others = others[np.minimum(size[others], size[x]) * whole >= np.maximum(size[others], size[x]) * part]
+        if not len(others):
+            return others
+        fits = []
+        for v in (w // 2, w, 2 * w):
+            rows = others[self.width[others] == v]
+            if not len(rows):
+                continue
+            own = (self.half if v < w else self.whole)[w][self.place[x]]
+            other = (self.half if v > w else self.whole)[v][self.place[rows]]
+            most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[rows] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+            fits.append(rows[most * (whole + part) >= part * (size[rows] + size[x])])
+        return np.concatenate(fits) if fits else others[:0]
 
 
 def tile_links(node: np.ndarray, names: np.ndarray, bounds: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of one tile; each set's names are sorted."""
     part, whole = threshold
     size = np.diff(bounds)
-    signature = signatures(np.repeat(np.arange(len(size)), size), names, len(size))
+    bitmaps = Bitmaps(size, *signatures(names, bounds))
     left = np.arange(len(size))
     found: list[tuple[int, int]] = []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop(0)
-            fits = admitted(size, signature, x, left, threshold)
+            fits = bitmaps.admitted(x, left, threshold)
             if not len(fits):
                 continue
             mine = names[bounds[x] : bounds[x + 1]]
@@ -204,13 +262,13 @@ def _candidates(threshold: tuple[int, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds, bits, tiles in _groups(batches, "signature"):
             size = table["n_shingles"].to_numpy()
-            signature = bits[bounds[0] : bounds[-1]].reshape(table.num_rows, -1)
             keep = np.zeros(table.num_rows, bool)
             for lo, hi in tiles:
-                for x in range(lo, hi - 1):
-                    fits = admitted(size, signature, x, np.arange(x + 1, hi), threshold)
-                    keep[fits] = True
-                    keep[x] |= len(fits) > 0
+                bitmaps = Bitmaps(size[lo:hi], bits[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                for x in range(hi - lo - 1):
+                    fits = bitmaps.admitted(x, np.arange(x + 1, hi - lo), threshold)
+                    keep[lo + fits] = True
+                    keep[lo + x] |= len(fits) > 0
             yield from table.filter(pa.array(keep)).select(["tile", "part", "node"]).combine_chunks().to_batches()
 
     return rows
@@ -267,8 +325,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     tiles = tiles.select("tile", "part", "node", "n_shingles", "signature").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
     candidates = checkpointed(tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long"))
 
-    texts = docs.join(candidates.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    names = texts.mapInArrow(_set_rows(width), "node long, names array<long>")
+    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
+    names = docs.mapInArrow(_set_rows(width, wanted), "node long, names array<long>")
     placed = candidates.join(names, "node").select("tile", "part", "node", "names").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node")
     links = placed.mapInArrow(_links(threshold), "a long, b long")
 
