@@ -11,3 +11,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "bm25_messages"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Adds a query, and its SQL where SQL can express it."""
+
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import listing, search  # noqa: F401
+
+
+load()
