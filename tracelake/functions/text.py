@@ -124,7 +124,7 @@ def file_paths(text: str | Column, most: int = 16) -> Column:
 
 def command_line(text: str | Column) -> Column:
     """The first line that is neither empty nor the start of an object, at most 300 characters."""
-    lines = F.filter(F.transform(F.split(col(text), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("{"))
+    lines = F.filter(F.transform(F.split(col(text), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("{"))
     return F.substring(F.get(lines, F.lit(0)), 1, 300)
 
 

@@ -1,0 +1,64 @@
+"""Embeddings: chunks, pending work, exact nearest neighbours, rank fusion."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def chunks(messages: DataFrame, width: int = 2000) -> DataFrame:
+    """``messages`` with chunk_index and chunk_text: pieces of ``width`` characters; empty texts give none."""
+    starts = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / width).cast("int"))
+    told = messages.where(F.length("content") > 0).withColumn("chunk_index", F.explode(starts))
+    return told.withColumn("chunk_text", F.expr(f"substring(content, chunk_index * {width} + 1, {width})"))
+
+
+def pending(messages: DataFrame, embedded: DataFrame, limit: int = 200) -> DataFrame:
+    """The first ``limit`` messages with content and without a vector, by id."""
+    return messages.where(F.trim("content") != "").join(embedded.select(F.col("message_id").alias("id")), "id", "left_anti").orderBy(F.length("id"), "id").limit(limit)
+
+
+def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """``texts`` with ``embedding`` from a function of batches of texts."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(batch: pd.Series) -> pd.Series:
+        return pd.Series(embed(batch.tolist()))
+
+    return texts.withColumn("embedding", vectors(column))
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """Cosine in double precision over the shorter length; 0 where a norm is 0."""
+    pairs = F.filter(F.arrays_zip(F.col(a).alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).alias("y") if isinstance(b, str) else b.alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
+    dot = total(lambda p: p["x"].cast("double") * p["y"].cast("double"))
+    norm = F.sqrt(total(lambda p: p["x"].cast("double") * p["x"].cast("double"))) * F.sqrt(total(lambda p: p["y"].cast("double") * p["y"].cast("double")))
+    return F.when(norm == 0, 0.0).otherwise(dot / norm)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """query_id, message_id, session_id, cosine, pos: the best chunk of each session for each typed query.
+
+    ``queries`` (query_id, query_vector) is the side that is asked, a bounded table; each
+    executor keeps only its best rows before the shuffle.
+    """
+    told = vectors.crossJoin(F.broadcast(queries)).select("query_id", "message_id", "session_id", F.round(cosine("embedding", "query_vector"), 6).alias("cosine"))
+    one = told.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))).where("_n = 1").drop("_n")
+    order = W.partitionBy("query_id").orderBy(F.desc("cosine"), "session_id")
+    return one.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+
+
+def fused(lists: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
+    """query_id, session_id, score, pos: reciprocal ranks of lists (query_id, session_id, pos), summed."""
+    told = None
+    for one in lists:
+        part = one.select("query_id", "session_id", (F.lit(1.0) / (k + F.col("pos"))).alias("part"))
+        told = part if told is None else told.unionByName(part)
+    scored = told.groupBy("query_id", "session_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "session_id")
+    return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
