@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,19 @@ WIDTH = 3
 THRESHOLD = (90, 100)
 #: Cells of the hashed shingle counts by which prefixes are ordered.
 CELL_BITS = 22
+WORD_BITS = 16
 #: Bits of the filter that says which sets to fetch; of fixed size, so at worst it lets more through.
 FILTER_BITS = 24
 #: Sets in a tile, beyond which it is cut into size bands and blocks.
 TILE = 1024
 
 
-def shingle_names(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row in the block, name) of each shingle of consecutive words, repeats included."""
+def shingle_names(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row in the block, name, first word) of each shingle of consecutive words, repeats included."""
     count = np.diff(words.bounds)
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     multipliers = mix(np.arange(1, width + 1, dtype=np.uint64) * K3) | np.uint64(1)
     sums = np.zeros(n, np.uint64)
     for k in range(width):
@@ -53,19 +55,19 @@ def shingle_names(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         has = count[few] > k
         short[has] += words.name[words.bounds[few[has]] + k] * multipliers[k]
     short += count[few].astype(np.uint64) * K2
-    return np.concatenate([words.doc[at], few]), np.concatenate([mix(sums[at]), mix(short)])
+    return np.concatenate([words.doc[at], few]), np.concatenate([mix(sums[at]), mix(short)]), np.concatenate([at, words.bounds[few]])
 
 
-def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``shingle_names``, each name once a row, sorted by row and name."""
-    row, name = shingle_names(words, width)
+    row, name, at = shingle_names(words, width)
     order = np.lexsort((name, row))
-    row, name = row[order], name[order]
+    row, name, at = row[order], name[order], at[order]
     if len(row):
         once = np.ones(len(row), bool)
         once[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
-        row, name = row[once], name[once]
-    return row, name
+        row, name, at = row[once], name[once], at[once]
+    return row, name, at
 
 
 def set_prints(row: np.ndarray, name: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,29 +81,53 @@ def set_prints(row: np.ndarray, name: np.ndarray, rows: int) -> tuple[np.ndarray
     return bounds, prints[0], prints[1]
 
 
+@dataclass
+class Frequencies:
+    """Hashed counts by which prefixes are ordered; of fixed size, whatever the input.
+
+    ``words`` has log2 of the counts of 2**WORD_BITS cells of words, less that of all words.
+    ``cells`` says how far each of 2**CELL_BITS cells of shingles stands out in the partitions
+    that noticed it, in powers of two. All documents are counted. Any order gives whole
+    results; with frequent shingles last, sets that share little share no prefix.
+    """
+
+    words: np.ndarray
+    total: float
+    cells: np.ndarray
+
+    def weight(self, words: Words, name: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """0 to 31 for each shingle: the larger of what its words lead one to expect and what was noticed."""
+        share = self.words[(words.name >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+        expected = np.full(len(at), self.total)
+        for k in range(width):
+            expected += share[np.minimum(at + k, len(share) - 1)]
+        chance = np.clip(expected + 8, 0, 30).astype(np.int64)
+        return np.maximum(chance, self.cells[(name >> np.uint64(64 - CELL_BITS)).astype(np.int64)])
+
+
 def _cell_counts(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total, of_words = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
         for block in blocks(batches, "text"):
-            _, name = shingle_names(Words(block["text"], lower=True), width)
+            words = Words(block["text"], lower=True)
+            name = shingle_names(words, width)[1]
             total += np.bincount((name >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        cell = np.flatnonzero(total > 4 * total.mean() + 3)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell]), pa.array(np.full(len(cell), total.mean()))], names=["cell", "n", "mean"])
+            of_words += np.bincount((words.name >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(of_words))
+        cell, word = np.flatnonzero(total > 4 * total.mean() + 3), np.flatnonzero(of_words)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cell, -1 - word]).astype(np.int32)), pa.array(np.concatenate([total[cell], of_words[word]])), pa.array(np.full(len(cell) + len(word), total.mean()))], names=["cell", "n", "mean"])
 
     return count
 
 
-def shingle_weights(docs: DataFrame, width: int) -> np.ndarray:
-    """How far each of 2**CELL_BITS hashed counts stands out from the mean of a partition, in powers of two.
-
-    Counted over all documents, and of fixed size whatever the input. It only orders the
-    prefixes, so that frequent shingles come last; any order gives whole results.
-    """
-    cells = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long, mean double").groupBy("cell").agg((F.sum("n") / F.sum(F.col("mean") + 1)).alias("over")).toArrow()
-    weights = np.zeros(1 << CELL_BITS, np.uint8)
-    if cells.num_rows:
-        weights[cells["cell"].to_numpy()] = 1 + np.log2(1 + cells["over"].to_numpy()).clip(0, 30).astype(np.uint8)
-    return weights
+def frequencies(docs: DataFrame, width: int) -> Frequencies:
+    told = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long, mean double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("mean") + 1).alias("mean")).toArrow()
+    cell, n, mean = (told[c].to_numpy() for c in ("cell", "n", "mean"))
+    counts = np.ones(1 << WORD_BITS)
+    counts[-1 - cell[cell < 0]] = n[cell < 0]
+    total = np.log2(counts.sum())
+    cells = np.zeros(1 << CELL_BITS, np.uint8)
+    cells[cell[cell >= 0]] = (9 + np.log2(1 + n / mean)).clip(0, 31).astype(np.uint8)[cell >= 0]
+    return Frequencies((np.log2(counts) - total).astype(np.float32), float(total), cells)
 
 
 def _prefix_rows(width: int, threshold: tuple[int, int], weights):
@@ -110,10 +136,10 @@ def _prefix_rows(width: int, threshold: tuple[int, int], weights):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             words = Words(block["text"], lower=True)
-            row, name = shingle_sets(words, width)
+            row, name, at = shingle_sets(words, width)
             bounds, f1, f2 = set_prints(row, name, words.rows)
             size = np.diff(bounds)
-            weight = weights.value[(name >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            weight = weights.value.weight(words, name, at, width)
             order = np.argsort(row * 32 + weight, kind="stable")
             kept = size - (size * part + whole - 1) // whole + (size > 0)
             rank = np.arange(len(row)) - bounds[row]
@@ -153,7 +179,7 @@ def _set_rows(width: int, wanted):
             hit = (wanted.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
             for block in blocks([batch.filter(pa.array(hit))], "text"):
                 words = Words(block["text"], lower=True)
-                row, name = shingle_sets(words, width)
+                row, name, _ = shingle_sets(words, width)
                 bounds = np.searchsorted(row, np.arange(words.rows + 1))
                 yield pa.RecordBatch.from_arrays([block["doc_id"], lists(signed(name), bounds)], names=["node", "names"])
 
@@ -313,7 +339,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(shingle_weights(docs, width))
+    weights = spark.sparkContext.broadcast(frequencies(docs, width))
     sets = checkpointed(docs.mapInArrow(_prefix_rows(width, threshold, weights), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature array<long>"))
     filled = sets.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
