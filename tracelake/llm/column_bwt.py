@@ -232,7 +232,7 @@ def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretch_rows(window: int, anchor: int, hot):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
             data, offsets = text_buffers(block["text"])
             row, first, last, name = stretches(data, offsets, window, anchor)
             column = block["anchors"]
@@ -388,9 +388,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     first = known.groupBy("x", F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "l", "c", "first")
     copies = known.select("doc_id", "x", F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c")).join(first, ["x", "l", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    placed = docs.repartition(parts, "doc_id")
-    told = placed.join(wanted, "doc_id", "left").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    strings = told.where("not copy and anchors is not null").mapInArrow(_stretch_rows(window, anchor, hot), "anchor long, part int, doc_id long, start long, bytes binary")
+    # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
+    told = docs.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor, hot), "anchor long, part int, doc_id long, start long, bytes binary")
     strings = strings.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
     spans = strings.mapInArrow(_repeat_rows(window), "doc_id long, first long, last long").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return told.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy").mapInArrow(_kept_rows(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
