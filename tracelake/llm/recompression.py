@@ -6,8 +6,8 @@ and whose right name falls in the other. A name is a fingerprint of what it repl
 all tasks give the same pair the same name, and equal substrings get equal interior
 symbols wherever they stand. A window drops from either end, round by round, the symbols
 that its surroundings could have changed; what it drops and the core that is left depend on
-its words alone and name it. Spark first matches the leading core symbols (anchors) of all
-documents, then the full window names of those places only whose anchor is shared. A
+its words alone and name it. Spark first matches the smallest pairs of neighbouring core
+symbols (anchors) of all documents, then the full window names of those places only whose anchor is shared. A
 second, independent fingerprint of the window's words verifies each match.
 
 Documents with the same words throughout are settled by their first copy.
@@ -60,14 +60,26 @@ class WindowNames:
         for step in range(rounds):
             if step == 0 and n:
                 symbol, owner, lo, hi, left, right = self._runs(symbol, owner, lo, hi, left, right)
-            anchor = self._anchor(anchor, symbol, lo, hi, step)
             if len(symbol):
                 symbol, owner, lo, hi, left, right = self._pairs(symbol, owner, lo, hi, left, right, step)
-        anchor = self._anchor(anchor, symbol, lo, hi, rounds)
+            if step == rounds - 3 and len(symbol):
+                anchor = self._smallest_pair(symbol, lo, hi)
         core = range_hashes(symbol, lo, np.maximum(lo, hi)) if len(symbol) else np.zeros(len(at), np.uint64)
         self.at, self.name = at, _fold(_fold(left, right), core)
         self.anchor = np.where(anchor == 0, self.name, anchor)
 
+    @staticmethod
+    def _smallest_pair(symbol, lo, hi):
+        """The smallest name of two neighbouring symbols of each core; 0 where the core has fewer."""
+        pair = np.zeros(len(symbol), np.uint64)
+        pair[:-1] = _fold(symbol[:-1], symbol[1:]) | np.uint64(1)
+        none = np.uint64(0xFFFFFFFFFFFFFFFF)
+        best = np.full(len(lo), none)
+        for k in range(int((hi - lo).max(initial=0)) - 1):
+            at = lo + k
+            best = np.minimum(best, np.where(at + 1 < hi, pair[np.minimum(at, len(pair) - 1)], none))
+        return np.where(best == none, np.uint64(0), best)
+
     @staticmethod
     def _runs(symbol, owner, lo, hi, left, right):
         new = np.ones(len(symbol), bool)
@@ -111,21 +123,6 @@ class WindowNames:
         some = lo < hi
         return named[keep], owner[keep], np.where(some, place[lo], 0), np.where(some, place[hi], 0), left, right
 
-    @staticmethod
-    def _anchor(anchor, symbol, lo, hi, step):
-        some = lo < hi
-        if not some.any():
-            return anchor
-        first = symbol[np.where(some, lo, 0)]
-        second = np.where(hi - lo > 1, symbol[np.minimum(lo + 1, len(symbol) - 1)], 0)
-        return np.where(some, _fold(first + np.uint64(step), second) | np.uint64(1), anchor)
-
-
-def _doc_prints(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of each row's word sequence."""
-    lo, hi = words.bounds[:-1], words.bounds[1:]
-    return range_hashes(words.name, lo, hi), range_hashes(mix(words.name * K3 + K1), lo, hi)
-
 
 def _anchor_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +190,7 @@ def _shared(key_columns: list[str], out: list[str], later_only: bool):
 
 def _window_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
             words = Words(block["text"])
             windows = WindowNames(words.doc, words.name, width)
             column = block["anchors"]
@@ -206,7 +203,7 @@ def _window_rows(width: int):
             where = windows.at[hit]
             check = range_hashes(mix(words.name * K3 + K1), where, where + width)
             ids = block["doc_id"].to_numpy(zero_copy_only=False)[row[hit]]
-            yield pa.RecordBatch.from_arrays([signed(windows.name[hit]), signed(check), pa.array(ids, pa.int64()), pa.array((where - words.bounds[row[hit]]).astype(np.int32))], names=["name", "verify", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([signed(windows.name[hit]), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids, pa.int64()), pa.array((where - words.bounds[row[hit]]).astype(np.int32))], names=["name", "verify", "doc_id", "pos"])
 
     return rows
 
@@ -267,12 +264,12 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     anchors = known.mapInArrow(_anchor_rows(width), "anchor long, doc_id long").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
     shared = anchors.mapInArrow(_shared(["anchor"], ["anchor", "doc_id"], False), "anchor long, doc_id long")
     wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    first = known.select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l"))
-    first = first.groupBy("x", "c", "l").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "c", "l", "first")
-    copies = known.select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l")).join(first, ["x", "c", "l"]).where("doc_id > first").select("doc_id", "x").distinct()
-    placed = docs.repartition(parts, "doc_id")
-    told = placed.join(wanted, "doc_id", "left").join(copies, (placed["doc_id"] == copies["doc_id"]) & (F.xxhash64(placed["text"]) == copies["x"]), "left").select(placed["doc_id"], "text", "anchors", F.col("x").isNotNull().alias("copy"))
-    windows = told.where("not copy and anchors is not null").mapInArrow(_window_rows(width), "name long, verify long, doc_id long, pos int")
+    prints = known.select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l"))
+    first = prints.groupBy("x", "c", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "c", "l", "first")
+    copies = prints.join(first, ["x", "c", "l"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("x").alias("prints"))
+    # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
+    told = docs.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("prints", F.xxhash64("text")), F.lit(False))).drop("prints")
+    windows = told.join(wanted, "doc_id", "left").mapInArrow(_window_rows(width), "name long, verify int, doc_id long, pos int")
     windows = windows.repartition(parts, "name").sortWithinPartitions("name", "verify", "doc_id")
     hits = windows.mapInArrow(_shared(["name", "verify"], ["doc_id", "pos"], True), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     return told.join(hits, "doc_id", "left").select("doc_id", "text", "starts", "copy")
