@@ -331,7 +331,7 @@ def _repeat_rows(window: int):
                 docs.append(found[0])
                 places.append(found[1])
                 lo = hi
-            if docs:
+            if sum(map(len, docs)):
                 yield _spans(np.concatenate(docs), np.concatenate(places).astype(np.int64))
 
     return rows
