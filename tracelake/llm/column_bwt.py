@@ -69,61 +69,80 @@ class Files:
             file.close()
 
 
-KINDS = {"bwt": np.uint16, "lcp": np.int32, "string": np.int32, "place": np.int32}
-
-
-def build(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(data: np.ndarray, bounds: np.ndarray, first: np.ndarray | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place, lcp) of all suffixes of the strings in order; lcp is with the suffix before.
 
-    ``place`` is where the suffix starts in its string. Strings are not empty; equal suffixes
-    are in the order of their strings.
+    ``place`` is where the suffix starts in its string. The empty suffixes come first, in the
+    order of the strings. Where every string goes on in a part that isn't built, ``first``
+    gives the strings in the order of those parts and ``common`` the common prefixes of
+    neighbours there; suffixes are then in the order of their bytes and that of the parts.
     """
-    with tempfile.TemporaryDirectory() as folder, contextlib.closing(Files(folder, KINDS)) as files:
+    narrow = not len(data) or int(data.max()) < 255
+    kinds = {"bwt": np.uint8 if narrow else np.uint16, "lcp": np.int16, "suffix": np.int64}
+    with tempfile.TemporaryDirectory() as folder, contextlib.closing(Files(folder, kinds)) as files:
         count = len(bounds) - 1
         length = np.diff(bounds)
-        at = np.arange(count)  # where the newest suffix of each string stands
+        first = np.arange(count) if first is None else first
+        at = np.empty(count, np.int64)  # where the newest suffix of each string stands
+        at[first] = np.arange(count)
         files.write("bwt", np.zeros(count))
-        files.write("lcp", np.zeros(count))
-        files.write("string", np.arange(count))
-        files.write("place", length)
+        files.write("lcp", np.zeros(count) if common is None else common)
+        files.write("suffix", (first << 32) | length[first])
         for j in range(1, int(length.max(initial=0)) + 1):
             active = np.flatnonzero(length >= j)
             bwt = files.read("bwt")
-            bwt[at[active]] = data[bounds[active + 1] - j].astype(np.uint16) + 1
+            bwt[at[active]] = data[bounds[active + 1] - j].astype(bwt.dtype) + 1
             order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             ended = int((bwt == 0).sum())
             source = at[active]
             goes = count + rank[source] - ended
             turn = np.argsort(goes)
             active, source, goes = active[turn], source[turn], goes[turn]
+            own_rank = rank[source]
             n = len(bwt) + len(active)
             lcp = files.read("lcp")
-            before = order[np.maximum(rank[source] - 1, 0)]
-            joins = (rank[source] > 0) & (bwt[before] == bwt[source])
-            ahead = order[np.minimum(rank[source] + 1, len(order) - 1)]
-            leads = (rank[source] + 1 < len(order)) & (bwt[ahead] == bwt[source])
-            own = np.zeros(len(active), np.int32)
+            before = order[np.maximum(own_rank - 1, 0)]
+            joins = (own_rank > 0) & (bwt[before] == bwt[source])
+            ahead = order[np.minimum(own_rank + 1, len(order) - 1)]
+            leads = (own_rank + 1 < len(order)) & (bwt[ahead] == bwt[source])
+            own = np.zeros(len(active), lcp.dtype)
             own[joins] = 1 + _range_min(lcp, before[joins] + 1, source[joins] + 1)
-            after = np.zeros(len(active), np.int32)
+            after = np.zeros(len(active), lcp.dtype)
             after[leads] = 1 + _range_min(lcp, source[leads] + 1, ahead[leads] + 1)
-            new = np.zeros(n, bool)
-            new[goes] = True
-            old = np.flatnonzero(~new)
-            grown = np.zeros(n, np.int32)
-            grown[old] = lcp
-            inner = goes + 1 < n
-            grown[goes[inner] + 1] = after[inner]
+            old = np.ones(n, bool)
+            old[goes] = False
+            grown = np.zeros(n + 1, lcp.dtype)
+            grown[:n][old] = lcp
+            grown[goes + 1] = after
             grown[goes] = own  # a new suffix right after a new one: both say the same
-            files.write("lcp", grown)
-            for name, value in (("bwt", np.zeros(len(active), np.uint16)), ("string", active.astype(np.int32)), ("place", (length[active] - j).astype(np.int32))):
-                column = np.empty(n, KINDS[name])
+            files.write("lcp", grown[:n])
+            for name, value in (("bwt", 0), ("suffix", (active << 32) | (length[active] - j))):
+                column = np.empty(n, kinds[name])
                 column[old] = bwt if name == "bwt" else files.read(name)
                 column[goes] = value
                 files.write(name, column)
             at[active] = goes
-        return files.read("string"), files.read("place"), files.read("lcp")
+        suffix = files.read("suffix")
+        return suffix >> 32, suffix & 0xFFFFFFFF, files.read("lcp")
+
+
+def sorted_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp with the one before) of the parts ``data[start:end]``, none longer than the widest."""
+    length = end - start
+    width = -(-int(length.max(initial=1)) // 8) * 8
+    grid = np.arange(width)[None] < length[:, None]
+    table = np.zeros((len(start), width), np.uint8)
+    table[grid] = data[np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] if len(start) else 0
+    keys = np.ascontiguousarray(table).view(">u8")
+    order = np.lexsort((length, *[keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)]))
+    lcp = np.zeros(len(start), np.int64)
+    if len(start) > 1:
+        differs = table[order[1:]] != table[order[:-1]]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        lcp[1:] = np.minimum(same, np.minimum(length[order[1:]], length[order[:-1]]))
+    return order, lcp
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -138,12 +157,12 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last, anchor hash): neighbouring windows of a row with one anchor; first and last window start."""
+def stretches(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, anchor start, anchor hash): neighbouring windows of a row with one anchor; first and last window start."""
     n = len(data)
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     # hashes of all substrings of ``anchor`` bytes, by doubling
     total, covered = None, 0
     power, width = _VALUE[data], 1
@@ -182,14 +201,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -
     first = starts[firsts]
     last = starts[np.append(firsts[1:], len(starts)) - 1] if len(firsts) else first
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first, last, name[chosen[firsts]]
+    return row, first, last, chosen[firsts].astype(np.int64), name[chosen[firsts]]
 
 
 def _anchor_rows(window: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             data, offsets = text_buffers(block["text"])
-            row, first, _, name = stretches(data, offsets, window, anchor)
+            row, first, _, _, name = stretches(data, offsets, window, anchor)
             print_ = unsigned(block["x"])[row]
             # equal texts have their stretches in the same places, and are one
             place = mix(print_ + (first - offsets[row]).astype(np.uint64) * K3)
@@ -234,13 +253,13 @@ def _stretch_rows(window: int, anchor: int, hot):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
             data, offsets = text_buffers(block["text"])
-            row, first, last, name = stretches(data, offsets, window, anchor)
+            row, first, last, inner, name = stretches(data, offsets, window, anchor)
             column = block["anchors"]
             owner = np.repeat(np.arange(block.num_rows), np.diff(column.offsets.to_numpy())).astype(np.uint64)
             wanted = np.unique(mix(unsigned(column.flatten()) + owner * K3))
             mine = mix(name + row.astype(np.uint64) * K3)
             hit = np.isin(mine, wanted)
-            row, first, last, name = row[hit], first[hit], last[hit], name[hit]
+            row, first, last, inner, name = row[hit], first[hit], last[hit], inner[hit], name[hit]
             part = np.zeros(len(name), np.int64)
             split = np.isin(name, hot.value)
             if split.any():
@@ -252,12 +271,12 @@ def _stretch_rows(window: int, anchor: int, hot):
                 dealt = (range_hashes(_VALUE[data], start, start + window) % np.uint64(HOT_PARTS)).astype(np.int64) + 1
                 rest = np.flatnonzero(~split)
                 row, name, part = np.concatenate([row[rest], row[own]]), np.concatenate([name[rest], name[own]]), np.concatenate([part[rest], dealt])
-                first, last = np.concatenate([first[rest], start]), np.concatenate([last[rest], start])
+                first, last, inner = np.concatenate([first[rest], start]), np.concatenate([last[rest], start]), np.concatenate([inner[rest], inner[own]])
             length = last - first + window
             bounds = np.concatenate([[0], np.cumsum(length)])
             text = data[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], length)]
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([signed(name), pa.array(part.astype(np.int32)), block["doc_id"].take(pa.array(row)), pa.array((first - offsets[row]).astype(np.int64)), binary], names=["anchor", "part", "doc_id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([signed(name), pa.array(part.astype(np.int32)), block["doc_id"].take(pa.array(row)), pa.array((first - offsets[row]).astype(np.int64)), pa.array((inner - first).astype(np.int32)), binary], names=["anchor", "part", "doc_id", "start", "inner", "bytes"])
 
     return rows
 
@@ -273,9 +292,19 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[firsts]), pa.array(start[firsts]), pa.array(start[lasts])], names=["doc_id", "first", "last"])
 
 
-def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, window start) of windows of the strings that an earlier place also holds, by their suffix array."""
-    string, place, lcp = build(data, bounds)
+def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bounds: np.ndarray, inner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, window start) of windows of the strings that an earlier place also holds, by their suffix array.
+
+    Every window begins at or before the anchor of its string, ``inner`` bytes in, and equal
+    windows have it in the same place. So only the bytes before the anchors are inserted
+    column by column, above the order of what follows from there on.
+    """
+    head = bounds[:-1] + inner
+    order, common = sorted_parts(data, head, bounds[1:])
+    length = inner.astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(length)])
+    left = data[np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], length)]
+    string, place, lcp = build(left, ends, order, common)
     whole = np.diff(bounds)[string] - place >= window
     group = np.cumsum(lcp < window)
     string, place, group = string[whole], place[whole], group[whole]
@@ -292,7 +321,7 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bound
 def _repeat_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_runs(batches, ["anchor", "part"]):
-            doc, start = table["doc_id"].to_numpy(), table["start"].to_numpy()
+            doc, start, inner = table["doc_id"].to_numpy(), table["start"].to_numpy(), table["inner"].to_numpy()
             text = table["bytes"].combine_chunks().cast(pa.large_binary())
             _, where, raw = text.buffers()
             bounds = np.frombuffer(where, np.int64)[text.offset : text.offset + len(text) + 1]
@@ -327,7 +356,7 @@ def _repeat_rows(window: int):
                 length = bounds[own + 1] - bounds[own]
                 ends = np.concatenate([[0], np.cumsum(length)])
                 piece = data[np.arange(ends[-1]) + np.repeat(bounds[own] - ends[:-1], length)]
-                found = repeated_windows(doc[own], start[own], piece, ends, window)
+                found = repeated_windows(doc[own], start[own], piece, ends, inner[own], window)
                 docs.append(found[0])
                 places.append(found[1])
                 lo = hi
@@ -390,7 +419,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     copies = known.select("doc_id", "x", F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c")).join(first, ["x", "l", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
     # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
     told = docs.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor, hot), "anchor long, part int, doc_id long, start long, bytes binary")
+    strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor, hot), "anchor long, part int, doc_id long, start long, inner int, bytes binary")
     strings = strings.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
     spans = strings.mapInArrow(_repeat_rows(window), "doc_id long, first long, last long").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return told.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy").mapInArrow(_kept_rows(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
