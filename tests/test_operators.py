@@ -126,3 +126,26 @@ def test_files_to_sessions(spark, tmp_path):
     session = normalize.project_sessions(records, messages).first()
     assert (session["title"], session["started_at"], session["ended_at"], session["project_name"], session["total_input_tokens"]) == ("hello there", "2024-01-02", "2024-01-01", "p", 6)
     assert normalize.tool_uses(messages).first()["tool_name"] == "Bash"
+
+
+def test_stems(spark):
+    from tracelake.functions.stem import stem, stemmed
+
+    known = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "hoping": "hope", "falling": "fall", "happy": "happi", "relational": "relat", "operator": "oper", "electrical": "electr", "adoption": "adopt", "rate": "rate", "controll": "control", "generalizations": "gener", "été": "été"}
+    assert {w: stem(w) for w in known} == known
+    told = stemmed(spark.createDataFrame([(1, "hopping"), (2, "hopping"), (3, "hops")], "k int, term string"))
+    assert {r["term"] for r in told.collect()} == {"hop"} and told.count() == 3
+
+
+def test_store_facade(spark, tmp_path):
+    from tracelake.store import SessionStore
+
+    store_ = SessionStore(spark, str(tmp_path / "store"))
+    rows = [("a", "project", "n1", "first", "/w/p", "2024-01-01"), ("b", "project", "n2", "second", "/w/p", "2024-01-02")]
+    columns = "id string, source string, source_id string, title string, project_path string, started_at string"
+    store_.save("sessions", spark.createDataFrame(rows, columns))
+    store_.upsert_sessions(spark.createDataFrame([("c", "project", "n1", "renamed", None, "2024-01-03")], columns))
+    assert {(r["id"], r["title"], r["project_path"]) for r in store_.table("sessions").collect()} == {("a", "renamed", "/w/p"), ("b", "second", "/w/p")}
+    store_.save("messages", spark.createDataFrame([("m", "a", 0), ("n", "b", 0)], "id string, session_id string, sequence_num int"))
+    store_.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
+    assert [r["id"] for r in store_.recent(5).collect()] == ["b"] and store_.table("messages").count() == 1

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stemmed
 
 K1, B = 1.2, 0.75
 IDF_LEAST = 1e-6
@@ -53,14 +54,18 @@ def query_phrases(queries: DataFrame, identifiers: bool = True) -> DataFrame:
     return told.select("query_id", "variant", "phrases", "phrase", F.size("terms").alias("phrase_len"), F.posexplode("terms").alias("k", "term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bool = False) -> DataFrame:
     """query_id, variant, doc, rank of every document that holds all phrases of a variant; lower ranks are better.
 
-    The document frequency of a phrase counts all documents of the corpus.
+    The document frequency of a phrase counts all documents of the corpus. With ``stem``,
+    words count by their stems.
     """
     asked = query_phrases(queries, identifiers)
     sizes = docs.select("doc", F.size(T.tokens("text")).alias("len"))
-    hits = token_rows(docs).join(asked, "term").withColumn("start", F.col("pos") - F.col("k"))
+    tokens = token_rows(docs)
+    if stem:
+        asked, tokens = stemmed(asked), stemmed(tokens)
+    hits = tokens.join(asked, "term").withColumn("start", F.col("pos") - F.col("k"))
     starts = hits.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len", "doc", "start").agg(F.count("*").alias("n")).where("n = phrase_len")
     found = starts.groupBy("query_id", "variant", "phrases", "phrase", "doc").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("query_id", "variant", "phrase").agg(F.count("*").alias("df"))

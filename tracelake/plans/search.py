@@ -140,3 +140,9 @@ def snippets(spark, sf_dir):
     asked = V.queries(spark, sf_dir)
     hits = S.bm25(docs, asked, identifiers=False).join(docs, "doc").join(asked, "query_id").withColumn("terms", T.tokens("query")).withColumnRenamed("text", "content")
     return S.snippets(hits).select("query_id", "doc", "rank", "snippet")
+
+
+@register("bm25_messages_stemmed")
+def bm25_messages_stemmed(spark, sf_dir):
+    docs = V.corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.col("content").alias("text"))
+    return S.bm25(docs, V.queries(spark, sf_dir), identifiers=False, stem=True).select("query_id", "doc", "rank")
