@@ -14,6 +14,7 @@ from .cross_polytope import near_vectors
 from .language_crf import language_id
 from .mixing import mix_rates
 from .ngram_join import ngram_join
+from .oracles import ORACLES  # noqa: F401
 from .recompression import substring_dedup
 from .sentencepiece_arrays import encode
 from .sharding import shard
@@ -78,4 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
