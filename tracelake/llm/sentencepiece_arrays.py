@@ -33,8 +33,8 @@ from .blocks import K3, blocks, lists, mix, range_hashes, text_buffers
 SPACE = 0xFF  # stands for U+2581; no UTF-8 text holds this byte
 _MARK = "▁".encode()
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * K3)
-#: Bytes of text indexed at a time: the more, the fewer of its stretches are distinct.
-BLOCK = 5 << 20
+#: Bytes of text indexed at a time; an index takes about a hundred bytes for each.
+BLOCK = 1 << 20
 
 
 def model_file() -> str:
@@ -190,7 +190,7 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = v = vocabulary
         self.memo = Memo(v)
-        self.pieces = v.order
+        self.pieces = v.order.astype(np.int32)
         texts = [v.text[i] for i in v.order]
         padded = np.zeros((len(texts), 16), np.uint8)
         for k, x in enumerate(texts):
@@ -202,7 +202,7 @@ class Coder:
         free1, free2 = np.clip(8 - lengths, 0, 8).astype(np.uint64) * np.uint64(8), np.clip(16 - lengths, 0, 8).astype(np.uint64) * np.uint64(8)
         fill = lambda free: np.where(free >= 64, ones, (np.uint64(1) << np.minimum(free, np.uint64(63))) - np.uint64(1))
         self.high1, self.high2 = self.low1 | fill(free1), self.low2 | fill(free2)
-        self.lengths = lengths
+        self.lengths = lengths.astype(np.int32)
         all_text = list(v.text)
         for value, i in enumerate(v.byte_id.tolist()):
             all_text[i] = bytes([value])
@@ -224,9 +224,9 @@ class Coder:
         if len(long):
             lo[long], hi[long] = _bounded_search(second, self.low2[long], lo[long], hi[long], False), _bounded_search(second, self.high2[long], lo[long], hi[long], True)
         count = np.maximum(hi - lo, 0)
-        piece = np.repeat(np.arange(len(count)), count)
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         ends = np.cumsum(count)
-        start = where[np.arange(len(piece)) + np.repeat(lo - (ends - count), count)]
+        start = where.astype(np.int32)[np.arange(len(piece)) + np.repeat(lo - (ends - count), count)]
         end = start + self.lengths[piece]
         inside = end <= unit_end[start]
         start, end, piece = start[inside], end[inside], piece[inside]
@@ -254,10 +254,10 @@ class Coder:
         end_of_char[begins] = char_end
         known[start[end == end_of_char[start]]] = True
         lone = np.flatnonzero(~known[begins])
-        start = np.concatenate([start, begins[lone]])
-        end = np.concatenate([end, char_end[lone]])
-        piece = np.concatenate([piece, v.size + (char_end - begins)[lone]])
-        offset = end - unit_start[start]
+        start = np.concatenate([start, begins[lone].astype(np.int32)])
+        end = np.concatenate([end, char_end[lone].astype(np.int32)])
+        piece = np.concatenate([piece, (v.size + (char_end - begins)[lone]).astype(np.int32)])
+        offset = end - unit_start.astype(np.int32)[start]
         order = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 65_536 else offset, kind="stable")
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
         head = start == unit_start[start]
@@ -271,7 +271,7 @@ class Coder:
                 # the place where a unit ends is the start of the next: only inner places are read
                 before = last[s[rest]]
                 rest, before = rest[before >= 0], before[before >= 0]
-                wins[rest] = self.memo(before, p[rest])
+                wins[rest] = self.memo(before, p[rest].astype(np.int64))
             last[end[lo:hi][wins]] = p[wins]
         # walk back from the ends of the units
         at, unit = bounds[1:][unit_size > 0], np.flatnonzero(unit_size > 0)
@@ -315,8 +315,7 @@ class Coder:
         size = np.diff(offsets)
         shift = np.cumsum(size > 0)
         data = np.full(len(raw) + int(shift[-1] if rows else 0), SPACE, np.uint8)
-        row = np.repeat(np.arange(rows), size)
-        data[np.arange(len(raw)) + shift[row]] = np.where(raw == 32, SPACE, raw)
+        data[np.arange(len(raw)) + np.repeat(shift, size)] = np.where(raw == 32, SPACE, raw)
         offsets = offsets + np.concatenate([[0], shift])
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
