@@ -318,6 +318,18 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bound
     return own_doc[later], own_at[later]
 
 
+def _string_hashes(values: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A fingerprint of each string, a block of strings at a time."""
+    out = np.empty(len(bounds) - 1, np.uint64)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BUILD_BYTES, "right")) - 1)
+        own = bounds[lo : hi + 1] - bounds[lo]
+        out[lo:hi] = range_hashes(values[data[bounds[lo] : bounds[hi]]], own[:-1], own[1:])
+        lo = hi
+    return out
+
+
 def _repeat_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_runs(batches, ["anchor", "part"]):
@@ -328,8 +340,8 @@ def _repeat_rows(window: int):
             data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]]
             bounds = bounds - bounds[0]
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            name = mix(range_hashes(_VALUE[data], bounds[:-1], bounds[1:]) + group.astype(np.uint64) * K1)
-            check = range_hashes(mix(_VALUE + K2)[data], bounds[:-1], bounds[1:])
+            name = mix(_string_hashes(_VALUE, data, bounds) + group.astype(np.uint64) * K1)
+            check = _string_hashes(mix(_VALUE + K2), data, bounds)
             order = np.lexsort((start, doc, check, name, group))
             g, k, c = group[order], name[order], check[order]
             new = np.ones(len(order), bool)
@@ -337,11 +349,8 @@ def _repeat_rows(window: int):
             head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             copy = order[(doc[order] > doc[head]) | (start[order] > start[head])]
             docs, places = [], []
-            if len(copy):
-                count = (bounds[copy + 1] - bounds[copy]) - window + 1
-                ends = np.cumsum(count)
-                docs.append(np.repeat(doc[copy], count))
-                places.append(np.repeat(start[copy] - (ends - count), count) + np.arange(ends[-1]))
+            if len(copy):  # all windows of a copy have begun earlier: one span
+                yield pa.RecordBatch.from_arrays([pa.array(doc[copy]), pa.array(start[copy]), pa.array(start[copy] + (bounds[copy + 1] - bounds[copy]) - window)], names=["doc_id", "first", "last"])
             single = order[new]
             several = np.bincount(group[single], minlength=len(starts)) > 1
             single = single[several[group[single]]]  # still in the order of the groups
