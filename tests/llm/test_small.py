@@ -54,6 +54,21 @@ def test_near_copies_leave_one(spark):
     assert kept == {i for i, (_, c) in brute.ngram_components(docs).items() if i == c}
 
 
+@pytest.mark.parametrize(("width", "part", "tile"), [(3, 90, 1024), (2, 80, 3), (2, 20, 1024), (2, 20, 3)])
+def test_ngram_links_are_all_found(spark, monkeypatch, width, part, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    docs = awkward()
+    # short sets within long ones, whose bitmaps are of very different widths
+    docs += [(100 + k, " ".join(f"v{i}" for i in range(n))) for k, n in enumerate((60, 61, 62, 250, 290, 1100))]
+    sets = {i: brute.shingles(t, width) for i, t in docs}
+    links = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= part * len(sets[i] | sets[j])}
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(frame(spark, docs), width, (part, 100)).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in x for x in links) for i in sets}
+    pairs = [(r["a"], r["b"]) for r in ngram_join.ngram_links(frame(spark, docs), width, (part, 100)).collect()]
+    kind = {i: r["class_id"] for i, r in got.items()}
+    assert sorted(pairs) == sorted({tuple(sorted((kind[i], kind[j]))) for i, j in links if kind[i] != kind[j]})
+
+
 @pytest.mark.parametrize("width", [13, 5])
 def test_word_windows(spark, width):
     docs = awkward()

@@ -4,12 +4,14 @@ Method: every set keeps a prefix of its rarest shingles, so long that two sets t
 must share a prefix shingle. Sets that share one meet in the tile of that shingle's
 smallest holder; large tiles are cut into bands of set size and blocks. In a tile, hashed
 bitmap signatures bound each overlap from above by their bit counts, and pairs that the
-bound admits are settled by intersecting the sorted arrays. A tile reports a spanning
-forest of its links, never all pairs, so a group of copies costs as many edges as members.
+bound admits are settled by intersecting the sets. Every link is found and counted in one
+tile, the smallest that both sets have in common; a tile reports a count and a label for
+each set, never all pairs, so a group of copies costs as many rows as members. The pairs
+themselves come from ``ngram_links``, one for each two linked classes of equal sets.
 
 Results by case: a null or word-less text has an empty set and links with nothing; a text
 with fewer words than the shingle width is one shingle; equal sets are one class and link;
-rows that share a doc_id are one node; a null doc_id is kept and never linked; further
+rows that share a doc_id are one node, and n_links counts rows; a null doc_id is kept and never linked; further
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -180,8 +182,8 @@ def _set_rows(width: int, wanted):
             for block in blocks([batch.filter(pa.array(hit))], "text"):
                 words = Words(block["text"], lower=True)
                 row, name, _ = shingle_sets(words, width)
-                bounds = np.searchsorted(row, np.arange(words.rows + 1))
-                yield pa.RecordBatch.from_arrays([block["doc_id"], lists(signed(name), bounds)], names=["node", "names"])
+                bounds, f1, _ = set_prints(row, name, words.rows)
+                yield pa.RecordBatch.from_arrays([block["doc_id"], signed(f1), lists(signed(name), bounds)], names=["node", "f1", "names"])
 
     return rows
 
@@ -208,13 +210,16 @@ def signatures(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, starts
 
 
-def _folded(bitmap: np.ndarray) -> np.ndarray:
-    half = bitmap.shape[-1] // 2
-    return bitmap[..., :half] | bitmap[..., half:]
+def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps at a smaller power of two of words: a bit's place is kept modulo the width."""
+    while bitmap.shape[-1] > width:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] | bitmap[..., half:]
+    return bitmap
 
 
 class Bitmaps:
-    """The bitmaps of a tile's sets; sizes of sets that may link differ by less than a factor of two."""
+    """The bitmaps of a tile's sets, each compared at the smaller width of two."""
 
     def __init__(self, size: np.ndarray, words: np.ndarray, bounds: np.ndarray):
         self.size, self.width = size, np.diff(bounds)
@@ -224,7 +229,15 @@ class Bitmaps:
             rows = np.flatnonzero(self.width == w)
             self.place[rows] = np.arange(len(rows))
             self.whole[w] = words[bounds[rows][:, None] + np.arange(w)]
-        self.half = {w: _folded(x) for w, x in self.whole.items() if w // 2 in self.whole}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def at_width(self, width: int, narrow: int) -> np.ndarray:
+        """The bitmaps of ``width`` words, folded to ``narrow`` ones."""
+        if width == narrow:
+            return self.whole[width]
+        if (width, narrow) not in self.folded:
+            self.folded[width, narrow] = _folded(self.whole[width], narrow)
+        return self.folded[width, narrow]
 
     def admitted(self, x: int, others: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
         """Of ``others``, those that sizes and bit counts do not rule out as partners of ``x``.
@@ -238,42 +251,80 @@ class Bitmaps:
         if not len(others):
             return others
         fits = []
-        for v in (w // 2, w, 2 * w):
+        for v in np.unique(self.width[others]).tolist():
             rows = others[self.width[others] == v]
-            if not len(rows):
-                continue
-            own = (self.half if v < w else self.whole)[w][self.place[x]]
-            other = (self.half if v > w else self.whole)[v][self.place[rows]]
+            own = self.at_width(w, min(v, w))[self.place[x]]
+            other = self.at_width(v, min(v, w))[self.place[rows]]
             most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[rows] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
             fits.append(rows[most * (whole + part) >= part * (size[rows] + size[x])])
         return np.concatenate(fits) if fits else others[:0]
 
 
-def tile_links(node: np.ndarray, names: np.ndarray, bounds: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of one tile; each set's names are sorted."""
+class Sharing:
+    """How many values the lists of a tile's sets have in common."""
+
+    def __init__(self, values: np.ndarray, bounds: np.ndarray):
+        kinds, ids = np.unique(values, return_inverse=True)
+        self.ids, self.bounds, self.mark = ids.astype(np.int32), bounds, np.zeros(len(kinds), bool)
+
+    def counts(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.ids[self.bounds[x] : self.bounds[x + 1]]
+        lengths = self.bounds[others + 1] - self.bounds[others]
+        ends = np.cumsum(lengths)
+        self.mark[mine] = True
+        theirs = self.mark[self.ids[np.repeat(self.bounds[others] - (ends - lengths), lengths) + np.arange(ends[-1])]]
+        self.mark[mine] = False
+        total = np.concatenate([[0], np.cumsum(theirs)])
+        return total[ends] - total[ends - lengths]
+
+
+def tile_links(names: np.ndarray, bounds: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All links among the sets of one tile, as two arrays of places in it, the smaller first."""
     part, whole = threshold
     size = np.diff(bounds)
-    bitmaps = Bitmaps(size, *signatures(names, bounds))
-    left = np.arange(len(size))
-    found: list[tuple[int, int]] = []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop(0)
-            fits = bitmaps.admitted(x, left, threshold)
-            if not len(fits):
-                continue
-            mine = names[bounds[x] : bounds[x + 1]]
-            lengths = size[fits]
-            ends = np.cumsum(lengths)
-            theirs = names[np.repeat(bounds[fits] - (ends - lengths), lengths) + np.arange(ends[-1])]
-            at = np.searchsorted(mine, theirs)
-            shared = np.add.reduceat((mine[np.minimum(at, len(mine) - 1)] == theirs).astype(np.int64), ends - lengths)
-            linked = fits[shared * (whole + part) >= part * (lengths + size[x])]
-            found += [(int(node[x]), int(node[y])) for y in linked]
-            queue += linked.tolist()
-            left = np.setdiff1d(left, linked, assume_unique=True)
-    return found
+    bitmaps, sharing = Bitmaps(size, *signatures(names, bounds)), Sharing(names, bounds)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(len(size) - 1):
+        fits = bitmaps.admitted(x, np.arange(x + 1, len(size)), threshold)
+        if len(fits):
+            linked = fits[sharing.counts(x, fits) * (whole + part) >= part * (size[fits] + size[x])]
+            first.append(np.full(len(linked), x))
+            second.append(linked)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` places that each reaches by the links a, b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def counted_here(a: np.ndarray, b: np.ndarray, tile: int, tiles: np.ndarray, bounds: np.ndarray, band: np.ndarray, block: np.ndarray, part: str) -> np.ndarray:
+    """Which of a tile's links count in it: those that no smaller tile holds and no other part of it counts.
+
+    Of a tile in bands and blocks, a link counts in the lower band of its two sets, and
+    within one block in that block's own part.
+    """
+    here = np.ones(len(a), bool)
+    if part:
+        own, low, high = (int(x) for x in part.split(":"))
+        here &= np.minimum(band[a], band[b]) == own
+        if low != high:
+            here &= block[a] != block[b]
+    if len(a):
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        smaller = [np.unique(tiles[lo:hi][tiles[lo:hi] < tile]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        sharing = Sharing(np.concatenate(smaller), np.concatenate([[0], np.cumsum([len(x) for x in smaller])]))
+        for lo, hi in zip(starts, [*starts[1:], len(a)], strict=True):
+            here[lo:hi] &= sharing.counts(int(a[lo]), b[lo:hi]) == 0
+    return here
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str):
@@ -295,71 +346,124 @@ def _candidates(threshold: tuple[int, int]):
                     fits = bitmaps.admitted(x, np.arange(x + 1, hi - lo), threshold)
                     keep[lo + fits] = True
                     keep[lo + x] |= len(fits) > 0
-            yield from table.filter(pa.array(keep)).select(["tile", "part", "node"]).combine_chunks().to_batches()
+            yield from table.filter(pa.array(keep)).select(["tile", "part", "node", "n_shingles", "f1", "band", "block"]).combine_chunks().to_batches()
 
     return rows
 
 
-def _links(threshold: tuple[int, int]):
+def _links(threshold: tuple[int, int], pairs: bool):
+    """Rows of each set of a tile (node, f1, links counted here, smallest node reached), or the pairs counted here."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds, names, tiles in _groups(batches, "names"):
-            node = table["node"].to_numpy()
-            found = [x for lo, hi in tiles if hi - lo > 1 for x in tile_links(node[lo:hi], names[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], threshold)]
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for table, bounds, names, places in _groups(batches, "names"):
+            node, print_, weight, band, block, tile = (table[c].to_numpy() for c in ("node", "f1", "weight", "band", "block", "tile"))
+            tiles = table["tiles"].combine_chunks()
+            tiles = tiles.chunk(0) if isinstance(tiles, pa.ChunkedArray) else tiles
+            tile_bounds, tile_values = tiles.offsets.to_numpy(), tiles.values.to_numpy()
+            for lo, hi in places:
+                # rows that repeat under one doc_id bring the same set again
+                again = (node[lo + 1 : hi] == node[lo : hi - 1]) & (print_[lo + 1 : hi] == print_[lo : hi - 1])
+                at = lo + np.flatnonzero(np.append(True, ~again))
+                if len(at) < 2:
+                    continue
+                own, own_bounds = _taken(names, bounds, at)
+                a, b = tile_links(own, own_bounds, threshold)
+                if not len(a):
+                    continue
+                here = counted_here(a, b, tile[lo], *_taken(tile_values, tile_bounds, at), band[at], block[at], table["part"][lo].as_py())
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at][y[here]]) for y in (a, b) for x in (node, print_)], names=["a", "a_print", "b", "b_print"])
+                    continue
+                label = least_reached(len(at), a, b)
+                links = np.zeros(len(at), np.int64)
+                np.add.at(links, a[here], weight[at][b[here]])
+                np.add.at(links, b[here], weight[at][a[here]])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(print_[at]), pa.array(links), pa.array(node[at][label])], names=["node", "f1", "links", "label"])
 
     return rows
 
 
+def _taken(values: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at the given places, as values and bounds."""
+    lengths = bounds[at + 1] - bounds[at]
+    ends = np.cumsum(lengths)
+    return values[np.repeat(bounds[at] - (ends - lengths), lengths) + np.arange(ends[-1])], np.concatenate([[0], ends])
+
+
 def tiled(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """``members`` (tile, node, n_shingles) with the ``part`` of the tile: "" or, of a large tile, band and blocks.
+    """``members`` (tile, node, n_shingles) with the ``part`` of the tile: "" or, of a large tile, band and blocks;
+    and with the set's own band and block.
 
     Two sets that may link are of the same band of sizes or of neighbouring ones, and so
     meet in the lower band; bands beyond TILE sets are hashed to blocks, which meet in pairs.
     """
     counts = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
     told = members.join(counts, "tile")
-    small = told.where(F.col("members") <= TILE).select("tile", F.lit("").alias("part"), "node", "n_shingles")
-    band = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]))
-    banded = told.where(F.col("members") > TILE).select("tile", "node", "n_shingles", F.explode(F.array(band, band - 1)).alias("band"))
+    small = told.where(F.col("members") <= TILE).select("tile", F.lit("").alias("part"), "node", "n_shingles", F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
+    # sizes at the bound are one band apart, however their logarithms are rounded
+    own = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]) + 1e-9)
+    banded = told.where(F.col("members") > TILE).select("tile", "node", "n_shingles", own.alias("own"), F.explode(F.array(own, own - 1)).alias("band"))
     per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members")).where("members > 1").select("tile", "band", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
     blocked = banded.join(per_band, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return small.unionByName(blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "n_shingles"))
+    return small.unionByName(blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "n_shingles", F.col("own").alias("band"), "block"))
 
 
-def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for each document.
-
-    Documents link when ``whole * intersection >= part * union`` of their sets of distinct
-    ``width``-word shingles (A-Z lower-cased), for ``threshold`` = (part, whole).
-    ``class_id`` is the smallest doc_id with the same set, ``component_id`` the smallest
-    doc_id reachable by links; both are the doc_id itself where there is none.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _placed(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets of the documents, classes of equal sets, the sets of each tile part in which links are sought)."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(frequencies(docs, width))
     sets = checkpointed(docs.mapInArrow(_prefix_rows(width, threshold, weights), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature array<long>"))
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
+    classes = checkpointed(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
     keyed = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("tile"), F.count("*").alias("n")).where("n > 1").select("key", "tile")
     members = checkpointed(keyed.join(shared, "key").select("tile", "node", "n_shingles").distinct())
     parts = shuffle_partitions(docs.sparkSession)
-    tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "signature"), ["node", "n_shingles"])
-    tiles = tiles.select("tile", "part", "node", "n_shingles", "signature").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
-    candidates = checkpointed(tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long"))
+    tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "f1", "signature"), ["node", "n_shingles"])
+    tiles = tiles.select("tile", "part", "node", "n_shingles", "f1", "band", "block", "signature").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
+    candidates = checkpointed(tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long, n_shingles long, f1 long, band long, block int"))
 
     wanted = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
-    names = docs.mapInArrow(_set_rows(width, wanted), "node long, names array<long>")
-    placed = candidates.join(names, "node").select("tile", "part", "node", "names").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node")
-    links = placed.mapInArrow(_links(threshold), "a long, b long")
+    names = docs.mapInArrow(_set_rows(width, wanted), "node long, f1 long, names array<long>")
+    # two sets that link are candidates in each tile that holds both, so these tiles tell which one counts the link
+    tiles_of = candidates.groupBy("node", "n_shingles").agg(F.collect_set("tile").alias("tiles"))
+    sought = candidates.join(tiles_of, ["node", "n_shingles"]).join(classes.select("node", "n_shingles", "f1", "weight"), ["node", "n_shingles", "f1"])
+    placed = sought.join(names, ["node", "f1"]).select("tile", "part", "node", "f1", "weight", "band", "block", "tiles", "names")
+    return sets, classes, placed.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node", "f1")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def ngram_links(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """a, b: the class_id of every two classes of equal sets that link, once, the smaller first.
+
+    Every document of one class links with every one of the other, and those of a class with
+    each other. Rows of one doc_id with other texts are classes of their own.
+    """
+    _, _, placed = _placed(_documents(docs), width, threshold)
+    return placed.mapInArrow(_links(threshold, True), "a long, a_print long, b long, b_print long").select("a", "b")
 
-    linked = components(links)
-    of_class = classes.select("n_shingles", "f1", "f2", F.col("node").alias("class_id"))
+
+def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links for each document.
+
+    Documents link when ``whole * intersection >= part * union`` of their sets of distinct
+    ``width``-word shingles (A-Z lower-cased), for ``threshold`` = (part, whole).
+    ``class_id`` is the smallest doc_id with the same set, ``component_id`` the smallest
+    doc_id reachable by links; both are the doc_id itself where there is none. ``n_links``
+    is the number of other rows that link with the row.
+    """
+    sets, classes, placed = _placed(_documents(docs), width, threshold)
+    told = checkpointed(placed.mapInArrow(_links(threshold, False), "node long, f1 long, links long, label long"))
+    counts = told.groupBy("node", "f1").agg(F.sum("links").alias("links"))
+    linked = components(told.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    of_class = classes.join(counts, ["node", "f1"], "left").select("n_shingles", "f1", "f2", F.col("node").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def without_near_copies(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:

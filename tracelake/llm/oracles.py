@@ -17,6 +17,12 @@ OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WO
   SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(k.class_id, d.doc_id) AS class_id FROM documents d LEFT JOIN n USING (doc_id)
   LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY print) AS class_id FROM sets) k USING (doc_id)"""
 
+#: The links of every document, by the same sets and links as above.
+OP2_LINKS = (
+    OP2[: OP2.index(",\n  ways AS")].replace("WITH RECURSIVE", "WITH")
+    + """ SELECT doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM (SELECT a AS doc_id FROM links UNION ALL SELECT b FROM links) GROUP BY doc_id) USING (doc_id)"""
+)
+
 OP5 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
   u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
   ways AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
@@ -32,4 +38,4 @@ OP7 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WO
   k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op2_ngram_jaccard_join": OP2, "op5_embedding_near_dedup": OP5, "op7_substring_dedup": OP7}
+ORACLES = {"op2_ngram_jaccard_join": OP2, "op2_ngram_jaccard_links": OP2_LINKS, "op5_embedding_near_dedup": OP5, "op7_substring_dedup": OP7}

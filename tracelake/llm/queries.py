@@ -33,6 +33,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
     "op3_mixing": op3_mixing,
     "op4_media_columns": op4_media_columns,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
