@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.graph import checkpoint_folder
 from tracelake.llm.language_crf import keep_identified
-from tracelake.llm.mixing import mixed
+from tracelake.llm.mixing import EQUAL, mixed
 from tracelake.llm.ngram_join import without_near_copies
 from tracelake.llm.recompression import without_repeats
 from tracelake.llm.sentencepiece_arrays import encode_rows
@@ -45,8 +45,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, so that languages have their target shares of tokens."""
-    return mixed(docs)
+    """Documents as often as their rates say, so that all sources have equal shares of the tokens."""
+    return mixed(docs, EQUAL, "source")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

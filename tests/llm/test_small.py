@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from tracelake.llm import bilinear_lm, column_bwt, cross_polytope, language_crf, mixing, ngram_join, recompression, sentencepiece_arrays, sharding, telephony
 
@@ -274,6 +275,22 @@ def test_mixing_meets_targets(spark):
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
 
 
+def test_mixing_moves_sources_that_share_their_words(spark):
+    pick = random.Random(8)
+    sources = ["hot"] * 240 + ["b", "c", "d"] * 40
+    docs = [(i, " ".join(pick.choices(TEXT.split(), k=30)), "en", s, 1, "n") for i, s in enumerate(sources)]
+    data = spark.createDataFrame(docs, SCHEMA)
+    report = {r["label"]: r for r in mixing.mix_report(data, mixing.EQUAL, "source").collect()}
+    assert report["hot"]["before"] == 7200 and report["b"]["before"] == 1200
+    for source in ("hot", "b", "c", "d"):
+        assert report[source]["target"] == 2700
+        assert abs(report[source]["after"] / 2700 - 1) < 0.05
+    rated = mixing.mix_rates(data, mixing.EQUAL, "source")
+    assert {r["domain"] for r in rated.collect()} <= {"hot", "b", "c", "d"}
+    out = {r["source"]: r["count"] for r in corpus_pipeline.mix(spark, data, "").groupBy("source").count().collect()}
+    assert out["hot"] < 130 and min(out[x] for x in "bcd") > 60
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for told in (ngram_join.ngram_join(empty), recompression.substring_dedup(empty), column_bwt.suffix_dedup(empty), bilinear_lm.lm_scores(empty), sentencepiece_arrays.encode(empty), telephony.media_columns(empty), sharding.shard(empty), language_crf.language_id(empty), mixing.mix_rates(empty)):

@@ -12,7 +12,7 @@ from .bilinear_lm import lm_scores
 from .column_bwt import suffix_dedup
 from .cross_polytope import near_vectors
 from .language_crf import language_id
-from .mixing import mix_rates
+from .mixing import EQUAL, mix_rates
 from .ngram_join import ngram_join
 from .oracles import ORACLES  # noqa: F401
 from .recompression import substring_dedup
@@ -38,7 +38,7 @@ def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_rates(table(spark, sf_dir, "documents"))
+    return mix_rates(table(spark, sf_dir, "documents"), EQUAL, "source")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
