@@ -149,3 +149,22 @@ def test_store_facade(spark, tmp_path):
     store_.save("messages", spark.createDataFrame([("m", "a", 0), ("n", "b", 0)], "id string, session_id string, sequence_num int"))
     store_.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
     assert [r["id"] for r in store_.recent(5).collect()] == ["b"] and store_.table("messages").count() == 1
+
+
+def test_json_values_at_any_depth(spark):
+    deep = '[{"a": {"b": [{"c": {"d": {"e": "x\\n"}, "n": 1.50}}, 7, []]}}, {"a": null, "s": "{\\"no\\":1}", "a": [true]}]'
+    far = '{"k":' * 2000 + "1" + "}" * 2000
+    rows = spark.createDataFrame([(1, deep), (2, far), (3, '{"a":1} rest'), (4, '{"a":[1,}'), (5, None), (6, "{}")], "id int, j string")
+    got = recall.json_values(rows, "j").collect()
+    want = {
+        ("/0/a", "a", '{"b":[{"c":{"d":{"e":"x\\n"},"n":1.50}},7,[]]}'),
+        ("/0/a/b", "b", '[{"c":{"d":{"e":"x\\n"},"n":1.50}},7,[]]'),
+        ("/0/a/b/0/c", "c", '{"d":{"e":"x\\n"},"n":1.50}'),
+        ("/0/a/b/0/c/d", "d", '{"e":"x\\n"}'),
+        ("/0/a/b/0/c/d/e", "e", "x\n"),
+        ("/0/a/b/0/c/n", "n", "1.50"),
+        ("/1/a", "a", "[true]"),
+        ("/1/s", "s", '{"no":1}'),
+    }
+    assert {(r["path"], r["key"], r["value"]) for r in got if r["id"] == 1} == want
+    assert sum(r["id"] == 2 for r in got) == 2000 and {r["id"] for r in got} == {1, 2}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from json import dumps
+from json.decoder import scanstring
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,16 +146,90 @@ def resume(sessions: DataFrame, resumable: dict[str, str]) -> DataFrame:
     return sessions.select("id", command.isNotNull().alias("available"), command.alias("shell_command"), F.when(command.isNull(), F.concat(F.lit("no resume command for "), "source")).alias("reason"))
 
 
-def json_values(rows: DataFrame, json: str, levels: int = 3, most: int = 24_000) -> DataFrame:
-    """``rows`` with path, key, value of every key of a JSON text, down to ``levels`` levels of objects."""
-    keep = rows.columns
-    level = rows.withColumn("_json", F.when(F.length(json) <= most, F.col(json))).withColumn("_path", F.lit(""))
-    out = None
-    for _ in range(levels):
-        pairs = level.withColumn("key", F.explode(F.json_object_keys("_json")))
-        pairs = pairs.withColumn("value", F.element_at(F.from_json("_json", "map<string,string>"), F.col("key")))
-        pairs = pairs.withColumn("path", F.concat("_path", F.lit("/"), "key"))
-        found = pairs.select(*keep, "path", "key", "value")
-        out = found if out is None else out.unionByName(found)
-        level = pairs.where(F.col("value").startswith("{")).select(*keep, F.col("value").alias("_json"), F.col("path").alias("_path"))
-    return out
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null", re.ASCII)
+
+
+def json_pairs(text: str | None) -> list[tuple[str, str, str | None]]:
+    """(path, key, value) of every key of a JSON text at any depth, also within arrays; none if it isn't JSON.
+
+    The walk keeps its own stack, so no depth is too large. Values that are strings are
+    given without quotes, objects and arrays as compact JSON. The last of repeated keys of
+    an object counts. Items of arrays are numbered from 0 in the path.
+    """
+    if text is None:
+        return []
+    rows: list[list | None] = []
+    # of each open object or array: its path, its parts (by key or number), the rows of each key, the key or number at hand
+    stack: list[tuple[str, dict, dict, list, bool]] = []
+    at, opened = _SPACE.match(text, 0).end(), True
+    try:
+        while True:
+            value = quoted = None
+            if opened and text[at] in "{[":
+                is_object = text[at] == "{"
+                path = f"{stack[-1][0]}/{stack[-1][3][0]}" if stack else ""
+                stack.append((path, {}, {}, [None, None], is_object))
+                at = _SPACE.match(text, at + 1).end()
+                closing = text[at] == "}]"[not is_object]
+            elif opened and text[at] == '"':
+                value, end = scanstring(text, at + 1, True)
+                quoted, at, closing = text[at:end], end, False
+            elif opened:
+                plain = _PLAIN.match(text, at)
+                if not plain:
+                    return []
+                quoted = plain[0]
+                value, at, closing = None if quoted == "null" else quoted, plain.end(), False
+            if opened and quoted is None and not closing:
+                first = True
+            else:
+                first = False
+                while True:
+                    if closing:
+                        path, parts, _, _, is_object = stack.pop()
+                        said = (f"{dumps(k, ensure_ascii=False)}:{v}" if is_object else v for k, v in parts.items())
+                        value = quoted = ("{%s}" if is_object else "[%s]") % ",".join(said)
+                        at += 1
+                    at = _SPACE.match(text, at).end()
+                    if not stack:
+                        return [tuple(x.encode("utf-8", "replace").decode() if x is not None else None for x in row) for row in rows if row] if at == len(text) else []
+                    path, parts, places, now, is_object = stack[-1]
+                    parts[now[0]] = quoted
+                    if is_object:
+                        rows[now[1]][2] = value
+                        places[now[0]] = (now[1], len(rows))
+                    if text[at] == ",":
+                        at = _SPACE.match(text, at + 1).end()
+                        break
+                    if text[at] != "}]"[not is_object]:
+                        return []
+                    closing = True
+            path, parts, places, now, is_object = stack[-1]
+            if is_object:
+                if text[at] != '"':
+                    return []
+                key, at = scanstring(text, at + 1, True)
+                at = _SPACE.match(text, at).end()
+                if text[at] != ":":
+                    return []
+                at = _SPACE.match(text, at + 1).end()
+                lo, hi = places.get(key, (0, 0))
+                rows[lo:hi] = [None] * (hi - lo)
+                now[:] = [key, len(rows)]
+                rows.append([f"{path}/{key}", key, None])
+            else:
+                now[0] = 0 if first else now[0] + 1
+            opened = True
+    except (IndexError, ValueError):
+        return []
+
+
+def json_values(rows: DataFrame, json: str, most: int = 24_000) -> DataFrame:
+    """``rows`` with path, key, value of every key of a JSON text of at most ``most`` characters, at any depth.
+
+    The walk goes through objects and arrays to their end; text that isn't JSON has no keys.
+    """
+    pairs = F.udf(json_pairs, "array<struct<path:string,key:string,value:string>>", useArrow=True)
+    told = rows.withColumn("_pairs", pairs(F.when(F.length(json) <= most, F.col(json))))
+    return told.withColumn("_pair", F.explode("_pairs")).select(*rows.columns, "_pair.path", "_pair.key", "_pair.value")
