@@ -161,6 +161,13 @@ def extract_commands(spark, sf_dir):
     return V.table(spark, sf_dir, "events").where("event_id % 3 <> 0").select("event_id", T.command_line(said).alias("command"))
 
 
+@register("extract_commands_all", """SELECT event_id, trim(event_type || ' ' || value) AS command FROM events""")
+def extract_commands_all(spark, sf_dir):
+    """As ``extract_commands``, of every event."""
+    said = F.concat_ws("\n", F.lit(""), "props", F.concat(F.lit("  "), "event_type", F.lit(" "), F.col("value").cast("string")), F.lit("more"))
+    return V.table(spark, sf_dir, "events").select("event_id", T.command_line(said).alias("command"))
+
+
 @register("json_key_values", """SELECT event_id, '/k' AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, '/a', 'a', '{"b":"' || event_type || '"}' FROM events UNION ALL SELECT event_id, '/a/b', 'b', event_type FROM events""")
 def json_key_values(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
