@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -148,6 +148,52 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Names that a task remembers to have sent; more would only save more rows.
+SEEN = 1 << 16
+
+
+class Seen:
+    """Names that this task has already sent on, each with the smallest document sent for it.
+
+    Rows that repeat them need not meet at the name's task any more. Of fixed size: forgetting
+    a name costs rows, never results.
+    """
+
+    def __init__(self):
+        self.names, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def least(self, names: np.ndarray) -> np.ndarray:
+        """The smallest document sent for each name; the largest int64 where there is none."""
+        out = np.full(len(names), np.iinfo(np.int64).max)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            out = np.where(self.names[at] == names, self.docs[at], out)
+        return out
+
+    def add(self, names: np.ndarray, docs: np.ndarray) -> None:
+        if not len(names):
+            return
+        if len(self.names) + len(names) > SEEN:
+            self.names, self.docs, names, docs = self.names[:0], self.docs[:0], names[:SEEN], docs[:SEEN]
+        names, docs = np.concatenate([self.names, names]), np.concatenate([self.docs, docs])
+        order = np.lexsort((docs, names))
+        names, docs = names[order], docs[order]
+        once = np.append(True, names[1:] != names[:-1])
+        self.names, self.docs = names[once], docs[once]
+
+
+_ONE = np.uint64(1)
+
+
+def marked(names: np.ndarray, decided: np.ndarray) -> np.ndarray:
+    """Names whose lowest bit says that the row is decided and need not meet others."""
+    return names & ~_ONE | decided.astype(np.uint64)
+
+
+def is_marked(names: np.ndarray) -> np.ndarray:
+    return (names & _ONE if names.dtype == np.uint64 else names & 1) == 1
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 

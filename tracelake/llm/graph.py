@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,47 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sampled(rows: DataFrame, size: int, of: int, salt: int) -> DataFrame:
+    """At most ``size`` of ``rows``, the first by a hash of doc_id and text.
+
+    ``of`` is about how many rows there are. A bound on the hash that leaves few more than
+    ``size`` rows goes first, so that only these reach the sort.
+    """
+    bound = min(1.0, (size + 6 * math.sqrt(size) + 50) / max(of, 1))
+    (h,) = spare(rows, "h")
+    told = rows.withColumn(h, F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 32))).where(F.col(h) < int(bound * (1 << 32)))
+    return told.orderBy(h, "doc_id", "text").limit(size).drop(h)
+
+
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (long) and text (string) of ``docs``, and ``more``.
+
+    A column of the right type is taken as it is: an alias that the optimizer drops in some
+    uses of the result and keeps in others would hide that their exchanges are the same.
+    """
+    types = dict(docs.dtypes)
+    own = [F.col(c) if types[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
+    return docs.select(*own, *more)
+
+
+def dealt(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``rows`` dealt out by the keys; those whose ``name`` is marked as decided go anywhere."""
+    decided = F.col(name).bitwiseAND(F.lit(1)) == 1
+    return rows.repartition(shuffle_partitions(rows.sparkSession), F.when(decided, F.xxhash64(*[c for c, t in rows.dtypes if t != "binary"])).otherwise(F.xxhash64(*keys)))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

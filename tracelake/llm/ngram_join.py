@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import K1, K2, K3, Words, blocks, lists, mix, signed, sorted_runs
-from .graph import checkpointed, components, shuffle_partitions
+from .graph import checkpointed, components, shuffle_partitions, spare
 
 WIDTH = 3
 THRESHOLD = (90, 100)
@@ -36,8 +36,8 @@ CELL_BITS = 22
 WORD_BITS = 16
 #: Bits of the filter that says which sets to fetch; of fixed size, so at worst it lets more through.
 FILTER_BITS = 24
-#: Sets in a tile, beyond which it is cut into size bands and blocks.
-TILE = 1024
+#: Sets in a tile and shingles of all its sets, beyond which it is cut into size bands and blocks.
+TILE, TILE_NAMES = 4096, 1 << 20
 
 
 def shingle_names(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def shingle_names(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     multipliers = mix(np.arange(1, width + 1, dtype=np.uint64) * K3) | np.uint64(1)
     sums = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         sums[: n - k] += words.name[k:] * multipliers[k]
     at = np.flatnonzero(words.doc[: n - width + 1] == words.doc[width - 1 :]) if n >= width else np.zeros(0, np.int64)
     few = np.flatnonzero((count > 0) & (count < width))
@@ -395,15 +395,17 @@ def tiled(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     and with the set's own band and block.
 
     Two sets that may link are of the same band of sizes or of neighbouring ones, and so
-    meet in the lower band; bands beyond TILE sets are hashed to blocks, which meet in pairs.
+    meet in the lower band; bands beyond TILE sets or TILE_NAMES shingles are hashed to
+    blocks, which meet in pairs.
     """
-    counts = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
+    share = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_NAMES)).cast("int")
+    counts = members.groupBy("tile").agg(F.count("*").alias("members"), share.alias("share")).where("members > 1").drop("members")
     told = members.join(counts, "tile")
-    small = told.where(F.col("members") <= TILE).select("tile", F.lit("").alias("part"), "node", "n_shingles", F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
+    small = told.where("share <= 1").select("tile", F.lit("").alias("part"), "node", "n_shingles", F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
     # sizes at the bound are one band apart, however their logarithms are rounded
     own = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]) + 1e-9)
-    banded = told.where(F.col("members") > TILE).select("tile", "node", "n_shingles", own.alias("own"), F.explode(F.array(own, own - 1)).alias("band"))
-    per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members")).where("members > 1").select("tile", "band", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    banded = told.where("share > 1").select("tile", "node", "n_shingles", own.alias("own"), F.explode(F.array(own, own - 1)).alias("band"))
+    per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members"), share.alias("blocks")).where("members > 1").select("tile", "band", "blocks")
     blocked = banded.join(per_band, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return small.unionByName(blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "n_shingles", F.col("own").alias("band"), "block"))
@@ -468,5 +470,6 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
 
 def without_near_copies(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """``docs`` with one document of each component of links, the one with the smallest doc_id; all columns stay."""
-    gone = ngram_join(docs, width, threshold).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    (own,) = spare(docs, "gone")
+    gone = ngram_join(docs, width, threshold).where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[own], "left_anti")
