@@ -8,12 +8,12 @@ inside a chain. Forward-backward gives every word the posterior of each language
 document's prediction is the language with the largest mean posterior over its words.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_BYTES``
-each, the first by a hash of doc_id. Prediction reads whole texts, as chains of
+each, the first by a hash of doc_id and text. Prediction reads whole texts, as chains of
 ``CHAIN`` words.
 
 Results by case: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the language that sorts first; repeated rows each get a row; a null doc_id counts as held
-in; further columns are ignored; with no labelled row at all every text is ``und``; an
+in; further columns are ignored; with no labelled row or no column ``lang`` every text is ``und``; an
 empty table gives an empty result.
 """
 
@@ -28,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import K1, K2, K3, K4, blocks, mix, range_hashes, text_buffers
+from .graph import sampled
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16_384
 CHAIN = 64
 TABLE_BITS = 17
+#: Distinct words of a block whose features are in memory together.
+WORDS_AT_ONCE = 8192
 LEXICON = 4000
 UNDETERMINED = "und"
 
@@ -232,47 +235,62 @@ def train(texts: list[str], labels: list[str], rounds: int = 160, chains: int =
     return field
 
 
+def predicted(field: Crf, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text of a block."""
+    langs = len(field.langs)
+    letters = Letters(texts)
+    mean = np.zeros((letters.rows, max(langs, 1)))
+    count = np.diff(letters.bounds)
+    if langs and len(letters.start):
+        names, first, back = np.unique(letters.name, return_index=True, return_inverse=True)
+        score = np.empty((len(names), langs), np.float32)
+        for lo in range(0, len(names), WORDS_AT_ONCE):
+            own = first[lo : lo + WORDS_AT_ONCE]
+            score[lo : lo + WORDS_AT_ONCE] = field.emissions(letters.data, letters.start[own], letters.end[own], names[lo : lo + WORDS_AT_ONCE])
+        chains = -(-count // CHAIN)
+        chain_first = np.concatenate([[0], np.cumsum(chains)])
+        place = np.arange(len(back)) - letters.bounds[letters.row]
+        chain = chain_first[letters.row] + place // CHAIN
+        length = np.bincount(chain, minlength=chain_first[-1])
+        # chains of like length together: padding stays small
+        order = np.argsort(length, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(length)])
+        for lo in range(0, len(order), 2048):
+            own = order[lo : lo + 2048]
+            places = int(length[own].max())
+            grid = starts[own][:, None] + np.minimum(np.arange(places)[None], length[own][:, None] - 1)
+            gamma = posteriors(score[back[grid]], length[own], field.transitions)
+            gamma = gamma * (np.arange(places)[None] < length[own][:, None])[:, :, None]
+            sums = gamma.sum(axis=1, dtype=np.float64)
+            doc = letters.row[starts[own]]
+            for k in range(langs):
+                mean[:, k] += np.bincount(doc, weights=sums[:, k], minlength=letters.rows)
+    lang, sure = [], np.zeros(letters.rows)
+    best = mean.argmax(axis=1)
+    latin = np.bincount(letters.row[letters.data[letters.start] < 128], minlength=letters.rows) > 0
+    for r in range(letters.rows):
+        if not langs or not count[r] or not latin[r] and not _has_letter(texts[r].as_py()):
+            lang.append(UNDETERMINED)
+        else:
+            lang.append(field.langs[best[r]])
+            sure[r] = min(1.0, mean[r, best[r]] / count[r])
+    return lang, sure
+
+
 def _predict(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field: Crf = model.value
-        langs = len(field.langs)
         for block in blocks(batches, "text"):
-            letters = Letters(block["text"])
-            texts = block["text"]
-            mean = np.zeros((letters.rows, max(langs, 1)))
-            count = np.diff(letters.bounds)
-            if langs and len(letters.start):
-                names, first, back = np.unique(letters.name, return_index=True, return_inverse=True)
-                score = field.emissions(letters.data, letters.start[first], letters.end[first], names).astype(np.float32)
-                chains = -(-count // CHAIN)
-                chain_first = np.concatenate([[0], np.cumsum(chains)])
-                place = np.arange(len(back)) - letters.bounds[letters.row]
-                chain = chain_first[letters.row] + place // CHAIN
-                length = np.bincount(chain, minlength=chain_first[-1])
-                # chains of like length together: padding stays small
-                order = np.argsort(length, kind="stable")
-                starts = np.concatenate([[0], np.cumsum(length)])
-                for lo in range(0, len(order), 2048):
-                    own = order[lo : lo + 2048]
-                    places = int(length[own].max())
-                    grid = starts[own][:, None] + np.minimum(np.arange(places)[None], length[own][:, None] - 1)
-                    gamma = posteriors(score[back[grid]], length[own], field.transitions)
-                    gamma = gamma * (np.arange(places)[None] < length[own][:, None])[:, :, None]
-                    sums = gamma.sum(axis=1, dtype=np.float64)
-                    doc = letters.row[starts[own]]
-                    for k in range(langs):
-                        mean[:, k] += np.bincount(doc, weights=sums[:, k], minlength=letters.rows)
-            lang, sure = [], np.zeros(letters.rows)
-            best = mean.argmax(axis=1)
-            latin = np.bincount(letters.row[letters.data[letters.start] < 128], minlength=letters.rows) > 0
-            for r in range(letters.rows):
-                if not langs or not count[r] or not latin[r] and not _has_letter(texts[r].as_py()):
-                    lang.append(UNDETERMINED)
-                else:
-                    lang.append(field.langs[best[r]])
-                    sure[r] = min(1.0, mean[r, best[r]] / count[r])
-            columns = {name: block[name] for name in block.schema.names if name != "text"}
-            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(sure, pa.float64())})
+            lang, sure = predicted(model.value, block["text"])
+            yield pa.RecordBatch.from_pydict({"doc_id": block["doc_id"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(sure)})
+
+    return rows
+
+
+def _identified(model, least: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            lang, sure = predicted(model.value, block["text"])
+            yield block.filter(pa.array((np.array(lang, object) != UNDETERMINED) & (sure >= least)))
 
     return rows
 
@@ -292,9 +310,12 @@ def held_out(folds: int = 3, fold: int = 1) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Crf:
-    """The field, fitted on at most ``rows`` labelled rows that are not held out."""
-    told = docs.where(~held_out()).where("lang is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
-    told = told.select("text", "lang", F.xxhash64(F.col("doc_id"), F.lit(8)).alias("h"), "doc_id").orderBy("h", "doc_id", F.xxhash64("text")).limit(rows).toArrow()
+    """The field, fitted on at most ``rows`` labelled rows that are not held out; without a column ``lang``, on none."""
+    if "lang" not in docs.columns:
+        return train([], [])
+    told = docs.where(~held_out()).where("lang is not null")
+    short = told.where("text is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "lang")
+    told = sampled(short, rows, told.count(), 8).toArrow()
     return train(told["text"].to_pylist(), told["lang"].to_pylist())
 
 
@@ -319,9 +340,4 @@ def labelled_words(model: Crf, text: str) -> list[tuple[str, str]]:
 def keep_identified(docs: DataFrame, least: float = 0.4, model: Crf | None = None) -> DataFrame:
     """``docs`` without those whose language is undetermined or scores under ``least``; all columns stay."""
     fitted = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    names = docs.columns
-    packed = docs.select("text", F.struct(*names).alias("row"))
-    types = dict(docs.dtypes)
-    row = ", ".join(f"`{c}`: {types[c]}" for c in names)
-    said = packed.mapInArrow(_predict(fitted), f"row struct<{row}>, lang_pred string, score double")
-    return said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    return docs.mapInArrow(_identified(fitted, least), docs.schema)
