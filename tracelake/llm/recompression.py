@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .blocks import K1, K2, K3, K4, Words, blocks, lists, mix, range_hashes, signed, unsigned
-from .graph import shuffle_partitions
+from .blocks import K1, K2, K3, K4, Seen, Words, blocks, is_marked, marked, mix, range_hashes, signed, unsigned
+from .graph import dealt, shuffle_partitions, texts_of
 
 WINDOW = 13
 #: Rounds at least; wider windows take more, until about two symbols of the core are left.
@@ -125,17 +127,29 @@ class WindowNames:
 
 
 def _anchor_rows(width: int):
+    """(anchor, doc_id), once a document; of an anchor that a block has in several documents, only the smallest
+    and the largest have to meet others, the rest are decided and marked."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        seen = Seen()
+        for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False))) for b in batches), "text"):
             words = Words(block["text"])
             windows = WindowNames(words.doc, words.name, width)
-            row, anchor = words.doc[windows.at], windows.anchor
-            order = np.lexsort((anchor, row))
-            row, anchor = row[order], anchor[order]
-            once = np.ones(len(row), bool)
-            once[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-            ids = block["doc_id"].to_numpy(zero_copy_only=False)[row[once]]
-            yield pa.RecordBatch.from_arrays([signed(anchor[once]), pa.array(ids, pa.int64())], names=["anchor", "doc_id"])
+            doc, anchor = block["doc_id"].to_numpy()[words.doc[windows.at]], marked(windows.anchor, np.zeros(1, bool))
+            order = np.lexsort((doc, anchor))
+            doc, anchor = doc[order], anchor[order]
+            new = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
+            once = new.copy()
+            once[1:] |= doc[1:] != doc[:-1]
+            doc, anchor, new = doc[once], anchor[once], new[once]
+            if not len(doc):
+                continue
+            last = np.append(new[1:], True)
+            decided = ~(new | last) | (seen.least(anchor) < np.iinfo(np.int64).max)
+            several = new & ~last
+            seen.add(anchor[several], doc[several])
+            by_doc = np.argsort(doc, kind="stable")  # packs better
+            yield pa.RecordBatch.from_arrays([signed(marked(anchor, decided)[by_doc]), pa.array(doc[by_doc])], names=["anchor", "doc_id"])
 
     return rows
 
@@ -143,13 +157,18 @@ def _anchor_rows(width: int):
 def _shared(key_columns: list[str], out: list[str], later_only: bool):
     """Of rows sorted by the keys and doc_id: those of groups that more than one document has.
 
-    Works on a stream with one row held back, so a group may be of any size.
+    Rows that are marked as decided pass. Works on a stream with one row held back, so a group
+    may be of any size.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None  # keys, first doc_id, whether the group's first rows are out
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            decided = is_marked(batch[key_columns[0]].to_numpy())
+            if decided.any():
+                yield batch.filter(pa.array(decided)).select(out)
+                batch = batch.filter(pa.array(~decided))
             n = batch.num_rows
             if not n:
                 continue
@@ -189,7 +208,11 @@ def _shared(key_columns: list[str], out: list[str], later_only: bool):
 
 
 def _window_rows(width: int):
+    """(name, verify, doc_id, pos) of windows with a shared anchor; where an earlier document of the task holds
+    the window too, that is decided here and marked."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
             words = Words(block["text"])
             windows = WindowNames(words.doc, words.name, width)
@@ -197,13 +220,25 @@ def _window_rows(width: int):
             owner = np.repeat(np.arange(block.num_rows), np.diff(column.offsets.to_numpy()))
             wanted = np.unique(_fold(unsigned(column.flatten()), owner.astype(np.uint64)))
             row = words.doc[windows.at]
-            mine = _fold(windows.anchor, row.astype(np.uint64))
+            mine = _fold(marked(windows.anchor, np.zeros(1, bool)), row.astype(np.uint64))
             at = np.searchsorted(wanted, mine)
             hit = (wanted[np.minimum(at, len(wanted) - 1)] == mine) if len(wanted) else np.zeros(len(mine), bool)
             where = windows.at[hit]
-            check = range_hashes(mix(words.name * K3 + K1), where, where + width)
-            ids = block["doc_id"].to_numpy(zero_copy_only=False)[row[hit]]
-            yield pa.RecordBatch.from_arrays([signed(windows.name[hit]), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids, pa.int64()), pa.array((where - words.bounds[row[hit]]).astype(np.int32))], names=["name", "verify", "doc_id", "pos"])
+            if not len(where):
+                continue
+            check = range_hashes(mix(words.name * K3 + K1), where, where + width) >> np.uint64(32)
+            name, doc = windows.name[hit], block["doc_id"].to_numpy()[row[hit]]
+            both = _fold(name, check)
+            order = np.argsort(both)
+            starts = np.flatnonzero(np.append(True, both[order[1:]] != both[order[:-1]]))
+            kinds, size = both[order[starts]], np.diff(np.append(starts, len(order)))
+            least, before = np.minimum.reduceat(doc[order], starts), seen.least(kinds)
+            decided = np.empty(len(doc), bool)
+            decided[order] = doc[order] > np.repeat(np.minimum(least, before), size)
+            several = (size > 1) | (before < np.iinfo(np.int64).max)
+            seen.add(kinds[several], least[several])
+            name, check = np.where(decided, np.uint64(1), marked(name, decided)), np.where(decided, 0, check).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([signed(name), pa.array(check.view(np.int32)), pa.array(doc), pa.array((where - words.bounds[row[hit]]).astype(np.int32))], names=["name", "verify", "doc_id", "pos"])
 
     return rows
 
@@ -217,62 +252,78 @@ def covered(count: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _kept_rows(width: int, texts_too: bool):
+def _kept_words(block: pa.RecordBatch, words: Words, width: int) -> Iterator[np.ndarray]:
+    """For each row of a block, the places of the words that stay."""
+    copy = block["copy"].to_pylist()
+    column = block["starts"].fill_null([])
+    bounds, starts = column.offsets.to_numpy(), column.flatten().to_numpy()
+    bounds = bounds - bounds[0]
+    for r in range(words.rows):
+        lo, hi = words.bounds[r], words.bounds[r + 1]
+        if copy[r] and hi - lo >= width:
+            yield lo + np.zeros(0, np.int64)
+        elif bounds[r] < bounds[r + 1]:
+            yield lo + np.flatnonzero(~covered(hi - lo, starts[bounds[r] : bounds[r + 1]], width))
+        else:
+            yield np.arange(lo, hi)
+
+
+def _digest_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             words = Words(block["text"])
-            data = words.data.tobytes()
+            data, start, end = words.data.tobytes(), words.start.tolist(), words.end.tolist()
+            left, digests = [], []
+            for kept in _kept_words(block, words, width):
+                left.append(len(kept))
+                digests.append(hashlib.sha256(b" ".join([data[start[k] : end[k]] for k in kept.tolist()])).hexdigest())
             count = np.diff(words.bounds)
-            copy = block["copy"].to_pylist()
-            column = block["starts"].fill_null([])
-            bounds, starts = column.offsets.to_numpy(), column.flatten().to_numpy()
-            bounds = bounds - bounds[0]
-            removed, digests, kept_texts = [], [], []
-            for r in range(words.rows):
-                lo, hi = words.bounds[r], words.bounds[r + 1]
-                if copy[r] and hi - lo >= width:
-                    gone = np.ones(hi - lo, bool)
-                elif bounds[r] < bounds[r + 1]:
-                    gone = covered(hi - lo, starts[bounds[r] : bounds[r + 1]], width)
-                else:
-                    gone = np.zeros(hi - lo, bool)
-                kept = lo + np.flatnonzero(~gone)
-                text = b" ".join([data[a:b] for a, b in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)])
-                removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(text).hexdigest())
-                if texts_too:
+            yield pa.RecordBatch.from_pydict({"doc_id": block["doc_id"], "n_words": pa.array(count), "n_removed": pa.array(count - np.array(left, np.int64)), "kept_sha256": pa.array(digests, pa.string())})
+
+    return rows
+
+
+def _text_rows(width: int):
+    """``row`` and ``text`` of each row, the text cut where it loses words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            words = Words(block["text"])
+            data, changed, cut = words.data.tobytes(), np.zeros(words.rows, bool), [None] * words.rows
+            for r, kept in enumerate(_kept_words(block, words, width)):
+                changed[r] = len(kept) < words.bounds[r + 1] - words.bounds[r]
+                if changed[r]:
                     # words that stay together keep what stood between them
                     breaks = np.flatnonzero(np.diff(kept) > 1)
                     firsts, lasts = kept[np.append(0, breaks + 1)] if len(kept) else kept, kept[np.append(breaks, len(kept) - 1)] if len(kept) else kept
-                    kept_texts.append("\n".join(data[a:b].decode() for a, b in zip(words.start[firsts].tolist(), words.end[lasts].tolist(), strict=True)))
-            columns = {"row_id": block["row_id"], "n_words": pa.array(count), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-            if texts_too:
-                columns["kept_text"] = pa.array(kept_texts, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+                    cut[r] = "\n".join(data[a:b].decode() for a, b in zip(words.start[firsts].tolist(), words.end[lasts].tolist(), strict=True))
+            yield pa.RecordBatch.from_pydict({"row": block["row"], "text": pc.if_else(pa.array(changed), pa.array(cut, pa.string()), block["text"])})
 
     return rows
 
 
-def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, text, starts, copy) of ``docs``: where windows of an earlier document begin.
+def removals(docs: DataFrame, width: int = WINDOW, *more: Column) -> DataFrame:
+    """(doc_id, text, starts, copy) of ``docs``, and ``more``: where windows of an earlier document begin.
 
     ``copy`` is true where an earlier document has the same text, which settles all its windows.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null and text is not null")
-    anchors = known.mapInArrow(_anchor_rows(width), "anchor long, doc_id long").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
-    shared = anchors.mapInArrow(_shared(["anchor"], ["anchor", "doc_id"], False), "anchor long, doc_id long")
-    wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    prints = known.select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l"))
+    docs = texts_of(docs, *more)
+    known = docs.where("doc_id is not null")
+    prints = known.where("text is not null").select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l"))
     first = prints.groupBy("x", "c", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "c", "l", "first")
     copies = prints.join(first, ["x", "c", "l"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("x").alias("prints"))
-    # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
-    told = docs.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("prints", F.xxhash64("text")), F.lit(False))).drop("prints")
+    # the texts are dealt out by doc_id once: all uses of ``told`` read the same exchange
+    told = known.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("prints", F.xxhash64("text")), F.lit(False))).drop("prints")
+    anchors = dealt(told.mapInArrow(_anchor_rows(width), "anchor long, doc_id long"), "anchor", "anchor").sortWithinPartitions("anchor", "doc_id")
+    shared = anchors.mapInArrow(_shared(["anchor"], ["anchor", "doc_id"], False), "anchor long, doc_id long")
+    wanted = shared.groupBy("doc_id").agg(F.collect_set(F.col("anchor").bitwiseAND(F.lit(-2))).alias("anchors"))
     windows = told.join(wanted, "doc_id", "left").mapInArrow(_window_rows(width), "name long, verify int, doc_id long, pos int")
-    windows = windows.repartition(parts, "name").sortWithinPartitions("name", "verify", "doc_id")
+    windows = dealt(windows, "name", "name").sortWithinPartitions("name", "verify", "doc_id")
     hits = windows.mapInArrow(_shared(["name", "verify"], ["doc_id", "pos"], True), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    return told.join(hits, "doc_id", "left").select("doc_id", "text", "starts", "copy")
+    told = told.join(hits, "doc_id", "left")
+    without_id = docs.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(False)})
+    return told.unionByName(without_id)
 
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -282,8 +333,7 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     doc_id are removed; windows are judged on the input. ``kept_sha256`` is of the kept
     words joined by one space.
     """
-    told = removals(docs, width).select(F.col("doc_id").alias("row_id"), "text", "starts", "copy")
-    return told.mapInArrow(_kept_rows(width, False), "row_id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("row_id", "doc_id")
+    return removals(docs, width).mapInArrow(_digest_rows(width), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -291,8 +341,6 @@ def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     All columns and rows are kept; what is left of a text is joined by line feeds.
     """
-    told = removals(docs, width).select(F.struct("doc_id", F.xxhash64("text").alias("x"), F.octet_length("text").alias("l")).alias("row_id"), "text", "starts", "copy")
-    changed = told.where("copy or starts is not null").mapInArrow(_kept_rows(width, True), "row_id struct<doc_id:long,x:long,l:int>, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    changed = changed.where("n_removed > 0").select(F.col("row_id.doc_id").alias("_id"), F.col("row_id.x").alias("_x"), F.col("row_id.l").alias("_l"), "kept_text").dropDuplicates(["_id", "_x", "_l"])
-    joined = docs.join(changed, (docs["doc_id"] == changed["_id"]) & (F.xxhash64(docs["text"]) == changed["_x"]) & (F.octet_length(docs["text"]) == changed["_l"]), "left")
-    return joined.select(*[F.coalesce("kept_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    told = removals(docs, width, F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    cut = told.mapInArrow(_text_rows(width), StructType([StructField("row", told.schema["row"].dataType), StructField("text", StringType())]))
+    return cut.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
