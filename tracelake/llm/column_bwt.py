@@ -11,7 +11,7 @@ So that many tasks can build at once, windows are dealt out by content: a window
 its ``ANCHOR``-byte substring with the smallest hash, equal windows have equal anchors, and
 neighbouring windows with one anchor form a stretch, which is one string. Only stretches
 whose anchor occurs in two different places of the corpus are built; stretches that are
-equal throughout are one string. Groups of equal windows are then the runs of suffixes
+equal throughout are one string, settled in the task that reads them where it can be. Groups of equal windows are then the runs of suffixes
 whose common prefix is at least the window, and all but the earliest are removed. An
 anchor of very many stretches is dealt out further, window by window, by content.
 
@@ -34,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import K1, K2, K3, blocks, mix, range_hashes, signed, sorted_runs, text_buffers, unsigned
-from .graph import checkpointed, shuffle_partitions
+from .blocks import K1, K2, K3, Seen, blocks, is_marked, marked, mix, range_hashes, signed, sorted_runs, text_buffers, unsigned
+from .graph import checkpointed, dealt, shuffle_partitions, texts_of
 
 WINDOW = 100
 ANCHOR = 32
 #: Bytes of strings that are built at a time.
 BUILD_BYTES = 1 << 20
-#: An anchor with more stretches than this, and than this share of all, is dealt out by window.
-HOT, HOT_SHARE, HOT_PARTS = 100_000, 1e-4, 1024
+#: An anchor of more stretches than this is dealt out by window, to one part more for each HOT_ROWS of them.
+HOT, HOT_ROWS = 20_000, 500
+#: Rows up to which the table of such anchors may be broadcast.
+FEW = 100_000
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * K3 + K1)
 
@@ -205,24 +207,43 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -
 
 
 def _anchor_rows(window: int, anchor: int):
+    """(anchor, place, doc_id); equal texts have their stretches in the same places, which only the first of a
+    block needs, as the others are settled as copies. Of an anchor that a block has in several places, only
+    the smallest and the largest have to meet others, the rest are decided and marked."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for block in blocks(batches, "text"):
             data, offsets = text_buffers(block["text"])
             row, first, _, _, name = stretches(data, offsets, window, anchor)
-            print_ = unsigned(block["x"])[row]
-            # equal texts have their stretches in the same places, and are one
-            place = mix(print_ + (first - offsets[row]).astype(np.uint64) * K3)
-            yield pa.RecordBatch.from_arrays([signed(name), signed(place), block["doc_id"].take(pa.array(row))], names=["anchor", "place", "doc_id"])
+            if not len(row):
+                continue
+            doc, name = block["doc_id"].to_numpy()[row], marked(name, np.zeros(1, bool))
+            place = mix(unsigned(block["x"])[row] * K1 + (first - offsets[row]).astype(np.uint64) * K3)
+            order = np.lexsort((doc, place, name))
+            once = np.append(True, (name[order[1:]] != name[order[:-1]]) | (place[order[1:]] != place[order[:-1]]))
+            name, place, doc = name[order[once]], place[order[once]], doc[order[once]]
+            new = np.append(True, name[1:] != name[:-1])
+            last = np.append(new[1:], True)
+            decided = ~(new | last) | (seen.least(name) < np.iinfo(np.int64).max)
+            several = new & ~last
+            seen.add(name[several], doc[several])
+            by_doc = np.argsort(doc, kind="stable")  # packs better
+            yield pa.RecordBatch.from_arrays([signed(marked(name, decided)[by_doc]), signed(place[by_doc]), pa.array(doc[by_doc])], names=["anchor", "place", "doc_id"])
 
     return rows
 
 
 def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and place: those whose anchor has two places. One group's first rows may wait."""
+    """Of rows sorted by anchor and place: those decided before, and those whose anchor has two places. One group's first rows may wait."""
     key = first = None
     shared = False
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        decided = is_marked(batch["anchor"].to_numpy())
+        if decided.any():
+            yield batch.filter(pa.array(decided)).select(["anchor", "doc_id"])
+            batch = batch.filter(pa.array(~decided))
         if not batch.num_rows:
             continue
         anchor, place = batch["anchor"].to_numpy(), batch["place"].to_numpy()
@@ -249,38 +270,106 @@ def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, shared = anchor[-1], firsts[-1], bool(is_shared[-1])
 
 
-def _stretch_rows(window: int, anchor: int, hot):
+STRINGS = "anchor long, part int, print long, verify int, doc_id long, start long, inner int, bytes binary"
+
+
+def _stretch_rows(window: int, anchor: int):
+    """The stretches whose anchor is shared, as strings; those of a hot anchor window by window.
+
+    A string that stands earlier in the same block is decided: it comes marked, without bytes,
+    with the number of its further windows as ``inner``.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
             data, offsets = text_buffers(block["text"])
             row, first, last, inner, name = stretches(data, offsets, window, anchor)
             column = block["anchors"]
             owner = np.repeat(np.arange(block.num_rows), np.diff(column.offsets.to_numpy())).astype(np.uint64)
-            wanted = np.unique(mix(unsigned(column.flatten()) + owner * K3))
+            told = column.flatten()
+            wanted, at = np.unique(mix(unsigned(told.field("anchor")) + owner * K3), return_index=True)
+            parts = told.field("parts").to_numpy()[at]
+            if not len(wanted) or not len(row):
+                continue
+            name = marked(name, np.zeros(1, bool))
             mine = mix(name + row.astype(np.uint64) * K3)
-            hit = np.isin(mine, wanted)
-            row, first, last, inner, name = row[hit], first[hit], last[hit], inner[hit], name[hit]
+            at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+            hit = wanted[at] == mine
+            row, first, last, inner, name, parts = row[hit], first[hit], last[hit], inner[hit], name[hit], parts[at[hit]]
+            value, other = _VALUE[data], mix(_VALUE + K2)[data]
+            doc, start = block["doc_id"].to_numpy()[row], first - offsets[row]
+
+            def named(first, last, doc, start):
+                """(print, verify, whether it stands earlier in the block) of each string."""
+                print_, check = (range_hashes(v, first, last + window) for v in (value, other))
+                order = np.lexsort((start, doc, print_))
+                new = np.append(True, print_[order[1:]] != print_[order[:-1]])[: len(order)]
+                head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+                early = np.zeros(len(order), bool)
+                early[order] = (check[order] == check[head]) & ((doc[order] != doc[head]) | (start[order] != start[head]))
+                return print_, check >> np.uint64(32), early
+
+            print_, check, early = named(first, last, doc, start)
+            split = ~early & (parts > 0)
             part = np.zeros(len(name), np.int64)
-            split = np.isin(name, hot.value)
             if split.any():
                 count = (last - first + 1)[split]
                 ends = np.cumsum(count)
                 each = np.arange(ends[-1]) - np.repeat(ends - count, count)
-                own = np.repeat(np.flatnonzero(split), count)
-                start = first[own] + each
-                dealt = (range_hashes(_VALUE[data], start, start + window) % np.uint64(HOT_PARTS)).astype(np.int64) + 1
-                rest = np.flatnonzero(~split)
-                row, name, part = np.concatenate([row[rest], row[own]]), np.concatenate([name[rest], name[own]]), np.concatenate([part[rest], dealt])
-                first, last, inner = np.concatenate([first[rest], start]), np.concatenate([last[rest], start]), np.concatenate([inner[rest], inner[own]])
-            length = last - first + window
+                own, rest = np.repeat(np.flatnonzero(split), count), np.flatnonzero(~split)
+                at, own_doc, own_start = first[own] + each, doc[own], start[own] + each
+                own_print, own_check, own_early = named(at, at, own_doc, own_start)
+                own_part = (own_print % parts[own].astype(np.uint64)).astype(np.int64) + 1
+                inner = np.concatenate([inner[rest], inner[own]])
+                name, part = np.concatenate([name[rest], name[own]]), np.concatenate([part[rest], own_part])
+                first, last, doc, start = np.concatenate([first[rest], at]), np.concatenate([last[rest], at]), np.concatenate([doc[rest], own_doc]), np.concatenate([start[rest], own_start])
+                print_, check, early = np.concatenate([print_[rest], own_print]), np.concatenate([check[rest], own_check]), np.concatenate([early[rest], own_early])
+            length = np.where(early, 0, last - first + window)
             bounds = np.concatenate([[0], np.cumsum(length)])
             text = data[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], length)]
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([signed(name), pa.array(part.astype(np.int32)), block["doc_id"].take(pa.array(row)), pa.array((first - offsets[row]).astype(np.int64)), pa.array((inner - first).astype(np.int32)), binary], names=["anchor", "part", "doc_id", "start", "inner", "bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [signed(np.where(early, np.uint64(0), name)), pa.array(np.where(early, 0, part).astype(np.int32)), signed(np.where(early, np.uint64(1), marked(print_, early))), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(start), pa.array(np.where(early, last, inner).astype(np.int64) - first, pa.int32()), binary],
+                names=["anchor", "part", "print", "verify", "doc_id", "start", "inner", "bytes"],
+            )
 
     return rows
 
 
+def _firsts(batches: Iterator[pa.RecordBatch], window: int, spans: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted strings, the first of equal ones; all windows of the others have begun earlier: one span each, put in ``spans``."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        decided = is_marked(batch["print"].to_numpy())
+        doc, start = batch["doc_id"].to_numpy(), batch["start"].to_numpy()
+        if decided.any():
+            spans.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[decided], start[decided], (start + batch["inner"].to_numpy())[decided])], names=["doc_id", "first", "last"]))
+            batch = batch.filter(pa.array(~decided))
+            doc, start = batch["doc_id"].to_numpy(), batch["start"].to_numpy()
+        if not batch.num_rows:
+            continue
+        keys = [batch[c].to_numpy() for c in ("anchor", "part", "print", "verify")]
+        new = np.zeros(len(doc), bool)
+        new[0] = before is None or any(k[0] != x for k, x in zip(keys, before, strict=True))
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        heads = np.flatnonzero(new)
+        group = np.cumsum(new)
+        place = (doc, start)
+        at = [np.concatenate([[0 if before is None else x], p[heads]])[group] for p, x in zip(place, (0, 0) if before is None else first, strict=True)]
+        # rows that repeat under one doc_id are the same place
+        copy = (doc != at[0]) | (start != at[1])
+        before, first = tuple(k[-1] for k in keys), (at[0][-1], at[1][-1])
+        if copy.any():
+            bounds = batch["bytes"].cast(pa.large_binary())
+            length = np.diff(np.frombuffer(bounds.buffers()[1], np.int64)[bounds.offset : bounds.offset + len(bounds) + 1])
+            spans.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[copy], start[copy], (start + length - window)[copy])], names=["doc_id", "first", "last"]))
+        if heads.size:
+            yield batch.take(pa.array(heads))
+
+
 def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """(doc_id, first, last) of neighbouring window starts."""
     order = np.lexsort((start, doc))
@@ -318,43 +407,23 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bound
     return own_doc[later], own_at[later]
 
 
-def _string_hashes(values: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A fingerprint of each string, a block of strings at a time."""
-    out = np.empty(len(bounds) - 1, np.uint64)
-    lo = 0
-    while lo < len(out):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BUILD_BYTES, "right")) - 1)
-        own = bounds[lo : hi + 1] - bounds[lo]
-        out[lo:hi] = range_hashes(values[data[bounds[lo] : bounds[hi]]], own[:-1], own[1:])
-        lo = hi
-    return out
-
-
 def _repeat_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in sorted_runs(batches, ["anchor", "part"]):
+        spans: list[pa.RecordBatch] = []
+        for table, starts in sorted_runs(_firsts(batches, window, spans), ["anchor", "part"]):
+            yield from spans
+            spans.clear()
             doc, start, inner = table["doc_id"].to_numpy(), table["start"].to_numpy(), table["inner"].to_numpy()
             text = table["bytes"].combine_chunks().cast(pa.large_binary())
             _, where, raw = text.buffers()
             bounds = np.frombuffer(where, np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]]
             bounds = bounds - bounds[0]
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            name = mix(_string_hashes(_VALUE, data, bounds) + group.astype(np.uint64) * K1)
-            check = _string_hashes(mix(_VALUE + K2), data, bounds)
-            order = np.lexsort((start, doc, check, name, group))
-            g, k, c = group[order], name[order], check[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            copy = order[(doc[order] > doc[head]) | (start[order] > start[head])]
-            docs, places = [], []
-            if len(copy):  # all windows of a copy have begun earlier: one span
-                yield pa.RecordBatch.from_arrays([pa.array(doc[copy]), pa.array(start[copy]), pa.array(start[copy] + (bounds[copy + 1] - bounds[copy]) - window)], names=["doc_id", "first", "last"])
-            single = order[new]
-            several = np.bincount(group[single], minlength=len(starts)) > 1
-            single = single[several[group[single]]]  # still in the order of the groups
+            size = np.diff(np.append(starts, table.num_rows))
+            group = np.repeat(np.arange(len(starts)), size)
+            single = np.flatnonzero(size[group] > 1)
             sizes = np.cumsum(bounds[single + 1] - bounds[single])
+            docs, places = [], []
             lo = 0
             while lo < len(single):
                 hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BUILD_BYTES, "right"))
@@ -371,6 +440,7 @@ def _repeat_rows(window: int):
                 lo = hi
             if sum(map(len, docs)):
                 yield _spans(np.concatenate(docs), np.concatenate(places).astype(np.int64))
+        yield from spans
 
     return rows
 
@@ -414,21 +484,24 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     Bytes covered by a ``window``-byte string that also starts earlier (in a document with a
     smaller doc_id, or before in the same one) are removed; strings are judged on the input.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).withColumn("x", F.xxhash64("text"))
-    anchors = known.mapInArrow(_anchor_rows(window, anchor), "anchor long, place long, doc_id long").repartition(parts, "anchor").sortWithinPartitions("anchor", "place")
-    shared = checkpointed(anchors.mapInArrow(_elsewhere, "anchor long, doc_id long"))
-    total = shared.count()
-    often = shared.groupBy("anchor").count().where(F.col("count") > max(HOT, HOT_SHARE * total)).select("anchor").toArrow()
-    hot = spark.sparkContext.broadcast(np.sort(unsigned(often["anchor"])) if often.num_rows else np.zeros(0, np.uint64))
-    wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    first = known.groupBy("x", F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "l", "c", "first")
-    copies = known.select("doc_id", "x", F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c")).join(first, ["x", "l", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
+    parts = shuffle_partitions(docs.sparkSession)
+    docs = texts_of(docs)
+    known = docs.where("doc_id is not null")
+    prints = known.where(F.octet_length("text") >= window).select("doc_id", F.xxhash64("text").alias("x"), F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c"))
+    first = prints.groupBy("x", "l", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "l", "c", "first")
+    copies = prints.join(first, ["x", "l", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
     # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
-    told = docs.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor, hot), "anchor long, part int, doc_id long, start long, inner int, bytes binary")
-    strings = strings.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+    told = known.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    printed = known.where(F.octet_length("text") >= window).withColumn("x", F.xxhash64("text"))
+    anchors = dealt(printed.mapInArrow(_anchor_rows(window, anchor), "anchor long, place long, doc_id long"), "anchor", "anchor").sortWithinPartitions("anchor", "place")
+    shared = checkpointed(anchors.mapInArrow(_elsewhere, "anchor long, doc_id long").withColumn("anchor", F.col("anchor").bitwiseAND(F.lit(-2))))
+    hot = shared.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
+    few = hot.limit(FEW + 1).count()
+    split = shared.withColumn("parts", F.lit(0)) if not few else shared.join(F.broadcast(hot) if few <= FEW else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    wanted = split.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
+    strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor), STRINGS)
+    strings = dealt(strings, "print", "anchor", "part").sortWithinPartitions("anchor", "part", "print", "verify", "doc_id", "start")
     spans = strings.mapInArrow(_repeat_rows(window), "doc_id long, first long, last long").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return told.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy").mapInArrow(_kept_rows(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = told.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy")
+    without_id = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(False).alias("copy"))
+    return told.unionByName(without_id).mapInArrow(_kept_rows(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
