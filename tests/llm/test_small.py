@@ -102,9 +102,11 @@ def test_byte_windows(spark):
     assert got == brute.byte_windows(docs)
 
 
-def test_byte_windows_with_hot_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_byte_windows_with_hot_anchors(spark, monkeypatch, few):
     monkeypatch.setattr(column_bwt, "HOT", 1)
-    monkeypatch.setattr(column_bwt, "HOT_SHARE", 0)
+    monkeypatch.setattr(column_bwt, "HOT_ROWS", 3)
+    monkeypatch.setattr(column_bwt, "FEW", few)
     docs = awkward()
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in column_bwt.suffix_dedup(frame(spark, docs), 40, 12).collect()}
     assert got == {i: x[1:3] for i, x in brute.byte_windows(docs, 40).items()}
