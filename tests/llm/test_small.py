@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,12 +137,59 @@ def test_unigram_scores(spark):
 
 
 def test_bilinear_probabilities_sum_to_one():
-    model = bilinear_lm.Bilinear.start(np.full(bilinear_lm.CLASSES + 3, 1 / (bilinear_lm.CLASSES + 3)))
+    model = bilinear_lm.Bilinear.start(np.full(bilinear_lm.KINDS, 1 / bilinear_lm.KINDS))
     assert np.allclose((10.0 ** model.table()[:5]).sum(axis=2), 1, atol=1e-3)
 
 
+def two_tongues(n=200):
+    """Texts of two vocabularies, whose words tell the next ones' vocabulary only."""
+    pick = random.Random(12)
+    say = [[f"{x}{k}" for k in range(300)] for x in "ab"]
+    return [(i, " ".join(pick.choices(say[i % 2], weights=[1 / (k + 3) for k in range(300)], k=80))) for i in range(n)]
+
+
+def test_model_scores_word_by_word(spark):
+    shared, last, start, kinds_ = bilinear_lm.SHARED, bilinear_lm.LAST, bilinear_lm.START, bilinear_lm.KINDS
+    docs = [*two_tongues(), (1000, None), (1001, "a3 never seen a3"), (1001, "a3 never seen a3"), (None, "b5")]
+    rows = frame(spark, docs).select("doc_id", "text")
+    model = bilinear_lm.fit(rows.where("doc_id is null or doc_id < 180"), 300)
+    count = {r["name"] % 2**64: r["c"] for r in model.counts.collect()}
+    vector = {r["name"] % 2**64: np.array(r["vector"]) for r in model.vectors.collect()}
+    kind = dict(zip(model.head.names.tolist(), model.head.classes.tolist(), strict=True))
+    kind[int(bilinear_lm.END)] = last
+    assert len(model.head.names) < len(count) and len(vector) > 5
+
+    def within(name, context):
+        return np.log10((count.get(name, 0) + 0.1) / (model.head.rest_total + 0.1 * (model.head.rest_kinds + 1))) + vector.get(name, np.zeros(25)) @ model.h[context] / np.log(10) - model.norm[context]
+
+    rest = [x for x in count if kind.get(x, shared) == shared]
+    for context in range(2 * kinds_):
+        assert abs(sum(10 ** within(x, context) for x in [*rest, -1]) - 1) < 1e-6
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in bilinear_lm.scores(rows, model).collect())
+    want = []
+    for i, text in docs:
+        import pyarrow as pa
+
+        names = bilinear_lm._tokens(pa.array([text], pa.string()))[0].tolist()
+        kinds = [kind.get(x, shared) for x in names]
+        total = 0.0
+        for t, x in enumerate(names):
+            one = kinds[t - 1] if t else start
+            two = next((k for k in reversed(kinds[: max(t - 1, 0)]) if k != shared), start)
+            total += model.table[two, one, kinds[t]] + (within(x, kinds_ + two if one == shared else one) if kinds[t] == shared else 0)
+        want.append((i or -1, total))
+    assert np.allclose([x for x in got], sorted(want), rtol=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark):
+    rows = frame(spark, two_tongues(300))
+    few, many = ({r["doc_id"]: r for r in bilinear_lm.lm_scores(rows.repartition(n)).collect()} for n in (2, 9))
+    assert all(abs(few[i]["score"] - many[i]["score"]) < 1e-6 for i in few)
+    held = [r for r in few.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.04 * sum(r["n_tokens"] for r in held)
+
+
 def test_sentencepiece_equals_library():
-    import pyarrow as pa
     import sentencepiece
 
     path = sentencepiece_arrays.model_file()
