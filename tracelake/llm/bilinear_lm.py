@@ -190,6 +190,18 @@ def _word_rows(head):
     return rows
 
 
+@dataclass
+class ClassLogs:
+    """What the log probability of a class is the sum of: a part of each context class, less the context's normaliser."""
+
+    near: np.ndarray
+    far: np.ndarray
+    norm: np.ndarray
+
+    def log10(self, two, one, kind) -> np.ndarray:
+        return (self.near[one, kind] + self.far[two, kind] - self.norm[two, one]) / math.log(10)
+
+
 @dataclass
 class Bilinear:
     """Parameters as one flat array: r, q (classes x width), w1 (width), W2 (width x width), b (classes)."""
@@ -242,18 +254,16 @@ class Bilinear:
         square += gradient.flat**2
         self.flat += rate * gradient.flat / np.sqrt(square + 1e-8)
 
-    def table(self) -> np.ndarray:
-        """log10 of the normalised probabilities: two back x one back x class, by batched products."""
+    def classes(self) -> ClassLogs:
+        """The normalised class probabilities, by batched products over all contexts."""
         r, q, w1, w2, b = self.parts()
-        kinds = START  # never predicted
-        near, far = (r * w1) @ q[:kinds].T, (r @ w2) @ q[:kinds].T
-        out = np.empty((KINDS, KINDS, kinds), np.float32)
+        near, far = (r * w1) @ q[:START].T, (r @ w2) @ q[:START].T + b[:START]  # START is never predicted
+        norm = np.empty((KINDS, KINDS))
         for two in range(KINDS):
-            score = near + far[two][None] + b[:kinds]
-            score -= score.max(axis=1, keepdims=True)
-            out[two] = (score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
-
+            score = near + far[two]
+            most = score.max(axis=1)
+            norm[two] = most + np.log(np.exp(score - most[:, None]).sum(axis=1))
+        return ClassLogs(near, far, norm)
 
     def word_contexts(self) -> np.ndarray:
         """h of every context of the shared class's words."""
@@ -376,10 +386,10 @@ def normalisers(vectors: DataFrame, h: np.ndarray, head: Head) -> np.ndarray:
 
 @dataclass
 class Fitted:
-    """The model: head, log10 class probabilities of each context, contexts h with log10 normalisers, and all words' counts and vectors."""
+    """The model: head, class probabilities, contexts h with log10 normalisers, and all words' counts and vectors."""
 
     head: Head
-    table: np.ndarray
+    classes: ClassLogs
     h: np.ndarray
     norm: np.ndarray
     counts: DataFrame
@@ -409,7 +419,7 @@ def fit(training: DataFrame, size: int = HEAD) -> Fitted:
         told = vectors.where(F.col("c") >= int(head.counts.min())).toArrow()
         at, hit = head.find(unsigned(told["name"]))
         head.vectors[at[hit]] = _matrix(told["vector"].combine_chunks())[hit]
-    return Fitted(head, model.table(), h, np.log10(normalisers(vectors, h, head)), counts, vectors)
+    return Fitted(head, model.classes(), h, np.log10(normalisers(vectors, h, head)), counts, vectors)
 
 
 def _score_rows(fitted):
@@ -425,7 +435,7 @@ def _score_rows(fitted):
             one, two = contexts(kind, bounds)
             count = np.where(held, head.counts[at] if len(head.names) else 0, 0)
             base = np.where(held, np.log10(count + ALPHA) - whole, 0.0)
-            model = logs[two, one, kind].astype(np.float64)
+            model = logs.log10(two, one, kind)
             own = np.flatnonzero(held & (kind == SHARED))
             context = word_context(one, two)
             for lo in range(0, len(own), 1 << 16):
@@ -493,7 +503,7 @@ def lm_scores(docs: DataFrame, classes_head: int = HEAD) -> DataFrame:
 
 def scores(docs: DataFrame, model: Fitted) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row; equal rows are summed once and told as often as they are there."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.table, model.h, model.norm))
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.classes, model.h, model.norm))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     told = rows.mapInArrow(_score_rows(shared), "uid long, name long, doc_id long, context short, n int, n_tokens long, n_known long, base double, model double")
     words = model.counts.join(model.vectors.select("name", "vector"), "name", "left")
