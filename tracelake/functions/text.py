@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ def session_title(text: str | Column) -> Column:
 
 
 #: Openings of instruction and context records.
-INSTRUCTION_PREAMBLE = r"(?i)#?\s*(?:AGENTS|CODEWITH|CLAUDE)\.md instructions for\b"
+INSTRUCTION_PREAMBLE = r"(?i)#?\s*[a-z]+\.md instructions for\b"
 STRUCTURED_PREAMBLE = r"(?i)^\s*<(?:goal_context|environment_context)\b"
 
 
@@ -102,6 +105,7 @@ def commits(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(text), F.lit("(?i)" + EDGE + "([0-9a-f]{7,40})" + EDGE), F.lit(1)))
 
 
+#: What counts as a path.
 _BEFORE, _AFTER = "(?:^|[\\s\"'`(])", "(?=$|[\\s\"'`),\\]}])"
 PATHS = [
     _BEFORE + r"((?:/[A-Za-z0-9._@%+=:,~-]+)+)" + _AFTER,
@@ -128,7 +132,7 @@ def command_line(text: str | Column) -> Column:
     return F.substring(F.get(lines, F.lit(0)), 1, 300)
 
 
-SECRET, CREDENTIALS = "[REDACTED_SECRET]", "[REDACTED_CREDENTIALS]"
+SECRET = "[REDACTED_SECRET]"
 #: Shapes of secrets, in the order in which they are replaced.
 SECRETS = [
     (EDGE + r"sk-(?:ant-|proj-)?[A-Za-z0-9_-]{16,}" + EDGE, SECRET),
@@ -151,10 +155,22 @@ SECRETS = [
 ]
 
 
+#: For each shape, pieces of text (in lower case) of which one stands in whatever it matches.
+HINTS = [["sk-"], ["npm_"], ["k_live_", "k_test_"], ["xox"], ["eyj"], ["github_pat_"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["akia", "asia"], ["aiza"], ["private key"], ["://"], ["://"], ["bearer", "basic"], ["key", "secret", "token", "passw", "authorization"]]
+
+
 def redacted(text: str | Column) -> Column:
+    """The text with all secrets replaced; a pattern is tried only where one of its hints stands."""
     out = col(text)
-    for pattern, replacement in SECRETS:
-        out = F.regexp_replace(out, pattern, replacement)
+    for (pattern, replacement), hints in zip(SECRETS, HINTS, strict=True):
+
+        def step(t: Column) -> Column:
+            low = F.lower(t)
+            held = reduce(or_, [F.contains(low, F.lit(h)) for h in hints])  # noqa: B023
+            return F.when(held, F.regexp_replace(t, pattern, replacement)).otherwise(t)  # noqa: B023
+
+        # a variable of its own, so that each step names the one before once
+        out = F.get(F.transform(F.array(out), step), F.lit(0))
     return out
 
 

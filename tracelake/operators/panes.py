@@ -48,10 +48,10 @@ def classified(panes: DataFrame) -> DataFrame:
     return told.withColumn("status", status).drop("_lines")
 
 
-def project_of(path: Column, session: Column) -> tuple[Column, Column]:
-    """(path, slug): the nearest ancestor named open-*, else the path itself."""
+def project_of(path: Column, session: Column, prefix: str) -> tuple[Column, Column]:
+    """(path, slug): the nearest ancestor whose name begins with ``prefix``, else the path itself."""
     parts = F.split(F.regexp_replace(path, "(?<=.)/+$", ""), "/")
-    at = F.coalesce(F.array_max(F.transform(parts, lambda p, k: F.when(F.lower(p).startswith("open-"), k + 1))), F.lit(0))
+    at = F.coalesce(F.array_max(F.transform(parts, lambda p, k: F.when(F.lower(p).startswith(prefix), k + 1))), F.lit(0))
     at = F.when(path.startswith("/"), at).otherwise(0)
     found = F.when(at > 0, F.array_join(F.slice(parts, 1, at), "/")).otherwise(path)
     base = F.substring_index(F.coalesce(found, session), "/", -1)

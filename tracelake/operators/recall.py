@@ -14,6 +14,7 @@ from ..functions import text as T
 from . import search as S
 
 MOST_TERMS, MOST_EVIDENCE, MOST_TOOLS = 8, 8, 8
+#: What signals weigh, the order of evidence, openings that say nothing.
 WEIGHTS = {"message": 5.0, "session": 3.25, "tool_call": 4.5, "semantic": 3.75, "graph": 2.25, "recent": 0.75}
 PRIORITY = {"message": 0, "tool_call": 1, "semantic": 2, "session": 3, "graph": 4}
 VAGUE = r"(?i)\b(resume|continue|pick up|where did we leave|building this|this thing)\b"
@@ -37,7 +38,8 @@ def query_variants(queries: DataFrame) -> DataFrame:
     return rows.withColumn("_f", F.row_number().over(first)).where("_f = 1").drop("_f")
 
 
-FIELDS = ("source", "title", "project_name", "project_path", "model")
+#: The fields of a session that needles are sought in.
+FIELDS = ("source", "title", "project_name", "project_path", "model", "model_provider", "git_branch", "git_sha", "git_origin_url")
 
 
 def graph_snippet() -> Column:
@@ -48,13 +50,13 @@ def graph_snippet() -> Column:
 def metadata_hits(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, session_id, snippet, pos: sessions whose fields hold a needle of the question, newest first.
 
-    The needles are at most eight for each typed question, so the question side is small.
+    The needles are at most eight for each typed question; all of them go through each field in one pass.
     """
     needles = F.filter(F.array_distinct(F.concat(T.significant_terms("query"), F.array(F.lower(F.trim("query"))))), lambda t: F.length(t) >= 2)
-    asked = queries.select("query_id", F.slice(needles, 1, MOST_TERMS).alias("needles")).where(F.size("needles") > 0)
-    said = sessions.select(F.col("id").alias("session_id"), "started_at", F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FIELDS]).alias("said"), graph_snippet().alias("snippet"))
-    holds = F.exists("needles", lambda n: F.exists("said", lambda s: F.contains(s, n)))
-    hits = said.join(F.broadcast(asked), holds)
+    asked = queries.select("query_id", F.explode(F.slice(needles, 1, MOST_TERMS)).alias("query"))
+    said = sessions.select(F.col("id").alias("session_id"), "started_at", graph_snippet().alias("snippet"))
+    found = S.substring_hits(sessions.withColumnRenamed("id", "session_id"), "session_id", [c for c in FIELDS if c in sessions.columns], asked, escaped=True).distinct()
+    hits = found.join(said, "session_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "session_id")
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "snippet", "pos")
 
@@ -123,6 +125,25 @@ def session_context(messages: DataFrame, wanted: DataFrame, most: int = 24, fall
     return told.where((F.col("hit") & (F.col("pos") <= most)) | (~F.col("any") & (F.col("pos") <= fallback))).select("query_id", "session_id", "id", "hit", "pos")
 
 
+def session_tools(calls: DataFrame, wanted: DataFrame, most: int = 64, recent: int = 12) -> DataFrame:
+    """For each (query_id, session_id, query): tool calls that hold a term, those with most terms first and then the
+    latest; where they are fewer than ``recent``, also the ``recent`` latest calls of the session."""
+    told = calls.join(wanted.withColumn("terms", F.slice(T.significant_terms("query"), 1, MOST_TERMS)), "session_id")
+    asked = F.array_distinct(F.flatten(F.transform("terms", lambda t: T.tokens(t))))
+    held = F.size(F.array_intersect(T.tokens(F.concat_ws(" ", "tool_name", "tool_input", "tool_output")), asked))
+    group = W.partitionBy("query_id", "session_id")
+    latest = [F.desc(F.coalesce("timestamp", F.lit(""))), F.col("id")]
+    told = told.withColumn("held", held).withColumn("hits", F.count_if(F.col("held") > 0).over(group)).withColumn("nth", F.row_number().over(group.orderBy(*latest)))
+    kept = told.where((F.col("held") > 0) | ((F.col("hits") < recent) & (F.col("nth") <= recent)))
+    kept = kept.withColumn("pos", F.row_number().over(group.orderBy(F.desc("held"), *latest)))
+    return kept.where(F.col("pos") <= most).select("query_id", "session_id", "id", (F.col("held") > 0).alias("hit"), "pos")
+
+
+def semantic_status(wanted: bool, vectors: DataFrame | None) -> str:
+    """Whether the semantic signal took part: off, unavailable without any vector, or used."""
+    return "off" if not wanted else "unavailable" if vectors is None or vectors.isEmpty() else "used"
+
+
 def reason(signals: Column, tools: Column, paths: Column, snippet: Column) -> Column:
     """One line: the strongest signals, how many tools and paths, the top evidence."""
     first = F.array_join(F.slice(F.transform(F.split(signals, ","), lambda s: F.replace(s, F.lit("_"), F.lit(" "))), 1, 3), ", ")

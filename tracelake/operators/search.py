@@ -1,18 +1,23 @@
 """Full-text retrieval over tables of queries: postings, BM25, ranking and substring search.
 
 Every function takes a table of queries (query_id, query) and answers all of them in one
-plan. Only tokens that some query asks for are shuffled; the queries themselves are
-joined, not broadcast by force, so their number may grow.
+plan. A phrase that many queries share is counted once, in the task that reads a document;
+the queries themselves are joined, not broadcast by force, so their number may grow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stemmed
+from .vector import fused, nearest
 
 K1, B = 1.2, 0.75
 IDF_LEAST = 1e-6
@@ -61,16 +66,18 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
     words count by their stems.
     """
     asked = query_phrases(queries, identifiers)
-    sizes = docs.select("doc", F.size(T.tokens("text")).alias("len"))
-    tokens = token_rows(docs)
+    tokens = docs.select("doc", T.tokens("text").alias("tokens")).select("doc", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term"))
     if stem:
         asked, tokens = stemmed(asked), stemmed(tokens)
-    hits = tokens.join(asked, "term").withColumn("start", F.col("pos") - F.col("k"))
-    starts = hits.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len", "doc", "start").agg(F.count("*").alias("n")).where("n = phrase_len")
-    found = starts.groupBy("query_id", "variant", "phrases", "phrase", "doc").agg(F.count("*").alias("tf"))
-    frequency = found.groupBy("query_id", "variant", "phrase").agg(F.count("*").alias("df"))
+    wanted = asked.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words"))
+    parts = wanted.select("words", "phrase_len").distinct().select("words", "phrase_len", F.posexplode(F.split("words", " ")).alias("k", "term"))
+    hits = tokens.join(parts, "term")
+    single = hits.where("phrase_len = 1").groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))
+    starts = hits.where("phrase_len > 1").groupBy("words", "phrase_len", "doc", "len", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = phrase_len")
+    found = single.unionByName(starts.groupBy("words", "doc", "len").agg(F.count("*").alias("tf")))
+    frequency = found.groupBy("words").agg(F.count("*").alias("df"))
     whole = corpus_size(docs)
-    scored = found.join(frequency, ["query_id", "variant", "phrase"]).join(sizes, "doc").crossJoin(F.broadcast(whole))
+    scored = wanted.join(found.join(frequency, "words"), "words").crossJoin(F.broadcast(whole))
     idf = F.greatest(F.lit(IDF_LEAST), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     told = scored.groupBy("query_id", "variant", "phrases", "doc").agg(F.count("*").alias("held"), F.sum(part).alias("score")).where("held = phrases")
@@ -154,17 +161,98 @@ def unified_search(messages: DataFrame, sessions: DataFrame, calls: DataFrame, q
     return one.withColumn("pos", F.row_number().over(final)).where(F.col("pos") <= limit).select("query_id", "session_id", "list", "score", "rank", "pos")
 
 
+#: Needles that a task searches for at once; more are dealt into as many passes as it takes.
+NEEDLES_AT_ONCE = 50_000
+
+
+def substring_hits(rows: DataFrame, key: str, fields: list[str], queries: DataFrame, escaped: bool = False) -> DataFrame:
+    """query_id, key: rows of which a field holds a query, without regard to case.
+
+    Unless ``escaped``, '%' and '_' in a query stand for any characters, as in LIKE; such
+    queries, and only they, are compared with every row. All others go through each text in
+    one pass, as an automaton of at most NEEDLES_AT_ONCE of them.
+    """
+    asked = queries.select("query_id", F.lower("query").alias("_needle"))
+    wild = F.col("_needle").rlike(r"[%_\\]")
+    plain = asked if escaped else asked.where(~wild)
+    said = rows.select(F.col(key).alias("_key"), F.array(*[F.lower(c) for c in fields]).alias("_said"))
+    needles = plain.where("_needle <> ''").select("_needle").distinct()
+    turns = -(-needles.count() // NEEDLES_AT_ONCE)
+    found = None
+    for turn in range(turns):
+        own = [r["_needle"] for r in needles.where(F.pmod(F.xxhash64("_needle"), F.lit(turns)) == turn).collect()]
+        shared = rows.sparkSession.sparkContext.broadcast(own)
+        part = said.mapInArrow(_needle_rows(shared), f"_key {dict(said.dtypes)['_key']}, _needle string")
+        found = part if found is None else found.unionByName(part)
+    hits = plain.where("_needle = ''").join(said.where(F.exists("_said", lambda s: s.isNotNull())), F.lit(True)).select("query_id", "_key")
+    if found is not None:
+        hits = hits.unionByName(found.join(plain, "_needle").select("query_id", "_key"))
+    if not escaped:
+        told = said.join(asked.where(wild), F.expr("exists(_said, s -> s LIKE concat('%', _needle, '%'))"))
+        hits = hits.unionByName(told.select("query_id", "_key"))
+    return hits.withColumnRenamed("_key", key)
+
+
+def _needle_rows(needles):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for needle in needles.value:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            places, held = [], []
+            for k, said in enumerate(batch["_said"].to_pylist()):
+                for needle in {needle for text in said if text and needles.value for _, needle in automaton.iter(text)}:
+                    places.append(k)
+                    held.append(needle)
+            yield pa.RecordBatch.from_arrays([batch["_key"].take(pa.array(places, pa.int64())), pa.array(held, pa.string())], names=["_key", "_needle"])
+
+    return rows
+
+
+def limit_of(value: Column, fallback: int = 20, most: int | None = None) -> Column:
+    """A typed limit as a whole number: ``fallback`` for what is null, not finite or not positive, at most ``most``."""
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")) | (value < 1)
+    whole = F.floor(value).cast("int")
+    return F.when(bad, fallback).otherwise(whole if most is None else F.least(whole, F.lit(most)))
+
+
+def substring_tools(calls: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Tool calls whose name, input or output holds the query, newest first."""
+    hits = substring_hits(calls, "id", ["tool_name", "tool_input", "tool_output"], queries).join(calls, "id").join(sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(F.coalesce("timestamp", "started_at")), "id")
+    snippet = F.left(F.coalesce("tool_input", "tool_output", "tool_name"), F.lit(200))
+    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "id", "tool_name", snippet.alias("snippet"), "pos")
+
+
+def substring_sessions(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Sessions whose title, project or path holds the query, newest first; ``match`` says whether the title does."""
+    hits = substring_hits(sessions, "id", ["title", "project_name", "project_path"], queries).join(sessions.select("id", "title", "started_at"), "id").join(queries, "query_id")
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "id")
+    match = F.when(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("query")), "title").otherwise("project")
+    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", F.col("id").alias("session_id"), match.alias("match"), "pos")
+
+
+def session_rows(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """query_id, pos and all columns of the sessions that ``search_sessions`` finds."""
+    found = search_sessions(sessions, queries, limit).select("query_id", F.col("doc").alias("id"), "pos")
+    return found.join(sessions, "id")
+
+
+def hybrid_search(messages: DataFrame, sessions: DataFrame, calls: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
+    """query_id, session_id, score, pos: full-text and nearest-vector lists, each of twice the limit, fused by reciprocal ranks."""
+    text = unified_search(messages, sessions, calls, queries, 2 * limit)
+    return fused([text, nearest(vectors, query_vectors, 2 * limit)], limit)
+
+
 def substring_content(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Sessions whose metadata or messages hold the query; metadata hits come first, each list newest first."""
-    asked = F.broadcast(queries)  # a bounded table of typed queries
-    needle = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     newest = [F.desc("started_at"), F.col("session_id")]
     said = sessions.withColumnRenamed("id", "session_id")
-    meta = said.join(asked, F.expr("title ILIKE concat('%', query, '%') OR project_name ILIKE concat('%', query, '%')"))
+    meta = substring_hits(sessions, "id", ["title", "project_name"], queries).withColumnRenamed("id", "session_id").join(said, "session_id")
     meta = meta.select("query_id", "session_id", "started_at", F.lit(1).alias("list"), F.coalesce("title", "project_name").alias("snippet"), F.lit("").alias("id"))
-    body = messages.join(asked, F.expr("content ILIKE concat('%', query, '%')")).select("query_id", "session_id", "id", F.left(F.col("content"), F.lit(200)).alias("snippet"))
+    body = substring_hits(messages, "id", ["content"], queries).join(messages, "id").select("query_id", "session_id", "id", F.left(F.col("content"), F.lit(200)).alias("snippet"))
     body = body.join(said.select("session_id", "started_at"), "session_id").select("query_id", "session_id", "started_at", F.lit(2).alias("list"), "snippet", "id")
-    del needle
     capped = meta.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest))).where(F.col("at") <= 5 * limit)
     capped = capped.unionByName(body.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest, F.col("id")))).where(F.col("at") <= 10 * limit))
     return best_by(capped, ["session_id"], [F.col("list"), F.col("at")], limit).select("query_id", "session_id", "list", "snippet", "pos")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,18 +44,74 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
 
 
+#: Query vectors that a task holds at once, and multiplies at once.
+QUERIES_AT_ONCE, PRODUCT = 10_000, 512
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, message_id, session_id, cosine, pos: the best chunk of each session for each typed query.
+    """query_id, message_id, session_id, cosine, pos: the best chunk of each session for each query vector.
 
-    ``queries`` (query_id, query_vector) is the side that is asked, a bounded table; each
-    executor keeps only its best rows before the shuffle.
+    The query vectors (query_id, query_vector) are dealt into blocks of bounded size; each
+    block passes over the vectors once, as matrix products of Arrow batches, of which every
+    batch sends on only the rows that its best ``limit`` sessions leave possible. Vectors
+    that are null or hold a null count as empty; the cosine is over the shorter length and
+    0 where a norm is 0.
     """
-    told = vectors.crossJoin(F.broadcast(queries)).select("query_id", "message_id", "session_id", F.round(cosine("embedding", "query_vector"), 6).alias("cosine"))
-    one = told.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))).where("_n = 1").drop("_n")
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    told = vectors.select("message_id", "session_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    types = dict(told.dtypes) | {"query_id": dict(asked.dtypes)["query_id"]}
+    schema = f"query_id {types['query_id']}, message_id {types['message_id']}, session_id {types['session_id']}, cosine double"
+    turns = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    found = None
+    for turn in range(turns):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow()
+        part = told.mapInArrow(_near_rows(vectors.sparkSession.sparkContext.broadcast(own), limit), schema)
+        found = part if found is None else found.unionByName(part)
+    one = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))).where("_n = 1").drop("_n")
     order = W.partitionBy("query_id").orderBy(F.desc("cosine"), "session_id")
     return one.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length of vector to (rows, matrix)."""
+    lists = [[] if x is None or None in x else x for x in column.to_pylist()]
+    lengths = np.array([len(x) for x in lists], np.int64)
+    return {n: (rows, np.array([lists[k] for k in rows], np.float64).reshape(len(rows), n)) for n in np.unique(lengths).tolist() for rows in [np.flatnonzero(lengths == n)]}
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(a.shape[1], b.shape[1])
+    a, b = a[:, :n], b[:, :n]
+    norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
+    return np.round(np.where(norm > 0, a @ b.T / np.where(norm > 0, norm, 1.0), 0.0), 6)
+
+
+def _near_rows(queries, limit: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = queries.value["query_id"].combine_chunks()
+        asked = _by_length(queries.value["query_vector"].combine_chunks())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = _by_length(batch["embedding"])
+            session = pc.dictionary_encode(batch["session_id"], null_encoding="encode").indices.to_numpy()
+            by_session = np.argsort(session, kind="stable")
+            starts = np.flatnonzero(np.append(True, session[by_session][1:] != session[by_session][:-1]))
+            place = np.empty(len(session), np.int64)
+            place[by_session] = np.cumsum(np.append(False, session[by_session][1:] != session[by_session][:-1]))
+            for wanted, matrix in asked.values():
+                for lo in range(0, len(wanted), PRODUCT):
+                    near = np.empty((batch.num_rows, min(PRODUCT, len(wanted) - lo)))
+                    for own, part in parts.values():
+                        near[own] = _cosines(part, matrix[lo : lo + PRODUCT])
+                    best = np.maximum.reduceat(near[by_session], starts, axis=0)
+                    least = -np.partition(-best, min(limit, len(best)) - 1, axis=0)[min(limit, len(best)) - 1]
+                    row, query = np.nonzero((near == best[place]) & (near >= least))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(wanted[lo + query])), batch["message_id"].take(pa.array(row)), batch["session_id"].take(pa.array(row)), pa.array(near[row, query])], names=["query_id", "message_id", "session_id", "cosine"])
+
+    return rows
+
+
 def fused(lists: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
     """query_id, session_id, score, pos: reciprocal ranks of lists (query_id, session_id, pos), summed."""
     told = None

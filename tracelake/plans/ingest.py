@@ -149,7 +149,7 @@ def logs_array_sessions(spark, sf_dir):
 
 
 _PANES = """p AS (SELECT event_id, 'box-' || user_id % 9 || CASE WHEN event_id % 4 = 0 THEN '-' || user_id % 5 ELSE '' END AS session, user_id % 4 AS window_index, event_id % 3 AS pane_index, CASE event_type WHEN 'click' THEN 'agent' WHEN 'view' THEN 'bash' ELSE 'sh' END AS command, event_type = 'error' AS pane_dead,
-    CASE event_id % 6 WHEN 0 THEN 'x' || chr(10) || 'Goal blocked' WHEN 1 THEN 'Working (3s)' || chr(10) WHEN 2 THEN 'goal achieved' || chr(10) || '   ' WHEN 3 THEN 'waiting for approval' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' WHEN 4 THEN 'plain' ELSE 'calling tool' || chr(10) || 'b' END AS captured_text, 'm' || user_id % 3 AS machine, '/w/open-Lib' || user_id % 3 || '/src' AS cwd FROM events)"""
+    CASE event_id % 6 WHEN 0 THEN 'x' || chr(10) || 'Goal blocked' WHEN 1 THEN 'Working (3s)' || chr(10) WHEN 2 THEN 'goal achieved' || chr(10) || '   ' WHEN 3 THEN 'waiting for approval' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' WHEN 4 THEN 'plain' ELSE 'calling tool' || chr(10) || 'b' END AS captured_text, 'm' || user_id % 3 AS machine, '/w/kit-Lib' || user_id % 3 || '/src' AS cwd FROM events)"""
 
 
 def _panes(spark, sf_dir):
@@ -158,16 +158,16 @@ def _panes(spark, sf_dir):
     text = F.get(F.array(*[F.lit(x) for x in ("x\nGoal blocked", "Working (3s)\n", "goal achieved\n   ", "waiting for approval\na\nb\nc", "plain", "calling tool\nb")]), (k % 6).cast("int"))
     session = F.concat(F.lit("box-"), (u % 9).cast("string"), F.when(k % 4 == 0, F.concat(F.lit("-"), (u % 5).cast("string"))).otherwise(""))
     command = F.when(F.col("event_type") == "click", "agent").when(F.col("event_type") == "view", "bash").otherwise("sh")
-    told = e.select("event_id", session.alias("session"), (u % 4).alias("window_index"), (k % 3).alias("pane_index"), command.alias("command"), (F.col("event_type") == "error").alias("pane_dead"), text.alias("captured_text"), F.concat(F.lit("m"), (u % 3).cast("string")).alias("machine"), F.concat(F.lit("/w/open-Lib"), (u % 3).cast("string"), F.lit("/src")).alias("cwd"))
+    told = e.select("event_id", session.alias("session"), (u % 4).alias("window_index"), (k % 3).alias("pane_index"), command.alias("command"), (F.col("event_type") == "error").alias("pane_dead"), text.alias("captured_text"), F.concat(F.lit("m"), (u % 3).cast("string")).alias("machine"), F.concat(F.lit("/w/kit-Lib"), (u % 3).cast("string"), F.lit("/src")).alias("cwd"))
     return told.withColumn("window_name", F.col("session"))
 
 
 _STATUS = "CASE WHEN pane_dead THEN 'dead' ELSE CASE event_id % 6 WHEN 0 THEN 'needs_attention' WHEN 1 THEN 'active' WHEN 2 THEN 'idle' WHEN 3 THEN 'needs_attention' WHEN 4 THEN CASE WHEN command = 'agent' THEN 'active' ELSE 'idle' END ELSE 'active' END END"
 
 
-@register("pane_status", f"WITH {_PANES} SELECT event_id, {_STATUS} AS status, '/w/open-Lib' || right(cwd[1:length(cwd) - 4], 1) AS path, 'open-lib' || right(cwd[1:length(cwd) - 4], 1) AS slug FROM p")
+@register("pane_status", f"WITH {_PANES} SELECT event_id, {_STATUS} AS status, '/w/kit-Lib' || right(cwd[1:length(cwd) - 4], 1) AS path, 'kit-lib' || right(cwd[1:length(cwd) - 4], 1) AS slug FROM p")
 def pane_status(spark, sf_dir):
-    path, slug = P.project_of(F.col("cwd"), F.col("session"))
+    path, slug = P.project_of(F.col("cwd"), F.col("session"), "kit-")
     return P.classified(_panes(spark, sf_dir)).select("event_id", "status", path.alias("path"), slug.alias("slug"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,7 +35,7 @@ def query_variants(spark, sf_dir):
 
 _META = """meta AS (SELECT query_id, session_id, snippet, pos FROM (SELECT q.query_id, s.id AS session_id, concat_ws('; ', 'source ' || source, 'project ' || project_name, 'path ' || project_path, 'model ' || model, CASE WHEN title <> '' THEN 'title ' || title END) AS snippet,
   row_number() OVER (PARTITION BY q.query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos FROM v_sessions s JOIN (SELECT query_id, needles[1:8] AS needles FROM (SELECT query_id, list_filter(list_filter(list_append(terms, lower(trim(query))), lambda t, i: list_position(list_append(terms, lower(trim(query))), t) = i), lambda t: length(t) >= 2) AS needles FROM terms)) q
-  ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')), n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')), n) OR contains(lower(coalesce(model, '')), n))) > 0) WHERE pos <= 20)"""
+  ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')), n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')), n) OR contains(lower(coalesce(model, '')), n) OR contains(lower(coalesce(model_provider, '')), n) OR contains(lower(coalesce(git_branch, '')), n) OR contains(lower(coalesce(git_sha, '')), n) OR contains(lower(coalesce(git_origin_url, '')), n))) > 0) WHERE pos <= 20)"""
 
 
 @register("metadata_hits", with_views("SELECT query_id, session_id, snippet, pos FROM meta", "v_sessions", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_META}"))
@@ -106,6 +105,16 @@ def recall_context(spark, sf_dir):
     return R.session_context(V.messages(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
 
 
+@register("recall_tools", with_views(f"""SELECT session_id, id, held > 0 AS hit, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY held DESC, coalesce(timestamp, '') DESC, id) AS pos FROM (SELECT *, count(*) FILTER (held > 0) OVER (PARTITION BY session_id) AS hits, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, '') DESC, id) AS nth FROM
+    (SELECT c.session_id, c.id, c.timestamp, len(list_distinct(list_intersect(list_filter(string_split_regex(lower(concat_ws(' ', tool_name, tool_input, tool_output)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))) AS held FROM v_tool_calls c JOIN terms t ON CAST(t.query_id AS VARCHAR) = c.session_id)) WHERE held > 0 OR (hits < 12 AND nth <= 12)) WHERE pos <= 64""",
+    "v_tool_calls", ctes=f"c_queries AS (SELECT c_custkey AS query_id, ['click 5', 'signup error', 'nothing here', '87 view'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS query FROM customer), {_terms_cte('c_queries')}"))
+def recall_tools(spark, sf_dir):
+    k = F.col("c_custkey")
+    query = F.get(F.array(*[F.lit(x) for x in ("click 5", "signup error", "nothing here", "87 view")]), (k % 4).cast("int"))
+    wanted = V.table(spark, sf_dir, "customer").select(k.alias("query_id"), k.cast("string").alias("session_id"), query.alias("query"))
+    return R.session_tools(V.tool_calls(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
+
+
 @register("resume_metadata", with_views("""SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_sessions)""", "v_sessions"))
 def resume_metadata(spark, sf_dir):
     s = V.sessions(spark, sf_dir)
@@ -246,14 +255,13 @@ def pending_embeddings(spark, sf_dir):
 
 _COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
 _NEAREST = f"""knn AS (SELECT query_id, message_id, session_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM
-    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {_COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE n = 1) WHERE pos <= 10)"""
+    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {_COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE n = 1) WHERE pos <= 10)"""
 
 
 def _nearest(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
     session = F.concat(F.lit("s"), (F.col("vec_id") % 100).cast("string"))
-    # ten typed questions, each a vector of the table
-    return X.nearest(e.select(F.col("vec_id").alias("message_id"), session.alias("session_id"), "embedding"), e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+    return X.nearest(e.select(F.col("vec_id").alias("message_id"), session.alias("session_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
 
 
 @register("knn_cosine", f"WITH {_NEAREST} SELECT * FROM knn")
@@ -276,15 +284,41 @@ def semantic_search(spark, sf_dir):
     return X.nearest(vectors, questions.select("query_id", F.col("embedding").alias("query_vector"))).select("query_id", "message_id", "cosine", "pos")
 
 
-@register("hybrid_rrf", f"WITH {_NEAREST}, texts AS (SELECT query_id, session_id, pos FROM (SELECT q.vec_id AS query_id, 's' || (e.vec_id % 100) AS session_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(e.vec_id - q.vec_id), e.vec_id) AS pos FROM embeddings e, embeddings q WHERE q.vec_id < 10 AND e.vec_id < 100) WHERE pos <= 20) SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM (SELECT query_id, session_id, round(sum(1.0 / (60 + pos)), 9) AS score FROM (SELECT query_id, session_id, pos FROM knn UNION ALL SELECT * FROM texts) GROUP BY ALL)) WHERE pos <= 10")
-def hybrid_rrf(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings")
-    near = F.row_number().over(W.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
-    texts = e.where("vec_id < 100").select("vec_id").crossJoin(F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"))))
-    texts = texts.select("query_id", F.concat(F.lit("s"), (F.col("vec_id") % 100).cast("string")).alias("session_id"), near.alias("pos")).where("pos <= 20")
-    return X.fused([_nearest(spark, sf_dir), texts])
+_BAD = "coalesce(regexp_matches(trim(regexp_replace(regexp_replace({c}, '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), '(?i)#?\\s*[a-z]+\\.md instructions for\\b|(?i)^\\s*<(?:goal_context|environment_context)\\b'), false)"
+_LIST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, started_at DESC, doc) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n FROM ({hits})) WHERE n = 1 QUALIFY pos <= 40)"
+
+
+def _list(hits: str, keys: str, number: int, weight: int) -> str:
+    return f"SELECT query_id, session_id, title, project_name, project_path, started_at, rank, pos, snippet, {number} AS list, {weight} AS weight FROM " + _LIST.format(keys=keys, hits=hits)
 
 
-@register("search_unified")
+_SAID = "s.title, s.project_name, s.project_path, s.started_at"
+#: unified(query_id, session_id, list, score, rank, pos): the ranked list of at most 20 sessions a question.
+_UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 's_queries', 'm_')}, {bm25_sql('s_docs', 's_queries', 's_')}, {bm25_sql('t_docs', 's_queries', 't_')},
+  lists AS ({_list(f"SELECT h.*, m.session_id, {_SAID}, m.content AS snippet FROM m_ranked h JOIN v_messages m ON m.id = h.doc JOIN v_sessions s ON s.id = m.session_id", "session_id", 1, 10)}
+    UNION ALL {_list(f"SELECT h.*, s.id AS session_id, {_SAID}, concat_ws(' ', s.title, s.project_name, s.project_path) AS snippet FROM s_ranked h JOIN v_sessions s ON s.id = h.doc", "session_id", 2, 35)}
+    UNION ALL {_list(f"SELECT h.*, d.session_id, d.tool_name, d.text, {_SAID}, concat_ws(': ', d.tool_name, d.text) AS snippet FROM t_ranked h JOIN t_docs d ON d.doc = h.doc JOIN v_sessions s ON s.id = d.session_id", "session_id, tool_name, text", 3, 25)}),
+  told AS (SELECT l.*, lower(trim(query)) AS plain, list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS parts, lower(coalesce(snippet, '')) AS txt, lower(coalesce(project_name, '')) AS nm,
+    list_filter(string_split(lower(coalesce(project_path, '')), '/'), lambda x: x <> '') AS seg, lower(concat_ws(' ', CASE WHEN title <> '' AND NOT {_BAD.format(c="title")} THEN title END, CASE WHEN project_name <> '' THEN project_name END, CASE WHEN project_path <> '' THEN project_path END)) AS said FROM lists l JOIN s_queries USING (query_id)),
+  scored AS (SELECT *, weight + coalesce(list_max(list_transform(list_filter(list_append(parts, plain), lambda t: t <> ''), lambda t: CASE WHEN nm = t THEN 140 WHEN seg[len(seg)] = t THEN 120 WHEN list_contains(seg, t) THEN 90 ELSE 0 END)), 0)
+    + CASE WHEN plain <> '' AND contains(said, plain) THEN 100 ELSE 0 END + CASE WHEN plain <> '' AND contains(txt, plain) THEN 70 ELSE 0 END + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(said, p))) = 0 THEN 60 ELSE 0 END
+    + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(txt, p))) = 0 THEN 35 ELSE 0 END - CASE WHEN {_BAD.format(c="title")} THEN 90 ELSE 0 END - CASE WHEN {_BAD.format(c="snippet")} THEN 90 ELSE 0 END AS score FROM told),
+  unified AS (SELECT query_id, session_id, list, score, rank, pos FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, started_at DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY score DESC, list, pos) AS first FROM scored) WHERE first = 1) WHERE pos <= 20)"""
+
+
+@register("search_unified", with_views("SELECT query_id, session_id, list, score, rank, pos FROM unified", *_ALL, ctes=_UNIFIED))
 def search_unified(spark, sf_dir):
     return S.unified_search(V.messages(spark, sf_dir), V.sessions(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
+
+
+@register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
+    (SELECT query_id, session_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM (SELECT query_id, session_id, pos FROM unified UNION ALL SELECT query_id, session_id, pos FROM close) GROUP BY ALL)) WHERE pos <= 10""", *_ALL, ctes=f"""{_UNIFIED},
+  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {_COS} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
+  close AS (SELECT query_id, session_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 20)"""))
+def hybrid_rrf(spark, sf_dir):
+    """Full text and vectors together; the vector of a session's first message is that of its number, as is a question's."""
+    e = V.table(spark, sf_dir, "embeddings")
+    messages, asked = V.messages(spark, sf_dir), _session_queries(spark, sf_dir)
+    vectors = e.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding").join(messages.select("id", "session_id"), "id").withColumnRenamed("id", "message_id")
+    questions = asked.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    return S.hybrid_search(messages, V.sessions(spark, sf_dir), V.tool_calls(spark, sf_dir), asked, vectors, questions, 10)

@@ -134,7 +134,48 @@ def substring_content(spark, sf_dir):
     return S.substring_content(V.messages(spark, sf_dir), V.sessions(spark, sf_dir), asked)
 
 
-@register("snippets")
+_ASKED = "asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', 'click', 'k\": 8', '_in%'][CAST(r_regionkey + 1 AS INTEGER)] AS query FROM region)"
+
+
+def _needles(spark, sf_dir):
+    words = F.array(*[F.lit(w) for w in ("SRC1", " la ", "click", 'k": 8', "_in%")])
+    return V.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.get(words, F.col("r_regionkey").cast("int")).alias("query"))
+
+
+@register("substring_tools", with_views("""SELECT query_id, session_id, id, tool_name, snippet, pos FROM (SELECT query_id, c.session_id, c.id, tool_name, left(coalesce(tool_input, tool_output, tool_name), 200) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(c.timestamp, s.started_at) DESC NULLS LAST, c.id) AS pos
+    FROM v_tool_calls c JOIN asked ON tool_name ILIKE '%' || query || '%' OR tool_input ILIKE '%' || query || '%' OR tool_output ILIKE '%' || query || '%' JOIN v_sessions s ON s.id = c.session_id) WHERE pos <= 20""", "v_sessions", "v_tool_calls", ctes=_ASKED))
+def substring_tools(spark, sf_dir):
+    return S.substring_tools(V.tool_calls(spark, sf_dir), V.sessions(spark, sf_dir), _needles(spark, sf_dir))
+
+
+@register("substring_sessions", with_views("""SELECT query_id, session_id, match, pos FROM (SELECT query_id, s.id AS session_id, CASE WHEN contains(lower(coalesce(title, '')), lower(query)) THEN 'title' ELSE 'project' END AS match, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos
+    FROM v_sessions s JOIN asked ON title ILIKE '%' || query || '%' OR project_name ILIKE '%' || query || '%' OR project_path ILIKE '%' || query || '%') WHERE pos <= 20""", "v_sessions", ctes=_ASKED))
+def substring_sessions(spark, sf_dir):
+    return S.substring_sessions(V.sessions(spark, sf_dir), _needles(spark, sf_dir))
+
+
+@register(
+    "session_search_rows",
+    with_views(
+        "SELECT t.query_id, t.pos, s.* FROM (" + _TOP.format(cols="doc", keys="doc", hits="(SELECT r.*, s.started_at FROM ranked r JOIN v_sessions s ON s.id = r.doc)", limit=20) + ") t JOIN v_sessions s ON s.id = t.doc",
+        "v_sessions", ctes=f"{_SESSION_QUERIES}, {_SESSION_DOCS}, " + bm25_sql("s_docs", "s_queries"),
+    ),
+)
+def session_search_rows(spark, sf_dir):
+    return S.session_rows(V.sessions(spark, sf_dir), _session_queries(spark, sf_dir))
+
+
+@register("limit_rules", "SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE CAST(floor(v) AS INTEGER) END AS plain, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE least(CAST(floor(v) AS INTEGER), 500) END AS clamped FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -value ELSE value * 4 END AS v FROM events)")
+def limit_rules(spark, sf_dir):
+    k = F.col("event_id") % 6
+    v = F.when(k == 0, F.lit(None)).when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, -F.col("value")).otherwise(F.col("value") * 4)
+    return V.table(spark, sf_dir, "events").withColumn("v", v).select("event_id", S.limit_of(F.col("v")).alias("plain"), S.limit_of(F.col("v"), most=500).alias("clamped"))
+
+
+@register("snippets", with_views("""SELECT query_id, doc, rank, CASE WHEN first > 0 THEN '…' ELSE '' END || array_to_string(list_transform(words[first + 1:first + 12], lambda w: CASE WHEN len(list_intersect(list_filter(string_split_regex(lower(w), '[^\\p{L}\\p{N}]+'), lambda y: y <> ''), terms)) > 0 THEN '[' || w || ']' ELSE w END), ' ') || CASE WHEN first + 12 < len(words) THEN '…' ELSE '' END AS snippet
+    FROM (SELECT *, greatest(0, least(coalesce(list_min(list_filter(list_transform(words, lambda w, i: CASE WHEN len(list_intersect(list_filter(string_split_regex(lower(w), '[^\\p{L}\\p{N}]+'), lambda y: y <> ''), terms)) > 0 THEN i - 1 END), lambda k: k IS NOT NULL)), 0), len(words) - 12)) AS first
+    FROM (SELECT query_id, doc, rank, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS words, list_filter(string_split_regex(lower(query), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS terms FROM ranked JOIN docs USING (doc) JOIN v_queries USING (query_id) WHERE variant = 1))""",
+    "v_corpus", "v_queries", ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")))
 def snippets(spark, sf_dir):
     docs = V.corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.col("content").alias("text"))
     asked = V.queries(spark, sf_dir)

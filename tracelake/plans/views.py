@@ -52,6 +52,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "machine",
         F.col("message_count").cast("bigint").alias("message_count"),
         F.coalesce("tool_call_count", F.lit(0)).cast("bigint").alias("tool_call_count"),
+        F.concat(F.lit("maker"), (F.col("conv_id") % 3).cast("string")).alias("model_provider"),
+        F.concat(F.lit("topic/"), "model").alias("git_branch"),
+        F.left(F.md5(F.col("text").cast("binary")), F.lit(10)).alias("git_sha"),
+        F.concat(F.lit("https://host.test/"), "project_name", F.lit(".git")).alias("git_origin_url"),
     )
 
 
@@ -80,7 +84,8 @@ SQL = {
     "v_sessions": """SELECT CAST(c.conv_id AS VARCHAR) AS id, CASE c.conv_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'rollout' WHEN 2 THEN 'overlay' ELSE 'logs' END AS source,
         's' || c.conv_id AS source_id, substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 120) AS title, d.source AS project_name, '/w/' || d.source AS project_path,
         d.lang AS model, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c.conv_id), '%Y-%m-%d %H:%M:%S') AS started_at, n.n_name AS machine,
-        CAST(c.message_count AS BIGINT) AS message_count, CAST(coalesce(e.n, 0) AS BIGINT) AS tool_call_count
+        CAST(c.message_count AS BIGINT) AS message_count, CAST(coalesce(e.n, 0) AS BIGINT) AS tool_call_count,
+        'maker' || c.conv_id % 3 AS model_provider, 'topic/' || d.lang AS git_branch, left(md5(c.text), 10) AS git_sha, 'https://host.test/' || d.source || '.git' AS git_origin_url
         FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS text, count(*) AS message_count FROM conversations GROUP BY conv_id) c
         LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = c.conv_id
         LEFT JOIN nation n ON n.n_nationkey = c.conv_id % 30""",
