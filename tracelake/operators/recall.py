@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import search as S
+from .materialize import materialized
 
 MOST_TERMS, MOST_EVIDENCE, MOST_TOOLS = 8, 8, 8
 #: What signals weigh, the order of evidence, openings that say nothing.
@@ -67,7 +68,7 @@ def recall_signals(messages: DataFrame, sessions: DataFrame, calls: DataFrame, q
     ``semantic`` has query_id, session_id and a cosine. A vague question that matched nothing
     gets the most recent sessions.
     """
-    variants = query_variants(queries)
+    variants = materialized(query_variants(queries))
     asked = variants.select(F.struct("query_id", "n").alias("query_id"), F.col("text").alias("query"))
     weight = variants.select(F.struct("query_id", "n").alias("query_id"), "weight")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stemmed
+from .materialize import materialized
 from .vector import fused, nearest
 
 K1, B = 1.2, 0.75
@@ -70,11 +71,13 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
     if stem:
         asked, tokens = stemmed(asked), stemmed(tokens)
     wanted = asked.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words"))
+    wanted = materialized(wanted)
     parts = wanted.select("words", "phrase_len").distinct().select("words", "phrase_len", F.posexplode(F.split("words", " ")).alias("k", "term"))
     hits = tokens.join(parts, "term")
     single = hits.where("phrase_len = 1").groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))
     starts = hits.where("phrase_len > 1").groupBy("words", "phrase_len", "doc", "len", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = phrase_len")
-    found = single.unionByName(starts.groupBy("words", "doc", "len").agg(F.count("*").alias("tf")))
+    # the postings of the asked phrases: corpus and questions are read once for all that follows
+    found = materialized(single.unionByName(starts.groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))))
     frequency = found.groupBy("words").agg(F.count("*").alias("df"))
     whole = corpus_size(docs)
     scored = wanted.join(found.join(frequency, "words"), "words").crossJoin(F.broadcast(whole))
