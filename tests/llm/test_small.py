@@ -246,19 +246,34 @@ def test_adpcm_one_block_at_a_time():
         assert out == together[k].tolist()
 
 
-def test_shards(spark):
-    docs = awkward() + [(7, TEXT), (None, "x")]
-    told = sharding.shard(frame(spark, docs), 4).toPandas()
+def test_shards(spark, tmp_path):
+    docs = awkward() + [(7, TEXT), (None, "x"), (None, TEXT), (None, None)] + [(100 + k, "y" * (k % 50)) for k in range(600)]
+    path = str(tmp_path / "map")
+    sharding.save_map(spark, sharding.dealt_in_turn(4), path, 1)
+    told = sharding.shard(frame(spark, docs), 4, path=path).toPandas()
     assert len(told) == len(docs) and set(told["law"]) == {"bytes"} and told["grown_shard"].isna().all()
     for _, part in told.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
     total = told.groupby("shard")["size"].sum()
-    assert total.max() - total.min() <= told["size"].max()
+    assert total.max() - total.min() <= 0.004 * total.mean() + 8
+    sizes = {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in docs}
+    assert {(None if i != i else int(i), n, c) for i, n, c in zip(told["doc_id"], told["size"], told["text_crc32"], strict=True)} == sizes
+    # the rows go by the stored map, whose second version is an edit of the first
+    first, second = sharding.load_map(spark, path, 1)[0], sharding.load_map(spark, path, 2)[0]
+    assert set(told["map_version"]) == {2} and all(second[v] == k for v, k in zip(told["vslot"], told["shard"], strict=True))
+    assert 0 < sum(first[k] != second[k] for k in first) < 100
+    again = sharding.shard(frame(spark, docs), 4, path=path).toPandas()
+    assert set(again["map_version"]) == {2}
+    # one more shard takes slots; few others move to even the rest out
+    grown = sharding.shard(frame(spark, docs), 5, path=path).toPandas()
+    third = sharding.load_map(spark, path)[0]
+    moved = [third[k] for k in second if second[k] != third[k]]
+    assert sum(k != 4 for k in moved) <= 0.01 * len(moved) + 3 and set(grown["shard"]) == set(range(5))
 
 
 def test_rebalancing_moves_single_slots(spark, tmp_path):
     sizes = {k: 10 for k in range(240)}
-    first = sharding.balanced(sizes, 4, 240)
+    first = sharding.dealt_in_turn(4, 240)
     grown = sharding.rebalanced(first, sizes, 5)
     moved = [k for k in first if first[k] != grown[k]]
     assert {grown[k] for k in moved} == {4} and len(moved) <= 50

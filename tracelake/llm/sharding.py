@@ -1,25 +1,28 @@
 """Sharding through fixed virtual slots.
 
-Method: a record's doc_id is hashed to one of ``SLOTS`` slots, which never change. The
-bytes of each slot are aggregated, and a small versioned map (version, slot, shard) says
-where each slot lives. Building the map places the largest slots first, each on the shard
-with the fewest bytes; rebalancing edits it by moving single slots, so the rows of all
-other slots stay where they are. Only the map, of ``SLOTS`` rows, passes through the driver.
-
-Results by case: a null text has 0 bytes and the crc32 of the empty string; a null doc_id
-is hashed as such, to one fixed slot; repeated rows share a slot and each take a place in
+Method: a record's doc_id is hashed to one of ``SLOTS`` slots, which never change. A small
+stored map (version, slot, shard) says where each slot lives; version 1 deals the slots
+out in turn. The bytes of each slot are aggregated, and rebalancing edits the map: single
+slots move from the heaviest shard to the lightest, the rows of all other slots stay where
+they are, and the edited map is stored as the next version. Rows go by the latest version.
+Only the map, of ``SLOTS`` rows, passes through the driver.
+
+Results by case: a null text has 0 bytes and the crc32 of the empty string; a row with a
+null doc_id is hashed by its text; repeated rows share a slot and each take a place in
 their shard; ties in size go to the smaller slot and shard number; further columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import checkpoint_folder
+
 SLOTS = 8192
 SHARDS = 24
 OVERHEAD = 8
@@ -29,18 +32,18 @@ def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def balanced(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """slot -> shard: largest slots first, each on the lightest shard; empty slots in turn."""
-    heap = [(0, shard) for shard in range(shards)]
-    where: dict[int, int] = {}
-    for slot in sorted(range(slots), key=lambda s: (-sizes.get(s, 0), s)):
-        load, shard = heapq.heappop(heap)
-        where[slot] = shard
-        heapq.heappush(heap, (load + max(sizes.get(slot, 0), 1), shard))
-    return where
+def row_slot(slots: int = SLOTS) -> Column:
+    """The slot of a row of doc_id and text."""
+    own = F.col("doc_id").cast("long")
+    return F.when(own.isNull(), slot_of(F.col("text").cast("string"), slots)).otherwise(slot_of(own, slots))
+
+
+def dealt_in_turn(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """slot -> shard before any sizes are known."""
+    return {slot: slot % shards for slot in range(slots)}
 
 
-def rebalanced(where: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.01) -> dict[int, int]:
+def rebalanced(where: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.001) -> dict[int, int]:
     """The map edited for new sizes or more shards: slots leave the heaviest shard for the lightest
     until all are within ``tolerance`` of the mean or no single move helps; others stay."""
     where = dict(where)
@@ -90,28 +93,35 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        slot_of(F.col("doc_id").cast("long"), slots).alias("vslot"),
+        row_slot(slots).alias("vslot"),
     )
 
 
 def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """vslot, rows, bytes: at most ``slots`` rows."""
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + OVERHEAD
-    return docs.select(slot_of(F.col("doc_id").cast("long"), slots).alias("vslot"), size.cast("long").alias("size")).groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    return docs.select(row_slot(slots).alias("vslot"), size.cast("long").alias("size")).groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, where: dict[int, int] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version for each document.
 
     The law is ``bytes``: shards hold nearly equal sums of sizes. ``slot`` numbers the rows
     of a shard from 0 without a gap, by virtual slot and then doc_id; the numbers come from
-    the slots' row counts, so no shard is ever gathered in one task. Without ``where`` a
-    balanced map is built (version 1).
+    the slots' row counts, so no shard is ever gathered in one task. ``path`` is where the
+    map is stored, by default a new folder in the checkpoint folder: the latest version there
+    is edited for the present sizes and stored as the next one, if any slot moves.
     """
     spark = docs.sparkSession
     told = slot_bytes(docs, slots).collect()
-    if where is None:
-        where = balanced({r["vslot"]: r["bytes"] for r in told}, shards, slots)
+    if path is None:
+        path = f"{checkpoint_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+        save_map(spark, dealt_in_turn(shards, slots), path, 1)
+    old, version = load_map(spark, path)
+    edited = rebalanced(old, {r["vslot"]: r["bytes"] for r in told}, shards)
+    if edited != old:
+        save_map(spark, edited, path, version + 1)
+    where, version = load_map(spark, path)
     count = {r["vslot"]: r["rows"] for r in told}
     filled = [0] * shards
     placed = []
@@ -122,5 +132,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, where: dict
     order = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     numbered = sized(docs, slots).withColumn("place", F.row_number().over(order) - 1)
     return numbered.join(places, "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(1).alias("map_version")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version")
     )
