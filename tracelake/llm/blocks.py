@@ -65,6 +65,18 @@ def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * K4)
 
 
+def word_hashes(value: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The fingerprint of each ``value[data[start:end]]``, a block of bytes at a time; ranges don't overlap and are in order."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK_BYTES, "right")))
+        first = start[lo]
+        out[lo:hi] = range_hashes(value[data[first : end[hi - 1]]], start[lo:hi] - first, end[lo:hi] - first)
+        lo = hi
+    return out
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its n + 1 offsets; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -111,8 +123,7 @@ class Words:
             last[tails] = inside[tails]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        value = _BYTE_VALUE_LOWER if lower else _BYTE_VALUE
-        self.name = range_hashes(value[data], self.start, self.end)
+        self.name = word_hashes(_BYTE_VALUE_LOWER if lower else _BYTE_VALUE, data, self.start, self.end)
         #: words of row r are bounds[r] .. bounds[r + 1]
         self.bounds = np.searchsorted(self.doc, np.arange(self.rows + 1))
 

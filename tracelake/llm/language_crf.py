@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import K1, K2, K3, K4, blocks, mix, range_hashes, text_buffers
+from .blocks import K1, K2, K3, K4, blocks, mix, text_buffers, word_hashes
 from .graph import sampled
 
 SAMPLE_ROWS = 3000
@@ -74,7 +74,7 @@ class Letters:
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.rows = len(offsets) - 1
         self.bounds = np.searchsorted(self.row, np.arange(self.rows + 1))
-        self.name = range_hashes(_VALUE[self.data], self.start, self.end)
+        self.name = word_hashes(_VALUE, self.data, self.start, self.end)
 
 
 def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +188,13 @@ def train(texts: list[str], labels: list[str], rounds: int = 160, chains: int =
     field = Crf(langs, np.zeros((1 << TABLE_BITS, len(langs))), np.zeros((len(langs), len(langs))), lexicon)
     if not len(names) or len(langs) < 2:
         return field
-    word, cell = word_features(letters.data, letters.start[first], letters.end[first], names, lexicon)
-    bounds = np.searchsorted(word, np.arange(len(names) + 1))
+    cells_of, counts_of = [], []
+    for lo in range(0, len(names), WORDS_AT_ONCE):
+        own = first[lo : lo + WORDS_AT_ONCE]
+        word, cell = word_features(letters.data, letters.start[own], letters.end[own], names[lo : lo + WORDS_AT_ONCE], lexicon)
+        cells_of.append(cell.astype(np.int32))
+        counts_of.append(np.bincount(word, minlength=len(own)))
+    cell, bounds = np.concatenate(cells_of), np.concatenate([[0], np.cumsum(np.concatenate(counts_of))])
     share = 1.0 / np.maximum(np.diff(bounds), 1)
     label = np.array([number[x] for x in labels])
     count = np.diff(letters.bounds)
