@@ -168,3 +168,23 @@ def test_json_values_at_any_depth(spark):
     }
     assert {(r["path"], r["key"], r["value"]) for r in got if r["id"] == 1} == want
     assert sum(r["id"] == 2 for r in got) == 2000 and {r["id"] for r in got} == {1, 2}
+
+
+def test_adapters_by_name(spark):
+    from tracelake.sources import adapters
+
+    record = json.dumps({"type": "response_item", "payload": {"type": "function_call", "name": "run", "arguments": "{}"}})
+    told = adapters.adapter("rollout").events(spark.createDataFrame([("/a/rollout-x.jsonl", 0, record), ("/a/rollout-x.jsonl", 1, "bad")], "file string, ord int, value string")).collect()
+    assert [tuple(r) for r in told] == [("rollout-x", 0, "tool_call", "{}", "run")]
+    adapters.register(adapters.Adapter("mine", lambda records: records))
+    assert adapters.adapter("mine").lines is None and adapters.names() == ["mine", "project", "rollout"]
+
+
+def test_bounded_remap(spark):
+    told = one(spark, store.remapped_text(F.col("t"), "/a/b", "/c", True), t="/a/b /a/bc /a/b/d '/a/b'")
+    assert told == "/c /a/bc /c/d '/c'"
+
+
+def test_semantic_status(spark):
+    some = spark.createDataFrame([(1,)], "id int")
+    assert [recall.semantic_status(True, some), recall.semantic_status(True, some.where("id > 1")), recall.semantic_status(False, None)] == ["used", "unavailable", "off"]

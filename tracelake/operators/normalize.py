@@ -184,13 +184,55 @@ def canonical_events(messages: DataFrame) -> DataFrame:
     return told.select("session_id", (F.row_number().over(order) - 1).alias("seq"), kind.alias("type"), F.coalesce("b.text", "b.thinking", "b.content", "b.input", F.lit("")).alias("content"), F.col("b.name").alias("tool_name"))
 
 
-def native_lines(events: DataFrame, cwd: str = "/tmp", model: str = "unknown-model") -> DataFrame:
-    """session_id, n, line: a header and one JSON line an event, with fallbacks for missing fields."""
-    head = events.select("session_id").distinct().select("session_id", F.lit(0).alias("n"), F.to_json(F.struct(F.lit("header").alias("type"), F.col("session_id").alias("sessionId"), F.lit(cwd).alias("cwd"), F.lit("1.0.0").alias("version"))).alias("line"))
-    side = F.when(F.col("type") == "user", "user").otherwise("assistant")
-    block = F.when(F.col("type") == "thinking", F.struct(F.lit("thinking").alias("type"), F.lit(None).cast("string").alias("text"), F.col("content").alias("thinking"), F.lit(None).cast("string").alias("name")))
-    block = block.when(F.col("type") == "tool_call", F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("thinking"), F.coalesce("tool_name", F.lit("unknown")).alias("name")))
-    block = block.otherwise(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("string").alias("name")))
-    line = F.when(F.col("type") == "user", F.to_json(F.struct(side.alias("type"), F.col("session_id").alias("sessionId"), F.struct(F.lit("user").alias("role"), "content").alias("message"))))
-    line = line.otherwise(F.to_json(F.struct(side.alias("type"), F.col("session_id").alias("sessionId"), F.struct(F.lit("assistant").alias("role"), F.array(block).alias("content"), F.lit(model).alias("model")).alias("message"))))
-    return head.unionByName(events.select("session_id", (F.col("seq") + 1).alias("n"), line.alias("line")))
+def rollout_events(records: DataFrame) -> DataFrame:
+    """session_id, seq, type, content, tool_name of a rollout's items: messages, reasoning, tool calls and their results.
+
+    The session is the UUID at the end of the file's name, or else the name itself.
+    """
+    kind = field("payload.type")
+    item = records.where(field("type") == "response_item").where(kind.isin("message", "reasoning", "function_call", "function_call_output"))
+    parts = F.from_json(F.coalesce(field("payload.content"), field("payload.summary")), "array<struct<type:string,text:string>>")
+    plain = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x.isNotNull() & (x != "")), "\n")
+    role = mapped_role(field("payload.role"))
+    type_ = F.when(kind == "reasoning", "thinking").when(kind == "function_call", "tool_call").when(kind == "function_call_output", "tool_result").otherwise(role)
+    content = F.when(kind == "function_call", field("payload.arguments")).when(kind == "function_call_output", field("payload.output")).otherwise(plain)
+    stem = F.regexp_extract("file", r"([^/]*?)(?:\.jsonl)?$", 1)
+    uuid = F.regexp_extract(stem, r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$", 1)
+    told = item.select(F.when(uuid != "", uuid).otherwise(stem).alias("session_id"), "ord", type_.alias("type"), F.coalesce(content, F.lit("")).alias("content"), field("payload.name").alias("tool_name"))
+    told = told.where((F.trim("content") != "") | F.col("type").isin("tool_call", "tool_result"))
+    return told.withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("ord")) - 1).select("session_id", "seq", "type", "content", "tool_name")
+
+
+def events_summary(events: DataFrame) -> DataFrame:
+    """session_id, events, user_events, tool_calls, last_type: what a discovery of outside sessions reports."""
+    return events.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if(F.col("type") == "user").alias("user_events"), F.count_if(F.col("type") == "tool_call").alias("tool_calls"), F.max_by("type", "seq").alias("last_type"))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    packed = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("c")))
+    return F.substring(packed, F.lit(6), F.length(packed) - 6)
+
+
+def native_lines(events: DataFrame, cwd: str = "/tmp", model: str = "unknown-model", titles: DataFrame | None = None) -> DataFrame:
+    """session_id, n, line: a header, one JSON line an event and, for sessions that ``titles`` (session_id, title) names, a title line.
+
+    Tool calls keep their input, an object, or {} where it is none; results and system
+    messages become texts of the assistant that say what they are.
+    """
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    own = text('"sessionId":', quoted(F.col("session_id")), ',"cwd":', quoted(F.lit(cwd)))
+    head = events.select("session_id").distinct().select("session_id", F.lit(0).alias("n"), text('{"type":"header",', own, ',"version":"1.0.0"}').alias("line"))
+    kind, name = F.col("type"), F.coalesce("tool_name", F.lit("unknown"))
+    given = F.when(F.trim("content").startswith("{") & F.try_parse_json("content").isNotNull(), F.col("content")).otherwise("{}")
+    said = lambda t: text('{"type":"text","text":', quoted(t), "}")
+    block = F.when(kind == "thinking", text('{"type":"thinking","thinking":', quoted(F.col("content")), "}"))
+    block = block.when(kind == "tool_call", text('{"type":"tool_use","id":"tool_', F.col("seq").cast("string"), '","name":', quoted(name), ',"input":', given, "}"))
+    block = block.when(kind == "tool_result", said(F.concat(F.lit("[Tool: "), name, F.lit("]\n"), "content"))).when(kind == "system", said(F.concat(F.lit("[System context]\n"), "content"))).otherwise(said(F.col("content")))
+    line = F.when(kind == "user", text('{"type":"user",', own, ',"message":{"role":"user","content":', quoted(F.col("content")), "}}"))
+    line = line.otherwise(text('{"type":"assistant",', own, ',"message":{"role":"assistant","content":[', block, '],"model":', quoted(F.lit(model)), "}}"))
+    out = head.unionByName(events.select("session_id", (F.col("seq") + 1).alias("n"), line.alias("line")))
+    if titles is None:
+        return out
+    last = events.groupBy("session_id").agg((F.max("seq") + 2).alias("n")).join(titles, "session_id").where("title <> ''")
+    return out.unionByName(last.select("session_id", "n", text('{"type":"custom-title","customTitle":', quoted(F.col("title")), ",", own, "}").alias("line")))

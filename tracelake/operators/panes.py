@@ -59,9 +59,21 @@ def project_of(path: Column, session: Column, prefix: str) -> tuple[Column, Colu
     return found, F.when(slug != "", slug).otherwise("unknown")
 
 
-def sorted_by_status(panes: DataFrame) -> DataFrame:
+def status_order() -> list[Column]:
     rank = F.when(F.col("status") == "needs_attention", 0).when(F.col("status") == "active", 1).when(F.col("status") == "idle", 2).otherwise(3)
-    return panes.orderBy(rank, "session", "window_index", "pane_index")
+    return [rank, F.col("session"), F.col("window_index"), F.col("pane_index")]
+
+
+def sorted_by_status(panes: DataFrame) -> DataFrame:
+    return panes.orderBy(*status_order())
+
+
+def listing(panes: DataFrame, machines: list[str] | None = None, status: str | None = None, project: str | None = None) -> DataFrame:
+    """Panes of the given machines, status and project, with ``pos``: their order on the machine."""
+    told = panes if machines is None else panes.where(F.col("machine").isin(*machines))
+    told = told if status is None else told.where(F.col("status") == status)
+    told = told if project is None else told.where(F.col("slug") == project)
+    return told.withColumn("pos", F.row_number().over(W.partitionBy("machine").orderBy(*status_order())))
 
 
 def crash_candidates(panes: DataFrame, healthy: str = "agent", shells: list[str] = CRASHED) -> DataFrame:

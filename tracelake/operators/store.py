@@ -6,10 +6,14 @@ a new version. Keys are joined, never collected.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import resolve_identifiers
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
     """``old`` with ``new`` merged by natural key; of a known row the ``kept`` columns stay, other values that are not null win."""
@@ -70,6 +74,25 @@ def renamed(sessions: DataFrame, titles: DataFrame) -> DataFrame:
     return sessions.join(titles.select("id", F.col("title").alias("_title")), "id", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
 
 
+def renamed_by(sessions: DataFrame, titles: DataFrame) -> DataFrame:
+    """New titles by identifier (id, source:id, or a prefix); an identifier that names several sessions, or none, changes nothing."""
+    told = resolve_identifiers(sessions, titles.select("identifier")).where("status = 'unique'").select("identifier", F.col("candidates").alias("id"))
+    return renamed(sessions, told.join(titles, "identifier").groupBy("id").agg(F.min("title").alias("title")))
+
+
+def remapped_text(text: Column, old: str, new: str, bounded: bool) -> Column:
+    """``text`` with ``old`` replaced everywhere or, if ``bounded``, only where a path ends or goes on to a child."""
+    if not bounded:
+        return F.replace(text, F.lit(old), F.lit(new))
+    return F.regexp_replace(text, re.escape(old) + r"(?=$|[/\s\"'])", new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def matching_folders(folders: DataFrame, path: str) -> DataFrame:
+    """Rows whose ``folder`` is the encoded path or a child of it."""
+    encoded = path.replace("/", "-")
+    return folders.where((F.col("folder") == encoded) | F.col("folder").startswith(encoded + "-"))
+
+
 def moved(path: Column, old: str, new: str) -> Column:
     """``path`` with the prefix ``old`` replaced, only where it ends at a boundary."""
     return F.when((path == old) | path.startswith(old + "/"), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 20))).otherwise(path)
@@ -99,6 +122,30 @@ def latest_state(states: DataFrame) -> DataFrame:
     return states.groupBy("source", "path").agg(F.max_by(F.struct("mtime", "size", "status"), F.struct("ingested_at", "run")).alias("s")).select("source", "path", "s.*")
 
 
+def state_upserted(state: DataFrame, new: DataFrame) -> DataFrame:
+    """source, path, mtime, size, status, message, run: the state with a later one of each file in place of its old one."""
+    told = state.unionByName(new)
+    last = F.max_by(F.struct("mtime", "size", "status", "message", "run"), "run")
+    return told.groupBy("source", "path").agg(last.alias("s")).select("source", "path", "s.*")
+
+
+def deferred(before: DataFrame, after: DataFrame, parsed: DataFrame) -> DataFrame:
+    """source, path, mtime, size, status, message of files that were read between two snapshots.
+
+    ``parsed`` (source, path, incomplete, error) tells how reading went. An error is kept with
+    its message; a file that vanished, ends in an unfinished record or changed meanwhile is
+    pending; only ``ok`` files may be merged, and none holds up the others.
+    """
+    keys = ["source", "path"]
+    told = before.select(*keys, "mtime", "size").join(after.select(*keys, F.col("mtime").alias("_mtime"), F.col("size").alias("_size")), keys, "left").join(parsed, keys)
+    gone = F.col("_mtime").isNull()
+    message = F.when(F.col("error").isNotNull(), F.col("error")).when(gone, "file vanished after parsing").when(F.col("incomplete"), "incomplete trailing record")
+    message = message.when(~(F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))), "file changed during parsing")
+    status = F.when(F.col("error").isNotNull(), "error").when(message.isNotNull(), "pending").otherwise("ok")
+    own = F.col("error").isNotNull() | gone
+    return told.select(*keys, F.when(own, F.col("mtime")).otherwise(F.col("_mtime")).alias("mtime"), F.when(own, F.col("size")).otherwise(F.col("_size")).alias("size"), status.alias("status"), message.alias("message"))
+
+
 def watch_status(files: DataFrame, state: DataFrame) -> DataFrame:
     """source, ok, pending, errors, newest_pending for each source."""
     told = file_gate(files, state).join(files, ["source", "path"]).join(state.select("source", "path", "status"), ["source", "path"], "left")
@@ -170,6 +217,28 @@ def checkpoint_view(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key").agg(F.max_by("state", "run").alias("state"), F.max("run").alias("run"), F.count("*").alias("versions"))
 
 
+def stale(fresh: DataFrame, chosen: DataFrame, provenance: list[str]) -> DataFrame:
+    """key, stale: entries whose provenance is no longer what the inventory said when they were chosen, or that are gone."""
+    joined = chosen.alias("c").join(fresh.alias("f"), "key", "left")
+    same = F.lit(True)
+    for column in provenance:
+        same = same & F.col(f"f.{column}").eqNullSafe(F.col(f"c.{column}"))
+    return joined.select("key", (~same).alias("stale"))
+
+
+def readable(runs: DataFrame, version: int) -> DataFrame:
+    """Checkpoint rows (key, state, run, version, digest); completed ones of another version count as skipped, without digest."""
+    old = (F.col("version") != version) & (F.col("state") == "completed")
+    note = F.when(old, F.concat(F.lit("unsupported checkpoint version "), F.col("version").cast("string")))
+    return runs.where((F.col("version") == version) | old).select("key", F.when(old, "skipped").otherwise(F.col("state")).alias("state"), "run", F.when(~old, F.col("digest")).alias("digest"), note.alias("note"))
+
+
+def checkpoint_written(runs: DataFrame, results: DataFrame, version: int) -> DataFrame:
+    """The checkpoint's rows with those of one more run; the last run of a key counts (``checkpoint_view``)."""
+    run = F.broadcast(runs.agg((F.coalesce(F.max("run"), F.lit(0)) + 1).alias("run")))
+    return runs.unionByName(results.crossJoin(run).select("key", "state", "run", F.lit(version).alias("version"), "digest"))
+
+
 def not_found(known: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(files.select("key"), "key", "left_anti")
 

@@ -61,11 +61,39 @@ def canonical_events(spark, sf_dir):
     return N.canonical_events(told).select("session_id", "seq", "type", "content")
 
 
-@register("native_jsonl_lines", "SELECT session_id, count(*) AS lines, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS headers FROM (SELECT 's' || conv_id AS session_id, 1 AS n FROM conversations UNION ALL SELECT 's' || conv_id, 1 FROM conversations WHERE role = 'assistant' UNION ALL SELECT DISTINCT 's' || conv_id, 0 FROM conversations) GROUP BY session_id")
+_EVENTS = "ev AS (SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n, type, content FROM (SELECT conv_id, turn, 0 AS k, role AS type, text AS content FROM conversations UNION ALL SELECT conv_id, turn, 1, 'tool_call:Tool' || turn % 3, '{\"n\":' || turn || '}' FROM conversations WHERE role = 'assistant'))"
+_OWN = """'"sessionId":"s' || conv_id || '","cwd":"/tmp"'"""
+
+
+@register("native_jsonl_lines", """WITH {_EVENTS} SELECT session_id, CAST(n AS INTEGER) AS n, CASE WHEN type = 'user' THEN '{"type":"user",' || {_OWN} || ',"message":{"role":"user","content":' || to_json(content) || '}}' ELSE '{"type":"assistant",' || {_OWN} || ',"message":{"role":"assistant","content":[' ||
+    CASE WHEN starts_with(type, 'tool_call') THEN '{"type":"tool_use","id":"tool_' || (n - 1) || '","name":"' || substr(type, 11) || '","input":' || content || '}' WHEN type = 'system' THEN '{"type":"text","text":' || to_json('[System context]' || chr(10) || content) || '}' ELSE '{"type":"text","text":' || to_json(content) || '}' END || '],"model":"unknown-model"}}' END AS line FROM ev
+    UNION ALL SELECT DISTINCT session_id, 0, '{"type":"header",' || {_OWN} || ',"version":"1.0.0"}' FROM ev
+    UNION ALL SELECT session_id, CAST(max(n) + 1 AS INTEGER), '{"type":"custom-title","customTitle":"Title ' || conv_id || '",' || {_OWN} || '}' FROM ev WHERE conv_id % 3 = 0 GROUP BY session_id, conv_id""".replace("{_EVENTS}", _EVENTS).replace("{_OWN}", _OWN))
 def native_jsonl_lines(spark, sf_dir):
-    told = N.native_lines(N.canonical_events(N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id")))
-    valid = told.where(F.try_parse_json("line").isNotNull())
-    return valid.groupBy("session_id").agg(F.count("*").alias("lines"), F.count_if(F.get_json_object("line", "$.type") == "header").alias("headers"))
+    events = N.canonical_events(N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id"))
+    titles = V.table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.concat(F.lit("Title "), F.col("conv_id").cast("string")).alias("title")).distinct()
+    return N.native_lines(events, titles=titles)
+
+
+@register("external_summary", f"WITH {_EVENTS} SELECT session_id, count(*) AS events, count(*) FILTER (type = 'user') AS user_events, count(*) FILTER (starts_with(type, 'tool_call')) AS tool_calls, regexp_replace(arg_max(type, n), ':.*', '') AS last_type FROM ev GROUP BY session_id")
+def external_summary(spark, sf_dir):
+    return N.events_summary(N.canonical_events(N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id")))
+
+
+_ROLLOUT = "0a1b2c3d-0000-4000-8000-"
+
+
+@register("rollout_events", "SELECT '{_ROLLOUT}' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CASE turn % 5 WHEN 4 THEN 'thinking' WHEN 3 THEN 'tool_result' WHEN 2 THEN 'tool_call' ELSE role END AS type, CASE turn % 5 WHEN 2 THEN '{\"t\":' || turn || '}' ELSE text END AS content, CASE WHEN turn % 5 = 2 THEN 'run' END AS tool_name FROM conversations WHERE trim(text) <> '' OR turn % 5 IN (2, 3)".replace("{_ROLLOUT}", _ROLLOUT))
+def rollout_events(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    k, none = F.col("turn") % 5, F.lit(None).cast("string")
+    kind = F.when(k == 4, "reasoning").when(k == 3, "function_call_output").when(k == 2, "function_call").otherwise("message")
+    role = F.when(k < 2, F.when(F.col("role") == "system", "developer").otherwise(F.col("role")))
+    content = F.when(k.isin(0, 1, 4), F.array(F.struct(F.lit("input_text").alias("type"), F.col("text").alias("text"))))
+    arguments = F.when(k == 2, F.concat(F.lit('{"t":'), F.col("turn").cast("string"), F.lit("}")))
+    payload = F.struct(kind.alias("type"), role.alias("role"), content.alias("content"), F.when(k == 2, F.lit("run")).otherwise(none).alias("name"), arguments.alias("arguments"), F.when(k == 3, F.col("text")).alias("output"))
+    file = F.concat(F.lit("/x/2024/05/06/rollout-2024-05-06T07-08-09-" + _ROLLOUT), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".jsonl"))
+    return N.rollout_events(c.select(file.alias("file"), F.col("turn").alias("ord"), F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))).alias("value")))
 
 
 @register("rollout_records_parse", "SELECT 'r' || conv_id AS file, CASE WHEN turn % 5 = 4 THEN 'thinking' WHEN role = 'system' THEN 'system' ELSE role END AS role, trim(text) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num FROM conversations WHERE trim(text) <> '' AND turn % 7 <> 6")

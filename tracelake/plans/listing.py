@@ -145,15 +145,19 @@ _WANTED = """wanted AS (SELECT DISTINCT identifier, trim(identifier) AS want FRO
   told AS (SELECT h.identifier, CAST(h.level AS INTEGER) AS level, count(*) AS matches, array_to_string(list_slice(list_sort(list(DISTINCT id)), 1, 6), ',') AS candidates FROM hits h JOIN best b ON b.identifier = h.identifier AND b.level = h.level GROUP BY h.identifier, h.level)"""
 
 
-@register(
-    "resolve_identifier",
-    with_views("SELECT w.identifier, CASE WHEN w.want = '' THEN 'invalid' WHEN t.matches IS NULL THEN 'missing' WHEN t.matches > 1 THEN 'ambiguous' ELSE 'unique' END AS status, t.level, coalesce(t.matches, 0) AS matches, coalesce(t.candidates, '') AS candidates FROM wanted w LEFT JOIN told t ON t.identifier = w.identifier", "v_sessions", ctes=_WANTED),
-)
-def resolve_identifier(spark, sf_dir):
+def wanted_identifiers(spark, sf_dir):
     s = V.sessions(spark, sf_dir)
     n = F.col("id").cast("bigint")
     asked = [s.where(n % 7 == 0).select(F.col("id").alias("identifier")), s.where(n % 5 == 0).select(F.concat_ws(":", "source", "source_id")), s.where(n % 3 == 0).select(F.concat_ws(":", "source", F.left("source_id", F.lit(2)))), s.where(n % 11 == 0).select("source_id")]
     wanted = asked[0]
     for more in [*asked[1:], spark.sql("SELECT explode(array('s1', 'nothing', ' '))")]:
         wanted = wanted.union(more)
-    return S.resolve_identifiers(s, wanted)
+    return wanted
+
+
+@register(
+    "resolve_identifier",
+    with_views("SELECT w.identifier, CASE WHEN w.want = '' THEN 'invalid' WHEN t.matches IS NULL THEN 'missing' WHEN t.matches > 1 THEN 'ambiguous' ELSE 'unique' END AS status, t.level, coalesce(t.matches, 0) AS matches, coalesce(t.candidates, '') AS candidates FROM wanted w LEFT JOIN told t ON t.identifier = w.identifier", "v_sessions", ctes=_WANTED),
+)
+def resolve_identifier(spark, sf_dir):
+    return S.resolve_identifiers(V.sessions(spark, sf_dir), wanted_identifiers(spark, sf_dir))

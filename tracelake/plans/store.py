@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import panes as P
 from ..operators import store as O
 from . import views as V
+from .listing import _WANTED, wanted_identifiers
 from .registry import register
 from .views import with_views
 
@@ -113,7 +115,25 @@ def relocate_paths(spark, sf_dir):
 
 @register("remap_prefix", with_views("SELECT id, replace(content, ' la ', ' LA ') AS content FROM v_messages", "v_messages"))
 def remap_prefix(spark, sf_dir):
-    return V.messages(spark, sf_dir).select("id", F.replace("content", F.lit(" la "), F.lit(" LA ")).alias("content"))
+    return V.messages(spark, sf_dir).select("id", O.remapped_text(F.col("content"), " la ", " LA ", False).alias("content"))
+
+
+@register("remap_bounded", """SELECT doc_id, replace(replace(replace('{"cwd":"/w/src1","a":"/w/src1/x","b":"/w/src10","c":"/w/' || source || '"}', '/w/src1"', '/home/$1"'), '/w/src1/', '/home/$1/'), '/w/src1 ', '/home/$1 ') AS text FROM documents""")
+def remap_bounded(spark, sf_dir):
+    text = F.concat(F.lit('{"cwd":"/w/src1","a":"/w/src1/x","b":"/w/src10","c":"/w/'), F.col("source"), F.lit('"}'))
+    return V.table(spark, sf_dir, "documents").select("doc_id", O.remapped_text(text, "/w/src1", "/home/$1", True).alias("text"))
+
+
+@register("matching_folders", "SELECT doc_id, folder FROM (SELECT doc_id, '-w-' || source || CASE WHEN doc_id % 3 = 0 THEN '-sub' ELSE '' END AS folder FROM documents) WHERE folder = '-w-src1' OR starts_with(folder, '-w-src1-')")
+def matching_folders(spark, sf_dir):
+    folder = F.concat(F.lit("-w-"), F.col("source"), F.when(F.col("doc_id") % 3 == 0, "-sub").otherwise(""))
+    return O.matching_folders(V.table(spark, sf_dir, "documents").select("doc_id", folder.alias("folder")), "/w/src1")
+
+
+@register("rename_by_identifier", with_views("SELECT s.id, coalesce(t.title, s.title) AS title FROM v_sessions s LEFT JOIN (SELECT candidates AS id, min('New ' || identifier) AS title FROM told WHERE matches = 1 GROUP BY candidates) t ON t.id = s.id", "v_sessions", ctes=_WANTED))
+def rename_by_identifier(spark, sf_dir):
+    titles = wanted_identifiers(spark, sf_dir).select("identifier", F.concat(F.lit("New "), "identifier").alias("title"))
+    return O.renamed_by(V.sessions(spark, sf_dir), titles).select("id", "title")
 
 
 def _files(spark, sf_dir):
@@ -220,3 +240,51 @@ def backfill_verify(spark, sf_dir):
 def sync_plan(spark, sf_dir):
     k = F.col("session_id").cast("bigint") % 10
     return O.sync_plan(V.sessions(spark, sf_dir), V.messages(spark, sf_dir).where((k != 3) & ((k != 4) | (F.col("sequence_num") > 0))))
+
+
+_READ = """b AS (SELECT event_type AS source, 'p' || event_id AS path, event_id AS k, event_id % 97 AS mtime, event_id % 13 AS size FROM events),
+    told AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'bad record' WHEN k % 17 = 0 THEN 'file vanished after parsing' WHEN k % 23 = 0 THEN 'incomplete trailing record' WHEN k % 19 = 0 THEN 'file changed during parsing' END AS message FROM b),
+    state AS (SELECT source, path, CASE WHEN k % 29 <> 0 AND k % 17 <> 0 AND k % 19 = 0 THEN mtime + 1 ELSE mtime END AS mtime, size, CASE WHEN k % 29 = 0 THEN 'error' WHEN message IS NOT NULL THEN 'pending' ELSE 'ok' END AS status, message FROM told)"""
+
+
+def _read(spark, sf_dir):
+    k = F.col("event_id")
+    e = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("p"), k.cast("string")).alias("path"), k.alias("k"), (k % 97).alias("mtime"), (k % 13).alias("size"))
+    after = e.where("k % 17 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("k") % 19 == 0, 1).otherwise(0))
+    return O.deferred(e, after, e.select("source", "path", (F.col("k") % 23 == 0).alias("incomplete"), F.when(F.col("k") % 29 == 0, "bad record").alias("error")))
+
+
+@register("file_deferral", f"WITH {_READ} SELECT source, path, mtime, size, status, message FROM state")
+def file_deferral(spark, sf_dir):
+    return _read(spark, sf_dir)
+
+
+@register("file_state_upsert", f"WITH {_READ} SELECT source, path, mtime, size, status, message, 2 AS run FROM state WHERE status <> 'ok' UNION ALL SELECT source, path, mtime, size, 'pending', 'new', 1 FROM b WHERE path NOT IN (SELECT path FROM state WHERE status <> 'ok')")
+def file_state_upsert(spark, sf_dir):
+    old = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), (F.col("event_id") % 97).alias("mtime"), (F.col("event_id") % 13).alias("size"), F.lit("pending").alias("status"), F.lit("new").alias("message"), F.lit(1).alias("run"))
+    return O.state_upserted(old, _read(spark, sf_dir).where("status <> 'ok'").withColumn("run", F.lit(2)))
+
+
+@register("backfill_staleness", f"WITH {_INVENTORY} SELECT key, (right(path, 1) = '3' OR right(path, 1) = '4') AS stale FROM inv WHERE duplicate_of IS NULL AND error IS NULL")
+def backfill_staleness(spark, sf_dir):
+    """Entries whose content changed (paths that end in 3) or that vanished (4) since the inventory."""
+    chosen = O.selected(_inventory(spark, sf_dir))
+    fresh = chosen.where(~F.col("path").endswith("4")).withColumn("digest", F.when(F.col("path").endswith("3"), "other").otherwise(F.col("digest")))
+    return O.stale(fresh, chosen, ["path", "bytes", "digest"])
+
+
+@register("backfill_checkpoint_write", "SELECT o_custkey AS key, CASE WHEN o_custkey % 2 = 0 THEN 'completed' WHEN arg_max(o_orderkey % 3, o_orderkey) = 0 THEN 'skipped' ELSE 'completed' END AS state, CASE WHEN o_custkey % 2 = 0 THEN max(max(o_orderkey)) OVER () + 1 ELSE max(o_orderkey) END AS run FROM orders GROUP BY o_custkey")
+def backfill_checkpoint_write(spark, sf_dir):
+    """A checkpoint with rows of an old version, and one more run over every second key."""
+    key = F.col("o_orderkey")
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.lit("completed").alias("state"), key.alias("run"), F.when(key % 3 == 0, 1).otherwise(2).alias("version"), key.cast("string").alias("digest"))
+    done = o.select("key").distinct().where("key % 2 = 0").select("key", F.lit("completed").alias("state"), F.lit("new").alias("digest"))
+    return O.checkpoint_view(O.readable(O.checkpoint_written(o, done, 2), 2)).select("key", "state", "run")
+
+
+@register("pane_listing", "SELECT event_id, machine, pos FROM (SELECT event_id, 'm' || user_id % 3 AS machine, row_number() OVER (PARTITION BY user_id % 3 ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, 'box-' || user_id % 9, user_id % 4, event_id) AS pos FROM events WHERE event_type <> 'signup')")
+def pane_listing(spark, sf_dir):
+    u = F.col("user_id")
+    status = F.when(F.col("event_type") == "click", "needs_attention").when(F.col("event_type") == "view", "active").when(F.col("event_type") == "purchase", "idle").otherwise("dead")
+    told = V.table(spark, sf_dir, "events").where("event_type <> 'signup'").select("event_id", F.concat(F.lit("m"), (u % 3).cast("string")).alias("machine"), status.alias("status"), F.concat(F.lit("box-"), (u % 9).cast("string")).alias("session"), (u % 4).alias("window_index"), F.col("event_id").alias("pane_index"))
+    return P.listing(told).select("event_id", "machine", "pos")
