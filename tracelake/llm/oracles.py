@@ -38,4 +38,34 @@ OP7 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WO
   k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY doc_id)
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op2_ngram_jaccard_join": OP2, "op2_ngram_jaccard_links": OP2_LINKS, "op5_embedding_near_dedup": OP5, "op7_substring_dedup": OP7}
+#: The table of CRC-32 by its rule, eight halvings of each of the 256 bytes.
+_CRC = "SELECT i, i AS c FROM range(256) AS r(i)"
+for _ in range(8):
+    _CRC = f"SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM ({_CRC})"
+_BARE = "[^\\x20\\x09-\\x0D]"
+
+#: Edits row by row: of the ways to reach each state of the pattern, the cheapest and then ASCII-least edits stay.
+OP12 = f"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS crc FROM ({_CRC})),
+  raw AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+  fated AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fate FROM raw, crc),
+  hurt AS (SELECT g, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM fated, range(CASE WHEN fate = 3 THEN 2 ELSE 1 END) WHERE fate <> 0),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+  rows_ AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '{_BARE}') THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_extract(text, '({_BARE})[\\x20\\x09-\\x0D]*$', 1) IN ('.', '!', '?') THEN 't' ELSE 'f' END AS kind FROM numbered),
+  steps AS (FROM (VALUES ('o', 's', 's'), ('o', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')) AS x("at", initial, into_)),
+  paths AS (FROM (VALUES ('o', '', 'o', 0, []), ('o', 'I', 'u', 5, ['user:']), ('o', 'II', 'a', 10, ['user:', 'assistant:']), ('s', '', 's', 0, []), ('s', 'I', 'u', 5, ['user:']), ('s', 'II', 'a', 10, ['user:', 'assistant:']), ('u', '', 'u', 0, []), ('u', 'I', 'a', 5, ['assistant:']), ('a', '', 'a', 0, []), ('a', 'I', 'u', 5, ['user:'])) AS x(state, letters, "at", cost, given)),
+  moves AS (SELECT state, letters || 'D' AS letters, 'D' AS letter, NULL AS initial, "at" AS into_, cost + 2 AS cost, given FROM paths
+    UNION ALL SELECT state, letters || 'K', 'K', initial, into_, cost, given FROM paths JOIN steps USING ("at")
+    UNION ALL SELECT state, letters || 'R', 'R', initial, into_, cost + 1, given FROM paths JOIN steps USING ("at") WHERE initial <> 's'),
+  walk AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, 'o' AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM raw
+    UNION ALL SELECT g, i, state, cost, audit, said FROM (SELECT w.g, r.i, m.into_ AS state, w.cost + m.cost + CASE WHEN r.kind = 't' AND m.letter <> 'D' THEN 5 ELSE 0 END AS cost, w.audit || m.letters AS audit,
+      list_concat(list_concat(w.said, m.given), CASE m.letter WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] END) AS said,
+      row_number() OVER (PARTITION BY w.g, m.into_ ORDER BY w.cost + m.cost + CASE WHEN r.kind = 't' AND m.letter <> 'D' THEN 5 ELSE 0 END, w.audit || m.letters) AS n
+      FROM walk w JOIN rows_ r ON r.g = w.g AND r.i = w.i + 1 JOIN moves m ON m.state = w.state AND (m.letter = 'D' OR r.kind NOT IN ('b', 'd') AND (m.letter = 'R' OR m.initial = r.initial))) WHERE n = 1),
+  ends AS (SELECT w.g, w.cost + p.cost AS cost, w.audit || p.letters AS audit, list_concat(w.said, p.given) AS said FROM walk w JOIN (SELECT g, max(i) AS i FROM walk GROUP BY g) USING (g, i) JOIN paths p ON p.state = w.state AND p."at" IN ('o', 'a')),
+  best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, audit) = 1),
+  pairs AS (SELECT g, kind, turn, lag(initial) OVER (PARTITION BY g ORDER BY i) || initial AS pair FROM rows_),
+  counts AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'b') AS blank, count(*) FILTER (kind = 'd') AS duplicate, count(*) FILTER (kind = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY g)
+  SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+  FROM (SELECT DISTINCT g, conv_id FROM raw) o JOIN best USING (g) LEFT JOIN counts USING (g)"""
+
+ORACLES = {"op2_ngram_jaccard_join": OP2, "op2_ngram_jaccard_links": OP2_LINKS, "op5_embedding_near_dedup": OP5, "op7_substring_dedup": OP7, "op12_conversation_repair": OP12}

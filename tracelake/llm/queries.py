@@ -10,8 +10,10 @@ import corpus_pipeline
 
 from .bilinear_lm import lm_scores
 from .column_bwt import suffix_dedup
+from .conversation_repair import conversation_repair
 from .cross_polytope import near_vectors
 from .language_crf import language_id
+from .license_scan import license_labels
 from .mixing import EQUAL, mix_rates
 from .ngram_join import ngram_join
 from .oracles import ORACLES  # noqa: F401
@@ -19,6 +21,7 @@ from .recompression import substring_dedup
 from .sentencepiece_arrays import encode
 from .sharding import shard
 from .telephony import media_columns
+from .whitening import embedding_whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +72,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 
