@@ -17,7 +17,7 @@ def one(spark, column, **values):
 
 
 def test_tokens_split_on_underscore(spark):
-    assert one(spark, T.tokens("t"), t="Foo_bar, b-2 Été") == ["foo", "bar", "b", "2", "été"]
+    assert one(spark, T.tokens("t"), t="Foo_bar, b-2 Été") == ["foo", "bar", "b", "2", "ete"]
 
 
 def test_titles(spark):
@@ -40,9 +40,9 @@ def test_paths_and_commits(spark):
 
 def test_dense_session_does_not_hide_others(spark):
     messages = spark.createDataFrame([(f"m{i}", "dense", "needle needle") for i in range(20)] + [("x", "other", "needle and much other text")], "id string, session_id string, content string")
-    sessions = spark.createDataFrame([("dense", "a", "2024"), ("other", "b", "2023")], "id string, title string, started_at string")
+    transcripts = spark.createDataFrame([("dense", "a", "2024"), ("other", "b", "2023")], "id string, title string, started_at string")
     asked = spark.createDataFrame([(1, "needle")], "query_id int, query string")
-    hits = search.search_messages(messages, sessions, asked, 2).collect()
+    hits = search.search_messages(messages, transcripts, asked, 2).collect()
     assert sorted(r["session_id"] for r in hits) == ["dense", "other"]
 
 
@@ -71,13 +71,13 @@ def test_query_variants(spark):
     assert told == [(1, "original", "find the Parser bug in src/a.ts"), (1, "terms", "parser bug src/a.ts"), (1, "term:parser", "parser"), (1, "term:bug", "bug"), (1, "term:src/a.ts", "src/a.ts")]
 
 
-def test_vague_question_gets_recent_sessions(spark):
-    sessions = spark.createDataFrame([("1", "p", "t", "n", "/n", "m", "2024"), ("2", "p", "t", "n", "/n", "m", "2025")], "id string, source string, title string, project_name string, project_path string, model string, started_at string")
+def test_vague_question_gets_recent_transcripts(spark):
+    transcripts = spark.createDataFrame([("1", "p", "t", "n", "/n", "m", "2024"), ("2", "p", "t", "n", "/n", "m", "2025")], "id string, source string, title string, project_name string, project_path string, model string, started_at string")
     messages = spark.createDataFrame([], "id string, session_id string, content string")
     calls = spark.createDataFrame([], "id string, session_id string, tool_name string, tool_input string, tool_output string")
     asked = spark.createDataFrame([(1, "resume this")], "query_id int, query string")
-    signals = recall.recall_signals(messages, sessions, calls, asked)
-    assert [r["session_id"] for r in recall.recall(signals, sessions).orderBy("rank").collect()] == ["2", "1"]
+    signals = recall.recall_signals(messages, transcripts, calls, asked)
+    assert [r["session_id"] for r in recall.recall(signals, transcripts).orderBy("rank").collect()] == ["2", "1"]
 
 
 def test_preferred_snapshot_ignores_order(spark):
@@ -110,7 +110,7 @@ def test_pane_status(spark):
     assert [r["status"] for r in told] == ["active", "idle", "dead", "needs_attention"]
 
 
-def test_files_to_sessions(spark, tmp_path):
+def test_files_to_transcripts(spark, tmp_path):
     folder = tmp_path / "projects" / "-w-p"
     folder.mkdir(parents=True)
     message = lambda role, text, ts, **more: json.dumps({"type": role, "uuid": "u1", "cwd": "/w/p", "timestamp": ts, "message": {"role": role, "content": text, "model": "m", "usage": {"input_tokens": 3}} | more})
@@ -123,7 +123,7 @@ def test_files_to_sessions(spark, tmp_path):
     messages = normalize.project_messages(records)
     told = messages.orderBy("ord").collect()
     assert [(r["content"], r["source_id"]) for r in told] == [("hello  there", "u1"), ("hi", "u1:1")]
-    session = normalize.project_sessions(records, messages).first()
+    session = normalize.project_transcripts(records, messages).first()
     assert (session["title"], session["started_at"], session["ended_at"], session["project_name"], session["total_input_tokens"]) == ("hello there", "2024-01-02", "2024-01-01", "p", 6)
     assert normalize.tool_uses(messages).first()["tool_name"] == "Bash"
 
@@ -143,11 +143,11 @@ def test_store_facade(spark, tmp_path):
     store_ = SessionStore(spark, str(tmp_path / "store"))
     rows = [("a", "project", "n1", "first", "/w/p", "2024-01-01"), ("b", "project", "n2", "second", "/w/p", "2024-01-02")]
     columns = "id string, source string, source_id string, title string, project_path string, started_at string"
-    store_.save("sessions", spark.createDataFrame(rows, columns))
-    store_.upsert_sessions(spark.createDataFrame([("c", "project", "n1", "renamed", None, "2024-01-03")], columns))
-    assert {(r["id"], r["title"], r["project_path"]) for r in store_.table("sessions").collect()} == {("a", "renamed", "/w/p"), ("b", "second", "/w/p")}
+    store_.save("transcripts", spark.createDataFrame(rows, columns))
+    store_.upsert_transcripts(spark.createDataFrame([("c", "project", "n1", "renamed", None, "2024-01-03")], columns))
+    assert {(r["id"], r["title"], r["project_path"]) for r in store_.table("transcripts").collect()} == {("a", "renamed", "/w/p"), ("b", "second", "/w/p")}
     store_.save("messages", spark.createDataFrame([("m", "a", 0), ("n", "b", 0)], "id string, session_id string, sequence_num int"))
-    store_.delete_sessions(spark.createDataFrame([("a",)], "session_id string"))
+    store_.delete_transcripts(spark.createDataFrame([("a",)], "session_id string"))
     assert [r["id"] for r in store_.recent(5).collect()] == ["b"] and store_.table("messages").count() == 1
 
 
@@ -188,3 +188,70 @@ def test_bounded_remap(spark):
 def test_semantic_status(spark):
     some = spark.createDataFrame([(1,)], "id int")
     assert [recall.semantic_status(True, some), recall.semantic_status(True, some.where("id > 1")), recall.semantic_status(False, None)] == ["used", "unavailable", "off"]
+
+
+def test_marks_fold_on_latin_letters_only(spark):
+    assert one(spark, T.tokens("t"), t="Café CAFÉ naïve Ångström й ẤẦ") == ["cafe", "cafe", "naive", "angstrom", "й", "ấầ"]
+    messages = spark.createDataFrame([("m1", "s", "Un Café noir"), ("m2", "t", "no coffee")], "id string, session_id string, content string")
+    transcripts = spark.createDataFrame([("s", "a", "2024"), ("t", "b", "2023")], "id string, title string, started_at string")
+    hits = search.search_messages(messages, transcripts, spark.createDataFrame([(1, "cafe"), (2, "NOIR café")], "query_id int, query string")).collect()
+    assert [(r["query_id"], r["doc"], r["snippet"]) for r in sorted(hits, key=lambda r: r["query_id"])] == [(1, "m1", "Un [Café] noir"), (2, "m1", "Un [Café] [noir]")]
+
+
+def snippet_of(spark, text, *phrases):
+    from tracelake.functions.snippet import snippet
+
+    return spark.createDataFrame([(text, [p.split() for p in phrases])], "t string, p array<array<string>>").select(snippet("t", "p")).first()[0]
+
+
+def test_snippet_shows_the_window_with_most_phrases(spark):
+    words = [f"w{k}" for k in range(60)]
+    words[2], words[40], words[42], words[43] = "one", "one", "two", "three"
+    said = snippet_of(spark, " ".join(words), "one", "two", "three")
+    assert said == "…w36 w37 w38 w39 [one] w41 [two] [three] w44 w45 w46 w47…"
+    assert snippet_of(spark, " ".join(words), "two") == "…w37 w38 w39 one w41 [two] three w44 w45 w46 w47 w48…"
+
+
+def test_snippet_prefers_the_start_of_a_sentence(spark):
+    text = " ".join(f"a{k}" for k in range(20)) + ". Then the needle stands here " + " ".join(f"b{k}" for k in range(20))
+    assert snippet_of(spark, text, "needle") == "…Then the [needle] stands here b0 b1 b2 b3 b4 b5 b6…"
+    # of two equal windows the one that starts the text wins
+    assert snippet_of(spark, "(Begin) x needle. " + text.replace("the needle", "it"), "needle") == "(Begin) x [needle]. a0 a1 a2 a3 a4 a5 a6 a7 a8…"
+
+
+def test_snippet_edges(spark):
+    assert snippet_of(spark, "a b c b c d", "b c", "c b") == "a [b c b c] d"
+    assert snippet_of(spark, "no hit, but\ttext!", "x") == "no hit, but\ttext!"
+    assert [snippet_of(spark, t, "x") for t in ("", None, " . ")] == ["", "", " . "]
+    assert snippet_of(spark, " ".join(f"w{k}" for k in range(14)), "zz") == " ".join(f"w{k}" for k in range(12)) + "…"
+
+
+def test_first_field_with_a_mark(spark):
+    calls = spark.createDataFrame([("1", "s", "grep", "find needle", None), ("2", "s", "grep", "find needle", "other needle text"), ("3", "s", "needle", None, None)], "id string, session_id string, tool_name string, tool_input string, tool_output string")
+    transcripts = spark.createDataFrame([("s", "a", "2024")], "id string, title string, started_at string")
+    hits = search.search_tools(calls, transcripts, spark.createDataFrame([(1, "needle")], "query_id int, query string")).collect()
+    assert sorted((r["tool_name"], r["snippet"]) for r in hits) == [("grep", "find [needle]"), ("needle", "[needle]")]
+
+
+def flat(spark, content):
+    record = json.dumps({"c": content}) if not isinstance(content, bytes) else '{"c":' + content.decode() + "}"
+    return spark.createDataFrame([(record,)], "value string").select(normalize.flattened(normalize.at(normalize.json_of(), "c")).alias("out")).first()["out"]
+
+
+def test_nested_contents_are_flattened(spark):
+    said = lambda text: {"type": "text", "text": text}
+    assert flat(spark, [{"type": "tool_result", "content": [said("hello")]}]) == "hello"
+    assert flat(spark, ["x", "y"]) == "x\ny"
+    assert [flat(spark, c) for c in ('["x"]', " [1] ", None, 5, {"text": "t"})] == ['["x"]', " [1] ", "", "", ""]
+    assert flat(spark, [said("a"), {"type": "tool_use", "input": {}}, said(""), {"thinking": "b"}, {"text": 5, "thinking": "c"}, said("　d\n")]) == "a\n\nb\nc\n　d"
+    deep = "end"
+    for _ in range(10):
+        deep = [{"type": "tool_result", "content": deep}, "x"]
+    assert flat(spark, deep) == "end" + "\nx" * 10
+    assert flat(spark, [{"type": "tool_result", "content": {"a": 1}}, {"type": "tool_result", "content": None}, {"type": "other", "content": "no"}, said("z")]) == "z"
+
+
+def test_outputs_of_calls_are_flattened(spark):
+    item = lambda **payload: json.dumps({"type": "response_item", "payload": payload})
+    rows = [("f", 0, item(type="function_call", call_id="c", name="run", arguments="{}")), ("f", 1, item(type="function_call_output", call_id="c", output=[{"type": "output_text", "text": "a"}, "b"]))]
+    assert normalize.paired_calls(spark.createDataFrame(rows, "file string, ord int, value string")).first()["output"] == "a\nb"

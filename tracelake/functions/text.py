@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -18,9 +19,33 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bare_letters() -> dict[str, str]:
+    """Every Latin letter that is a letter and one mark, with the letter."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x1F00)) if "LATIN" in unicodedata.name(c, "")}
+    return {c: d[0] for c, d in parts.items() if len(d) == 2 and unicodedata.combining(d[1])}
+
+
+_BARE = _bare_letters()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def folded(text: str | Column) -> Column:
+    """Latin letters without their marks, and no combining marks."""
+    return F.translate(col(text), "".join(_BARE) + _MARKS, "".join(_BARE.values()))
+
+
 def tokens(text: str | Column) -> Column:
-    """Runs of letters and digits, lower case; '_' separates."""
-    return F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), TOKEN_BREAK), lambda t: t != "")
+    """Runs of letters and digits, lower case and without marks; '_' separates."""
+    return F.filter(F.split(folded(F.lower(F.coalesce(col(text), F.lit("")))), TOKEN_BREAK), lambda t: t != "")
+
+
+#: What counts as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: str | Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.trim(col(text), F.lit(WHITE))
 
 
 def collapsed(text: str | Column) -> Column:

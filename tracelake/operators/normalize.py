@@ -1,4 +1,4 @@
-"""Raw records to sessions, messages and tool calls. Records are (file, ord, value), value one JSON text."""
+"""Raw records to transcripts, messages and tool calls. Records are (file, ord, value), value one JSON text."""
 
 from __future__ import annotations
 
@@ -25,12 +25,49 @@ def without_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\u0000"), F.lit(""))
 
 
-def flattened(content: Column) -> Column:
-    """The text of a content: a string, or its text, thinking and result blocks joined by line feeds."""
-    blocks = F.from_json(content, BLOCKS)
-    said = F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", b["thinking"]).when(b["type"] == "tool_result", b["content"]))
-    joined = F.array_join(F.filter(said, lambda x: x.isNotNull() & (x != "")), "\n")
-    return F.trim(F.when(content.startswith("[") & blocks.isNotNull(), joined).otherwise(F.coalesce(content, F.lit(""))))
+def json_of(value: str | Column = "value") -> Column:
+    """A record as VARIANT, null where it is no JSON; unlike its text, it tells a string from what the string holds."""
+    return F.try_parse_json(value)
+
+
+def at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}" if path else "$", "variant")
+
+
+def is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def text_of(value: Column) -> Column:
+    """The string that a VARIANT is, null for any other kind."""
+    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+
+
+def given(value: Column) -> Column:
+    """The VARIANT, or null for JSON's null."""
+    return F.when(~F.is_variant_null(value), value)
+
+
+#: Results within results that are followed; what lies deeper stays JSON.
+DEPTH = 12
+
+
+def flattened(content: Column, depth: int = DEPTH) -> Column:
+    """The text of a content: a string as it is, or the parts of an array joined by line feeds and trimmed.
+
+    A part is a string, or an object's text, else its thinking, else, of a tool result, the
+    text of its content by the same rule. Numbers, objects and what is missing have no text.
+    """
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+
+    def said(b: Column) -> Column:
+        inner = given(at(b, "content"))
+        nested = flattened(inner, depth - 1) if depth else F.to_json(inner)
+        told = F.when(is_text(b), text_of(b)).when(is_text(at(b, "text")), text_of(at(b, "text"))).when(is_text(at(b, "thinking")), text_of(at(b, "thinking")))
+        return told.when((text_of(at(b, "type")) == "tool_result") & inner.isNotNull(), nested)
+
+    joined = F.array_join(F.filter(F.transform(blocks, said), lambda x: x.isNotNull()), "\n")
+    return F.when(blocks.isNotNull(), T.trimmed(joined)).when(is_text(content), text_of(content)).otherwise("")
 
 
 def mapped_role(role: Column) -> Column:
@@ -39,10 +76,14 @@ def mapped_role(role: Column) -> Column:
 
 
 def project_messages(records: DataFrame) -> DataFrame:
-    """file, ord, sequence_num, id, source_id, role, content, model, tokens, timestamp of message records."""
+    """file, ord, sequence_num, id, source_id, role, content, model, tokens, timestamp of message records.
+
+    ``raw`` is the JSON of contents that are arrays of blocks, null for all others.
+    """
     told = records.where(field("type").isin("user", "assistant") & field("message").isNotNull())
     role = F.coalesce(field("message.role"), field("type"))
     told = told.withColumn("role", role).where(F.col("role").isin(*ROLES))
+    told = told.withColumn("_content", at(json_of(), "message.content"))
     in_file = W.partitionBy("file").orderBy("ord")
     uuid = field("uuid")
     told = told.withColumn("uuid", uuid).withColumn("sequence_num", F.row_number().over(in_file) - 1)
@@ -55,12 +96,12 @@ def project_messages(records: DataFrame) -> DataFrame:
         source_id.alias("source_id"),
         F.when(field("parentUuid").isNotNull(), F.concat_ws(":", "file", field("parentUuid"))).alias("parent_message_id"),
         "role",
-        without_nul(flattened(field("message.content"))).alias("content"),
+        without_nul(flattened(F.col("_content"))).alias("content"),
         field("message.model").alias("model"),
         (field("isMeta") == "true").alias("is_meta"),
         *[number(f"message.usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")],
         field("timestamp").alias("timestamp"),
-        field("message.content").alias("raw"),
+        F.when(F.try_variant_get("_content", "$", "array<variant>").isNotNull(), field("message.content")).alias("raw"),
     )
 
 
@@ -71,7 +112,7 @@ def tool_uses(messages: DataFrame) -> DataFrame:
     return told.select("message_id", "file", "n", F.col("b.name").alias("tool_name"), F.col("b.input").alias("tool_input"))
 
 
-def project_sessions(records: DataFrame, messages: DataFrame) -> DataFrame:
+def project_transcripts(records: DataFrame, messages: DataFrame) -> DataFrame:
     """One row a file: first cwd, branch and version, last model, first and last time in file order, title, token sums."""
     first = lambda path: F.min_by(F.when(field(path).isNotNull(), field(path)), F.when(field(path).isNotNull(), F.col("ord")))
     head = records.groupBy("file").agg(first("cwd").alias("project_path"), first("gitBranch").alias("git_branch"), first("version").alias("cli_version"))
@@ -91,20 +132,25 @@ def project_sessions(records: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def rollout_messages(records: DataFrame) -> DataFrame:
-    """file, ord, sequence_num, role, content of message and reasoning items; empty ones are dropped before numbering."""
-    item = records.where(field("type") == "response_item").where(field("payload.type").isin("message", "reasoning"))
-    reasoning = field("payload.type") == "reasoning"
-    parts = F.from_json(F.coalesce(field("payload.content"), field("payload.summary")), "array<struct<type:string,text:string>>")
-    plain = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x.isNotNull() & (x != "")), "\n")
-    told = item.select("file", "ord", F.when(reasoning, "thinking").otherwise(mapped_role(field("payload.role"))).alias("role"), F.trim(F.coalesce(plain, F.lit(""))).alias("content"))
+    """file, ord, sequence_num, role, content of items other than calls; empty ones are dropped before numbering.
+
+    Reasoning is told by its summary, or else its content.
+    """
+    kind = F.coalesce(field("payload.type"), F.lit(""))
+    item = records.where((field("type") == "response_item") & ~kind.isin("function_call", "function_call_output")).withColumn("_payload", at(json_of(), "payload"))
+    reasoning = kind == "reasoning"
+    content = F.coalesce(F.when(reasoning, given(at(F.col("_payload"), "summary"))), at(F.col("_payload"), "content"))
+    role = F.when(reasoning, "thinking").otherwise(mapped_role(text_of(at(F.col("_payload"), "role"))))
+    told = item.select("file", "ord", role.alias("role"), flattened(content).alias("content"))
     return told.where("content <> ''").withColumn("sequence_num", F.row_number().over(W.partitionBy("file").orderBy("ord")) - 1)
 
 
 def paired_calls(records: DataFrame) -> DataFrame:
     """file, call_id, ord, name, arguments, output: each output goes to the latest earlier call with its id; later outputs win."""
     kind = field("payload.type")
-    told = records.where(kind.isin("function_call", "function_call_output")).select("file", "ord", kind.alias("kind"), field("payload.call_id").alias("call_id"), field("payload.name").alias("name"), field("payload.arguments").alias("arguments"), field("payload.output").alias("output"))
-    return paired(told)
+    output = F.when(kind == "function_call_output", flattened(at(json_of(), "payload.output")))
+    told = records.where(kind.isin("function_call", "function_call_output"))
+    return paired(told.select("file", "ord", kind.alias("kind"), *[field(f"payload.{c}").alias(c) for c in ("call_id", "name", "arguments")], output.alias("output")))
 
 
 def paired(told: DataFrame) -> DataFrame:
@@ -136,13 +182,13 @@ def compact_metadata(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[F.when(value.cast("string") != "", value).alias(name) for name, value in columns.items()]))
 
 
-def titles_overlaid(sessions: DataFrame, index: DataFrame) -> DataFrame:
+def titles_overlaid(transcripts: DataFrame, index: DataFrame) -> DataFrame:
     """The latest valid title of an append-only side index (id, ord, title) wins over the derived one."""
     valid = index.where(F.trim("title") != "").groupBy("id").agg(F.max_by("title", "ord").alias("_title"))
-    return sessions.join(valid, "id", "left").withColumn("title", F.coalesce(T.session_title("_title"), "title")).drop("_title")
+    return transcripts.join(valid, "id", "left").withColumn("title", F.coalesce(T.session_title("_title"), "title")).drop("_title")
 
 
-def log_sessions(files: DataFrame) -> DataFrame:
+def log_transcripts(files: DataFrame) -> DataFrame:
     """file, session_id, sequence_num, role, content, timestamp of files that hold an array of entries."""
     entry = "array<struct<sessionId:string,messageId:long,type:string,message:string,timestamp:string>>"
     told = files.select("file", F.explode(F.from_json("value", entry)).alias("e"))
@@ -177,7 +223,9 @@ def digests(files: DataFrame) -> DataFrame:
 
 def canonical_events(messages: DataFrame) -> DataFrame:
     """session_id, seq, type, content of the events of messages with ``raw`` block content."""
-    blocks = F.when(F.col("raw").startswith("["), F.from_json("raw", BLOCKS)).otherwise(F.array(F.struct(F.lit("text").alias("type"), F.col("raw").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "content", "id", "name", "input")])))
+    none = [F.lit(None).cast("string").alias(c) for c in ("thinking", "content", "id", "name", "input")]
+    whole = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *none))
+    blocks = F.when(F.col("raw").isNotNull(), F.from_json("raw", BLOCKS)).otherwise(whole)
     told = messages.select("session_id", "sequence_num", "role", F.posexplode(blocks).alias("k", "b"))
     kind = F.when(F.col("b.type") == "thinking", "thinking").when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").otherwise(F.col("role"))
     order = W.partitionBy("session_id").orderBy("sequence_num", "k")
@@ -204,7 +252,7 @@ def rollout_events(records: DataFrame) -> DataFrame:
 
 
 def events_summary(events: DataFrame) -> DataFrame:
-    """session_id, events, user_events, tool_calls, last_type: what a discovery of outside sessions reports."""
+    """session_id, events, user_events, tool_calls, last_type: what a discovery of outside transcripts reports."""
     return events.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if(F.col("type") == "user").alias("user_events"), F.count_if(F.col("type") == "tool_call").alias("tool_calls"), F.max_by("type", "seq").alias("last_type"))
 
 
@@ -215,7 +263,7 @@ def quoted(text: Column) -> Column:
 
 
 def native_lines(events: DataFrame, cwd: str = "/tmp", model: str = "unknown-model", titles: DataFrame | None = None) -> DataFrame:
-    """session_id, n, line: a header, one JSON line an event and, for sessions that ``titles`` (session_id, title) names, a title line.
+    """session_id, n, line: a header, one JSON line an event and, for transcripts that ``titles`` (session_id, title) names, a title line.
 
     Tool calls keep their input, an object, or {} where it is none; results and system
     messages become texts of the assistant that say what they are.

@@ -1,4 +1,4 @@
-"""Recall: many signals about one question fused to ranked sessions, and the evidence for them."""
+"""Recall: many signals about one question fused to ranked transcripts, and the evidence for them."""
 
 from __future__ import annotations
 
@@ -48,25 +48,25 @@ def graph_snippet() -> Column:
     return F.concat_ws("; ", *[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{label} "), F.col(c))) for label, c in named.items()])
 
 
-def metadata_hits(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, session_id, snippet, pos: sessions whose fields hold a needle of the question, newest first.
+def metadata_hits(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """query_id, session_id, snippet, pos: transcripts whose fields hold a needle of the question, newest first.
 
     The needles are at most eight for each typed question; all of them go through each field in one pass.
     """
     needles = F.filter(F.array_distinct(F.concat(T.significant_terms("query"), F.array(F.lower(F.trim("query"))))), lambda t: F.length(t) >= 2)
     asked = queries.select("query_id", F.explode(F.slice(needles, 1, MOST_TERMS)).alias("query"))
-    said = sessions.select(F.col("id").alias("session_id"), "started_at", graph_snippet().alias("snippet"))
-    found = S.substring_hits(sessions.withColumnRenamed("id", "session_id"), "session_id", [c for c in FIELDS if c in sessions.columns], asked, escaped=True).distinct()
+    said = transcripts.select(F.col("id").alias("session_id"), "started_at", graph_snippet().alias("snippet"))
+    found = S.substring_hits(transcripts.withColumnRenamed("id", "session_id"), "session_id", [c for c in FIELDS if c in transcripts.columns], asked, escaped=True).distinct()
     hits = found.join(said, "session_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "session_id")
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "snippet", "pos")
 
 
-def recall_signals(messages: DataFrame, sessions: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
+def recall_signals(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
     """query_id, session_id, kind, score: the sum of each kind of signal, discounted by position.
 
     ``semantic`` has query_id, session_id and a cosine. A vague question that matched nothing
-    gets the most recent sessions.
+    gets the most recent transcripts.
     """
     variants = materialized(query_variants(queries))
     asked = variants.select(F.struct("query_id", "n").alias("query_id"), F.col("text").alias("query"))
@@ -76,24 +76,24 @@ def recall_signals(messages: DataFrame, sessions: DataFrame, calls: DataFrame, q
         told = hits.join(weight, "query_id")
         return told.select(F.col("query_id.query_id").alias("query_id"), "session_id", F.lit(kind).alias("kind"), (F.lit(WEIGHTS[kind]) * F.col("weight") / F.col("pos")).alias("score"))
 
-    found = discounted(S.search_messages(messages, sessions, asked, limit), "message")
-    found = found.unionByName(discounted(S.search_sessions(sessions, asked, limit), "session"))
-    found = found.unionByName(discounted(S.search_tools(calls, sessions, asked, limit), "tool_call"))
-    found = found.unionByName(metadata_hits(sessions, queries, limit).select("query_id", "session_id", F.lit("graph").alias("kind"), (F.lit(WEIGHTS["graph"]) / F.col("pos")).alias("score")))
+    found = discounted(S.search_messages(messages, transcripts, asked, limit), "message")
+    found = found.unionByName(discounted(S.search_transcripts(transcripts, asked, limit), "session"))
+    found = found.unionByName(discounted(S.search_tools(calls, transcripts, asked, limit), "tool_call"))
+    found = found.unionByName(metadata_hits(transcripts, queries, limit).select("query_id", "session_id", F.lit("graph").alias("kind"), (F.lit(WEIGHTS["graph"]) / F.col("pos")).alias("score")))
     if semantic is not None:
         found = found.unionByName(semantic.select("query_id", "session_id", F.lit("semantic").alias("kind"), (F.lit(WEIGHTS["semantic"]) * F.greatest(F.lit(0.05), "cosine")).alias("score")))
     vague = queries.where((F.size(T.significant_terms("query")) == 0) | F.col("query").rlike(VAGUE)).join(found.select("query_id").distinct(), "query_id", "left_anti")
-    latest = sessions.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit).select(F.col("id").alias("session_id"), "started_at")
+    latest = transcripts.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit).select(F.col("id").alias("session_id"), "started_at")
     latest = latest.withColumn("pos", F.row_number().over(W.orderBy(F.desc_nulls_last("started_at"), "session_id")))  # at most ``limit`` rows
     recent = vague.select("query_id").crossJoin(F.broadcast(latest)).select("query_id", "session_id", F.lit("recent").alias("kind"), (F.lit(WEIGHTS["recent"]) / F.col("pos")).alias("score"))
     return found.unionByName(recent).groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score"))
 
 
-def recall(signals: DataFrame, sessions: DataFrame, limit: int = 10) -> DataFrame:
+def recall(signals: DataFrame, transcripts: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, session_id, score, rank, signals: fused, by score and then recency; signals strongest first."""
     strongest = F.transform(F.sort_array(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "kind"))), lambda x: x["kind"])
     told = signals.groupBy("query_id", "session_id").agg(F.sum("score").alias("total"), F.array_join(strongest, ",").alias("signals"))
-    told = told.join(sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id").withColumn("score", F.round("total", 4))
+    told = told.join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id").withColumn("score", F.round("total", 4))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("started_at"), "session_id")
     return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "session_id", "score", "rank", "signals")
 
@@ -157,7 +157,7 @@ def shell_quoted(value: Column) -> Column:
     return F.when(value.rlike(r"^[A-Za-z0-9_./:=@+-]+$"), value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'")))
 
 
-def resume(sessions: DataFrame, resumable: dict[str, str]) -> DataFrame:
+def resume(transcripts: DataFrame, resumable: dict[str, str]) -> DataFrame:
     """id, available, shell_command, reason: a stored command, or the one of the session's source."""
     stored = F.trim(F.get_json_object("metadata", "$.resume_command"))
     own = None
@@ -165,7 +165,7 @@ def resume(sessions: DataFrame, resumable: dict[str, str]) -> DataFrame:
         command = F.concat(F.lit(f"{program} --resume "), shell_quoted(F.col("source_id")))
         own = F.when(F.col("source") == source, command) if own is None else own.when(F.col("source") == source, command)
     command = F.coalesce(F.when(stored != "", stored), own if own is not None else F.lit(None).cast("string"))
-    return sessions.select("id", command.isNotNull().alias("available"), command.alias("shell_command"), F.when(command.isNull(), F.concat(F.lit("no resume command for "), "source")).alias("reason"))
+    return transcripts.select("id", command.isNotNull().alias("available"), command.alias("shell_command"), F.when(command.isNull(), F.concat(F.lit("no resume command for "), "source")).alias("reason"))
 
 
 _SPACE = re.compile(r"[ \t\n\r]*")

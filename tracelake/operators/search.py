@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.snippet import best_snippet, snippet
 from ..functions.stem import stemmed
 from .materialize import materialized
 from .vector import fused, nearest
@@ -44,8 +45,8 @@ def corpus_size(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     return docs.select(F.size(T.tokens(text)).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
 
 
-def query_phrases(queries: DataFrame, identifiers: bool = True) -> DataFrame:
-    """query_id, variant, phrase, k, term, phrase_len, phrases: the tokens of each phrase of each variant.
+def phrase_lists(queries: DataFrame, identifiers: bool = True) -> DataFrame:
+    """query_id, variant, phrases: the words of each phrase of each variant.
 
     Variant 1 has one phrase per whitespace token, variant 2 one per identifier, if it differs.
     """
@@ -55,31 +56,58 @@ def query_phrases(queries: DataFrame, identifiers: bool = True) -> DataFrame:
         second = queries.select("query_id", F.lit(2).alias("variant"), T.identifier_parts("query").alias("parts"), first.alias("first"))
         variants = variants.unionByName(second.where("parts <> first").drop("first"))
     split = F.filter(F.transform("parts", lambda p: T.tokens(p)), lambda t: F.size(t) > 0)
-    told = variants.select("query_id", "variant", split.alias("phrase_terms"))
-    told = told.select("query_id", "variant", F.size("phrase_terms").alias("phrases"), F.posexplode("phrase_terms").alias("phrase", "terms"))
+    return variants.select("query_id", "variant", split.alias("phrases"))
+
+
+def query_phrases(queries: DataFrame, identifiers: bool = True) -> DataFrame:
+    """query_id, variant, phrase, k, term, phrase_len, phrases: the words of ``phrase_lists``, one a row."""
+    told = phrase_lists(queries, identifiers)
+    told = told.select("query_id", "variant", F.size("phrases").alias("phrases"), F.posexplode("phrases").alias("phrase", "terms"))
     return told.select("query_id", "variant", "phrases", "phrase", F.size("terms").alias("phrase_len"), F.posexplode("terms").alias("k", "term"))
 
 
+#: Distinct terms that go to every task as a set; where more are asked for, terms and tokens meet in a join.
+TERMS_IN_PLAN = 10_000
+
+
+def counted_tokens(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc, len, hits: the length of every document and (pos, term) of its tokens among ``terms``, kept after one scan."""
+    asked = [r["term"] for r in terms.limit(TERMS_IN_PLAN + 1).collect()]
+    told = docs.select("doc", T.tokens("text").alias("tokens"))
+    every = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    if len(asked) > TERMS_IN_PLAN:
+        return told.select("doc", F.size("tokens").alias("len"), every.alias("hits"))
+    wanted = F.filter(every, lambda x: x["term"].isin(asked)) if asked else F.array().cast("array<struct<pos:int,term:string>>")
+    return materialized(told.select("doc", F.size("tokens").alias("len"), wanted.alias("hits")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bool = False) -> DataFrame:
     """query_id, variant, doc, rank of every document that holds all phrases of a variant; lower ranks are better.
 
     The document frequency of a phrase counts all documents of the corpus. With ``stem``,
-    words count by their stems.
+    words count by their stems. The corpus is read once: what is kept of a document is its
+    length and the places of the asked terms.
     """
     asked = query_phrases(queries, identifiers)
-    tokens = docs.select("doc", T.tokens("text").alias("tokens")).select("doc", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term"))
     if stem:
-        asked, tokens = stemmed(asked), stemmed(tokens)
+        asked = stemmed(asked)
     wanted = asked.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words"))
     wanted = materialized(wanted)
     parts = wanted.select("words", "phrase_len").distinct().select("words", "phrase_len", F.posexplode(F.split("words", " ")).alias("k", "term"))
+    if stem:
+        tokens = stemmed(docs.select("doc", T.tokens("text").alias("tokens")).select("doc", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term")))
+        whole = corpus_size(docs)
+    else:
+        counted = counted_tokens(docs, parts.select("term").distinct())
+        tokens = counted.select("doc", "len", F.inline("hits"))
+        whole = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     hits = tokens.join(parts, "term")
     single = hits.where("phrase_len = 1").groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))
     starts = hits.where("phrase_len > 1").groupBy("words", "phrase_len", "doc", "len", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = phrase_len")
-    # the postings of the asked phrases: corpus and questions are read once for all that follows
+    # the postings of the asked phrases, which frequencies and ranks both read
     found = materialized(single.unionByName(starts.groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))))
     frequency = found.groupBy("words").agg(F.count("*").alias("df"))
-    whole = corpus_size(docs)
+    # one row
     scored = wanted.join(found.join(frequency, "words"), "words").crossJoin(F.broadcast(whole))
     idf = F.greatest(F.lit(IDF_LEAST), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -87,36 +115,48 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
     return told.select("query_id", "variant", "doc", F.round(-F.col("score"), 6).alias("rank"))
 
 
+def with_snippets(hits: DataFrame, docs: DataFrame, fields: list[str], queries: DataFrame, identifiers: bool = True) -> DataFrame:
+    """hits (query_id, variant, doc, …) with ``snippet``: the first of the fields' snippets that holds a mark."""
+    said = hits.join(docs.select("doc", F.struct(*fields).alias("_said")), "doc").join(phrase_lists(queries, identifiers).withColumnRenamed("phrases", "_phrases"), ["query_id", "variant"])
+    told = best_snippet(*[snippet(F.col(f"_said.{f}"), "_phrases") for f in fields])
+    return said.withColumn("snippet", told).drop("_said", "_phrases")
+
+
 def best_by(hits: DataFrame, keys: list[str], order: list[Column], limit: int, group: str = "query_id") -> DataFrame:
     """One row for each (group, keys), the first by ``order``, and of those the first ``limit`` of a group as ``pos``."""
     one = hits.withColumn("_n", F.row_number().over(W.partitionBy(group, *keys).orderBy(*order))).where("_n = 1").drop("_n")
     return one.withColumn("pos", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("pos") <= limit)
 
 
-def search_messages(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
-    """The best message of each session, hits of the first variant first, then by rank, then the latest."""
-    hits = bm25(messages.select(F.col("id").alias("doc"), F.col("content").alias("text")), queries)
-    hits = hits.join(messages.select(F.col("id").alias("doc"), "session_id"), "doc").join(sessions.withColumnRenamed("id", "session_id"), "session_id")
+def search_messages(messages: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
+    """The best message of each session with its snippet, hits of the first variant first, then by rank, then the latest."""
+    docs = messages.select(F.col("id").alias("doc"), F.col("content").alias("text"))
+    hits = bm25(docs, queries)
+    hits = hits.join(messages.select(F.col("id").alias("doc"), "session_id"), "doc").join(transcripts.withColumnRenamed("id", "session_id"), "session_id")
     hits = hits if where is None else hits.where(where)
     order = [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")]
-    return best_by(hits, ["session_id"], order, limit)
+    return with_snippets(best_by(hits, ["session_id"], order, limit), docs, ["text"], queries)
 
 
-def search_sessions(sessions: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
-    """Sessions by title, project name and path, one row length over the three."""
+def search_transcripts(transcripts: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
+    """Transcripts by title, project name and path, one row length over the three, with the snippet of the field that is hit."""
     text = F.concat_ws(" ", "title", "project_name", "project_path")
-    hits = bm25(sessions.select(F.col("id").alias("doc"), text.alias("text")), queries)
-    hits = hits.join(sessions.withColumn("doc", F.col("id")).withColumnRenamed("id", "session_id"), "doc")
+    said = transcripts.withColumn("doc", F.col("id"))
+    hits = bm25(transcripts.select(F.col("id").alias("doc"), text.alias("text")), queries)
+    hits = hits.join(said.withColumnRenamed("id", "session_id"), "doc")
     hits = hits if where is None else hits.where(where)
-    return best_by(hits, ["session_id"], [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")], limit)
+    best = best_by(hits, ["session_id"], [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")], limit)
+    return with_snippets(best, said, ["title", "project_name", "project_path"], queries)
 
 
-def search_tools(calls: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
-    """Tool calls by name, input and output; one hit for each session, tool and text."""
+def search_tools(calls: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
+    """Tool calls by name, input and output; one hit for each session, tool and snippet."""
     text = F.concat_ws(" ", "tool_name", "tool_input", "tool_output")
+    said = calls.withColumn("doc", F.col("id"))
     hits = bm25(calls.select(F.col("id").alias("doc"), text.alias("text")), queries)
-    hits = hits.join(calls.select(F.col("id").alias("doc"), "session_id", "tool_name", text.alias("snippet")), "doc").join(sessions.withColumnRenamed("id", "session_id"), "session_id")
+    hits = hits.join(said.select("doc", "session_id", "tool_name"), "doc").join(transcripts.withColumnRenamed("id", "session_id"), "session_id")
     hits = hits if where is None else hits.where(where)
+    hits = with_snippets(hits, said, ["tool_name", "tool_input", "tool_output"], queries)
     return best_by(hits, ["session_id", "tool_name", "snippet"], [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")], limit)
 
 
@@ -147,16 +187,17 @@ def exactness_score(query: Column, title: Column, name: Column, path: Column, sn
     )
 
 
-def unified_search(messages: DataFrame, sessions: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """One ranked list over messages, sessions and tool calls; a session keeps its best candidate."""
+def unified_search(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """One ranked list over messages, transcripts and tool calls; a session keeps its best candidate."""
     wide = 2 * limit
     keep = ["query_id", "session_id", "title", "project_name", "project_path", "started_at", "rank", "pos"]
-    message = search_messages(messages, sessions, queries, wide).join(messages.select(F.col("id").alias("doc"), "content"), "doc")
-    lists = message.select(*keep, F.col("content").alias("snippet"), F.lit(1).alias("list"), F.lit(10).alias("weight"))
-    session = search_sessions(sessions, queries, wide)
-    lists = lists.unionByName(session.select(*keep, F.concat_ws(" ", "title", "project_name", "project_path").alias("snippet"), F.lit(2).alias("list"), F.lit(35).alias("weight")))
-    tool = search_tools(calls, sessions, queries, wide)
-    lists = lists.unionByName(tool.select(*keep, F.concat_ws(": ", "tool_name", "snippet").alias("snippet"), F.lit(3).alias("list"), F.lit(25).alias("weight")))
+
+    def listed(hits: DataFrame, number: int, weight: int, said: Column) -> DataFrame:
+        return hits.select(*keep, said.alias("snippet"), F.lit(number).alias("list"), F.lit(weight).alias("weight"))
+
+    lists = listed(search_messages(messages, transcripts, queries, wide), 1, 10, F.col("snippet"))
+    lists = lists.unionByName(listed(search_transcripts(transcripts, queries, wide), 2, 35, F.col("snippet")))
+    lists = lists.unionByName(listed(search_tools(calls, transcripts, queries, wide), 3, 25, F.concat_ws(": ", "tool_name", "snippet")))
     scored = lists.join(queries, "query_id").withColumn("score", F.col("weight") + exactness_score(F.col("query"), F.col("title"), F.col("project_name"), F.col("project_path"), F.col("snippet")))
     first = W.partitionBy("query_id", "session_id").orderBy(F.desc("score"), "list", "pos")
     one = scored.withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -220,55 +261,42 @@ def limit_of(value: Column, fallback: int = 20, most: int | None = None) -> Colu
     return F.when(bad, fallback).otherwise(whole if most is None else F.least(whole, F.lit(most)))
 
 
-def substring_tools(calls: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def substring_tools(calls: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Tool calls whose name, input or output holds the query, newest first."""
-    hits = substring_hits(calls, "id", ["tool_name", "tool_input", "tool_output"], queries).join(calls, "id").join(sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+    hits = substring_hits(calls, "id", ["tool_name", "tool_input", "tool_output"], queries).join(calls, "id").join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(F.coalesce("timestamp", "started_at")), "id")
     snippet = F.left(F.coalesce("tool_input", "tool_output", "tool_name"), F.lit(200))
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "id", "tool_name", snippet.alias("snippet"), "pos")
 
 
-def substring_sessions(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def substring_transcripts(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Sessions whose title, project or path holds the query, newest first; ``match`` says whether the title does."""
-    hits = substring_hits(sessions, "id", ["title", "project_name", "project_path"], queries).join(sessions.select("id", "title", "started_at"), "id").join(queries, "query_id")
+    hits = substring_hits(transcripts, "id", ["title", "project_name", "project_path"], queries).join(transcripts.select("id", "title", "started_at"), "id").join(queries, "query_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "id")
     match = F.when(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("query")), "title").otherwise("project")
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", F.col("id").alias("session_id"), match.alias("match"), "pos")
 
 
-def session_rows(sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, pos and all columns of the sessions that ``search_sessions`` finds."""
-    found = search_sessions(sessions, queries, limit).select("query_id", F.col("doc").alias("id"), "pos")
-    return found.join(sessions, "id")
+def session_rows(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """query_id, pos and all columns of the transcripts that ``search_transcripts`` finds."""
+    found = search_transcripts(transcripts, queries, limit).select("query_id", F.col("doc").alias("id"), "pos")
+    return found.join(transcripts, "id")
 
 
-def hybrid_search(messages: DataFrame, sessions: DataFrame, calls: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
+def hybrid_search(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, session_id, score, pos: full-text and nearest-vector lists, each of twice the limit, fused by reciprocal ranks."""
-    text = unified_search(messages, sessions, calls, queries, 2 * limit)
+    text = unified_search(messages, transcripts, calls, queries, 2 * limit)
     return fused([text, nearest(vectors, query_vectors, 2 * limit)], limit)
 
 
-def substring_content(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def substring_content(messages: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Sessions whose metadata or messages hold the query; metadata hits come first, each list newest first."""
     newest = [F.desc("started_at"), F.col("session_id")]
-    said = sessions.withColumnRenamed("id", "session_id")
-    meta = substring_hits(sessions, "id", ["title", "project_name"], queries).withColumnRenamed("id", "session_id").join(said, "session_id")
+    said = transcripts.withColumnRenamed("id", "session_id")
+    meta = substring_hits(transcripts, "id", ["title", "project_name"], queries).withColumnRenamed("id", "session_id").join(said, "session_id")
     meta = meta.select("query_id", "session_id", "started_at", F.lit(1).alias("list"), F.coalesce("title", "project_name").alias("snippet"), F.lit("").alias("id"))
     body = substring_hits(messages, "id", ["content"], queries).join(messages, "id").select("query_id", "session_id", "id", F.left(F.col("content"), F.lit(200)).alias("snippet"))
     body = body.join(said.select("session_id", "started_at"), "session_id").select("query_id", "session_id", "started_at", F.lit(2).alias("list"), "snippet", "id")
     capped = meta.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest))).where(F.col("at") <= 5 * limit)
     capped = capped.unionByName(body.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest, F.col("id")))).where(F.col("at") <= 10 * limit))
     return best_by(capped, ["session_id"], [F.col("list"), F.col("at")], limit).select("query_id", "session_id", "list", "snippet", "pos")
-
-
-def snippets(hits: DataFrame, width: int = 12) -> DataFrame:
-    """hits (…, content, terms) with ``snippet``: the window of ``width`` tokens with most distinct marks, marked."""
-    words = F.filter(F.split("content", r"\s+"), lambda t: t != "")
-    has = lambda w: F.arrays_overlap(T.tokens(w), F.col("terms"))
-    marks = F.transform("_words", lambda w: F.when(has(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    told = hits.withColumn("_words", words).withColumn("_marks", marks)
-    first = F.coalesce(F.array_min(F.filter(F.transform("_words", lambda w, k: F.when(has(w), k)), lambda k: k.isNotNull())), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(first, F.size("_words") - width))
-    cut = F.array_join(F.slice("_marks", start + 1, width), " ")
-    out = F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(start + width < F.size("_words"), "…").otherwise(""))
-    return told.withColumn("snippet", out).drop("_words", "_marks")

@@ -1,4 +1,4 @@
-"""Rollups, the entity graph and listings of sessions."""
+"""Rollups, the entity graph and listings of transcripts."""
 
 from __future__ import annotations
 
@@ -7,79 +7,79 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def by_source(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("source").agg(F.count("*").alias("sessions"), F.sum(F.coalesce("message_count", F.lit(0))).alias("messages"), F.sum(F.coalesce("tool_call_count", F.lit(0))).alias("tool_calls"))
+def by_source(transcripts: DataFrame) -> DataFrame:
+    return transcripts.groupBy("source").agg(F.count("*").alias("transcripts"), F.sum(F.coalesce("message_count", F.lit(0))).alias("messages"), F.sum(F.coalesce("tool_call_count", F.lit(0))).alias("tool_calls"))
 
 
-def store_totals(sessions: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
+def store_totals(transcripts: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
     """One row of counts; each count is an aggregate of one row, so the joins move nothing."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    kinds = sessions.agg(F.count_distinct("source").alias("sources"), F.count_distinct("project_path").alias("projects"))
-    return count(sessions, "sessions").crossJoin(count(messages, "messages")).crossJoin(count(calls, "tool_calls")).crossJoin(kinds)
+    kinds = transcripts.agg(F.count_distinct("source").alias("sources"), F.count_distinct("project_path").alias("projects"))
+    return count(transcripts, "transcripts").crossJoin(count(messages, "messages")).crossJoin(count(calls, "tool_calls")).crossJoin(kinds)
 
 
-def project_stats(sessions: DataFrame) -> DataFrame:
-    told = sessions.where("project_path is not null").groupBy("project_path")
-    return told.agg(F.max("project_name").alias("project_name"), F.count("*").alias("sessions"), F.max("started_at").alias("last_started"))
+def project_stats(transcripts: DataFrame) -> DataFrame:
+    told = transcripts.where("project_path is not null").groupBy("project_path")
+    return told.agg(F.max("project_name").alias("project_name"), F.count("*").alias("transcripts"), F.max("started_at").alias("last_started"))
 
 
-def top_projects(sessions: DataFrame, limit: int = 30) -> DataFrame:
-    told = sessions.groupBy("project_name", "project_path").agg(F.count("*").alias("sessions"))
-    return told.orderBy(F.desc("sessions"), F.asc_nulls_last("project_path")).limit(limit)
+def top_projects(transcripts: DataFrame, limit: int = 30) -> DataFrame:
+    told = transcripts.groupBy("project_name", "project_path").agg(F.count("*").alias("transcripts"))
+    return told.orderBy(F.desc("transcripts"), F.asc_nulls_last("project_path")).limit(limit)
 
 
-def project_paths(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy(F.coalesce("project_path", F.lit("(none)")).alias("path"), F.coalesce("project_name", "project_path", F.lit("(none)")).alias("label")).agg(F.count("*").alias("sessions"))
+def project_paths(transcripts: DataFrame) -> DataFrame:
+    return transcripts.groupBy(F.coalesce("project_path", F.lit("(none)")).alias("path"), F.coalesce("project_name", "project_path", F.lit("(none)")).alias("label")).agg(F.count("*").alias("transcripts"))
 
 
-def unknown_sources(sessions: DataFrame, known: list[str]) -> DataFrame:
-    return sessions.where(~F.col("source").isin(*known)).groupBy("source").agg(F.count("*").alias("sessions"))
+def unknown_sources(transcripts: DataFrame, known: list[str]) -> DataFrame:
+    return transcripts.where(~F.col("source").isin(*known)).groupBy("source").agg(F.count("*").alias("transcripts"))
 
 
-def machine_counts(sessions: DataFrame) -> DataFrame:
-    return sessions.where("machine is not null and machine <> ''").groupBy("machine").agg(F.count("*").alias("sessions"))
+def machine_counts(transcripts: DataFrame) -> DataFrame:
+    return transcripts.where("machine is not null and machine <> ''").groupBy("machine").agg(F.count("*").alias("transcripts"))
 
 
-def machine_rollup(sessions: DataFrame, machines: DataFrame) -> DataFrame:
-    """machine, region, sessions, first and last seen; machines unknown to the registry stay."""
-    told = sessions.where("machine is not null").groupBy("machine").agg(F.count("*").alias("sessions"), F.min("started_at").alias("seen_first"), F.max("started_at").alias("seen_last"))
+def machine_rollup(transcripts: DataFrame, machines: DataFrame) -> DataFrame:
+    """machine, region, transcripts, first and last seen; machines unknown to the registry stay."""
+    told = transcripts.where("machine is not null").groupBy("machine").agg(F.count("*").alias("transcripts"), F.min("started_at").alias("seen_first"), F.max("started_at").alias("seen_last"))
     return told.join(machines.select(F.col("name").alias("machine"), "region", "first_seen_at", "last_seen_at"), "machine", "left").select(
-        "machine", "region", "sessions", F.least("seen_first", "first_seen_at").alias("first_seen"), F.greatest("seen_last", "last_seen_at").alias("last_seen")
+        "machine", "region", "transcripts", F.least("seen_first", "first_seen_at").alias("first_seen"), F.greatest("seen_last", "last_seen_at").alias("last_seen")
     )
 
 
-def edges(sessions: DataFrame, calls: DataFrame) -> DataFrame:
-    """session_id, type, name: the bipartite graph of sessions and what they touch."""
+def edges(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
+    """session_id, type, name: the bipartite graph of transcripts and what they touch."""
     kinds = F.array(*[F.struct(F.lit(kind).alias("type"), F.col(column).alias("name")) for kind, column in (("project", "project_name"), ("model", "model"), ("provider", "source"), ("machine", "machine"))])
-    own = sessions.select(F.col("id").alias("session_id"), F.inline(kinds))
+    own = transcripts.select(F.col("id").alias("session_id"), F.inline(kinds))
     tools = calls.select("session_id", F.lit("tool").alias("type"), F.col("tool_name").alias("name"))
     return own.unionByName(tools).where("name is not null and name <> ''").distinct()
 
 
-def entities(sessions: DataFrame, calls: DataFrame) -> DataFrame:
-    return edges(sessions, calls).groupBy("type", "name").agg(F.count("*").alias("sessions"))
+def entities(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
+    return edges(transcripts, calls).groupBy("type", "name").agg(F.count("*").alias("transcripts"))
 
 
-def related_sessions(sessions: DataFrame, calls: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
-    """For each wanted (type, name): its sessions, newest first."""
-    found = edges(sessions, calls).join(wanted, ["type", "name"]).join(sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+def related_transcripts(transcripts: DataFrame, calls: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
+    """For each wanted (type, name): its transcripts, newest first."""
+    found = edges(transcripts, calls).join(wanted, ["type", "name"]).join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id")
     order = W.partitionBy("type", "name").orderBy(F.desc("started_at"), "session_id")
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
-def neighborhood(sessions: DataFrame, calls: DataFrame) -> DataFrame:
+def neighborhood(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
     """Each session's project, model, provider, machine and sorted tools."""
     tools = calls.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("tool_name")), ",").alias("tools"))
-    return sessions.join(tools, sessions["id"] == tools["session_id"], "left").select("id", "project_name", "model", F.col("source").alias("provider"), "machine", F.coalesce("tools", F.lit("")).alias("tools"))
+    return transcripts.join(tools, transcripts["id"] == tools["session_id"], "left").select("id", "project_name", "model", F.col("source").alias("provider"), "machine", F.coalesce("tools", F.lit("")).alias("tools"))
 
 
 def recency(*more: str) -> list[Column]:
     return [F.desc_nulls_last("started_at"), *[F.col(c) for c in more], F.col("id")]
 
 
-def list_sessions(sessions: DataFrame, where: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_transcripts(transcripts: DataFrame, where: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest first, with an id tie-break."""
-    told = sessions if where is None else sessions.where(where)
+    told = transcripts if where is None else transcripts.where(where)
     return told.orderBy(*recency()).offset(offset).limit(limit)
 
 
@@ -90,9 +90,9 @@ def in_project(project: str) -> Column:
     return (F.col("project_path") == project) | (F.col("project_name") == project) | holds("project_path") | holds("project_name")
 
 
-def history(sessions: DataFrame, needle: str | None = None, day: str | None = None, limit: int = 200) -> DataFrame:
-    """The latest ``limit`` sessions, and of those the ones of a day or with a needle in source, title or model."""
-    told = list_sessions(sessions, limit=limit)
+def history(transcripts: DataFrame, needle: str | None = None, day: str | None = None, limit: int = 200) -> DataFrame:
+    """The latest ``limit`` transcripts, and of those the ones of a day or with a needle in source, title or model."""
+    told = list_transcripts(transcripts, limit=limit)
     if day:
         told = told.where(F.col("started_at").startswith(day))
     if needle:
@@ -100,19 +100,19 @@ def history(sessions: DataFrame, needle: str | None = None, day: str | None = No
     return told
 
 
-def latest_per_project(sessions: DataFrame) -> DataFrame:
+def latest_per_project(transcripts: DataFrame) -> DataFrame:
     order = W.partitionBy("project_path").orderBy(*recency())
-    return sessions.where("project_path is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return transcripts.where("project_path is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def session_detail(sessions: DataFrame, messages: DataFrame, first: int = 12) -> DataFrame:
+def session_detail(transcripts: DataFrame, messages: DataFrame, first: int = 12) -> DataFrame:
     """Each session with its first ``first`` messages in order."""
     order = W.partitionBy("session_id").orderBy("sequence_num", "id")
     own = messages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= first)
-    return own.join(sessions.select(F.col("id").alias("session_id"), "title", "source"), "session_id")
+    return own.join(transcripts.select(F.col("id").alias("session_id"), "title", "source"), "session_id")
 
 
-def resolve_identifiers(sessions: DataFrame, wanted: DataFrame, most: int = 6) -> DataFrame:
+def resolve_identifiers(transcripts: DataFrame, wanted: DataFrame, most: int = 6) -> DataFrame:
     """identifier, status (unique, ambiguous, missing, invalid), level, matches, candidates.
 
     Rules in order, the first that matches counts: exact id, exact source:id, source:prefix of
@@ -120,7 +120,7 @@ def resolve_identifiers(sessions: DataFrame, wanted: DataFrame, most: int = 6) -
     asked are joined, so nothing is compared with everything.
     """
     asked = wanted.select("identifier").distinct().withColumn("want", F.trim("identifier"))
-    own = sessions.select("id", "source", "source_id")
+    own = transcripts.select("id", "source", "source_id")
     lengths = asked.where("want <> ''").select(F.length(F.substring_index("want", ":", -1)).alias("len")).distinct()
     exact = own.select("id", F.lit(1).alias("level"), F.col("id").alias("want"))
     exact = exact.unionByName(own.select("id", F.lit(2).alias("level"), F.concat_ws(":", "source", "source_id").alias("want")))

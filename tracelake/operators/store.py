@@ -54,9 +54,9 @@ def merged_stores(target: DataFrame, source: DataFrame) -> DataFrame:
     return target.withColumn("origin", F.lit("target")).unionByName(new.select(target.columns).withColumn("origin", F.lit("source")))
 
 
-def merged_children(target_sessions: DataFrame, source_sessions: DataFrame, children: DataFrame) -> DataFrame:
+def merged_children(target_transcripts: DataFrame, source_transcripts: DataFrame, children: DataFrame) -> DataFrame:
     """The source's children under the ids that survive: those of ignored parents move to the known session's id."""
-    ids = source_sessions.alias("s").join(target_sessions.alias("t"), ["source", "source_id"], "left").select(F.col("s.id").alias("session_id"), F.coalesce("t.id", "s.id").alias("_id"))
+    ids = source_transcripts.alias("s").join(target_transcripts.alias("t"), ["source", "source_id"], "left").select(F.col("s.id").alias("session_id"), F.coalesce("t.id", "s.id").alias("_id"))
     return children.join(ids, "session_id").withColumn("session_id", F.col("_id")).drop("_id")
 
 
@@ -65,19 +65,19 @@ def register_machines(seen: DataFrame) -> DataFrame:
 
 
 def delete_cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the rows of the sessions in ``gone`` (session_id)."""
+    """Each table without the rows of the transcripts in ``gone`` (session_id)."""
     return {name: df.join(gone.withColumnRenamed("session_id", key), key, "left_anti") for name, (df, key) in tables.items()}
 
 
-def renamed(sessions: DataFrame, titles: DataFrame) -> DataFrame:
+def renamed(transcripts: DataFrame, titles: DataFrame) -> DataFrame:
     """New titles by id; others stay."""
-    return sessions.join(titles.select("id", F.col("title").alias("_title")), "id", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+    return transcripts.join(titles.select("id", F.col("title").alias("_title")), "id", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
 
 
-def renamed_by(sessions: DataFrame, titles: DataFrame) -> DataFrame:
-    """New titles by identifier (id, source:id, or a prefix); an identifier that names several sessions, or none, changes nothing."""
-    told = resolve_identifiers(sessions, titles.select("identifier")).where("status = 'unique'").select("identifier", F.col("candidates").alias("id"))
-    return renamed(sessions, told.join(titles, "identifier").groupBy("id").agg(F.min("title").alias("title")))
+def renamed_by(transcripts: DataFrame, titles: DataFrame) -> DataFrame:
+    """New titles by identifier (id, source:id, or a prefix); an identifier that names several transcripts, or none, changes nothing."""
+    told = resolve_identifiers(transcripts, titles.select("identifier")).where("status = 'unique'").select("identifier", F.col("candidates").alias("id"))
+    return renamed(transcripts, told.join(titles, "identifier").groupBy("id").agg(F.min("title").alias("title")))
 
 
 def remapped_text(text: Column, old: str, new: str, bounded: bool) -> Column:
@@ -102,11 +102,11 @@ def encoded(path: str) -> str:
     return path.replace("/", "-")
 
 
-def relocated(sessions: DataFrame, old: str, new: str) -> DataFrame:
+def relocated(transcripts: DataFrame, old: str, new: str) -> DataFrame:
     """project_path and source_path moved by prefix, in plain and in path-encoded form."""
     plain = moved(F.col("project_path"), old, new)
     source = F.replace(moved(F.col("source_path"), old, new), F.lit("/" + encoded(old) + "/"), F.lit("/" + encoded(new) + "/"))
-    return sessions.withColumn("project_path", plain).withColumn("source_path", source)
+    return transcripts.withColumn("project_path", plain).withColumn("source_path", source)
 
 
 def file_gate(files: DataFrame, state: DataFrame) -> DataFrame:
@@ -243,9 +243,9 @@ def not_found(known: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(files.select("key"), "key", "left_anti")
 
 
-def sync_plan(sessions: DataFrame, children: DataFrame, limit: int = 500) -> DataFrame:
-    """id, stored, loaded, verdict for the newest ``limit`` sessions: push, or refuse what is empty or short of its count."""
-    newest = sessions.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit)
+def sync_plan(transcripts: DataFrame, children: DataFrame, limit: int = 500) -> DataFrame:
+    """id, stored, loaded, verdict for the newest ``limit`` transcripts: push, or refuse what is empty or short of its count."""
+    newest = transcripts.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit)
     loaded = children.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("loaded"))
     told = newest.join(loaded, "id", "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
     verdict = F.when(F.col("loaded") == 0, "refuse_empty").when(F.col("loaded") < F.col("message_count"), "refuse_short").otherwise("push")

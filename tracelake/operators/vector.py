@@ -53,7 +53,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
 
     The query vectors (query_id, query_vector) are dealt into blocks of bounded size; each
     block passes over the vectors once, as matrix products of Arrow batches, of which every
-    batch sends on only the rows that its best ``limit`` sessions leave possible. Vectors
+    batch sends on only the rows that its best ``limit`` transcripts leave possible. Vectors
     that are null or hold a null count as empty; the cosine is over the shorter length and
     0 where a norm is 0.
     """

@@ -32,16 +32,43 @@ def _records(spark, sf_dir):
     return c.select(F.concat(F.lit("s"), conv).alias("file"), F.col("turn").alias("ord"), value.alias("value"))
 
 
-@register("records_roundtrip_parse", "SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, trim(text) AS content, turn + 1 AS input_tokens FROM conversations")
+def _json(text):
+    """A text as a JSON string."""
+    packed = F.to_json(F.struct(text.alias("t")))
+    return packed.substr(F.lit(6), F.length(packed) - 6)
+
+
+def _odd_records(spark, sf_dir):
+    """Records whose contents take turns: text, text that looks like JSON, nested results, strings among blocks, values of wrong kinds, no content."""
+    c = V.table(spark, sf_dir, "conversations").withColumn("said", _json(F.col("text")))
+    k = F.col("turn") % 6
+    part = lambda text: F.expr(f"""replace('{text}', '$', said)""")
+    content = (
+        F.when(k == 0, F.col("said"))
+        .when(k == 1, _json(F.concat(F.lit('["'), "conv_id", F.lit('"]'))))
+        .when(k == 2, part('[" first", {"type":"text","text":$}, "", "last "]'))
+        .when(k == 3, part('[{"type":"tool_result","content":[{"type":"text","text":$},{"type":"tool_result","content":["deep",{"thinking":"t"}]}]},{"type":"image","source":{}}]'))
+        .when(k == 4, part('[{"type":"tool_result","content":$},{"type":"tool_result","content":{"a":1}},{"text":5},{"type":"tool_result","content":null},7]'))
+        .otherwise(part('{"type":"text","text":$}'))
+    )
+    value = F.concat(F.lit('{"type":"user","message":{"role":"'), "role", F.lit('","usage":{"input_tokens":'), (F.col("turn") + 1).cast("string"), F.lit('},"content":'), content, F.lit("}}"))
+    return c.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("ord"), value.alias("value"))
+
+
+_ODD = """SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN '["' || conv_id || '"]' WHEN 2 THEN 'first' || chr(10) || text || chr(10) || chr(10) || 'last'
+    WHEN 3 THEN trim(text || chr(10) || 'deep' || chr(10) || 't', white) WHEN 4 THEN trim(text, white) ELSE '' END AS content FROM conversations, (SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS white)"""
+
+
+@register("records_roundtrip_parse", f"SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, content, turn + 1 AS input_tokens FROM ({_ODD})")
 def records_roundtrip_parse(spark, sf_dir):
-    return N.project_messages(_records(spark, sf_dir)).select("file", "sequence_num", "role", "content", "input_tokens")
+    return N.project_messages(_odd_records(spark, sf_dir)).select("file", "sequence_num", "role", "content", "input_tokens")
 
 
-@register("ingest_fold_sessions", """SELECT 's' || conv_id AS file, '/w/p' || conv_id % 7 AS project_path, 'p' || conv_id % 7 AS project_name, arg_max('m' || turn % 2, turn) AS model, arg_min('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS started_at, arg_max('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS ended_at,
+@register("ingest_fold_transcripts", """SELECT 's' || conv_id AS file, '/w/p' || conv_id % 7 AS project_path, 'p' || conv_id % 7 AS project_name, arg_max('m' || turn % 2, turn) AS model, arg_min('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS started_at, arg_max('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS ended_at,
     count(*) AS message_count, CAST(sum(turn + 1) AS BIGINT) AS total_input_tokens, CAST(sum(turn * 2) AS BIGINT) AS total_output_tokens, substr(trim(regexp_replace(arg_min(text, turn) FILTER (role = 'user' AND trim(text) <> ''), '\\s+', ' ', 'g')), 1, 120) AS title FROM conversations GROUP BY conv_id""")
-def ingest_fold_sessions(spark, sf_dir):
+def ingest_fold_transcripts(spark, sf_dir):
     records = _records(spark, sf_dir)
-    told = N.project_sessions(records, N.project_messages(records))
+    told = N.project_transcripts(records, N.project_messages(records))
     return told.select("file", "project_path", "project_name", "model", "started_at", "ended_at", "message_count", "total_input_tokens", "total_output_tokens", "title")
 
 
@@ -96,13 +123,14 @@ def rollout_events(spark, sf_dir):
     return N.rollout_events(c.select(file.alias("file"), F.col("turn").alias("ord"), F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))).alias("value")))
 
 
-@register("rollout_records_parse", "SELECT 'r' || conv_id AS file, CASE WHEN turn % 5 = 4 THEN 'thinking' WHEN role = 'system' THEN 'system' ELSE role END AS role, trim(text) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num FROM conversations WHERE trim(text) <> '' AND turn % 7 <> 6")
+@register("rollout_records_parse", "SELECT 'r' || conv_id AS file, CASE WHEN turn % 5 = 4 THEN 'thinking' WHEN role = 'system' THEN 'system' ELSE role END AS role, CASE WHEN turn % 5 = 4 THEN 'short: ' || turn ELSE trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num FROM conversations WHERE turn % 5 = 4 OR trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND turn % 7 <> 6")
 def rollout_records_parse(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
     role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
     kind = F.when(F.col("turn") % 5 == 4, "reasoning").otherwise("message")
     text = F.when(F.col("turn") % 7 == 6, " ").otherwise(F.col("text"))
-    value = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(kind.alias("type"), role.alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content")).alias("payload")))
+    summary = F.when(F.col("turn") % 5 == 4, F.array(F.struct(F.lit("summary_text").alias("type"), F.concat(F.lit("short: "), "turn").alias("text"))))
+    value = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(kind.alias("type"), role.alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content"), summary.alias("summary")).alias("payload")))
     return N.rollout_messages(c.select(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("ord"), value.alias("value"))).select("file", "role", "content", "sequence_num")
 
 
@@ -134,9 +162,9 @@ def title_rules(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").withColumn("t", text).select("conv_id", "turn", T.command_title_of("t", F.col("turn") % 6 == 5).alias("title"))
 
 
-@register("title_overlay", with_views("SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'second ' || id ELSE title END AS title FROM v_sessions", "v_sessions"))
+@register("title_overlay", with_views("SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'second ' || id ELSE title END AS title FROM v_transcripts", "v_transcripts"))
 def title_overlay(spark, sf_dir):
-    s = V.sessions(spark, sf_dir)
+    s = V.transcripts(spark, sf_dir)
     own = s.where(F.col("id").cast("bigint") % 3 == 0)
     index = own.select("id", F.lit(1).alias("ord"), F.concat(F.lit("first "), "id").alias("title")).unionByName(own.select("id", F.lit(2).alias("ord"), F.concat(F.lit(" second  "), "id").alias("title"))).unionByName(own.select("id", F.lit(3).alias("ord"), F.lit(" ").alias("title")))
     return N.titles_overlaid(s, index).select("id", "title")
@@ -169,12 +197,12 @@ def malformed_accounting(spark, sf_dir):
     return jsonl.accounting(d).select("file", "records", "malformed", "incomplete_tail")
 
 
-@register("logs_array_sessions", "SELECT '/g/' || conv_id % 10 || '/logs.json' AS file, CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, trim(text) AS content FROM conversations")
-def logs_array_sessions(spark, sf_dir):
+@register("logs_array_transcripts", "SELECT '/g/' || conv_id % 10 || '/logs.json' AS file, CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, trim(text) AS content FROM conversations")
+def logs_array_transcripts(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
     entry = F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.col("turn").alias("messageId"), F.col("role").alias("type"), F.col("text").alias("message"))
     files = c.groupBy(F.concat(F.lit("/g/"), (F.col("conv_id") % 10).cast("string"), F.lit("/logs.json")).alias("file")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    return N.log_sessions(files).select("file", "session_id", "sequence_num", "role", "content")
+    return N.log_transcripts(files).select("file", "session_id", "sequence_num", "role", "content")
 
 
 _PANES = """p AS (SELECT event_id, 'box-' || user_id % 9 || CASE WHEN event_id % 4 = 0 THEN '-' || user_id % 5 ELSE '' END AS session, user_id % 4 AS window_index, event_id % 3 AS pane_index, CASE event_type WHEN 'click' THEN 'agent' WHEN 'view' THEN 'bash' ELSE 'sh' END AS command, event_type = 'error' AS pane_dead,

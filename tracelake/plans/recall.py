@@ -11,7 +11,7 @@ from ..operators import search as S
 from ..operators import vector as X
 from . import views as V
 from .registry import register
-from .search import _SESSION_DOCS, _SESSION_QUERIES, _TOOL_DOCS, _session_queries, bm25_sql
+from .search import _SESSION_DOCS, _SESSION_QUERIES, _TOOL_DOCS, _session_queries, bm25_sql, snippet_sql
 from .views import with_views
 
 _STOPS = "stops AS (SELECT string_split('" + " ".join(T.STOPWORDS) + "', ' ') AS stop)"
@@ -35,13 +35,13 @@ def query_variants(spark, sf_dir):
 
 
 _META = """meta AS (SELECT query_id, session_id, snippet, pos FROM (SELECT q.query_id, s.id AS session_id, concat_ws('; ', 'source ' || source, 'project ' || project_name, 'path ' || project_path, 'model ' || model, CASE WHEN title <> '' THEN 'title ' || title END) AS snippet,
-  row_number() OVER (PARTITION BY q.query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos FROM v_sessions s JOIN (SELECT query_id, needles[1:8] AS needles FROM (SELECT query_id, list_filter(list_filter(list_append(terms, lower(trim(query))), lambda t, i: list_position(list_append(terms, lower(trim(query))), t) = i), lambda t: length(t) >= 2) AS needles FROM terms)) q
+  row_number() OVER (PARTITION BY q.query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos FROM v_transcripts s JOIN (SELECT query_id, needles[1:8] AS needles FROM (SELECT query_id, list_filter(list_filter(list_append(terms, lower(trim(query))), lambda t, i: list_position(list_append(terms, lower(trim(query))), t) = i), lambda t: length(t) >= 2) AS needles FROM terms)) q
   ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')), n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')), n) OR contains(lower(coalesce(model, '')), n) OR contains(lower(coalesce(model_provider, '')), n) OR contains(lower(coalesce(git_branch, '')), n) OR contains(lower(coalesce(git_sha, '')), n) OR contains(lower(coalesce(git_origin_url, '')), n))) > 0) WHERE pos <= 20)"""
 
 
-@register("metadata_hits", with_views("SELECT query_id, session_id, snippet, pos FROM meta", "v_sessions", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_META}"))
+@register("metadata_hits", with_views("SELECT query_id, session_id, snippet, pos FROM meta", "v_transcripts", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_META}"))
 def metadata_hits(spark, sf_dir):
-    return R.metadata_hits(V.sessions(spark, sf_dir), _session_queries(spark, sf_dir))
+    return R.metadata_hits(V.transcripts(spark, sf_dir), _session_queries(spark, sf_dir))
 
 
 def _best(hits: str, keys: str, weight: float, kind: str) -> str:
@@ -50,64 +50,64 @@ def _best(hits: str, keys: str, weight: float, kind: str) -> str:
 
 
 _SIGNALS = f"""{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_VARIANTS}, asked AS (SELECT query_id * 100 + n AS query_id, text AS query FROM variants), keyed AS (SELECT query_id * 100 + n AS qk, query_id, weight FROM variants),
-  m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 'asked', 'm_')}, {bm25_sql('s_docs', 'asked', 's_')}, {bm25_sql('t_docs', 'asked', 't_')}, {_META},
-  found AS ({_best("m.session_id, s.started_at FROM m_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_messages m ON m.id = h.doc JOIN v_sessions s ON s.id = m.session_id", "session_id", 5.0, "message")}
-    UNION ALL {_best("h.doc AS session_id, s.started_at FROM s_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_sessions s ON s.id = h.doc", "session_id", 3.25, "session")}
-    UNION ALL {_best("d.session_id, d.tool_name, d.text, s.started_at FROM t_ranked h JOIN keyed v ON v.qk = h.query_id JOIN t_docs d ON d.doc = h.doc JOIN v_sessions s ON s.id = d.session_id", "session_id, tool_name, text", 4.5, "tool_call")}
+  m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 'asked', 'm_')}, {bm25_sql('s_docs', 'asked', 's_')}, {bm25_sql('t_docs', 'asked', 't_')}, {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')}, {_META},
+  found AS ({_best("m.session_id, s.started_at FROM m_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_messages m ON m.id = h.doc JOIN v_transcripts s ON s.id = m.session_id", "session_id", 5.0, "message")}
+    UNION ALL {_best("h.doc AS session_id, s.started_at FROM s_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_transcripts s ON s.id = h.doc", "session_id", 3.25, "session")}
+    UNION ALL {_best("d.session_id, d.tool_name, b.snippet, s.started_at FROM t_ranked h JOIN t_best b USING (query_id, variant, doc) JOIN keyed v ON v.qk = h.query_id JOIN t_docs d ON d.doc = h.doc JOIN v_transcripts s ON s.id = d.session_id", "session_id, tool_name, snippet", 4.5, "tool_call")}
     UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta),
   vague AS (SELECT query_id FROM terms WHERE (len(terms) = 0 OR regexp_matches(query, '(?i)\\b(resume|continue|pick up|where did we leave|building this|this thing)\\b')) AND query_id NOT IN (SELECT query_id FROM found)),
-  latest AS (SELECT id AS session_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id) AS pos FROM v_sessions QUALIFY pos <= 20),
+  latest AS (SELECT id AS session_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id) AS pos FROM v_transcripts QUALIFY pos <= 20),
   signals AS (SELECT query_id, session_id, kind, sum(score) AS score FROM (SELECT * FROM found UNION ALL SELECT query_id, session_id, 'recent', 0.75 / pos FROM vague, latest) GROUP BY ALL)"""
 
 
 def _signals(spark, sf_dir):
-    return R.recall_signals(V.messages(spark, sf_dir), V.sessions(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
+    return R.recall_signals(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
 
 
-_ALL = ("v_sessions", "v_messages", "v_tool_calls")
+_ALL = ("v_transcripts", "v_messages", "v_tool_calls")
 
 
-@register("recall_signals", with_views("SELECT query_id, kind, count(*) AS sessions, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals GROUP BY query_id, kind", *_ALL, ctes=_SIGNALS))
+@register("recall_signals", with_views("SELECT query_id, kind, count(*) AS transcripts, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals GROUP BY query_id, kind", *_ALL, ctes=_SIGNALS))
 def recall_signals(spark, sf_dir):
-    return _signals(spark, sf_dir).groupBy("query_id", "kind").agg(F.count("*").alias("sessions"), F.round(F.sum("score"), 6).alias("score"))
+    return _signals(spark, sf_dir).groupBy("query_id", "kind").agg(F.count("*").alias("transcripts"), F.round(F.sum("score"), 6).alias("score"))
 
 
 @register("recall", with_views("""SELECT query_id, session_id, score, rank, signals FROM (SELECT t.query_id, t.session_id, t.score, t.signals, row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST, t.session_id) AS rank FROM
-    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind, ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t JOIN v_sessions s ON s.id = t.session_id) WHERE rank <= 10""", *_ALL, ctes=_SIGNALS))
+    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind, ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", *_ALL, ctes=_SIGNALS))
 def recall(spark, sf_dir):
-    return R.recall(_signals(spark, sf_dir), V.sessions(spark, sf_dir))
+    return R.recall(_signals(spark, sf_dir), V.transcripts(spark, sf_dir))
 
 
 def _tool_wanted(spark, sf_dir):
-    return V.sessions(spark, sf_dir).select((F.col("id").cast("bigint") % 5).alias("query_id"), F.col("id").alias("session_id"), F.concat(F.lit("click "), (F.col("id").cast("bigint") % 100).cast("string")).alias("query"))
+    return V.transcripts(spark, sf_dir).select((F.col("id").cast("bigint") % 5).alias("query_id"), F.col("id").alias("session_id"), F.concat(F.lit("click "), (F.col("id").cast("bigint") % 100).cast("string")).alias("query"))
 
 
 @register("matching_tools", with_views("""SELECT query_id, session_id, id, pos, input_preview FROM (SELECT query_id, w.session_id, c.id, tool_input AS input_preview, row_number() OVER (PARTITION BY query_id, w.session_id ORDER BY timestamp, length(c.id), c.id) AS pos FROM v_tool_calls c JOIN
-    (SELECT CAST(id AS BIGINT) % 5 AS query_id, id AS session_id, 'click ' || (CAST(id AS BIGINT) % 100) AS query FROM v_sessions) w ON w.session_id = c.session_id WHERE contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), query) OR contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), 'click')) WHERE pos <= 8""", "v_sessions", "v_tool_calls"))
+    (SELECT CAST(id AS BIGINT) % 5 AS query_id, id AS session_id, 'click ' || (CAST(id AS BIGINT) % 100) AS query FROM v_transcripts) w ON w.session_id = c.session_id WHERE contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), query) OR contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), 'click')) WHERE pos <= 8""", "v_transcripts", "v_tool_calls"))
 def matching_tools(spark, sf_dir):
     return R.matching_tools(V.tool_calls(spark, sf_dir), _tool_wanted(spark, sf_dir))
 
 
 @register("recall_evidence", with_views("""SELECT session_id, kind, snippet, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'tool_call' THEN 1 ELSE 3 END, score DESC, snippet) AS pos FROM
-    (SELECT session_id, kind, snippet, max(score) AS score FROM (SELECT session_id, 'message' AS kind, left(content, 40) AS snippet, CAST(sequence_num AS DOUBLE) AS score FROM v_messages UNION ALL SELECT session_id, 'tool_call', tool_name, duration FROM v_tool_calls UNION ALL SELECT id, 'session', title, 1.0 FROM v_sessions) WHERE trim(snippet) <> '' GROUP BY ALL)) WHERE pos <= 8""", *_ALL))
+    (SELECT session_id, kind, snippet, max(score) AS score FROM (SELECT session_id, 'message' AS kind, left(content, 40) AS snippet, CAST(sequence_num AS DOUBLE) AS score FROM v_messages UNION ALL SELECT session_id, 'tool_call', tool_name, duration FROM v_tool_calls UNION ALL SELECT id, 'session', title, 1.0 FROM v_transcripts) WHERE trim(snippet) <> '' GROUP BY ALL)) WHERE pos <= 8""", *_ALL))
 def recall_evidence(spark, sf_dir):
     kinds = [V.messages(spark, sf_dir).select("session_id", F.lit("message").alias("kind"), F.left("content", F.lit(40)).alias("snippet"), F.col("sequence_num").cast("double").alias("score"))]
     kinds.append(V.tool_calls(spark, sf_dir).select("session_id", F.lit("tool_call").alias("kind"), F.col("tool_name").alias("snippet"), F.col("duration").alias("score")))
-    kinds.append(V.sessions(spark, sf_dir).select(F.col("id").alias("session_id"), F.lit("session").alias("kind"), F.col("title").alias("snippet"), F.lit(1.0).alias("score")))
+    kinds.append(V.transcripts(spark, sf_dir).select(F.col("id").alias("session_id"), F.lit("session").alias("kind"), F.col("title").alias("snippet"), F.lit(1.0).alias("score")))
     items = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("query_id", F.lit(1)).withColumn("signal", F.lit("all"))
     return R.evidence(items).select("session_id", "kind", "snippet", "score", "pos")
 
 
 @register("recall_context", with_views(f"""SELECT session_id, id, hit, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hit DESC, sequence_num, id) AS pos, max(CAST(hit AS INTEGER)) OVER (PARTITION BY session_id) AS any_hit FROM
-    (SELECT m.*, len(list_intersect(list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) > 0 AS hit FROM v_messages m JOIN terms t ON CAST(t.query_id AS VARCHAR) = m.session_id)) WHERE (hit AND pos <= 24) OR (any_hit = 0 AND pos <= 12)""",
-    "v_sessions", "v_messages", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}"))
+    (SELECT m.*, len(list_intersect(list_filter(string_split_regex(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) > 0 AS hit FROM v_messages m JOIN terms t ON CAST(t.query_id AS VARCHAR) = m.session_id)) WHERE (hit AND pos <= 24) OR (any_hit = 0 AND pos <= 12)""",
+    "v_transcripts", "v_messages", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}"))
 def recall_context(spark, sf_dir):
     wanted = _session_queries(spark, sf_dir).withColumn("session_id", F.col("query_id").cast("string"))
     return R.session_context(V.messages(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
 
 
 @register("recall_tools", with_views(f"""SELECT session_id, id, held > 0 AS hit, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY held DESC, coalesce(timestamp, '') DESC, id) AS pos FROM (SELECT *, count(*) FILTER (held > 0) OVER (PARTITION BY session_id) AS hits, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, '') DESC, id) AS nth FROM
-    (SELECT c.session_id, c.id, c.timestamp, len(list_distinct(list_intersect(list_filter(string_split_regex(lower(concat_ws(' ', tool_name, tool_input, tool_output)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))) AS held FROM v_tool_calls c JOIN terms t ON CAST(t.query_id AS VARCHAR) = c.session_id)) WHERE held > 0 OR (hits < 12 AND nth <= 12)) WHERE pos <= 64""",
+    (SELECT c.session_id, c.id, c.timestamp, len(list_distinct(list_intersect(list_filter(string_split_regex(strip_accents(lower(concat_ws(' ', tool_name, tool_input, tool_output))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))) AS held FROM v_tool_calls c JOIN terms t ON CAST(t.query_id AS VARCHAR) = c.session_id)) WHERE held > 0 OR (hits < 12 AND nth <= 12)) WHERE pos <= 64""",
     "v_tool_calls", ctes=f"c_queries AS (SELECT c_custkey AS query_id, ['click 5', 'signup error', 'nothing here', '87 view'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS query FROM customer), {_terms_cte('c_queries')}"))
 def recall_tools(spark, sf_dir):
     k = F.col("c_custkey")
@@ -116,19 +116,19 @@ def recall_tools(spark, sf_dir):
     return R.session_tools(V.tool_calls(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
 
 
-@register("resume_metadata", with_views("""SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_sessions)""", "v_sessions"))
+@register("resume_metadata", with_views("""SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_transcripts)""", "v_transcripts"))
 def resume_metadata(spark, sf_dir):
-    s = V.sessions(spark, sf_dir)
+    s = V.transcripts(spark, sf_dir)
     stored = F.when(F.col("id").cast("bigint") % 6 == 0, F.to_json(F.struct(F.concat(F.lit("run "), "id").alias("resume_command")))).otherwise("{}")
     s = s.withColumn("metadata", stored).withColumn("source_id", F.when(F.col("source") == "logs", F.concat("source_id", F.lit(" x"))).otherwise(F.col("source_id")))
     return R.resume(s, {"project": "agent", "logs": "agent"})
 
 
 @register("recall_reason", with_views("""SELECT id, CASE WHEN line <> '' THEN line ELSE 'matched recall signals' END AS reason FROM (SELECT id, concat_ws('; ', CASE WHEN tool_call_count > 0 THEN 'matched message, tool call' END,
-    CASE WHEN tool_call_count > 0 THEN tool_call_count || ' matching tool call' || CASE WHEN tool_call_count = 1 THEN '' ELSE 's' END END, CASE WHEN title <> '' THEN 'top evidence: ' || substr(title, 1, 140) END) AS line FROM v_sessions)""", "v_sessions"))
+    CASE WHEN tool_call_count > 0 THEN tool_call_count || ' matching tool call' || CASE WHEN tool_call_count = 1 THEN '' ELSE 's' END END, CASE WHEN title <> '' THEN 'top evidence: ' || substr(title, 1, 140) END) AS line FROM v_transcripts)""", "v_transcripts"))
 def recall_reason(spark, sf_dir):
     kinds = F.when(F.col("tool_call_count") > 0, "message,tool_call").otherwise("")
-    return V.sessions(spark, sf_dir).select("id", R.reason(kinds, F.col("tool_call_count"), F.lit(0), F.coalesce("title", F.lit(""))).alias("reason"))
+    return V.transcripts(spark, sf_dir).select("id", R.reason(kinds, F.col("tool_call_count"), F.lit(0), F.coalesce("title", F.lit(""))).alias("reason"))
 
 
 @register("context_snippets", """SELECT conv_id, turn, CASE WHEN p > 0 THEN trim(regexp_replace(CASE WHEN greatest(p - 70, 1) > 1 THEN '…' ELSE '' END || substr(text, greatest(p - 70, 1), least(p + 4 + 119, length(text)) - greatest(p - 70, 1) + 1) || CASE WHEN least(p + 4 + 119, length(text)) < length(text) THEN '…' ELSE '' END, '\\s+', ' ', 'g')) END AS snippet
@@ -294,11 +294,12 @@ def _list(hits: str, keys: str, number: int, weight: int) -> str:
 
 
 _SAID = "s.title, s.project_name, s.project_path, s.started_at"
-#: unified(query_id, session_id, list, score, rank, pos): the ranked list of at most 20 sessions a question.
+#: unified(query_id, session_id, list, score, rank, pos): the ranked list of at most 20 transcripts a question.
 _UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 's_queries', 'm_')}, {bm25_sql('s_docs', 's_queries', 's_')}, {bm25_sql('t_docs', 's_queries', 't_')},
-  lists AS ({_list(f"SELECT h.*, m.session_id, {_SAID}, m.content AS snippet FROM m_ranked h JOIN v_messages m ON m.id = h.doc JOIN v_sessions s ON s.id = m.session_id", "session_id", 1, 10)}
-    UNION ALL {_list(f"SELECT h.*, s.id AS session_id, {_SAID}, concat_ws(' ', s.title, s.project_name, s.project_path) AS snippet FROM s_ranked h JOIN v_sessions s ON s.id = h.doc", "session_id", 2, 35)}
-    UNION ALL {_list(f"SELECT h.*, d.session_id, d.tool_name, d.text, {_SAID}, concat_ws(': ', d.tool_name, d.text) AS snippet FROM t_ranked h JOIN t_docs d ON d.doc = h.doc JOIN v_sessions s ON s.id = d.session_id", "session_id, tool_name, text", 3, 25)}),
+  {snippet_sql('m_', 'm_docs', 'text')}, s_fields AS (SELECT id AS doc, title, project_name, project_path FROM v_transcripts), {snippet_sql('s_', 's_fields', 'title', 'project_name', 'project_path')}, {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')},
+  lists AS ({_list(f"SELECT h.*, m.session_id, {_SAID}, b.snippet FROM m_ranked h JOIN m_best b USING (query_id, variant, doc) JOIN v_messages m ON m.id = h.doc JOIN v_transcripts s ON s.id = m.session_id", "session_id", 1, 10)}
+    UNION ALL {_list(f"SELECT h.*, s.id AS session_id, {_SAID}, b.snippet FROM s_ranked h JOIN s_best b USING (query_id, variant, doc) JOIN v_transcripts s ON s.id = h.doc", "session_id", 2, 35)}
+    UNION ALL {_list(f"SELECT h.*, d.session_id, d.tool_name, {_SAID}, b.snippet AS own, concat_ws(': ', d.tool_name, b.snippet) AS snippet FROM t_ranked h JOIN t_best b USING (query_id, variant, doc) JOIN t_docs d ON d.doc = h.doc JOIN v_transcripts s ON s.id = d.session_id", "session_id, tool_name, own", 3, 25)}),
   told AS (SELECT l.*, lower(trim(query)) AS plain, list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS parts, lower(coalesce(snippet, '')) AS txt, lower(coalesce(project_name, '')) AS nm,
     list_filter(string_split(lower(coalesce(project_path, '')), '/'), lambda x: x <> '') AS seg, lower(concat_ws(' ', CASE WHEN title <> '' AND NOT {_BAD.format(c="title")} THEN title END, CASE WHEN project_name <> '' THEN project_name END, CASE WHEN project_path <> '' THEN project_path END)) AS said FROM lists l JOIN s_queries USING (query_id)),
   scored AS (SELECT *, weight + coalesce(list_max(list_transform(list_filter(list_append(parts, plain), lambda t: t <> ''), lambda t: CASE WHEN nm = t THEN 140 WHEN seg[len(seg)] = t THEN 120 WHEN list_contains(seg, t) THEN 90 ELSE 0 END)), 0)
@@ -309,7 +310,7 @@ _UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text
 
 @register("search_unified", with_views("SELECT query_id, session_id, list, score, rank, pos FROM unified", *_ALL, ctes=_UNIFIED))
 def search_unified(spark, sf_dir):
-    return S.unified_search(V.messages(spark, sf_dir), V.sessions(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
+    return S.unified_search(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
 
 
 @register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
@@ -322,4 +323,4 @@ def hybrid_rrf(spark, sf_dir):
     messages, asked = V.messages(spark, sf_dir), _session_queries(spark, sf_dir)
     vectors = e.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding").join(messages.select("id", "session_id"), "id").withColumnRenamed("id", "message_id")
     questions = asked.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    return S.hybrid_search(messages, V.sessions(spark, sf_dir), V.tool_calls(spark, sf_dir), asked, vectors, questions, 10)
+    return S.hybrid_search(messages, V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), asked, vectors, questions, 10)

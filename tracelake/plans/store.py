@@ -16,10 +16,10 @@ def _orders(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("total"))
 
 
-@register("upsert_sessions", """SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, coalesce(n.total, o.total) AS total FROM
+@register("upsert_transcripts", """SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, coalesce(n.total, o.total) AS total FROM
     (SELECT o_orderkey AS id, o_orderstatus AS title, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN
     (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'new' END AS title, o_totalprice + 1 AS total FROM orders WHERE o_orderkey % 2 = 0) n ON o.id = n.id""")
-def upsert_sessions(spark, sf_dir):
+def upsert_transcripts(spark, sf_dir):
     o = _orders(spark, sf_dir).drop("custkey")
     new = o.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, "new").alias("title"), (F.col("total") + 1).alias("total"))
     return O.upserted(o.where("id % 3 <> 0"), new, ["id"], ["id"])
@@ -75,9 +75,9 @@ def merge_children(spark, sf_dir):
     return O.merged_children(target, source, lines).groupBy("session_id").agg(F.count("*").alias("children"))
 
 
-@register("machine_register", with_views("SELECT machine AS name, min(started_at) AS first_seen_at, max(started_at) AS last_seen_at, count(*) AS session_count FROM v_sessions WHERE machine IS NOT NULL GROUP BY machine", "v_sessions"))
+@register("machine_register", with_views("SELECT machine AS name, min(started_at) AS first_seen_at, max(started_at) AS last_seen_at, count(*) AS session_count FROM v_transcripts WHERE machine IS NOT NULL GROUP BY machine", "v_transcripts"))
 def machine_register(spark, sf_dir):
-    return O.register_machines(V.sessions(spark, sf_dir).where("machine is not null").select(F.col("machine").alias("name"), F.col("started_at").alias("seen_at")))
+    return O.register_machines(V.transcripts(spark, sf_dir).where("machine is not null").select(F.col("machine").alias("name"), F.col("started_at").alias("seen_at")))
 
 
 @register("project_index_merge", "SELECT c_custkey AS session_id, 'new' AS entry FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
@@ -87,11 +87,11 @@ def project_index_merge(spark, sf_dir):
     return new.unionByName(old.join(new.select("session_id"), "session_id", "left_anti"))
 
 
-@register("delete_cascade", with_views("SELECT 'sessions' AS tab, count(*) AS n FROM v_sessions WHERE CAST(id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'messages', count(*) FROM v_messages WHERE CAST(session_id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'tool_calls', count(*) FROM v_tool_calls WHERE NOT (CAST(session_id AS BIGINT) % 4 = 1 AND session_id IN (SELECT id FROM v_sessions))", "v_sessions", "v_messages", "v_tool_calls"))
+@register("delete_cascade", with_views("SELECT 'transcripts' AS tab, count(*) AS n FROM v_transcripts WHERE CAST(id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'messages', count(*) FROM v_messages WHERE CAST(session_id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'tool_calls', count(*) FROM v_tool_calls WHERE NOT (CAST(session_id AS BIGINT) % 4 = 1 AND session_id IN (SELECT id FROM v_transcripts))", "v_transcripts", "v_messages", "v_tool_calls"))
 def delete_cascade(spark, sf_dir):
-    s, m, c = V.sessions(spark, sf_dir), V.messages(spark, sf_dir), V.tool_calls(spark, sf_dir)
+    s, m, c = V.transcripts(spark, sf_dir), V.messages(spark, sf_dir), V.tool_calls(spark, sf_dir)
     gone = s.where(F.col("id").cast("bigint") % 4 == 1).select(F.col("id").alias("session_id"))
-    left = O.delete_cascade({"sessions": (s, "id"), "messages": (m, "session_id"), "tool_calls": (c, "session_id")}, gone)
+    left = O.delete_cascade({"transcripts": (s, "id"), "messages": (m, "session_id"), "tool_calls": (c, "session_id")}, gone)
     out = None
     for name, df in left.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
@@ -99,16 +99,16 @@ def delete_cascade(spark, sf_dir):
     return out
 
 
-@register("rename", with_views("SELECT id, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'Renamed ' || id ELSE title END AS title FROM v_sessions", "v_sessions"))
+@register("rename", with_views("SELECT id, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'Renamed ' || id ELSE title END AS title FROM v_transcripts", "v_transcripts"))
 def rename(spark, sf_dir):
-    s = V.sessions(spark, sf_dir)
+    s = V.transcripts(spark, sf_dir)
     return O.renamed(s, s.where(F.col("id").cast("bigint") % 6 == 0).select("id", F.concat(F.lit("Renamed "), "id").alias("title"))).select("id", "title")
 
 
 @register("relocate_paths", with_views("""SELECT id, CASE WHEN project_path = '/w/src1' OR starts_with(project_path, '/w/src1/') THEN '/home/x' || substr(project_path, 8) ELSE project_path END AS project_path,
-    replace(CASE WHEN p = '/w/src1' OR starts_with(p, '/w/src1/') THEN '/home/x' || substr(p, 8) ELSE p END, '/-w-src1/', '/-home-x/') AS source_path FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN project_path || '/f.jsonl' ELSE '/state/' || replace(project_path, '/', '-') || '/f.jsonl' END AS p FROM v_sessions)""", "v_sessions"))
+    replace(CASE WHEN p = '/w/src1' OR starts_with(p, '/w/src1/') THEN '/home/x' || substr(p, 8) ELSE p END, '/-w-src1/', '/-home-x/') AS source_path FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN project_path || '/f.jsonl' ELSE '/state/' || replace(project_path, '/', '-') || '/f.jsonl' END AS p FROM v_transcripts)""", "v_transcripts"))
 def relocate_paths(spark, sf_dir):
-    s = V.sessions(spark, sf_dir)
+    s = V.transcripts(spark, sf_dir)
     path = F.when(F.col("id").cast("bigint") % 2 == 0, F.concat("project_path", F.lit("/f.jsonl"))).otherwise(F.concat(F.lit("/state/"), F.replace("project_path", F.lit("/"), F.lit("-")), F.lit("/f.jsonl")))
     return O.relocated(s.withColumn("source_path", path), "/w/src1", "/home/x").select("id", "project_path", "source_path")
 
@@ -130,10 +130,10 @@ def matching_folders(spark, sf_dir):
     return O.matching_folders(V.table(spark, sf_dir, "documents").select("doc_id", folder.alias("folder")), "/w/src1")
 
 
-@register("rename_by_identifier", with_views("SELECT s.id, coalesce(t.title, s.title) AS title FROM v_sessions s LEFT JOIN (SELECT candidates AS id, min('New ' || identifier) AS title FROM told WHERE matches = 1 GROUP BY candidates) t ON t.id = s.id", "v_sessions", ctes=_WANTED))
+@register("rename_by_identifier", with_views("SELECT s.id, coalesce(t.title, s.title) AS title FROM v_transcripts s LEFT JOIN (SELECT candidates AS id, min('New ' || identifier) AS title FROM told WHERE matches = 1 GROUP BY candidates) t ON t.id = s.id", "v_transcripts", ctes=_WANTED))
 def rename_by_identifier(spark, sf_dir):
     titles = wanted_identifiers(spark, sf_dir).select("identifier", F.concat(F.lit("New "), "identifier").alias("title"))
-    return O.renamed_by(V.sessions(spark, sf_dir), titles).select("id", "title")
+    return O.renamed_by(V.transcripts(spark, sf_dir), titles).select("id", "title")
 
 
 def _files(spark, sf_dir):
@@ -236,10 +236,10 @@ def backfill_verify(spark, sf_dir):
 
 
 @register("sync_plan", with_views("""SELECT s.id, s.message_count AS stored, coalesce(m.n, 0) AS loaded, CASE WHEN coalesce(m.n, 0) = 0 THEN 'refuse_empty' WHEN m.n < s.message_count THEN 'refuse_short' ELSE 'push' END AS verdict
-    FROM (SELECT * FROM v_sessions ORDER BY started_at DESC NULLS LAST, id LIMIT 500) s LEFT JOIN (SELECT session_id, count(*) AS n FROM v_messages WHERE CAST(session_id AS BIGINT) % 10 <> 3 AND (CAST(session_id AS BIGINT) % 10 <> 4 OR sequence_num > 0) GROUP BY session_id) m ON m.session_id = s.id""", "v_sessions", "v_messages"))
+    FROM (SELECT * FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500) s LEFT JOIN (SELECT session_id, count(*) AS n FROM v_messages WHERE CAST(session_id AS BIGINT) % 10 <> 3 AND (CAST(session_id AS BIGINT) % 10 <> 4 OR sequence_num > 0) GROUP BY session_id) m ON m.session_id = s.id""", "v_transcripts", "v_messages"))
 def sync_plan(spark, sf_dir):
     k = F.col("session_id").cast("bigint") % 10
-    return O.sync_plan(V.sessions(spark, sf_dir), V.messages(spark, sf_dir).where((k != 3) & ((k != 4) | (F.col("sequence_num") > 0))))
+    return O.sync_plan(V.transcripts(spark, sf_dir), V.messages(spark, sf_dir).where((k != 3) & ((k != 4) | (F.col("sequence_num") > 0))))
 
 
 _READ = """b AS (SELECT event_type AS source, 'p' || event_id AS path, event_id AS k, event_id % 97 AS mtime, event_id % 13 AS size FROM events),

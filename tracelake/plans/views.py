@@ -33,7 +33,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     first = conv.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("text"), F.count("*").alias("message_count"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("project_name"), F.col("lang").alias("model"))
@@ -64,7 +64,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("session_id"), F.col("text").alias("content"))
 
 
-def corpus_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").where("source is not null")
     return t.groupBy(F.col("source").alias("id")).agg(F.min("lang").alias("title"), F.max("source").alias("project_name"), F.lpad(F.max("doc_id").cast("string"), 12, "0").alias("started_at"))
 
@@ -81,7 +81,7 @@ SQL = {
     "v_tool_calls": """SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id, event_type AS tool_name, props AS tool_input,
         CAST(NULL AS VARCHAR) AS tool_output, value AS duration, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
         strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM events""",
-    "v_sessions": """SELECT CAST(c.conv_id AS VARCHAR) AS id, CASE c.conv_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'rollout' WHEN 2 THEN 'overlay' ELSE 'logs' END AS source,
+    "v_transcripts": """SELECT CAST(c.conv_id AS VARCHAR) AS id, CASE c.conv_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'rollout' WHEN 2 THEN 'overlay' ELSE 'logs' END AS source,
         's' || c.conv_id AS source_id, substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 120) AS title, d.source AS project_name, '/w/' || d.source AS project_path,
         d.lang AS model, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c.conv_id), '%Y-%m-%d %H:%M:%S') AS started_at, n.n_name AS machine,
         CAST(c.message_count AS BIGINT) AS message_count, CAST(coalesce(e.n, 0) AS BIGINT) AS tool_call_count,
@@ -90,7 +90,7 @@ SQL = {
         LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = c.conv_id
         LEFT JOIN nation n ON n.n_nationkey = c.conv_id % 30""",
     "v_corpus": "SELECT CAST(doc_id AS VARCHAR) AS id, source AS session_id, text AS content FROM documents",
-    "v_corpus_sessions": "SELECT source AS id, min(lang) AS title, max(source) AS project_name, lpad(CAST(max(doc_id) AS VARCHAR), 12, '0') AS started_at FROM documents WHERE source IS NOT NULL GROUP BY source",
+    "v_corpus_transcripts": "SELECT source AS id, min(lang) AS title, max(source) AS project_name, lpad(CAST(max(doc_id) AS VARCHAR), 12, '0') AS started_at FROM documents WHERE source IS NOT NULL GROUP BY source",
     "v_queries": "SELECT item_id AS query_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 2 + item_id % 3), ' ') AS query FROM benchmark",
 }
 

@@ -40,31 +40,31 @@ class SessionStore:
         versions = self._versions(name)
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{versions[-1] + 1 if versions else 0}")
 
-    def upsert_sessions(self, new: DataFrame) -> None:
-        self.save("sessions", maintenance.upserted(self.table("sessions"), new, ["source", "source_id"], ["id"]) if self.has("sessions") else new)
+    def upsert_transcripts(self, new: DataFrame) -> None:
+        self.save("transcripts", maintenance.upserted(self.table("transcripts"), new, ["source", "source_id"], ["id"]) if self.has("transcripts") else new)
 
     def replace_children(self, name: str, new: DataFrame) -> None:
         self.save(name, maintenance.children_replaced(self.table(name), new, "session_id") if self.has(name) else new)
 
-    def delete_sessions(self, gone: DataFrame) -> None:
-        held = {name: (self.table(name), "id" if name == "sessions" else "session_id") for name in ("sessions", "messages", "tool_calls", "embeddings") if self.has(name)}
+    def delete_transcripts(self, gone: DataFrame) -> None:
+        held = {name: (self.table(name), "id" if name == "transcripts" else "session_id") for name in ("transcripts", "messages", "tool_calls", "embeddings") if self.has(name)}
         for name, rows in maintenance.delete_cascade(held, gone).items():
             self.save(name, rows)
 
     def rename(self, titles: DataFrame) -> None:
-        self.save("sessions", maintenance.renamed(self.table("sessions"), titles))
+        self.save("transcripts", maintenance.renamed(self.table("transcripts"), titles))
 
     def relocate(self, old: str, new: str) -> None:
-        self.save("sessions", maintenance.relocated(self.table("sessions"), old, new))
+        self.save("transcripts", maintenance.relocated(self.table("transcripts"), old, new))
 
     def recent(self, limit: int = 20) -> DataFrame:
-        return stats.list_sessions(self.table("sessions"), limit=limit)
+        return stats.list_transcripts(self.table("transcripts"), limit=limit)
 
     def resolve(self, identifiers: DataFrame) -> DataFrame:
-        return stats.resolve_identifiers(self.table("sessions"), identifiers)
+        return stats.resolve_identifiers(self.table("transcripts"), identifiers)
 
     def statistics(self) -> DataFrame:
-        return stats.by_source(self.table("sessions"))
+        return stats.by_source(self.table("transcripts"))
 
     def search(self, queries: DataFrame, limit: int = 20) -> DataFrame:
-        return search.unified_search(self.table("messages"), self.table("sessions"), self.table("tool_calls"), queries, limit)
+        return search.unified_search(self.table("messages"), self.table("transcripts"), self.table("tool_calls"), queries, limit)
