@@ -358,6 +358,63 @@ def test_mixing_moves_sources_that_share_their_words(spark):
     assert out["hot"] < 130 and min(out[x] for x in "bcd") > 60
 
 
+def test_mixing_is_soft_and_least_squares(spark):
+    """The registered query: every document has a posterior of its own, and the rates are those of plain steps on them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rated, model, before, after = mixing.mixed_rates(docs, mixing.EQUAL, "source")
+    rows = rated.collect()
+    p, tokens, rate = np.array([r["posterior"] for r in rows]), np.array([r["n_tokens"] for r in rows]), np.array([r["rate"] for r in rows])
+    assert np.allclose(p.sum(axis=1), 1) and (p.max(axis=1)[tokens > 0] < 1).all()
+    assert any(len({round(r["rate"], 6) for r in rows if r["label"] == s}) > 1 for s in model.domains)
+    goal = np.full(len(model.domains), before.sum() / len(model.domains))
+    scale = np.maximum(goal, before) / before.sum()
+    spread = (p * tokens[:, None]).T @ p / before.sum() / np.sqrt(np.outer(scale, scale))
+    step, plain = 1 / (np.linalg.eigvalsh(spread)[-1] + mixing.RIDGE), np.ones(len(rows))
+    for _ in range(2000):
+        miss = ((plain * tokens) @ p - goal) / before.sum() / scale
+        if (np.abs(miss * before.sum() * scale) <= mixing.MISS * goal).all():
+            break
+        plain = np.maximum(0, plain - step * (p @ miss + mixing.RIDGE * (plain - 1)))
+    assert np.allclose(rate[tokens > 0], plain[tokens > 0], atol=1e-6) and np.allclose((rate * tokens) @ p, after)
+    assert (np.abs(after - goal) <= mixing.MISS * goal).all()
+    assert sorted((r["doc_id"], r["rate"]) for r in rows) == sorted((r["doc_id"], r["rate"]) for r in mixing.mix_rates(docs, mixing.EQUAL, "source").collect())
+
+
+def test_mixing_tells_of_targets_that_no_rates_reach(spark):
+    docs = spark.createDataFrame([(i, "same words here", None if i else "a", None, 1, "n") for i in range(9)] + [(9, "same words here", "b", None, 1, "n")], SCHEMA)
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.mixed_rates(docs, {"a": 1.0, "b": 0.0})
+
+
+def test_mixing_of_many_labels_shares_domains(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x", f"l{i % 40}", None, 1, "n") for i in range(200)] + [(i, "y z", "big", None, 1, "n") for i in range(200, 260)], SCHEMA)
+    model = mixing.fit(docs, "lang", most=20)
+    assert len(model.domains) == 20 and "big" in model.domains and sum(d.startswith(mixing.OTHER) for d in model.domains) == mixing.OTHERS
+    told = mixing.posteriors(docs, model, "lang").collect()
+    assert {r["label"] for r in told} <= set(model.domains) and len(told) == 260
+    assert mixing.mixed_rates(docs, mixing.EQUAL, "lang", model)[0].count() == 260
+
+
+def test_samples_take_every_row_they_may(spark, monkeypatch):
+    """A thousand short labelled rows among twenty thousand: none is lost to a bound that long rows set."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 20 = 0, concat('some words ', id), repeat('long text ', 1700)) AS text", "'xx' AS lang", "'s' AS source")
+    taken = []
+    monkeypatch.setattr(mixing, "calibrated", lambda texts, labels, counts: taken.append(len(texts)))
+    monkeypatch.setattr(language_crf, "train", lambda texts, labels: taken.append(len(texts)))
+    mixing.fit(rows, "source")
+    language_crf.fit(rows)
+    may = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(0, 20_000, 20))
+    assert taken == [1000, may]
+
+
+def test_lm_scores_tell_documents_with_one_print_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c word{i} " * (i + 1)) for i in range(6)], "doc_id long, text string")
+    model = bilinear_lm.fit(docs.select("text"), 4)
+    want = {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in bilinear_lm.scores(docs, model).collect()}
+    monkeypatch.setattr(bilinear_lm.F, "xxhash64", lambda *a: F.lit(1).cast("long"))
+    assert {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in bilinear_lm.scores(docs, model).collect()} == want and len(want) == 6
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for told in (ngram_join.ngram_join(empty), recompression.substring_dedup(empty), column_bwt.suffix_dedup(empty), bilinear_lm.lm_scores(empty), sentencepiece_arrays.encode(empty), telephony.media_columns(empty), sharding.shard(empty), language_crf.language_id(empty), mixing.mix_rates(empty)):

@@ -26,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def sampled(rows: DataFrame, size: int, of: int, salt: int) -> DataFrame:
     """At most ``size`` of ``rows``, the first by a hash of doc_id and text.
 
-    ``of`` is about how many rows there are. A bound on the hash that leaves few more than
+    ``of`` is how many of ``rows`` there are. A bound on the hash that leaves few more than
     ``size`` rows goes first, so that only these reach the sort.
     """
     bound = min(1.0, (size + 6 * math.sqrt(size) + 50) / max(of, 1))

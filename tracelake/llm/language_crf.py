@@ -320,7 +320,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Crf:
         return train([], [])
     told = docs.where(~held_out()).where("lang is not null")
     short = told.where("text is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "lang")
-    told = sampled(short, rows, told.count(), 8).toArrow()
+    told = sampled(short, rows, short.count(), 8).toArrow()
     return train(told["text"].to_pylist(), told["lang"].to_pylist())
 
 
