@@ -411,8 +411,9 @@ def fit(training: DataFrame, size: int = HEAD) -> Fitted:
         often[row["k"]] += row["n"]
     share = often / often.sum()
     h = whitened(model.word_contexts(), share)
-    words = training.mapInArrow(_word_rows(shared), "name long, context short, n int").repartition(shuffle_partitions(training.sparkSession), "name")
-    words = words.groupBy("name", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("name", "context")
+    # summed by word and context first, so that a common word brings each context once to the task that fits its vector
+    words = training.mapInArrow(_word_rows(shared), "name long, context short, n int").groupBy("name", "context").agg(F.sum("n").alias("n"))
+    words = words.repartition(shuffle_partitions(training.sparkSession), "name").sortWithinPartitions("name", "context")
     vectors = checkpointed(words.mapInArrow(_vector_rows(shared, h, share), "name long, c long, vector array<float>"))
     head.vectors = np.zeros((len(head.names), WIDTH + 1), np.float32)
     if len(head.names):
@@ -456,7 +457,7 @@ def _score_rows(fitted):
             first, n = order[starts], np.diff(np.append(starts, len(order)))
             none = np.zeros(len(first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[row[first]]), signed(name[first]), pa.nulls(len(first), pa.int64()), pa.array(context[first].astype(np.int16)), pa.array(n.astype(np.int32)), pa.array(none.astype(np.int64)), pa.array(none.astype(np.int64)), pa.array(none), pa.array(none)],
+                [pa.array(uid[row[first]]), signed(name[first]), block["doc_id"].take(pa.array(row[first])), pa.array(context[first].astype(np.int16)), pa.array(n.astype(np.int32)), pa.array(none.astype(np.int64)), pa.array(none.astype(np.int64)), pa.array(none), pa.array(none)],
                 names=["uid", "name", "doc_id", "context", "n", "n_tokens", "n_known", "base", "model"],
             )
 
@@ -508,7 +509,7 @@ def scores(docs: DataFrame, model: Fitted) -> DataFrame:
     told = rows.mapInArrow(_score_rows(shared), "uid long, name long, doc_id long, context short, n int, n_tokens long, n_known long, base double, model double")
     words = model.counts.join(model.vectors.select("name", "vector"), "name", "left")
     told = told.join(words, "name", "left").mapInArrow(_joined_rows(shared), ROW)
-    told = told.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "model")])
+    told = told.groupBy("doc_id", "uid").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "model")])
     each = lambda c: F.col(c) / F.col("n_rows")
     told = told.select("doc_id", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), each("base").alias("base_score"), each("model").alias("score"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     return told.drop("col")
