@@ -284,3 +284,13 @@ def native_lines(events: DataFrame, cwd: str = "/tmp", model: str = "unknown-mod
         return out
     last = events.groupBy("session_id").agg((F.max("seq") + 2).alias("n")).join(titles, "session_id").where("title <> ''")
     return out.unionByName(last.select("session_id", "n", text('{"type":"custom-title","customTitle":', quoted(F.col("title")), ",", own, "}").alias("line")))
+
+
+def canonical_json(record: str | Column) -> Column:
+    """A JSON text with the keys of all objects in order, at every depth, and no white space; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(record))
+
+
+def record_digest(record: str | Column) -> Column:
+    """SHA-256 of a record that the order of its keys doesn't change; the text itself counts where it is no JSON."""
+    return F.sha2(F.coalesce(canonical_json(record), record if isinstance(record, Column) else F.col(record)), 256)

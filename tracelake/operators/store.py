@@ -64,6 +64,73 @@ def register_machines(seen: DataFrame) -> DataFrame:
     return seen.groupBy("name").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("session_count"))
 
 
+def machines_recounted(machines: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The registry with the transcripts that each machine has now; a machine that it lacks comes in, one that has none keeps its count."""
+    now = transcripts.where(F.coalesce("machine", F.lit("")) != "").groupBy(F.col("machine").alias("name")).agg(F.count("*").alias("_n"))
+    told = machines.join(now, "name", "full").withColumn("session_count", F.coalesce("_n", "session_count"))
+    return told.select(machines.columns)
+
+
+#: Token totals of a transcript, and the message columns that they sum.
+TOTALS = {"total_input_tokens": "input_tokens", "total_output_tokens": "output_tokens", "total_cache_read_tokens": "cache_read_tokens", "total_cache_write_tokens": "cache_write_tokens"}
+
+
+def recounted(transcripts: DataFrame, messages: DataFrame, calls: DataFrame, touched: DataFrame) -> DataFrame:
+    """The transcripts, those in ``touched`` with the counts and totals of their children.
+
+    ``touched`` has an id, and may have totals of its own: one that isn't null wins over the
+    sum. Only the children of touched transcripts are read for it; others keep what they have.
+    """
+    ids = touched.select(F.col("id").alias("session_id"))
+    sums = {t: c for t, c in TOTALS.items() if t in transcripts.columns and c in messages.columns}
+    own = messages.join(ids, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_messages"), *[F.sum(c).alias(f"_{t}") for t, c in sums.items()])
+    used = calls.join(ids, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_calls"))
+    told = touched.select(F.col("id").alias("session_id"), *[F.col(t).alias(f"_own_{t}") for t in sums if t in touched.columns])
+    told = told.join(own, "session_id", "left").join(used, "session_id", "left").withColumn("_touched", F.lit(True))
+    joined = transcripts.join(told.withColumnRenamed("session_id", "id"), "id", "left")
+    fresh = {"message_count": F.coalesce("_messages", F.lit(0)), "tool_call_count": F.coalesce("_calls", F.lit(0))}
+    for total in sums:
+        given = [F.col(f"_own_{total}")] if total in touched.columns else []
+        fresh[total] = F.coalesce(*given, F.col(f"_{total}"), F.lit(0))
+    types = dict(transcripts.dtypes)
+    return joined.select(*[F.when(F.col("_touched"), fresh[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in fresh else F.col(c) for c in transcripts.columns])
+
+
+def without_known(target: DataFrame, source: DataFrame, *keys: list[str]) -> DataFrame:
+    """Rows of ``source`` that are new by each of the keys; a key with a null is never known."""
+    for key in keys:
+        source = source.join(target.select(*key).where(" and ".join(f"{k} is not null" for k in key)).distinct(), key, "left_anti")
+    return source
+
+
+def stores_merged(target: dict[str, DataFrame], source: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables of the merged store, rows added to each): transcripts, messages, tool_calls and, where both have them, embeddings.
+
+    A row of the source comes in unless its id or its natural key is known; those of a
+    transcript that was known under another id come in under that. Machine tags stay as
+    they are; the registry of machines is recounted.
+    """
+    natural = {"transcripts": ["source", "source_id"], "messages": ["session_id", "source_id"], "tool_calls": None, "embeddings": ["message_id", "chunk_index"]}
+    added: dict[str, DataFrame] = {}
+    for name, key in natural.items():
+        if name in target and name in source:
+            rows = source[name] if name == "transcripts" else merged_children(target["transcripts"], source["transcripts"], source[name])
+            added[name] = without_known(target[name], rows, ["id"], *([key] if key else [])).select(target[name].columns)
+    merged = {name: target[name].unionByName(rows) for name, rows in added.items()}
+    if "machines" in target:
+        merged["machines"] = machines_recounted(target["machines"], merged["transcripts"])
+    return merged, added
+
+
+def merge_report(added: dict[str, DataFrame]) -> DataFrame:
+    """tab, added: how many rows a merge brought into each table."""
+    told = None
+    for name, rows in added.items():
+        one = rows.agg(F.count("*").alias("added")).select(F.lit(name).alias("tab"), "added")
+        told = one if told is None else told.unionByName(one)
+    return told
+
+
 def delete_cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
     """Each table without the rows of the transcripts in ``gone`` (session_id)."""
     return {name: df.join(gone.withColumnRenamed("session_id", key), key, "left_anti") for name, (df, key) in tables.items()}
@@ -110,9 +177,15 @@ def relocated(transcripts: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def file_gate(files: DataFrame, state: DataFrame) -> DataFrame:
-    """source, path, action: skip files whose state is ok with the same mtime and size, else new, changed or retry."""
+    """source, path, action: skip files whose state is ok with the same mtime and size, else new, changed or retry.
+
+    Where both tables have a ``signature``, that of the side files that a source is read
+    with, it has to be the same too.
+    """
     joined = files.alias("f").join(state.alias("s"), ["source", "path"], "left")
     same = (F.col("s.mtime") == F.col("f.mtime")) & (F.col("s.size") == F.col("f.size"))
+    if "signature" in files.columns and "signature" in state.columns:
+        same = same & F.col("s.signature").eqNullSafe(F.col("f.signature"))
     action = F.when(F.col("s.status").isNull(), "new").when((F.col("s.status") == "ok") & same, "skip").when(F.col("s.status") == "ok", "changed").otherwise("retry")
     return joined.select("source", "path", action.alias("action"))
 

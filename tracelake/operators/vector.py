@@ -35,6 +35,65 @@ def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[li
     return texts.withColumn("embedding", vectors(column))
 
 
+def _binary(lists: pa.Array) -> pa.Array:
+    """Lists of floats as binaries of float32 values; values are copied only where their type differs or a null stands for 0."""
+    lists = lists.cast(pa.list_(pa.float32()))
+    values = lists.values
+    values = values.fill_null(0.0) if values.null_count else values
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    held = values.buffers()[1]
+    data = held.slice(values.offset * 4) if held is not None else pa.py_buffer(b"")
+    valid = pa.array(lists.is_valid())
+    told = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64) * 4), data])
+    return pc.if_else(valid, told, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def float_lists(packed: pa.Array) -> pa.Array:
+    """Binaries of float32 values as lists, on the same bytes where each holds whole values; what remains of others is left out."""
+    packed = packed.cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    ends = np.frombuffer(offsets, np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    size = np.where(packed.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    if data is None:
+        values, starts = np.zeros(0, np.float32), np.zeros(len(packed) + 1, np.int64)
+    elif (size % 4 == 0).all() and (np.diff(ends) == size).all() and (data.address + int(ends[0])) % 4 == 0:
+        values, starts = np.frombuffer(data, np.float32, int(size.sum()) // 4, int(ends[0])), (ends - ends[0]) // 4
+    else:
+        raw = np.frombuffer(data, np.uint8)
+        starts = np.append(0, np.cumsum(size // 4))
+        at = np.arange(starts[-1] * 4) + np.repeat(ends[:-1] - starts[:-1] * 4, size // 4 * 4)
+        values = raw[at].view(np.float32)
+    return pa.LargeListArray.from_arrays(pa.array(starts), pa.array(values), mask=packed.is_null())
+
+
+def packed(vector: str | Column) -> Column:
+    """A vector as the bytes of its values in float32, lowest first; a null entry is 0, a null vector null."""
+
+    @F.arrow_udf("binary")
+    def pack(batch: pa.Array) -> pa.Array:
+        return _binary(batch)
+
+    return pack(vector)
+
+
+def unpacked(data: str | Column) -> Column:
+    """The vector that bytes hold; bytes beyond the last whole value are left out."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(batch: pa.Array) -> pa.Array:
+        return float_lists(batch).cast(pa.list_(pa.float32()))
+
+    return unpack(data)
+
+
+def embedding_run(messages: DataFrame, held: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, limit: int = 200) -> DataFrame:
+    """message_id, session_id, chunk_index, chunk_text, embedding (packed), embedding_model, dimensions of the first
+    ``limit`` messages that ``held`` (message_id) has no vector of: what a run adds to the store."""
+    told = embedded(chunks(pending(messages, held, limit)), "chunk_text", embed)
+    said = told.select(F.col("id").alias("message_id"), "session_id", "chunk_index", "chunk_text", F.size("embedding").alias("dimensions"), packed("embedding").alias("embedding"))
+    return said.withColumn("embedding_model", F.lit(model))
+
+
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine in double precision over the shorter length; 0 where a norm is 0."""
     pairs = F.filter(F.arrays_zip(F.col(a).alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).alias("y") if isinstance(b, str) else b.alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
@@ -53,12 +112,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
 
     The query vectors (query_id, query_vector) are dealt into blocks of bounded size; each
     block passes over the vectors once, as matrix products of Arrow batches, of which every
-    batch sends on only the rows that its best ``limit`` transcripts leave possible. Vectors
+    batch sends on only the rows that its best ``limit`` transcripts leave possible. An
+    embedding is an array or the packed bytes of one, which are read where they lie. Vectors
     that are null or hold a null count as empty; the cosine is over the shorter length and
     0 where a norm is 0.
     """
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    told = vectors.select("message_id", "session_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    held = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "binary" else F.col("embedding").cast("array<double>")
+    told = vectors.select("message_id", "session_id", held.alias("embedding"))
     types = dict(told.dtypes) | {"query_id": dict(asked.dtypes)["query_id"]}
     schema = f"query_id {types['query_id']}, message_id {types['message_id']}, session_id {types['session_id']}, cosine double"
     turns = max(1, -(-asked.count() // QUERIES_AT_ONCE))
@@ -73,10 +134,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
 
 
 def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length of vector to (rows, matrix)."""
-    lists = [[] if x is None or None in x else x for x in column.to_pylist()]
-    lengths = np.array([len(x) for x in lists], np.int64)
-    return {n: (rows, np.array([lists[k] for k in rows], np.float64).reshape(len(rows), n)) for n in np.unique(lengths).tolist() for rows in [np.flatnonzero(lengths == n)]}
+    """Length of vector to (rows, matrix); null vectors and those with a null count as empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = float_lists(column)
+    told = column.is_valid().to_numpy(zero_copy_only=False)
+    length = pc.list_value_length(column).fill_null(0).to_numpy().astype(np.int64)
+    values = column.flatten()
+    start = np.cumsum(np.where(told, length, 0)) - np.where(told, length, 0)
+    if values.null_count:
+        bad = np.unique(np.repeat(np.arange(len(length)), np.where(told, length, 0))[values.is_null().to_numpy(zero_copy_only=False)])
+        length[bad] = 0
+    numbers = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(length).tolist():
+        rows = np.flatnonzero(length == n)
+        out[n] = (rows, numbers[start[rows][:, None] + np.arange(n)].reshape(len(rows), n))
+    return out
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from ..operators import vector as X
 from . import views as V
 from .registry import register
 from .search import _SESSION_DOCS, _SESSION_QUERIES, _TOOL_DOCS, _session_queries, bm25_sql, snippet_sql
-from .views import with_views
+from .views import COSINE, NEAREST, with_views
 
 _STOPS = "stops AS (SELECT string_split('" + " ".join(T.STOPWORDS) + "', ' ') AS stop)"
 _TERMS = """list_filter(list_filter(regexp_extract_all(replace(replace(lower(query), '’', ''''), 'let''s', 'lets'), '[a-z0-9_./:@%+=-]+'), lambda t: regexp_matches(t, '[./:@=-]') OR (NOT list_contains(stop, t) AND length(t) >= 3)), lambda t: true)"""
@@ -254,18 +254,13 @@ def pending_embeddings(spark, sf_dir):
     return X.pending(V.corpus(spark, sf_dir), known).select("id", "session_id")
 
 
-_COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
-_NEAREST = f"""knn AS (SELECT query_id, message_id, session_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM
-    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {_COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE n = 1) WHERE pos <= 10)"""
-
-
 def _nearest(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
     session = F.concat(F.lit("s"), (F.col("vec_id") % 100).cast("string"))
     return X.nearest(e.select(F.col("vec_id").alias("message_id"), session.alias("session_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
 
 
-@register("knn_cosine", f"WITH {_NEAREST} SELECT * FROM knn")
+@register("knn_cosine", f"WITH {NEAREST} SELECT * FROM knn")
 def knn_cosine(spark, sf_dir):
     return _nearest(spark, sf_dir)
 
@@ -315,7 +310,7 @@ def search_unified(spark, sf_dir):
 
 @register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
     (SELECT query_id, session_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM (SELECT query_id, session_id, pos FROM unified UNION ALL SELECT query_id, session_id, pos FROM close) GROUP BY ALL)) WHERE pos <= 10""", *_ALL, ctes=f"""{_UNIFIED},
-  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {_COS} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
+  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
   close AS (SELECT query_id, session_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 20)"""))
 def hybrid_rrf(spark, sf_dir):
     """Full text and vectors together; the vector of a session's first message is that of its number, as is a question's."""

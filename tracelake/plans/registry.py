@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import ingest, listing, recall, search, store  # noqa: F401
+    from . import exchange, ingest, listing, recall, search, store  # noqa: F401
 
 
 load()

@@ -99,3 +99,9 @@ def with_views(select: str, *names: str, ctes: str = "") -> str:
     """``select`` in SQL over the named views and further ctes."""
     parts = [f"{name} AS ({SQL[name]})" for name in names] + ([ctes.strip().rstrip(",")] if ctes.strip() else [])
     return f"WITH {', '.join(parts)} {select}" if parts else select
+
+
+#: In SQL, the cosine of e.embedding and q.embedding, and the cte knn of the nearest vectors of each fiftieth one.
+COSINE = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
+NEAREST = f"""knn AS (SELECT query_id, message_id, session_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM
+    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {COSINE} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE n = 1) WHERE pos <= 10)"""

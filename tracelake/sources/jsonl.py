@@ -27,11 +27,15 @@ def names() -> list[str]:
 
 
 def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """file, ord, value of every line; numbered straight after the scan, with no shuffle between."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
-    order = W.partitionBy("file").orderBy("_block", "_row")
-    return raw.withColumn("ord", F.row_number().over(order) - 1).select("file", "ord", "value")
+    """file, ord, value of every line of the files below a folder."""
+    return numbered(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path))
+
+
+def numbered(raw: DataFrame, *more: str) -> DataFrame:
+    """file, ord, value of a text scan, and ``more`` of its columns; lines are numbered straight after it, with no shuffle between."""
+    raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value", *more)
+    order = W.partitionBy("_path").orderBy("_block", "_row")
+    return raw.withColumn("ord", F.row_number().over(order) - 1).select(F.col("_path").alias("file"), "ord", "value", *more)
 
 
 def snapshots(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
