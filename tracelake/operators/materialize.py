@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one is made only where none is set, as in local tests."""
+    """The folder that spark.checkpoint.dir names; a local session without one gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local(\[[^]]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
 

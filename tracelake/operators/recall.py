@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import search as S
 from .materialize import materialized
+from .vector import nearest
 
 MOST_TERMS, MOST_EVIDENCE, MOST_TOOLS = 8, 8, 8
 #: What signals weigh, the order of evidence, openings that say nothing.
@@ -62,31 +63,54 @@ def metadata_hits(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -
     return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "snippet", "pos")
 
 
-def recall_signals(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
-    """query_id, session_id, kind, score: the sum of each kind of signal, discounted by position.
+def recall_hits(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
+    """query_id, session_id, kind, signal, snippet, score of every hit of every kind of signal, discounted by position.
 
-    ``semantic`` has query_id, session_id and a cosine. A vague question that matched nothing
-    gets the most recent transcripts.
+    ``semantic`` has query_id, session_id, cosine and perhaps a snippet (``semantic_hits``). A
+    vague question that matched nothing gets the most recent transcripts.
     """
     variants = materialized(query_variants(queries))
     asked = variants.select(F.struct("query_id", "n").alias("query_id"), F.col("text").alias("query"))
-    weight = variants.select(F.struct("query_id", "n").alias("query_id"), "weight")
+    weight = variants.select(F.struct("query_id", "n").alias("query_id"), "weight", "label")
+    none = F.lit("")
 
     def discounted(hits: DataFrame, kind: str) -> DataFrame:
         told = hits.join(weight, "query_id")
-        return told.select(F.col("query_id.query_id").alias("query_id"), "session_id", F.lit(kind).alias("kind"), (F.lit(WEIGHTS[kind]) * F.col("weight") / F.col("pos")).alias("score"))
+        score = F.lit(WEIGHTS[kind]) * F.col("weight") / F.col("pos")
+        return told.select(F.col("query_id.query_id").alias("query_id"), "session_id", F.lit(kind).alias("kind"), F.col("label").alias("signal"), "snippet", score.alias("score"))
+
+    def whole(hits: DataFrame, kind: str, snippet: Column, score: Column) -> DataFrame:
+        return hits.select("query_id", "session_id", F.lit(kind).alias("kind"), F.lit(kind).alias("signal"), snippet.alias("snippet"), (F.lit(WEIGHTS[kind]) * score).alias("score"))
 
     found = discounted(S.search_messages(messages, transcripts, asked, limit), "message")
     found = found.unionByName(discounted(S.search_transcripts(transcripts, asked, limit), "session"))
     found = found.unionByName(discounted(S.search_tools(calls, transcripts, asked, limit), "tool_call"))
-    found = found.unionByName(metadata_hits(transcripts, queries, limit).select("query_id", "session_id", F.lit("graph").alias("kind"), (F.lit(WEIGHTS["graph"]) / F.col("pos")).alias("score")))
+    found = found.unionByName(whole(metadata_hits(transcripts, queries, limit), "graph", F.col("snippet"), F.lit(1.0) / F.col("pos")))
     if semantic is not None:
-        found = found.unionByName(semantic.select("query_id", "session_id", F.lit("semantic").alias("kind"), (F.lit(WEIGHTS["semantic"]) * F.greatest(F.lit(0.05), "cosine")).alias("score")))
+        found = found.unionByName(whole(semantic, "semantic", F.col("snippet") if "snippet" in semantic.columns else none, F.greatest(F.lit(0.05), "cosine")))
     vague = queries.where((F.size(T.significant_terms("query")) == 0) | F.col("query").rlike(VAGUE)).join(found.select("query_id").distinct(), "query_id", "left_anti")
     latest = transcripts.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit).select(F.col("id").alias("session_id"), "started_at")
     latest = latest.withColumn("pos", F.row_number().over(W.orderBy(F.desc_nulls_last("started_at"), "session_id")))  # at most ``limit`` rows
-    recent = vague.select("query_id").crossJoin(F.broadcast(latest)).select("query_id", "session_id", F.lit("recent").alias("kind"), (F.lit(WEIGHTS["recent"]) / F.col("pos")).alias("score"))
-    return found.unionByName(recent).groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score"))
+    return found.unionByName(whole(vague.select("query_id").crossJoin(F.broadcast(latest)), "recent", none, F.lit(1.0) / F.col("pos")))
+
+
+def recall_signals(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
+    """query_id, session_id, kind, score: the sum of each kind of signal over ``recall_hits``."""
+    return recall_hits(messages, transcripts, calls, queries, limit, semantic).groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score"))
+
+
+def semantic_hits(vectors: DataFrame, query_vectors: DataFrame, transcripts: DataFrame | None = None, limit: int = 10, where: Column | None = None) -> DataFrame:
+    """query_id, session_id, message_id, cosine, pos, snippet (200 characters of the best chunk) of the nearest transcripts.
+
+    ``vectors`` are message_id, session_id, chunk_index, chunk_text and embedding; with
+    ``where``, only those of transcripts that it holds for take part.
+    """
+    if where is not None and transcripts is not None:
+        vectors = vectors.join(transcripts.where(where).select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    near = nearest(vectors.withColumn("message_id", F.struct("message_id", "chunk_index")), query_vectors, limit)
+    near = near.select("query_id", "session_id", "message_id.message_id", "message_id.chunk_index", "cosine", "pos")
+    said = vectors.select("message_id", "chunk_index", F.left(T.collapsed("chunk_text"), F.lit(200)).alias("snippet"))
+    return near.join(said, ["message_id", "chunk_index"]).drop("chunk_index")
 
 
 def recall(signals: DataFrame, transcripts: DataFrame, limit: int = 10) -> DataFrame:
@@ -153,6 +177,32 @@ def reason(signals: Column, tools: Column, paths: Column, snippet: Column) -> Co
     return F.when(line != "", line).otherwise("matched recall signals")
 
 
+def recall_results(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 10, semantic: DataFrame | None = None, status: str = "off", resumable: dict[str, str] | None = None) -> DataFrame:
+    """One row a question and transcript, by rank: fields, score, signals, reason, evidence, matching calls, touched paths, resume command, semantic status."""
+    hits = materialized(recall_hits(messages, transcripts, calls, queries, 2 * limit, semantic))
+    ranked = materialized(recall(hits.groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score")), transcripts, limit))
+    keys = ["query_id", "session_id"]
+    wanted = ranked.select(*keys).join(queries, "query_id")
+    shown = evidence(hits.where("kind <> 'recent'").join(ranked.select(*keys), keys))
+    shown = shown.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "signal", "snippet", "score"))).alias("evidence"))
+    tools = matching_tools(calls, wanted).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "input_preview"))).alias("matching_tool_calls"))
+    said = session_context(messages, wanted).join(messages.select("id", "content"), "id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "content"))).alias("said"))
+    used = session_tools(calls, wanted).join(calls.select("id", "tool_input"), "id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "tool_input"))).alias("used"))
+    text = F.concat_ws("\n", F.transform("said", lambda x: x["content"]), F.transform("used", lambda x: x["tool_input"]))
+    commands = resume(transcripts.withColumn("metadata", F.col("metadata") if "metadata" in transcripts.columns else F.lit("{}")), resumable or {})
+    told = ranked.join(transcripts.withColumnRenamed("id", "session_id"), "session_id").join(commands.withColumnRenamed("id", "session_id"), "session_id", "left")
+    for part in (shown, tools, said, used):
+        told = told.join(part, keys, "left")
+    told = told.withColumn("touched_file_paths", T.file_paths(text))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    top = F.coalesce(F.get(F.col("evidence"), F.lit(0))["snippet"], F.lit(""))
+    why = reason(F.col("signals"), F.greatest(count("matching_tool_calls"), F.lit(0)), F.greatest(count("touched_file_paths"), F.lit(0)), top)
+    return told.select(
+        *keys, "rank", "score", "signals", *[c for c in ("title", "project_name", "project_path", "started_at") if c in transcripts.columns], why.alias("reason"),
+        "evidence", "matching_tool_calls", "touched_file_paths", F.struct("available", "shell_command", F.col("reason")).alias("resume"), F.lit(status).alias("semantic_status"),
+    )
+
+
 def shell_quoted(value: Column) -> Column:
     return F.when(value.rlike(r"^[A-Za-z0-9_./:=@+-]+$"), value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'")))
 

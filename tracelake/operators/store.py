@@ -231,6 +231,18 @@ def ingest_result(gate: DataFrame) -> DataFrame:
     return gate.groupBy("source").agg(F.count("*").alias("scanned"), count("new", "changed", "retry").alias("ingested"), count("skip").alias("skipped"), count("retry").alias("retried"))
 
 
+def index_merged(held: DataFrame, incoming: DataFrame, key: str = "session_id") -> DataFrame:
+    """Entries of a project's index after those of a moved project came in: an incoming one of the same key wins."""
+    return incoming.unionByName(held.join(incoming.select(key), key, "left_anti"))
+
+
+def size_estimate(transcripts: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """id, bytes: UTF-8 bytes of a transcript with its messages and tool calls, each as compact JSON, and a line feed after each."""
+    said = lambda df, key: df.select(F.col(key).alias("id"), (F.octet_length(F.to_json(F.struct(*df.columns))) + 1).alias("bytes"))
+    rows = said(transcripts, "id").unionByName(said(messages, "session_id")).unionByName(said(calls, "session_id"))
+    return rows.groupBy("id").agg(F.sum("bytes").alias("bytes")).join(transcripts.select("id"), "id", "left_semi")
+
+
 def export_manifest(files: DataFrame) -> DataFrame:
     """project, files, bytes, and a total row with project null."""
     return files.rollup("project").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))

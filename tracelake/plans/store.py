@@ -84,7 +84,7 @@ def machine_register(spark, sf_dir):
 def project_index_merge(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
     new, old = c.where("session_id % 2 = 0").withColumn("entry", F.lit("new")), c.where("session_id % 3 = 0").withColumn("entry", F.lit("old"))
-    return new.unionByName(old.join(new.select("session_id"), "session_id", "left_anti"))
+    return O.index_merged(old, new)
 
 
 @register("delete_cascade", with_views("SELECT 'transcripts' AS tab, count(*) AS n FROM v_transcripts WHERE CAST(id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'messages', count(*) FROM v_messages WHERE CAST(session_id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'tool_calls', count(*) FROM v_tool_calls WHERE NOT (CAST(session_id AS BIGINT) % 4 = 1 AND session_id IN (SELECT id FROM v_transcripts))", "v_transcripts", "v_messages", "v_tool_calls"))
@@ -282,9 +282,9 @@ def backfill_checkpoint_write(spark, sf_dir):
     return O.checkpoint_view(O.readable(O.checkpoint_written(o, done, 2), 2)).select("key", "state", "run")
 
 
-@register("pane_listing", "SELECT event_id, machine, pos FROM (SELECT event_id, 'm' || user_id % 3 AS machine, row_number() OVER (PARTITION BY user_id % 3 ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, 'box-' || user_id % 9, user_id % 4, event_id) AS pos FROM events WHERE event_type <> 'signup')")
+@register("pane_listing", "SELECT event_id, machine, pos FROM (SELECT event_id, 'm' || user_id % 3 AS machine, row_number() OVER (PARTITION BY user_id % 3 ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, 'box-' || user_id % 9, user_id % 4, event_id) AS pos FROM events)")
 def pane_listing(spark, sf_dir):
     u = F.col("user_id")
     status = F.when(F.col("event_type") == "click", "needs_attention").when(F.col("event_type") == "view", "active").when(F.col("event_type") == "purchase", "idle").otherwise("dead")
-    told = V.table(spark, sf_dir, "events").where("event_type <> 'signup'").select("event_id", F.concat(F.lit("m"), (u % 3).cast("string")).alias("machine"), status.alias("status"), F.concat(F.lit("box-"), (u % 9).cast("string")).alias("session"), (u % 4).alias("window_index"), F.col("event_id").alias("pane_index"))
+    told = V.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("m"), (u % 3).cast("string")).alias("machine"), status.alias("status"), F.concat(F.lit("box-"), (u % 9).cast("string")).alias("session"), (u % 4).alias("window_index"), F.col("event_id").alias("pane_index"))
     return P.listing(told).select("event_id", "machine", "pos")
