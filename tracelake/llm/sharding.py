@@ -7,6 +7,10 @@ slots move from the heaviest shard to the lightest, the rows of all other slots
 they are, and the edited map is stored as the next version. Rows go by the latest version.
 Only the map, of ``SLOTS`` rows, passes through the driver.
 
+A record's id decides its slot, not its text: equal texts under several ids are records
+like others and may lie in several shards, as the law of near-equal bytes asks of a text
+that a third of all rows share.
+
 Results by case: a null text has 0 bytes and the crc32 of the empty string; a row with a
 null doc_id is hashed by its text; repeated rows share a slot and each take a place in
 their shard; ties in size go to the smaller slot and shard number; further columns are
