@@ -180,23 +180,26 @@ SECRETS = [
 ]
 
 
-#: For each shape, pieces of text (in lower case) of which one stands in whatever it matches.
+#: For each shape, pieces of text (in lower case), taken from the shape, of which one stands in whatever it matches.
 HINTS = [["sk-"], ["npm_"], ["k_live_", "k_test_"], ["xox"], ["eyj"], ["github_pat_"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["akia", "asia"], ["aiza"], ["private key"], ["://"], ["://"], ["bearer", "basic"], ["key", "secret", "token", "passw", "authorization"]]
 
 
 def redacted(text: str | Column) -> Column:
-    """The text with all secrets replaced; a pattern is tried only where one of its hints stands."""
-    out = col(text)
-    for (pattern, replacement), hints in zip(SECRETS, HINTS, strict=True):
-
-        def step(t: Column) -> Column:
-            low = F.lower(t)
-            held = reduce(or_, [F.contains(low, F.lit(h)) for h in hints])  # noqa: B023
-            return F.when(held, F.regexp_replace(t, pattern, replacement)).otherwise(t)  # noqa: B023
-
-        # a variable of its own, so that each step names the one before once
-        out = F.get(F.transform(F.array(out), step), F.lit(0))
-    return out
+    """The text with all secrets replaced; a pattern is tried only where one of its hints stands.
+
+    Hints are sought in the text as it was, lower-cased once: what replaces a secret holds none.
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def replaced(low: Column) -> Column:
+        out = col(text)
+        for (pattern, replacement), hints in zip(SECRETS, HINTS, strict=True):
+            held = reduce(or_, [F.contains(low, F.lit(h)) for h in hints])
+            # a variable of its own, so that each step names the one before once
+            out = let(out, lambda t: F.when(held, F.regexp_replace(t, pattern, replacement)).otherwise(t))  # noqa: B023
+        return out
+
+    return let(F.lower(col(text)), replaced)
 
 
 def secret_counts(text: str | Column) -> list[Column]:

@@ -22,10 +22,9 @@ CRASHED = ["bash", "sh"]
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike("(?i)" + p)
-    return F.coalesce(out, F.lit(False))
+    """Whether any pattern is found, in one pass; a pattern keeps the flags that it begins with."""
+    one = [f"(?m:{p.removeprefix('(?m)')})" if p.startswith("(?m)") else f"(?:{p})" for p in patterns]
+    return F.coalesce(text.rlike("(?i)" + "|".join(one)), F.lit(False))
 
 
 def _said(text: Column) -> Column:

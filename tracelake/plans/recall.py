@@ -63,7 +63,7 @@ _SIGNALS = f"""{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_VARIANTS}, asked
 
 #: As _SIGNALS, with the semantic signal: vectors are those of sessions' first messages and of the questions' numbers.
 _SEMANTIC_SIGNALS = _SIGNALS.replace("UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta)", """UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta
-    UNION ALL SELECT query_id, session_id, 'semantic', 3.75 * greatest(0.05, cosine) FROM close)""").replace("  found AS (", f"""  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
+    UNION ALL SELECT query_id, session_id, 'semantic', 3.75 * greatest(0.05, cosine + 1e-7) FROM close)""").replace("  found AS (", f"""  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
   close AS (SELECT query_id, session_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 40),
   found AS (""", 1)
 
@@ -87,7 +87,9 @@ def semantic_hits(spark, sf_dir):
     (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind, ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", "v_transcripts", "v_messages", "v_tool_calls", ctes=_SEMANTIC_SIGNALS))
 def recall_semantic(spark, sf_dir):
     """Recall fed with all of its signals, the semantic one among them."""
-    signals = R.recall_signals(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir), semantic=_semantic(spark, sf_dir))
+    # cosines have six decimals; beyond them no score lies halfway between two of four
+    near = _semantic(spark, sf_dir).withColumn("cosine", F.col("cosine") + 1e-7)
+    signals = R.recall_signals(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir), semantic=near)
     return R.recall(signals, V.transcripts(spark, sf_dir))
 
 

@@ -7,10 +7,14 @@ never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from .operators import search, stats
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import handoff, normalize, recall, search, stats, transfer, vector, watch
 from .operators import store as maintenance
+from .sources import jsonl
 
 
 class SessionStore:
@@ -66,5 +70,142 @@ class SessionStore:
     def statistics(self) -> DataFrame:
         return stats.by_source(self.table("transcripts"))
 
+    # reading
+
+    def messages(self, ids: DataFrame) -> DataFrame:
+        """The messages of the transcripts in ``ids`` (id), in order."""
+        told = self.table("messages").join(ids.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        return told.orderBy("session_id", "sequence_num", "id")
+
+    def tool_calls(self, ids: DataFrame) -> DataFrame:
+        told = self.table("tool_calls").join(ids.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        return told.orderBy("session_id", "timestamp", "id")
+
+    def machines(self) -> DataFrame:
+        """The registry, most transcripts first."""
+        return self.table("machines").orderBy(F.desc("session_count"), "name")
+
+    def commands(self) -> DataFrame:
+        return handoff.commands(self.table("tool_calls"))
+
+    def entities(self) -> DataFrame:
+        return stats.entities(self.table("transcripts"), self.table("tool_calls"))
+
+    def related(self, wanted: DataFrame, limit: int = 50) -> DataFrame:
+        """The newest transcripts of each entity (type, name)."""
+        return stats.related_transcripts(self.table("transcripts"), self.table("tool_calls"), wanted, limit)
+
+    def neighborhood(self) -> DataFrame:
+        return stats.neighborhood(self.table("transcripts"), self.table("tool_calls"))
+
+    def listed(self, where: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        return stats.list_transcripts(self.table("transcripts"), where, limit, offset)
+
+    def detail(self, first: int = 12) -> DataFrame:
+        return stats.session_detail(self.table("transcripts"), self.table("messages"), first)
+
+    def totals(self) -> DataFrame:
+        return stats.store_totals(self.table("transcripts"), self.table("messages"), self.table("tool_calls"))
+
+    def sizes(self) -> DataFrame:
+        return maintenance.size_estimate(self.table("transcripts"), self.table("messages"), self.table("tool_calls"))
+
+    # searching
+
     def search(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         return search.unified_search(self.table("messages"), self.table("transcripts"), self.table("tool_calls"), queries, limit)
+
+    def search_content(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        """The best message of each transcript, with its snippet."""
+        return search.search_messages(self.table("messages"), self.table("transcripts"), queries, limit)
+
+    def search_tools(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        return search.search_tools(self.table("tool_calls"), self.table("transcripts"), queries, limit)
+
+    def search_rows(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        return search.session_rows(self.table("transcripts"), queries, limit)
+
+    def semantic_search(self, query_vectors: DataFrame, limit: int = 10) -> DataFrame:
+        """Nearest transcripts of (query_id, query_vector); none where the store has no vectors."""
+        if not self.has("embeddings"):
+            return self.spark.createDataFrame([], f"query_id {dict(query_vectors.dtypes)['query_id']}, session_id string, message_id string, cosine double, pos int, snippet string")
+        return recall.semantic_hits(self.table("embeddings"), query_vectors, limit=limit)
+
+    def hybrid_search(self, queries: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
+        text = self.search(queries, 2 * limit)
+        return vector.fused([text, self.semantic_search(query_vectors, 2 * limit)], limit)
+
+    def recall(self, queries: DataFrame, query_vectors: DataFrame | None = None, limit: int = 10, resumable: dict[str, str] | None = None) -> DataFrame:
+        """Assembled answers; the semantic signal takes part where vectors are stored and asked for."""
+        status = recall.semantic_status(query_vectors is not None, self.table("embeddings") if self.has("embeddings") else None)
+        near = self.semantic_search(query_vectors, 4 * limit) if status == "used" else None
+        return recall.recall_results(self.table("messages"), self.table("transcripts"), self.table("tool_calls"), queries, limit, near, status, resumable)
+
+    def watch_status(self, files: DataFrame, runs: DataFrame) -> DataFrame:
+        return watch.status(files, self.table("ingestion_state"), runs)
+
+    # changing
+
+    def put(self, transcripts: DataFrame, messages: DataFrame, calls: DataFrame) -> None:
+        """Transcripts with all their children: rows are upserted, children replaced, counts and totals of the touched ones recomputed."""
+        self.upsert_transcripts(transcripts)
+        held = self.table("transcripts").select(F.col("id").alias("_id"), "source", "source_id")
+        own = transcripts.select(F.col("id").alias("session_id"), "source", "source_id").join(held, ["source", "source_id"]).select("session_id", "_id")
+        for name, rows in (("messages", messages), ("tool_calls", calls)):
+            told = rows.join(own, "session_id").withColumn("session_id", F.col("_id")).drop("_id")
+            kept = self.table(name).join(own.select(F.col("_id").alias("session_id")), "session_id", "left_anti") if self.has(name) else None
+            self.save(name, told if kept is None else kept.unionByName(told))
+        totals = [c for c in maintenance.TOTALS if c in transcripts.columns]
+        touched = transcripts.join(own.withColumnRenamed("session_id", "id"), "id").select(F.col("_id").alias("id"), *totals)
+        self.save("transcripts", maintenance.recounted(self.table("transcripts"), self.table("messages"), self.table("tool_calls"), touched))
+
+    def import_content(self, payload: dict[str, DataFrame], sources: list[str], statuses: list[str]) -> DataFrame:
+        """Imports whole payloads (transcripts, messages, tool_calls); one with a row at fault is refused. Returns the report."""
+        none = F.lit(None).cast("string")
+        head = payload["transcripts"].select("id", "source", "source_id")
+        said = payload["messages"].select(F.col("session_id").alias("id"), "role", none.alias("tool_name"), none.alias("status"))
+        used = payload["tool_calls"].select(F.col("session_id").alias("id"), none.alias("role"), "tool_name", "status")
+        alone = head.select("id", none.alias("role"), none.alias("tool_name"), none.alias("status"))
+        errors = normalize.validated(head.join(said.unionByName(used).unionByName(alone), "id"), sources, statuses)
+        store = {name: self.table(name) for name in ("transcripts", "messages", "tool_calls")}
+        out, report = transfer.content_imported(store, payload, errors.select("id", "error"))
+        for name, rows in out.items():
+            self.save(name, rows)
+        return report
+
+    def ingest(self, source: str, path: str) -> None:
+        """Reads the files of a source below a path and puts what they hold."""
+        records = jsonl.reader(source)(self.spark, path)
+        messages = normalize.project_messages(records)
+        told = normalize.project_transcripts(records, messages).withColumn("source", F.lit(source)).withColumnsRenamed({"file": "source_id"})
+        told = told.withColumn("id", F.concat_ws(":", "source", "source_id"))
+        owned = lambda rows: rows.withColumn("session_id", F.concat_ws(":", F.lit(source), "file")).drop("file")
+        calls = owned(normalize.tool_uses(messages)).withColumn("id", F.concat_ws("#", "message_id", F.col("n").cast("string"))).withColumn("tool_output", F.lit(None).cast("string"))
+        said = owned(messages).select("id", "session_id", "source_id", "role", "content", "model", "sequence_num", "input_tokens", "output_tokens", "timestamp")
+        calls = calls.join(messages.select(F.col("id").alias("message_id"), "timestamp"), "message_id").select("id", "session_id", "message_id", "tool_name", "tool_input", "tool_output", "timestamp")
+        self.put(told.withColumn("tool_call_count", F.lit(0).cast("long")), said, calls)
+
+    def embed(self, embed: Callable[[list[str]], list[list[float]]], model: str, limit: int = 200) -> int:
+        """Stores vectors of the first messages without one; returns how many chunks."""
+        held = self.table("embeddings") if self.has("embeddings") else None
+        known = self.spark.createDataFrame([], "message_id string") if held is None else held.select("message_id").distinct()
+        new = vector.embedding_run(self.table("messages"), known, embed, model, limit)
+        before = 0 if held is None else held.count()
+        self.save("embeddings", new if held is None else held.unionByName(new))
+        return self.table("embeddings").count() - before
+
+    def merge(self, folder: str) -> DataFrame:
+        """Brings in what another store holds and this one lacks; returns the report of added rows."""
+        other, names = SessionStore(self.spark, folder), ("transcripts", "messages", "tool_calls", "embeddings", "machines")
+        merged, added = maintenance.stores_merged({n: self.table(n) for n in names if self.has(n)}, {n: other.table(n) for n in names if other.has(n)})
+        report = maintenance.merge_report(added).collect()
+        for name, rows in merged.items():
+            self.save(name, rows)
+        return self.spark.createDataFrame(report, "tab string, added long")
+
+    def recompute_machines(self) -> None:
+        held = self.table("machines") if self.has("machines") else self.spark.createDataFrame([], "name string, session_count long")
+        self.save("machines", maintenance.machines_recounted(held, self.table("transcripts")))
+
+    def export(self, records: DataFrame, folder: str, projects: DataFrame | None = None) -> DataFrame:
+        return transfer.export(records, folder, projects)
