@@ -68,4 +68,22 @@ OP12 = f"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS crc FROM ({_CRC})
   SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
   FROM (SELECT DISTINCT g, conv_id FROM raw) o JOIN best USING (g) LEFT JOIN counts USING (g)"""
 
-ORACLES = {"op2_ngram_jaccard_join": OP2, "op2_ngram_jaccard_links": OP2_LINKS, "op5_embedding_near_dedup": OP5, "op7_substring_dedup": OP7, "op12_conversation_repair": OP12}
+#: Exact sums of op11's whole numbers, in 128 bits.
+OP11_DEVIATIONS = """WITH good AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS HUGEINT) + 100000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  flat AS (SELECT r, vec_id, i, x[i] AS x FROM good, unnest(range(1, len(x) + 1)) AS d(i)), sums AS (SELECT i, sum(x) AS s FROM flat GROUP BY i), n AS (SELECT count(*) AS n FROM good)
+  SELECT any_value(vec_id) AS vec_id, CAST(any_value(n) AS BIGINT) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM flat JOIN sums USING (i), n GROUP BY r"""
+
+#: Places of op13's phrases among the words.
+OP13_PHRASES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  p AS (SELECT r, i - 1 AS place, CASE WHEN w[i] = 'mit' THEN 'mit' WHEN w[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM d, unnest(range(1, len(w))) AS q(i) WHERE w[i] IN ('mit', 'apache') AND w[i + 1] = 'license' OR w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY r) USING (r)"""
+
+ORACLES = {
+    "op2_ngram_jaccard_join": OP2,
+    "op2_ngram_jaccard_links": OP2_LINKS,
+    "op5_embedding_near_dedup": OP5,
+    "op7_substring_dedup": OP7,
+    "op11_embedding_deviations": OP11_DEVIATIONS,
+    "op12_conversation_repair": OP12,
+    "op13_license_phrases": OP13_PHRASES,
+}

@@ -76,6 +76,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitening's exact columns, one row a vector, which SQL can express."""
+    return embedding_whitening(table(spark, sf_dir, "embeddings")).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(table(spark, sf_dir, "conversations"))
 
@@ -84,6 +89,11 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
+def op13_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan's base columns, which SQL can express."""
+    return license_labels(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -97,8 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op11_embedding_deviations": op11_embedding_deviations,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_license_scan": op13_license_scan,
+    "op13_license_phrases": op13_license_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
