@@ -189,3 +189,16 @@ def test_digests_do_not_depend_on_the_order_of_keys(spark):
     texts = ['{"b":[{"y":1,"x":{"q":2,"p":null}}],"a":"é\\n"}', '{ "a" : "é\\n", "b" : [ {"x":{"p":null,"q":2},"y":1} ] }', '{"b":[{"y":1,"x":{"q":2,"p":0}}],"a":"é\\n"}', "no json"]
     told = [r["d"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", normalize.record_digest("t").alias("d")).orderBy("k").collect()]
     assert told[0] == told[1] != told[2] and len(set(told)) == 3 and None not in told
+
+
+def test_imports_of_projects_that_hold_a_text(spark, tmp_path):
+    records = spark.createDataFrame([("-w-Alpha", "a", 0, "{}"), ("-w-beta", "b", 0, "{}")], "project string, file string, ord int, value string")
+    transfer.export(records, str(tmp_path / "out"))
+    good, _, report = transfer.imported(spark, str(tmp_path / "out"), spark.createDataFrame([], "project string, file string"), holding="alph")
+    assert [r["project"] for r in good.collect()] == ["-w-Alpha"] and report.count() == 1
+
+
+def test_compact_metadata(spark):
+    told = normalize.compact_metadata({"a": F.lit(""), "b": F.lit("NaN")}, {"c": F.lit(float("nan")), "d": F.lit(float("inf")), "e": F.lit(2), "f": F.lit(None).cast("double")})
+    assert spark.range(1).select(told.alias("m")).first()["m"] == '{"b":"NaN","e":2}'
+    assert spark.range(1).select(normalize.compact_metadata({"a": F.lit(None).cast("string")}).alias("m")).first()["m"] == "{}"

@@ -255,3 +255,20 @@ def test_outputs_of_calls_are_flattened(spark):
     item = lambda **payload: json.dumps({"type": "response_item", "payload": payload})
     rows = [("f", 0, item(type="function_call", call_id="c", name="run", arguments="{}")), ("f", 1, item(type="function_call_output", call_id="c", output=[{"type": "output_text", "text": "a"}, "b"]))]
     assert normalize.paired_calls(spark.createDataFrame(rows, "file string, ord int, value string")).first()["output"] == "a\nb"
+
+
+def test_decoded_and_walked_keys_agree():
+    import random
+
+    pick = random.Random(3)
+
+    def tree(depth):
+        kind = pick.randrange(8 if depth else 5)
+        if kind > 4:
+            return {pick.choice("abcd/é "): tree(depth - 1) for _ in range(pick.randrange(4))} if kind > 5 else [tree(depth - 1) for _ in range(pick.randrange(4))]
+        return [None, True, False, pick.choice([0, -1, 1.5, 1e30, 12345678901234567890]), pick.choice(["", "x y", "é", "{}"])][kind]
+
+    texts = [json.dumps(tree(5), ensure_ascii=False, separators=pick.choice([(",", ":"), (" , ", " : ")])) for _ in range(400)]
+    texts += ['{"a":1.50,"b":{"a":1E5,"a":2}}', '{"a":NaN}', '{"a":01}', "", " ", "[1", '{"a":1} x', '{"a"}', "﻿{}", '"s"', "5", '{"a":-0}', "[" * 3000 + "]" * 3000]
+    for text in texts:
+        assert sorted(recall.json_pairs(text), key=repr) == sorted(recall.walked_pairs(text), key=repr), text

@@ -177,9 +177,12 @@ def subagent(source: Column) -> list[Column]:
     ]
 
 
-def compact_metadata(columns: dict[str, Column]) -> Column:
-    """A JSON object of the values that are neither null nor empty."""
-    return F.to_json(F.struct(*[F.when(value.cast("string") != "", value).alias(name) for name, value in columns.items()]))
+def compact_metadata(texts: dict[str, Column], numbers: dict[str, Column] | None = None) -> Column:
+    """A JSON object of the texts that are not empty and the numbers that are finite; {} where none is."""
+    finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+    told = [F.when(x != "", x).alias(name) for name, x in texts.items()]
+    told += [F.when(finite(x), x).alias(name) for name, x in (numbers or {}).items()]
+    return F.to_json(F.struct(*told), {"ignoreNullFields": "true"})
 
 
 def titles_overlaid(transcripts: DataFrame, index: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from json import dumps
+from json import JSONDecoder, dumps
 from json.decoder import scanstring
 
 from pyspark.sql import Column, DataFrame
@@ -222,15 +222,66 @@ _SPACE = re.compile(r"[ \t\n\r]*")
 _PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null", re.ASCII)
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_constant)
+
+
+def _pairs_of(value, path: str, rows: list) -> tuple[str | None, str]:
+    """A decoded value and its compact text; (path, key, value) of all keys within go to ``rows``."""
+    if isinstance(value, dict):
+        parts = []
+        for key, part in value.items():
+            at, own = len(rows), f"{path}/{key}"
+            rows.append(None)
+            told, quoted = _pairs_of(part, own, rows)
+            rows[at] = (own, key, told)
+            parts.append(f"{dumps(key, ensure_ascii=False)}:{quoted}")
+        said = "{%s}" % ",".join(parts)
+    elif isinstance(value, list):
+        said = "[%s]" % ",".join([_pairs_of(part, f"{path}/{k}", rows)[1] for k, part in enumerate(value)])
+    elif isinstance(value, _Number):
+        said = str(value)
+    elif isinstance(value, str):
+        return value, dumps(value, ensure_ascii=False)
+    else:
+        return (None, "null") if value is None else ("true", "true") if value else ("false", "false")
+    return said, said
+
+
 def json_pairs(text: str | None) -> list[tuple[str, str, str | None]]:
     """(path, key, value) of every key of a JSON text at any depth, also within arrays; none if it isn't JSON.
 
+    A text without escapes is decoded at once; one with escapes, which stay as they are in
+    nested values, or too deep for that, is walked through.
+    """
+    if text is None:
+        return []
+    if "\\" not in text:
+        rows: list = []
+        try:
+            _pairs_of(_DECODER.decode(text), "", rows)
+            return rows
+        except ValueError:
+            return []
+        except RecursionError:
+            pass
+    return walked_pairs(text)
+
+
+def walked_pairs(text: str) -> list[tuple[str, str, str | None]]:
+    """As ``json_pairs``, a token at a time.
+
     The walk keeps its own stack, so no depth is too large. Values that are strings are
     given without quotes, objects and arrays as compact JSON. The last of repeated keys of
     an object counts. Items of arrays are numbered from 0 in the path.
     """
-    if text is None:
-        return []
     rows: list[list | None] = []
     # of each open object or array: its path, its parts (by key or number), the rows of each key, the key or number at hand
     stack: list[tuple[str, dict, dict, list, bool]] = []

@@ -56,15 +56,16 @@ def cwd_moved(line: Column, old: str, new: str) -> Column:
     return F.regexp_replace(line, _CWD + re.escape(quoted(old)) + r'(?=["/])', "$1" + said)
 
 
-def imported(spark: SparkSession, folder: str, existing: DataFrame, old: str = "", new: str = "", overwrite: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def imported(spark: SparkSession, folder: str, existing: DataFrame, old: str = "", new: str = "", overwrite: bool = False, holding: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records to store, quarantined lines, report) of an export; nothing of the store is changed here.
 
     Records are (project, file, ord, value), with projects and cwd fields moved from ``old``
-    to ``new``. A file that ``existing`` (project, file) has is skipped unless ``overwrite``.
+    to ``new``; with ``holding``, only of projects whose name holds it, in any case. A file that ``existing`` (project, file) has is skipped unless ``overwrite``.
     Lines that are no JSON object are quarantined, the rest of their file comes in. The report
     has project, file, action (imported, remapped, overwritten or skipped), lines and bad lines.
     """
     raw = spark.read.schema("value string, project string, file string").text(f"{folder}/projects").withColumnsRenamed({"project": "_project", "file": "_file"})
+    raw = raw.where(F.contains(F.lower("_project"), F.lit(holding.lower()))) if holding else raw
     told = numbered(raw, "_project", "_file").select("_project", F.col("_file").alias("file"), "ord", F.col("value").alias("_line"))
     to = moved_folder(F.col("_project"), old, new) if old else F.col("_project")
     told = told.withColumn("project", to).withColumn("value", cwd_moved(F.col("_line"), old, new) if old else F.col("_line"))

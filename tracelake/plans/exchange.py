@@ -232,3 +232,21 @@ def record_digest(spark, sf_dir):
     one = F.concat(F.lit('{ "role":"'), "role", F.lit('", "b": {"d":true,"c":null},"a":[{"y":{"q":[],"p":'), said, F.lit('},"x":1}, '), F.col("turn").cast("string"), F.lit("]}"))
     two = F.concat(F.lit('{"a":[{"x":1,"y":{"p":'), said, F.lit(',"q":[]}},'), F.col("turn").cast("string"), F.lit('],"b":{"c":null,"d":true},"role":"'), "role", F.lit('"}'))
     return c.select("conv_id", "turn", N.record_digest(F.when(F.col("turn") % 2 == 0, one).otherwise(two)).alias("digest"))
+
+
+@register("import_matching", f"WITH {_LINES} SELECT project, file, 'imported' AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r WHERE p IN (3) GROUP BY ALL")
+def import_matching(spark, sf_dir):
+    """An import of the projects whose name holds a text."""
+    folder = _folder(spark, "export")
+    X.export(_export_records(spark, sf_dir), folder)
+    return X.imported(spark, folder, spark.createDataFrame([], "project string, file string"), holding="OLD-p3")[2]
+
+
+@register("compact_metadata", """SELECT event_id, '{' || concat_ws(',', '"kind":"' || event_type || '"', CASE WHEN event_id % 3 = 0 THEN '"note":"n"' END, CASE WHEN event_id % 4 > 1 THEN '"depth":' || event_id END, CASE WHEN event_id % 5 = 0 THEN '"share":0.5' END) || '}' AS metadata FROM events""")
+def compact_metadata(spark, sf_dir):
+    """Metadata without empty texts and numbers that are null, infinite or none at all."""
+    k = F.col("event_id")
+    note = F.when(k % 3 == 0, "n").when(k % 3 == 1, "")
+    share = F.when(k % 5 == 0, 0.5).when(k % 5 == 1, float("nan")).when(k % 5 == 2, float("-inf"))
+    told = N.compact_metadata({"kind": F.col("event_type"), "note": note}, {"depth": F.when(k % 4 > 1, k), "share": share})
+    return V.table(spark, sf_dir, "events").select("event_id", told.alias("metadata"))

@@ -250,10 +250,20 @@ def redact_text(spark, sf_dir):
     return told.select("doc_id", F.sha2("r", 256).alias("digest"), F.right("r", F.lit(120)).alias("tail"))
 
 
-@register("redaction_audit", "SELECT count(*) AS docs, CAST(sum(len(regexp_extract_all(t, '\\bsk-(?:ant-|proj-)?[A-Za-z0-9_-]{16,}\\b'))) AS BIGINT) AS p01, CAST(sum(len(regexp_extract_all(t, '(?i)(https?://)([^/\\s:@]+):([^/\\s@]+)@'))) AS BIGINT) AS p11 FROM (SELECT " + _PLANTED + " AS t FROM documents)")
+def _sql_counts(column: str) -> str:
+    """How often each shape is replaced, in order, after those before it were."""
+    out, parts = column, []
+    for k, (pattern, replacement) in enumerate(T.SECRETS, 1):
+        parts.append(f"CAST(sum(len(regexp_extract_all({out}, '{_sql_pattern(pattern)}'))) AS BIGINT) AS p{k:02d}")
+        out = f"regexp_replace({out}, '{_sql_pattern(pattern)}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
+    return ", ".join(parts)
+
+
+@register("redaction_audit", f"SELECT count(*) AS docs, {_sql_counts('t')} FROM (SELECT {_PLANTED} AS t FROM documents)")
 def redaction_audit(spark, sf_dir):
-    told = _planted(spark, sf_dir).select(*T.secret_counts("text"))
-    return told.agg(F.count("*").alias("docs"), F.sum("p01").alias("p01"), F.sum("p11").alias("p11"))
+    counts = T.secret_counts("text")
+    told = _planted(spark, sf_dir).select(*counts)
+    return told.agg(F.count("*").alias("docs"), *[F.sum(f"p{k:02d}").alias(f"p{k:02d}") for k in range(1, len(counts) + 1)])
 
 
 def _sql_handed(column: str, length: int) -> str:
