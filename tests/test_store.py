@@ -73,4 +73,4 @@ def test_payloads_and_merge(spark, tmp_path):
     filled("two", ["b", "d"], "other")
     assert {r["tab"]: r["added"] for r in one.merge(str(tmp_path / "two")).collect()} == {"transcripts": 1, "messages": 1, "tool_calls": 0}
     assert [tuple(r) for r in one.machines().collect()] == [("box", 3), ("other", 1)]
-    assert one.listed(F.col("machine") == "other").first()["id"] == "d" and one.totals().count() == 1
+    assert one.listed(F.col("machine") == "other").first()["id"] == "d"
