@@ -138,9 +138,9 @@ def test_stems(spark):
 
 
 def test_store_facade(spark, tmp_path):
-    from tracelake.store import SessionStore
+    from tracelake.store import TranscriptStore
 
-    store_ = SessionStore(spark, str(tmp_path / "store"))
+    store_ = TranscriptStore(spark, str(tmp_path / "store"))
     rows = [("a", "project", "n1", "first", "/w/p", "2024-01-01"), ("b", "project", "n2", "second", "/w/p", "2024-01-02")]
     columns = "id string, source string, source_id string, title string, project_path string, started_at string"
     store_.save("transcripts", spark.createDataFrame(rows, columns))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracelake.store import SessionStore
+from tracelake.store import TranscriptStore
 
 
 def transcript(folder, name, *turns):
@@ -24,7 +24,7 @@ def test_files_to_answers(spark, tmp_path):
     files = tmp_path / "files"
     transcript(files, "one", ("user", "Fix the Café parser"), ("assistant", [{"type": "text", "text": "done"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "make café"}}]))
     transcript(files, "two", ("user", "unrelated words"), ("assistant", [{"type": "tool_result", "content": [{"type": "text", "text": "nothing of it"}]}]))
-    store = SessionStore(spark, str(tmp_path / "store"))
+    store = TranscriptStore(spark, str(tmp_path / "store"))
     store.ingest("project", str(files))
     rows = {r["project_name"]: r for r in store.table("transcripts").collect()}
     assert {k: (r["message_count"], r["tool_call_count"], r["total_input_tokens"]) for k, r in rows.items()} == {"one": (2, 1, 3), "two": (2, 0, 3)}
@@ -52,7 +52,7 @@ def test_payloads_and_merge(spark, tmp_path):
     said, used = "id string, session_id string, source_id string, role string, sequence_num int", "id string, session_id string, tool_name string, status string"
 
     def filled(folder, ids, machine):
-        store = SessionStore(spark, str(tmp_path / folder))
+        store = TranscriptStore(spark, str(tmp_path / folder))
         store.save("transcripts", spark.createDataFrame([(i, "project", f"n{i}", "t", machine, 1, 0, "2024") for i in ids], heads))
         store.save("messages", spark.createDataFrame([(f"m{i}", i, "u", "user", 0) for i in ids], said))
         store.save("tool_calls", spark.createDataFrame([], used))

@@ -270,7 +270,7 @@ def substring_tools(calls: DataFrame, transcripts: DataFrame, queries: DataFrame
 
 
 def substring_transcripts(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Sessions whose title, project or path holds the query, newest first; ``match`` says whether the title does."""
+    """Transcripts whose title, project or path holds the query, newest first; ``match`` says whether the title does."""
     hits = substring_hits(transcripts, "id", ["title", "project_name", "project_path"], queries).join(transcripts.select("id", "title", "started_at"), "id").join(queries, "query_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "id")
     match = F.when(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("query")), "title").otherwise("project")
@@ -290,7 +290,7 @@ def hybrid_search(messages: DataFrame, transcripts: DataFrame, calls: DataFrame,
 
 
 def substring_content(messages: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Sessions whose metadata or messages hold the query; metadata hits come first, each list newest first."""
+    """Transcripts whose metadata or messages hold the query; metadata hits come first, each list newest first."""
     newest = [F.desc("started_at"), F.col("session_id")]
     said = transcripts.withColumnRenamed("id", "session_id")
     meta = substring_hits(transcripts, "id", ["title", "project_name"], queries).withColumnRenamed("id", "session_id").join(said, "session_id")

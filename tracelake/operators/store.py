@@ -49,7 +49,7 @@ def shrink_verdicts(stored: DataFrame, incoming: DataFrame, key: str) -> DataFra
 
 
 def merged_stores(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Sessions of both stores; of the source only those with new id and new natural key come in."""
+    """Transcripts of both stores; of the source only those with new id and new natural key come in."""
     new = source.join(target.select("id"), "id", "left_anti").join(target.select("source", "source_id"), ["source", "source_id"], "left_anti")
     return target.withColumn("origin", F.lit("target")).unionByName(new.select(target.columns).withColumn("origin", F.lit("source")))
 

@@ -61,7 +61,7 @@ _SIGNALS = f"""{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_VARIANTS}, asked
   signals AS (SELECT query_id, session_id, kind, sum(score) AS score FROM (SELECT * FROM found UNION ALL SELECT query_id, session_id, 'recent', 0.75 / pos FROM vague, latest) GROUP BY ALL)"""
 
 
-#: As _SIGNALS, with the semantic signal: vectors are those of sessions' first messages and of the questions' numbers.
+#: As _SIGNALS, with the semantic signal: vectors are those of first messages and of the questions' numbers.
 _SEMANTIC_SIGNALS = _SIGNALS.replace("UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta)", """UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta
     UNION ALL SELECT query_id, session_id, 'semantic', 3.75 * greatest(0.05, cosine + 1e-7) FROM close)""").replace("  found AS (", f"""  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
   close AS (SELECT query_id, session_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 40),

@@ -17,7 +17,7 @@ from .operators import store as maintenance
 from .sources import jsonl
 
 
-class SessionStore:
+class TranscriptStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -196,7 +196,7 @@ class SessionStore:
 
     def merge(self, folder: str) -> DataFrame:
         """Brings in what another store holds and this one lacks; returns the report of added rows."""
-        other, names = SessionStore(self.spark, folder), ("transcripts", "messages", "tool_calls", "embeddings", "machines")
+        other, names = TranscriptStore(self.spark, folder), ("transcripts", "messages", "tool_calls", "embeddings", "machines")
         merged, added = maintenance.stores_merged({n: self.table(n) for n in names if self.has(n)}, {n: other.table(n) for n in names if other.has(n)})
         report = maintenance.merge_report(added).collect()
         for name, rows in merged.items():
