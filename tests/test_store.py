@@ -24,7 +24,7 @@ def test_files_to_answers(spark, tmp_path):
     files = tmp_path / "files"
     transcript(files, "one", ("user", "Fix the Café parser"), ("assistant", [{"type": "text", "text": "done"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "make café"}}]))
     transcript(files, "two", ("user", "unrelated words"), ("assistant", [{"type": "tool_result", "content": [{"type": "text", "text": "nothing of it"}]}]))
-    store = TranscriptStore(spark, str(tmp_path / "store"))
+    store = TranscriptStore(spark, str(tmp_path / "store"), buckets=4)
     store.ingest("project", str(files))
     rows = {r["project_name"]: r for r in store.table("transcripts").collect()}
     assert {k: (r["message_count"], r["tool_call_count"], r["total_input_tokens"]) for k, r in rows.items()} == {"one": (2, 1, 3), "two": (2, 0, 3)}
@@ -52,7 +52,7 @@ def test_payloads_and_merge(spark, tmp_path):
     said, used = "id string, session_id string, source_id string, role string, sequence_num int", "id string, session_id string, tool_name string, status string"
 
     def filled(folder, ids, machine):
-        store = TranscriptStore(spark, str(tmp_path / folder))
+        store = TranscriptStore(spark, str(tmp_path / folder), buckets=4)
         store.save("transcripts", spark.createDataFrame([(i, "project", f"n{i}", "t", machine, 1, 0, "2024") for i in ids], heads))
         store.save("messages", spark.createDataFrame([(f"m{i}", i, "u", "user", 0) for i in ids], said))
         store.save("tool_calls", spark.createDataFrame([], used))
@@ -74,3 +74,27 @@ def test_payloads_and_merge(spark, tmp_path):
     assert {r["tab"]: r["added"] for r in one.merge(str(tmp_path / "two")).collect()} == {"transcripts": 1, "messages": 1, "tool_calls": 0}
     assert [tuple(r) for r in one.machines().collect()] == [("box", 3), ("other", 1)]
     assert one.listed(F.col("machine") == "other").first()["id"] == "d"
+
+
+def test_changes_touch_only_their_buckets(spark, tmp_path):
+    store = TranscriptStore(spark, str(tmp_path), buckets=16)
+    heads = "id string, source string, source_id string, title string, project_path string, source_path string, message_count long, tool_call_count long"
+    store.save("transcripts", spark.createDataFrame([(f"t{i}", "project", f"n{i}", "old", "/w", f"/f{i}", 0, 0) for i in range(60)], heads))
+    store.save("messages", spark.createDataFrame([(f"m{i}", f"t{i % 60}", i) for i in range(180)], "id string, session_id string, sequence_num int"))
+    store.save("tool_calls", spark.createDataFrame([], "id string, session_id string, tool_name string"))
+    store.rename(spark.createDataFrame([("t3", "fresh"), ("none", "x")], "id string, title string"))
+    written = lambda name, n: [p.name for p in (tmp_path / name / "changes" / str(n)).iterdir() if "=" in p.name]
+    assert len(written("transcripts", 1)) == 1 and {r["title"] for r in store.table("transcripts").where("id = 't3'").collect()} == {"fresh"}
+    store.put(
+        spark.createDataFrame([("other", "project", "n5", "put", "/w", "/f5", 0, 0)], heads),
+        spark.createDataFrame([("x", "other", 0)], "id string, session_id string, sequence_num int"),
+        spark.createDataFrame([], "id string, session_id string, tool_name string"),
+    )
+    row = store.table("transcripts").where("source_id = 'n5'").collect()
+    assert [(r["id"], r["title"], r["message_count"]) for r in row] == [("t5", "put", 1)]
+    assert len(written("messages", 1)) == 1 and store.table("messages").count() == 178
+    store.delete_transcripts(spark.createDataFrame([("t5",), ("t6",)], "session_id string"))
+    assert store.table("transcripts").count() == 58 and store.table("messages").count() == 174
+    assert store.table("transcripts", 0).count() == 60
+    store.vacuum(keep=1)
+    assert store.table("transcripts").count() == 58 and store.table("messages").count() == 174

@@ -241,12 +241,12 @@ def pane_crash_candidates(spark, sf_dir):
 
 @register("stream_ingest_equals_batch", "SELECT custkey, messages, tool_calls, mtime, path FROM (SELECT o_custkey AS custkey, o_orderkey % 7 AS messages, o_orderkey % 5 AS tool_calls, o_orderkey % 11 AS mtime, 'p' || o_orderkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 + o_orderkey % 5 DESC, o_orderkey % 7 DESC, o_orderkey % 11 DESC, 'p' || o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def stream_ingest_equals_batch(spark, sf_dir):
-    """The orders as snapshots in three drops, streamed file by file into a versioned table."""
+    """The orders as snapshots in three drops, streamed file by file into a bucketed table."""
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     k = F.col("o_orderkey")
     rows = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), (k % 7).alias("messages"), (k % 5).alias("tool_calls"), (k % 11).alias("mtime"), F.concat(F.lit("p"), k.cast("string")).alias("path"), (k % 3).alias("drop"))
     rows.repartition(3, "drop").drop("drop").write.parquet(f"{folder}/in")
-    table = SnapshotTable(spark, f"{folder}/table", ["custkey"])
+    table = SnapshotTable(spark, f"{folder}/table", ["custkey"], buckets=32)
     stream_snapshots(spark, f"{folder}/in", rows.drop("drop").schema, table, f"{folder}/state", files_per_batch=1).awaitTermination()
     return table.read()
 

@@ -1,8 +1,9 @@
-"""A session store: named tables as versions under one folder, with the operators as methods.
+"""A transcript store: named tables under one folder, with the operators as methods.
 
-Each change writes a new version of the tables that it touches; readers keep the version
-that they opened. A version that a failed job left unfinished has no _SUCCESS file and is
-never read.
+Each table lies in buckets of its keys: a transcript's natural key, a child's transcript, a
+machine's name. A change of some transcripts rewrites the buckets that they touch and no
+others, and writes a new version of the table; readers keep the version that they opened.
+Reading the children of some transcripts opens their buckets only.
 """
 
 from __future__ import annotations
@@ -12,53 +13,90 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bucketed import BucketedTable
 from .operators import handoff, normalize, recall, search, stats, transfer, vector, watch
 from .operators import store as maintenance
 from .sources import jsonl
 
+#: Keys that deal a table's rows into buckets; a table that isn't named, or lacks them, is one bucket.
+KEYS = {"transcripts": ["source", "source_id"], "messages": ["session_id"], "tool_calls": ["session_id"], "embeddings": ["session_id"], "machines": ["name"]}
+CHILDREN = ("messages", "tool_calls", "embeddings")
+
+#: Layers that additions may leave in a bucket before it is written as one.
+LAYERS = 8
+
 
 class TranscriptStore:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _versions(self, name: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(hadoop.Path(p, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def _held(self, name: str, columns: list[str] | None = None) -> BucketedTable:
+        keys = KEYS.get(name, [])
+        known = columns is None or set(keys) <= set(columns)
+        return BucketedTable(self.spark, f"{self.folder}/{name}", keys if known else [], self.buckets)
 
     def has(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return self._held(name).exists()
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """The given version of a table, or the latest."""
-        versions = self._versions(name)
-        if not versions:
+        rows = self._held(name).read(version)
+        if rows is None:
             raise KeyError(f"the store has no table {name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}/{versions[-1] if version is None else version}")
+        return rows
 
     def save(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{versions[-1] + 1 if versions else 0}")
+        """A table anew, all of it."""
+        self._held(name, rows.columns).replace(rows)
+
+    def change(self, name: str, touched: DataFrame, changed: Callable[[DataFrame], DataFrame]) -> None:
+        """The buckets of the keys in ``touched`` become what ``changed`` makes of their rows."""
+        self._held(name).change(touched, changed)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        held = self._held(name)
+        held.append(rows)
+        held.compact(LAYERS)
+
+    def part(self, name: str, keys: DataFrame) -> DataFrame:
+        """All rows of the keys, and others that share their buckets."""
+        return self._held(name).part(keys)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Takes away all but the last ``keep`` versions of each table."""
+        for name in (*KEYS, "ingestion_state"):
+            self._held(name).vacuum(keep)
+
+    def _keys_of(self, ids: DataFrame) -> DataFrame:
+        """The natural keys of the transcripts in ``ids`` (id)."""
+        return self.table("transcripts").select("id", "source", "source_id").join(ids.select("id"), "id", "left_semi").select("source", "source_id")
 
     def upsert_transcripts(self, new: DataFrame) -> None:
-        self.save("transcripts", maintenance.upserted(self.table("transcripts"), new, ["source", "source_id"], ["id"]) if self.has("transcripts") else new)
+        if self.has("transcripts"):
+            self.change("transcripts", new, lambda held: maintenance.upserted(held, new, ["source", "source_id"], ["id"]))
+        else:
+            self.save("transcripts", new)
 
     def replace_children(self, name: str, new: DataFrame) -> None:
-        self.save(name, maintenance.children_replaced(self.table(name), new, "session_id") if self.has(name) else new)
+        if self.has(name):
+            self.change(name, new, lambda held: maintenance.children_replaced(held, new, "session_id"))
+        else:
+            self.save(name, new)
 
     def delete_transcripts(self, gone: DataFrame) -> None:
-        held = {name: (self.table(name), "id" if name == "transcripts" else "session_id") for name in ("transcripts", "messages", "tool_calls", "embeddings") if self.has(name)}
-        for name, rows in maintenance.delete_cascade(held, gone).items():
-            self.save(name, rows)
+        """The transcripts in ``gone`` (session_id) go, with their children."""
+        ids = gone.select("session_id").distinct()
+        without = lambda key: lambda held: maintenance.delete_cascade({"t": (held, key)}, ids)["t"]
+        for name in CHILDREN:
+            if self.has(name):
+                self.change(name, ids, without("session_id"))
+        self.change("transcripts", self._keys_of(ids.select(F.col("session_id").alias("id"))), without("id"))
 
     def rename(self, titles: DataFrame) -> None:
-        self.save("transcripts", maintenance.renamed(self.table("transcripts"), titles))
+        self.change("transcripts", self._keys_of(titles), lambda held: maintenance.renamed(held, titles))
 
     def relocate(self, old: str, new: str) -> None:
+        """Rewrites the whole table, for a prefix may stand in any row."""
         self.save("transcripts", maintenance.relocated(self.table("transcripts"), old, new))
 
     def recent(self, limit: int = 20) -> DataFrame:
@@ -74,11 +112,13 @@ class TranscriptStore:
 
     def messages(self, ids: DataFrame) -> DataFrame:
         """The messages of the transcripts in ``ids`` (id), in order."""
-        told = self.table("messages").join(ids.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        own = ids.select(F.col("id").alias("session_id"))
+        told = self.part("messages", own).join(own, "session_id", "left_semi")
         return told.orderBy("session_id", "sequence_num", "id")
 
     def tool_calls(self, ids: DataFrame) -> DataFrame:
-        told = self.table("tool_calls").join(ids.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        own = ids.select(F.col("id").alias("session_id"))
+        told = self.part("tool_calls", own).join(own, "session_id", "left_semi")
         return told.orderBy("session_id", "timestamp", "id")
 
     def machines(self) -> DataFrame:
@@ -149,15 +189,20 @@ class TranscriptStore:
     def put(self, transcripts: DataFrame, messages: DataFrame, calls: DataFrame) -> None:
         """Transcripts with all their children: rows are upserted, children replaced, counts and totals of the touched ones recomputed."""
         self.upsert_transcripts(transcripts)
-        held = self.table("transcripts").select(F.col("id").alias("_id"), "source", "source_id")
+        keys = transcripts.select("source", "source_id")
+        held = self.part("transcripts", keys).select(F.col("id").alias("_id"), "source", "source_id")
         own = transcripts.select(F.col("id").alias("session_id"), "source", "source_id").join(held, ["source", "source_id"]).select("session_id", "_id")
+        touched = own.select(F.col("_id").alias("session_id"))
         for name, rows in (("messages", messages), ("tool_calls", calls)):
             told = rows.join(own, "session_id").withColumn("session_id", F.col("_id")).drop("_id")
-            kept = self.table(name).join(own.select(F.col("_id").alias("session_id")), "session_id", "left_anti") if self.has(name) else None
-            self.save(name, told if kept is None else kept.unionByName(told))
+            if self.has(name):
+                self.change(name, touched, lambda kept, told=told: kept.join(touched, "session_id", "left_anti").unionByName(told))
+            else:
+                self.save(name, told)
         totals = [c for c in maintenance.TOTALS if c in transcripts.columns]
-        touched = transcripts.join(own.withColumnRenamed("session_id", "id"), "id").select(F.col("_id").alias("id"), *totals)
-        self.save("transcripts", maintenance.recounted(self.table("transcripts"), self.table("messages"), self.table("tool_calls"), touched))
+        counted = transcripts.join(own.withColumnRenamed("session_id", "id"), "id").select(F.col("_id").alias("id"), *totals)
+        said, used = self.part("messages", touched), self.part("tool_calls", touched)
+        self.change("transcripts", keys, lambda rows: maintenance.recounted(rows, said, used, counted))
 
     def import_content(self, payload: dict[str, DataFrame], sources: list[str], statuses: list[str]) -> DataFrame:
         """Imports whole payloads (transcripts, messages, tool_calls); one with a row at fault is refused. Returns the report."""
@@ -167,10 +212,13 @@ class TranscriptStore:
         used = payload["tool_calls"].select(F.col("session_id").alias("id"), none.alias("role"), "tool_name", "status")
         alone = head.select("id", none.alias("role"), none.alias("tool_name"), none.alias("status"))
         errors = normalize.validated(head.join(said.unionByName(used).unionByName(alone), "id"), sources, statuses)
-        store = {name: self.table(name) for name in ("transcripts", "messages", "tool_calls")}
+        own = payload["transcripts"].select(F.col("id").alias("session_id"))
+        keys = payload["transcripts"].select("source", "source_id").unionByName(self._keys_of(payload["transcripts"])).distinct()
+        touched = {"transcripts": keys, "messages": own, "tool_calls": own}
+        store = {name: self.part(name, of) for name, of in touched.items()}
         out, report = transfer.content_imported(store, payload, errors.select("id", "error"))
         for name, rows in out.items():
-            self.save(name, rows)
+            self.change(name, touched[name], lambda _, rows=rows: rows)
         return report
 
     def ingest(self, source: str, path: str) -> None:
@@ -191,7 +239,10 @@ class TranscriptStore:
         known = self.spark.createDataFrame([], "message_id string") if held is None else held.select("message_id").distinct()
         new = vector.embedding_run(self.table("messages"), known, embed, model, limit)
         before = 0 if held is None else held.count()
-        self.save("embeddings", new if held is None else held.unionByName(new))
+        if held is None:
+            self.save("embeddings", new)
+        else:
+            self.add("embeddings", new)
         return self.table("embeddings").count() - before
 
     def merge(self, folder: str) -> DataFrame:
@@ -199,8 +250,10 @@ class TranscriptStore:
         other, names = TranscriptStore(self.spark, folder), ("transcripts", "messages", "tool_calls", "embeddings", "machines")
         merged, added = maintenance.stores_merged({n: self.table(n) for n in names if self.has(n)}, {n: other.table(n) for n in names if other.has(n)})
         report = maintenance.merge_report(added).collect()
-        for name, rows in merged.items():
-            self.save(name, rows)
+        for name, rows in added.items():
+            self.add(name, rows)
+        if "machines" in merged:
+            self.save("machines", merged["machines"])
         return self.spark.createDataFrame(report, "tab string, added long")
 
     def recompute_machines(self) -> None:

@@ -2,7 +2,7 @@
 
 A transcript is appended to under its old path, which a file stream would not read again; so
 the stream reads snapshot copies, each under its own path. Every micro-batch merges its
-candidates into a versioned table by the preferred-snapshot rule, which depends on neither
+candidates into a bucketed table by the preferred-snapshot rule, which depends on neither
 order nor repetition: late, partial or replayed copies change nothing.
 """
 
@@ -13,37 +13,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..bucketed import BucketedTable
 from ..operators.store import preferred
 
 
 class SnapshotTable:
-    """A table of preferred snapshots kept as versions under one folder."""
+    """Preferred snapshots by key, in buckets.
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]):
-        self.spark, self.folder, self.keys = spark, folder, keys
+    A micro-batch adds a layer to the buckets of its keys and so writes only what it brought;
+    the rule is applied again on reading. A bucket of more than ``most`` layers is written
+    anew as one, which each of its rows meets once in ``most`` batches.
+    """
 
-    def version(self) -> int | None:
-        """The last complete version; one that a failed job left unfinished has no _SUCCESS file."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=None)
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 256, most: int = 8):
+        self.keys, self.most, self.held = keys, most, BucketedTable(spark, folder, keys, buckets)
 
     def read(self) -> DataFrame | None:
-        now = self.version()
-        return None if now is None else self.spark.read.parquet(f"{self.folder}/{now}")
+        rows = self.held.read()
+        return None if rows is None else preferred(rows, self.keys)
 
     def merge(self, batch: DataFrame) -> None:
-        now = self.version()
-        held = self.read()
-        rows = batch if held is None else held.unionByName(batch)
-        preferred(rows, self.keys).write.mode("overwrite").parquet(f"{self.folder}/{0 if now is None else now + 1}")
-
-
-def stream_snapshots(spark: SparkSession, source: str, schema: StructType, table: SnapshotTable, checkpoint: str, every: str | None = None, files_per_batch: int = 1000) -> StreamingQuery:
+        best = preferred(batch, self.keys)
+        if not self.held.exists():
+            return self.held.replace(best)
+        self.held.append(best)
+        self.held.compact(self.most, lambda rows: preferred(rows, self.keys))
+
+
+def stream_snapshots(
+    spark: SparkSession,
+    source: str,
+    schema: StructType,
+    table: SnapshotTable,
+    checkpoint: str,
+    every: str | None = None,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
     """Starts the stream; with ``every`` (such as "10 seconds") it goes on, without it drains what is there and ends."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: table.merge(batch))
