@@ -271,6 +271,18 @@ def test_shards(spark, tmp_path):
     assert sum(k != 4 for k in moved) <= 0.01 * len(moved) + 3 and set(grown["shard"]) == set(range(5))
 
 
+def test_shards_of_repeated_rows(spark):
+    """A third of all rows are one row without id, another third one row with an id: they spread over all shards."""
+    same = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "'same' as text").unionByName(spark.range(30_000).selectExpr("7L as doc_id", "'kept' as text"))
+    docs = same.unionByName(spark.range(30_000).selectExpr("100 + id as doc_id", "repeat('z', int(id % 9)) as text"))
+    told = sharding.shard(docs).toPandas()
+    assert len(told) == 90_000 and told["doc_id"].isna().sum() == 30_000 and (told["doc_id"] == 7).sum() == 30_000
+    total = told.groupby("shard")["size"].sum()
+    assert len(total) == sharding.SHARDS and total.max() - total.min() <= 0.004 * total.mean()
+    for _, part in told.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 def test_rebalancing_moves_single_slots(spark, tmp_path):
     sizes = {k: 10 for k in range(240)}
     first = sharding.dealt_in_turn(4, 240)

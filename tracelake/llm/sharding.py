@@ -12,8 +12,9 @@ like others and may lie in several shards, as the law of near-equal bytes asks o
 that a third of all rows share.
 
 Results by case: a null text has 0 bytes and the crc32 of the empty string; a row with a
-null doc_id is hashed by its text; repeated rows share a slot and each take a place in
-their shard; ties in size go to the smaller slot and shard number; further columns are
+null doc_id is hashed by its text; repeated rows, of one id (or none) and one text, are
+counted before they are dealt, and every ``RUN`` of them go to a slot of their own, so that
+any number of them spreads over all shards; ties in size go to the smaller slot and shard number; further columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -25,23 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import checkpoint_folder
+from .graph import checkpoint_folder, checkpointed
 
 SLOTS = 8192
 SHARDS = 24
 OVERHEAD = 8
 
+#: Repeated rows that stay together, and runs of them that one array holds while they are made.
+RUN, RUNS_AT_ONCE = 16, 4096
+
 
 def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def row_slot(slots: int = SLOTS) -> Column:
-    """The slot of a row of doc_id and text."""
-    own = F.col("doc_id").cast("long")
-    return F.when(own.isNull(), slot_of(F.col("text").cast("string"), slots)).otherwise(slot_of(own, slots))
-
-
 def dealt_in_turn(shards: int, slots: int = SLOTS) -> dict[int, int]:
     """slot -> shard before any sizes are known."""
     return {slot: slot % shards for slot in range(slots)}
@@ -90,21 +88,35 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return {r["vslot"]: r["shard"] for r in stored.where(F.col("version") == version).collect()}, version
 
 
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of each document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        row_slot(slots).alias("vslot"),
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, own (a hash of the id, or of the text where that is null), rows.
+
+    Repeated rows are one row with their number, added up in each task before the shuffle.
+    """
+    text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    told = docs.select(
+        own.alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.when(own.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(own)).alias("own"),
     )
+    return told.groupBy("doc_id", "size", "text_crc32", "own").agg(F.count("*").alias("rows"))
+
+
+def runs(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, run, n, vslot: at most ``RUN`` repeated rows in each; the first run has the id's slot."""
+    last = F.floor((F.col("rows") - 1) / RUN).cast("long")
+    parts = counted(docs).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUNS_AT_ONCE).cast("long"))))
+    begin = F.col("part") * RUNS_AT_ONCE
+    told = parts.withColumn("run", F.explode(F.sequence(begin, F.least(last, begin + RUNS_AT_ONCE - 1))))
+    slot = F.when(F.col("run") == 0, F.col("own")).otherwise(F.xxhash64("own", "run"))
+    n = F.least(F.lit(RUN).cast("long"), F.col("rows") - F.col("run") * RUN)
+    return told.select("doc_id", "size", "text_crc32", "run", n.alias("n"), F.pmod(slot, F.lit(slots)).cast("int").alias("vslot"))
 
 
-def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """vslot, rows, bytes: at most ``slots`` rows."""
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + OVERHEAD
-    return docs.select(row_slot(slots).alias("vslot"), size.cast("long").alias("size")).groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+def slot_bytes(told: DataFrame) -> DataFrame:
+    """vslot, rows, bytes of the runs: at most a row for each slot."""
+    return told.groupBy("vslot").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
@@ -112,12 +124,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
 
     The law is ``bytes``: shards hold nearly equal sums of sizes. ``slot`` numbers the rows
     of a shard from 0 without a gap, by virtual slot and then doc_id; the numbers come from
-    the slots' row counts, so no shard is ever gathered in one task. ``path`` is where the
+    the slots' row counts, so no shard is ever gathered in one task. The texts are read once:
+    their sizes and prints are checkpointed. ``path`` is where the
     map is stored, by default a new folder in the checkpoint folder: the latest version there
     is edited for the present sizes and stored as the next one, if any slot moves.
     """
     spark = docs.sparkSession
-    told = slot_bytes(docs, slots).collect()
+    own = checkpointed(runs(docs, slots))
+    told = slot_bytes(own).collect()
     if path is None:
         path = f"{checkpoint_folder(spark)}/slot-map-{uuid.uuid4().hex}"
         save_map(spark, dealt_in_turn(shards, slots), path, 1)
@@ -133,8 +147,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
         placed.append((slot, where[slot], filled[where[slot]]))
         filled[where[slot]] += count.get(slot, 0)
     places = F.broadcast(spark.createDataFrame(placed, "vslot int, shard int, before long"))
-    order = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = sized(docs, slots).withColumn("place", F.row_number().over(order) - 1)
-    return numbered.join(places, "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version")
+    order = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "run").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = own.withColumn("place", F.sum("n").over(order) - F.col("n")).join(places, "vslot")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
+    return placed.select("doc_id", "size", "text_crc32", "shard", "vslot", (F.col("before") + F.col("place")).alias("first"), each).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("first") + F.col("copy")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "vslot",
+        F.lit(version).alias("map_version"),
     )
