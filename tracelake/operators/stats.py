@@ -117,7 +117,8 @@ def resolve_identifiers(transcripts: DataFrame, wanted: DataFrame, most: int = 6
 
     Rules in order, the first that matches counts: exact id, exact source:id, source:prefix of
     the native id, exact native id, prefix of either id. Only equal-length prefixes of what is
-    asked are joined, so nothing is compared with everything.
+    asked are joined, so nothing is compared with everything; lengths beyond the longest id
+    are left out, for no prefix has them.
     """
     asked = wanted.select("identifier").distinct().withColumn("want", F.trim("identifier"))
     own = transcripts.select("id", "source", "source_id")
@@ -125,8 +126,10 @@ def resolve_identifiers(transcripts: DataFrame, wanted: DataFrame, most: int = 6
     exact = own.select("id", F.lit(1).alias("level"), F.col("id").alias("want"))
     exact = exact.unionByName(own.select("id", F.lit(2).alias("level"), F.concat_ws(":", "source", "source_id").alias("want")))
     exact = exact.unionByName(own.select("id", F.lit(4).alias("level"), F.col("source_id").alias("want")))
-    cut = own.crossJoin(F.broadcast(lengths))  # a row for each length that somebody typed: a handful
-    cut = cut.where(F.col("len") > 0)
+    longest = own.agg(F.max(F.greatest(F.length("id"), F.length("source_id"))).alias("longest"))
+    typed = lengths.join(longest, F.col("len").between(1, F.col("longest"))).agg(F.collect_set("len").alias("lens"))
+    # one row, of an array no longer than the longest id: the lengths that somebody typed
+    cut = own.crossJoin(F.broadcast(typed)).withColumn("len", F.explode("lens")).drop("lens")
     native = cut.where(F.length("source_id") >= F.col("len"))
     prefix = native.select("id", F.lit(3).alias("level"), F.concat_ws(":", "source", F.expr("left(source_id, len)")).alias("want"))
     prefix = prefix.unionByName(native.select("id", F.lit(5).alias("level"), F.expr("left(source_id, len)").alias("want")))
