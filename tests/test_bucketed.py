@@ -88,3 +88,16 @@ def test_vacuum_keeps_what_the_last_versions_name(spark, tmp_path):
     assert table.vacuum(keep=1) == [0, 1, 2] and table.versions() == [3]
     assert held(table) == before and sorted(os.listdir(tmp_path / "changes")) == ["0", "3"]
     assert len([n for n in os.listdir(tmp_path / "changes" / "0") if "=" in n]) == len(table.layers()) - 1
+
+
+def test_a_version_written_meanwhile_is_an_error(spark, tmp_path):
+    table = filled(spark, tmp_path, [("a", 1)])
+    new = spark.createDataFrame([("a", 2)], ROWS)
+
+    def meanwhile(rows):
+        BucketedTable(spark, str(tmp_path), ["k"])._commit(1, rows.schema, 16, {})
+        return new
+
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        table.change(new, meanwhile)
+    assert table.versions() == [0, 1]

@@ -1,12 +1,13 @@
 """A table in buckets of its keys, of which a change rewrites only those that it touches.
 
 A row's bucket is a hash of its keys. A change writes the touched buckets anew, each into a
-folder named by the change, and then a version: a small list of which folders hold each
-bucket. Buckets that no change touches stay where they are, in every later version. Rows
+folder named by the change, and then a version: a small file that lists which folders hold
+each bucket. Buckets that no change touches stay where they are, in every later version. Rows
 may also be added to their buckets as one more layer, at the cost of these rows alone;
-a bucket with many layers is made one by a change. A version counts once its own write is
-complete, so what a failed job leaves is never read and the next try overwrites it; readers
-keep the version that they opened. One writer at a time.
+a bucket with many layers is made one by a change. A version's file is renamed into place
+as the last step, so what a failed job leaves is never read and the next try overwrites it;
+readers keep the version that they opened. One writer at a time: a version that another
+wrote meanwhile is an error.
 
 Results by case: a null key has a bucket like any other; a change of no keys writes
 nothing and leaves the version as it is; a table without rows keeps its columns and types;
@@ -22,29 +23,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Column of the bucket in the written folders; the row of a version that tells its schema has bucket -1.
-BUCKET, HEADER = "_bucket", -1
+#: Column of the bucket in the written folders.
+BUCKET = "_bucket"
 
 
 class BucketedTable:
     """``keys`` and ``buckets`` count where the table is first written; later they are what the table says.
 
-    A bucket should hold some gigabytes: a change costs what the touched ones hold, and a
-    version is read with one path for each bucket.
+    Without a number a table gets as many buckets as the session has shuffle partitions. A
+    bucket should hold some gigabytes: a change costs what the touched ones hold, and a
+    version is read with one path for each layer of a bucket.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 256):
-        self.spark, self.folder, self.keys, self.buckets = spark, folder, keys, buckets
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int | None = None):
+        self.spark, self.folder, self.keys = spark, folder, keys
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._known: dict[int, tuple[dict, dict[int, list[int]]]] = {}
 
-    def _listed(self, path: str) -> list[str]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    def _path(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _file(self, version: int) -> str:
+        return f"{self.folder}/versions/{version}.json"
 
     def versions(self) -> list[int]:
-        """The complete versions, in order."""
-        found = [n for n in self._listed(f"{self.folder}/versions") if n.isdigit()]
-        return sorted(int(n) for n in found if "_SUCCESS" in self._listed(f"{self.folder}/versions/{n}"))
+        """The versions, in order."""
+        return sorted(int(n[:-5]) for n in self._listed(f"{self.folder}/versions") if n.endswith(".json") and n[:-5].isdigit())
 
     def _opened(self, version: int | None = None) -> tuple[int, dict, dict[int, list[int]]] | None:
         """(version, header, bucket -> changes that wrote its layers)."""
@@ -52,13 +61,16 @@ class BucketedTable:
         if not versions:
             return None
         version = versions[-1] if version is None else version
-        rows = self.spark.read.schema("bucket int, change int, header string").parquet(f"{self.folder}/versions/{version}").collect()
-        header = next(json.loads(r["header"]) for r in rows if r["bucket"] == HEADER)
+        if version not in self._known:
+            path, fs = self._path(self._file(version))
+            stream = fs.open(path)
+            try:
+                told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            self._known = {version: (told["header"], {int(b): c for b, c in told["placed"].items()})}
+        header, placed = self._known[version]
         self.keys = header["keys"]
-        placed: dict[int, list[int]] = {}
-        for r in rows:
-            if r["bucket"] != HEADER:
-                placed.setdefault(r["bucket"], []).append(r["change"])
         return version, header, placed
 
     def _frame(self, header: dict, placed: dict[int, list[int]]) -> DataFrame:
@@ -88,10 +100,18 @@ class BucketedTable:
         return {int(n.split("=")[1]) for n in self._listed(path) if n.startswith(f"{BUCKET}=")}
 
     def _commit(self, version: int, schema: StructType, buckets: int, placed: dict[int, list[int]]) -> None:
-        header = json.dumps({"schema": json.loads(schema.json()), "buckets": buckets, "keys": self.keys})
-        rows = [(HEADER, version, header), *[(bucket, change, None) for bucket, changes in sorted(placed.items()) for change in changes]]
-        told = self.spark.createDataFrame(rows, "bucket int, change int, header string")
-        told.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
+        header = {"schema": json.loads(schema.json()), "buckets": buckets, "keys": self.keys}
+        told = json.dumps({"header": header, "placed": {str(b): c for b, c in sorted(placed.items())}})
+        path, fs = self._path(self._file(version))
+        aside, _ = self._path(f"{self.folder}/versions/_{version}.tmp")
+        out = fs.create(aside, True)
+        try:
+            out.write(bytearray(told.encode()))
+        finally:
+            out.close()
+        if fs.exists(path) or not fs.rename(aside, path):
+            raise RuntimeError(f"version {version} of {self.folder} was written meanwhile")
+        self._known = {version: (header, placed)}
 
     def replace(self, rows: DataFrame) -> None:
         """All rows anew, with the columns that ``rows`` has."""
@@ -148,7 +168,7 @@ class BucketedTable:
         gone, kept = versions[: max(len(versions) - keep, 0)], versions[-keep:]
         named = {(change, bucket) for v in kept for bucket, changes in self._opened(v)[2].items() for change in changes}
         for version in gone:
-            self._delete(f"{self.folder}/versions/{version}")
+            self._delete(self._file(version))
         for change in [int(n) for n in self._listed(f"{self.folder}/changes") if n.isdigit()]:
             path = f"{self.folder}/changes/{change}"
             if not any(c == change for c, _ in named):
@@ -159,9 +179,9 @@ class BucketedTable:
                     self._delete(f"{path}/{name}")
         return gone
 
-    def _delete(self, path: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def _delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
 
     def change(self, touched: DataFrame | set[int], changed: Callable[[DataFrame], DataFrame]) -> None:
         """The touched buckets become what ``changed`` makes of the rows that they hold, in one layer.

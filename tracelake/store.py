@@ -27,7 +27,7 @@ LAYERS = 8
 
 
 class TranscriptStore:
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def _held(self, name: str, columns: list[str] | None = None) -> BucketedTable:

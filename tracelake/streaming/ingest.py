@@ -25,7 +25,7 @@ class SnapshotTable:
     anew as one, which each of its rows meets once in ``most`` batches.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 256, most: int = 8):
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int | None = None, most: int = 8):
         self.keys, self.most, self.held = keys, most, BucketedTable(spark, folder, keys, buckets)
 
     def read(self) -> DataFrame | None:
