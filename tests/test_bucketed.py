@@ -83,7 +83,12 @@ def test_snapshots_in_layers_equal_a_batch(spark, tmp_path):
 def test_vacuum_keeps_what_the_last_versions_name(spark, tmp_path):
     table = filled(spark, tmp_path, [(f"k{i}", i) for i in range(50)])
     for v in (100, 200, 300):
-        table.change(spark.createDataFrame([("k1",)], "k string"), lambda rows, v=v: rows.withColumn("v", F.when(F.col("k") == "k1", v).otherwise(F.col("v"))))
+        table.change(
+            spark.createDataFrame([("k1",)], "k string"), lambda rows, v=v: rows.withColumn(
+                "v",
+                F.when(F.col("k") == "k1", v).otherwise(F.col("v"))
+            )
+        )
     before = held(table)
     assert table.vacuum(keep=1) == [0, 1, 2] and table.versions() == [3]
     assert held(table) == before and sorted(os.listdir(tmp_path / "changes")) == ["0", "3"]

@@ -23,7 +23,11 @@ def test_tokens_split_on_underscore(spark):
 def test_titles(spark):
     assert one(spark, T.title_of("t"), t="  fix \n the bug ") == "fix the bug"
     assert one(spark, T.title_of("t"), t="# AGENTS.md instructions for /x") is None
-    assert one(spark, T.command_title_of("t", F.lit(False)), t="<command-name>a</command-name><command-args> go on </command-args>") == "go on"
+    assert one(
+        spark,
+        T.command_title_of("t", F.lit(False)),
+        t="<command-name>a</command-name><command-args> go on </command-args>"
+    ) == "go on"
     assert one(spark, T.command_title_of("t", F.lit(True)), t="text") is None
 
 
@@ -39,7 +43,10 @@ def test_paths_and_commits(spark):
 
 
 def test_dense_session_does_not_hide_others(spark):
-    messages = spark.createDataFrame([(f"m{i}", "dense", "needle needle") for i in range(20)] + [("x", "other", "needle and much other text")], "id string, session_id string, content string")
+    messages = spark.createDataFrame(
+        [(f"m{i}", "dense", "needle needle") for i in range(20)] + [("x", "other", "needle and much other text")],
+        "id string, session_id string, content string"
+    )
     transcripts = spark.createDataFrame([("dense", "a", "2024"), ("other", "b", "2023")], "id string, title string, started_at string")
     asked = spark.createDataFrame([(1, "needle")], "query_id int, query string")
     hits = search.search_messages(messages, transcripts, asked, 2).collect()
@@ -48,7 +55,11 @@ def test_dense_session_does_not_hide_others(spark):
 
 def test_exactness_prefers_project_name(spark):
     score = lambda name, title: search.exactness_score(F.lit("web app"), F.lit(title), F.lit(name), F.lit("/p/x"), F.lit("nothing"))
-    row = spark.range(1).select(score("web app", "t").alias("a"), score("other", "t").alias("b"), score("other", "# CLAUDE.md instructions for x").alias("c")).first()
+    row = spark.range(1).select(
+        score("web app", "t").alias("a"),
+        score("other", "t").alias("b"),
+        score("other", "# CLAUDE.md instructions for x").alias("c")
+    ).first()
     assert row["a"] == 140 + 100 + 60 and row["b"] == 0 and row["c"] == -90
 
 
@@ -68,11 +79,20 @@ def test_cosine_of_zero_and_short(spark):
 def test_query_variants(spark):
     asked = spark.createDataFrame([(1, "find the Parser bug in src/a.ts"), (2, "resume this thing")], "query_id int, query string")
     told = [(r["query_id"], r["label"], r["text"]) for r in recall.query_variants(asked).orderBy("query_id", "n").collect()]
-    assert told == [(1, "original", "find the Parser bug in src/a.ts"), (1, "terms", "parser bug src/a.ts"), (1, "term:parser", "parser"), (1, "term:bug", "bug"), (1, "term:src/a.ts", "src/a.ts")]
+    assert told == [
+        (1, "original", "find the Parser bug in src/a.ts"),
+        (1, "terms", "parser bug src/a.ts"),
+        (1, "term:parser", "parser"),
+        (1, "term:bug", "bug"),
+        (1, "term:src/a.ts", "src/a.ts")
+    ]
 
 
 def test_vague_question_gets_recent_transcripts(spark):
-    transcripts = spark.createDataFrame([("1", "p", "t", "n", "/n", "m", "2024"), ("2", "p", "t", "n", "/n", "m", "2025")], "id string, source string, title string, project_name string, project_path string, model string, started_at string")
+    transcripts = spark.createDataFrame(
+        [("1", "p", "t", "n", "/n", "m", "2024"), ("2", "p", "t", "n", "/n", "m", "2025")],
+        "id string, source string, title string, project_name string, project_path string, model string, started_at string"
+    )
     messages = spark.createDataFrame([], "id string, session_id string, content string")
     calls = spark.createDataFrame([], "id string, session_id string, tool_name string, tool_input string, tool_output string")
     asked = spark.createDataFrame([(1, "resume this")], "query_id int, query string")
@@ -89,7 +109,10 @@ def test_preferred_snapshot_ignores_order(spark):
 
 def test_shrink_guard(spark):
     stored = spark.createDataFrame([(1, 5, 2), (2, 5, 2)], "k int, messages int, tool_calls int")
-    new = spark.createDataFrame([(1, 4, 2, None, None), (2, 4, 2, True, "cut"), (3, 1, 0, None, None)], "k int, messages int, tool_calls int, intent boolean, reason string")
+    new = spark.createDataFrame(
+        [(1, 4, 2, None, None), (2, 4, 2, True, "cut"), (3, 1, 0, None, None)],
+        "k int, messages int, tool_calls int, intent boolean, reason string"
+    )
     assert {r["k"]: r["verdict"] for r in store.shrink_verdicts(stored, new, "k").collect()} == {1: "refuse", 2: "accept_shrink", 3: "new"}
 
 
@@ -99,13 +122,26 @@ def test_moved_respects_boundaries(spark):
 
 
 def test_outputs_pair_with_latest_earlier_call(spark):
-    rows = [("f", 0, "function_call_output", "c", None, None, "orphan"), ("f", 1, "function_call", "c", "run", "{}", None), ("f", 2, "function_call_output", "c", None, None, "one"), ("f", 3, "function_call_output", "c", None, None, "two"), ("f", 4, "function_call", "c", "run", "{}", None)]
-    told = normalize.paired(spark.createDataFrame(rows, "file string, ord int, kind string, call_id string, name string, arguments string, output string")).orderBy("ord").collect()
+    rows = [
+        ("f", 0, "function_call_output", "c", None, None, "orphan"),
+        ("f", 1, "function_call", "c", "run", "{}", None),
+        ("f", 2, "function_call_output", "c", None, None, "one"),
+        ("f", 3, "function_call_output", "c", None, None, "two"),
+        ("f", 4, "function_call", "c", "run", "{}", None)
+    ]
+    told = normalize.paired(
+        spark.createDataFrame(rows, "file string, ord int, kind string, call_id string, name string, arguments string, output string")
+    ).orderBy("ord").collect()
     assert [(r["ord"], r["output"]) for r in told] == [(1, "two"), (4, None)]
 
 
 def test_pane_status(spark):
-    rows = [("agent", False, "Working (3s)\n\n"), ("bash", False, ""), ("agent", True, "x"), ("agent", False, "Do you trust this folder?\nq\nr")]
+    rows = [
+        ("agent", False, "Working (3s)\n\n"),
+        ("bash", False, ""),
+        ("agent", True, "x"),
+        ("agent", False, "Do you trust this folder?\nq\nr")
+    ]
     told = panes.classified(spark.createDataFrame(rows, "command string, pane_dead boolean, captured_text string")).collect()
     assert [r["status"] for r in told] == ["active", "idle", "dead", "needs_attention"]
 
@@ -124,14 +160,22 @@ def test_files_to_transcripts(spark, tmp_path):
     told = messages.orderBy("ord").collect()
     assert [(r["content"], r["source_id"]) for r in told] == [("hello  there", "u1"), ("hi", "u1:1")]
     session = normalize.project_transcripts(records, messages).first()
-    assert (session["title"], session["started_at"], session["ended_at"], session["project_name"], session["total_input_tokens"]) == ("hello there", "2024-01-02", "2024-01-01", "p", 6)
+    assert (
+        session["title"],
+        session["started_at"],
+        session["ended_at"],
+        session["project_name"],
+        session["total_input_tokens"]
+    ) == ("hello there", "2024-01-02", "2024-01-01", "p", 6)
     assert normalize.tool_uses(messages).first()["tool_name"] == "Bash"
 
 
 def test_stems(spark):
     from tracelake.functions.stem import stem, stemmed
 
-    known = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "hoping": "hope", "falling": "fall", "happy": "happi", "relational": "relat", "operator": "oper", "electrical": "electr", "adoption": "adopt", "rate": "rate", "controll": "control", "generalizations": "gener", "été": "été"}
+    known = {
+        "caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "hoping": "hope", "falling": "fall", "happy": "happi", "relational": "relat", "operator": "oper", "electrical": "electr", "adoption": "adopt", "rate": "rate", "controll": "control", "generalizations": "gener", "été": "été"
+    }
     assert {w: stem(w) for w in known} == known
     told = stemmed(spark.createDataFrame([(1, "hopping"), (2, "hopping"), (3, "hops")], "k int, term string"))
     assert {r["term"] for r in told.collect()} == {"hop"} and told.count() == 3
@@ -145,7 +189,9 @@ def test_store_facade(spark, tmp_path):
     columns = "id string, source string, source_id string, title string, project_path string, started_at string"
     store_.save("transcripts", spark.createDataFrame(rows, columns))
     store_.upsert_transcripts(spark.createDataFrame([("c", "project", "n1", "renamed", None, "2024-01-03")], columns))
-    assert {(r["id"], r["title"], r["project_path"]) for r in store_.table("transcripts").collect()} == {("a", "renamed", "/w/p"), ("b", "second", "/w/p")}
+    assert {
+        (r["id"], r["title"], r["project_path"]) for r in store_.table("transcripts").collect()
+    } == {("a", "renamed", "/w/p"), ("b", "second", "/w/p")}
     store_.save("messages", spark.createDataFrame([("m", "a", 0), ("n", "b", 0)], "id string, session_id string, sequence_num int"))
     store_.delete_transcripts(spark.createDataFrame([("a",)], "session_id string"))
     assert [r["id"] for r in store_.recent(5).collect()] == ["b"] and store_.table("messages").count() == 1
@@ -174,7 +220,9 @@ def test_adapters_by_name(spark):
     from tracelake.sources import adapters
 
     record = json.dumps({"type": "response_item", "payload": {"type": "function_call", "name": "run", "arguments": "{}"}})
-    told = adapters.adapter("rollout").events(spark.createDataFrame([("/a/rollout-x.jsonl", 0, record), ("/a/rollout-x.jsonl", 1, "bad")], "file string, ord int, value string")).collect()
+    told = adapters.adapter("rollout").events(
+        spark.createDataFrame([("/a/rollout-x.jsonl", 0, record), ("/a/rollout-x.jsonl", 1, "bad")], "file string, ord int, value string")
+    ).collect()
     assert [tuple(r) for r in told] == [("rollout-x", 0, "tool_call", "{}", "run")]
     adapters.register(adapters.Adapter("mine", lambda records: records))
     assert adapters.adapter("mine").lines is None and adapters.names() == ["mine", "project", "rollout"]
@@ -187,21 +235,37 @@ def test_bounded_remap(spark):
 
 def test_semantic_status(spark):
     some = spark.createDataFrame([(1,)], "id int")
-    assert [recall.semantic_status(True, some), recall.semantic_status(True, some.where("id > 1")), recall.semantic_status(False, None)] == ["used", "unavailable", "off"]
+    assert [
+        recall.semantic_status(True, some),
+        recall.semantic_status(True, some.where("id > 1")),
+        recall.semantic_status(False, None)
+    ] == ["used", "unavailable", "off"]
 
 
 def test_marks_fold_on_latin_letters_only(spark):
     assert one(spark, T.tokens("t"), t="Café CAFÉ naïve Ångström й ẤẦ") == ["cafe", "cafe", "naive", "angstrom", "й", "ấầ"]
-    messages = spark.createDataFrame([("m1", "s", "Un Café noir"), ("m2", "t", "no coffee")], "id string, session_id string, content string")
+    messages = spark.createDataFrame(
+        [("m1", "s", "Un Café noir"), ("m2", "t", "no coffee")],
+        "id string, session_id string, content string"
+    )
     transcripts = spark.createDataFrame([("s", "a", "2024"), ("t", "b", "2023")], "id string, title string, started_at string")
-    hits = search.search_messages(messages, transcripts, spark.createDataFrame([(1, "cafe"), (2, "NOIR café")], "query_id int, query string")).collect()
-    assert [(r["query_id"], r["doc"], r["snippet"]) for r in sorted(hits, key=lambda r: r["query_id"])] == [(1, "m1", "Un [Café] noir"), (2, "m1", "Un [Café] [noir]")]
+    hits = search.search_messages(
+        messages,
+        transcripts,
+        spark.createDataFrame([(1, "cafe"), (2, "NOIR café")], "query_id int, query string")
+    ).collect()
+    assert [
+        (r["query_id"], r["doc"], r["snippet"]) for r in sorted(hits, key=lambda r: r["query_id"])
+    ] == [(1, "m1", "Un [Café] noir"), (2, "m1", "Un [Café] [noir]")]
 
 
 def snippet_of(spark, text, *phrases):
     from tracelake.functions.snippet import snippet
 
-    return spark.createDataFrame([(text, [p.split() for p in phrases])], "t string, p array<array<string>>").select(snippet("t", "p")).first()[0]
+    return spark.createDataFrame(
+        [(text, [p.split() for p in phrases])],
+        "t string, p array<array<string>>"
+    ).select(snippet("t", "p")).first()[0]
 
 
 def test_snippet_shows_the_window_with_most_phrases(spark):
@@ -216,7 +280,11 @@ def test_snippet_prefers_the_start_of_a_sentence(spark):
     text = " ".join(f"a{k}" for k in range(20)) + ". Then the needle stands here " + " ".join(f"b{k}" for k in range(20))
     assert snippet_of(spark, text, "needle") == "…Then the [needle] stands here b0 b1 b2 b3 b4 b5 b6…"
     # of two equal windows the one that starts the text wins
-    assert snippet_of(spark, "(Begin) x needle. " + text.replace("the needle", "it"), "needle") == "(Begin) x [needle]. a0 a1 a2 a3 a4 a5 a6 a7 a8…"
+    assert snippet_of(
+        spark,
+        "(Begin) x needle. " + text.replace("the needle", "it"),
+        "needle"
+    ) == "(Begin) x [needle]. a0 a1 a2 a3 a4 a5 a6 a7 a8…"
 
 
 def test_snippet_edges(spark):
@@ -227,7 +295,10 @@ def test_snippet_edges(spark):
 
 
 def test_first_field_with_a_mark(spark):
-    calls = spark.createDataFrame([("1", "s", "grep", "find needle", None), ("2", "s", "grep", "find needle", "other needle text"), ("3", "s", "needle", None, None)], "id string, session_id string, tool_name string, tool_input string, tool_output string")
+    calls = spark.createDataFrame(
+        [("1", "s", "grep", "find needle", None), ("2", "s", "grep", "find needle", "other needle text"), ("3", "s", "needle", None, None)],
+        "id string, session_id string, tool_name string, tool_input string, tool_output string"
+    )
     transcripts = spark.createDataFrame([("s", "a", "2024")], "id string, title string, started_at string")
     hits = search.search_tools(calls, transcripts, spark.createDataFrame([(1, "needle")], "query_id int, query string")).collect()
     assert sorted((r["tool_name"], r["snippet"]) for r in hits) == [("grep", "find [needle]"), ("needle", "[needle]")]
@@ -235,7 +306,9 @@ def test_first_field_with_a_mark(spark):
 
 def flat(spark, content):
     record = json.dumps({"c": content}) if not isinstance(content, bytes) else '{"c":' + content.decode() + "}"
-    return spark.createDataFrame([(record,)], "value string").select(normalize.flattened(normalize.at(normalize.json_of(), "c")).alias("out")).first()["out"]
+    return spark.createDataFrame([(record,)], "value string").select(
+        normalize.flattened(normalize.at(normalize.json_of(), "c")).alias("out")
+    ).first()["out"]
 
 
 def test_nested_contents_are_flattened(spark):
@@ -243,17 +316,31 @@ def test_nested_contents_are_flattened(spark):
     assert flat(spark, [{"type": "tool_result", "content": [said("hello")]}]) == "hello"
     assert flat(spark, ["x", "y"]) == "x\ny"
     assert [flat(spark, c) for c in ('["x"]', " [1] ", None, 5, {"text": "t"})] == ['["x"]', " [1] ", "", "", ""]
-    assert flat(spark, [said("a"), {"type": "tool_use", "input": {}}, said(""), {"thinking": "b"}, {"text": 5, "thinking": "c"}, said("　d\n")]) == "a\n\nb\nc\n　d"
+    assert flat(
+        spark,
+        [said("a"), {"type": "tool_use", "input": {}}, said(""), {"thinking": "b"}, {"text": 5, "thinking": "c"}, said("　d\n")]
+    ) == "a\n\nb\nc\n　d"
     deep = "end"
     for _ in range(10):
         deep = [{"type": "tool_result", "content": deep}, "x"]
     assert flat(spark, deep) == "end" + "\nx" * 10
-    assert flat(spark, [{"type": "tool_result", "content": {"a": 1}}, {"type": "tool_result", "content": None}, {"type": "other", "content": "no"}, said("z")]) == "z"
+    assert flat(
+        spark,
+        [
+            {"type": "tool_result", "content": {"a": 1}},
+            {"type": "tool_result", "content": None},
+            {"type": "other", "content": "no"},
+            said("z")
+        ]
+    ) == "z"
 
 
 def test_outputs_of_calls_are_flattened(spark):
     item = lambda **payload: json.dumps({"type": "response_item", "payload": payload})
-    rows = [("f", 0, item(type="function_call", call_id="c", name="run", arguments="{}")), ("f", 1, item(type="function_call_output", call_id="c", output=[{"type": "output_text", "text": "a"}, "b"]))]
+    rows = [
+        ("f", 0, item(type="function_call", call_id="c", name="run", arguments="{}")),
+        ("f", 1, item(type="function_call_output", call_id="c", output=[{"type": "output_text", "text": "a"}, "b"]))
+    ]
     assert normalize.paired_calls(spark.createDataFrame(rows, "file string, ord int, value string")).first()["output"] == "a\nb"
 
 
@@ -265,10 +352,26 @@ def test_decoded_and_walked_keys_agree():
     def tree(depth):
         kind = pick.randrange(8 if depth else 5)
         if kind > 4:
-            return {pick.choice("abcd/é "): tree(depth - 1) for _ in range(pick.randrange(4))} if kind > 5 else [tree(depth - 1) for _ in range(pick.randrange(4))]
+            return {
+                pick.choice("abcd/é "): tree(depth - 1) for _ in range(pick.randrange(4))
+            } if kind > 5 else [tree(depth - 1) for _ in range(pick.randrange(4))]
         return [None, True, False, pick.choice([0, -1, 1.5, 1e30, 12345678901234567890]), pick.choice(["", "x y", "é", "{}"])][kind]
 
     texts = [json.dumps(tree(5), ensure_ascii=False, separators=pick.choice([(",", ":"), (" , ", " : ")])) for _ in range(400)]
-    texts += ['{"a":1.50,"b":{"a":1E5,"a":2}}', '{"a":NaN}', '{"a":01}', "", " ", "[1", '{"a":1} x', '{"a"}', "﻿{}", '"s"', "5", '{"a":-0}', "[" * 3000 + "]" * 3000]
+    texts += [
+        '{"a":1.50,"b":{"a":1E5,"a":2}}',
+        '{"a":NaN}',
+        '{"a":01}',
+        "",
+        " ",
+        "[1",
+        '{"a":1} x',
+        '{"a"}',
+        "﻿{}",
+        '"s"',
+        "5",
+        '{"a":-0}',
+        "[" * 3000 + "]" * 3000
+    ]
     for text in texts:
         assert sorted(recall.json_pairs(text), key=repr) == sorted(recall.walked_pairs(text), key=repr), text

@@ -11,7 +11,15 @@ from tracelake.store import TranscriptStore
 
 def transcript(folder, name, *turns):
     """A file of a provider's folder; a turn is (role, content)."""
-    lines = [json.dumps({"type": role, "uuid": f"u{k}", "cwd": f"/w/{name}", "timestamp": f"2024-01-0{k + 1}", "message": {"role": role, "content": content, "model": "m", "usage": {"input_tokens": k + 1}}}) for k, (role, content) in enumerate(turns)]
+    lines = [
+        json.dumps(
+            {
+                "type": role, "uuid": f"u{k}", "cwd": f"/w/{name}", "timestamp": f"2024-01-0{k + 1}", "message": {
+                    "role": role, "content": content, "model": "m", "usage": {"input_tokens": k + 1}
+                }
+            }
+        ) for k, (role, content) in enumerate(turns)
+    ]
     (folder / f"-w-{name}").mkdir(parents=True, exist_ok=True)
     (folder / f"-w-{name}" / f"{name}.jsonl").write_text("\n".join(lines))
 
@@ -22,12 +30,27 @@ def counted(texts):
 
 def test_files_to_answers(spark, tmp_path):
     files = tmp_path / "files"
-    transcript(files, "one", ("user", "Fix the Café parser"), ("assistant", [{"type": "text", "text": "done"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "make café"}}]))
-    transcript(files, "two", ("user", "unrelated words"), ("assistant", [{"type": "tool_result", "content": [{"type": "text", "text": "nothing of it"}]}]))
+    transcript(
+        files,
+        "one",
+        ("user", "Fix the Café parser"),
+        (
+            "assistant",
+            [{"type": "text", "text": "done"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "make café"}}]
+        )
+    )
+    transcript(
+        files,
+        "two",
+        ("user", "unrelated words"),
+        ("assistant", [{"type": "tool_result", "content": [{"type": "text", "text": "nothing of it"}]}])
+    )
     store = TranscriptStore(spark, str(tmp_path / "store"), buckets=4)
     store.ingest("project", str(files))
     rows = {r["project_name"]: r for r in store.table("transcripts").collect()}
-    assert {k: (r["message_count"], r["tool_call_count"], r["total_input_tokens"]) for k, r in rows.items()} == {"one": (2, 1, 3), "two": (2, 0, 3)}
+    assert {
+        k: (r["message_count"], r["tool_call_count"], r["total_input_tokens"]) for k, r in rows.items()
+    } == {"one": (2, 1, 3), "two": (2, 0, 3)}
     store.ingest("project", str(files))
     assert store.table("transcripts").count() == 2 and store.table("messages").count() == 4
     asked = spark.createDataFrame([(1, "cafe")], "query_id int, query string")
@@ -80,11 +103,16 @@ def test_changes_touch_only_their_buckets(spark, tmp_path):
     store = TranscriptStore(spark, str(tmp_path), buckets=16)
     heads = "id string, source string, source_id string, title string, project_path string, source_path string, message_count long, tool_call_count long"
     store.save("transcripts", spark.createDataFrame([(f"t{i}", "project", f"n{i}", "old", "/w", f"/f{i}", 0, 0) for i in range(60)], heads))
-    store.save("messages", spark.createDataFrame([(f"m{i}", f"t{i % 60}", i) for i in range(180)], "id string, session_id string, sequence_num int"))
+    store.save(
+        "messages",
+        spark.createDataFrame([(f"m{i}", f"t{i % 60}", i) for i in range(180)], "id string, session_id string, sequence_num int")
+    )
     store.save("tool_calls", spark.createDataFrame([], "id string, session_id string, tool_name string"))
     store.rename(spark.createDataFrame([("t3", "fresh"), ("none", "x")], "id string, title string"))
     written = lambda name, n: [p.name for p in (tmp_path / name / "changes" / str(n)).iterdir() if "=" in p.name]
-    assert len(written("transcripts", 1)) == 1 and {r["title"] for r in store.table("transcripts").where("id = 't3'").collect()} == {"fresh"}
+    assert len(written("transcripts", 1)) == 1 and {
+        r["title"] for r in store.table("transcripts").where("id = 't3'").collect()
+    } == {"fresh"}
     store.put(
         spark.createDataFrame([("other", "project", "n5", "put", "/w", "/f5", 0, 0)], heads),
         spark.createDataFrame([("x", "other", 0)], "id string, session_id string, sequence_num int"),

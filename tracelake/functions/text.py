@@ -84,7 +84,10 @@ def command_title_of(text: str | Column, is_meta: str | Column) -> Column:
     whole = title_of(text)
     arguments = session_title(F.regexp_extract(text, COMMAND_ARGS, 1))
     bare = text.rlike(COMMAND_TAG) & (session_title(F.regexp_replace(text, COMMAND_TAG, " ")) == "")
-    return F.when(col(is_meta) | whole.isNull(), None).when(text.rlike(COMMAND_ARGS), F.when(arguments != "", arguments)).when(bare, None).otherwise(whole)
+    return F.when(col(is_meta) | whole.isNull(), None).when(
+        text.rlike(COMMAND_ARGS),
+        F.when(arguments != "", arguments)
+    ).when(bare, None).otherwise(whole)
 
 
 #: Words that carry no meaning in a question.
@@ -181,7 +184,22 @@ SECRETS = [
 
 
 #: For each shape, pieces of text (in lower case), taken from the shape, of which one stands in whatever it matches.
-HINTS = [["sk-"], ["npm_"], ["k_live_", "k_test_"], ["xox"], ["eyj"], ["github_pat_"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["akia", "asia"], ["aiza"], ["private key"], ["://"], ["://"], ["bearer", "basic"], ["key", "secret", "token", "passw", "authorization"]]
+HINTS = [
+    ["sk-"],
+    ["npm_"],
+    ["k_live_", "k_test_"],
+    ["xox"],
+    ["eyj"],
+    ["github_pat_"],
+    ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    ["akia", "asia"],
+    ["aiza"],
+    ["private key"],
+    ["://"],
+    ["://"],
+    ["bearer", "basic"],
+    ["key", "secret", "token", "passw", "authorization"]
+]
 
 
 def redacted(text: str | Column) -> Column:
@@ -217,7 +235,11 @@ def snippet_around(text: str | Column, needle: str | Column, before: int = 70, a
     at = F.instr(F.lower(text), F.lower(needle))
     first = F.greatest(at - before, F.lit(1))
     last = F.least(at + F.length(needle) + after - 1, F.length(text))
-    cut = F.concat(F.when(first > 1, "…").otherwise(""), F.substring(text, first, last - first + 1), F.when(last < F.length(text), "…").otherwise(""))
+    cut = F.concat(
+        F.when(first > 1, "…").otherwise(""),
+        F.substring(text, first, last - first + 1),
+        F.when(last < F.length(text), "…").otherwise("")
+    )
     return F.when((at > 0) & (needle != ""), collapsed(cut))
 
 

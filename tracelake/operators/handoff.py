@@ -55,10 +55,22 @@ def commands(calls: DataFrame, most: int = COMMANDS) -> DataFrame:
     """session_id, pos, command: commands of each session, once each: values under command keys at any depth of a call's
     input or output, then the inputs of command-like tools; at most ``most``, in order of call and place."""
     named = rf'"(?:{"|".join(COMMAND_KEYS)})"'
-    texts = calls.select("session_id", F.col("id"), F.coalesce("timestamp", F.lit("")).alias("at"), F.explode(F.array("tool_input", "tool_output")).alias("json")).where(F.col("json").rlike(named))
+    texts = calls.select(
+        "session_id",
+        F.col("id"),
+        F.coalesce("timestamp", F.lit("")).alias("at"),
+        F.explode(F.array("tool_input", "tool_output")).alias("json")
+    ).where(F.col("json").rlike(named))
     keyed = json_values(texts, "json").where(F.col("key").isin(COMMAND_KEYS))
-    plain = calls.where(F.col("tool_name").rlike(COMMAND_TOOLS)).select("session_id", "id", F.coalesce("timestamp", F.lit("")).alias("at"), F.col("tool_input").alias("value"))
-    rows = keyed.select("session_id", F.lit(0).alias("kind"), "at", "id", "path", _line("value")).unionByName(plain.select("session_id", F.lit(1).alias("kind"), "at", "id", F.lit("").alias("path"), _line("value")))
+    plain = calls.where(F.col("tool_name").rlike(COMMAND_TOOLS)).select(
+        "session_id",
+        "id",
+        F.coalesce("timestamp", F.lit("")).alias("at"),
+        F.col("tool_input").alias("value")
+    )
+    rows = keyed.select("session_id", F.lit(0).alias("kind"), "at", "id", "path", _line("value")).unionByName(
+        plain.select("session_id", F.lit(1).alias("kind"), "at", "id", F.lit("").alias("path"), _line("value"))
+    )
     order = F.struct("kind", "at", "id", "path")
     once = rows.where("command is not null").groupBy("session_id", "command").agg(F.min(order).alias("order"))
     told = once.withColumn("pos", F.row_number().over(W.partitionBy("session_id").orderBy("order", "command")))

@@ -63,7 +63,10 @@ def flattened(content: Column, depth: int = DEPTH) -> Column:
     def said(b: Column) -> Column:
         inner = given(at(b, "content"))
         nested = flattened(inner, depth - 1) if depth else F.to_json(inner)
-        told = F.when(is_text(b), text_of(b)).when(is_text(at(b, "text")), text_of(at(b, "text"))).when(is_text(at(b, "thinking")), text_of(at(b, "thinking")))
+        told = F.when(is_text(b), text_of(b)).when(is_text(at(b, "text")), text_of(at(b, "text"))).when(
+            is_text(at(b, "thinking")),
+            text_of(at(b, "thinking"))
+        )
         return told.when((text_of(at(b, "type")) == "tool_result") & inner.isNotNull(), nested)
 
     joined = F.array_join(F.filter(F.transform(blocks, said), lambda x: x.isNotNull()), "\n")
@@ -115,7 +118,11 @@ def tool_uses(messages: DataFrame) -> DataFrame:
 def project_transcripts(records: DataFrame, messages: DataFrame) -> DataFrame:
     """One row a file: first cwd, branch and version, last model, first and last time in file order, title, token sums."""
     first = lambda path: F.min_by(F.when(field(path).isNotNull(), field(path)), F.when(field(path).isNotNull(), F.col("ord")))
-    head = records.groupBy("file").agg(first("cwd").alias("project_path"), first("gitBranch").alias("git_branch"), first("version").alias("cli_version"))
+    head = records.groupBy("file").agg(
+        first("cwd").alias("project_path"),
+        first("gitBranch").alias("git_branch"),
+        first("version").alias("cli_version")
+    )
     has = lambda c: F.when(F.col(c).isNotNull(), F.col("ord"))
     title = F.when(F.col("role") == "user", T.command_title_of("content", F.coalesce("is_meta", F.lit(False))))
     body = messages.withColumn("_title", title).groupBy("file").agg(
@@ -137,7 +144,9 @@ def rollout_messages(records: DataFrame) -> DataFrame:
     Reasoning is told by its summary, or else its content.
     """
     kind = F.coalesce(field("payload.type"), F.lit(""))
-    item = records.where((field("type") == "response_item") & ~kind.isin("function_call", "function_call_output")).withColumn("_payload", at(json_of(), "payload"))
+    item = records.where(
+        (field("type") == "response_item") & ~kind.isin("function_call", "function_call_output")
+    ).withColumn("_payload", at(json_of(), "payload"))
     reasoning = kind == "reasoning"
     content = F.coalesce(F.when(reasoning, given(at(F.col("_payload"), "summary"))), at(F.col("_payload"), "content"))
     role = F.when(reasoning, "thinking").otherwise(mapped_role(text_of(at(F.col("_payload"), "role"))))
@@ -150,7 +159,15 @@ def paired_calls(records: DataFrame) -> DataFrame:
     kind = field("payload.type")
     output = F.when(kind == "function_call_output", flattened(at(json_of(), "payload.output")))
     told = records.where(kind.isin("function_call", "function_call_output"))
-    return paired(told.select("file", "ord", kind.alias("kind"), *[field(f"payload.{c}").alias(c) for c in ("call_id", "name", "arguments")], output.alias("output")))
+    return paired(
+        told.select(
+            "file",
+            "ord",
+            kind.alias("kind"),
+            *[field(f"payload.{c}").alias(c) for c in ("call_id", "name", "arguments")],
+            output.alias("output")
+        )
+    )
 
 
 def paired(told: DataFrame) -> DataFrame:
@@ -197,7 +214,14 @@ def log_transcripts(files: DataFrame) -> DataFrame:
     told = files.select("file", F.explode(F.from_json("value", entry)).alias("e"))
     session = F.coalesce("e.sessionId", F.regexp_replace(F.substring_index("file", "/", -1), r"\.json$", ""))
     order = W.partitionBy("file", "session_id").orderBy("messageId", "timestamp", "content")
-    told = told.select("file", session.alias("session_id"), "e.messageId", mapped_role(F.col("e.type")).alias("role"), F.trim("e.message").alias("content"), "e.timestamp")
+    told = told.select(
+        "file",
+        session.alias("session_id"),
+        "e.messageId",
+        mapped_role(F.col("e.type")).alias("role"),
+        F.trim("e.message").alias("content"),
+        "e.timestamp"
+    )
     return told.withColumn("sequence_num", F.row_number().over(order) - 1)
 
 
@@ -213,7 +237,9 @@ def validated(rows: DataFrame, sources: list[str], statuses: list[str]) -> DataF
 
 def resolved_paths(folders: DataFrame, index: DataFrame, records: DataFrame, first: int = 200) -> DataFrame:
     """folder, path: the index entry, else the first cwd of the first ``first`` records, else the decoded folder name."""
-    cwd = records.where(F.col("ord") < first).withColumn("cwd", field("cwd")).where("cwd is not null").groupBy("folder").agg(F.min_by("cwd", F.struct("file", "ord")).alias("cwd"))
+    cwd = records.where(F.col("ord") < first).withColumn("cwd", field("cwd")).where("cwd is not null").groupBy("folder").agg(
+        F.min_by("cwd", F.struct("file", "ord")).alias("cwd")
+    )
     bare = F.regexp_replace("folder", "^-", "")
     decoded = F.concat(F.when(F.col("folder").startswith("-"), "/").otherwise(""), F.replace(bare, F.lit("-"), F.lit("/")))
     told = folders.join(index.select("folder", F.col("path").alias("_index")), "folder", "left").join(cwd, "folder", "left")
@@ -230,9 +256,18 @@ def canonical_events(messages: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *none))
     blocks = F.when(F.col("raw").isNotNull(), F.from_json("raw", BLOCKS)).otherwise(whole)
     told = messages.select("session_id", "sequence_num", "role", F.posexplode(blocks).alias("k", "b"))
-    kind = F.when(F.col("b.type") == "thinking", "thinking").when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").otherwise(F.col("role"))
+    kind = F.when(F.col("b.type") == "thinking", "thinking").when(F.col("b.type") == "tool_use", "tool_call").when(
+        F.col("b.type") == "tool_result",
+        "tool_result"
+    ).otherwise(F.col("role"))
     order = W.partitionBy("session_id").orderBy("sequence_num", "k")
-    return told.select("session_id", (F.row_number().over(order) - 1).alias("seq"), kind.alias("type"), F.coalesce("b.text", "b.thinking", "b.content", "b.input", F.lit("")).alias("content"), F.col("b.name").alias("tool_name"))
+    return told.select(
+        "session_id",
+        (F.row_number().over(order) - 1).alias("seq"),
+        kind.alias("type"),
+        F.coalesce("b.text", "b.thinking", "b.content", "b.input", F.lit("")).alias("content"),
+        F.col("b.name").alias("tool_name")
+    )
 
 
 def rollout_events(records: DataFrame) -> DataFrame:
@@ -245,18 +280,38 @@ def rollout_events(records: DataFrame) -> DataFrame:
     parts = F.from_json(F.coalesce(field("payload.content"), field("payload.summary")), "array<struct<type:string,text:string>>")
     plain = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x.isNotNull() & (x != "")), "\n")
     role = mapped_role(field("payload.role"))
-    type_ = F.when(kind == "reasoning", "thinking").when(kind == "function_call", "tool_call").when(kind == "function_call_output", "tool_result").otherwise(role)
-    content = F.when(kind == "function_call", field("payload.arguments")).when(kind == "function_call_output", field("payload.output")).otherwise(plain)
+    type_ = F.when(kind == "reasoning", "thinking").when(kind == "function_call", "tool_call").when(
+        kind == "function_call_output",
+        "tool_result"
+    ).otherwise(role)
+    content = F.when(kind == "function_call", field("payload.arguments")).when(
+        kind == "function_call_output",
+        field("payload.output")
+    ).otherwise(plain)
     stem = F.regexp_extract("file", r"([^/]*?)(?:\.jsonl)?$", 1)
     uuid = F.regexp_extract(stem, r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$", 1)
-    told = item.select(F.when(uuid != "", uuid).otherwise(stem).alias("session_id"), "ord", type_.alias("type"), F.coalesce(content, F.lit("")).alias("content"), field("payload.name").alias("tool_name"))
+    told = item.select(
+        F.when(uuid != "", uuid).otherwise(stem).alias("session_id"),
+        "ord",
+        type_.alias("type"),
+        F.coalesce(content, F.lit("")).alias("content"),
+        field("payload.name").alias("tool_name")
+    )
     told = told.where((F.trim("content") != "") | F.col("type").isin("tool_call", "tool_result"))
-    return told.withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("ord")) - 1).select("session_id", "seq", "type", "content", "tool_name")
+    return told.withColumn(
+        "seq",
+        F.row_number().over(W.partitionBy("session_id").orderBy("ord")) - 1
+    ).select("session_id", "seq", "type", "content", "tool_name")
 
 
 def events_summary(events: DataFrame) -> DataFrame:
     """session_id, events, user_events, tool_calls, last_type: what a discovery of outside transcripts reports."""
-    return events.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if(F.col("type") == "user").alias("user_events"), F.count_if(F.col("type") == "tool_call").alias("tool_calls"), F.max_by("type", "seq").alias("last_type"))
+    return events.groupBy("session_id").agg(
+        F.count("*").alias("events"),
+        F.count_if(F.col("type") == "user").alias("user_events"),
+        F.count_if(F.col("type") == "tool_call").alias("tool_calls"),
+        F.max_by("type", "seq").alias("last_type")
+    )
 
 
 def quoted(text: Column) -> Column:
@@ -273,20 +328,34 @@ def native_lines(events: DataFrame, cwd: str = "/tmp", model: str = "unknown-mod
     """
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     own = text('"sessionId":', quoted(F.col("session_id")), ',"cwd":', quoted(F.lit(cwd)))
-    head = events.select("session_id").distinct().select("session_id", F.lit(0).alias("n"), text('{"type":"header",', own, ',"version":"1.0.0"}').alias("line"))
+    head = events.select("session_id").distinct().select(
+        "session_id",
+        F.lit(0).alias("n"),
+        text('{"type":"header",', own, ',"version":"1.0.0"}').alias("line")
+    )
     kind, name = F.col("type"), F.coalesce("tool_name", F.lit("unknown"))
     given = F.when(F.trim("content").startswith("{") & F.try_parse_json("content").isNotNull(), F.col("content")).otherwise("{}")
     said = lambda t: text('{"type":"text","text":', quoted(t), "}")
     block = F.when(kind == "thinking", text('{"type":"thinking","thinking":', quoted(F.col("content")), "}"))
-    block = block.when(kind == "tool_call", text('{"type":"tool_use","id":"tool_', F.col("seq").cast("string"), '","name":', quoted(name), ',"input":', given, "}"))
-    block = block.when(kind == "tool_result", said(F.concat(F.lit("[Tool: "), name, F.lit("]\n"), "content"))).when(kind == "system", said(F.concat(F.lit("[System context]\n"), "content"))).otherwise(said(F.col("content")))
+    block = block.when(
+        kind == "tool_call",
+        text('{"type":"tool_use","id":"tool_', F.col("seq").cast("string"), '","name":', quoted(name), ',"input":', given, "}")
+    )
+    block = block.when(
+        kind == "tool_result",
+        said(F.concat(F.lit("[Tool: "), name, F.lit("]\n"), "content"))
+    ).when(kind == "system", said(F.concat(F.lit("[System context]\n"), "content"))).otherwise(said(F.col("content")))
     line = F.when(kind == "user", text('{"type":"user",', own, ',"message":{"role":"user","content":', quoted(F.col("content")), "}}"))
-    line = line.otherwise(text('{"type":"assistant",', own, ',"message":{"role":"assistant","content":[', block, '],"model":', quoted(F.lit(model)), "}}"))
+    line = line.otherwise(
+        text('{"type":"assistant",', own, ',"message":{"role":"assistant","content":[', block, '],"model":', quoted(F.lit(model)), "}}")
+    )
     out = head.unionByName(events.select("session_id", (F.col("seq") + 1).alias("n"), line.alias("line")))
     if titles is None:
         return out
     last = events.groupBy("session_id").agg((F.max("seq") + 2).alias("n")).join(titles, "session_id").where("title <> ''")
-    return out.unionByName(last.select("session_id", "n", text('{"type":"custom-title","customTitle":', quoted(F.col("title")), ",", own, "}").alias("line")))
+    return out.unionByName(
+        last.select("session_id", "n", text('{"type":"custom-title","customTitle":', quoted(F.col("title")), ",", own, "}").alias("line"))
+    )
 
 
 def canonical_json(record: str | Column) -> Column:

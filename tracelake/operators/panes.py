@@ -12,7 +12,14 @@ ATTENTION = [
     r"\bwaiting for (user|approval|input|confirmation)\b", r"\bneeds? (attention|approval|input|user)\b", r"\bapproval (required|requested|needed)\b",
     r"\btrust (this )?(folder|workspace|directory)\b", r"\bdo you trust\b", r"\bpermission\b.*\b(allow|approve|denied|required)\b", r"\b(allow|approve|confirm|proceed)\?\s*$", r"\bpress enter to continue\b",
 ]
-ACTIVE = [r"\bworking\s*\(", r"\bpursuing goal\b", r"\brunning (command|tool|tests?|build|typecheck)\b", r"\b(tool|model) activity\b", r"\bcalling tool\b", r"\bexecuting\b"]
+ACTIVE = [
+    r"\bworking\s*\(",
+    r"\bpursuing goal\b",
+    r"\brunning (command|tool|tests?|build|typecheck)\b",
+    r"\b(tool|model) activity\b",
+    r"\bcalling tool\b",
+    r"\bexecuting\b"
+]
 IDLE = [
     r"\bgoal achieved\b", r"\bgoal completed\b", r"\bgoal complete\b", r"\bno active goal\b", r"\bwhat do you want", r"\bnew task\?\s+/clear\b", r"\btype (a )?message",
     r"(?m)(^|\n)\s*>\s*$", r"(?m)(^|\n)\s*›\s*.*$", r"(?m)(^|\n)[^\n@]+@[^:\n]+:[^\n]*[$#]\s*$",
@@ -43,7 +50,9 @@ def classified(panes: DataFrame) -> DataFrame:
     told = panes.withColumn("_lines", visible_lines(F.coalesce("captured_text", F.lit(""))))
     line = lambda k: F.coalesce(F.get("_lines", F.size("_lines") - k), F.lit(""))
     command = F.when(F.lower("command").isin(*SHELLS), "idle").otherwise("active")
-    status = F.when(F.col("pane_dead"), "dead").otherwise(F.coalesce(_said(line(1)), _said(line(2)), _said(line(3)), _said(F.array_join("_lines", "\n")), command))
+    status = F.when(F.col("pane_dead"), "dead").otherwise(
+        F.coalesce(_said(line(1)), _said(line(2)), _said(line(3)), _said(F.array_join("_lines", "\n")), command)
+    )
     return told.withColumn("status", status).drop("_lines")
 
 
@@ -59,7 +68,10 @@ def project_of(path: Column, session: Column, prefix: str) -> tuple[Column, Colu
 
 
 def status_order() -> list[Column]:
-    rank = F.when(F.col("status") == "needs_attention", 0).when(F.col("status") == "active", 1).when(F.col("status") == "idle", 2).otherwise(3)
+    rank = F.when(
+        F.col("status") == "needs_attention",
+        0
+    ).when(F.col("status") == "active", 1).when(F.col("status") == "idle", 2).otherwise(3)
     return [rank, F.col("session"), F.col("window_index"), F.col("pane_index")]
 
 
@@ -78,8 +90,13 @@ def listing(panes: DataFrame, machines: list[str] | None = None, status: str | N
 def crash_candidates(panes: DataFrame, healthy: str = "agent", shells: list[str] = CRASHED) -> DataFrame:
     """session, window_index, status: primary panes that are dead or back at a shell while a numbered sibling runs."""
     prefix = F.regexp_replace(F.regexp_replace("session", r"[-_.]?\d+$", ""), r"[-_.]+$", "")
-    told = panes.where("window_name = session").withColumn("prefix", F.when((prefix != "") & (prefix != F.col("session")), prefix)).withColumn("cmd", F.lower(F.trim("command")))
-    alive = told.where(~F.col("pane_dead") & (F.col("cmd") == healthy) & F.col("prefix").isNotNull()).groupBy("prefix").agg(F.count_distinct("session").alias("n"), F.min("session").alias("one"))
+    told = panes.where("window_name = session").withColumn(
+        "prefix",
+        F.when((prefix != "") & (prefix != F.col("session")), prefix)
+    ).withColumn("cmd", F.lower(F.trim("command")))
+    alive = told.where(
+        ~F.col("pane_dead") & (F.col("cmd") == healthy) & F.col("prefix").isNotNull()
+    ).groupBy("prefix").agg(F.count_distinct("session").alias("n"), F.min("session").alias("one"))
     status = F.when(F.col("pane_dead"), "dead").when(F.col("cmd").isin(*shells), "crashed")
     bad = told.withColumn("status", status).where("status is not null").join(alive, "prefix").where("n > 1 or one <> session")
     order = W.partitionBy("session", "window_index").orderBy(F.desc(F.col("status") == "dead"), "pane_index")

@@ -33,7 +33,10 @@ def query_variants(queries: DataFrame) -> DataFrame:
     item = lambda text, label, weight, when: F.when(when, F.struct(text.alias("text"), label.alias("label"), weight.alias("weight")))
     whole = item(F.col("compact"), F.lit("original"), F.when(some, 0.8).otherwise(1.0), (F.col("compact") != "") & ~vague)
     together = item(distilled, F.lit("terms"), F.lit(1.15), some & (F.lower(distilled) != F.lower("compact")))
-    single = F.transform("terms", lambda t: F.struct(t.alias("text"), F.concat(F.lit("term:"), t).alias("label"), F.lit(0.28).alias("weight")))
+    single = F.transform(
+        "terms",
+        lambda t: F.struct(t.alias("text"), F.concat(F.lit("term:"), t).alias("label"), F.lit(0.28).alias("weight"))
+    )
     items = F.filter(F.concat(F.array(whole, together), single), lambda x: x.isNotNull())
     rows = told.select("query_id", F.posexplode(items).alias("n", "item")).select("query_id", (F.col("n") + 1).alias("n"), "item.*")
     first = W.partitionBy("query_id", F.lower("text")).orderBy("n")
@@ -46,7 +49,10 @@ FIELDS = ("source", "title", "project_name", "project_path", "model", "model_pro
 
 def graph_snippet() -> Column:
     named = {"source": "source", "project": "project_name", "path": "project_path", "model": "model", "title": "title"}
-    return F.concat_ws("; ", *[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{label} "), F.col(c))) for label, c in named.items()])
+    return F.concat_ws(
+        "; ",
+        *[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{label} "), F.col(c))) for label, c in named.items()]
+    )
 
 
 def metadata_hits(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
@@ -54,16 +60,32 @@ def metadata_hits(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -
 
     The needles are at most eight for each typed question; all of them go through each field in one pass.
     """
-    needles = F.filter(F.array_distinct(F.concat(T.significant_terms("query"), F.array(F.lower(F.trim("query"))))), lambda t: F.length(t) >= 2)
+    needles = F.filter(
+        F.array_distinct(F.concat(T.significant_terms("query"), F.array(F.lower(F.trim("query"))))),
+        lambda t: F.length(t) >= 2
+    )
     asked = queries.select("query_id", F.explode(F.slice(needles, 1, MOST_TERMS)).alias("query"))
     said = transcripts.select(F.col("id").alias("session_id"), "started_at", graph_snippet().alias("snippet"))
-    found = S.substring_hits(transcripts.withColumnRenamed("id", "session_id"), "session_id", [c for c in FIELDS if c in transcripts.columns], asked, escaped=True).distinct()
+    found = S.substring_hits(
+        transcripts.withColumnRenamed("id", "session_id"),
+        "session_id",
+        [c for c in FIELDS if c in transcripts.columns],
+        asked,
+        escaped=True
+    ).distinct()
     hits = found.join(said, "session_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "session_id")
-    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "snippet", "pos")
+    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select(
+        "query_id",
+        "session_id",
+        "snippet",
+        "pos"
+    )
 
 
-def recall_hits(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
+def recall_hits(
+    messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None
+) -> DataFrame:
     """query_id, session_id, kind, signal, snippet, score of every hit of every kind of signal, discounted by position.
 
     ``semantic`` has query_id, session_id, cosine and perhaps a snippet (``semantic_hits``). A
@@ -77,29 +99,58 @@ def recall_hits(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, q
     def discounted(hits: DataFrame, kind: str) -> DataFrame:
         told = hits.join(weight, "query_id")
         score = F.lit(WEIGHTS[kind]) * F.col("weight") / F.col("pos")
-        return told.select(F.col("query_id.query_id").alias("query_id"), "session_id", F.lit(kind).alias("kind"), F.col("label").alias("signal"), "snippet", score.alias("score"))
+        return told.select(
+            F.col("query_id.query_id").alias("query_id"),
+            "session_id",
+            F.lit(kind).alias("kind"),
+            F.col("label").alias("signal"),
+            "snippet",
+            score.alias("score")
+        )
 
     def whole(hits: DataFrame, kind: str, snippet: Column, score: Column) -> DataFrame:
-        return hits.select("query_id", "session_id", F.lit(kind).alias("kind"), F.lit(kind).alias("signal"), snippet.alias("snippet"), (F.lit(WEIGHTS[kind]) * score).alias("score"))
+        return hits.select(
+            "query_id",
+            "session_id",
+            F.lit(kind).alias("kind"),
+            F.lit(kind).alias("signal"),
+            snippet.alias("snippet"),
+            (F.lit(WEIGHTS[kind]) * score).alias("score")
+        )
 
     found = discounted(S.search_messages(messages, transcripts, asked, limit), "message")
     found = found.unionByName(discounted(S.search_transcripts(transcripts, asked, limit), "session"))
     found = found.unionByName(discounted(S.search_tools(calls, transcripts, asked, limit), "tool_call"))
     found = found.unionByName(whole(metadata_hits(transcripts, queries, limit), "graph", F.col("snippet"), F.lit(1.0) / F.col("pos")))
     if semantic is not None:
-        found = found.unionByName(whole(semantic, "semantic", F.col("snippet") if "snippet" in semantic.columns else none, F.greatest(F.lit(0.05), "cosine")))
-    vague = queries.where((F.size(T.significant_terms("query")) == 0) | F.col("query").rlike(VAGUE)).join(found.select("query_id").distinct(), "query_id", "left_anti")
+        found = found.unionByName(
+            whole(semantic, "semantic", F.col("snippet") if "snippet" in semantic.columns else none, F.greatest(F.lit(0.05), "cosine"))
+        )
+    vague = queries.where(
+        (F.size(T.significant_terms("query")) == 0) | F.col("query").rlike(VAGUE)
+    ).join(found.select("query_id").distinct(), "query_id", "left_anti")
     latest = transcripts.orderBy(F.desc_nulls_last("started_at"), "id").limit(limit).select(F.col("id").alias("session_id"), "started_at")
     latest = latest.withColumn("pos", F.row_number().over(W.orderBy(F.desc_nulls_last("started_at"), "session_id")))  # at most ``limit`` rows
     return found.unionByName(whole(vague.select("query_id").crossJoin(F.broadcast(latest)), "recent", none, F.lit(1.0) / F.col("pos")))
 
 
-def recall_signals(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None) -> DataFrame:
+def recall_signals(
+    messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 20, semantic: DataFrame | None = None
+) -> DataFrame:
     """query_id, session_id, kind, score: the sum of each kind of signal over ``recall_hits``."""
-    return recall_hits(messages, transcripts, calls, queries, limit, semantic).groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score"))
-
-
-def semantic_hits(vectors: DataFrame, query_vectors: DataFrame, transcripts: DataFrame | None = None, limit: int = 10, where: Column | None = None) -> DataFrame:
+    return recall_hits(
+        messages,
+        transcripts,
+        calls,
+        queries,
+        limit,
+        semantic
+    ).groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score"))
+
+
+def semantic_hits(
+    vectors: DataFrame, query_vectors: DataFrame, transcripts: DataFrame | None = None, limit: int = 10, where: Column | None = None
+) -> DataFrame:
     """query_id, session_id, message_id, cosine, pos, snippet (200 characters of the best chunk) of the nearest transcripts.
 
     ``vectors`` are message_id, session_id, chunk_index, chunk_text and embedding; with
@@ -117,9 +168,18 @@ def recall(signals: DataFrame, transcripts: DataFrame, limit: int = 10) -> DataF
     """query_id, session_id, score, rank, signals: fused, by score and then recency; signals strongest first."""
     strongest = F.transform(F.sort_array(F.collect_list(F.struct((-F.round("score", 6)).alias("s"), "kind"))), lambda x: x["kind"])
     told = signals.groupBy("query_id", "session_id").agg(F.sum("score").alias("total"), F.array_join(strongest, ",").alias("signals"))
-    told = told.join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id").withColumn("score", F.round("total", 4))
+    told = told.join(
+        transcripts.select(F.col("id").alias("session_id"), "started_at"),
+        "session_id"
+    ).withColumn("score", F.round("total", 4))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("started_at"), "session_id")
-    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "session_id", "score", "rank", "signals")
+    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
+        "query_id",
+        "session_id",
+        "score",
+        "rank",
+        "signals"
+    )
 
 
 def matching_tools(calls: DataFrame, wanted: DataFrame, most: int = MOST_TOOLS) -> DataFrame:
@@ -129,12 +189,24 @@ def matching_tools(calls: DataFrame, wanted: DataFrame, most: int = MOST_TOOLS)
     told = calls.join(wanted.withColumn("terms", terms), "session_id").withColumn("hay", hay)
     hit = ((F.col("query") != "") & F.contains("hay", F.lower("query"))) | F.exists("terms", lambda t: F.contains(F.col("hay"), t))
     order = W.partitionBy("query_id", "session_id").orderBy("timestamp", F.length("id"), "id")
-    return told.where(hit).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("query_id", "session_id", "id", "pos", T.preview(F.col("tool_input")).alias("input_preview"))
+    return told.where(hit).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select(
+        "query_id",
+        "session_id",
+        "id",
+        "pos",
+        T.preview(F.col("tool_input")).alias("input_preview")
+    )
 
 
 def evidence(items: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
     """items (query_id, session_id, kind, signal, snippet, score) without repeats, by kind and score, the first ``most``."""
-    once = items.where(F.trim("snippet") != "").groupBy("query_id", "session_id", "kind", "signal", "snippet").agg(F.max("score").alias("score"))
+    once = items.where(F.trim("snippet") != "").groupBy(
+        "query_id",
+        "session_id",
+        "kind",
+        "signal",
+        "snippet"
+    ).agg(F.max("score").alias("score"))
     priority = F.element_at(F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair]), F.col("kind"))
     order = W.partitionBy("query_id", "session_id").orderBy(priority, F.desc("score"), "signal", "snippet")
     return once.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most)
@@ -145,9 +217,14 @@ def session_context(messages: DataFrame, wanted: DataFrame, most: int = 24, fall
     told = messages.join(wanted.withColumn("terms", F.slice(T.significant_terms("query"), 1, MOST_TERMS)), "session_id")
     hit = F.arrays_overlap(T.tokens("content"), F.flatten(F.transform("terms", lambda t: T.tokens(t))))
     order = W.partitionBy("query_id", "session_id").orderBy(F.desc("hit"), "sequence_num", "id")
-    told = told.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("any", F.max("hit").over(W.partitionBy("query_id", "session_id")))
+    told = told.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn(
+        "any",
+        F.max("hit").over(W.partitionBy("query_id", "session_id"))
+    )
     told = told.withColumn("pos", F.row_number().over(order))
-    return told.where((F.col("hit") & (F.col("pos") <= most)) | (~F.col("any") & (F.col("pos") <= fallback))).select("query_id", "session_id", "id", "hit", "pos")
+    return told.where(
+        (F.col("hit") & (F.col("pos") <= most)) | (~F.col("any") & (F.col("pos") <= fallback))
+    ).select("query_id", "session_id", "id", "hit", "pos")
 
 
 def session_tools(calls: DataFrame, wanted: DataFrame, most: int = 64, recent: int = 12) -> DataFrame:
@@ -158,7 +235,10 @@ def session_tools(calls: DataFrame, wanted: DataFrame, most: int = 64, recent: i
     held = F.size(F.array_intersect(T.tokens(F.concat_ws(" ", "tool_name", "tool_input", "tool_output")), asked))
     group = W.partitionBy("query_id", "session_id")
     latest = [F.desc(F.coalesce("timestamp", F.lit(""))), F.col("id")]
-    told = told.withColumn("held", held).withColumn("hits", F.count_if(F.col("held") > 0).over(group)).withColumn("nth", F.row_number().over(group.orderBy(*latest)))
+    told = told.withColumn("held", held).withColumn("hits", F.count_if(F.col("held") > 0).over(group)).withColumn(
+        "nth",
+        F.row_number().over(group.orderBy(*latest))
+    )
     kept = told.where((F.col("held") > 0) | ((F.col("hits") < recent) & (F.col("nth") <= recent)))
     kept = kept.withColumn("pos", F.row_number().over(group.orderBy(F.desc("held"), *latest)))
     return kept.where(F.col("pos") <= most).select("query_id", "session_id", "id", (F.col("held") > 0).alias("hit"), "pos")
@@ -173,11 +253,19 @@ def reason(signals: Column, tools: Column, paths: Column, snippet: Column) -> Co
     """One line: the strongest signals, how many tools and paths, the top evidence."""
     first = F.array_join(F.slice(F.transform(F.split(signals, ","), lambda s: F.replace(s, F.lit("_"), F.lit(" "))), 1, 3), ", ")
     many = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, "").otherwise("s")))
-    line = F.concat_ws("; ", F.when(signals != "", F.concat(F.lit("matched "), first)), many(tools, "matching tool call"), many(paths, "touched file path"), F.when(snippet != "", F.concat(F.lit("top evidence: "), F.substring(F.regexp_replace(snippet, r"[\[\]]", ""), 1, 140))))
+    line = F.concat_ws(
+        "; ",
+        F.when(signals != "", F.concat(F.lit("matched "), first)),
+        many(tools, "matching tool call"),
+        many(paths, "touched file path"),
+        F.when(snippet != "", F.concat(F.lit("top evidence: "), F.substring(F.regexp_replace(snippet, r"[\[\]]", ""), 1, 140)))
+    )
     return F.when(line != "", line).otherwise("matched recall signals")
 
 
-def recall_results(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 10, semantic: DataFrame | None = None, status: str = "off", resumable: dict[str, str] | None = None) -> DataFrame:
+def recall_results(
+    messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, limit: int = 10, semantic: DataFrame | None = None, status: str = "off", resumable: dict[str, str] | None = None
+) -> DataFrame:
     """One row a question and transcript, by rank: fields, score, signals, reason, evidence, matching calls, touched paths, resume command, semantic status."""
     hits = materialized(recall_hits(messages, transcripts, calls, queries, 2 * limit, semantic))
     ranked = materialized(recall(hits.groupBy("query_id", "session_id", "kind").agg(F.sum("score").alias("score")), transcripts, limit))
@@ -185,18 +273,36 @@ def recall_results(messages: DataFrame, transcripts: DataFrame, calls: DataFrame
     wanted = ranked.select(*keys).join(queries, "query_id")
     shown = evidence(hits.where("kind <> 'recent'").join(ranked.select(*keys), keys))
     shown = shown.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "signal", "snippet", "score"))).alias("evidence"))
-    tools = matching_tools(calls, wanted).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "input_preview"))).alias("matching_tool_calls"))
-    said = session_context(messages, wanted).join(messages.select("id", "content"), "id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "content"))).alias("said"))
-    used = session_tools(calls, wanted).join(calls.select("id", "tool_input"), "id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "tool_input"))).alias("used"))
+    tools = matching_tools(calls, wanted).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "id", "input_preview"))).alias("matching_tool_calls")
+    )
+    said = session_context(messages, wanted).join(messages.select("id", "content"), "id").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "content"))).alias("said")
+    )
+    used = session_tools(calls, wanted).join(calls.select("id", "tool_input"), "id").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "tool_input"))).alias("used")
+    )
     text = F.concat_ws("\n", F.transform("said", lambda x: x["content"]), F.transform("used", lambda x: x["tool_input"]))
-    commands = resume(transcripts.withColumn("metadata", F.col("metadata") if "metadata" in transcripts.columns else F.lit("{}")), resumable or {})
-    told = ranked.join(transcripts.withColumnRenamed("id", "session_id"), "session_id").join(commands.withColumnRenamed("id", "session_id"), "session_id", "left")
+    commands = resume(
+        transcripts.withColumn("metadata", F.col("metadata") if "metadata" in transcripts.columns else F.lit("{}")),
+        resumable or {}
+    )
+    told = ranked.join(transcripts.withColumnRenamed("id", "session_id"), "session_id").join(
+        commands.withColumnRenamed("id", "session_id"),
+        "session_id",
+        "left"
+    )
     for part in (shown, tools, said, used):
         told = told.join(part, keys, "left")
     told = told.withColumn("touched_file_paths", T.file_paths(text))
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     top = F.coalesce(F.get(F.col("evidence"), F.lit(0))["snippet"], F.lit(""))
-    why = reason(F.col("signals"), F.greatest(count("matching_tool_calls"), F.lit(0)), F.greatest(count("touched_file_paths"), F.lit(0)), top)
+    why = reason(
+        F.col("signals"),
+        F.greatest(count("matching_tool_calls"), F.lit(0)),
+        F.greatest(count("touched_file_paths"), F.lit(0)),
+        top
+    )
     return told.select(
         *keys, "rank", "score", "signals", *[c for c in ("title", "project_name", "project_path", "started_at") if c in transcripts.columns], why.alias("reason"),
         "evidence", "matching_tool_calls", "touched_file_paths", F.struct("available", "shell_command", F.col("reason")).alias("resume"), F.lit(status).alias("semantic_status"),
@@ -204,7 +310,9 @@ def recall_results(messages: DataFrame, transcripts: DataFrame, calls: DataFrame
 
 
 def shell_quoted(value: Column) -> Column:
-    return F.when(value.rlike(r"^[A-Za-z0-9_./:=@+-]+$"), value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    return F.when(value.rlike(r"^[A-Za-z0-9_./:=@+-]+$"), value).otherwise(
+        F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    )
 
 
 def resume(transcripts: DataFrame, resumable: dict[str, str]) -> DataFrame:
@@ -215,7 +323,12 @@ def resume(transcripts: DataFrame, resumable: dict[str, str]) -> DataFrame:
         command = F.concat(F.lit(f"{program} --resume "), shell_quoted(F.col("source_id")))
         own = F.when(F.col("source") == source, command) if own is None else own.when(F.col("source") == source, command)
     command = F.coalesce(F.when(stored != "", stored), own if own is not None else F.lit(None).cast("string"))
-    return transcripts.select("id", command.isNotNull().alias("available"), command.alias("shell_command"), F.when(command.isNull(), F.concat(F.lit("no resume command for "), "source")).alias("reason"))
+    return transcripts.select(
+        "id",
+        command.isNotNull().alias("available"),
+        command.alias("shell_command"),
+        F.when(command.isNull(), F.concat(F.lit("no resume command for "), "source")).alias("reason")
+    )
 
 
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -316,7 +429,9 @@ def walked_pairs(text: str) -> list[tuple[str, str, str | None]]:
                         at += 1
                     at = _SPACE.match(text, at).end()
                     if not stack:
-                        return [tuple(x.encode("utf-8", "replace").decode() if x is not None else None for x in row) for row in rows if row] if at == len(text) else []
+                        return [
+                            tuple(x.encode("utf-8", "replace").decode() if x is not None else None for x in row) for row in rows if row
+                        ] if at == len(text) else []
                     path, parts, places, now, is_object = stack[-1]
                     parts[now[0]] = quoted
                     if is_object:

@@ -32,7 +32,10 @@ def token_rows(docs: DataFrame, text: str | Column = "text") -> DataFrame:
 
 def postings(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """doc, term, tf, positions: the index that ``refresh`` keeps up to date."""
-    return token_rows(docs, text).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return token_rows(docs, text).groupBy("doc", "term").agg(
+        F.count("*").alias("tf"),
+        F.sort_array(F.collect_list("pos")).alias("positions")
+    )
 
 
 def refreshed(index: DataFrame, docs: DataFrame, touched: DataFrame) -> DataFrame:
@@ -63,7 +66,14 @@ def query_phrases(queries: DataFrame, identifiers: bool = True) -> DataFrame:
     """query_id, variant, phrase, k, term, phrase_len, phrases: the words of ``phrase_lists``, one a row."""
     told = phrase_lists(queries, identifiers)
     told = told.select("query_id", "variant", F.size("phrases").alias("phrases"), F.posexplode("phrases").alias("phrase", "terms"))
-    return told.select("query_id", "variant", "phrases", "phrase", F.size("terms").alias("phrase_len"), F.posexplode("terms").alias("k", "term"))
+    return told.select(
+        "query_id",
+        "variant",
+        "phrases",
+        "phrase",
+        F.size("terms").alias("phrase_len"),
+        F.posexplode("terms").alias("k", "term")
+    )
 
 
 #: Distinct terms that go to every task as a set; where more are asked for, terms and tokens meet in a join.
@@ -91,11 +101,23 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
     asked = query_phrases(queries, identifiers)
     if stem:
         asked = stemmed(asked)
-    wanted = asked.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words"))
+    wanted = asked.groupBy("query_id", "variant", "phrases", "phrase", "phrase_len").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words")
+    )
     wanted = materialized(wanted)
-    parts = wanted.select("words", "phrase_len").distinct().select("words", "phrase_len", F.posexplode(F.split("words", " ")).alias("k", "term"))
+    parts = wanted.select("words", "phrase_len").distinct().select(
+        "words",
+        "phrase_len",
+        F.posexplode(F.split("words", " ")).alias("k", "term")
+    )
     if stem:
-        tokens = stemmed(docs.select("doc", T.tokens("text").alias("tokens")).select("doc", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "term")))
+        tokens = stemmed(
+            docs.select("doc", T.tokens("text").alias("tokens")).select(
+                "doc",
+                F.size("tokens").alias("len"),
+                F.posexplode("tokens").alias("pos", "term")
+            )
+        )
         whole = corpus_size(docs)
     else:
         counted = counted_tokens(docs, parts.select("term").distinct())
@@ -103,7 +125,13 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
         whole = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     hits = tokens.join(parts, "term")
     single = hits.where("phrase_len = 1").groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))
-    starts = hits.where("phrase_len > 1").groupBy("words", "phrase_len", "doc", "len", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n")).where("n = phrase_len")
+    starts = hits.where("phrase_len > 1").groupBy(
+        "words",
+        "phrase_len",
+        "doc",
+        "len",
+        (F.col("pos") - F.col("k")).alias("start")
+    ).agg(F.count("*").alias("n")).where("n = phrase_len")
     # the postings of the asked phrases, which frequencies and ranks both read
     found = materialized(single.unionByName(starts.groupBy("words", "doc", "len").agg(F.count("*").alias("tf"))))
     frequency = found.groupBy("words").agg(F.count("*").alias("df"))
@@ -111,13 +139,19 @@ def bm25(docs: DataFrame, queries: DataFrame, identifiers: bool = True, stem: bo
     scored = wanted.join(found.join(frequency, "words"), "words").crossJoin(F.broadcast(whole))
     idf = F.greatest(F.lit(IDF_LEAST), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    told = scored.groupBy("query_id", "variant", "phrases", "doc").agg(F.count("*").alias("held"), F.sum(part).alias("score")).where("held = phrases")
+    told = scored.groupBy("query_id", "variant", "phrases", "doc").agg(
+        F.count("*").alias("held"),
+        F.sum(part).alias("score")
+    ).where("held = phrases")
     return told.select("query_id", "variant", "doc", F.round(-F.col("score"), 6).alias("rank"))
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, fields: list[str], queries: DataFrame, identifiers: bool = True) -> DataFrame:
     """hits (query_id, variant, doc, …) with ``snippet``: the first of the fields' snippets that holds a mark."""
-    said = hits.join(docs.select("doc", F.struct(*fields).alias("_said")), "doc").join(phrase_lists(queries, identifiers).withColumnRenamed("phrases", "_phrases"), ["query_id", "variant"])
+    said = hits.join(docs.select("doc", F.struct(*fields).alias("_said")), "doc").join(
+        phrase_lists(queries, identifiers).withColumnRenamed("phrases", "_phrases"),
+        ["query_id", "variant"]
+    )
     told = best_snippet(*[snippet(F.col(f"_said.{f}"), "_phrases") for f in fields])
     return said.withColumn("snippet", told).drop("_said", "_phrases")
 
@@ -128,11 +162,16 @@ def best_by(hits: DataFrame, keys: list[str], order: list[Column], limit: int, g
     return one.withColumn("pos", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("pos") <= limit)
 
 
-def search_messages(messages: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None) -> DataFrame:
+def search_messages(
+    messages: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20, where: Column | None = None
+) -> DataFrame:
     """The best message of each session with its snippet, hits of the first variant first, then by rank, then the latest."""
     docs = messages.select(F.col("id").alias("doc"), F.col("content").alias("text"))
     hits = bm25(docs, queries)
-    hits = hits.join(messages.select(F.col("id").alias("doc"), "session_id"), "doc").join(transcripts.withColumnRenamed("id", "session_id"), "session_id")
+    hits = hits.join(messages.select(F.col("id").alias("doc"), "session_id"), "doc").join(
+        transcripts.withColumnRenamed("id", "session_id"),
+        "session_id"
+    )
     hits = hits if where is None else hits.where(where)
     order = [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")]
     return with_snippets(best_by(hits, ["session_id"], order, limit), docs, ["text"], queries)
@@ -154,15 +193,25 @@ def search_tools(calls: DataFrame, transcripts: DataFrame, queries: DataFrame, l
     text = F.concat_ws(" ", "tool_name", "tool_input", "tool_output")
     said = calls.withColumn("doc", F.col("id"))
     hits = bm25(calls.select(F.col("id").alias("doc"), text.alias("text")), queries)
-    hits = hits.join(said.select("doc", "session_id", "tool_name"), "doc").join(transcripts.withColumnRenamed("id", "session_id"), "session_id")
+    hits = hits.join(said.select("doc", "session_id", "tool_name"), "doc").join(
+        transcripts.withColumnRenamed("id", "session_id"),
+        "session_id"
+    )
     hits = hits if where is None else hits.where(where)
     hits = with_snippets(hits, said, ["tool_name", "tool_input", "tool_output"], queries)
-    return best_by(hits, ["session_id", "tool_name", "snippet"], [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")], limit)
+    return best_by(
+        hits,
+        ["session_id", "tool_name", "snippet"],
+        [F.col("variant"), F.col("rank"), F.desc("started_at"), F.col("doc")],
+        limit
+    )
 
 
 def identity_score(query: Column, name: Column, path: Column) -> Column:
     """140 for a project's name, 120 for the last segment of its path, 90 for any segment; the largest over the terms."""
-    terms = F.array_distinct(F.filter(F.concat(F.array(F.lower(F.trim(query))), F.transform(T.identifier_parts(query), F.lower)), lambda t: t != ""))
+    terms = F.array_distinct(
+        F.filter(F.concat(F.array(F.lower(F.trim(query))), F.transform(T.identifier_parts(query), F.lower)), lambda t: t != "")
+    )
     name, path = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(path, F.lit("")))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     one = lambda t: F.when(name == t, 140).when(F.element_at(segments, -1) == t, 120).when(F.array_contains(segments, t), 90).otherwise(0)
@@ -198,11 +247,21 @@ def unified_search(messages: DataFrame, transcripts: DataFrame, calls: DataFrame
     lists = listed(search_messages(messages, transcripts, queries, wide), 1, 10, F.col("snippet"))
     lists = lists.unionByName(listed(search_transcripts(transcripts, queries, wide), 2, 35, F.col("snippet")))
     lists = lists.unionByName(listed(search_tools(calls, transcripts, queries, wide), 3, 25, F.concat_ws(": ", "tool_name", "snippet")))
-    scored = lists.join(queries, "query_id").withColumn("score", F.col("weight") + exactness_score(F.col("query"), F.col("title"), F.col("project_name"), F.col("project_path"), F.col("snippet")))
+    scored = lists.join(queries, "query_id").withColumn(
+        "score",
+        F.col("weight") + exactness_score(F.col("query"), F.col("title"), F.col("project_name"), F.col("project_path"), F.col("snippet"))
+    )
     first = W.partitionBy("query_id", "session_id").orderBy(F.desc("score"), "list", "pos")
     one = scored.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     final = W.partitionBy("query_id").orderBy(F.desc("score"), "rank", F.desc("started_at"), "session_id")
-    return one.withColumn("pos", F.row_number().over(final)).where(F.col("pos") <= limit).select("query_id", "session_id", "list", "score", "rank", "pos")
+    return one.withColumn("pos", F.row_number().over(final)).where(F.col("pos") <= limit).select(
+        "query_id",
+        "session_id",
+        "list",
+        "score",
+        "rank",
+        "pos"
+    )
 
 
 #: Needles that a task searches for at once; more are dealt into as many passes as it takes.
@@ -249,7 +308,10 @@ def _needle_rows(needles):
                 for needle in {needle for text in said if text and needles.value for _, needle in automaton.iter(text)}:
                     places.append(k)
                     held.append(needle)
-            yield pa.RecordBatch.from_arrays([batch["_key"].take(pa.array(places, pa.int64())), pa.array(held, pa.string())], names=["_key", "_needle"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["_key"].take(pa.array(places, pa.int64())), pa.array(held, pa.string())],
+                names=["_key", "_needle"]
+            )
 
     return rows
 
@@ -263,18 +325,38 @@ def limit_of(value: Column, fallback: int = 20, most: int | None = None) -> Colu
 
 def substring_tools(calls: DataFrame, transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Tool calls whose name, input or output holds the query, newest first."""
-    hits = substring_hits(calls, "id", ["tool_name", "tool_input", "tool_output"], queries).join(calls, "id").join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+    hits = substring_hits(calls, "id", ["tool_name", "tool_input", "tool_output"], queries).join(calls, "id").join(
+        transcripts.select(F.col("id").alias("session_id"), "started_at"),
+        "session_id"
+    )
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last(F.coalesce("timestamp", "started_at")), "id")
     snippet = F.left(F.coalesce("tool_input", "tool_output", "tool_name"), F.lit(200))
-    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "session_id", "id", "tool_name", snippet.alias("snippet"), "pos")
+    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select(
+        "query_id",
+        "session_id",
+        "id",
+        "tool_name",
+        snippet.alias("snippet"),
+        "pos"
+    )
 
 
 def substring_transcripts(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Transcripts whose title, project or path holds the query, newest first; ``match`` says whether the title does."""
-    hits = substring_hits(transcripts, "id", ["title", "project_name", "project_path"], queries).join(transcripts.select("id", "title", "started_at"), "id").join(queries, "query_id")
+    hits = substring_hits(
+        transcripts,
+        "id",
+        ["title", "project_name", "project_path"],
+        queries
+    ).join(transcripts.select("id", "title", "started_at"), "id").join(queries, "query_id")
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("started_at"), "id")
     match = F.when(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("query")), "title").otherwise("project")
-    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", F.col("id").alias("session_id"), match.alias("match"), "pos")
+    return hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select(
+        "query_id",
+        F.col("id").alias("session_id"),
+        match.alias("match"),
+        "pos"
+    )
 
 
 def session_rows(transcripts: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
@@ -283,7 +365,9 @@ def session_rows(transcripts: DataFrame, queries: DataFrame, limit: int = 20) ->
     return found.join(transcripts, "id")
 
 
-def hybrid_search(messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
+def hybrid_search(
+    messages: DataFrame, transcripts: DataFrame, calls: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, limit: int = 20
+) -> DataFrame:
     """query_id, session_id, score, pos: full-text and nearest-vector lists, each of twice the limit, fused by reciprocal ranks."""
     text = unified_search(messages, transcripts, calls, queries, 2 * limit)
     return fused([text, nearest(vectors, query_vectors, 2 * limit)], limit)
@@ -293,10 +377,36 @@ def substring_content(messages: DataFrame, transcripts: DataFrame, queries: Data
     """Transcripts whose metadata or messages hold the query; metadata hits come first, each list newest first."""
     newest = [F.desc("started_at"), F.col("session_id")]
     said = transcripts.withColumnRenamed("id", "session_id")
-    meta = substring_hits(transcripts, "id", ["title", "project_name"], queries).withColumnRenamed("id", "session_id").join(said, "session_id")
-    meta = meta.select("query_id", "session_id", "started_at", F.lit(1).alias("list"), F.coalesce("title", "project_name").alias("snippet"), F.lit("").alias("id"))
-    body = substring_hits(messages, "id", ["content"], queries).join(messages, "id").select("query_id", "session_id", "id", F.left(F.col("content"), F.lit(200)).alias("snippet"))
-    body = body.join(said.select("session_id", "started_at"), "session_id").select("query_id", "session_id", "started_at", F.lit(2).alias("list"), "snippet", "id")
+    meta = substring_hits(
+        transcripts,
+        "id",
+        ["title", "project_name"],
+        queries
+    ).withColumnRenamed("id", "session_id").join(said, "session_id")
+    meta = meta.select(
+        "query_id",
+        "session_id",
+        "started_at",
+        F.lit(1).alias("list"),
+        F.coalesce("title", "project_name").alias("snippet"),
+        F.lit("").alias("id")
+    )
+    body = substring_hits(messages, "id", ["content"], queries).join(messages, "id").select(
+        "query_id",
+        "session_id",
+        "id",
+        F.left(F.col("content"), F.lit(200)).alias("snippet")
+    )
+    body = body.join(said.select("session_id", "started_at"), "session_id").select(
+        "query_id",
+        "session_id",
+        "started_at",
+        F.lit(2).alias("list"),
+        "snippet",
+        "id"
+    )
     capped = meta.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest))).where(F.col("at") <= 5 * limit)
-    capped = capped.unionByName(body.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest, F.col("id")))).where(F.col("at") <= 10 * limit))
+    capped = capped.unionByName(
+        body.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(*newest, F.col("id")))).where(F.col("at") <= 10 * limit)
+    )
     return best_by(capped, ["session_id"], [F.col("list"), F.col("at")], limit).select("query_id", "session_id", "list", "snippet", "pos")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 
 def by_source(transcripts: DataFrame) -> DataFrame:
-    return transcripts.groupBy("source").agg(F.count("*").alias("transcripts"), F.sum(F.coalesce("message_count", F.lit(0))).alias("messages"), F.sum(F.coalesce("tool_call_count", F.lit(0))).alias("tool_calls"))
+    return transcripts.groupBy("source").agg(
+        F.count("*").alias("transcripts"),
+        F.sum(F.coalesce("message_count", F.lit(0))).alias("messages"),
+        F.sum(F.coalesce("tool_call_count", F.lit(0))).alias("tool_calls")
+    )
 
 
 def store_totals(transcripts: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
@@ -20,7 +24,11 @@ def store_totals(transcripts: DataFrame, messages: DataFrame, calls: DataFrame)
 
 def project_stats(transcripts: DataFrame) -> DataFrame:
     told = transcripts.where("project_path is not null").groupBy("project_path")
-    return told.agg(F.max("project_name").alias("project_name"), F.count("*").alias("transcripts"), F.max("started_at").alias("last_started"))
+    return told.agg(
+        F.max("project_name").alias("project_name"),
+        F.count("*").alias("transcripts"),
+        F.max("started_at").alias("last_started")
+    )
 
 
 def top_projects(transcripts: DataFrame, limit: int = 30) -> DataFrame:
@@ -29,7 +37,10 @@ def top_projects(transcripts: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def project_paths(transcripts: DataFrame) -> DataFrame:
-    return transcripts.groupBy(F.coalesce("project_path", F.lit("(none)")).alias("path"), F.coalesce("project_name", "project_path", F.lit("(none)")).alias("label")).agg(F.count("*").alias("transcripts"))
+    return transcripts.groupBy(
+        F.coalesce("project_path", F.lit("(none)")).alias("path"),
+        F.coalesce("project_name", "project_path", F.lit("(none)")).alias("label")
+    ).agg(F.count("*").alias("transcripts"))
 
 
 def unknown_sources(transcripts: DataFrame, known: list[str]) -> DataFrame:
@@ -42,7 +53,11 @@ def machine_counts(transcripts: DataFrame) -> DataFrame:
 
 def machine_rollup(transcripts: DataFrame, machines: DataFrame) -> DataFrame:
     """machine, region, transcripts, first and last seen; machines unknown to the registry stay."""
-    told = transcripts.where("machine is not null").groupBy("machine").agg(F.count("*").alias("transcripts"), F.min("started_at").alias("seen_first"), F.max("started_at").alias("seen_last"))
+    told = transcripts.where("machine is not null").groupBy("machine").agg(
+        F.count("*").alias("transcripts"),
+        F.min("started_at").alias("seen_first"),
+        F.max("started_at").alias("seen_last")
+    )
     return told.join(machines.select(F.col("name").alias("machine"), "region", "first_seen_at", "last_seen_at"), "machine", "left").select(
         "machine", "region", "transcripts", F.least("seen_first", "first_seen_at").alias("first_seen"), F.greatest("seen_last", "last_seen_at").alias("last_seen")
     )
@@ -50,7 +65,16 @@ def machine_rollup(transcripts: DataFrame, machines: DataFrame) -> DataFrame:
 
 def edges(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
     """session_id, type, name: the bipartite graph of transcripts and what they touch."""
-    kinds = F.array(*[F.struct(F.lit(kind).alias("type"), F.col(column).alias("name")) for kind, column in (("project", "project_name"), ("model", "model"), ("provider", "source"), ("machine", "machine"))])
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("type"), F.col(column).alias("name")) for kind, column in (
+                ("project", "project_name"),
+                ("model", "model"),
+                ("provider", "source"),
+                ("machine", "machine")
+            )
+        ]
+    )
     own = transcripts.select(F.col("id").alias("session_id"), F.inline(kinds))
     tools = calls.select("session_id", F.lit("tool").alias("type"), F.col("tool_name").alias("name"))
     return own.unionByName(tools).where("name is not null and name <> ''").distinct()
@@ -62,7 +86,10 @@ def entities(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
 
 def related_transcripts(transcripts: DataFrame, calls: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
     """For each wanted (type, name): its transcripts, newest first."""
-    found = edges(transcripts, calls).join(wanted, ["type", "name"]).join(transcripts.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+    found = edges(transcripts, calls).join(wanted, ["type", "name"]).join(
+        transcripts.select(F.col("id").alias("session_id"), "started_at"),
+        "session_id"
+    )
     order = W.partitionBy("type", "name").orderBy(F.desc("started_at"), "session_id")
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
@@ -70,7 +97,14 @@ def related_transcripts(transcripts: DataFrame, calls: DataFrame, wanted: DataFr
 def neighborhood(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
     """Each session's project, model, provider, machine and sorted tools."""
     tools = calls.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("tool_name")), ",").alias("tools"))
-    return transcripts.join(tools, transcripts["id"] == tools["session_id"], "left").select("id", "project_name", "model", F.col("source").alias("provider"), "machine", F.coalesce("tools", F.lit("")).alias("tools"))
+    return transcripts.join(tools, transcripts["id"] == tools["session_id"], "left").select(
+        "id",
+        "project_name",
+        "model",
+        F.col("source").alias("provider"),
+        "machine",
+        F.coalesce("tools", F.lit("")).alias("tools")
+    )
 
 
 def recency(*more: str) -> list[Column]:
@@ -133,9 +167,24 @@ def resolve_identifiers(transcripts: DataFrame, wanted: DataFrame, most: int = 6
     native = cut.where(F.length("source_id") >= F.col("len"))
     prefix = native.select("id", F.lit(3).alias("level"), F.concat_ws(":", "source", F.expr("left(source_id, len)")).alias("want"))
     prefix = prefix.unionByName(native.select("id", F.lit(5).alias("level"), F.expr("left(source_id, len)").alias("want")))
-    prefix = prefix.unionByName(cut.where(F.length("id") >= F.col("len")).select("id", F.lit(5).alias("level"), F.expr("left(id, len)").alias("want")))
+    prefix = prefix.unionByName(
+        cut.where(F.length("id") >= F.col("len")).select("id", F.lit(5).alias("level"), F.expr("left(id, len)").alias("want"))
+    )
     found = exact.unionByName(prefix).join(asked, "want").select("identifier", "level", "id").distinct()
     least = found.withColumn("best", F.min("level").over(W.partitionBy("identifier"))).where("level = best")
-    told = least.groupBy("identifier").agg(F.min("level").alias("level"), F.count("*").alias("matches"), F.array_join(F.slice(F.sort_array(F.collect_set("id")), 1, most), ",").alias("candidates"))
-    status = F.when(F.col("want") == "", "invalid").when(F.col("matches").isNull(), "missing").when(F.col("matches") > 1, "ambiguous").otherwise("unique")
-    return asked.join(told, "identifier", "left").select("identifier", status.alias("status"), "level", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("candidates", F.lit("")).alias("candidates"))
+    told = least.groupBy("identifier").agg(
+        F.min("level").alias("level"),
+        F.count("*").alias("matches"),
+        F.array_join(F.slice(F.sort_array(F.collect_set("id")), 1, most), ",").alias("candidates")
+    )
+    status = F.when(F.col("want") == "", "invalid").when(
+        F.col("matches").isNull(),
+        "missing"
+    ).when(F.col("matches") > 1, "ambiguous").otherwise("unique")
+    return asked.join(told, "identifier", "left").select(
+        "identifier",
+        status.alias("status"),
+        "level",
+        F.coalesce("matches", F.lit(0)).alias("matches"),
+        F.coalesce("candidates", F.lit("")).alias("candidates")
+    )

@@ -50,18 +50,29 @@ def shrink_verdicts(stored: DataFrame, incoming: DataFrame, key: str) -> DataFra
 
 def merged_stores(target: DataFrame, source: DataFrame) -> DataFrame:
     """Transcripts of both stores; of the source only those with new id and new natural key come in."""
-    new = source.join(target.select("id"), "id", "left_anti").join(target.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    new = source.join(target.select("id"), "id", "left_anti").join(
+        target.select("source", "source_id"),
+        ["source", "source_id"],
+        "left_anti"
+    )
     return target.withColumn("origin", F.lit("target")).unionByName(new.select(target.columns).withColumn("origin", F.lit("source")))
 
 
 def merged_children(target_transcripts: DataFrame, source_transcripts: DataFrame, children: DataFrame) -> DataFrame:
     """The source's children under the ids that survive: those of ignored parents move to the known session's id."""
-    ids = source_transcripts.alias("s").join(target_transcripts.alias("t"), ["source", "source_id"], "left").select(F.col("s.id").alias("session_id"), F.coalesce("t.id", "s.id").alias("_id"))
+    ids = source_transcripts.alias("s").join(target_transcripts.alias("t"), ["source", "source_id"], "left").select(
+        F.col("s.id").alias("session_id"),
+        F.coalesce("t.id", "s.id").alias("_id")
+    )
     return children.join(ids, "session_id").withColumn("session_id", F.col("_id")).drop("_id")
 
 
 def register_machines(seen: DataFrame) -> DataFrame:
-    return seen.groupBy("name").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("session_count"))
+    return seen.groupBy("name").agg(
+        F.min("seen_at").alias("first_seen_at"),
+        F.max("seen_at").alias("last_seen_at"),
+        F.count("*").alias("session_count")
+    )
 
 
 def machines_recounted(machines: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -72,7 +83,9 @@ def machines_recounted(machines: DataFrame, transcripts: DataFrame) -> DataFrame
 
 
 #: Token totals of a transcript, and the message columns that they sum.
-TOTALS = {"total_input_tokens": "input_tokens", "total_output_tokens": "output_tokens", "total_cache_read_tokens": "cache_read_tokens", "total_cache_write_tokens": "cache_write_tokens"}
+TOTALS = {
+    "total_input_tokens": "input_tokens", "total_output_tokens": "output_tokens", "total_cache_read_tokens": "cache_read_tokens", "total_cache_write_tokens": "cache_write_tokens"
+}
 
 
 def recounted(transcripts: DataFrame, messages: DataFrame, calls: DataFrame, touched: DataFrame) -> DataFrame:
@@ -83,7 +96,10 @@ def recounted(transcripts: DataFrame, messages: DataFrame, calls: DataFrame, tou
     """
     ids = touched.select(F.col("id").alias("session_id"))
     sums = {t: c for t, c in TOTALS.items() if t in transcripts.columns and c in messages.columns}
-    own = messages.join(ids, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_messages"), *[F.sum(c).alias(f"_{t}") for t, c in sums.items()])
+    own = messages.join(ids, "session_id", "left_semi").groupBy("session_id").agg(
+        F.count("*").alias("_messages"),
+        *[F.sum(c).alias(f"_{t}") for t, c in sums.items()]
+    )
     used = calls.join(ids, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_calls"))
     told = touched.select(F.col("id").alias("session_id"), *[F.col(t).alias(f"_own_{t}") for t in sums if t in touched.columns])
     told = told.join(own, "session_id", "left").join(used, "session_id", "left").withColumn("_touched", F.lit(True))
@@ -93,7 +109,11 @@ def recounted(transcripts: DataFrame, messages: DataFrame, calls: DataFrame, tou
         given = [F.col(f"_own_{total}")] if total in touched.columns else []
         fresh[total] = F.coalesce(*given, F.col(f"_{total}"), F.lit(0))
     types = dict(transcripts.dtypes)
-    return joined.select(*[F.when(F.col("_touched"), fresh[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in fresh else F.col(c) for c in transcripts.columns])
+    return joined.select(
+        *[
+            F.when(F.col("_touched"), fresh[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in fresh else F.col(c) for c in transcripts.columns
+        ]
+    )
 
 
 def without_known(target: DataFrame, source: DataFrame, *keys: list[str]) -> DataFrame:
@@ -110,7 +130,9 @@ def stores_merged(target: dict[str, DataFrame], source: dict[str, DataFrame]) ->
     transcript that was known under another id come in under that. Machine tags stay as
     they are; the registry of machines is recounted.
     """
-    natural = {"transcripts": ["source", "source_id"], "messages": ["session_id", "source_id"], "tool_calls": None, "embeddings": ["message_id", "chunk_index"]}
+    natural = {
+        "transcripts": ["source", "source_id"], "messages": ["session_id", "source_id"], "tool_calls": None, "embeddings": ["message_id", "chunk_index"]
+    }
     added: dict[str, DataFrame] = {}
     for name, key in natural.items():
         if name in target and name in source:
@@ -138,12 +160,19 @@ def delete_cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) ->
 
 def renamed(transcripts: DataFrame, titles: DataFrame) -> DataFrame:
     """New titles by id; others stay."""
-    return transcripts.join(titles.select("id", F.col("title").alias("_title")), "id", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+    return transcripts.join(
+        titles.select("id", F.col("title").alias("_title")),
+        "id",
+        "left"
+    ).withColumn("title", F.coalesce("_title", "title")).drop("_title")
 
 
 def renamed_by(transcripts: DataFrame, titles: DataFrame) -> DataFrame:
     """New titles by identifier (id, source:id, or a prefix); an identifier that names several transcripts, or none, changes nothing."""
-    told = resolve_identifiers(transcripts, titles.select("identifier")).where("status = 'unique'").select("identifier", F.col("candidates").alias("id"))
+    told = resolve_identifiers(transcripts, titles.select("identifier")).where("status = 'unique'").select(
+        "identifier",
+        F.col("candidates").alias("id")
+    )
     return renamed(transcripts, told.join(titles, "identifier").groupBy("id").agg(F.min("title").alias("title")))
 
 
@@ -162,7 +191,10 @@ def matching_folders(folders: DataFrame, path: str) -> DataFrame:
 
 def moved(path: Column, old: str, new: str) -> Column:
     """``path`` with the prefix ``old`` replaced, only where it ends at a boundary."""
-    return F.when((path == old) | path.startswith(old + "/"), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 20))).otherwise(path)
+    return F.when(
+        (path == old) | path.startswith(old + "/"),
+        F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 20))
+    ).otherwise(path)
 
 
 def encoded(path: str) -> str:
@@ -186,13 +218,18 @@ def file_gate(files: DataFrame, state: DataFrame) -> DataFrame:
     same = (F.col("s.mtime") == F.col("f.mtime")) & (F.col("s.size") == F.col("f.size"))
     if "signature" in files.columns and "signature" in state.columns:
         same = same & F.col("s.signature").eqNullSafe(F.col("f.signature"))
-    action = F.when(F.col("s.status").isNull(), "new").when((F.col("s.status") == "ok") & same, "skip").when(F.col("s.status") == "ok", "changed").otherwise("retry")
+    action = F.when(F.col("s.status").isNull(), "new").when(
+        (F.col("s.status") == "ok") & same,
+        "skip"
+    ).when(F.col("s.status") == "ok", "changed").otherwise("retry")
     return joined.select("source", "path", action.alias("action"))
 
 
 def latest_state(states: DataFrame) -> DataFrame:
     """The last state of each file: by time, then by run."""
-    return states.groupBy("source", "path").agg(F.max_by(F.struct("mtime", "size", "status"), F.struct("ingested_at", "run")).alias("s")).select("source", "path", "s.*")
+    return states.groupBy("source", "path").agg(
+        F.max_by(F.struct("mtime", "size", "status"), F.struct("ingested_at", "run")).alias("s")
+    ).select("source", "path", "s.*")
 
 
 def state_upserted(state: DataFrame, new: DataFrame) -> DataFrame:
@@ -210,25 +247,55 @@ def deferred(before: DataFrame, after: DataFrame, parsed: DataFrame) -> DataFram
     pending; only ``ok`` files may be merged, and none holds up the others.
     """
     keys = ["source", "path"]
-    told = before.select(*keys, "mtime", "size").join(after.select(*keys, F.col("mtime").alias("_mtime"), F.col("size").alias("_size")), keys, "left").join(parsed, keys)
+    told = before.select(*keys, "mtime", "size").join(
+        after.select(*keys, F.col("mtime").alias("_mtime"), F.col("size").alias("_size")),
+        keys,
+        "left"
+    ).join(parsed, keys)
     gone = F.col("_mtime").isNull()
-    message = F.when(F.col("error").isNotNull(), F.col("error")).when(gone, "file vanished after parsing").when(F.col("incomplete"), "incomplete trailing record")
-    message = message.when(~(F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))), "file changed during parsing")
+    message = F.when(F.col("error").isNotNull(), F.col("error")).when(gone, "file vanished after parsing").when(
+        F.col("incomplete"),
+        "incomplete trailing record"
+    )
+    message = message.when(
+        ~(F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))),
+        "file changed during parsing"
+    )
     status = F.when(F.col("error").isNotNull(), "error").when(message.isNotNull(), "pending").otherwise("ok")
     own = F.col("error").isNotNull() | gone
-    return told.select(*keys, F.when(own, F.col("mtime")).otherwise(F.col("_mtime")).alias("mtime"), F.when(own, F.col("size")).otherwise(F.col("_size")).alias("size"), status.alias("status"), message.alias("message"))
+    return told.select(
+        *keys,
+        F.when(own, F.col("mtime")).otherwise(F.col("_mtime")).alias("mtime"),
+        F.when(own, F.col("size")).otherwise(F.col("_size")).alias("size"),
+        status.alias("status"),
+        message.alias("message")
+    )
 
 
 def watch_status(files: DataFrame, state: DataFrame) -> DataFrame:
     """source, ok, pending, errors, newest_pending for each source."""
-    told = file_gate(files, state).join(files, ["source", "path"]).join(state.select("source", "path", "status"), ["source", "path"], "left")
+    told = file_gate(files, state).join(files, ["source", "path"]).join(
+        state.select("source", "path", "status"),
+        ["source", "path"],
+        "left"
+    )
     waits = F.col("action") != "skip"
-    return told.groupBy("source").agg(F.count_if(~waits).alias("ok"), F.count_if(waits).alias("pending"), F.count_if(F.col("status") == "error").alias("errors"), F.max(F.when(waits, F.col("mtime"))).alias("newest_pending"))
+    return told.groupBy("source").agg(
+        F.count_if(~waits).alias("ok"),
+        F.count_if(waits).alias("pending"),
+        F.count_if(F.col("status") == "error").alias("errors"),
+        F.max(F.when(waits, F.col("mtime"))).alias("newest_pending")
+    )
 
 
 def ingest_result(gate: DataFrame) -> DataFrame:
     count = lambda *a: F.count_if(F.col("action").isin(*a))
-    return gate.groupBy("source").agg(F.count("*").alias("scanned"), count("new", "changed", "retry").alias("ingested"), count("skip").alias("skipped"), count("retry").alias("retried"))
+    return gate.groupBy("source").agg(
+        F.count("*").alias("scanned"),
+        count("new", "changed", "retry").alias("ingested"),
+        count("skip").alias("skipped"),
+        count("retry").alias("retried")
+    )
 
 
 def index_merged(held: DataFrame, incoming: DataFrame, key: str = "session_id") -> DataFrame:
@@ -265,10 +332,19 @@ def inventory(files: DataFrame) -> DataFrame:
 
 def inventory_summary(files: DataFrame) -> DataFrame:
     single = F.col("duplicate_of").isNull()
-    return files.agg(F.count("*").alias("files"), F.count_if(single).alias("selected"), F.count_if(~single).alias("duplicates"), F.sum(F.when(single, F.col("bytes"))).alias("bytes"), F.max(F.when(single, F.col("bytes"))).alias("largest"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-
-
-def selected(files: DataFrame, low: str | None = None, high: str | None = None, first: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    return files.agg(
+        F.count("*").alias("files"),
+        F.count_if(single).alias("selected"),
+        F.count_if(~single).alias("duplicates"),
+        F.sum(F.when(single, F.col("bytes"))).alias("bytes"),
+        F.max(F.when(single, F.col("bytes"))).alias("largest"),
+        F.count_if(F.col("error").isNotNull()).alias("errors")
+    )
+
+
+def selected(
+    files: DataFrame, low: str | None = None, high: str | None = None, first: int | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Entries in key order: a range, a pilot of the first few, or known keys; duplicates and errors are left out."""
     told = files.where("duplicate_of is null and error is null")
     if low is not None:
@@ -315,7 +391,13 @@ def readable(runs: DataFrame, version: int) -> DataFrame:
     """Checkpoint rows (key, state, run, version, digest); completed ones of another version count as skipped, without digest."""
     old = (F.col("version") != version) & (F.col("state") == "completed")
     note = F.when(old, F.concat(F.lit("unsupported checkpoint version "), F.col("version").cast("string")))
-    return runs.where((F.col("version") == version) | old).select("key", F.when(old, "skipped").otherwise(F.col("state")).alias("state"), "run", F.when(~old, F.col("digest")).alias("digest"), note.alias("note"))
+    return runs.where((F.col("version") == version) | old).select(
+        "key",
+        F.when(old, "skipped").otherwise(F.col("state")).alias("state"),
+        "run",
+        F.when(~old, F.col("digest")).alias("digest"),
+        note.alias("note")
+    )
 
 
 def checkpoint_written(runs: DataFrame, results: DataFrame, version: int) -> DataFrame:

@@ -56,7 +56,9 @@ def cwd_moved(line: Column, old: str, new: str) -> Column:
     return F.regexp_replace(line, _CWD + re.escape(quoted(old)) + r'(?=["/])', "$1" + said)
 
 
-def imported(spark: SparkSession, folder: str, existing: DataFrame, old: str = "", new: str = "", overwrite: bool = False, holding: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+def imported(
+    spark: SparkSession, folder: str, existing: DataFrame, old: str = "", new: str = "", overwrite: bool = False, holding: str = ""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records to store, quarantined lines, report) of an export; nothing of the store is changed here.
 
     Records are (project, file, ord, value), with projects and cwd fields moved from ``old``
@@ -64,25 +66,38 @@ def imported(spark: SparkSession, folder: str, existing: DataFrame, old: str = "
     Lines that are no JSON object are quarantined, the rest of their file comes in. The report
     has project, file, action (imported, remapped, overwritten or skipped), lines and bad lines.
     """
-    raw = spark.read.schema("value string, project string, file string").text(f"{folder}/projects").withColumnsRenamed({"project": "_project", "file": "_file"})
+    raw = spark.read.schema(
+        "value string, project string, file string"
+    ).text(f"{folder}/projects").withColumnsRenamed({"project": "_project", "file": "_file"})
     raw = raw.where(F.contains(F.lower("_project"), F.lit(holding.lower()))) if holding else raw
     told = numbered(raw, "_project", "_file").select("_project", F.col("_file").alias("file"), "ord", F.col("value").alias("_line"))
     to = moved_folder(F.col("_project"), old, new) if old else F.col("_project")
     told = told.withColumn("project", to).withColumn("value", cwd_moved(F.col("_line"), old, new) if old else F.col("_line"))
     told = told.join(existing.select("project", "file", F.lit(True).alias("_known")).distinct(), ["project", "file"], "left")
     known = F.coalesce("_known", F.lit(False))
-    action = F.when(known & F.lit(not overwrite), "skipped").when(known, "overwritten").when(F.col("project") != F.col("_project"), "remapped").otherwise("imported")
+    action = F.when(known & F.lit(not overwrite), "skipped").when(known, "overwritten").when(
+        F.col("project") != F.col("_project"),
+        "remapped"
+    ).otherwise("imported")
     bad = ~F.coalesce(F.schema_of_variant(F.try_parse_json("_line")).startswith("OBJECT"), F.lit(False))
     told = materialized(told.select("project", "file", "ord", "value", action.alias("action"), bad.alias("bad")))
     report = told.groupBy("project", "file", "action").agg(F.count("*").alias("lines"), F.count_if("bad").alias("bad_lines"))
     kept = told.where("action <> 'skipped'")
-    return kept.where("not bad").select("project", "file", "ord", "value"), kept.where("bad").select("project", "file", "ord", "value"), report
+    return kept.where("not bad").select(
+        "project",
+        "file",
+        "ord",
+        "value"
+    ), kept.where("bad").select("project", "file", "ord", "value"), report
 
 
 def moved_folder(folder: Column, old: str, new: str) -> Column:
     """An encoded project folder with the encoded prefix ``old`` replaced, only where a path's name ends."""
     was, now = old.replace("/", "-"), new.replace("/", "-")
-    return F.when((folder == was) | folder.startswith(was + "-"), F.concat(F.lit(now), F.substr(folder, F.lit(len(was) + 1)))).otherwise(folder)
+    return F.when(
+        (folder == was) | folder.startswith(was + "-"),
+        F.concat(F.lit(now), F.substr(folder, F.lit(len(was) + 1)))
+    ).otherwise(folder)
 
 
 def with_verdicts(rows: DataFrame, key: list[str], error: str = "error") -> DataFrame:
@@ -91,7 +106,9 @@ def with_verdicts(rows: DataFrame, key: list[str], error: str = "error") -> Data
     return told.withColumn("accepted", F.col("faults") == 0)
 
 
-def content_imported(store: dict[str, DataFrame], payload: dict[str, DataFrame], errors: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def content_imported(
+    store: dict[str, DataFrame], payload: dict[str, DataFrame], errors: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after the import, report): accepted payloads replace their transcript and its children, refused ones change nothing.
 
     ``store`` and ``payload`` have transcripts (id, …), messages and tool_calls (session_id, …);

@@ -22,7 +22,11 @@ def chunks(messages: DataFrame, width: int = 2000) -> DataFrame:
 
 def pending(messages: DataFrame, embedded: DataFrame, limit: int = 200) -> DataFrame:
     """The first ``limit`` messages with content and without a vector, by id."""
-    return messages.where(F.trim("content") != "").join(embedded.select(F.col("message_id").alias("id")), "id", "left_anti").orderBy(F.length("id"), "id").limit(limit)
+    return messages.where(F.trim("content") != "").join(
+        embedded.select(F.col("message_id").alias("id")),
+        "id",
+        "left_anti"
+    ).orderBy(F.length("id"), "id").limit(limit)
 
 
 def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -86,20 +90,37 @@ def unpacked(data: str | Column) -> Column:
     return unpack(data)
 
 
-def embedding_run(messages: DataFrame, held: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, limit: int = 200) -> DataFrame:
+def embedding_run(
+    messages: DataFrame, held: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, limit: int = 200
+) -> DataFrame:
     """message_id, session_id, chunk_index, chunk_text, embedding (packed), embedding_model, dimensions of the first
     ``limit`` messages that ``held`` (message_id) has no vector of: what a run adds to the store."""
     told = embedded(chunks(pending(messages, held, limit)), "chunk_text", embed)
-    said = told.select(F.col("id").alias("message_id"), "session_id", "chunk_index", "chunk_text", F.size("embedding").alias("dimensions"), packed("embedding").alias("embedding"))
+    said = told.select(
+        F.col("id").alias("message_id"),
+        "session_id",
+        "chunk_index",
+        "chunk_text",
+        F.size("embedding").alias("dimensions"),
+        packed("embedding").alias("embedding")
+    )
     return said.withColumn("embedding_model", F.lit(model))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine in double precision over the shorter length; 0 where a norm is 0."""
-    pairs = F.filter(F.arrays_zip(F.col(a).alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).alias("y") if isinstance(b, str) else b.alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    pairs = F.filter(
+        F.arrays_zip(
+            F.col(a).alias("x") if isinstance(a, str) else a.alias("x"),
+            F.col(b).alias("y") if isinstance(b, str) else b.alias("y")
+        ),
+        lambda p: p["x"].isNotNull() & p["y"].isNotNull()
+    )
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
     dot = total(lambda p: p["x"].cast("double") * p["y"].cast("double"))
-    norm = F.sqrt(total(lambda p: p["x"].cast("double") * p["x"].cast("double"))) * F.sqrt(total(lambda p: p["y"].cast("double") * p["y"].cast("double")))
+    norm = F.sqrt(
+        total(lambda p: p["x"].cast("double") * p["x"].cast("double"))
+    ) * F.sqrt(total(lambda p: p["y"].cast("double") * p["y"].cast("double")))
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
 
 
@@ -128,7 +149,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow()
         part = told.mapInArrow(_near_rows(vectors.sparkSession.sparkContext.broadcast(own), limit), schema)
         found = part if found is None else found.unionByName(part)
-    one = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))).where("_n = 1").drop("_n")
+    one = found.withColumn(
+        "_n",
+        F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))
+    ).where("_n = 1").drop("_n")
     order = W.partitionBy("query_id").orderBy(F.desc("cosine"), "session_id")
     return one.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
@@ -180,7 +204,15 @@ def _near_rows(queries, limit: int):
                     best = np.maximum.reduceat(near[by_session], starts, axis=0)
                     least = -np.partition(-best, min(limit, len(best)) - 1, axis=0)[min(limit, len(best)) - 1]
                     row, query = np.nonzero((near == best[place]) & (near >= least))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(wanted[lo + query])), batch["message_id"].take(pa.array(row)), batch["session_id"].take(pa.array(row)), pa.array(near[row, query])], names=["query_id", "message_id", "session_id", "cosine"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(wanted[lo + query])),
+                            batch["message_id"].take(pa.array(row)),
+                            batch["session_id"].take(pa.array(row)),
+                            pa.array(near[row, query])
+                        ],
+                        names=["query_id", "message_id", "session_id", "cosine"]
+                    )
 
     return rows
 

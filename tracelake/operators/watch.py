@@ -43,7 +43,11 @@ def status(files: DataFrame, state: DataFrame, runs: DataFrame, now: Column | No
     """
     gate = file_gate(files, state).join(files.select("source", "path", "mtime"), ["source", "path"])
     waits = F.col("action") != "skip"
-    told = gate.groupBy("source").agg(F.count_if(~waits).alias("ok"), F.count_if(waits).alias("pending"), F.max(F.when(waits, F.col("mtime"))).alias("_newest"))
+    told = gate.groupBy("source").agg(
+        F.count_if(~waits).alias("ok"),
+        F.count_if(waits).alias("pending"),
+        F.max(F.when(waits, F.col("mtime"))).alias("_newest")
+    )
     told = told.withColumn("lag_seconds", lag_seconds(F.col("_newest"), F.current_timestamp() if now is None else now)).drop("_newest")
     out = told.join(last_runs(runs), "source", "full")
     return out.withColumn("skipped_files", F.coalesce("skipped_files", F.lit(0)))

@@ -23,13 +23,22 @@ def _folder(spark, name):
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@register("vectors_packed", "SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, true AS same FROM embeddings")
+@register(
+    "vectors_packed",
+    "SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, true AS same FROM embeddings"
+)
 def vectors_packed(spark, sf_dir):
     """Every vector packed to bytes and back."""
     e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vector.packed("embedding").alias("data"))
     e = e.withColumn("back", vector.unpacked("data"))
     total = F.aggregate("back", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return e.select("vec_id", F.octet_length("data").alias("bytes"), F.size("back").alias("dimensions"), F.round(total, 6).alias("total"), (F.col("back") == F.col("embedding")).alias("same"))
+    return e.select(
+        "vec_id",
+        F.octet_length("data").alias("bytes"),
+        F.size("back").alias("dimensions"),
+        F.round(total, 6).alias("total"),
+        (F.col("back") == F.col("embedding")).alias("same")
+    )
 
 
 @register("knn_packed", f"WITH {NEAREST} SELECT * FROM knn")
@@ -49,7 +58,10 @@ _DAY = "CAST(DATE '2024-05-29' + CAST(conv_id % 6 AS INTEGER) AS DATE)"
 def discover_days(spark, sf_dir):
     """Turns written to folders by date, of which four days are read again."""
     root = _folder(spark, "days")
-    c = V.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 6).alias("k"), F.concat_ws(":", "conv_id", "turn").alias("value"))
+    c = V.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % 6).alias("k"),
+        F.concat_ws(":", "conv_id", "turn").alias("value")
+    )
     first = dt.date(2024, 5, 29)
     for k in range(6):
         c.where(F.col("k") == k).select("value").write.text(f"{root}/{first + dt.timedelta(days=k):%Y/%m/%d}")
@@ -77,10 +89,19 @@ _SIDE = """f AS (SELECT event_type AS source, '/' || event_type || '/' || event_
     st AS (SELECT source, path, mtime, size, CASE event_type WHEN 'click' THEN '6:1' WHEN 'view' THEN '8:1' END AS signature, 'ok' AS status FROM (SELECT *, source AS event_type FROM f WHERE k % 3 <> 0))"""
 
 
-@register("side_file_gate", f"WITH {_SIDE} SELECT f.source, f.path, CASE WHEN st.status IS NULL THEN 'new' WHEN st.mtime = f.mtime AND st.size = f.size AND st.signature IS NOT DISTINCT FROM f.signature THEN 'skip' ELSE 'changed' END AS action FROM f LEFT JOIN st USING (source, path)")
+@register(
+    "side_file_gate",
+    f"WITH {_SIDE} SELECT f.source, f.path, CASE WHEN st.status IS NULL THEN 'new' WHEN st.mtime = f.mtime AND st.size = f.size AND st.signature IS NOT DISTINCT FROM f.signature THEN 'skip' ELSE 'changed' END AS action FROM f LEFT JOIN st USING (source, path)"
+)
 def side_file_gate(spark, sf_dir):
     """The title index of one source is newer than when its files were read: they alone are changed."""
-    e = V.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat_ws("/", F.lit(""), "event_type", F.col("event_id").cast("string")).alias("path"), (F.col("event_id") % 97).alias("mtime"), (F.col("event_id") % 13).alias("size"), F.col("event_id").alias("k"))
+    e = V.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source"),
+        F.concat_ws("/", F.lit(""), "event_type", F.col("event_id").cast("string")).alias("path"),
+        (F.col("event_id") % 97).alias("mtime"),
+        (F.col("event_id") % 13).alias("size"),
+        F.col("event_id").alias("k")
+    )
     marks = lambda **told: spark.createDataFrame(list(told.items()), "source string, signature string")
     files = discovery.signed(e.drop("k"), marks(click="7:1", view="8:1"))
     state = discovery.signed(e.where("k % 3 <> 0").drop("k"), marks(click="6:1", view="8:1")).withColumn("status", F.lit("ok"))
@@ -98,8 +119,17 @@ _NOW = "2031-01-01 00:00:00"
 def watch_status(spark, sf_dir):
     """Files by source, a third of them never read and a fifth changed since, and a log of attempts."""
     e, k = V.table(spark, sf_dir, "events"), F.col("event_id")
-    files = e.select(F.col("event_type").alias("source"), k.cast("string").alias("path"), F.col("ts").alias("mtime"), (k % 13).alias("size"), k.alias("k"))
-    state = files.where("k % 3 <> 0").withColumn("size", F.when(F.col("k") % 5 == 0, -1).otherwise(F.col("size"))).withColumn("status", F.lit("ok"))
+    files = e.select(
+        F.col("event_type").alias("source"),
+        k.cast("string").alias("path"),
+        F.col("ts").alias("mtime"),
+        (k % 13).alias("size"),
+        k.alias("k")
+    )
+    state = files.where("k % 3 <> 0").withColumn(
+        "size",
+        F.when(F.col("k") % 5 == 0, -1).otherwise(F.col("size"))
+    ).withColumn("status", F.lit("ok"))
     failed = F.when(k % 6 == 2, k % 3).otherwise(0)
     runs = e.where("event_type <> 'view'").groupBy("event_type", "ts").agg(F.min("event_id").alias("event_id"))
     runs = runs.select(
@@ -126,16 +156,32 @@ def _export_records(spark, sf_dir):
     """Lines of files in project folders, with the folder as cwd; some are broken."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     name = (c % 7).cast("string")
-    line = F.concat(F.lit('{"a":{"cwd":"/old/p'), name, F.lit('/x y"},"say":"\\"cwd\\":\\"/old/p1\\"","n":'), k.cast("string"), F.lit(',"cwd":"/old/p'), name, F.lit('"}'))
+    line = F.concat(
+        F.lit('{"a":{"cwd":"/old/p'),
+        name,
+        F.lit('/x y"},"say":"\\"cwd\\":\\"/old/p1\\"","n":'),
+        k.cast("string"),
+        F.lit(',"cwd":"/old/p'),
+        name,
+        F.lit('"}')
+    )
     value = F.when(k % 11 == 0, F.lit('{"cwd":"/old/p1')).otherwise(line)
-    return V.table(spark, sf_dir, "orders").select(F.concat(F.lit("-old-p"), name).alias("project"), F.concat(F.lit("a/b+c%"), (c % 50).cast("string"), F.lit(".jsonl")).alias("file"), k.alias("ord"), value.alias("value"))
+    return V.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("-old-p"), name).alias("project"),
+        F.concat(F.lit("a/b+c%"), (c % 50).cast("string"), F.lit(".jsonl")).alias("file"),
+        k.alias("ord"),
+        value.alias("value")
+    )
 
 
 _LINES = """r AS (SELECT '-old-p' || o_custkey % 7 AS project, 'a/b+c%' || o_custkey % 50 || '.jsonl' AS file, o_orderkey AS k, o_custkey % 7 AS p, row_number() OVER (PARTITION BY o_custkey % 7, o_custkey % 50 ORDER BY o_orderkey) - 1 AS ord, o_orderkey % 11 = 0 AS bad,
     CASE WHEN o_orderkey % 11 = 0 THEN '{"cwd":"/old/p1' ELSE '{"a":{"cwd":"/old/p' || o_custkey % 7 || '/x y"},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || o_orderkey || ',"cwd":"/old/p' || o_custkey % 7 || '"}' END AS value FROM orders)"""
 
 
-@register("export_files", f"WITH {_LINES} SELECT project, count(DISTINCT project || file) AS files, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes FROM r WHERE p < 5 GROUP BY ROLLUP (project)")
+@register(
+    "export_files",
+    f"WITH {_LINES} SELECT project, count(DISTINCT project || file) AS files, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes FROM r WHERE p < 5 GROUP BY ROLLUP (project)"
+)
 def export_files(spark, sf_dir):
     """Five of seven projects, written; the manifest of what lies on disk."""
     records = _export_records(spark, sf_dir)
@@ -146,7 +192,10 @@ def export_files(spark, sf_dir):
 def _imported(spark, sf_dir, overwrite):
     folder = _folder(spark, "export")
     X.export(_export_records(spark, sf_dir), folder)
-    existing = spark.createDataFrame([("-new-q", "a/b+c%3.jsonl"), ("-old-p2", "a/b+c%2.jsonl"), ("-new-q", "else")], "project string, file string")
+    existing = spark.createDataFrame(
+        [("-new-q", "a/b+c%3.jsonl"), ("-old-p2", "a/b+c%2.jsonl"), ("-new-q", "else")],
+        "project string, file string"
+    )
     return X.imported(spark, folder, existing, "/old/p1", "/new/q", overwrite)
 
 
@@ -154,26 +203,52 @@ _TO = "CASE WHEN p = 1 THEN '-new-q' ELSE project END"
 _KNOWN = f"({_TO} || '|' || file) IN ('-new-q|a/b+c%3.jsonl', '-old-p2|a/b+c%2.jsonl')"
 
 
-@register("import_files", f"""WITH {_LINES} SELECT {_TO} AS project, file, ord, CASE WHEN p = 1 THEN '{{"a":{{"cwd":"/new/q/x y"}},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || k || ',"cwd":"/new/q"}}' ELSE value END AS value FROM r WHERE NOT bad AND NOT ({_KNOWN})""")
+@register(
+    "import_files",
+    f"""WITH {_LINES} SELECT {_TO} AS project, file, ord, CASE WHEN p = 1 THEN '{{"a":{{"cwd":"/new/q/x y"}},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || k || ',"cwd":"/new/q"}}' ELSE value END AS value FROM r WHERE NOT bad AND NOT ({_KNOWN})"""
+)
 def import_files(spark, sf_dir):
     """An export brought in under another prefix; files that are there are skipped."""
     return _imported(spark, sf_dir, False)[0]
 
 
-@register("import_outcome", f"WITH {_LINES} SELECT {_TO} AS project, file, CASE WHEN {_KNOWN} THEN 'overwritten' WHEN p = 1 THEN 'remapped' ELSE 'imported' END AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r GROUP BY ALL")
+@register(
+    "import_outcome",
+    f"WITH {_LINES} SELECT {_TO} AS project, file, CASE WHEN {_KNOWN} THEN 'overwritten' WHEN p = 1 THEN 'remapped' ELSE 'imported' END AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r GROUP BY ALL"
+)
 def import_outcome(spark, sf_dir):
     """What an import does with each file when it may overwrite, and how many lines it puts aside."""
     return _imported(spark, sf_dir, True)[2]
 
 
-@register("import_content", with_views("""SELECT s.id, CASE WHEN k THEN 'in ' || s.id ELSE title END AS title, CAST(CASE WHEN k THEN 1 ELSE n END AS BIGINT) AS messages FROM (SELECT *, CAST(id AS BIGINT) % 5 = 0 AND CAST(id AS BIGINT) % 3 > 0 AS k FROM v_transcripts) s JOIN (SELECT session_id, count(*) AS n FROM v_messages GROUP BY session_id) m ON m.session_id = s.id""", "v_transcripts", "v_messages"))
+@register(
+    "import_content",
+    with_views(
+        """SELECT s.id, CASE WHEN k THEN 'in ' || s.id ELSE title END AS title, CAST(CASE WHEN k THEN 1 ELSE n END AS BIGINT) AS messages FROM (SELECT *, CAST(id AS BIGINT) % 5 = 0 AND CAST(id AS BIGINT) % 3 > 0 AS k FROM v_transcripts) s JOIN (SELECT session_id, count(*) AS n FROM v_messages GROUP BY session_id) m ON m.session_id = s.id""",
+        "v_transcripts",
+        "v_messages"
+    )
+)
 def import_content(spark, sf_dir):
     """Payloads for a fifth of the transcripts; those with a row at fault change nothing."""
     n = F.col("id").cast("bigint")
     store = {"transcripts": V.transcripts(spark, sf_dir), "messages": V.messages(spark, sf_dir), "tool_calls": V.tool_calls(spark, sf_dir)}
     new = store["transcripts"].where(n % 5 == 0).withColumn("title", F.concat(F.lit("in "), "id"))
-    said = new.select(F.concat("id", F.lit(":new")).alias("id"), F.col("id").alias("session_id"), F.lit("user").alias("role"), F.lit("hello").alias("content"), F.lit(0).cast("bigint").alias("sequence_num"))
-    rows = new.select("id", "source", "source_id", F.when(n % 3 == 0, "robot").otherwise("user").alias("role"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("status"))
+    said = new.select(
+        F.concat("id", F.lit(":new")).alias("id"),
+        F.col("id").alias("session_id"),
+        F.lit("user").alias("role"),
+        F.lit("hello").alias("content"),
+        F.lit(0).cast("bigint").alias("sequence_num")
+    )
+    rows = new.select(
+        "id",
+        "source",
+        "source_id",
+        F.when(n % 3 == 0, "robot").otherwise("user").alias("role"),
+        F.lit(None).cast("string").alias("tool_name"),
+        F.lit(None).cast("string").alias("status")
+    )
     errors = N.validated(rows, V.SOURCES, ["success", "error", "timeout"]).select("id", "error")
     out, _ = X.content_imported(store, {"transcripts": new, "messages": said, "tool_calls": store["tool_calls"].limit(0)}, errors)
     count = out["messages"].groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("messages"))
@@ -182,8 +257,18 @@ def import_content(spark, sf_dir):
 
 def _parts(spark, sf_dir):
     """Orders as transcripts, their lines as messages and tool calls."""
-    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(-1).cast("bigint").alias("message_count"), F.lit(-1).cast("bigint").alias("tool_call_count"), F.lit(-1).cast("bigint").alias("total_input_tokens"), F.lit(-1).cast("bigint").alias("total_output_tokens"))
-    lines = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("bigint").alias("input_tokens"), (F.col("l_suppkey") % 5).alias("output_tokens"))
+    o = V.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.lit(-1).cast("bigint").alias("message_count"),
+        F.lit(-1).cast("bigint").alias("tool_call_count"),
+        F.lit(-1).cast("bigint").alias("total_input_tokens"),
+        F.lit(-1).cast("bigint").alias("total_output_tokens")
+    )
+    lines = V.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"),
+        F.col("l_linenumber").cast("bigint").alias("input_tokens"),
+        (F.col("l_suppkey") % 5).alias("output_tokens")
+    )
     return o, lines.where("output_tokens <> 1"), lines.where("output_tokens = 1")
 
 
@@ -192,7 +277,10 @@ def _parts(spark, sf_dir):
 def recount_touched(spark, sf_dir):
     """Counts and totals of a third of the transcripts, some with a total of their own."""
     transcripts, messages, calls = _parts(spark, sf_dir)
-    touched = transcripts.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, F.lit(1000).cast("bigint")).alias("total_input_tokens"))
+    touched = transcripts.where("id % 3 = 0").select(
+        "id",
+        F.when(F.col("id") % 6 == 0, F.lit(1000).cast("bigint")).alias("total_input_tokens")
+    )
     return O.recounted(transcripts, messages, calls, touched)
 
 
@@ -202,39 +290,74 @@ def _two_stores(spark, sf_dir):
     box = lambda n: F.concat(F.lit("m"), (k % n).cast("string")).alias("machine")
     first = c.where("c_custkey % 3 < 2").select(k.alias("id"), F.lit("a").alias("source"), k.cast("string").alias("source_id"), box(4))
     # a third of the source is known by id, a third by natural key, the rest is new
-    second = c.select(F.when(k % 3 == 1, k + 1_000_000).otherwise(k).alias("id"), F.lit("a").alias("source"), k.cast("string").alias("source_id"), box(5))
+    second = c.select(
+        F.when(k % 3 == 1, k + 1_000_000).otherwise(k).alias("id"),
+        F.lit("a").alias("source"),
+        k.cast("string").alias("source_id"),
+        box(5)
+    )
     said = lambda shift, keep: o.where(keep).select((F.col("o_orderkey") * 10 + shift).alias("id"), (F.col("o_custkey") + F.when((F.col("o_custkey") % 3 == 1) & F.lit(shift > 0), 1_000_000).otherwise(0)).alias("session_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("source_id"))
     machines = spark.createDataFrame([("m0", 99), ("m9", 7)], "name string, session_count long")
-    return {"transcripts": first, "messages": said(0, "o_orderkey % 5 < 3 and o_custkey % 3 < 2"), "machines": machines}, {"transcripts": second, "messages": said(1, "o_orderkey % 5 > 0")}
+    return {
+        "transcripts": first, "messages": said(0, "o_orderkey % 5 < 3 and o_custkey % 3 < 2"), "machines": machines
+    }, {"transcripts": second, "messages": said(1, "o_orderkey % 5 > 0")}
 
 
 _TWO = """t AS (SELECT c_custkey AS k, 'm' || c_custkey % 4 AS machine FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, 'm' || c_custkey % 5 FROM customer WHERE c_custkey % 3 = 2),
     added AS (SELECT * FROM orders WHERE o_orderkey % 5 > 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 < 3 AND o_custkey % 3 < 2) AND o_custkey IN (SELECT c_custkey FROM customer))"""
 
 
-@register("merge_report", f"WITH {_TWO} SELECT 'transcripts' AS tab, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 2) AS added UNION ALL SELECT 'messages', (SELECT count(*) FROM added)")
+@register(
+    "merge_report",
+    f"WITH {_TWO} SELECT 'transcripts' AS tab, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 2) AS added UNION ALL SELECT 'messages', (SELECT count(*) FROM added)"
+)
 def merge_report(spark, sf_dir):
     """How many rows one store brings into another that knows two thirds of its transcripts."""
     return O.merge_report(O.stores_merged(*_two_stores(spark, sf_dir))[1])
 
 
-@register("merge_machines", f"WITH {_TWO} SELECT coalesce(t.machine, r.name) AS name, coalesce(t.n, r.n) AS session_count FROM (SELECT machine, count(*) AS n FROM t GROUP BY machine) t FULL JOIN (VALUES ('m0', 99), ('m9', 7)) r(name, n) ON r.name = t.machine")
+@register(
+    "merge_machines",
+    f"WITH {_TWO} SELECT coalesce(t.machine, r.name) AS name, coalesce(t.n, r.n) AS session_count FROM (SELECT machine, count(*) AS n FROM t GROUP BY machine) t FULL JOIN (VALUES ('m0', 99), ('m9', 7)) r(name, n) ON r.name = t.machine"
+)
 def merge_machines(spark, sf_dir):
     """The machines of the merged store, recounted."""
     return O.stores_merged(*_two_stores(spark, sf_dir))[0]["machines"]
 
 
-@register("record_digest", """SELECT conv_id, turn, sha256('{"a":[{"x":1,"y":{"p":' || CAST(to_json(text) AS VARCHAR) || ',"q":[]}},' || turn || '],"b":{"c":null,"d":true},"role":"' || role || '"}') AS digest FROM conversations""")
+@register(
+    "record_digest",
+    """SELECT conv_id, turn, sha256('{"a":[{"x":1,"y":{"p":' || CAST(to_json(text) AS VARCHAR) || ',"q":[]}},' || turn || '],"b":{"c":null,"d":true},"role":"' || role || '"}') AS digest FROM conversations"""
+)
 def record_digest(spark, sf_dir):
     """Digests of nested records whose keys stand in either order."""
     c = V.table(spark, sf_dir, "conversations")
     said = F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9)
-    one = F.concat(F.lit('{ "role":"'), "role", F.lit('", "b": {"d":true,"c":null},"a":[{"y":{"q":[],"p":'), said, F.lit('},"x":1}, '), F.col("turn").cast("string"), F.lit("]}"))
-    two = F.concat(F.lit('{"a":[{"x":1,"y":{"p":'), said, F.lit(',"q":[]}},'), F.col("turn").cast("string"), F.lit('],"b":{"c":null,"d":true},"role":"'), "role", F.lit('"}'))
+    one = F.concat(
+        F.lit('{ "role":"'),
+        "role",
+        F.lit('", "b": {"d":true,"c":null},"a":[{"y":{"q":[],"p":'),
+        said,
+        F.lit('},"x":1}, '),
+        F.col("turn").cast("string"),
+        F.lit("]}")
+    )
+    two = F.concat(
+        F.lit('{"a":[{"x":1,"y":{"p":'),
+        said,
+        F.lit(',"q":[]}},'),
+        F.col("turn").cast("string"),
+        F.lit('],"b":{"c":null,"d":true},"role":"'),
+        "role",
+        F.lit('"}')
+    )
     return c.select("conv_id", "turn", N.record_digest(F.when(F.col("turn") % 2 == 0, one).otherwise(two)).alias("digest"))
 
 
-@register("import_matching", f"WITH {_LINES} SELECT project, file, 'imported' AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r WHERE p IN (3) GROUP BY ALL")
+@register(
+    "import_matching",
+    f"WITH {_LINES} SELECT project, file, 'imported' AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r WHERE p IN (3) GROUP BY ALL"
+)
 def import_matching(spark, sf_dir):
     """An import of the projects whose name holds a text."""
     folder = _folder(spark, "export")
@@ -242,7 +365,10 @@ def import_matching(spark, sf_dir):
     return X.imported(spark, folder, spark.createDataFrame([], "project string, file string"), holding="OLD-p3")[2]
 
 
-@register("compact_metadata", """SELECT event_id, '{' || concat_ws(',', '"kind":"' || event_type || '"', CASE WHEN event_id % 3 = 0 THEN '"note":"n"' END, CASE WHEN event_id % 4 > 1 THEN '"depth":' || event_id END, CASE WHEN event_id % 5 = 0 THEN '"share":0.5' END) || '}' AS metadata FROM events""")
+@register(
+    "compact_metadata",
+    """SELECT event_id, '{' || concat_ws(',', '"kind":"' || event_type || '"', CASE WHEN event_id % 3 = 0 THEN '"note":"n"' END, CASE WHEN event_id % 4 > 1 THEN '"depth":' || event_id END, CASE WHEN event_id % 5 = 0 THEN '"share":0.5' END) || '}' AS metadata FROM events"""
+)
 def compact_metadata(spark, sf_dir):
     """Metadata without empty texts and numbers that are null, infinite or none at all."""
     k = F.col("event_id")

@@ -12,7 +12,13 @@ from .views import with_views
 _CALLS = ("v_tool_calls",)
 
 
-@register("stats_by_source", with_views("SELECT source, count(*) AS transcripts, CAST(sum(message_count) AS BIGINT) AS messages, CAST(sum(tool_call_count) AS BIGINT) AS tool_calls FROM v_transcripts GROUP BY source", "v_transcripts"))
+@register(
+    "stats_by_source",
+    with_views(
+        "SELECT source, count(*) AS transcripts, CAST(sum(message_count) AS BIGINT) AS messages, CAST(sum(tool_call_count) AS BIGINT) AS tool_calls FROM v_transcripts GROUP BY source",
+        "v_transcripts"
+    )
+)
 def stats_by_source(spark, sf_dir):
     return S.by_source(V.transcripts(spark, sf_dir))
 
@@ -28,27 +34,57 @@ def store_totals(spark, sf_dir):
     return S.store_totals(V.transcripts(spark, sf_dir), V.messages(spark, sf_dir), V.tool_calls(spark, sf_dir))
 
 
-@register("project_stats", with_views("SELECT project_path, max(project_name) AS project_name, count(*) AS transcripts, max(started_at) AS last_started FROM v_transcripts WHERE project_path IS NOT NULL GROUP BY project_path", "v_transcripts"))
+@register(
+    "project_stats",
+    with_views(
+        "SELECT project_path, max(project_name) AS project_name, count(*) AS transcripts, max(started_at) AS last_started FROM v_transcripts WHERE project_path IS NOT NULL GROUP BY project_path",
+        "v_transcripts"
+    )
+)
 def project_stats(spark, sf_dir):
     return S.project_stats(V.transcripts(spark, sf_dir))
 
 
-@register("top_projects", with_views("SELECT project_name, project_path, count(*) AS transcripts FROM v_transcripts GROUP BY ALL ORDER BY transcripts DESC, project_path NULLS LAST LIMIT 30", "v_transcripts"))
+@register(
+    "top_projects",
+    with_views(
+        "SELECT project_name, project_path, count(*) AS transcripts FROM v_transcripts GROUP BY ALL ORDER BY transcripts DESC, project_path NULLS LAST LIMIT 30",
+        "v_transcripts"
+    )
+)
 def top_projects(spark, sf_dir):
     return S.top_projects(V.transcripts(spark, sf_dir))
 
 
-@register("project_paths", with_views("SELECT coalesce(project_path, '(none)') AS path, coalesce(project_name, project_path, '(none)') AS label, count(*) AS transcripts FROM v_transcripts GROUP BY ALL", "v_transcripts"))
+@register(
+    "project_paths",
+    with_views(
+        "SELECT coalesce(project_path, '(none)') AS path, coalesce(project_name, project_path, '(none)') AS label, count(*) AS transcripts FROM v_transcripts GROUP BY ALL",
+        "v_transcripts"
+    )
+)
 def project_paths(spark, sf_dir):
     return S.project_paths(V.transcripts(spark, sf_dir))
 
 
-@register("unknown_sources", with_views("SELECT source, count(*) AS transcripts FROM v_transcripts WHERE source NOT IN ('project', 'rollout') GROUP BY source", "v_transcripts"))
+@register(
+    "unknown_sources",
+    with_views(
+        "SELECT source, count(*) AS transcripts FROM v_transcripts WHERE source NOT IN ('project', 'rollout') GROUP BY source",
+        "v_transcripts"
+    )
+)
 def unknown_sources(spark, sf_dir):
     return S.unknown_sources(V.transcripts(spark, sf_dir), ["project", "rollout"])
 
 
-@register("machine_counts", with_views("SELECT machine, count(*) AS transcripts FROM v_transcripts WHERE machine IS NOT NULL AND machine <> '' GROUP BY machine", "v_transcripts"))
+@register(
+    "machine_counts",
+    with_views(
+        "SELECT machine, count(*) AS transcripts FROM v_transcripts WHERE machine IS NOT NULL AND machine <> '' GROUP BY machine",
+        "v_transcripts"
+    )
+)
 def machine_counts(spark, sf_dir):
     return S.machine_counts(V.transcripts(spark, sf_dir))
 
@@ -56,7 +92,12 @@ def machine_counts(spark, sf_dir):
 def _machines(spark, sf_dir):
     nation, region = V.table(spark, sf_dir, "nation"), V.table(spark, sf_dir, "region")
     known = nation.where("n_nationkey % 5 <> 4").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return known.select(F.col("n_name").alias("name"), F.col("r_name").alias("region"), F.lit("2024-01-01 00:10:00").alias("first_seen_at"), F.lit("2024-01-01 03:00:00").alias("last_seen_at"))
+    return known.select(
+        F.col("n_name").alias("name"),
+        F.col("r_name").alias("region"),
+        F.lit("2024-01-01 00:10:00").alias("first_seen_at"),
+        F.lit("2024-01-01 03:00:00").alias("last_seen_at")
+    )
 
 
 _MACHINES = "machines AS (SELECT n_name AS name, r_name AS region, '2024-01-01 00:10:00' AS first_seen_at, '2024-01-01 03:00:00' AS last_seen_at FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 4)"
@@ -79,7 +120,10 @@ _EDGES = """edges AS (SELECT DISTINCT session_id, type, name FROM (
     UNION ALL SELECT session_id, 'tool', tool_name FROM v_tool_calls) WHERE name IS NOT NULL AND name <> '')"""
 
 
-@register("graph_entities", with_views("SELECT type, name, count(*) AS transcripts FROM edges GROUP BY type, name", "v_transcripts", "v_tool_calls", ctes=_EDGES))
+@register(
+    "graph_entities",
+    with_views("SELECT type, name, count(*) AS transcripts FROM edges GROUP BY type, name", "v_transcripts", "v_tool_calls", ctes=_EDGES)
+)
 def graph_entities(spark, sf_dir):
     return S.entities(V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir))
 
@@ -105,34 +149,72 @@ def graph_neighborhood(spark, sf_dir):
     return S.neighborhood(V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir))
 
 
-@register("list_transcripts", with_views("SELECT id, source, title, started_at FROM v_transcripts ORDER BY started_at DESC, id LIMIT 20 OFFSET 10", "v_transcripts"))
+@register(
+    "list_transcripts",
+    with_views("SELECT id, source, title, started_at FROM v_transcripts ORDER BY started_at DESC, id LIMIT 20 OFFSET 10", "v_transcripts")
+)
 def list_transcripts(spark, sf_dir):
     return S.list_transcripts(V.transcripts(spark, sf_dir), limit=20, offset=10).select("id", "source", "title", "started_at")
 
 
-@register("recent", with_views("SELECT id, source, started_at FROM v_transcripts WHERE source = 'rollout' ORDER BY started_at DESC, id LIMIT 10", "v_transcripts"))
+@register(
+    "recent",
+    with_views(
+        "SELECT id, source, started_at FROM v_transcripts WHERE source = 'rollout' ORDER BY started_at DESC, id LIMIT 10",
+        "v_transcripts"
+    )
+)
 def recent(spark, sf_dir):
     return S.list_transcripts(V.transcripts(spark, sf_dir), F.col("source") == "rollout", limit=10).select("id", "source", "started_at")
 
 
-@register("history_agent", with_views("SELECT id, source, title FROM (SELECT * FROM v_transcripts ORDER BY started_at DESC, id LIMIT 200) WHERE started_at LIKE '2024-01-01%' AND contains(lower(concat_ws(' ', source, title, model)), 'en')", "v_transcripts"))
+@register(
+    "history_agent",
+    with_views(
+        "SELECT id, source, title FROM (SELECT * FROM v_transcripts ORDER BY started_at DESC, id LIMIT 200) WHERE started_at LIKE '2024-01-01%' AND contains(lower(concat_ws(' ', source, title, model)), 'en')",
+        "v_transcripts"
+    )
+)
 def history_agent(spark, sf_dir):
     return S.history(V.transcripts(spark, sf_dir), "EN", "2024-01-01").select("id", "source", "title")
 
 
-@register("project_filter", with_views("SELECT id, project_path FROM v_transcripts WHERE project_path = 'SRC1' OR project_name = 'SRC1' OR contains(lower(project_path), 'src1') OR contains(lower(project_name), 'src1')", "v_transcripts"))
+@register(
+    "project_filter",
+    with_views(
+        "SELECT id, project_path FROM v_transcripts WHERE project_path = 'SRC1' OR project_name = 'SRC1' OR contains(lower(project_path), 'src1') OR contains(lower(project_name), 'src1')",
+        "v_transcripts"
+    )
+)
 def project_filter(spark, sf_dir):
     return V.transcripts(spark, sf_dir).where(S.in_project("SRC1")).select("id", "project_path")
 
 
-@register("latest_per_project", with_views("SELECT project_path, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY started_at DESC, id) AS n FROM v_transcripts WHERE project_path IS NOT NULL) WHERE n = 1", "v_transcripts"))
+@register(
+    "latest_per_project",
+    with_views(
+        "SELECT project_path, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY started_at DESC, id) AS n FROM v_transcripts WHERE project_path IS NOT NULL) WHERE n = 1",
+        "v_transcripts"
+    )
+)
 def latest_per_project(spark, sf_dir):
     return S.latest_per_project(V.transcripts(spark, sf_dir)).select("project_path", "id", "started_at")
 
 
-@register("session_detail", with_views("SELECT m.session_id, m.id, m.role, m.n, s.title, s.source FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num, id) AS n FROM v_messages) m JOIN v_transcripts s ON s.id = m.session_id WHERE m.n <= 4", "v_messages", "v_transcripts"))
+@register(
+    "session_detail",
+    with_views(
+        "SELECT m.session_id, m.id, m.role, m.n, s.title, s.source FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num, id) AS n FROM v_messages) m JOIN v_transcripts s ON s.id = m.session_id WHERE m.n <= 4",
+        "v_messages",
+        "v_transcripts"
+    )
+)
 def session_detail(spark, sf_dir):
-    return S.session_detail(V.transcripts(spark, sf_dir), V.messages(spark, sf_dir), 4).select("session_id", "id", "role", "n", "title", "source")
+    return S.session_detail(
+        V.transcripts(spark, sf_dir),
+        V.messages(spark, sf_dir),
+        4
+    ).select("session_id", "id", "role", "n", "title", "source")
 
 
 _WANTED = """wanted AS (SELECT DISTINCT identifier, trim(identifier) AS want FROM (SELECT id AS identifier FROM v_transcripts WHERE CAST(id AS BIGINT) % 7 = 0
@@ -148,7 +230,12 @@ _WANTED = """wanted AS (SELECT DISTINCT identifier, trim(identifier) AS want FRO
 def wanted_identifiers(spark, sf_dir):
     s = V.transcripts(spark, sf_dir)
     n = F.col("id").cast("bigint")
-    asked = [s.where(n % 7 == 0).select(F.col("id").alias("identifier")), s.where(n % 5 == 0).select(F.concat_ws(":", "source", "source_id")), s.where(n % 3 == 0).select(F.concat_ws(":", "source", F.left("source_id", F.lit(2)))), s.where(n % 11 == 0).select("source_id")]
+    asked = [
+        s.where(n % 7 == 0).select(F.col("id").alias("identifier")),
+        s.where(n % 5 == 0).select(F.concat_ws(":", "source", "source_id")),
+        s.where(n % 3 == 0).select(F.concat_ws(":", "source", F.left("source_id", F.lit(2)))),
+        s.where(n % 11 == 0).select("source_id")
+    ]
     wanted = asked[0]
     for more in [*asked[1:], spark.sql("SELECT explode(array('s1', 'nothing', ' '))")]:
         wanted = wanted.union(more)

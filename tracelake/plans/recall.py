@@ -30,7 +30,14 @@ _VARIANTS = """items AS (SELECT query_id, trim(regexp_replace(query, '\\s+', ' '
   variants AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY n) AS f FROM many) WHERE f = 1)"""
 
 
-@register("query_variants", with_views("SELECT query_id, text, label, CAST(weight AS DOUBLE) AS weight FROM variants", "v_queries", ctes=f"{_terms_cte('v_queries')}, {_VARIANTS}"))
+@register(
+    "query_variants",
+    with_views(
+        "SELECT query_id, text, label, CAST(weight AS DOUBLE) AS weight FROM variants",
+        "v_queries",
+        ctes=f"{_terms_cte('v_queries')}, {_VARIANTS}"
+    )
+)
 def query_variants(spark, sf_dir):
     return R.query_variants(V.queries(spark, sf_dir)).select("query_id", "text", "label", "weight")
 
@@ -40,7 +47,14 @@ _META = """meta AS (SELECT query_id, session_id, snippet, pos FROM (SELECT q.que
   ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')), n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')), n) OR contains(lower(coalesce(model, '')), n) OR contains(lower(coalesce(model_provider, '')), n) OR contains(lower(coalesce(git_branch, '')), n) OR contains(lower(coalesce(git_sha, '')), n) OR contains(lower(coalesce(git_origin_url, '')), n))) > 0) WHERE pos <= 20)"""
 
 
-@register("metadata_hits", with_views("SELECT query_id, session_id, snippet, pos FROM meta", "v_transcripts", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_META}"))
+@register(
+    "metadata_hits",
+    with_views(
+        "SELECT query_id, session_id, snippet, pos FROM meta",
+        "v_transcripts",
+        ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_META}"
+    )
+)
 def metadata_hits(spark, sf_dir):
     return R.metadata_hits(V.transcripts(spark, sf_dir), _session_queries(spark, sf_dir))
 
@@ -70,9 +84,21 @@ _SEMANTIC_SIGNALS = _SIGNALS.replace("UNION ALL SELECT query_id, session_id, 'gr
 
 def _semantic(spark, sf_dir):
     e, messages, asked = V.table(spark, sf_dir, "embeddings"), V.messages(spark, sf_dir), _session_queries(spark, sf_dir)
-    vectors = e.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding").join(messages.select("id", "session_id", "content"), "id")
-    vectors = vectors.select(F.col("id").alias("message_id"), "session_id", F.lit(0).alias("chunk_index"), F.left("content", F.lit(2000)).alias("chunk_text"), X.packed("embedding").alias("embedding"))
-    questions = asked.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    vectors = e.select(
+        F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"),
+        "embedding"
+    ).join(messages.select("id", "session_id", "content"), "id")
+    vectors = vectors.select(
+        F.col("id").alias("message_id"),
+        "session_id",
+        F.lit(0).alias("chunk_index"),
+        F.left("content", F.lit(2000)).alias("chunk_text"),
+        X.packed("embedding").alias("embedding")
+    )
+    questions = asked.select("query_id").join(
+        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")),
+        "query_id"
+    )
     return R.semantic_hits(vectors, questions, limit=40)
 
 
@@ -89,26 +115,55 @@ def recall_semantic(spark, sf_dir):
     """Recall fed with all of its signals, the semantic one among them."""
     # cosines have six decimals; beyond them no score lies halfway between two of four
     near = _semantic(spark, sf_dir).withColumn("cosine", F.col("cosine") + 1e-7)
-    signals = R.recall_signals(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir), semantic=near)
+    signals = R.recall_signals(
+        V.messages(spark, sf_dir),
+        V.transcripts(spark, sf_dir),
+        V.tool_calls(spark, sf_dir),
+        _session_queries(spark, sf_dir),
+        semantic=near
+    )
     return R.recall(signals, V.transcripts(spark, sf_dir))
 
 
 @register("recall_results")
 def recall_results(spark, sf_dir):
     """The assembled answer: rank, reason, evidence, matching calls, paths, resume command, semantic status."""
-    return R.recall_results(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir), semantic=_semantic(spark, sf_dir), status="used", resumable={"project": "agent", "logs": "agent"})
+    return R.recall_results(
+        V.messages(spark, sf_dir),
+        V.transcripts(spark, sf_dir),
+        V.tool_calls(spark, sf_dir),
+        _session_queries(spark, sf_dir),
+        semantic=_semantic(spark, sf_dir),
+        status="used",
+        resumable={"project": "agent", "logs": "agent"}
+    )
 
 
 def _signals(spark, sf_dir):
-    return R.recall_signals(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
+    return R.recall_signals(
+        V.messages(spark, sf_dir),
+        V.transcripts(spark, sf_dir),
+        V.tool_calls(spark, sf_dir),
+        _session_queries(spark, sf_dir)
+    )
 
 
 _ALL = ("v_transcripts", "v_messages", "v_tool_calls")
 
 
-@register("recall_signals", with_views("SELECT query_id, kind, count(*) AS transcripts, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals GROUP BY query_id, kind", *_ALL, ctes=_SIGNALS))
+@register(
+    "recall_signals",
+    with_views(
+        "SELECT query_id, kind, count(*) AS transcripts, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals GROUP BY query_id, kind",
+        *_ALL,
+        ctes=_SIGNALS
+    )
+)
 def recall_signals(spark, sf_dir):
-    return _signals(spark, sf_dir).groupBy("query_id", "kind").agg(F.count("*").alias("transcripts"), F.round(F.sum("score"), 6).alias("score"))
+    return _signals(spark, sf_dir).groupBy("query_id", "kind").agg(
+        F.count("*").alias("transcripts"),
+        F.round(F.sum("score"), 6).alias("score")
+    )
 
 
 @register("recall", with_views("""SELECT query_id, session_id, score, rank, signals FROM (SELECT t.query_id, t.session_id, t.score, t.signals, row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST, t.session_id) AS rank FROM
@@ -118,7 +173,11 @@ def recall(spark, sf_dir):
 
 
 def _tool_wanted(spark, sf_dir):
-    return V.transcripts(spark, sf_dir).select((F.col("id").cast("bigint") % 5).alias("query_id"), F.col("id").alias("session_id"), F.concat(F.lit("click "), (F.col("id").cast("bigint") % 100).cast("string")).alias("query"))
+    return V.transcripts(spark, sf_dir).select(
+        (F.col("id").cast("bigint") % 5).alias("query_id"),
+        F.col("id").alias("session_id"),
+        F.concat(F.lit("click "), (F.col("id").cast("bigint") % 100).cast("string")).alias("query")
+    )
 
 
 @register("matching_tools", with_views("""SELECT query_id, session_id, id, pos, input_preview FROM (SELECT query_id, w.session_id, c.id, tool_input AS input_preview, row_number() OVER (PARTITION BY query_id, w.session_id ORDER BY timestamp, length(c.id), c.id) AS pos FROM v_tool_calls c JOIN
@@ -130,9 +189,30 @@ def matching_tools(spark, sf_dir):
 @register("recall_evidence", with_views("""SELECT session_id, kind, snippet, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'tool_call' THEN 1 ELSE 3 END, score DESC, snippet) AS pos FROM
     (SELECT session_id, kind, snippet, max(score) AS score FROM (SELECT session_id, 'message' AS kind, left(content, 40) AS snippet, CAST(sequence_num AS DOUBLE) AS score FROM v_messages UNION ALL SELECT session_id, 'tool_call', tool_name, duration FROM v_tool_calls UNION ALL SELECT id, 'session', title, 1.0 FROM v_transcripts) WHERE trim(snippet) <> '' GROUP BY ALL)) WHERE pos <= 8""", *_ALL))
 def recall_evidence(spark, sf_dir):
-    kinds = [V.messages(spark, sf_dir).select("session_id", F.lit("message").alias("kind"), F.left("content", F.lit(40)).alias("snippet"), F.col("sequence_num").cast("double").alias("score"))]
-    kinds.append(V.tool_calls(spark, sf_dir).select("session_id", F.lit("tool_call").alias("kind"), F.col("tool_name").alias("snippet"), F.col("duration").alias("score")))
-    kinds.append(V.transcripts(spark, sf_dir).select(F.col("id").alias("session_id"), F.lit("session").alias("kind"), F.col("title").alias("snippet"), F.lit(1.0).alias("score")))
+    kinds = [
+        V.messages(spark, sf_dir).select(
+            "session_id",
+            F.lit("message").alias("kind"),
+            F.left("content", F.lit(40)).alias("snippet"),
+            F.col("sequence_num").cast("double").alias("score")
+        )
+    ]
+    kinds.append(
+        V.tool_calls(spark, sf_dir).select(
+            "session_id",
+            F.lit("tool_call").alias("kind"),
+            F.col("tool_name").alias("snippet"),
+            F.col("duration").alias("score")
+        )
+    )
+    kinds.append(
+        V.transcripts(spark, sf_dir).select(
+            F.col("id").alias("session_id"),
+            F.lit("session").alias("kind"),
+            F.col("title").alias("snippet"),
+            F.lit(1.0).alias("score")
+        )
+    )
     items = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("query_id", F.lit(1)).withColumn("signal", F.lit("all"))
     return R.evidence(items).select("session_id", "kind", "snippet", "score", "pos")
 
@@ -155,11 +235,23 @@ def recall_tools(spark, sf_dir):
     return R.session_tools(V.tool_calls(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
 
 
-@register("resume_metadata", with_views("""SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_transcripts)""", "v_transcripts"))
+@register(
+    "resume_metadata",
+    with_views(
+        """SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_transcripts)""",
+        "v_transcripts"
+    )
+)
 def resume_metadata(spark, sf_dir):
     s = V.transcripts(spark, sf_dir)
-    stored = F.when(F.col("id").cast("bigint") % 6 == 0, F.to_json(F.struct(F.concat(F.lit("run "), "id").alias("resume_command")))).otherwise("{}")
-    s = s.withColumn("metadata", stored).withColumn("source_id", F.when(F.col("source") == "logs", F.concat("source_id", F.lit(" x"))).otherwise(F.col("source_id")))
+    stored = F.when(
+        F.col("id").cast("bigint") % 6 == 0,
+        F.to_json(F.struct(F.concat(F.lit("run "), "id").alias("resume_command")))
+    ).otherwise("{}")
+    s = s.withColumn("metadata", stored).withColumn(
+        "source_id",
+        F.when(F.col("source") == "logs", F.concat("source_id", F.lit(" x"))).otherwise(F.col("source_id"))
+    )
     return R.resume(s, {"project": "agent", "logs": "agent"})
 
 
@@ -167,7 +259,10 @@ def resume_metadata(spark, sf_dir):
     CASE WHEN tool_call_count > 0 THEN tool_call_count || ' matching tool call' || CASE WHEN tool_call_count = 1 THEN '' ELSE 's' END END, CASE WHEN title <> '' THEN 'top evidence: ' || substr(title, 1, 140) END) AS line FROM v_transcripts)""", "v_transcripts"))
 def recall_reason(spark, sf_dir):
     kinds = F.when(F.col("tool_call_count") > 0, "message,tool_call").otherwise("")
-    return V.transcripts(spark, sf_dir).select("id", R.reason(kinds, F.col("tool_call_count"), F.lit(0), F.coalesce("title", F.lit(""))).alias("reason"))
+    return V.transcripts(spark, sf_dir).select(
+        "id",
+        R.reason(kinds, F.col("tool_call_count"), F.lit(0), F.coalesce("title", F.lit(""))).alias("reason")
+    )
 
 
 @register("context_snippets", """SELECT conv_id, turn, CASE WHEN p > 0 THEN trim(regexp_replace(CASE WHEN greatest(p - 70, 1) > 1 THEN '…' ELSE '' END || substr(text, greatest(p - 70, 1), least(p + 4 + 119, length(text)) - greatest(p - 70, 1) + 1) || CASE WHEN least(p + 4 + 119, length(text)) < length(text) THEN '…' ELSE '' END, '\\s+', ' ', 'g')) END AS snippet
@@ -179,13 +274,19 @@ def context_snippets(spark, sf_dir):
 _TRAIL = "'[),.;\\]}>\"''`]+$', ''"
 
 
-@register("extract_repos", f"SELECT DISTINCT page_id, regexp_replace(r, {_TRAIL}) AS repo FROM (SELECT page_id, unnest(regexp_extract_all(html || ' https://github.com/x/' || page_id || '.git), git@gitlab.com:a/b', '(?:https?://|git@)[^\\s\"''<>]+')) AS r FROM pages) WHERE regexp_matches(r, 'github\\.com|gitlab\\.com|bitbucket\\.org|\\.git\\b')")
+@register(
+    "extract_repos",
+    f"SELECT DISTINCT page_id, regexp_replace(r, {_TRAIL}) AS repo FROM (SELECT page_id, unnest(regexp_extract_all(html || ' https://github.com/x/' || page_id || '.git), git@gitlab.com:a/b', '(?:https?://|git@)[^\\s\"''<>]+')) AS r FROM pages) WHERE regexp_matches(r, 'github\\.com|gitlab\\.com|bitbucket\\.org|\\.git\\b')"
+)
 def extract_repos(spark, sf_dir):
     text = F.concat("html", F.lit(" https://github.com/x/"), F.col("page_id").cast("string"), F.lit(".git), git@gitlab.com:a/b"))
     return V.table(spark, sf_dir, "pages").select("page_id", F.explode(T.repositories(text)).alias("repo"))
 
 
-@register("extract_commits", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html || ' fix deadbeef' || (page_id % 10), '(?i)\\b([0-9a-f]{7,40})\\b', 1)) AS sha FROM pages")
+@register(
+    "extract_commits",
+    "SELECT DISTINCT page_id, unnest(regexp_extract_all(html || ' fix deadbeef' || (page_id % 10), '(?i)\\b([0-9a-f]{7,40})\\b', 1)) AS sha FROM pages"
+)
 def extract_commits(spark, sf_dir):
     text = F.concat("html", F.lit(" fix deadbeef"), (F.col("page_id") % 10).cast("string"))
     return V.table(spark, sf_dir, "pages").select("page_id", F.explode(T.commits(text)).alias("sha"))
@@ -206,18 +307,33 @@ def extract_paths(spark, sf_dir):
 
 @register("extract_commands", """SELECT event_id, trim(event_type || ' ' || value) AS command FROM events""")
 def extract_commands(spark, sf_dir):
-    said = F.concat_ws("\n", F.lit(""), "props", F.concat(F.lit("  "), "event_type", F.lit(" "), F.col("value").cast("string")), F.lit("more"))
+    said = F.concat_ws(
+        "\n",
+        F.lit(""),
+        "props",
+        F.concat(F.lit("  "), "event_type", F.lit(" "), F.col("value").cast("string")),
+        F.lit("more")
+    )
     return V.table(spark, sf_dir, "events").select("event_id", T.command_line(said).alias("command"))
 
 
 @register("extract_commands_all", """SELECT event_id, trim(event_type || ' ' || value) AS command FROM events""")
 def extract_commands_all(spark, sf_dir):
     """As ``extract_commands``, of every event."""
-    said = F.concat_ws("\n", F.lit(""), "props", F.concat(F.lit("  "), "event_type", F.lit(" "), F.col("value").cast("string")), F.lit("more"))
+    said = F.concat_ws(
+        "\n",
+        F.lit(""),
+        "props",
+        F.concat(F.lit("  "), "event_type", F.lit(" "), F.col("value").cast("string")),
+        F.lit("more")
+    )
     return V.table(spark, sf_dir, "events").select("event_id", T.command_line(said).alias("command"))
 
 
-@register("json_key_values", """SELECT event_id, '/k' AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, '/a', 'a', '{"b":"' || event_type || '"}' FROM events UNION ALL SELECT event_id, '/a/b', 'b', event_type FROM events""")
+@register(
+    "json_key_values",
+    """SELECT event_id, '/k' AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, '/a', 'a', '{"b":"' || event_type || '"}' FROM events UNION ALL SELECT event_id, '/a/b', 'b', event_type FROM events"""
+)
 def json_key_values(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     nested = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(',"a":{"b":"'), "event_type", F.lit('"}}'))
@@ -229,7 +345,15 @@ _PLANTED = "text || ' key sk-abcdefghijklmnop' || doc_id || ' url https://u:pw@h
 
 def _planted(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    text = F.concat("text", F.lit(" key sk-abcdefghijklmnop"), n, F.lit(" url https://u:pw@host/x password = hunter"), n, F.lit("2; Bearer abcdefghijkl"), n)
+    text = F.concat(
+        "text",
+        F.lit(" key sk-abcdefghijklmnop"),
+        n,
+        F.lit(" url https://u:pw@host/x password = hunter"),
+        n,
+        F.lit("2; Bearer abcdefghijkl"),
+        n
+    )
     return V.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
@@ -244,7 +368,10 @@ def _sql_redacted(column: str) -> str:
     return out
 
 
-@register("redact_text", f"SELECT doc_id, sha256({_sql_redacted('t')}) AS digest, right({_sql_redacted('t')}, 120) AS tail FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)")
+@register(
+    "redact_text",
+    f"SELECT doc_id, sha256({_sql_redacted('t')}) AS digest, right({_sql_redacted('t')}, 120) AS tail FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)"
+)
 def redact_text(spark, sf_dir):
     told = _planted(spark, sf_dir).select("doc_id", T.redacted("text").alias("r"))
     return told.select("doc_id", F.sha2("r", 256).alias("digest"), F.right("r", F.lit(120)).alias("tail"))
@@ -279,12 +406,26 @@ def _secret_turns(spark, sf_dir):
     return V.messages(spark, sf_dir).withColumn("content", F.when(F.col("sequence_num") % 3 == 1, secret).otherwise(F.col("content")))
 
 
-@register("recent_turns", with_views(f"SELECT session_id, n, role, {_sql_handed('content', 200)} AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num DESC) AS n FROM turns) WHERE n <= 8", "v_messages", ctes=_SECRET_TURNS))
+@register(
+    "recent_turns",
+    with_views(
+        f"SELECT session_id, n, role, {_sql_handed('content', 200)} AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num DESC) AS n FROM turns) WHERE n <= 8",
+        "v_messages",
+        ctes=_SECRET_TURNS
+    )
+)
 def recent_turns(spark, sf_dir):
     return H.recent_turns(_secret_turns(spark, sf_dir))
 
 
-@register("context_summary", with_views(f"SELECT session_id, coalesce({_sql_handed('last', 120)}, 'no user turn') AS summary FROM (SELECT session_id, arg_max(content, sequence_num) FILTER (role = 'user') AS last FROM turns GROUP BY session_id)", "v_messages", ctes=_SECRET_TURNS))
+@register(
+    "context_summary",
+    with_views(
+        f"SELECT session_id, coalesce({_sql_handed('last', 120)}, 'no user turn') AS summary FROM (SELECT session_id, arg_max(content, sequence_num) FILTER (role = 'user') AS last FROM turns GROUP BY session_id)",
+        "v_messages",
+        ctes=_SECRET_TURNS
+    )
+)
 def context_summary(spark, sf_dir):
     return H.context_summary(_secret_turns(spark, sf_dir))
 
@@ -298,7 +439,10 @@ def tool_commands(spark, sf_dir):
     nested = F.concat(F.lit('{"a":[{"cmd":"\\n make '), (k % 7).cast("string"), F.lit('\\nmore"}],"other":"no"}'))
     shell = F.concat(F.lit("\n{\n  run "), (k % 5).cast("string"), F.lit("\nmore"))
     kind = F.col("tool_name")
-    calls = V.tool_calls(spark, sf_dir).withColumn("tool_input", F.when(kind == "click", nested).when(kind == "view", shell).otherwise('{"note":"cmd"}'))
+    calls = V.tool_calls(spark, sf_dir).withColumn(
+        "tool_input",
+        F.when(kind == "click", nested).when(kind == "view", shell).otherwise('{"note":"cmd"}')
+    )
     return H.commands(calls.withColumn("tool_name", F.when(kind == "view", "Bash").otherwise(kind)))
 
 
@@ -307,30 +451,56 @@ def tool_commands(spark, sf_dir):
 def auth_references(spark, sf_dir):
     """References with and without an agent, secrets among them, and empty ones."""
     k = F.col("c_custkey")
-    said = F.when(k % 5 == 0, " plain ").when(k % 5 == 1, F.concat(F.lit("key:sk-abcdefghijklmnopqrst"), k.cast("string"))).when(k % 5 == 4, " ")
+    said = F.when(k % 5 == 0, " plain ").when(
+        k % 5 == 1,
+        F.concat(F.lit("key:sk-abcdefghijklmnopqrst"), k.cast("string"))
+    ).when(k % 5 == 4, " ")
     said = said.otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit(":n"), (k % 3).cast("string"), F.lit(":x")))
     given = V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner"), k.alias("pos"), said.alias("reference"))
     return H.auth_references(given, "owner")
 
 
-@register("record_hash", """SELECT conv_id, turn, sha256('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}') AS digest FROM conversations""")
+@register(
+    "record_hash",
+    """SELECT conv_id, turn, sha256('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}') AS digest FROM conversations"""
+)
 def record_hash(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.to_json(F.struct(F.col("text").alias("content"), "role")), 256).alias("digest"))
+    return V.table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.sha2(F.to_json(F.struct(F.col("text").alias("content"), "role")), 256).alias("digest")
+    )
 
 
 @register("auth_refs", "SELECT DISTINCT lower(c_mktsegment) AS agent, 'n' || (c_custkey % 3) AS name FROM customer")
 def auth_refs(spark, sf_dir):
-    said = V.table(spark, sf_dir, "customer").select(F.concat(F.lit(" "), "c_mktsegment", F.lit(":n"), (F.col("c_custkey") % 3).cast("string"), F.lit(" ")).alias("r"))
+    said = V.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" "), "c_mktsegment", F.lit(":n"), (F.col("c_custkey") % 3).cast("string"), F.lit(" ")).alias("r")
+    )
     plain = F.trim("r")
-    return said.select(F.lower(F.split_part(plain, F.lit(":"), F.lit(1))).alias("agent"), F.split_part(plain, F.lit(":"), F.lit(2)).alias("name")).dropDuplicates()
+    return said.select(
+        F.lower(F.split_part(plain, F.lit(":"), F.lit(1))).alias("agent"),
+        F.split_part(plain, F.lit(":"), F.lit(2)).alias("name")
+    ).dropDuplicates()
 
 
-@register("chunk_text", "SELECT doc_id AS id, i AS chunk_index, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk_text FROM documents, unnest(range(0, CAST(floor((length(text) - 1) / 2000) AS BIGINT) + 1)) AS r(i) WHERE length(text) > 0")
+@register(
+    "chunk_text",
+    "SELECT doc_id AS id, i AS chunk_index, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk_text FROM documents, unnest(range(0, CAST(floor((length(text) - 1) / 2000) AS BIGINT) + 1)) AS r(i) WHERE length(text) > 0"
+)
 def chunk_text(spark, sf_dir):
-    return X.chunks(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", "chunk_index", "chunk_text")
-
-
-@register("pending_embeddings", with_views("SELECT id, session_id FROM v_corpus WHERE trim(content) <> '' AND id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) ORDER BY length(id), id LIMIT 200", "v_corpus"))
+    return X.chunks(
+        V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    ).select("id", "chunk_index", "chunk_text")
+
+
+@register(
+    "pending_embeddings",
+    with_views(
+        "SELECT id, session_id FROM v_corpus WHERE trim(content) <> '' AND id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) ORDER BY length(id), id LIMIT 200",
+        "v_corpus"
+    )
+)
 def pending_embeddings(spark, sf_dir):
     known = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("message_id"))
     return X.pending(V.corpus(spark, sf_dir), known).select("id", "session_id")
@@ -339,7 +509,10 @@ def pending_embeddings(spark, sf_dir):
 def _nearest(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
     session = F.concat(F.lit("s"), (F.col("vec_id") % 100).cast("string"))
-    return X.nearest(e.select(F.col("vec_id").alias("message_id"), session.alias("session_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+    return X.nearest(
+        e.select(F.col("vec_id").alias("message_id"), session.alias("session_id"), "embedding"),
+        e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    )
 
 
 @register("knn_cosine", f"WITH {NEAREST} SELECT * FROM knn")
@@ -354,12 +527,22 @@ def _counts(texts: list[str]) -> list[list[float]]:
     return [[float((text or "").lower().split().count(w)) for w in _WORDS] for text in texts]
 
 
-@register("semantic_search", with_views("SELECT query_id, message_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM (SELECT q.query_id, e.id AS message_id, e.session_id, CASE WHEN list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v) = 0 THEN 0.0 ELSE round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) END AS cosine FROM vecs e, qvecs q)) WHERE n = 1) WHERE pos <= 10", "v_corpus", ctes="vecs AS (SELECT id, session_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x = w)) AS DOUBLE)) AS v FROM v_corpus), qvecs AS (SELECT r_regionkey AS query_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split(['the', 'la de', 'und', 'que la', 'et de la'][CAST(r_regionkey + 1 AS INTEGER)], ' '), lambda x: x = w)) AS DOUBLE)) AS v FROM region)"))
+@register(
+    "semantic_search",
+    with_views(
+        "SELECT query_id, message_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM (SELECT q.query_id, e.id AS message_id, e.session_id, CASE WHEN list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v) = 0 THEN 0.0 ELSE round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) END AS cosine FROM vecs e, qvecs q)) WHERE n = 1) WHERE pos <= 10",
+        "v_corpus",
+        ctes="vecs AS (SELECT id, session_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x = w)) AS DOUBLE)) AS v FROM v_corpus), qvecs AS (SELECT r_regionkey AS query_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split(['the', 'la de', 'und', 'que la', 'et de la'][CAST(r_regionkey + 1 AS INTEGER)], ' '), lambda x: x = w)) AS DOUBLE)) AS v FROM region)"
+    )
+)
 def semantic_search(spark, sf_dir):
     asked = F.get(F.array(*[F.lit(x) for x in ("the", "la de", "und", "que la", "et de la")]), F.col("r_regionkey").cast("int"))
     questions = X.embedded(V.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), asked.alias("q")), "q", _counts)
     vectors = X.embedded(V.corpus(spark, sf_dir), "content", _counts).select(F.col("id").alias("message_id"), "session_id", "embedding")
-    return X.nearest(vectors, questions.select("query_id", F.col("embedding").alias("query_vector"))).select("query_id", "message_id", "cosine", "pos")
+    return X.nearest(
+        vectors,
+        questions.select("query_id", F.col("embedding").alias("query_vector"))
+    ).select("query_id", "message_id", "cosine", "pos")
 
 
 _BAD = "coalesce(regexp_matches(trim(regexp_replace(regexp_replace({c}, '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), '(?i)#?\\s*[a-z]+\\.md instructions for\\b|(?i)^\\s*<(?:goal_context|environment_context)\\b'), false)"
@@ -387,7 +570,12 @@ _UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text
 
 @register("search_unified", with_views("SELECT query_id, session_id, list, score, rank, pos FROM unified", *_ALL, ctes=_UNIFIED))
 def search_unified(spark, sf_dir):
-    return S.unified_search(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), _session_queries(spark, sf_dir))
+    return S.unified_search(
+        V.messages(spark, sf_dir),
+        V.transcripts(spark, sf_dir),
+        V.tool_calls(spark, sf_dir),
+        _session_queries(spark, sf_dir)
+    )
 
 
 @register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
@@ -398,6 +586,12 @@ def hybrid_rrf(spark, sf_dir):
     """Full text and vectors together; the vector of a session's first message is that of its number, as is a question's."""
     e = V.table(spark, sf_dir, "embeddings")
     messages, asked = V.messages(spark, sf_dir), _session_queries(spark, sf_dir)
-    vectors = e.select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"), "embedding").join(messages.select("id", "session_id"), "id").withColumnRenamed("id", "message_id")
-    questions = asked.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    vectors = e.select(
+        F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("id"),
+        "embedding"
+    ).join(messages.select("id", "session_id"), "id").withColumnRenamed("id", "message_id")
+    questions = asked.select("query_id").join(
+        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")),
+        "query_id"
+    )
     return S.hybrid_search(messages, V.transcripts(spark, sf_dir), V.tool_calls(spark, sf_dir), asked, vectors, questions, 10)

@@ -35,7 +35,9 @@ _WORD = r"[\p{L}\p{N}][\p{L}\p{N}\x{0300}-\x{036f}]*"
 def snippet_sql(t: str, docs: str, *fields: str) -> str:
     """ctes {t}said .. {t}best(query_id, variant, doc, snippet): the 12-word window of each hit of {t}ranked in docs(doc, fields), over tables of words and places."""
     key = "query_id, variant, doc, field"
-    said = " UNION ALL ".join(f"SELECT r.query_id, r.variant, r.doc, {k} AS field, coalesce(d.{f}, '') AS text, ts AS phrases FROM {t}ranked r JOIN {docs} d USING (doc) JOIN {t}terms USING (query_id, variant)" for k, f in enumerate(fields))
+    said = " UNION ALL ".join(
+        f"SELECT r.query_id, r.variant, r.doc, {k} AS field, coalesce(d.{f}, '') AS text, ts AS phrases FROM {t}ranked r JOIN {docs} d USING (doc) JOIN {t}terms USING (query_id, variant)" for k, f in enumerate(fields)
+    )
     inside = f"""SELECT {key}, turn, any_value(w.n) AS n, any_value(w.begin) AS begin, any_value(w.bonus) AS bonus, count(DISTINCT x.k) * 999 + count(*) + any_value(w.bonus) AS score, min(x.place) AS first, arg_max(x.place + x.size, x.nth) AS last
       FROM {t}ways w JOIN {t}places x USING ({key}) WHERE x.place >= w.begin AND x.place < w.begin + 12 GROUP BY {key}, turn"""
     return f"""
@@ -80,7 +82,10 @@ def _session_queries(spark, sf_dir):
     words = F.array_join(F.slice(F.split("title", " "), 1, 2), " ")
     first = s.where(n % 5 == 0).select(n.alias("query_id"), words.alias("query"))
     second = s.where((n % 5 == 1) & F.col("project_name").isNotNull()).select(n.alias("query_id"), F.col("project_name").alias("query"))
-    third = s.where((n % 5 == 2) & F.col("project_name").isNotNull()).select(n.alias("query_id"), F.concat(F.lit("w/"), "project_name").alias("query"))
+    third = s.where((n % 5 == 2) & F.col("project_name").isNotNull()).select(
+        n.alias("query_id"),
+        F.concat(F.lit("w/"), "project_name").alias("query")
+    )
     return first.unionByName(second).unionByName(third)
 
 
@@ -98,7 +103,10 @@ _SESSION_DOCS = "s_docs AS (SELECT id AS doc, concat_ws(' ', title, project_name
     ),
 )
 def bm25_transcripts(spark, sf_dir):
-    return S.search_transcripts(V.transcripts(spark, sf_dir), _session_queries(spark, sf_dir)).select("query_id", "doc", "variant", "rank", "pos")
+    return S.search_transcripts(
+        V.transcripts(spark, sf_dir),
+        _session_queries(spark, sf_dir)
+    ).select("query_id", "doc", "variant", "rank", "pos")
 
 
 _TOOL_DOCS = "t_docs AS (SELECT id AS doc, concat_ws(' ', tool_name, tool_input, tool_output) AS text, session_id, tool_name, tool_input, tool_output FROM v_tool_calls)"
@@ -115,8 +123,19 @@ _TOOL_QUERIES = "t_queries AS (SELECT DISTINCT 1000 + CAST(regexp_extract(props,
 def bm25_tools(spark, sf_dir):
     events = V.table(spark, sf_dir, "events").where("event_type = 'click'")
     number = F.regexp_extract("props", "([0-9]+)", 1)
-    asked = events.select((F.lit(1000) + number.cast("bigint")).alias("query_id"), F.concat_ws(" ", "event_type", number).alias("query")).distinct()
-    return S.search_tools(V.tool_calls(spark, sf_dir), V.transcripts(spark, sf_dir), asked).select("query_id", "session_id", "doc", "variant", "rank", "snippet", "pos")
+    asked = events.select(
+        (F.lit(1000) + number.cast("bigint")).alias("query_id"),
+        F.concat_ws(" ", "event_type", number).alias("query")
+    ).distinct()
+    return S.search_tools(V.tool_calls(spark, sf_dir), V.transcripts(spark, sf_dir), asked).select(
+        "query_id",
+        "session_id",
+        "doc",
+        "variant",
+        "rank",
+        "snippet",
+        "pos"
+    )
 
 
 @register(
@@ -129,13 +148,35 @@ def bm25_phrase(spark, sf_dir):
     return S.bm25(docs, asked).select("query_id", "doc", "rank")
 
 
-@register("index_postings", with_views("SELECT doc, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM toks GROUP BY doc, term", "v_corpus", "v_queries", ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")))
+@register(
+    "index_postings",
+    with_views(
+        "SELECT doc, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM toks GROUP BY doc, term",
+        "v_corpus",
+        "v_queries",
+        ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")
+    )
+)
 def index_postings(spark, sf_dir):
     docs = V.corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.col("content").alias("text"))
-    return S.postings(docs).select("doc", "term", "tf", F.array_min("positions").cast("bigint").alias("first_pos"), F.array_max("positions").cast("bigint").alias("last_pos"))
+    return S.postings(docs).select(
+        "doc",
+        "term",
+        "tf",
+        F.array_min("positions").cast("bigint").alias("first_pos"),
+        F.array_max("positions").cast("bigint").alias("last_pos")
+    )
 
 
-@register("index_refresh", with_views("SELECT doc, term, count(*) AS tf FROM toks GROUP BY doc, term", "v_corpus", "v_queries", ctes="docs AS (SELECT id AS doc, content || CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN ' added' ELSE '' END AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")))
+@register(
+    "index_refresh",
+    with_views(
+        "SELECT doc, term, count(*) AS tf FROM toks GROUP BY doc, term",
+        "v_corpus",
+        "v_queries",
+        ctes="docs AS (SELECT id AS doc, content || CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN ' added' ELSE '' END AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")
+    )
+)
 def index_refresh(spark, sf_dir):
     docs = V.corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.col("content").alias("text"))
     changed = F.col("doc").cast("bigint") % 9 == 0
@@ -159,7 +200,10 @@ def significant_terms(spark, sf_dir):
     body AS (SELECT query_id, m.session_id, s.started_at, left(content, 200) AS snippet, m.id FROM v_messages m JOIN asked ON content ILIKE '%' || query || '%' JOIN v_transcripts s ON s.id = m.session_id)"""))
 def substring_content(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in ("SRC1", " la ", " the ", "tion", "ing")])
-    asked = V.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.get(words, F.col("r_regionkey").cast("int")).alias("query"))
+    asked = V.table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("query_id"),
+        F.get(words, F.col("r_regionkey").cast("int")).alias("query")
+    )
     return S.substring_content(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), asked)
 
 
@@ -168,7 +212,10 @@ _ASKED = "asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', 'click', 'k
 
 def _needles(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in ("SRC1", " la ", "click", 'k": 8', "_in%")])
-    return V.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.get(words, F.col("r_regionkey").cast("int")).alias("query"))
+    return V.table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("query_id"),
+        F.get(words, F.col("r_regionkey").cast("int")).alias("query")
+    )
 
 
 @register("substring_tools", with_views("""SELECT query_id, session_id, id, tool_name, snippet, pos FROM (SELECT query_id, c.session_id, c.id, tool_name, left(coalesce(tool_input, tool_output, tool_name), 200) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(c.timestamp, s.started_at) DESC NULLS LAST, c.id) AS pos
@@ -194,14 +241,29 @@ def session_search_rows(spark, sf_dir):
     return S.session_rows(V.transcripts(spark, sf_dir), _session_queries(spark, sf_dir))
 
 
-@register("limit_rules", "SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE CAST(floor(v) AS INTEGER) END AS plain, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE least(CAST(floor(v) AS INTEGER), 500) END AS clamped FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -value ELSE value * 4 END AS v FROM events)")
+@register(
+    "limit_rules",
+    "SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE CAST(floor(v) AS INTEGER) END AS plain, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE least(CAST(floor(v) AS INTEGER), 500) END AS clamped FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -value ELSE value * 4 END AS v FROM events)"
+)
 def limit_rules(spark, sf_dir):
     k = F.col("event_id") % 6
     v = F.when(k == 0, F.lit(None)).when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, -F.col("value")).otherwise(F.col("value") * 4)
-    return V.table(spark, sf_dir, "events").withColumn("v", v).select("event_id", S.limit_of(F.col("v")).alias("plain"), S.limit_of(F.col("v"), most=500).alias("clamped"))
+    return V.table(spark, sf_dir, "events").withColumn("v", v).select(
+        "event_id",
+        S.limit_of(F.col("v")).alias("plain"),
+        S.limit_of(F.col("v"), most=500).alias("clamped")
+    )
 
 
-@register("snippets", with_views("SELECT query_id, variant, doc, rank, snippet FROM ranked JOIN best USING (query_id, variant, doc)", "v_corpus", "v_queries", ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries") + "," + snippet_sql("", "docs", "text")))
+@register(
+    "snippets",
+    with_views(
+        "SELECT query_id, variant, doc, rank, snippet FROM ranked JOIN best USING (query_id, variant, doc)",
+        "v_corpus",
+        "v_queries",
+        ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries") + "," + snippet_sql("", "docs", "text")
+    )
+)
 def snippets(spark, sf_dir):
     docs = V.corpus(spark, sf_dir).select(F.col("id").alias("doc"), F.col("content").alias("text"))
     asked = V.queries(spark, sf_dir)

@@ -16,7 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     sid = F.col("conv_id").cast("string")
-    return t.select(F.concat_ws(":", sid, F.col("turn").cast("string")).alias("id"), sid.alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("sequence_num"))
+    return t.select(
+        F.concat_ws(":", sid, F.col("turn").cast("string")).alias("id"),
+        sid.alias("session_id"),
+        "role",
+        F.col("text").alias("content"),
+        F.col("turn").alias("sequence_num")
+    )
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +41,22 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
-    first = conv.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("text"), F.count("*").alias("message_count"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("project_name"), F.col("lang").alias("model"))
+    first = conv.groupBy("conv_id").agg(
+        F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("text"),
+        F.count("*").alias("message_count")
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("conv_id"),
+        F.col("source").alias("project_name"),
+        F.col("lang").alias("model")
+    )
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_m"), F.col("n_name").alias("machine"))
     calls = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.count("*").alias("tool_call_count"))
-    t = first.join(docs, "conv_id", "left").join(calls, "conv_id", "left").join(F.broadcast(nation), F.col("conv_id") % 30 == F.col("_m"), "left")
+    t = first.join(docs, "conv_id", "left").join(calls, "conv_id", "left").join(
+        F.broadcast(nation),
+        F.col("conv_id") % 30 == F.col("_m"),
+        "left"
+    )
     return t.select(
         F.col("conv_id").cast("string").alias("id"),
         F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (F.col("conv_id") % 4 + 1).cast("int")).alias("source"),
@@ -61,19 +78,30 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a large table of messages; a source is a session."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("session_id"), F.col("text").alias("content"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.col("source").alias("session_id"),
+        F.col("text").alias("content")
+    )
 
 
 def corpus_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").where("source is not null")
-    return t.groupBy(F.col("source").alias("id")).agg(F.min("lang").alias("title"), F.max("source").alias("project_name"), F.lpad(F.max("doc_id").cast("string"), 12, "0").alias("started_at"))
+    return t.groupBy(F.col("source").alias("id")).agg(
+        F.min("lang").alias("title"),
+        F.max("source").alias("project_name"),
+        F.lpad(F.max("doc_id").cast("string"), 12, "0").alias("started_at")
+    )
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query: the first 2 to 4 words of each benchmark passage."""
     t = table(spark, sf_dir, "benchmark")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return t.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, F.lit(1), (2 + F.col("item_id") % 3).cast("int")), " ").alias("query"))
+    return t.select(
+        F.col("item_id").alias("query_id"),
+        F.array_join(F.slice(words, F.lit(1), (2 + F.col("item_id") % 3).cast("int")), " ").alias("query")
+    )
 
 
 SQL = {

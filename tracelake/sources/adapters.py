@@ -37,5 +37,11 @@ def names() -> list[str]:
     return sorted(_adapters)
 
 
-register(Adapter("project", lambda records: normalize.canonical_events(normalize.project_messages(records).withColumnRenamed("file", "session_id")), normalize.native_lines))
+register(
+    Adapter(
+        "project",
+        lambda records: normalize.canonical_events(normalize.project_messages(records).withColumnRenamed("file", "session_id")),
+        normalize.native_lines
+    )
+)
 register(Adapter("rollout", normalize.rollout_events))

@@ -37,7 +37,10 @@ def day_globs(first: dt.date, last: dt.date) -> list[str]:
 
 
 def _paths(root: str, first: dt.date | None, last: dt.date | None, pattern: str) -> str:
-    days = ["*/*/*"] if first is None and last is None else day_globs(first or dt.date(1970, 1, 1), last or dt.date(dt.date.today().year + 1, 12, 31))
+    days = ["*/*/*"] if first is None and last is None else day_globs(
+        first or dt.date(1970, 1, 1),
+        last or dt.date(dt.date.today().year + 1, 12, 31)
+    )
     return f"{root}/{days[0]}/{pattern}" if len(days) == 1 else f"{root}/{{{','.join(days)}}}/{pattern}"
 
 
@@ -62,7 +65,9 @@ def dated(spark: SparkSession, root: str, first: dt.date | None = None, last: dt
     return found.withColumn("day", F.to_date(F.regexp_extract("path", r"/(\d{4}/\d{2}/\d{2})/[^/]*$", 1), "yyyy/MM/dd"))
 
 
-def dated_lines(spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None, pattern: str = "*.jsonl") -> DataFrame:
+def dated_lines(
+    spark: SparkSession, root: str, first: dt.date | None = None, last: dt.date | None = None, pattern: str = "*.jsonl"
+) -> DataFrame:
     """file, ord, value of every line of the files of those days; no other file is opened."""
     path = _paths(root, first, last, pattern)
     try:

@@ -33,7 +33,13 @@ def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame
 
 def numbered(raw: DataFrame, *more: str) -> DataFrame:
     """file, ord, value of a text scan, and ``more`` of its columns; lines are numbered straight after it, with no shuffle between."""
-    raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value", *more)
+    raw = raw.select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        "value",
+        *more
+    )
     order = W.partitionBy("_path").orderBy("_block", "_row")
     return raw.withColumn("ord", F.row_number().over(order) - 1).select(F.col("_path").alias("file"), "ord", "value", *more)
 

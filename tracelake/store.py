@@ -19,7 +19,9 @@ from .operators import store as maintenance
 from .sources import jsonl
 
 #: Keys that deal a table's rows into buckets; a table that isn't named, or lacks them, is one bucket.
-KEYS = {"transcripts": ["source", "source_id"], "messages": ["session_id"], "tool_calls": ["session_id"], "embeddings": ["session_id"], "machines": ["name"]}
+KEYS = {
+    "transcripts": ["source", "source_id"], "messages": ["session_id"], "tool_calls": ["session_id"], "embeddings": ["session_id"], "machines": ["name"]
+}
 CHILDREN = ("messages", "tool_calls", "embeddings")
 
 #: Layers that additions may leave in a bucket before it is written as one.
@@ -69,7 +71,11 @@ class TranscriptStore:
 
     def _keys_of(self, ids: DataFrame) -> DataFrame:
         """The natural keys of the transcripts in ``ids`` (id)."""
-        return self.table("transcripts").select("id", "source", "source_id").join(ids.select("id"), "id", "left_semi").select("source", "source_id")
+        return self.table("transcripts").select("id", "source", "source_id").join(
+            ids.select("id"),
+            "id",
+            "left_semi"
+        ).select("source", "source_id")
 
     def upsert_transcripts(self, new: DataFrame) -> None:
         if self.has("transcripts"):
@@ -168,18 +174,32 @@ class TranscriptStore:
     def semantic_search(self, query_vectors: DataFrame, limit: int = 10) -> DataFrame:
         """Nearest transcripts of (query_id, query_vector); none where the store has no vectors."""
         if not self.has("embeddings"):
-            return self.spark.createDataFrame([], f"query_id {dict(query_vectors.dtypes)['query_id']}, session_id string, message_id string, cosine double, pos int, snippet string")
+            return self.spark.createDataFrame(
+                [],
+                f"query_id {dict(query_vectors.dtypes)['query_id']}, session_id string, message_id string, cosine double, pos int, snippet string"
+            )
         return recall.semantic_hits(self.table("embeddings"), query_vectors, limit=limit)
 
     def hybrid_search(self, queries: DataFrame, query_vectors: DataFrame, limit: int = 20) -> DataFrame:
         text = self.search(queries, 2 * limit)
         return vector.fused([text, self.semantic_search(query_vectors, 2 * limit)], limit)
 
-    def recall(self, queries: DataFrame, query_vectors: DataFrame | None = None, limit: int = 10, resumable: dict[str, str] | None = None) -> DataFrame:
+    def recall(
+        self, queries: DataFrame, query_vectors: DataFrame | None = None, limit: int = 10, resumable: dict[str, str] | None = None
+    ) -> DataFrame:
         """Assembled answers; the semantic signal takes part where vectors are stored and asked for."""
         status = recall.semantic_status(query_vectors is not None, self.table("embeddings") if self.has("embeddings") else None)
         near = self.semantic_search(query_vectors, 4 * limit) if status == "used" else None
-        return recall.recall_results(self.table("messages"), self.table("transcripts"), self.table("tool_calls"), queries, limit, near, status, resumable)
+        return recall.recall_results(
+            self.table("messages"),
+            self.table("transcripts"),
+            self.table("tool_calls"),
+            queries,
+            limit,
+            near,
+            status,
+            resumable
+        )
 
     def watch_status(self, files: DataFrame, runs: DataFrame) -> DataFrame:
         return watch.status(files, self.table("ingestion_state"), runs)
@@ -191,7 +211,11 @@ class TranscriptStore:
         self.upsert_transcripts(transcripts)
         keys = transcripts.select("source", "source_id")
         held = self.part("transcripts", keys).select(F.col("id").alias("_id"), "source", "source_id")
-        own = transcripts.select(F.col("id").alias("session_id"), "source", "source_id").join(held, ["source", "source_id"]).select("session_id", "_id")
+        own = transcripts.select(
+            F.col("id").alias("session_id"),
+            "source",
+            "source_id"
+        ).join(held, ["source", "source_id"]).select("session_id", "_id")
         touched = own.select(F.col("_id").alias("session_id"))
         for name, rows in (("messages", messages), ("tool_calls", calls)):
             told = rows.join(own, "session_id").withColumn("session_id", F.col("_id")).drop("_id")
@@ -228,9 +252,31 @@ class TranscriptStore:
         told = normalize.project_transcripts(records, messages).withColumn("source", F.lit(source)).withColumnsRenamed({"file": "source_id"})
         told = told.withColumn("id", F.concat_ws(":", "source", "source_id"))
         owned = lambda rows: rows.withColumn("session_id", F.concat_ws(":", F.lit(source), "file")).drop("file")
-        calls = owned(normalize.tool_uses(messages)).withColumn("id", F.concat_ws("#", "message_id", F.col("n").cast("string"))).withColumn("tool_output", F.lit(None).cast("string"))
-        said = owned(messages).select("id", "session_id", "source_id", "role", "content", "model", "sequence_num", "input_tokens", "output_tokens", "timestamp")
-        calls = calls.join(messages.select(F.col("id").alias("message_id"), "timestamp"), "message_id").select("id", "session_id", "message_id", "tool_name", "tool_input", "tool_output", "timestamp")
+        calls = owned(normalize.tool_uses(messages)).withColumn(
+            "id",
+            F.concat_ws("#", "message_id", F.col("n").cast("string"))
+        ).withColumn("tool_output", F.lit(None).cast("string"))
+        said = owned(messages).select(
+            "id",
+            "session_id",
+            "source_id",
+            "role",
+            "content",
+            "model",
+            "sequence_num",
+            "input_tokens",
+            "output_tokens",
+            "timestamp"
+        )
+        calls = calls.join(messages.select(F.col("id").alias("message_id"), "timestamp"), "message_id").select(
+            "id",
+            "session_id",
+            "message_id",
+            "tool_name",
+            "tool_input",
+            "tool_output",
+            "timestamp"
+        )
         self.put(told.withColumn("tool_call_count", F.lit(0).cast("long")), said, calls)
 
     def embed(self, embed: Callable[[list[str]], list[list[float]]], model: str, limit: int = 200) -> int:
@@ -248,7 +294,10 @@ class TranscriptStore:
     def merge(self, folder: str) -> DataFrame:
         """Brings in what another store holds and this one lacks; returns the report of added rows."""
         other, names = TranscriptStore(self.spark, folder), ("transcripts", "messages", "tool_calls", "embeddings", "machines")
-        merged, added = maintenance.stores_merged({n: self.table(n) for n in names if self.has(n)}, {n: other.table(n) for n in names if other.has(n)})
+        merged, added = maintenance.stores_merged(
+            {n: self.table(n) for n in names if self.has(n)},
+            {n: other.table(n) for n in names if other.has(n)}
+        )
         report = maintenance.merge_report(added).collect()
         for name, rows in added.items():
             self.add(name, rows)

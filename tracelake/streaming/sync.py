@@ -30,7 +30,9 @@ class RunLog(StreamingQueryListener):
     def __init__(self, most: int = 10_000):
         self.rows, self.most, self.names = [], most, {}
 
-    def note(self, source: str, attempted_at: datetime, completed_at: datetime | None, skipped: int = 0, failed: int = 0, error: str | None = None) -> None:
+    def note(
+        self, source: str, attempted_at: datetime, completed_at: datetime | None, skipped: int = 0, failed: int = 0, error: str | None = None
+    ) -> None:
         self.rows = [*self.rows[1 - self.most :], (source, attempted_at, completed_at, skipped, failed, error)]
 
     def onQueryStarted(self, event) -> None:
@@ -54,14 +56,19 @@ class RunLog(StreamingQueryListener):
 
 def signature(rows: DataFrame) -> tuple[int, str]:
     """How many rows, and a hash that neither their order nor how they are dealt changes."""
-    told = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("h")).first()
+    told = rows.agg(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("h")
+    ).first()
     return told["n"], told["h"] or ""
 
 
 class BoundedSync:
     """Cycles over the newest rows of a table, which ``push`` gets when they changed since the last cycle that pushed."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[], DataFrame], push: Callable[[DataFrame], None], folder: str, newest: int = NEWEST):
+    def __init__(
+        self, spark: SparkSession, read: Callable[[], DataFrame], push: Callable[[DataFrame], None], folder: str, newest: int = NEWEST
+    ):
         self.spark, self.read, self.push, self.folder, self.newest = spark, read, push, folder, newest
 
     def last(self) -> tuple[int, str] | None:
