@@ -78,4 +78,12 @@ def unigram(docs):
     count = Counter(w for i, x in tokens.items() if not held[i] for w in x)
     total, kinds = sum(count.values()), len(count)
     scale = math.log10(total + 0.1 * (kinds + 1))
-    return {i: (held[i], len(x), sum(count[w] > 0 for w in x), total, sum(math.log10(count[w] + 0.1) - scale for w in x)) for i, x in tokens.items()}
+    return {
+        i: (
+            held[i],
+            len(x),
+            sum(count[w] > 0 for w in x),
+            total,
+            sum(math.log10(count[w] + 0.1) - scale for w in x)
+        ) for i, x in tokens.items()
+    }

@@ -60,7 +60,11 @@ def repaired(rows):
     @lru_cache(None)
     def after_insert(i, state):
         ways = [cost + to_go(j, new) for letter, cost, j, new, _ in ways_of(i, state) if letter != "I"]
-        ways += [cost + min([c + to_go(j, n) for l, c, j, n, _ in ways_of(i, new) if l != "I"] + [0 if i == len(rows) and new in "oa" else 10**9]) for letter, cost, _, new, _ in ways_of(i, state) if letter == "I"]
+        ways += [
+            cost + min(
+                [c + to_go(j, n) for l, c, j, n, _ in ways_of(i, new) if l != "I"] + [0 if i == len(rows) and new in "oa" else 10**9]
+            ) for letter, cost, _, new, _ in ways_of(i, state) if letter == "I"
+        ]
         return min(ways + [0 if i == len(rows) and state in "oa" else 10**9])
 
     def ways_of(i, state):
@@ -113,11 +117,29 @@ def check(spark, rows, **more):
 
 def odd_rows(seed, count):
     rng = random.Random(seed)
-    roles, texts = ["user", "assistant", "system", "tool", "", None], ["Fine.", "Also fine!", "cut", "cut ", "  ", "", None, "end?\n", "Ü.", "x "]
+    roles, texts = ["user", "assistant", "system", "tool", "", None], [
+        "Fine.",
+        "Also fine!",
+        "cut",
+        "cut ",
+        "  ",
+        "",
+        None,
+        "end?\n",
+        "Ü.",
+        "x "
+    ]
     rows = []
     for conv in [None, *range(count)]:
         for k in range(rng.randrange(1, 14)):
-            rows.append((conv, rng.choice([k, k, k, k // 2, None, 2 * k]), rng.choices(roles, [6, 6, 3, 1, 1, 1])[0], rng.choice(texts) if rng.random() < 0.5 else f"{k}{rng.choice(['.', '', '!'])}"))
+            rows.append(
+                (
+                    conv,
+                    rng.choice([k, k, k, k // 2, None, 2 * k]),
+                    rng.choices(roles, [6, 6, 3, 1, 1, 1])[0],
+                    rng.choice(texts) if rng.random() < 0.5 else f"{k}{rng.choice(['.', '', '!'])}"
+                )
+            )
     return rows
 
 
@@ -128,7 +150,10 @@ def test_against_costs_to_go(spark):
 def test_sql_twin_on_odd_rows(spark):
     rows = odd_rows(6, 200)
     con = duckdb.connect()
-    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.register(
+        "conversations",
+        pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    )
     told = con.execute(OP12)
     names = [c[0] for c in told.description]
     want = {r[0]: values(dict(zip(names, r, strict=True))) for r in told.fetchall()}
@@ -143,7 +168,10 @@ def test_given_table(spark):
 def test_empty_table_clashing_columns_and_dropped_conversations(spark):
     assert R.conversation_repair(spark.createDataFrame([], SCHEMA)).count() == 0
     gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
-    table = spark.createDataFrame([(gone, 0, "user", "Hello.")], SCHEMA).withColumn("fault", F.lit("x")).withColumn("dropped", F.lit(1)).withColumn("conv", F.lit(2))
+    table = spark.createDataFrame(
+        [(gone, 0, "user", "Hello.")],
+        SCHEMA
+    ).withColumn("fault", F.lit("x")).withColumn("dropped", F.lit(1)).withColumn("conv", F.lit(2))
     row = R.conversation_repair(table).first()
     assert (row["conv_id"], *values(row)) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
 
@@ -153,8 +181,18 @@ def test_state_is_carried_over_batches_and_pointers_are_spilled(monkeypatch, hel
     """A long conversation in small frames, its pointers in many blocks of the scratch file."""
     monkeypatch.setattr(R, "HELD", held)
     rng = random.Random(held)
-    rows = [(k, rng.choice(["user", "assistant", "system"]), f"{k}{rng.choice(['.', '', '!', '.'])}" if rng.random() < 0.9 else " ") for k in range(400)]
+    rows = [
+        (
+            k,
+            rng.choice(["user", "assistant", "system"]),
+            f"{k}{rng.choice(['.', '', '!', '.'])}" if rng.random() < 0.9 else " "
+        ) for k in range(400)
+    ]
     kinds = [R.BLANK if not t.strip() else R.FINE if t[-1] in ".!" else R.TRUNCATED for _, _, t in rows]
-    frame = pd.DataFrame({"conv": ["1"] * len(rows), "turn": [r[0] for r in rows], "no_turn": False, "role": [r[1] for r in rows], "text": [r[2] for r in rows], "fault": kinds})
+    frame = pd.DataFrame(
+        {
+            "conv": ["1"] * len(rows), "turn": [r[0] for r in rows], "no_turn": False, "role": [r[1] for r in rows], "text": [r[2] for r in rows], "fault": kinds
+        }
+    )
     got = pd.concat(R._repaired(frame.iloc[k : k + 33] for k in range(0, len(frame), 33)))
     assert len(got) == 1 and values(got.iloc[0]) == repaired(rows)

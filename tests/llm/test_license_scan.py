@@ -20,8 +20,12 @@ def words(text):
 
 def base(text):
     w = words(text)
-    places = sorted((k, label) for phrase, label in L.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
-    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places}))
+    places = sorted(
+        (k, label) for phrase, label in L.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()
+    )
+    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(
+        sorted({x for _, x in places})
+    )
 
 
 def distance(a, b):
@@ -38,7 +42,10 @@ def check(got, texts):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == base(texts[r["doc_id"]])
         w = words(texts[r["doc_id"]])
         for s in r["spans"]:
-            assert distance(L.NOTICES[s["notice"]][1], " ".join(w[s["first_word"] : s["first_word"] + s["words"]])) == s["edits"] <= L.bound(L.NOTICES[s["notice"]][1])
+            assert distance(
+                L.NOTICES[s["notice"]][1],
+                " ".join(w[s["first_word"] : s["first_word"] + s["words"]])
+            ) == s["edits"] <= L.bound(L.NOTICES[s["notice"]][1])
         assert r["labels"] == ",".join(sorted(set(filter(None, r["base_labels"].split(","))) | {s["label"] for s in r["spans"]}))
         assert r["score"] == (1.0 if r["n_base"] else max([s["score"] for s in r["spans"]], default=0.0))
 
@@ -90,7 +97,13 @@ def test_every_notice_within_its_bound_is_found():
 @pytest.mark.parametrize("stretch", [150, 400])
 def test_stretches_change_nothing(monkeypatch, stretch):
     rng, scanner = random.Random(9), L.Scanner()
-    said = " ".join(noisy(rng, n, rng.randrange(L.bound(n) + 1)) if rng.random() < 0.6 else "é" * rng.randrange(1, 30) for _ in range(20) for _, n in L.NOTICES)
+    said = " ".join(
+        noisy(
+            rng,
+            n,
+            rng.randrange(L.bound(n) + 1)
+        ) if rng.random() < 0.6 else "é" * rng.randrange(1, 30) for _ in range(20) for _, n in L.NOTICES
+    )
     whole = list(L.spans_of(scanner, said.encode()))
     monkeypatch.setattr(L, "STRETCH", stretch)
     pieces = list(L.spans_of(scanner, said.encode()))

@@ -28,11 +28,15 @@ def test_op2(spark, docs):
 
 
 def test_op7(spark, docs):
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op7_substring_dedup")} == brute.word_windows(docs)
+    assert {
+        r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op7_substring_dedup")
+    } == brute.word_windows(docs)
 
 
 def test_op10(spark, docs):
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, "op10_suffix_array_dedup")} == brute.byte_windows(docs)
+    assert {
+        r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, "op10_suffix_array_dedup")
+    } == brute.byte_windows(docs)
 
 
 def test_op8_held_out_accuracy(spark):

@@ -23,7 +23,25 @@ def awkward():
     pick = random.Random(4)
     vocabulary = [f"w{k}" for k in range(60)]
     base = " ".join(pick.choices(vocabulary, k=80))
-    out = [None, "", " \n\t ", "one", "One", "one two", "One TWO", TEXT, TEXT, TEXT + " end", "start " + TEXT, "a " * 40, "a " * 25 + "b", "a b " * 30, "b a " * 22, base, base.replace("w3 ", "w3  ")]
+    out = [
+        None,
+        "",
+        " \n\t ",
+        "one",
+        "One",
+        "one two",
+        "One TWO",
+        TEXT,
+        TEXT,
+        TEXT + " end",
+        "start " + TEXT,
+        "a " * 40,
+        "a " * 25 + "b",
+        "a b " * 30,
+        "b a " * 22,
+        base,
+        base.replace("w3 ", "w3  ")
+    ]
     for k in range(6):
         near = base.split()
         near[k * 10] = "changed"
@@ -74,7 +92,13 @@ def test_ngram_links_are_all_found(spark, monkeypatch, width, part, tile):
 @pytest.mark.parametrize("width", [13, 5])
 def test_word_windows(spark, width):
     docs = awkward()
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompression.substring_dedup(frame(spark, docs), width).collect()}
+    got = {
+        r["doc_id"]: (
+            r["n_words"],
+            r["n_removed"],
+            r["kept_sha256"]
+        ) for r in recompression.substring_dedup(frame(spark, docs), width).collect()
+    }
     assert got == brute.word_windows(docs, width)
 
 
@@ -99,7 +123,14 @@ def test_kept_text_has_no_repeats(spark):
 
 def test_byte_windows(spark):
     docs = awkward()
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in column_bwt.suffix_dedup(frame(spark, docs)).collect()}
+    got = {
+        r["doc_id"]: (
+            r["n_bytes"],
+            r["n_removed"],
+            r["n_spans"],
+            r["kept_sha256"]
+        ) for r in column_bwt.suffix_dedup(frame(spark, docs)).collect()
+    }
     assert got == brute.byte_windows(docs)
 
 
@@ -162,7 +193,9 @@ def test_model_scores_word_by_word(spark):
     assert len(model.head.names) < len(count) and len(vector) > 5
 
     def within(name, context):
-        return np.log10((count.get(name, 0) + 0.1) / (model.head.rest_total + 0.1 * (model.head.rest_kinds + 1))) + vector.get(name, np.zeros(25)) @ model.h[context] / np.log(10) - model.norm[context]
+        return np.log10(
+            (count.get(name, 0) + 0.1) / (model.head.rest_total + 0.1 * (model.head.rest_kinds + 1))
+        ) + vector.get(name, np.zeros(25)) @ model.h[context] / np.log(10) - model.norm[context]
 
     rest = [x for x in count if kind.get(x, shared) == shared]
     for context in range(2 * kinds_):
@@ -178,7 +211,9 @@ def test_model_scores_word_by_word(spark):
         for t, x in enumerate(names):
             one = kinds[t - 1] if t else start
             two = next((k for k in reversed(kinds[: max(t - 1, 0)]) if k != shared), start)
-            total += model.classes.log10(two, one, kinds[t]) + (within(x, kinds_ + two if one == shared else one) if kinds[t] == shared else 0)
+            total += model.classes.log10(two, one, kinds[t]) + (
+                within(x, kinds_ + two if one == shared else one) if kinds[t] == shared else 0
+            )
         want.append((i or -1, total))
     assert np.allclose([x for x in got], sorted(want), rtol=1e-5)
 
@@ -273,7 +308,9 @@ def test_shards(spark, tmp_path):
 
 def test_shards_of_repeated_rows(spark):
     """A third of all rows are one row without id, another third one row with an id: they spread over all shards."""
-    same = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "'same' as text").unionByName(spark.range(30_000).selectExpr("7L as doc_id", "'kept' as text"))
+    same = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "'same' as text").unionByName(
+        spark.range(30_000).selectExpr("7L as doc_id", "'kept' as text")
+    )
     docs = same.unionByName(spark.range(30_000).selectExpr("100 + id as doc_id", "repeat('z', int(id % 9)) as text"))
     told = sharding.shard(docs).toPandas()
     assert len(told) == 90_000 and told["doc_id"].isna().sum() == 30_000 and (told["doc_id"] == 7).sum() == 30_000
@@ -305,15 +342,31 @@ def vectors(seed=0):
     rows += [(rows[0][0], 0), (rows[0][0], 1), (rows[0][0] * 3, 0)]
     out = [(k, [float(x) for x in v], label) for k, (v, label) in enumerate(rows)]
     n = len(out)
-    return out + [(n, None, 0), (n + 1, [0.0] * 24, 0), (n + 2, [float("nan")] * 24, 0), (n + 3, out[0][1], None), (n + 4, [None] + [1.0] * 23, 0), (n + 5, [], 0)]
+    return out + [
+        (n, None, 0),
+        (n + 1, [0.0] * 24, 0),
+        (n + 2, [float("nan")] * 24, 0),
+        (n + 3, out[0][1], None),
+        (n + 4, [None] + [1.0] * 23, 0),
+        (n + 5, [], 0)
+    ]
 
 
 @pytest.mark.parametrize("tile", [1024, 5])
 def test_near_vectors(spark, monkeypatch, tile):
     monkeypatch.setattr(cross_polytope, "TILE", tile)
     rows = vectors()
-    told = {r["vec_id"]: r for r in cross_polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    usable = {i: (np.array(v, np.float32).astype(float), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)}
+    told = {
+        r["vec_id"]: r for r in cross_polytope.near_vectors(
+            spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        ).collect()
+    }
+    usable = {
+        i: (
+            np.array(v, np.float32).astype(float),
+            y
+        ) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)
+    }
     groups, count = brute.Groups(), dict.fromkeys(told, 0)
     for a, (u, y) in usable.items():
         for b, (v, z) in usable.items():
@@ -321,13 +374,24 @@ def test_near_vectors(spark, monkeypatch, tile):
                 groups.join(a, b)
                 count[a] += 1
                 count[b] += 1
-    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in told.items()} == {i: (count[i], groups.find(i), groups.find(i) == i) for i in told}
+    assert {
+        i: (r["n_links"], r["component_id"], r["kept"]) for i, r in told.items()
+    } == {i: (count[i], groups.find(i), groups.find(i) == i) for i in told}
 
 
 def test_language_of_unlike_texts(spark):
     pick = random.Random(5)
     say = {"xx": "kala moku lani pahu", "yy": "strf grbt plnk dzwo"}
-    docs = [(i, " ".join(pick.choices(say[lang].split(), k=40)) if i % 17 else None, lang, "s", 1, "n") for i, lang in enumerate(["xx", "yy"] * 60)]
+    docs = [
+        (
+            i,
+            " ".join(pick.choices(say[lang].split(), k=40)) if i % 17 else None,
+            lang,
+            "s",
+            1,
+            "n"
+        ) for i, lang in enumerate(["xx", "yy"] * 60)
+    ]
     docs.append((999, "12 34 !!", "xx", "s", 1, "n"))
     data = spark.createDataFrame(docs, SCHEMA)
     model = language_crf.fit(data)
@@ -343,7 +407,16 @@ def test_language_of_unlike_texts(spark):
 def test_mixing_meets_targets(spark):
     pick = random.Random(6)
     say = {"xx": "kala moku lani pahu", "yy": "strf grbt plnk dzwo"}
-    docs = [(i, " ".join(pick.choices(say[lang].split(), k=30)) if i != 3 else None, lang, "s", 1, "n") for i, lang in enumerate(["xx", "xx", "xx", "yy"] * 50)]
+    docs = [
+        (
+            i,
+            " ".join(pick.choices(say[lang].split(), k=30)) if i != 3 else None,
+            lang,
+            "s",
+            1,
+            "n"
+        ) for i, lang in enumerate(["xx", "xx", "xx", "yy"] * 50)
+    ]
     data = spark.createDataFrame(docs, SCHEMA)
     rated, model, before, after = mixing.mixed_rates(data, {"xx": 0.5, "yy": 0.5})
     assert model.domains == ["xx", "yy"] and abs(before[0] / before.sum() - 0.75) < 0.05
@@ -389,17 +462,25 @@ def test_mixing_is_soft_and_least_squares(spark):
         plain = np.maximum(0, plain - step * (p @ miss + mixing.RIDGE * (plain - 1)))
     assert np.allclose(rate[tokens > 0], plain[tokens > 0], atol=1e-6) and np.allclose((rate * tokens) @ p, after)
     assert (np.abs(after - goal) <= mixing.MISS * goal).all()
-    assert sorted((r["doc_id"], r["rate"]) for r in rows) == sorted((r["doc_id"], r["rate"]) for r in mixing.mix_rates(docs, mixing.EQUAL, "source").collect())
+    assert sorted((r["doc_id"], r["rate"]) for r in rows) == sorted(
+        (r["doc_id"], r["rate"]) for r in mixing.mix_rates(docs, mixing.EQUAL, "source").collect()
+    )
 
 
 def test_mixing_tells_of_targets_that_no_rates_reach(spark):
-    docs = spark.createDataFrame([(i, "same words here", None if i else "a", None, 1, "n") for i in range(9)] + [(9, "same words here", "b", None, 1, "n")], SCHEMA)
+    docs = spark.createDataFrame(
+        [(i, "same words here", None if i else "a", None, 1, "n") for i in range(9)] + [(9, "same words here", "b", None, 1, "n")],
+        SCHEMA
+    )
     with pytest.warns(UserWarning, match="miss their targets"):
         mixing.mixed_rates(docs, {"a": 1.0, "b": 0.0})
 
 
 def test_mixing_of_many_labels_shares_domains(spark):
-    docs = spark.createDataFrame([(i, f"w{i} x", f"l{i % 40}", None, 1, "n") for i in range(200)] + [(i, "y z", "big", None, 1, "n") for i in range(200, 260)], SCHEMA)
+    docs = spark.createDataFrame(
+        [(i, f"w{i} x", f"l{i % 40}", None, 1, "n") for i in range(200)] + [(i, "y z", "big", None, 1, "n") for i in range(200, 260)],
+        SCHEMA
+    )
     model = mixing.fit(docs, "lang", most=20)
     assert len(model.domains) == 20 and "big" in model.domains and sum(d.startswith(mixing.OTHER) for d in model.domains) == mixing.OTHERS
     told = mixing.posteriors(docs, model, "lang").collect()
@@ -409,7 +490,12 @@ def test_mixing_of_many_labels_shares_domains(spark):
 
 def test_samples_take_every_row_they_may(spark, monkeypatch):
     """A thousand short labelled rows among twenty thousand: none is lost to a bound that long rows set."""
-    rows = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 20 = 0, concat('some words ', id), repeat('long text ', 1700)) AS text", "'xx' AS lang", "'s' AS source")
+    rows = spark.range(20_000).selectExpr(
+        "id AS doc_id",
+        "if(id % 20 = 0, concat('some words ', id), repeat('long text ', 1700)) AS text",
+        "'xx' AS lang",
+        "'s' AS source"
+    )
     taken = []
     monkeypatch.setattr(mixing, "calibrated", lambda texts, labels, counts: taken.append(len(texts)))
     monkeypatch.setattr(language_crf, "train", lambda texts, labels: taken.append(len(texts)))
@@ -429,14 +515,36 @@ def test_lm_scores_tell_documents_with_one_print_apart(spark, monkeypatch):
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    for told in (ngram_join.ngram_join(empty), recompression.substring_dedup(empty), column_bwt.suffix_dedup(empty), bilinear_lm.lm_scores(empty), sentencepiece_arrays.encode(empty), telephony.media_columns(empty), sharding.shard(empty), language_crf.language_id(empty), mixing.mix_rates(empty)):
+    for told in (
+        ngram_join.ngram_join(empty),
+        recompression.substring_dedup(empty),
+        column_bwt.suffix_dedup(empty),
+        bilinear_lm.lm_scores(empty),
+        sentencepiece_arrays.encode(empty),
+        telephony.media_columns(empty),
+        sharding.shard(empty),
+        language_crf.language_id(empty),
+        mixing.mix_rates(empty)
+    ):
         assert told.count() == 0
     assert cross_polytope.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def test_missing_ids_and_repeated_rows(spark):
     data = frame(spark, [(None, TEXT), (1, TEXT), (1, TEXT), (2, TEXT)])
-    for told in (ngram_join.ngram_join(data), recompression.substring_dedup(data), column_bwt.suffix_dedup(data), bilinear_lm.lm_scores(data), sentencepiece_arrays.encode(data), telephony.media_columns(data), sharding.shard(data), language_crf.language_id(data), mixing.mix_rates(data)):
+    for told in (
+        ngram_join.ngram_join(data),
+        recompression.substring_dedup(data),
+        column_bwt.suffix_dedup(data),
+        bilinear_lm.lm_scores(data),
+        sentencepiece_arrays.encode(data),
+        telephony.media_columns(data),
+        sharding.shard(data),
+        language_crf.language_id(data),
+        mixing.mix_rates(data)
+    ):
         assert told.count() == 4
-    assert {(r["doc_id"], r["n_removed"] > 0) for r in recompression.substring_dedup(data).collect()} == {(None, False), (1, False), (2, True)}
+    assert {
+        (r["doc_id"], r["n_removed"] > 0) for r in recompression.substring_dedup(data).collect()
+    } == {(None, False), (1, False), (2, True)}
     assert recompression.without_repeats(data).where(F.length("text") > 0).count() == 3

@@ -34,7 +34,9 @@ def test_task_of_few_words(spark):
 
 
 def model(spark):
-    docs = [(i, TEXT if i % 2 else "der die das und nicht ist ein eine mit von auf", "en" if i % 2 else "de", "s", 1, "n") for i in range(40)]
+    docs = [
+        (i, TEXT if i % 2 else "der die das und nicht ist ein eine mit von auf", "en" if i % 2 else "de", "s", 1, "n") for i in range(40)
+    ]
     return language_crf.fit(spark.createDataFrame(docs, SCHEMA))
 
 
@@ -93,19 +95,29 @@ def test_forward_backward_by_enumeration():
 
     pick = np.random.default_rng(3)
     emission, moves = pick.normal(size=(1, 4, 3)), pick.normal(size=(3, 3))
-    ways = {p: np.exp(sum(emission[0, t, p[t]] for t in range(4)) + sum(moves[p[t], p[t + 1]] for t in range(3))) for p in itertools.product(range(3), repeat=4)}
+    ways = {
+        p: np.exp(
+            sum(emission[0, t, p[t]] for t in range(4)) + sum(moves[p[t], p[t + 1]] for t in range(3))
+        ) for p in itertools.product(range(3), repeat=4)
+    }
     whole = sum(ways.values())
     want = [[sum(v for p, v in ways.items() if p[t] == k) / whole for k in range(3)] for t in range(4)]
     assert np.allclose(language_crf.posteriors(emission, np.array([4]), moves)[0], want)
     gamma, expected = language_crf.forward_backward(emission, np.array([4]), moves)
     assert np.allclose(gamma[0], want)
-    assert np.allclose(expected, [[sum(v for p, v in ways.items() for t in range(3) if p[t] == i and p[t + 1] == j) / whole for j in range(3)] for i in range(3)])
+    assert np.allclose(
+        expected,
+        [[sum(v for p, v in ways.items() for t in range(3) if p[t] == i and p[t + 1] == j) / whole for j in range(3)] for i in range(3)]
+    )
 
 
 def test_rates_equal_a_plain_solution(spark):
     pick = np.random.default_rng(5)
     posterior, tokens = pick.dirichlet([0.3] * 3, 300), pick.integers(1, 200, 300)
-    told = spark.createDataFrame([(i, i, "", int(n), [float(x) for x in p]) for i, (n, p) in enumerate(zip(tokens, posterior, strict=True))], "doc_id long, x long, label string, n_tokens long, posterior array<double>")
+    told = spark.createDataFrame(
+        [(i, i, "", int(n), [float(x) for x in p]) for i, (n, p) in enumerate(zip(tokens, posterior, strict=True))],
+        "doc_id long, x long, label string, n_tokens long, posterior array<double>"
+    )
     rated, before, after = mixing.fit_rates(told, 3, np.array([0.2, 0.3, 0.5]))
     rate = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
     assert (rate >= 0).all() and np.allclose(before, tokens @ posterior)

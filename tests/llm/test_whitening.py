@@ -16,7 +16,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def plain(rows, components=8):
     """{(id, component): (deviation, whitened, explained)} by exact sums and a double solver."""
-    good = [(i, [math.floor(1024 * float(np.float32(c))) + 100000 for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    good = [
+        (
+            i,
+            [math.floor(1024 * float(np.float32(c))) + 100000 for c in v]
+        ) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)
+    ]
     n, x = len(good), np.array([v for _, v in good], object)
     total = x.sum(axis=0)
     z = x * n - total
@@ -24,12 +29,23 @@ def plain(rows, components=8):
     values, vectors = np.linalg.eigh(v)
     order = np.argsort(-values)[:components]
     told = (z / n).astype(float) @ vectors[:, order] / np.sqrt(values[order])
-    return {(i, k + 1): (int((z[r] ** 2).sum()), told[r, k], values[order[k]] / v.trace()) for r, (i, _) in enumerate(good) for k in range(len(order))}
+    return {
+        (i, k + 1): (
+            int((z[r] ** 2).sum()),
+            told[r, k],
+            values[order[k]] / v.trace()
+        ) for r, (i, _) in enumerate(good) for k in range(len(order))
+    }
 
 
 def agrees(got, want):
     assert {(r["vec_id"], r["component"]) for r in got} == set(want)
-    sign = {k: max((r["whitened"] * want[r["vec_id"], k][1] for r in got if r["component"] == k), key=abs) for k in {r["component"] for r in got}}
+    sign = {
+        k: max(
+            (r["whitened"] * want[r["vec_id"], k][1] for r in got if r["component"] == k),
+            key=abs
+        ) for k in {r["component"] for r in got}
+    }
     for r in got:
         deviation, whitened, explained = want[r["vec_id"], r["component"]]
         assert r["deviation"] == deviation and r["explained"] == pytest.approx(explained, rel=1e-9)
@@ -47,7 +63,14 @@ def test_whole_table(spark):
 def test_odd_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(c) for c in rng.normal(size=4)], 0) for k in range(40)]
-    rows += [(50, None, 1), (51, [1.0, None, 2.0, 3.0], 1), (52, [float("nan"), 0.0, 0.0, 0.0], 1), (53, [float("inf"), 0.0, 0.0, 0.0], 1), (54, [0.0, 0.0, 0.0, 0.0], None), (55, rows[0][1], 1)]
+    rows += [
+        (50, None, 1),
+        (51, [1.0, None, 2.0, 3.0], 1),
+        (52, [float("nan"), 0.0, 0.0, 0.0], 1),
+        (53, [float("inf"), 0.0, 0.0, 0.0], 1),
+        (54, [0.0, 0.0, 0.0, 0.0], None),
+        (55, rows[0][1], 1)
+    ]
     table = spark.createDataFrame(rows, SCHEMA)
     got = Wh.embedding_whitening(table.withColumnRenamed("label", "component").withColumn("n", F.lit(1))).collect()
     agrees(got, plain([(i, v) for i, v, _ in rows]))

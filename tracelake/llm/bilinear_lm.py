@@ -185,7 +185,14 @@ def _word_rows(head):
             at = at[np.lexsort((context[at], name[at]))]
             name, context = name[at], context[at]
             starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (context[1:] != context[:-1]))[: len(at)])
-            yield pa.RecordBatch.from_arrays([signed(name[starts]), pa.array(context[starts].astype(np.int16)), pa.array(np.diff(np.append(starts, len(at))).astype(np.int32))], names=["name", "context", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    signed(name[starts]),
+                    pa.array(context[starts].astype(np.int16)),
+                    pa.array(np.diff(np.append(starts, len(at))).astype(np.int32))
+                ],
+                names=["name", "context", "n"]
+            )
 
     return rows
 
@@ -285,7 +292,14 @@ def _train_rows(flat: np.ndarray, unigram: np.ndarray, turn: int):
                     own = order[k : k + MINIBATCH]
                     c = code[own]
                     model.step(square, c // KINDS % KINDS, c // KINDS**2, c % KINDS, n[own].astype(float), noise, random)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part[lo]], pa.int32()), "mass": pa.array([float(n[lo:hi].sum())]), "flat": lists(pa.array(model.flat), np.array([0, len(flat)]))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([part[lo]], pa.int32()), "mass": pa.array([float(n[lo:hi].sum())]), "flat": lists(
+                            pa.array(model.flat),
+                            np.array([0, len(flat)])
+                        )
+                    }
+                )
 
     return rows
 
@@ -301,7 +315,10 @@ def train(trigrams: DataFrame, rounds: int = ROUNDS) -> tuple[Bilinear, np.ndarr
     if not kinds:
         return model, unigram
     for turn in range(rounds):
-        said = sorted(trigrams.mapInArrow(_train_rows(model.flat, unigram, turn), "part int, mass double, flat array<double>").toArrow().to_pylist(), key=lambda r: r["part"])
+        said = sorted(
+            trigrams.mapInArrow(_train_rows(model.flat, unigram, turn), "part int, mass double, flat array<double>").toArrow().to_pylist(),
+            key=lambda r: r["part"]
+        )
         mass = sum(r["mass"] for r in said)
         model = Bilinear(sum(np.array(r["flat"]) * (r["mass"] / mass) for r in said))
     return model, unigram
@@ -352,7 +369,14 @@ def _vector_rows(head, h: np.ndarray, share: np.ndarray):
                 seen = np.zeros((len(own), len(h)))
                 seen[np.repeat(np.arange(len(own)), size), context[at]] = n[at]
                 vector = word_vectors(seen, h, share)
-                yield pa.RecordBatch.from_arrays([pa.array(name[starts[own]]), pa.array(count[own].astype(np.int64)), lists(pa.array(vector.ravel(), pa.float32()), np.arange(len(own) + 1) * vector.shape[1])], names=["name", "c", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(name[starts[own]]),
+                        pa.array(count[own].astype(np.int64)),
+                        lists(pa.array(vector.ravel(), pa.float32()), np.arange(len(own) + 1) * vector.shape[1])
+                    ],
+                    names=["name", "c", "vector"]
+                )
 
     return rows
 
@@ -407,7 +431,9 @@ def fit(training: DataFrame, size: int = HEAD) -> Fitted:
     model, _ = train(trigrams)
     one, two = F.floor(F.col("code") / KINDS) % KINDS, F.floor(F.col("code") / KINDS**2)
     often = np.full(2 * KINDS, 1e-3)
-    for row in trigrams.where(F.col("code") % KINDS == SHARED).groupBy(F.when(one == SHARED, KINDS + two).otherwise(one).alias("k")).agg(F.sum("n").alias("n")).collect():
+    for row in trigrams.where(F.col("code") % KINDS == SHARED).groupBy(
+        F.when(one == SHARED, KINDS + two).otherwise(one).alias("k")
+    ).agg(F.sum("n").alias("n")).collect():
         often[row["k"]] += row["n"]
     share = often / often.sum()
     h = whitened(model.word_contexts(), share)
@@ -441,7 +467,11 @@ def _score_rows(fitted):
             context = word_context(one, two)
             for lo in range(0, len(own), 1 << 16):
                 part = own[lo : lo + (1 << 16)]
-                model[part] += np.log10(count[part] + ALPHA) - rest + np.einsum("nd,nd->n", head.vectors[at[part]], h[context[part]]) / math.log(10) - norm[context[part]]
+                model[part] += np.log10(count[part] + ALPHA) - rest + np.einsum(
+                    "nd,nd->n",
+                    head.vectors[at[part]],
+                    h[context[part]]
+                ) / math.log(10) - norm[context[part]]
             rows_, uid = block.num_rows, block["uid"].to_numpy()
             sums = lambda x: np.bincount(row, weights=x, minlength=rows_)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
@@ -452,7 +482,9 @@ def _score_rows(fitted):
             order = lone[np.lexsort((context[lone], name[lone], row[lone]))]
             new = np.ones(len(order), bool)
             if len(order):
-                new[1:] = (row[order[1:]] != row[order[:-1]]) | (name[order[1:]] != name[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
+                new[1:] = (row[order[1:]] != row[order[:-1]]) | (name[order[1:]] != name[order[:-1]]) | (
+                    context[order[1:]] != context[order[:-1]]
+                )
             starts = np.flatnonzero(new)
             first, n = order[starts], np.diff(np.append(starts, len(order)))
             none = np.zeros(len(first))
@@ -486,7 +518,18 @@ def _joined_rows(fitted):
             # the documents' rows hold the class of every token already
             model = np.where(word, n * (smoothed - rest + own - norm[np.maximum(context, 0)]), batch["model"].to_numpy())
             known = np.where(word, np.where(count > 0, n, 0), batch["n_known"].to_numpy())
-            yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc_id"], pa.array((~word).astype(np.int64)), batch["n_tokens"], pa.array(known), pa.array(base), pa.array(model)], names=["uid", "doc_id", "n_rows", "n_tokens", "n_known", "base", "model"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["uid"],
+                    batch["doc_id"],
+                    pa.array((~word).astype(np.int64)),
+                    batch["n_tokens"],
+                    pa.array(known),
+                    pa.array(base),
+                    pa.array(model)
+                ],
+                names=["uid", "doc_id", "n_rows", "n_tokens", "n_known", "base", "model"]
+            )
 
     return rows
 
@@ -499,17 +542,35 @@ def lm_scores(docs: DataFrame, classes_head: int = HEAD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out_of_training = held_out(10, 0)
     model = fit(docs.where(~out_of_training).select("text"), classes_head)
-    return scores(docs, model).select("doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(model.head.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores(docs, model).select(
+        "doc_id",
+        out_of_training.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.head.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score"
+    )
 
 
 def scores(docs: DataFrame, model: Fitted) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row; equal rows are summed once and told as often as they are there."""
     shared = docs.sparkSession.sparkContext.broadcast((model.head, model.classes, model.h, model.norm))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    told = rows.mapInArrow(_score_rows(shared), "uid long, name long, doc_id long, context short, n int, n_tokens long, n_known long, base double, model double")
+    told = rows.mapInArrow(
+        _score_rows(shared),
+        "uid long, name long, doc_id long, context short, n int, n_tokens long, n_known long, base double, model double"
+    )
     words = model.counts.join(model.vectors.select("name", "vector"), "name", "left")
     told = told.join(words, "name", "left").mapInArrow(_joined_rows(shared), ROW)
     told = told.groupBy("doc_id", "uid").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "model")])
     each = lambda c: F.col(c) / F.col("n_rows")
-    told = told.select("doc_id", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), each("base").alias("base_score"), each("model").alias("score"), F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    told = told.select(
+        "doc_id",
+        each("n_tokens").cast("long").alias("n_tokens"),
+        each("n_known").cast("long").alias("n_known"),
+        each("base").alias("base_score"),
+        each("model").alias("score"),
+        F.explode(F.sequence(F.lit(1), F.col("n_rows")))
+    )
     return told.drop("col")

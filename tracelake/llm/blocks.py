@@ -210,7 +210,10 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def unsigned(column) -> np.ndarray:
-    return np.asarray(column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+    return np.asarray(
+        column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False),
+        np.int64
+    ).view(np.uint64)
 
 
 def lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:

@@ -71,7 +71,9 @@ class Files:
             file.close()
 
 
-def build(data: np.ndarray, bounds: np.ndarray, first: np.ndarray | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(
+    data: np.ndarray, bounds: np.ndarray, first: np.ndarray | None = None, common: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place, lcp) of all suffixes of the strings in order; lcp is with the suffix before.
 
     ``place`` is where the suffix starts in its string. The empty suffixes come first, in the
@@ -136,7 +138,9 @@ def sorted_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     width = -(-int(length.max(initial=1)) // 8) * 8
     grid = np.arange(width)[None] < length[:, None]
     table = np.zeros((len(start), width), np.uint8)
-    table[grid] = data[np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] if len(start) else 0
+    table[grid] = data[
+        np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    ] if len(start) else 0
     keys = np.ascontiguousarray(table).view(">u8")
     order = np.lexsort((length, *[keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)]))
     lcp = np.zeros(len(start), np.int64)
@@ -159,7 +163,9 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(
+    data: np.ndarray, offsets: np.ndarray, window: int, anchor: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last, anchor start, anchor hash): neighbouring windows of a row with one anchor; first and last window start."""
     n = len(data)
     if n < window:
@@ -229,7 +235,10 @@ def _anchor_rows(window: int, anchor: int):
             several = new & ~last
             seen.add(name[several], doc[several])
             by_doc = np.argsort(doc, kind="stable")  # packs better
-            yield pa.RecordBatch.from_arrays([signed(marked(name, decided)[by_doc]), signed(place[by_doc]), pa.array(doc[by_doc])], names=["anchor", "place", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [signed(marked(name, decided)[by_doc]), signed(place[by_doc]), pa.array(doc[by_doc])],
+                names=["anchor", "place", "doc_id"]
+            )
 
     return rows
 
@@ -281,7 +290,14 @@ def _stretch_rows(window: int, anchor: int):
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
+        for block in blocks(
+            (
+                b.filter(
+                    pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))
+                ) for b in batches
+            ),
+            "text"
+        ):
             data, offsets = text_buffers(block["text"])
             row, first, last, inner, name = stretches(data, offsets, window, anchor)
             column = block["anchors"]
@@ -327,7 +343,11 @@ def _stretch_rows(window: int, anchor: int):
             length = np.where(early, 0, last - first + window)
             bounds = np.concatenate([[0], np.cumsum(length)])
             text = data[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], length)]
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
+            binary = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(),
+                len(first),
+                [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]
+            ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [signed(np.where(early, np.uint64(0), name)), pa.array(np.where(early, 0, part).astype(np.int32)), signed(np.where(early, np.uint64(1), marked(print_, early))), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(start), pa.array(np.where(early, last, inner).astype(np.int64) - first, pa.int32()), binary],
                 names=["anchor", "part", "print", "verify", "doc_id", "start", "inner", "bytes"],
@@ -345,7 +365,12 @@ def _firsts(batches: Iterator[pa.RecordBatch], window: int, spans: list[pa.Recor
         decided = is_marked(batch["print"].to_numpy())
         doc, start = batch["doc_id"].to_numpy(), batch["start"].to_numpy()
         if decided.any():
-            spans.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[decided], start[decided], (start + batch["inner"].to_numpy())[decided])], names=["doc_id", "first", "last"]))
+            spans.append(
+                pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (doc[decided], start[decided], (start + batch["inner"].to_numpy())[decided])],
+                    names=["doc_id", "first", "last"]
+                )
+            )
             batch = batch.filter(pa.array(~decided))
             doc, start = batch["doc_id"].to_numpy(), batch["start"].to_numpy()
         if not batch.num_rows:
@@ -358,14 +383,25 @@ def _firsts(batches: Iterator[pa.RecordBatch], window: int, spans: list[pa.Recor
         heads = np.flatnonzero(new)
         group = np.cumsum(new)
         place = (doc, start)
-        at = [np.concatenate([[0 if before is None else x], p[heads]])[group] for p, x in zip(place, (0, 0) if before is None else first, strict=True)]
+        at = [
+            np.concatenate([[0 if before is None else x], p[heads]])[group] for p, x in zip(
+                place,
+                (0, 0) if before is None else first,
+                strict=True
+            )
+        ]
         # rows that repeat under one doc_id are the same place
         copy = (doc != at[0]) | (start != at[1])
         before, first = tuple(k[-1] for k in keys), (at[0][-1], at[1][-1])
         if copy.any():
             bounds = batch["bytes"].cast(pa.large_binary())
             length = np.diff(np.frombuffer(bounds.buffers()[1], np.int64)[bounds.offset : bounds.offset + len(bounds) + 1])
-            spans.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[copy], start[copy], (start + length - window)[copy])], names=["doc_id", "first", "last"]))
+            spans.append(
+                pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (doc[copy], start[copy], (start + length - window)[copy])],
+                    names=["doc_id", "first", "last"]
+                )
+            )
         if heads.size:
             yield batch.take(pa.array(heads))
 
@@ -378,10 +414,15 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
     firsts = np.flatnonzero(new)
     lasts = np.append(firsts[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[firsts]), pa.array(start[firsts]), pa.array(start[lasts])], names=["doc_id", "first", "last"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[firsts]), pa.array(start[firsts]), pa.array(start[lasts])],
+        names=["doc_id", "first", "last"]
+    )
 
 
-def repeated_windows(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bounds: np.ndarray, inner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(
+    doc: np.ndarray, start: np.ndarray, data: np.ndarray, bounds: np.ndarray, inner: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
     """(doc, window start) of windows of the strings that an earlier place also holds, by their suffix array.
 
     Every window begins at or before the anchor of its string, ``inner`` bytes in, and equal
@@ -473,7 +514,16 @@ def _kept_rows(window: int):
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.append(False, gone[:-1])).sum()))
                 digests.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block["doc_id"],
+                    pa.array(size),
+                    pa.array(removed, pa.int64()),
+                    pa.array(runs, pa.int64()),
+                    pa.array(digests, pa.string())
+                ],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            )
 
     return rows
 
@@ -487,21 +537,53 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     parts = shuffle_partitions(docs.sparkSession)
     docs = texts_of(docs)
     known = docs.where("doc_id is not null")
-    prints = known.where(F.octet_length("text") >= window).select("doc_id", F.xxhash64("text").alias("x"), F.octet_length("text").alias("l"), F.crc32(F.col("text").cast("binary")).alias("c"))
-    first = prints.groupBy("x", "l", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "l", "c", "first")
+    prints = known.where(F.octet_length("text") >= window).select(
+        "doc_id",
+        F.xxhash64("text").alias("x"),
+        F.octet_length("text").alias("l"),
+        F.crc32(F.col("text").cast("binary")).alias("c")
+    )
+    first = prints.groupBy("x", "l", "c").agg(
+        F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last")
+    ).where("first < last").select("x", "l", "c", "first")
     copies = prints.join(first, ["x", "l", "c"]).where("doc_id > first").select("doc_id").distinct().withColumn("copy", F.lit(True))
     # the texts are dealt out by doc_id once: both uses of ``told`` read the same exchange
     told = known.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     printed = known.where(F.octet_length("text") >= window).withColumn("x", F.xxhash64("text"))
-    anchors = dealt(printed.mapInArrow(_anchor_rows(window, anchor), "anchor long, place long, doc_id long"), "anchor", "anchor").sortWithinPartitions("anchor", "place")
-    shared = checkpointed(anchors.mapInArrow(_elsewhere, "anchor long, doc_id long").withColumn("anchor", F.col("anchor").bitwiseAND(F.lit(-2))))
-    hot = shared.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
+    anchors = dealt(
+        printed.mapInArrow(_anchor_rows(window, anchor), "anchor long, place long, doc_id long"),
+        "anchor",
+        "anchor"
+    ).sortWithinPartitions("anchor", "place")
+    shared = checkpointed(
+        anchors.mapInArrow(_elsewhere, "anchor long, doc_id long").withColumn("anchor", F.col("anchor").bitwiseAND(F.lit(-2)))
+    )
+    hot = shared.groupBy("anchor").count().where(F.col("count") > HOT).select(
+        "anchor",
+        F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts")
+    )
     few = hot.limit(FEW + 1).count()
-    split = shared.withColumn("parts", F.lit(0)) if not few else shared.join(F.broadcast(hot) if few <= FEW else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    split = shared.withColumn("parts", F.lit(0)) if not few else shared.join(
+        F.broadcast(hot) if few <= FEW else hot,
+        "anchor",
+        "left"
+    ).withColumn("parts", F.coalesce("parts", F.lit(0)))
     wanted = split.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
     strings = told.join(wanted, "doc_id", "left").mapInArrow(_stretch_rows(window, anchor), STRINGS)
     strings = dealt(strings, "print", "anchor", "part").sortWithinPartitions("anchor", "part", "print", "verify", "doc_id", "start")
-    spans = strings.mapInArrow(_repeat_rows(window), "doc_id long, first long, last long").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = strings.mapInArrow(
+        _repeat_rows(window),
+        "doc_id long, first long, last long"
+    ).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     told = told.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-    without_id = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(False).alias("copy"))
-    return told.unionByName(without_id).mapInArrow(_kept_rows(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    without_id = docs.where("doc_id is null").select(
+        "doc_id",
+        "text",
+        F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"),
+        F.lit(False).alias("copy")
+    )
+    return told.unionByName(without_id).mapInArrow(
+        _kept_rows(window),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )

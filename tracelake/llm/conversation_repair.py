@@ -60,7 +60,14 @@ def damaged(rows: DataFrame) -> DataFrame:
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     fate = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
     text = F.when(fate == 1, "").when(fate == 2, F.translate(said("text"), ENDS, "")).otherwise(said("text"))
-    told = rows.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), (fate == 0).alias("dropped"), F.when(fate == 3, 2).otherwise(1).alias("_times"))
+    told = rows.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(said("role")).alias("role"),
+        text.alias("text"),
+        (fate == 0).alias("dropped"),
+        F.when(fate == 3, 2).otherwise(1).alias("_times")
+    )
     return told.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_time")
 
 
@@ -130,7 +137,10 @@ class Program:
             least = min(t[0] for t in best.values())
             order = sorted(best, key=lambda s: best[s][1:3])
             pointer = sum((best[s][3] * len(LETTERS) + LETTERS.index(best[s][2])) << (8 * s) for s in best)
-            now = (tuple(best[s][0] - least if s in best else FAR for s in range(4)), tuple(order.index(s) if s in best else 4 for s in range(4)))
+            now = (
+                tuple(best[s][0] - least if s in best else FAR for s in range(4)),
+                tuple(order.index(s) if s in best else 4 for s in range(4))
+            )
             self.known[key] = (now, least, pointer, [(s, best[s][3], best[s][4]) for s in best])
         return self.known[key]
 
@@ -233,7 +243,14 @@ def _repaired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repaired(rows: DataFrame) -> DataFrame:
     """conv_id and the faults, cheapest edits and digest of the repaired text of every conversation of ``with_faults``' rows."""
-    told = rows.select(F.col("conv_id").cast("string").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("turn").isNull().alias("no_turn"), "role", "text", "fault")
+    told = rows.select(
+        F.col("conv_id").cast("string").alias("conv"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
+        F.col("turn").isNull().alias("no_turn"),
+        "role",
+        "text",
+        "fault"
+    )
     out = told.mapInPandas(_repaired, RESULT)
     return out.select(F.col("conv").cast(dict(rows.dtypes)["conv_id"]).alias("conv_id"), *[c for c in out.columns if c != "conv"])
 

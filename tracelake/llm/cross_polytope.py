@@ -99,12 +99,17 @@ def _code_rows(tables: int, hashes: int):
             label = batch["label"].to_numpy()
             for own, matrix in _by_length(batch["embedding"]):
                 codes = np.sort(bucket_codes(matrix, label[own], tables, hashes), axis=1)
-                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(own)), lists(signed(codes.ravel()), np.arange(len(own) + 1) * width)], names=["node", "codes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["node"].take(pa.array(own)), lists(signed(codes.ravel()), np.arange(len(own) + 1) * width)],
+                    names=["node", "codes"]
+                )
 
     return rows
 
 
-def tile_links(node: np.ndarray, block: np.ndarray, split: bool, weight: np.ndarray, unit: np.ndarray, tile: int, tiles: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(
+    node: np.ndarray, block: np.ndarray, split: bool, weight: np.ndarray, unit: np.ndarray, tile: int, tiles: list[np.ndarray], least: float
+) -> tuple[np.ndarray, np.ndarray]:
     """(links counted here, smallest node linked through pairs seen here) of each class of one tile.
 
     A pair counts unless a smaller tile also holds both; in a tile cut in blocks, pairs of one
@@ -152,7 +157,10 @@ def _tile_rows(least: float):
                 counts.append(count)
                 labels.append(label)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(labels))], names=["node", "links", "label"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(nodes)), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(labels))],
+                    names=["node", "links", "label"]
+                )
 
     return rows
 
@@ -166,29 +174,68 @@ def usable(column: str = "embedding"):
 def near_vectors(embeddings: DataFrame, least: float = LEAST, tables: int = TABLES, hashes: int = HASHES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector; links are found pairs of one label with cosine >= ``least``."""
     parts = shuffle_partitions(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = embeddings.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("label").cast("long").alias("label")
+    )
     able = usable() & F.col("label").isNotNull()
     rows = rows.withColumn("node", F.when(able, F.xxhash64("label", F.size("embedding"), "embedding")))
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = rows.where("node is not null").groupBy("node").agg(
+        F.min("vec_id").alias("first"),
+        F.count("*").alias("weight"),
+        F.first("label").alias("label"),
+        F.first("embedding").alias("embedding")
+    )
     classes = checkpointed(classes)
-    codes = classes.select("node", "label", "embedding").mapInArrow(_code_rows(tables, hashes), "node long, codes array<long>").select("node", F.explode("codes").alias("code"))
+    codes = classes.select("node", "label", "embedding").mapInArrow(
+        _code_rows(tables, hashes),
+        "node long, codes array<long>"
+    ).select("node", F.explode("codes").alias("code"))
     codes = checkpointed(codes)
-    shared = codes.groupBy("code").agg(F.min("node").alias("tile"), F.count_distinct("node").alias("n")).where("n > 1").select("code", "tile")
+    shared = codes.groupBy("code").agg(
+        F.min("node").alias("tile"),
+        F.count_distinct("node").alias("n")
+    ).where("n > 1").select("code", "tile")
     members = checkpointed(codes.join(shared, "code").select("tile", "node").distinct())
     tiles_of = members.groupBy("node").agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
     counts = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / TILE).cast("int")
-    placed = members.join(counts, "tile").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    placed = members.join(counts, "tile").withColumn("blocks", blocks).withColumn(
+        "block",
+        F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    )
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("tile", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node")
     placed = placed.join(tiles_of, "node").join(classes.select("node", "weight", "embedding"), "node")
-    placed = placed.select("tile", "a", "b", "block", "node", "weight", "tiles", "embedding").repartition(parts, "tile", "a", "b").sortWithinPartitions("tile", "a", "b", "node")
+    placed = placed.select(
+        "tile",
+        "a",
+        "b",
+        "block",
+        "node",
+        "weight",
+        "tiles",
+        "embedding"
+    ).repartition(parts, "tile", "a", "b").sortWithinPartitions("tile", "a", "b", "node")
     told = checkpointed(placed.mapInArrow(_tile_rows(least), "node long, links long, label long"))
     links = told.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(told.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    grouped = classes.select("node", "first", "weight").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = classes.select("node", "first", "weight").join(links, "node", "left").join(joined, "node", "left").withColumn(
+        "component",
+        F.coalesce("component", "node")
+    )
     least_id = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    grouped = grouped.join(least_id, "component").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    grouped = grouped.join(least_id, "component").select(
+        "node",
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "component_id"
+    )
     out = rows.select("vec_id", "node").join(grouped, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
+    )

@@ -53,7 +53,10 @@ def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
 def dealt(rows: DataFrame, name: str, *keys: str) -> DataFrame:
     """``rows`` dealt out by the keys; those whose ``name`` is marked as decided go anywhere."""
     decided = F.col(name).bitwiseAND(F.lit(1)) == 1
-    return rows.repartition(shuffle_partitions(rows.sparkSession), F.when(decided, F.xxhash64(*[c for c, t in rows.dtypes if t != "binary"])).otherwise(F.xxhash64(*keys)))
+    return rows.repartition(
+        shuffle_partitions(rows.sparkSession),
+        F.when(decided, F.xxhash64(*[c for c, t in rows.dtypes if t != "binary"])).otherwise(F.xxhash64(*keys))
+    )
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

@@ -77,7 +77,9 @@ class Letters:
         self.name = word_hashes(_VALUE, self.data, self.start, self.end)
 
 
-def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, lexicon: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """(word, cell) pairs: hashed features of each word, sorted by word."""
     length = end - start
     bounds = np.concatenate([[0], np.cumsum(length)])
@@ -251,7 +253,12 @@ def predicted(field: Crf, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         score = np.empty((len(names), langs), np.float32)
         for lo in range(0, len(names), WORDS_AT_ONCE):
             own = first[lo : lo + WORDS_AT_ONCE]
-            score[lo : lo + WORDS_AT_ONCE] = field.emissions(letters.data, letters.start[own], letters.end[own], names[lo : lo + WORDS_AT_ONCE])
+            score[lo : lo + WORDS_AT_ONCE] = field.emissions(
+                letters.data,
+                letters.start[own],
+                letters.end[own],
+                names[lo : lo + WORDS_AT_ONCE]
+            )
         chains = -(-count // CHAIN)
         chain_first = np.concatenate([[0], np.cumsum(chains)])
         place = np.arange(len(back)) - letters.bounds[letters.row]
@@ -326,7 +333,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Crf:
 
 def language_id(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col("lang").cast("string").alias("lang")] * ("lang" in docs.columns))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *[F.col("lang").cast("string").alias("lang")] * ("lang" in docs.columns)
+    )
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     said = docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
     return said.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -339,7 +350,12 @@ def labelled_words(model: Crf, text: str) -> list[tuple[str, str]]:
         return []
     score = model.emissions(letters.data, letters.start, letters.end, letters.name)
     best = posteriors(score[None].astype(np.float64), np.array([len(score)]), model.transitions)[0].argmax(axis=1)
-    return [(letters.data[a:b].tobytes().decode("utf-8", "replace"), model.langs[k]) for a, b, k in zip(letters.start, letters.end, best, strict=True)]
+    return [
+        (
+            letters.data[a:b].tobytes().decode("utf-8", "replace"),
+            model.langs[k]
+        ) for a, b, k in zip(letters.start, letters.end, best, strict=True)
+    ]
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, model: Crf | None = None) -> DataFrame:

@@ -113,7 +113,9 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), told))
         self.automaton.make_automaton()
         self.margin = max(len(n) + 2 * bound(n) for _, n in notices) + 2
-        self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={bound(n)}}}(?![^ ])") for _, n in notices]
+        self.patterns = [
+            regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={bound(n)}}}(?![^ ])") for _, n in notices
+        ]
         self.verified = lru_cache(1 << 12)(self._verified)
 
     def _verified(self, notice: int, window: str) -> tuple[tuple[int, int, int], ...]:
@@ -208,12 +210,35 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for first, words, s in spans_of(scanner, said)
             ]
             word = lambda at: said.count(b" ", 0, at)  # noqa: B023, E731
-            out.append((said.count(b" ") + bool(said), len(places), word(places[0][0]) if places else None, word(places[-1][0]) if places else None, ",".join(sorted({x for _, x in places})), found))
+            out.append(
+                (
+                    said.count(b" ") + bool(said),
+                    len(places),
+                    word(places[0][0]) if places else None,
+                    word(places[-1][0]) if places else None,
+                    ",".join(sorted({x for _, x in places})),
+                    found
+                )
+            )
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string(), SPANS], strict=True)]
-        yield pa.RecordBatch.from_arrays([block["doc_id"], *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "spans"])
-
-
-SPANS = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.int32()), ("first_word", pa.int64()), ("words", pa.int64()), ("edits", pa.int32()), ("score", pa.float64())]))
+        yield pa.RecordBatch.from_arrays(
+            [block["doc_id"], *columns],
+            ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "spans"]
+        )
+
+
+SPANS = pa.list_(
+    pa.struct(
+        [
+            ("label", pa.string()),
+            ("notice", pa.int32()),
+            ("first_word", pa.int64()),
+            ("words", pa.int64()),
+            ("edits", pa.int32()),
+            ("score", pa.float64())
+        ]
+    )
+)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -144,7 +144,9 @@ def _posterior_rows(model, passed: list[str]):
             score = own.posterior(words, declared)
             columns = {c: block[c] for c in passed}
             bounds = np.arange(words.rows + 1) * len(own.domains)
-            yield pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array(np.diff(words.bounds)), "posterior": lists(pa.array(score.ravel()), bounds)})
+            yield pa.RecordBatch.from_pydict(
+                columns | {"n_tokens": pa.array(np.diff(words.bounds)), "posterior": lists(pa.array(score.ravel()), bounds)}
+            )
 
     return rows
 
@@ -176,7 +178,12 @@ def fit(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, most: int
     if len(first) > most:
         domains += [f"{OTHER}{k}" for k in range(OTHERS)]
     told = told.withColumn("label", domain_of(told, "label", domains))
-    held = {r["label"]: (r["n"], r["eligible"]) for r in told.groupBy("label").agg(F.count("*").alias("n"), F.count_if(short).alias("eligible")).collect()}
+    held = {
+        r["label"]: (r["n"], r["eligible"]) for r in told.groupBy("label").agg(
+            F.count("*").alias("n"),
+            F.count_if(short).alias("eligible")
+        ).collect()
+    }
     told = sampled(told.where(short), rows, sum(eligible for _, eligible in held.values()), 3).toArrow()
     return calibrated(told["text"].to_pylist(), told["label"].to_pylist(), {d: held.get(d, (0, 0))[0] for d in domains})
 
@@ -185,8 +192,16 @@ def posteriors(docs: DataFrame, model: Classifier, label: str = "lang") -> DataF
     """doc_id, print of the text, label (the domain declared), n_tokens and posterior of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     declared = domain_of(docs, label, model.domains)
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), declared.alias("label"), F.col("text").cast("string").alias("text"))
-    return told.mapInArrow(_posterior_rows(shared, ["doc_id", "x", "label"]), "doc_id long, x long, label string, n_tokens long, posterior array<double>")
+    told = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("x"),
+        declared.alias("label"),
+        F.col("text").cast("string").alias("text")
+    )
+    return told.mapInArrow(
+        _posterior_rows(shared, ["doc_id", "x", "label"]),
+        "doc_id long, x long, label string, n_tokens long, posterior array<double>"
+    )
 
 
 def rates_after(posterior: np.ndarray, tokens: np.ndarray, pulls: np.ndarray, step: float, ridge: float) -> np.ndarray:
@@ -219,7 +234,9 @@ def _totals(told: DataFrame, domains: int, pulls: np.ndarray, step: float, ridge
     return out
 
 
-def fit_rates(told: DataFrame, domains: int, targets: np.ndarray | None, rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def fit_rates(
+    told: DataFrame, domains: int, targets: np.ndarray | None, rounds: int = ROUNDS, ridge: float = RIDGE
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(``told`` with ``rate``, totals before, totals after) for target shares of the tokens.
 
     ``told`` has n_tokens and posterior. The goal is ``targets`` times all tokens; without
@@ -246,7 +263,10 @@ def fit_rates(told: DataFrame, domains: int, targets: np.ndarray | None, rounds:
         now = _totals(told, domains, pulls, step, ridge)
     missed = (np.abs(now - goal) > MISS * goal) & (before > 0)
     if missed.any():
-        warnings.warn(f"{int(missed.sum())} of {domains} domains miss their targets, by {np.abs(now - goal)[missed].sum() / total:.2%} of the tokens", stacklevel=2)
+        warnings.warn(
+            f"{int(missed.sum())} of {domains} domains miss their targets, by {np.abs(now - goal)[missed].sum() / total:.2%} of the tokens",
+            stacklevel=2
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +297,9 @@ def shares_of(targets: dict[str, float] | str | None, domains: list[str]) -> np.
     return None if targets is None else np.array([targets.get(x, 0.0) for x in domains])
 
 
-def mixed_rates(docs: DataFrame, targets: dict[str, float] | str | None = None, label: str = "lang", model: Classifier | None = None) -> tuple[DataFrame, Classifier, np.ndarray, np.ndarray]:
+def mixed_rates(
+    docs: DataFrame, targets: dict[str, float] | str | None = None, label: str = "lang", model: Classifier | None = None
+) -> tuple[DataFrame, Classifier, np.ndarray, np.ndarray]:
     """(doc_id, x, label, n_tokens, posterior, rate, copies; classifier; totals before; totals after).
 
     ``targets`` gives each domain's share of the tokens, or is EQUAL; by default the shares are smoothed.
@@ -297,7 +319,11 @@ def mix_report(docs: DataFrame, targets: dict[str, float] | str, label: str = "l
     rated, model, before, _ = mixed_rates(docs, targets, label)
     goals = dict(zip(model.domains, goal_of(shares_of(targets, model.domains), before).tolist(), strict=True)) if before.sum() else {}
     goal = F.create_map(*[F.lit(x) for pair in goals.items() for x in pair])[F.col("label")] if goals else F.lit(None).cast("double")
-    told = rated.groupBy("label").agg(F.sum("n_tokens").alias("before"), F.sum(F.col("n_tokens") * F.col("rate")).alias("after"), F.sum(F.col("n_tokens") * F.col("copies")).alias("copied"))
+    told = rated.groupBy("label").agg(
+        F.sum("n_tokens").alias("before"),
+        F.sum(F.col("n_tokens") * F.col("rate")).alias("after"),
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("copied")
+    )
     return told.withColumn("target", goal)
 
 
@@ -310,7 +336,12 @@ def mix_rates(docs: DataFrame, targets: dict[str, float] | str | None = None, la
     at = (F.array_position("posterior", best) - 1).cast("int")
     goal = goal_of(shares_of(targets, model.domains), before)
     told = {"domain_tokens": before, "domain_target": goal, "domain_expected": after}
-    told = [F.get(F.array(*[F.lit(float(x)) for x in v]) if len(v) else F.array(F.lit(None).cast("double")), at).alias(k) for k, v in told.items()]
+    told = [
+        F.get(
+            F.array(*[F.lit(float(x)) for x in v]) if len(v) else F.array(F.lit(None).cast("double")),
+            at
+        ).alias(k) for k, v in told.items()
+    ]
     return rated.select("doc_id", "n_tokens", F.get(names, at).alias("domain"), best.alias("membership"), "rate", "copies", *told)
 
 
@@ -321,5 +352,12 @@ def mixed(docs: DataFrame, targets: dict[str, float] | str | None = None, label:
     own, x, label_, n = spare(docs, "id", "x", "label", "copies")
     declared = domain_of(docs, label, model.domains)
     copies = rated.groupBy(F.col("doc_id").alias(own), F.col("x").alias(x), F.col("label").alias(label_)).agg(F.max("copies").alias(n))
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies[own]) & (F.xxhash64(docs["text"]) == copies[x]) & declared.eqNullSafe(copies[label_]), "left")
-    return joined.withColumn(own, F.explode(F.array_repeat(F.lit(0), F.coalesce(copies[n], F.lit(1))))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(
+        copies,
+        docs["doc_id"].cast("long").eqNullSafe(copies[own]) & (F.xxhash64(docs["text"]) == copies[x]) & declared.eqNullSafe(copies[label_]),
+        "left"
+    )
+    return joined.withColumn(
+        own,
+        F.explode(F.array_repeat(F.lit(0), F.coalesce(copies[n], F.lit(1))))
+    ).select(*[docs[c] for c in docs.columns])

@@ -116,13 +116,23 @@ def _cell_counts(width: int):
             total += np.bincount((name >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
             of_words += np.bincount((words.name >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(of_words))
         cell, word = np.flatnonzero(total > 4 * total.mean() + 3), np.flatnonzero(of_words)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cell, -1 - word]).astype(np.int32)), pa.array(np.concatenate([total[cell], of_words[word]])), pa.array(np.full(len(cell) + len(word), total.mean()))], names=["cell", "n", "mean"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([cell, -1 - word]).astype(np.int32)),
+                pa.array(np.concatenate([total[cell], of_words[word]])),
+                pa.array(np.full(len(cell) + len(word), total.mean()))
+            ],
+            names=["cell", "n", "mean"]
+        )
 
     return count
 
 
 def frequencies(docs: DataFrame, width: int) -> Frequencies:
-    told = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long, mean double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("mean") + 1).alias("mean")).toArrow()
+    told = docs.select("text").mapInArrow(_cell_counts(width), "cell int, n long, mean double").groupBy("cell").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("mean") + 1).alias("mean")
+    ).toArrow()
     cell, n, mean = (told[c].to_numpy() for c in ("cell", "n", "mean"))
     counts = np.ones(1 << WORD_BITS)
     counts[-1 - cell[cell < 0]] = n[cell < 0]
@@ -148,7 +158,17 @@ def _prefix_rows(width: int, threshold: tuple[int, int], weights):
             chosen = order[rank < kept[row]]
             chosen_bounds = np.concatenate([[0], np.cumsum(kept)])
             bits, bit_bounds = signatures(name, bounds)
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(size), signed(f1), signed(f2), lists(signed(name[chosen]), chosen_bounds), lists(signed(bits), bit_bounds)], names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block["doc_id"],
+                    pa.array(size),
+                    signed(f1),
+                    signed(f2),
+                    lists(signed(name[chosen]), chosen_bounds),
+                    lists(signed(bits), bit_bounds)
+                ],
+                names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"]
+            )
 
     return rows
 
@@ -255,7 +275,10 @@ class Bitmaps:
             rows = others[self.width[others] == v]
             own = self.at_width(w, min(v, w))[self.place[x]]
             other = self.at_width(v, min(v, w))[self.place[rows]]
-            most = np.minimum(size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), size[rows] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+            most = np.minimum(
+                size[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64),
+                size[rows] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64)
+            )
             fits.append(rows[most * (whole + part) >= part * (size[rows] + size[x])])
         return np.concatenate(fits) if fits else others[:0]
 
@@ -306,7 +329,9 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def counted_here(a: np.ndarray, b: np.ndarray, tile: int, tiles: np.ndarray, bounds: np.ndarray, band: np.ndarray, block: np.ndarray, part: str) -> np.ndarray:
+def counted_here(
+    a: np.ndarray, b: np.ndarray, tile: int, tiles: np.ndarray, bounds: np.ndarray, band: np.ndarray, block: np.ndarray, part: str
+) -> np.ndarray:
     """Which of a tile's links count in it: those that no smaller tile holds and no other part of it counts.
 
     Of a tile in bands and blocks, a link counts in the lower band of its two sets, and
@@ -332,7 +357,9 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str):
     for table, starts in sorted_runs(batches, ["tile", "part"]):
         values = table[column].combine_chunks()
         values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-        yield table, values.offsets.to_numpy(), values.values.to_numpy().view(np.uint64), list(zip(starts, [*starts[1:], table.num_rows], strict=True))
+        yield table, values.offsets.to_numpy(), values.values.to_numpy().view(np.uint64), list(
+            zip(starts, [*starts[1:], table.num_rows], strict=True)
+        )
 
 
 def _candidates(threshold: tuple[int, int]):
@@ -346,7 +373,9 @@ def _candidates(threshold: tuple[int, int]):
                     fits = bitmaps.admitted(x, np.arange(x + 1, hi - lo), threshold)
                     keep[lo + fits] = True
                     keep[lo + x] |= len(fits) > 0
-            yield from table.filter(pa.array(keep)).select(["tile", "part", "node", "n_shingles", "f1", "band", "block"]).combine_chunks().to_batches()
+            yield from table.filter(pa.array(keep)).select(
+                ["tile", "part", "node", "n_shingles", "f1", "band", "block"]
+            ).combine_chunks().to_batches()
 
     return rows
 
@@ -372,13 +401,19 @@ def _links(threshold: tuple[int, int], pairs: bool):
                     continue
                 here = counted_here(a, b, tile[lo], *_taken(tile_values, tile_bounds, at), band[at], block[at], table["part"][lo].as_py())
                 if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at][y[here]]) for y in (a, b) for x in (node, print_)], names=["a", "a_print", "b", "b_print"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x[at][y[here]]) for y in (a, b) for x in (node, print_)],
+                        names=["a", "a_print", "b", "b_print"]
+                    )
                     continue
                 label = least_reached(len(at), a, b)
                 links = np.zeros(len(at), np.int64)
                 np.add.at(links, a[here], weight[at][b[here]])
                 np.add.at(links, b[here], weight[at][a[here]])
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(print_[at]), pa.array(links), pa.array(node[at][label])], names=["node", "f1", "links", "label"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[at]), pa.array(print_[at]), pa.array(links), pa.array(node[at][label])],
+                    names=["node", "f1", "links", "label"]
+                )
 
     return rows
 
@@ -401,36 +436,81 @@ def tiled(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     share = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_NAMES)).cast("int")
     counts = members.groupBy("tile").agg(F.count("*").alias("members"), share.alias("share")).where("members > 1").drop("members")
     told = members.join(counts, "tile")
-    small = told.where("share <= 1").select("tile", F.lit("").alias("part"), "node", "n_shingles", F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
+    small = told.where("share <= 1").select(
+        "tile",
+        F.lit("").alias("part"),
+        "node",
+        "n_shingles",
+        F.lit(0).cast("long").alias("band"),
+        F.lit(0).alias("block")
+    )
     # sizes at the bound are one band apart, however their logarithms are rounded
     own = F.floor(F.log(F.col("n_shingles")) / math.log(threshold[1] / threshold[0]) + 1e-9)
     banded = told.where("share > 1").select("tile", "node", "n_shingles", own.alias("own"), F.explode(F.array(own, own - 1)).alias("band"))
-    per_band = banded.groupBy("tile", "band").agg(F.count("*").alias("members"), share.alias("blocks")).where("members > 1").select("tile", "band", "blocks")
+    per_band = banded.groupBy("tile", "band").agg(
+        F.count("*").alias("members"),
+        share.alias("blocks")
+    ).where("members > 1").select("tile", "band", "blocks")
     blocked = banded.join(per_band, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return small.unionByName(blocked.select("tile", F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "n_shingles", F.col("own").alias("band"), "block"))
+    return small.unionByName(
+        blocked.select(
+            "tile",
+            F.concat_ws(":", "band", F.least("block", "other"), F.greatest("block", "other")).alias("part"),
+            "node",
+            "n_shingles",
+            F.col("own").alias("band"),
+            "block"
+        )
+    )
 
 
 def _placed(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets of the documents, classes of equal sets, the sets of each tile part in which links are sought)."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(frequencies(docs, width))
-    sets = checkpointed(docs.mapInArrow(_prefix_rows(width, threshold, weights), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature array<long>"))
+    sets = checkpointed(
+        docs.mapInArrow(
+            _prefix_rows(width, threshold, weights),
+            "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature array<long>"
+        )
+    )
     filled = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
+    classes = checkpointed(
+        filled.groupBy("n_shingles", "f1", "f2").agg(
+            F.min("doc_id").alias("node"),
+            F.count("*").alias("weight"),
+            F.first("keys").alias("keys"),
+            F.first("signature").alias("signature")
+        )
+    )
     keyed = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("tile"), F.count("*").alias("n")).where("n > 1").select("key", "tile")
     members = checkpointed(keyed.join(shared, "key").select("tile", "node", "n_shingles").distinct())
     parts = shuffle_partitions(docs.sparkSession)
     tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "f1", "signature"), ["node", "n_shingles"])
-    tiles = tiles.select("tile", "part", "node", "n_shingles", "f1", "band", "block", "signature").repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
-    candidates = checkpointed(tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long, n_shingles long, f1 long, band long, block int"))
+    tiles = tiles.select(
+        "tile",
+        "part",
+        "node",
+        "n_shingles",
+        "f1",
+        "band",
+        "block",
+        "signature"
+    ).repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
+    candidates = checkpointed(
+        tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long, n_shingles long, f1 long, band long, block int")
+    )
 
     wanted = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
     names = docs.mapInArrow(_set_rows(width, wanted), "node long, f1 long, names array<long>")
     # two sets that link are candidates in each tile that holds both, so these tiles tell which one counts the link
     tiles_of = candidates.groupBy("node", "n_shingles").agg(F.collect_set("tile").alias("tiles"))
-    sought = candidates.join(tiles_of, ["node", "n_shingles"]).join(classes.select("node", "n_shingles", "f1", "weight"), ["node", "n_shingles", "f1"])
+    sought = candidates.join(tiles_of, ["node", "n_shingles"]).join(
+        classes.select("node", "n_shingles", "f1", "weight"),
+        ["node", "n_shingles", "f1"]
+    )
     placed = sought.join(names, ["node", "f1"]).select("tile", "part", "node", "f1", "weight", "band", "block", "tiles", "names")
     return sets, classes, placed.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node", "f1")
 
@@ -462,10 +542,26 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     told = checkpointed(placed.mapInArrow(_links(threshold, False), "node long, f1 long, links long, label long"))
     counts = told.groupBy("node", "f1").agg(F.sum("links").alias("links"))
     linked = components(told.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    of_class = classes.join(counts, ["node", "f1"], "left").select("n_shingles", "f1", "f2", F.col("node").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
+    of_class = classes.join(counts, ["node", "f1"], "left").select(
+        "n_shingles",
+        "f1",
+        "f2",
+        F.col("node").alias("class_id"),
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    )
+    out = sets.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["n_shingles", "f1", "f2"], "left").join(
+        linked.withColumnRenamed("node", "class_id"),
+        "class_id",
+        "left"
+    )
     known = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(known, F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
+        F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links")
+    )
 
 
 def without_near_copies(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:

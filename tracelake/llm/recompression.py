@@ -213,7 +213,14 @@ def _window_rows(width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
-        for block in blocks((b.filter(pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))) for b in batches), "text"):
+        for block in blocks(
+            (
+                b.filter(
+                    pa.array(~b["copy"].to_numpy(zero_copy_only=False) & b["anchors"].is_valid().to_numpy(zero_copy_only=False))
+                ) for b in batches
+            ),
+            "text"
+        ):
             words = Words(block["text"])
             windows = WindowNames(words.doc, words.name, width)
             column = block["anchors"]
@@ -238,7 +245,10 @@ def _window_rows(width: int):
             several = (size > 1) | (before < np.iinfo(np.int64).max)
             seen.add(kinds[several], least[several])
             name, check = np.where(decided, np.uint64(1), marked(name, decided)), np.where(decided, 0, check).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([signed(name), pa.array(check.view(np.int32)), pa.array(doc), pa.array((where - words.bounds[row[hit]]).astype(np.int32))], names=["name", "verify", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays(
+                [signed(name), pa.array(check.view(np.int32)), pa.array(doc), pa.array((where - words.bounds[row[hit]]).astype(np.int32))],
+                names=["name", "verify", "doc_id", "pos"]
+            )
 
     return rows
 
@@ -278,7 +288,13 @@ def _digest_rows(width: int):
                 left.append(len(kept))
                 digests.append(hashlib.sha256(b" ".join([data[start[k] : end[k]] for k in kept.tolist()])).hexdigest())
             count = np.diff(words.bounds)
-            yield pa.RecordBatch.from_pydict({"doc_id": block["doc_id"], "n_words": pa.array(count), "n_removed": pa.array(count - np.array(left, np.int64)), "kept_sha256": pa.array(digests, pa.string())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": block["doc_id"], "n_words": pa.array(count), "n_removed": pa.array(
+                        count - np.array(left, np.int64)
+                    ), "kept_sha256": pa.array(digests, pa.string())
+                }
+            )
 
     return rows
 
@@ -295,9 +311,15 @@ def _text_rows(width: int):
                 if changed[r]:
                     # words that stay together keep what stood between them
                     breaks = np.flatnonzero(np.diff(kept) > 1)
-                    firsts, lasts = kept[np.append(0, breaks + 1)] if len(kept) else kept, kept[np.append(breaks, len(kept) - 1)] if len(kept) else kept
-                    cut[r] = "\n".join(data[a:b].decode() for a, b in zip(words.start[firsts].tolist(), words.end[lasts].tolist(), strict=True))
-            yield pa.RecordBatch.from_pydict({"row": block["row"], "text": pc.if_else(pa.array(changed), pa.array(cut, pa.string()), block["text"])})
+                    firsts, lasts = kept[np.append(0, breaks + 1)] if len(kept) else kept, kept[
+                        np.append(breaks, len(kept) - 1)
+                    ] if len(kept) else kept
+                    cut[r] = "\n".join(
+                        data[a:b].decode() for a, b in zip(words.start[firsts].tolist(), words.end[lasts].tolist(), strict=True)
+                    )
+            yield pa.RecordBatch.from_pydict(
+                {"row": block["row"], "text": pc.if_else(pa.array(changed), pa.array(cut, pa.string()), block["text"])}
+            )
 
     return rows
 
@@ -310,17 +332,35 @@ def removals(docs: DataFrame, width: int = WINDOW, *more: Column) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     docs = texts_of(docs, *more)
     known = docs.where("doc_id is not null")
-    prints = known.where("text is not null").select("doc_id", F.xxhash64("text").alias("x"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("l"))
-    first = prints.groupBy("x", "c", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("x", "c", "l", "first")
+    prints = known.where("text is not null").select(
+        "doc_id",
+        F.xxhash64("text").alias("x"),
+        F.crc32(F.col("text").cast("binary")).alias("c"),
+        F.octet_length("text").alias("l")
+    )
+    first = prints.groupBy("x", "c", "l").agg(
+        F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last")
+    ).where("first < last").select("x", "c", "l", "first")
     copies = prints.join(first, ["x", "c", "l"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("x").alias("prints"))
     # the texts are dealt out by doc_id once: all uses of ``told`` read the same exchange
-    told = known.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("prints", F.xxhash64("text")), F.lit(False))).drop("prints")
-    anchors = dealt(told.mapInArrow(_anchor_rows(width), "anchor long, doc_id long"), "anchor", "anchor").sortWithinPartitions("anchor", "doc_id")
+    told = known.repartition(parts, "doc_id").join(copies, "doc_id", "left").withColumn(
+        "copy",
+        F.coalesce(F.array_contains("prints", F.xxhash64("text")), F.lit(False))
+    ).drop("prints")
+    anchors = dealt(
+        told.mapInArrow(_anchor_rows(width), "anchor long, doc_id long"),
+        "anchor",
+        "anchor"
+    ).sortWithinPartitions("anchor", "doc_id")
     shared = anchors.mapInArrow(_shared(["anchor"], ["anchor", "doc_id"], False), "anchor long, doc_id long")
     wanted = shared.groupBy("doc_id").agg(F.collect_set(F.col("anchor").bitwiseAND(F.lit(-2))).alias("anchors"))
     windows = told.join(wanted, "doc_id", "left").mapInArrow(_window_rows(width), "name long, verify int, doc_id long, pos int")
     windows = dealt(windows, "name", "name").sortWithinPartitions("name", "verify", "doc_id")
-    hits = windows.mapInArrow(_shared(["name", "verify"], ["doc_id", "pos"], True), "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    hits = windows.mapInArrow(
+        _shared(["name", "verify"], ["doc_id", "pos"], True),
+        "doc_id long, pos int"
+    ).groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     told = told.join(hits, "doc_id", "left")
     without_id = docs.where("doc_id is null").withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(False)})
     return told.unionByName(without_id)
@@ -342,5 +382,8 @@ def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     All columns and rows are kept; what is left of a text is joined by line feeds.
     """
     told = removals(docs, width, F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
-    cut = told.mapInArrow(_text_rows(width), StructType([StructField("row", told.schema["row"].dataType), StructField("text", StringType())]))
+    cut = told.mapInArrow(
+        _text_rows(width),
+        StructType([StructField("row", told.schema["row"].dataType), StructField("text", StringType())])
+    )
     return cut.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

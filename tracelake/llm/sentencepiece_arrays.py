@@ -111,7 +111,19 @@ class Vocabulary:
         keys = np.array(sorted(pairs), np.int64)
         order = np.array(sorted(np.flatnonzero(made), key=lambda i: text[i]), np.int64)
         length = np.array([len(x) for x in text] + [0, 1, 2, 3, 4], np.int64)
-        return cls(size, text, length, rank, left, right, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), byte_id, order, adjacent)
+        return cls(
+            size,
+            text,
+            length,
+            rank,
+            left,
+            right,
+            keys,
+            np.array([pairs[k] for k in keys.tolist()], np.int64),
+            byte_id,
+            order,
+            adjacent
+        )
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of piece a and piece b in order of score gives the two again.
@@ -222,7 +234,13 @@ class Coder:
         lo, hi = np.searchsorted(first, self.low1, "left"), np.searchsorted(first, self.high1, "right")
         long = np.flatnonzero((self.lengths > 8) & (lo < hi))
         if len(long):
-            lo[long], hi[long] = _bounded_search(second, self.low2[long], lo[long], hi[long], False), _bounded_search(second, self.high2[long], lo[long], hi[long], True)
+            lo[long], hi[long] = _bounded_search(
+                second,
+                self.low2[long],
+                lo[long],
+                hi[long],
+                False
+            ), _bounded_search(second, self.high2[long], lo[long], hi[long], True)
         count = np.maximum(hi - lo, 0)
         piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         ends = np.cumsum(count)
@@ -387,7 +405,14 @@ def _encode_rows(path: str | None):
                 digest.append(hashlib.sha256(said).hexdigest())
                 same.append(said == original[offsets[r] : offsets[r + 1]].replace(_MARK, b" "))
             more = {name: block[name] for name in block.schema.names if name != "text"}
-            yield pa.RecordBatch.from_pydict(more | {"n_tokens": pa.array(np.diff(bounds)), "ids": lists(pa.array(ids, pa.int32()), bounds), "decoded_sha256": pa.array(digest, pa.string()), "round_trip": pa.array(same, pa.bool_())})
+            yield pa.RecordBatch.from_pydict(
+                more | {
+                    "n_tokens": pa.array(np.diff(bounds)), "ids": lists(
+                        pa.array(ids, pa.int32()),
+                        bounds
+                    ), "decoded_sha256": pa.array(digest, pa.string()), "round_trip": pa.array(same, pa.bool_())
+                }
+            )
 
     return rows
 
@@ -405,7 +430,10 @@ def encode_rows(docs: DataFrame, columns: list[str], path: str | None = None) ->
     """The given columns, n_tokens, ids, decoded_sha256 and round_trip of each row."""
     types = dict(docs.dtypes)
     named = "".join(f"`{c}` {types[c]}, " for c in columns)
-    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(_encode_rows(path), named + "n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(
+        _encode_rows(path),
+        named + "n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
+    )
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -147,7 +147,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
         placed.append((slot, where[slot], filled[where[slot]]))
         filled[where[slot]] += count.get(slot, 0)
     places = F.broadcast(spark.createDataFrame(placed, "vslot int, shard int, before long"))
-    order = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "run").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("vslot").orderBy(
+        F.col("doc_id").asc_nulls_first(),
+        "text_crc32",
+        "size",
+        "run"
+    ).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = own.withColumn("place", F.sum("n").over(order) - F.col("n")).join(places, "vslot")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
     return placed.select("doc_id", "size", "text_crc32", "shard", "vslot", (F.col("before") + F.col("place")).alias("first"), each).select(

@@ -55,7 +55,100 @@ def _alaw_table() -> np.ndarray:
 
 MULAW, ALAW = _mulaw_table(), _alaw_table()
 #: IMA ADPCM step sizes and step index changes.
-STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], np.int32)
+STEPS = np.array(
+    [
+        7,
+        8,
+        9,
+        10,
+        11,
+        12,
+        13,
+        14,
+        16,
+        17,
+        19,
+        21,
+        23,
+        25,
+        28,
+        31,
+        34,
+        37,
+        41,
+        45,
+        50,
+        55,
+        60,
+        66,
+        73,
+        80,
+        88,
+        97,
+        107,
+        118,
+        130,
+        143,
+        157,
+        173,
+        190,
+        209,
+        230,
+        253,
+        279,
+        307,
+        337,
+        371,
+        408,
+        449,
+        494,
+        544,
+        598,
+        658,
+        724,
+        796,
+        876,
+        963,
+        1060,
+        1166,
+        1282,
+        1411,
+        1552,
+        1707,
+        1878,
+        2066,
+        2272,
+        2499,
+        2749,
+        3024,
+        3327,
+        3660,
+        4026,
+        4428,
+        4871,
+        5358,
+        5894,
+        6484,
+        7132,
+        7845,
+        8630,
+        9493,
+        10442,
+        11487,
+        12635,
+        13899,
+        15289,
+        16818,
+        18500,
+        20350,
+        22385,
+        24623,
+        27086,
+        29794,
+        32767
+    ],
+    np.int32
+)
 INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
 
@@ -169,14 +262,28 @@ def _rows(media: bool):
         for block in blocks(batches, "text", 1 << 20):
             data, where = text_buffers(block["text"])
             data = data.tobytes()
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")}
+            out: dict[str, list] = {
+                k: [] for k in (
+                    "n_bytes",
+                    "payload_bytes",
+                    "payload_sha256",
+                    "tail_crc32",
+                    "media_bytes",
+                    "media_sha256",
+                    "feature",
+                    "pcm_bytes",
+                    "pcm_sha256"
+                )
+            }
             if media:
                 out |= {"media": [], "pcm": []}
             files = [stored_media(data[a:b]) for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
             read = [read_wav(file) for _, file in files]
             # all ADPCM blocks of the block of rows at once
             spoken = [np.frombuffer(stored, np.uint8) for codec, _, stored in read if codec == "adpcm"]
-            decoded = iter(np.split(decode_adpcm(np.concatenate(spoken)), np.cumsum([len(x) // BLOCK for x in spoken])[:-1])) if spoken else iter(())
+            decoded = iter(
+                np.split(decode_adpcm(np.concatenate(spoken)), np.cumsum([len(x) // BLOCK for x in spoken])[:-1])
+            ) if spoken else iter(())
             for size, (_, file), (codec, rate, stored) in zip(np.diff(where).tolist(), files, read, strict=True):
                 pcm = next(decoded).ravel() if codec == "adpcm" else expand(codec, np.frombuffer(stored, np.uint8))
                 again = wav("pcm", resample(pcm, rate).astype("<i2").tobytes(), RESAMPLED)

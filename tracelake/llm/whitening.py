@@ -204,7 +204,10 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count[: x.shape[1]] += held
     if n:
         numbers = pa.array([Decimal(0), *map(Decimal, total)], NUMBER)
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(total)), pa.int32()), numbers, pa.array([n, *count], pa.int64())], ["dim", "total", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(-1, len(total)), pa.int32()), numbers, pa.array([n, *count], pa.int64())],
+            ["dim", "total", "n"]
+        )
 
 
 def _products(middle: np.ndarray):
@@ -224,7 +227,10 @@ def _products(middle: np.ndarray):
         i, j = np.triu_indices(width)
         numbers = (total + small)[i, j]
         if any(numbers):
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(list(map(Decimal, numbers)), NUMBER)], ["i", "j", "total"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(list(map(Decimal, numbers)), NUMBER)],
+                ["i", "j", "total"]
+            )
 
     return rows
 
@@ -242,7 +248,10 @@ class Whitening(NamedTuple):
 def fit(rows: DataFrame, column: str = "embedding") -> Whitening:
     """The covariance of the vectors' whole numbers over all rows (divisor n) and its eigenvectors."""
     vectors = rows.select(column)
-    sums = vectors.mapInArrow(_totals, "dim int, total decimal(38,0), n long").groupBy("dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = vectors.mapInArrow(_totals, "dim int, total decimal(38,0), n long").groupBy("dim").agg(
+        F.sum("total").alias("total"),
+        F.sum("n").alias("n")
+    )
     told = {r["dim"]: (int(r["total"]), r["n"]) for r in sums.collect()}
     n = told[-1][1] if told else 0
     width = max(told, default=-1) + 1
@@ -251,7 +260,10 @@ def fit(rows: DataFrame, column: str = "embedding") -> Whitening:
         return Whitening(n, totals, np.zeros(0), np.zeros((0, 0)), 0.0)
     middle = [(2 * t + n) // (2 * n) for t in totals]
     left = [t - n * m for t, m in zip(totals, middle, strict=True)]
-    sums = vectors.mapInArrow(_products(np.array(middle, np.int64)), "i int, j int, total decimal(38,0)").groupBy("i", "j").agg(F.sum("total").alias("total"))
+    sums = vectors.mapInArrow(
+        _products(np.array(middle, np.int64)),
+        "i int, j int, total decimal(38,0)"
+    ).groupBy("i", "j").agg(F.sum("total").alias("total"))
     hi, lo, trace = np.zeros((width, width)), np.zeros((width, width)), Fraction(0)
     for r in sums.collect():
         i, j = r["i"], r["j"]
@@ -290,7 +302,10 @@ def _projected(model: Whitening, components: int):
 
 def projected(rows: DataFrame, model: Whitening, components: int = COMPONENTS, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``key``, deviation and whitened (array of the first ``components``) of every good vector."""
-    told = rows.select(key, column).mapInArrow(_projected(model, components), f"id {dict(rows.dtypes)[key]}, deviation long, whitened array<double>")
+    told = rows.select(key, column).mapInArrow(
+        _projected(model, components),
+        f"id {dict(rows.dtypes)[key]}, deviation long, whitened array<double>"
+    )
     return told.withColumnRenamed("id", key)
 
 
