@@ -25,7 +25,8 @@ def _folder(spark, name):
 
 @register(
     "vectors_packed",
-    "SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, true AS same FROM embeddings"
+    """SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS dimensions,
+        round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, true AS same FROM embeddings"""
 )
 def vectors_packed(spark, sf_dir):
     """Every vector packed to bytes and back."""
@@ -69,7 +70,9 @@ def discover_days(spark, sf_dir):
     return told.select(F.to_date(F.regexp_extract("file", r"/(\d{4}/\d{2}/\d{2})/[^/]*$", 1), "yyyy/MM/dd").alias("day"), "value")
 
 
-@register("discover_projects", """SELECT folder, parent, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT 'p' || doc_id % 3 AS folder, CASE WHEN doc_id % 4 = 0 THEN 'agent0' END AS parent, length(CAST(doc_id AS VARCHAR)) + 1 AS n FROM documents WHERE doc_id % 4 < 3)
+@register("discover_projects", """SELECT folder, parent, CAST(sum(n) AS BIGINT) AS bytes
+    FROM (SELECT 'p' || doc_id % 3 AS folder, CASE WHEN doc_id % 4 = 0 THEN 'agent0' END AS parent,
+    length(CAST(doc_id AS VARCHAR)) + 1 AS n FROM documents WHERE doc_id % 4 < 3)
     GROUP BY folder, parent""")
 def discover_projects(spark, sf_dir):
     """Transcripts right in project folders and one level below; those of one level more are none."""
@@ -85,13 +88,19 @@ def discover_projects(spark, sf_dir):
     return told.groupBy("folder", "parent").agg(F.sum("size").alias("bytes"))
 
 
-_SIDE = """f AS (SELECT event_type AS source, '/' || event_type || '/' || event_id AS path, event_id AS k, event_id % 97 AS mtime, event_id % 13 AS size, CASE event_type WHEN 'click' THEN '7:1' WHEN 'view' THEN '8:1' END AS signature FROM events),
-    st AS (SELECT source, path, mtime, size, CASE event_type WHEN 'click' THEN '6:1' WHEN 'view' THEN '8:1' END AS signature, 'ok' AS status FROM (SELECT *, source AS event_type FROM f WHERE k % 3 <> 0))"""
+_SIDE = """f AS (SELECT event_type AS source, '/' || event_type || '/' || event_id AS path, event_id AS k,
+    event_id % 97 AS mtime, event_id % 13 AS size,
+    CASE event_type WHEN 'click' THEN '7:1' WHEN 'view' THEN '8:1' END AS signature FROM events),
+    st AS (SELECT source, path, mtime, size,
+    CASE event_type WHEN 'click' THEN '6:1' WHEN 'view' THEN '8:1' END AS signature, 'ok' AS status
+    FROM (SELECT *, source AS event_type FROM f WHERE k % 3 <> 0))"""
 
 
 @register(
     "side_file_gate",
-    f"WITH {_SIDE} SELECT f.source, f.path, CASE WHEN st.status IS NULL THEN 'new' WHEN st.mtime = f.mtime AND st.size = f.size AND st.signature IS NOT DISTINCT FROM f.signature THEN 'skip' ELSE 'changed' END AS action FROM f LEFT JOIN st USING (source, path)"
+    f"""WITH {_SIDE} SELECT f.source, f.path, CASE WHEN st.status IS NULL THEN 'new' WHEN st.mtime = f.mtime AND st.size
+        = f.size AND st.signature IS NOT DISTINCT FROM f.signature THEN 'skip' ELSE 'changed' END AS action FROM f LEFT
+        JOIN st USING (source, path)"""
 )
 def side_file_gate(spark, sf_dir):
     """The title index of one source is newer than when its files were read: they alone are changed."""
@@ -111,11 +120,22 @@ def side_file_gate(spark, sf_dir):
 _NOW = "2031-01-01 00:00:00"
 
 
-@register("watch_status", f"""WITH f AS (SELECT event_type AS source, event_id AS k, ts, event_id % 13 AS size FROM events),
+@register("watch_status", f"""WITH f AS (SELECT event_type AS source, event_id AS k, ts, event_id % 13 AS size
+    FROM events),
     gate AS (SELECT source, ts, k % 3 <> 0 AND k % 5 <> 0 AS done FROM f),
-    r AS (SELECT event_type AS source, ts AS tried, CASE WHEN event_id % 6 <> 1 THEN ts + INTERVAL 5 SECOND END AS done, event_id % 7 AS skipped, CASE WHEN event_id % 6 = 2 THEN event_id % 3 ELSE 0 END AS failed, CASE WHEN event_id % 6 = 1 THEN 'boom ' || event_id END AS error FROM events WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1),
-    l AS (SELECT source, max(tried) AS last_attempt_at, max(done) FILTER (error IS NULL AND failed = 0) AS last_success_at, coalesce(arg_max(skipped, tried) FILTER (done IS NOT NULL), 0) AS skipped_files, (arg_max({{'e': coalesce(error, CASE WHEN failed > 0 THEN failed || CASE WHEN failed = 1 THEN ' file' ELSE ' files' END || ' failed to ingest' END)}}, tried)).e AS last_error FROM r GROUP BY source)
-    SELECT g.source, ok, pending, lag_seconds, last_attempt_at, last_success_at, coalesce(skipped_files, 0) AS skipped_files, last_error FROM (SELECT source, count(*) FILTER (done) AS ok, count(*) FILTER (NOT done) AS pending, greatest(CAST(floor(epoch(TIMESTAMP '{_NOW}') - epoch(max(ts) FILTER (NOT done))) AS BIGINT), 0) AS lag_seconds FROM gate GROUP BY source) g LEFT JOIN l USING (source)""")
+    r AS (SELECT event_type AS source, ts AS tried, CASE WHEN event_id % 6 <> 1 THEN ts + INTERVAL 5 SECOND END AS done,
+    event_id % 7 AS skipped, CASE WHEN event_id % 6 = 2 THEN event_id % 3 ELSE 0 END AS failed,
+    CASE WHEN event_id % 6 = 1 THEN 'boom ' || event_id END AS error FROM events WHERE event_type <> 'view'
+    QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1),
+    l AS (SELECT source, max(tried) AS last_attempt_at,
+    max(done) FILTER (error IS NULL AND failed = 0) AS last_success_at, coalesce(arg_max(skipped,
+    tried) FILTER (done IS NOT NULL), 0) AS skipped_files, (arg_max({{'e': coalesce(error,
+    CASE WHEN failed > 0 THEN failed || CASE WHEN failed = 1 THEN ' file' ELSE ' files' END || ' failed to ingest'
+    END)}}, tried)).e AS last_error FROM r GROUP BY source)
+    SELECT g.source, ok, pending, lag_seconds, last_attempt_at, last_success_at, coalesce(skipped_files,
+    0) AS skipped_files, last_error FROM (SELECT source, count(*) FILTER (done) AS ok,
+    count(*) FILTER (NOT done) AS pending, greatest(CAST(floor(epoch(TIMESTAMP '{_NOW}') - epoch(max(ts) FILTER (NOT
+    done))) AS BIGINT), 0) AS lag_seconds FROM gate GROUP BY source) g LEFT JOIN l USING (source)""")
 def watch_status(spark, sf_dir):
     """Files by source, a third of them never read and a fifth changed since, and a log of attempts."""
     e, k = V.table(spark, sf_dir, "events"), F.col("event_id")
@@ -139,8 +159,10 @@ def watch_status(spark, sf_dir):
     return watch.status(files.drop("k"), state.drop("k"), runs, F.to_timestamp(F.lit(_NOW)).cast(dict(e.dtypes)["ts"]))
 
 
-@register("sync_cycles", with_views("""SELECT 0 AS cycle, id, title FROM (FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500)
-    UNION ALL SELECT 2, id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'new ' || id ELSE title END FROM (FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500)""", "v_transcripts"))
+@register("sync_cycles", with_views("""SELECT 0 AS cycle, id, title FROM (FROM v_transcripts ORDER BY started_at DESC
+    NULLS LAST, id LIMIT 500)
+    UNION ALL SELECT 2, id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'new ' || id ELSE title END
+    FROM (FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500)""", "v_transcripts"))
 def sync_cycles(spark, sf_dir):
     """Three cycles over the newest transcripts; nothing changes before the second, so it pushes nothing."""
     folder = _folder(spark, "sync")
@@ -174,13 +196,18 @@ def _export_records(spark, sf_dir):
     )
 
 
-_LINES = """r AS (SELECT '-old-p' || o_custkey % 7 AS project, 'a/b+c%' || o_custkey % 50 || '.jsonl' AS file, o_orderkey AS k, o_custkey % 7 AS p, row_number() OVER (PARTITION BY o_custkey % 7, o_custkey % 50 ORDER BY o_orderkey) - 1 AS ord, o_orderkey % 11 = 0 AS bad,
-    CASE WHEN o_orderkey % 11 = 0 THEN '{"cwd":"/old/p1' ELSE '{"a":{"cwd":"/old/p' || o_custkey % 7 || '/x y"},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || o_orderkey || ',"cwd":"/old/p' || o_custkey % 7 || '"}' END AS value FROM orders)"""
+_LINES = """r AS (SELECT '-old-p' || o_custkey % 7 AS project, 'a/b+c%' || o_custkey % 50 || '.jsonl' AS file,
+    o_orderkey AS k, o_custkey % 7 AS p, row_number() OVER (PARTITION BY o_custkey % 7,
+    o_custkey % 50 ORDER BY o_orderkey) - 1 AS ord, o_orderkey % 11 = 0 AS bad,
+    CASE WHEN o_orderkey % 11 = 0 THEN '{"cwd":"/old/p1' ELSE '{"a":{"cwd":"/old/p' || o_custkey % 7 ||
+    '/x y"},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || o_orderkey || ',"cwd":"/old/p' || o_custkey % 7 || '"}' END AS
+    value FROM orders)"""
 
 
 @register(
     "export_files",
-    f"WITH {_LINES} SELECT project, count(DISTINCT project || file) AS files, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes FROM r WHERE p < 5 GROUP BY ROLLUP (project)"
+    f"""WITH {_LINES} SELECT project, count(DISTINCT project || file) AS files,
+        CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes FROM r WHERE p < 5 GROUP BY ROLLUP (project)"""
 )
 def export_files(spark, sf_dir):
     """Five of seven projects, written; the manifest of what lies on disk."""
@@ -205,7 +232,9 @@ _KNOWN = f"({_TO} || '|' || file) IN ('-new-q|a/b+c%3.jsonl', '-old-p2|a/b+c%2.j
 
 @register(
     "import_files",
-    f"""WITH {_LINES} SELECT {_TO} AS project, file, ord, CASE WHEN p = 1 THEN '{{"a":{{"cwd":"/new/q/x y"}},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || k || ',"cwd":"/new/q"}}' ELSE value END AS value FROM r WHERE NOT bad AND NOT ({_KNOWN})"""
+    f"""WITH {_LINES} SELECT {_TO} AS project, file, ord,
+        CASE WHEN p = 1 THEN '{{"a":{{"cwd":"/new/q/x y"}},"say":"\\"cwd\\":\\"/old/p1\\"","n":' || k ||
+        ',"cwd":"/new/q"}}' ELSE value END AS value FROM r WHERE NOT bad AND NOT ({_KNOWN})"""
 )
 def import_files(spark, sf_dir):
     """An export brought in under another prefix; files that are there are skipped."""
@@ -214,7 +243,9 @@ def import_files(spark, sf_dir):
 
 @register(
     "import_outcome",
-    f"WITH {_LINES} SELECT {_TO} AS project, file, CASE WHEN {_KNOWN} THEN 'overwritten' WHEN p = 1 THEN 'remapped' ELSE 'imported' END AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r GROUP BY ALL"
+    f"""WITH {_LINES} SELECT {_TO} AS project, file,
+        CASE WHEN {_KNOWN} THEN 'overwritten' WHEN p = 1 THEN 'remapped' ELSE 'imported' END AS action,
+        count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r GROUP BY ALL"""
 )
 def import_outcome(spark, sf_dir):
     """What an import does with each file when it may overwrite, and how many lines it puts aside."""
@@ -224,7 +255,10 @@ def import_outcome(spark, sf_dir):
 @register(
     "import_content",
     with_views(
-        """SELECT s.id, CASE WHEN k THEN 'in ' || s.id ELSE title END AS title, CAST(CASE WHEN k THEN 1 ELSE n END AS BIGINT) AS messages FROM (SELECT *, CAST(id AS BIGINT) % 5 = 0 AND CAST(id AS BIGINT) % 3 > 0 AS k FROM v_transcripts) s JOIN (SELECT session_id, count(*) AS n FROM v_messages GROUP BY session_id) m ON m.session_id = s.id""",
+        """SELECT s.id, CASE WHEN k THEN 'in ' || s.id ELSE title END AS title,
+            CAST(CASE WHEN k THEN 1 ELSE n END AS BIGINT) AS messages
+            FROM (SELECT *, CAST(id AS BIGINT) % 5 = 0 AND CAST(id AS BIGINT) % 3 > 0 AS k FROM v_transcripts) s
+            JOIN (SELECT session_id, count(*) AS n FROM v_messages GROUP BY session_id) m ON m.session_id = s.id""",
         "v_transcripts",
         "v_messages"
     )
@@ -272,8 +306,15 @@ def _parts(spark, sf_dir):
     return o, lines.where("output_tokens <> 1"), lines.where("output_tokens = 1")
 
 
-@register("recount_touched", """SELECT o_orderkey AS id, CASE WHEN k THEN coalesce(n, 0) ELSE -1 END AS message_count, CASE WHEN k THEN coalesce(c, 0) ELSE -1 END AS tool_call_count, CASE WHEN NOT k THEN -1 WHEN o_orderkey % 6 = 0 THEN 1000 ELSE coalesce(i, 0) END AS total_input_tokens, CASE WHEN k THEN coalesce(o, 0) ELSE -1 END AS total_output_tokens
-    FROM (SELECT *, o_orderkey % 3 = 0 AS k FROM orders) LEFT JOIN (SELECT l_orderkey AS id, count(*) FILTER (l_suppkey % 5 <> 1) AS n, count(*) FILTER (l_suppkey % 5 = 1) AS c, CAST(sum(l_linenumber) FILTER (l_suppkey % 5 <> 1) AS BIGINT) AS i, CAST(sum(l_suppkey % 5) FILTER (l_suppkey % 5 <> 1) AS BIGINT) AS o FROM lineitem GROUP BY l_orderkey) x ON x.id = o_orderkey""")
+@register("recount_touched", """SELECT o_orderkey AS id, CASE WHEN k THEN coalesce(n, 0) ELSE -1 END AS message_count,
+    CASE WHEN k THEN coalesce(c, 0) ELSE -1 END AS tool_call_count,
+    CASE WHEN NOT k THEN -1 WHEN o_orderkey % 6 = 0 THEN 1000 ELSE coalesce(i, 0) END AS total_input_tokens,
+    CASE WHEN k THEN coalesce(o, 0) ELSE -1 END AS total_output_tokens
+    FROM (SELECT *, o_orderkey % 3 = 0 AS k FROM orders) LEFT
+    JOIN (SELECT l_orderkey AS id, count(*) FILTER (l_suppkey % 5 <> 1) AS n, count(*) FILTER (l_suppkey % 5 = 1) AS c,
+    CAST(sum(l_linenumber) FILTER (l_suppkey % 5 <> 1) AS BIGINT) AS i,
+    CAST(sum(l_suppkey % 5) FILTER (l_suppkey % 5 <> 1) AS BIGINT) AS o FROM lineitem
+    GROUP BY l_orderkey) x ON x.id = o_orderkey""")
 def recount_touched(spark, sf_dir):
     """Counts and totals of a third of the transcripts, some with a total of their own."""
     transcripts, messages, calls = _parts(spark, sf_dir)
@@ -303,13 +344,16 @@ def _two_stores(spark, sf_dir):
     }, {"transcripts": second, "messages": said(1, "o_orderkey % 5 > 0")}
 
 
-_TWO = """t AS (SELECT c_custkey AS k, 'm' || c_custkey % 4 AS machine FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, 'm' || c_custkey % 5 FROM customer WHERE c_custkey % 3 = 2),
-    added AS (SELECT * FROM orders WHERE o_orderkey % 5 > 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 < 3 AND o_custkey % 3 < 2) AND o_custkey IN (SELECT c_custkey FROM customer))"""
+_TWO = """t AS (SELECT c_custkey AS k, 'm' || c_custkey % 4 AS machine FROM customer WHERE c_custkey % 3 < 2
+    UNION ALL SELECT c_custkey, 'm' || c_custkey % 5 FROM customer WHERE c_custkey % 3 = 2),
+    added AS (SELECT * FROM orders WHERE o_orderkey % 5 > 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 < 3 AND
+    o_custkey % 3 < 2) AND o_custkey IN (SELECT c_custkey FROM customer))"""
 
 
 @register(
     "merge_report",
-    f"WITH {_TWO} SELECT 'transcripts' AS tab, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 2) AS added UNION ALL SELECT 'messages', (SELECT count(*) FROM added)"
+    f"""WITH {_TWO} SELECT 'transcripts' AS tab, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 2) AS added
+        UNION ALL SELECT 'messages', (SELECT count(*) FROM added)"""
 )
 def merge_report(spark, sf_dir):
     """How many rows one store brings into another that knows two thirds of its transcripts."""
@@ -318,7 +362,9 @@ def merge_report(spark, sf_dir):
 
 @register(
     "merge_machines",
-    f"WITH {_TWO} SELECT coalesce(t.machine, r.name) AS name, coalesce(t.n, r.n) AS session_count FROM (SELECT machine, count(*) AS n FROM t GROUP BY machine) t FULL JOIN (VALUES ('m0', 99), ('m9', 7)) r(name, n) ON r.name = t.machine"
+    f"""WITH {_TWO} SELECT coalesce(t.machine, r.name) AS name, coalesce(t.n, r.n) AS session_count
+        FROM (SELECT machine, count(*) AS n FROM t GROUP BY machine) t FULL
+        JOIN (VALUES ('m0', 99), ('m9', 7)) r(name, n) ON r.name = t.machine"""
 )
 def merge_machines(spark, sf_dir):
     """The machines of the merged store, recounted."""
@@ -327,7 +373,8 @@ def merge_machines(spark, sf_dir):
 
 @register(
     "record_digest",
-    """SELECT conv_id, turn, sha256('{"a":[{"x":1,"y":{"p":' || CAST(to_json(text) AS VARCHAR) || ',"q":[]}},' || turn || '],"b":{"c":null,"d":true},"role":"' || role || '"}') AS digest FROM conversations"""
+    """SELECT conv_id, turn, sha256('{"a":[{"x":1,"y":{"p":' || CAST(to_json(text) AS VARCHAR) || ',"q":[]}},' || turn
+        || '],"b":{"c":null,"d":true},"role":"' || role || '"}') AS digest FROM conversations"""
 )
 def record_digest(spark, sf_dir):
     """Digests of nested records whose keys stand in either order."""
@@ -356,7 +403,8 @@ def record_digest(spark, sf_dir):
 
 @register(
     "import_matching",
-    f"WITH {_LINES} SELECT project, file, 'imported' AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines FROM r WHERE p IN (3) GROUP BY ALL"
+    f"""WITH {_LINES} SELECT project, file, 'imported' AS action, count(*) AS lines, count(*) FILTER (bad) AS bad_lines
+        FROM r WHERE p IN (3) GROUP BY ALL"""
 )
 def import_matching(spark, sf_dir):
     """An import of the projects whose name holds a text."""
@@ -367,7 +415,9 @@ def import_matching(spark, sf_dir):
 
 @register(
     "compact_metadata",
-    """SELECT event_id, '{' || concat_ws(',', '"kind":"' || event_type || '"', CASE WHEN event_id % 3 = 0 THEN '"note":"n"' END, CASE WHEN event_id % 4 > 1 THEN '"depth":' || event_id END, CASE WHEN event_id % 5 = 0 THEN '"share":0.5' END) || '}' AS metadata FROM events"""
+    """SELECT event_id, '{' || concat_ws(',', '"kind":"' || event_type || '"',
+        CASE WHEN event_id % 3 = 0 THEN '"note":"n"' END, CASE WHEN event_id % 4 > 1 THEN '"depth":' || event_id END,
+        CASE WHEN event_id % 5 = 0 THEN '"share":0.5' END) || '}' AS metadata FROM events"""
 )
 def compact_metadata(spark, sf_dir):
     """Metadata without empty texts and numbers that are null, infinite or none at all."""

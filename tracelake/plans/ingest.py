@@ -73,20 +73,30 @@ def _odd_records(spark, sf_dir):
     return c.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("ord"), value.alias("value"))
 
 
-_ODD = """SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN '["' || conv_id || '"]' WHEN 2 THEN 'first' || chr(10) || text || chr(10) || chr(10) || 'last'
-    WHEN 3 THEN trim(text || chr(10) || 'deep' || chr(10) || 't', white) WHEN 4 THEN trim(text, white) ELSE '' END AS content FROM conversations, (SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS white)"""
+_ODD = """SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN '["' || conv_id || '"]' WHEN 2 THEN
+    'first' || chr(10) || text || chr(10) || chr(10) || 'last'
+    WHEN 3 THEN trim(text || chr(10) || 'deep' || chr(10) || 't', white) WHEN 4 THEN trim(text,
+    white) ELSE '' END AS content FROM conversations,
+    (SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS white)"""
 
 
 @register(
     "records_roundtrip_parse",
-    f"SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, content, turn + 1 AS input_tokens FROM ({_ODD})"
+    f"""SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role,
+        content, turn + 1 AS input_tokens FROM ({_ODD})"""
 )
 def records_roundtrip_parse(spark, sf_dir):
     return N.project_messages(_odd_records(spark, sf_dir)).select("file", "sequence_num", "role", "content", "input_tokens")
 
 
-@register("ingest_fold_transcripts", """SELECT 's' || conv_id AS file, '/w/p' || conv_id % 7 AS project_path, 'p' || conv_id % 7 AS project_name, arg_max('m' || turn % 2, turn) AS model, arg_min('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS started_at, arg_max('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS ended_at,
-    count(*) AS message_count, CAST(sum(turn + 1) AS BIGINT) AS total_input_tokens, CAST(sum(turn * 2) AS BIGINT) AS total_output_tokens, substr(trim(regexp_replace(arg_min(text, turn) FILTER (role = 'user' AND trim(text) <> ''), '\\s+', ' ', 'g')), 1, 120) AS title FROM conversations GROUP BY conv_id""")
+@register("ingest_fold_transcripts", """SELECT 's' || conv_id AS file, '/w/p' || conv_id % 7 AS project_path,
+    'p' || conv_id % 7 AS project_name, arg_max('m' || turn % 2, turn) AS model,
+    arg_min('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS started_at,
+    arg_max('2024-01-' || lpad(CAST(28 - turn % 20 AS VARCHAR), 2, '0'), turn) AS ended_at,
+    count(*) AS message_count, CAST(sum(turn + 1) AS BIGINT) AS total_input_tokens,
+    CAST(sum(turn * 2) AS BIGINT) AS total_output_tokens, substr(trim(regexp_replace(arg_min(text,
+    turn) FILTER (role = 'user' AND trim(text) <> ''), '\\s+', ' ', 'g')), 1, 120) AS title FROM conversations
+    GROUP BY conv_id""")
 def ingest_fold_transcripts(spark, sf_dir):
     records = _records(spark, sf_dir)
     told = N.project_transcripts(records, N.project_messages(records))
@@ -106,7 +116,10 @@ def ingest_fold_transcripts(spark, sf_dir):
 
 @register(
     "duplicate_uuid_suffix",
-    "SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, 'u' || turn % 4 || CASE WHEN row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn) > 1 THEN ':' || (row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn) - 1) ELSE '' END AS source_id FROM conversations"
+    """SELECT 's' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num,
+        'u' || turn % 4 || CASE WHEN row_number() OVER (PARTITION BY conv_id,
+        turn % 4 ORDER BY turn) > 1 THEN ':' || (row_number() OVER (PARTITION BY conv_id,
+        turn % 4 ORDER BY turn) - 1) ELSE '' END AS source_id FROM conversations"""
 )
 def duplicate_uuid_suffix(spark, sf_dir):
     return N.project_messages(_records(spark, sf_dir)).select("file", "sequence_num", "source_id")
@@ -114,7 +127,8 @@ def duplicate_uuid_suffix(spark, sf_dir):
 
 @register(
     "tool_use_blocks",
-    "SELECT 's' || conv_id AS file, 'Tool' || turn % 3 AS tool_name, '{\"n\":' || turn || '}' AS tool_input FROM conversations WHERE role = 'assistant'"
+    """SELECT 's' || conv_id AS file, 'Tool' || turn % 3 AS tool_name, '{\"n\":' || turn || '}' AS tool_input
+        FROM conversations WHERE role = 'assistant'"""
 )
 def tool_use_blocks(spark, sf_dir):
     return N.tool_uses(N.project_messages(_records(spark, sf_dir))).select("file", "tool_name", "tool_input")
@@ -122,21 +136,35 @@ def tool_use_blocks(spark, sf_dir):
 
 @register(
     "canonical_events",
-    "SELECT 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS seq, type, content FROM (SELECT conv_id, turn, 0 AS k, role AS type, CASE WHEN role = 'assistant' THEN text ELSE text END AS content FROM conversations UNION ALL SELECT conv_id, turn, 1, 'tool_call', '{\"n\":' || turn || '}' FROM conversations WHERE role = 'assistant')"
+    """SELECT 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS seq, type,
+        content FROM (SELECT conv_id, turn, 0 AS k, role AS type,
+        CASE WHEN role = 'assistant' THEN text ELSE text END AS content FROM conversations
+        UNION ALL SELECT conv_id, turn, 1, 'tool_call', '{\"n\":' || turn || '}' FROM conversations
+        WHERE role = 'assistant')"""
 )
 def canonical_events(spark, sf_dir):
     told = N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id")
     return N.canonical_events(told).select("session_id", "seq", "type", "content")
 
 
-_EVENTS = "ev AS (SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n, type, content FROM (SELECT conv_id, turn, 0 AS k, role AS type, text AS content FROM conversations UNION ALL SELECT conv_id, turn, 1, 'tool_call:Tool' || turn % 3, '{\"n\":' || turn || '}' FROM conversations WHERE role = 'assistant'))"
+_EVENTS = """ev AS (SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn,
+    k) AS n, type, content FROM (SELECT conv_id, turn, 0 AS k, role AS type, text AS content FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, 'tool_call:Tool' || turn % 3, '{\"n\":' || turn || '}' FROM conversations
+    WHERE role = 'assistant'))"""
 _OWN = """'"sessionId":"s' || conv_id || '","cwd":"/tmp"'"""
 
 
-@register("native_jsonl_lines", """WITH {_EVENTS} SELECT session_id, CAST(n AS INTEGER) AS n, CASE WHEN type = 'user' THEN '{"type":"user",' || {_OWN} || ',"message":{"role":"user","content":' || to_json(content) || '}}' ELSE '{"type":"assistant",' || {_OWN} || ',"message":{"role":"assistant","content":[' ||
-    CASE WHEN starts_with(type, 'tool_call') THEN '{"type":"tool_use","id":"tool_' || (n - 1) || '","name":"' || substr(type, 11) || '","input":' || content || '}' WHEN type = 'system' THEN '{"type":"text","text":' || to_json('[System context]' || chr(10) || content) || '}' ELSE '{"type":"text","text":' || to_json(content) || '}' END || '],"model":"unknown-model"}}' END AS line FROM ev
+@register("native_jsonl_lines", """WITH {_EVENTS} SELECT session_id, CAST(n AS INTEGER) AS n,
+    CASE WHEN type = 'user' THEN '{"type":"user",' || {_OWN} || ',"message":{"role":"user","content":' ||
+    to_json(content) || '}}' ELSE '{"type":"assistant",' || {_OWN} || ',"message":{"role":"assistant","content":[' ||
+    CASE WHEN starts_with(type, 'tool_call') THEN '{"type":"tool_use","id":"tool_' || (n - 1) || '","name":"' ||
+    substr(type, 11) || '","input":' || content || '}' WHEN type = 'system' THEN '{"type":"text","text":' ||
+    to_json('[System context]' || chr(10) || content) || '}' ELSE '{"type":"text","text":' || to_json(content) || '}'
+    END || '],"model":"unknown-model"}}' END AS line FROM ev
     UNION ALL SELECT DISTINCT session_id, 0, '{"type":"header",' || {_OWN} || ',"version":"1.0.0"}' FROM ev
-    UNION ALL SELECT session_id, CAST(max(n) + 1 AS INTEGER), '{"type":"custom-title","customTitle":"Title ' || conv_id || '",' || {_OWN} || '}' FROM ev WHERE conv_id % 3 = 0 GROUP BY session_id, conv_id""".replace("{_EVENTS}", _EVENTS).replace("{_OWN}", _OWN))
+    UNION ALL SELECT session_id, CAST(max(n) + 1 AS INTEGER),
+    '{"type":"custom-title","customTitle":"Title ' || conv_id || '",' || {_OWN} || '}' FROM ev WHERE conv_id % 3 = 0
+    GROUP BY session_id, conv_id""".replace("{_EVENTS}", _EVENTS).replace("{_OWN}", _OWN))
 def native_jsonl_lines(spark, sf_dir):
     events = N.canonical_events(N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id"))
     titles = V.table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(
@@ -148,7 +176,9 @@ def native_jsonl_lines(spark, sf_dir):
 
 @register(
     "external_summary",
-    f"WITH {_EVENTS} SELECT session_id, count(*) AS events, count(*) FILTER (type = 'user') AS user_events, count(*) FILTER (starts_with(type, 'tool_call')) AS tool_calls, regexp_replace(arg_max(type, n), ':.*', '') AS last_type FROM ev GROUP BY session_id"
+    f"""WITH {_EVENTS} SELECT session_id, count(*) AS events, count(*) FILTER (type = 'user') AS user_events,
+        count(*) FILTER (starts_with(type, 'tool_call')) AS tool_calls, regexp_replace(arg_max(type, n), ':.*',
+        '') AS last_type FROM ev GROUP BY session_id"""
 )
 def external_summary(spark, sf_dir):
     return N.events_summary(N.canonical_events(N.project_messages(_records(spark, sf_dir)).withColumnRenamed("file", "session_id")))
@@ -159,7 +189,12 @@ _ROLLOUT = "0a1b2c3d-0000-4000-8000-"
 
 @register(
     "rollout_events",
-    "SELECT '{_ROLLOUT}' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CASE turn % 5 WHEN 4 THEN 'thinking' WHEN 3 THEN 'tool_result' WHEN 2 THEN 'tool_call' ELSE role END AS type, CASE turn % 5 WHEN 2 THEN '{\"t\":' || turn || '}' ELSE text END AS content, CASE WHEN turn % 5 = 2 THEN 'run' END AS tool_name FROM conversations WHERE trim(text) <> '' OR turn % 5 IN (2, 3)".replace("{_ROLLOUT}", _ROLLOUT)
+    """SELECT '{_ROLLOUT}' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS session_id,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+        CASE turn % 5 WHEN 4 THEN 'thinking' WHEN 3 THEN 'tool_result' WHEN 2 THEN 'tool_call' ELSE role END AS type,
+        CASE turn % 5 WHEN 2 THEN '{\"t\":' || turn || '}' ELSE text END AS content,
+        CASE WHEN turn % 5 = 2 THEN 'run' END AS tool_name FROM conversations
+        WHERE trim(text) <> '' OR turn % 5 IN (2, 3)""".replace("{_ROLLOUT}", _ROLLOUT)
 )
 def rollout_events(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
@@ -192,7 +227,12 @@ def rollout_events(spark, sf_dir):
 
 @register(
     "rollout_records_parse",
-    "SELECT 'r' || conv_id AS file, CASE WHEN turn % 5 = 4 THEN 'thinking' WHEN role = 'system' THEN 'system' ELSE role END AS role, CASE WHEN turn % 5 = 4 THEN 'short: ' || turn ELSE trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num FROM conversations WHERE turn % 5 = 4 OR trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND turn % 7 <> 6"
+    """SELECT 'r' || conv_id AS file, CASE WHEN turn % 5 = 4 THEN 'thinking' WHEN role = 'system' THEN 'system' ELSE
+        role END AS role, CASE WHEN turn % 5 = 4 THEN 'short: ' || turn ELSE trim(text,
+        chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS content,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num FROM conversations
+        WHERE turn % 5 = 4 OR trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND turn % 7
+        <> 6"""
 )
 def rollout_records_parse(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
@@ -219,8 +259,12 @@ def rollout_records_parse(spark, sf_dir):
     ).select("file", "role", "content", "sequence_num")
 
 
-@register("tool_call_pairing", """SELECT user_id, call_ord, arguments, output FROM (SELECT c.user_id, c.event_id AS call_ord, c.props AS arguments, (SELECT arg_max(o.props, o.event_id) FROM events o WHERE o.user_id = c.user_id AND o.event_type = 'purchase' AND o.event_id > c.event_id AND o.event_id < coalesce(c.next, 9223372036854775807)) AS output
-    FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events WHERE event_type = 'view') c)""")
+@register("tool_call_pairing", """SELECT user_id, call_ord, arguments, output
+    FROM (SELECT c.user_id, c.event_id AS call_ord, c.props AS arguments, (SELECT arg_max(o.props, o.event_id)
+    FROM events o WHERE o.user_id = c.user_id AND o.event_type = 'purchase' AND o.event_id > c.event_id AND o.event_id <
+    coalesce(c.next, 9223372036854775807)) AS output
+    FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events
+    WHERE event_type = 'view') c)""")
 def tool_call_pairing(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')")
     kind = F.when(F.col("event_type") == "view", "function_call").otherwise("function_call_output")
@@ -238,7 +282,10 @@ def tool_call_pairing(spark, sf_dir):
 
 @register(
     "subagent_provenance",
-    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent:thread_spawn' WHEN 2 THEN 'subagent' END AS thread_source, turn % 4 <> 0 AS is_subagent, CASE turn % 4 WHEN 1 THEN 'p' || conv_id WHEN 2 THEN 'q' || conv_id END AS parent_thread_id, CASE WHEN turn % 4 = 1 THEN CAST(turn AS VARCHAR) END AS subagent_depth FROM conversations"""
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent:thread_spawn' WHEN 2 THEN 'subagent'
+        END AS thread_source, turn % 4 <> 0 AS is_subagent,
+        CASE turn % 4 WHEN 1 THEN 'p' || conv_id WHEN 2 THEN 'q' || conv_id END AS parent_thread_id,
+        CASE WHEN turn % 4 = 1 THEN CAST(turn AS VARCHAR) END AS subagent_depth FROM conversations"""
 )
 def subagent_provenance(spark, sf_dir):
     n, k = F.col("conv_id").cast("string"), F.col("turn") % 4
@@ -262,12 +309,17 @@ def subagent_provenance(spark, sf_dir):
     )
 
 
-_TITLE_CASES = """t AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN '<command-name>x</command-name><command-args> go  ' || conv_id || ' </command-args>' WHEN 2 THEN '<command-message>only</command-message>' WHEN 3 THEN '# AGENTS.md instructions for ' || conv_id ELSE ' ' || text END AS text, turn % 6 = 5 AS meta FROM conversations)"""
+_TITLE_CASES = """t AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN
+    '<command-name>x</command-name><command-args> go  ' || conv_id || ' </command-args>' WHEN 2 THEN
+    '<command-message>only</command-message>' WHEN 3 THEN '# AGENTS.md instructions for ' || conv_id ELSE ' ' || text
+    END AS text, turn % 6 = 5 AS meta FROM conversations)"""
 
 
 @register(
     "title_rules",
-    f"WITH {_TITLE_CASES} SELECT conv_id, turn, CASE WHEN meta THEN NULL ELSE CASE turn % 5 WHEN 1 THEN 'go ' || conv_id WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE nullif(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120), '') END END AS title FROM t"
+    f"""WITH {_TITLE_CASES} SELECT conv_id, turn,
+        CASE WHEN meta THEN NULL ELSE CASE turn % 5 WHEN 1 THEN 'go ' || conv_id WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE
+        nullif(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120), '') END END AS title FROM t"""
 )
 def title_rules(spark, sf_dir):
     from ..functions import text as T
@@ -305,7 +357,9 @@ def title_overlay(spark, sf_dir):
 
 @register(
     "import_validation",
-    """SELECT conv_id, turn, CASE WHEN turn % 6 = 1 THEN 'unknown_source' WHEN turn % 6 = 2 THEN 'missing_source_id' WHEN turn % 6 = 3 THEN 'invalid_role' WHEN turn % 6 = 4 THEN 'missing_tool_name' WHEN turn % 6 = 5 THEN 'invalid_status' END AS error FROM conversations"""
+    """SELECT conv_id, turn, CASE WHEN turn % 6 = 1 THEN 'unknown_source' WHEN turn % 6 = 2 THEN 'missing_source_id'
+        WHEN turn % 6 = 3 THEN 'invalid_role' WHEN turn % 6 = 4 THEN 'missing_tool_name' WHEN turn % 6 = 5 THEN
+        'invalid_status' END AS error FROM conversations"""
 )
 def import_validation(spark, sf_dir):
     k = F.col("turn") % 6
@@ -328,7 +382,9 @@ def content_digest(spark, sf_dir):
 
 @register(
     "project_path_resolution",
-    "SELECT source AS folder, CASE WHEN min(k) = 0 THEN '/index/' || source WHEN min(k) = 1 THEN '/cwd/' || min(doc_id) ELSE '/w/' || source END AS path FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) % 3 AS k FROM documents) GROUP BY source"
+    """SELECT source AS folder, CASE WHEN min(k) = 0 THEN '/index/' || source WHEN min(k) = 1 THEN '/cwd/' ||
+        min(doc_id) ELSE '/w/' || source END AS path FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) % 3 AS k
+        FROM documents) GROUP BY source"""
 )
 def project_path_resolution(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").withColumn(
@@ -348,7 +404,8 @@ def project_path_resolution(spark, sf_dir):
 
 @register(
     "malformed_accounting",
-    "SELECT source AS file, count(*) AS records, count(*) FILTER (doc_id % 9 = 4) AS malformed, arg_max(doc_id % 9 = 4, doc_id) AS incomplete_tail FROM documents GROUP BY source"
+    """SELECT source AS file, count(*) AS records, count(*) FILTER (doc_id % 9 = 4) AS malformed,
+        arg_max(doc_id % 9 = 4, doc_id) AS incomplete_tail FROM documents GROUP BY source"""
 )
 def malformed_accounting(spark, sf_dir):
     whole = F.to_json(F.struct("doc_id"))
@@ -362,7 +419,9 @@ def malformed_accounting(spark, sf_dir):
 
 @register(
     "logs_array_transcripts",
-    "SELECT '/g/' || conv_id % 10 || '/logs.json' AS file, CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, trim(text) AS content FROM conversations"
+    """SELECT '/g/' || conv_id % 10 || '/logs.json' AS file, CAST(conv_id AS VARCHAR) AS session_id,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence_num, role, trim(text) AS content
+        FROM conversations"""
 )
 def logs_array_transcripts(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations")
@@ -378,8 +437,14 @@ def logs_array_transcripts(spark, sf_dir):
     return N.log_transcripts(files).select("file", "session_id", "sequence_num", "role", "content")
 
 
-_PANES = """p AS (SELECT event_id, 'box-' || user_id % 9 || CASE WHEN event_id % 4 = 0 THEN '-' || user_id % 5 ELSE '' END AS session, user_id % 4 AS window_index, event_id % 3 AS pane_index, CASE event_type WHEN 'click' THEN 'agent' WHEN 'view' THEN 'bash' ELSE 'sh' END AS command, event_type = 'error' AS pane_dead,
-    CASE event_id % 6 WHEN 0 THEN 'x' || chr(10) || 'Goal blocked' WHEN 1 THEN 'Working (3s)' || chr(10) WHEN 2 THEN 'goal achieved' || chr(10) || '   ' WHEN 3 THEN 'waiting for approval' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' WHEN 4 THEN 'plain' ELSE 'calling tool' || chr(10) || 'b' END AS captured_text, 'm' || user_id % 3 AS machine, '/w/kit-Lib' || user_id % 3 || '/src' AS cwd FROM events)"""
+_PANES = """p AS (SELECT event_id, 'box-' || user_id % 9 || CASE WHEN event_id % 4 = 0 THEN '-' || user_id % 5 ELSE ''
+    END AS session, user_id % 4 AS window_index, event_id % 3 AS pane_index,
+    CASE event_type WHEN 'click' THEN 'agent' WHEN 'view' THEN 'bash' ELSE 'sh' END AS command,
+    event_type = 'error' AS pane_dead,
+    CASE event_id % 6 WHEN 0 THEN 'x' || chr(10) || 'Goal blocked' WHEN 1 THEN 'Working (3s)' || chr(10) WHEN 2 THEN
+    'goal achieved' || chr(10) || '   ' WHEN 3 THEN 'waiting for approval' || chr(10) || 'a' || chr(10) || 'b' ||
+    chr(10) || 'c' WHEN 4 THEN 'plain' ELSE 'calling tool' || chr(10) || 'b' END AS captured_text,
+    'm' || user_id % 3 AS machine, '/w/kit-Lib' || user_id % 3 || '/src' AS cwd FROM events)"""
 
 
 def _panes(spark, sf_dir):
@@ -425,7 +490,8 @@ _STATUS = "CASE WHEN pane_dead THEN 'dead' ELSE CASE event_id % 6 WHEN 0 THEN 'n
 
 @register(
     "pane_status",
-    f"WITH {_PANES} SELECT event_id, {_STATUS} AS status, '/w/kit-Lib' || right(cwd[1:length(cwd) - 4], 1) AS path, 'kit-lib' || right(cwd[1:length(cwd) - 4], 1) AS slug FROM p"
+    f"""WITH {_PANES} SELECT event_id, {_STATUS} AS status, '/w/kit-Lib' || right(cwd[1:length(cwd) - 4], 1) AS path,
+        'kit-lib' || right(cwd[1:length(cwd) - 4], 1) AS slug FROM p"""
 )
 def pane_status(spark, sf_dir):
     path, slug = P.project_of(F.col("cwd"), F.col("session"), "kit-")
@@ -440,15 +506,25 @@ def pane_summary(spark, sf_dir):
     return P.fleet_summary(P.classified(_panes(spark, sf_dir)))
 
 
-@register("pane_crash_candidates", f"""WITH {_PANES}, q AS (SELECT *, regexp_replace(regexp_replace(session, '[-_.]?\\d+$', ''), '[-_.]+$', '') AS prefix FROM p), alive AS (SELECT DISTINCT prefix, session FROM q WHERE NOT pane_dead AND command = 'agent' AND prefix <> session AND prefix <> '')
-    SELECT session, window_index, status FROM (SELECT *, row_number() OVER (PARTITION BY session, window_index ORDER BY status = 'dead' DESC) AS n FROM (SELECT session, window_index, CASE WHEN pane_dead THEN 'dead' WHEN command IN ('bash', 'sh') THEN 'crashed' END AS status FROM q WHERE EXISTS (FROM alive a WHERE a.prefix = q.prefix AND a.session <> q.session)) WHERE status IS NOT NULL) WHERE n = 1""")
+@register("pane_crash_candidates", f"""WITH {_PANES}, q AS (SELECT *, regexp_replace(regexp_replace(session,
+    '[-_.]?\\d+$', ''), '[-_.]+$', '') AS prefix FROM p), alive AS (SELECT DISTINCT prefix, session FROM q
+    WHERE NOT pane_dead AND command = 'agent' AND prefix <> session AND prefix <> '')
+    SELECT session, window_index, status FROM (SELECT *, row_number() OVER (PARTITION BY session,
+    window_index ORDER BY status = 'dead' DESC) AS n
+    FROM (SELECT session, window_index, CASE WHEN pane_dead THEN 'dead' WHEN command IN ('bash',
+    'sh') THEN 'crashed' END AS status FROM q WHERE EXISTS (FROM alive a
+    WHERE a.prefix = q.prefix AND a.session <> q.session)) WHERE status IS NOT NULL) WHERE n = 1""")
 def pane_crash_candidates(spark, sf_dir):
     return P.crash_candidates(_panes(spark, sf_dir)).select("session", "window_index", "status")
 
 
 @register(
     "stream_ingest_equals_batch",
-    "SELECT custkey, messages, tool_calls, mtime, path FROM (SELECT o_custkey AS custkey, o_orderkey % 7 AS messages, o_orderkey % 5 AS tool_calls, o_orderkey % 11 AS mtime, 'p' || o_orderkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 + o_orderkey % 5 DESC, o_orderkey % 7 DESC, o_orderkey % 11 DESC, 'p' || o_orderkey DESC) AS n FROM orders) WHERE n = 1"
+    """SELECT custkey, messages, tool_calls, mtime, path
+        FROM (SELECT o_custkey AS custkey, o_orderkey % 7 AS messages, o_orderkey % 5 AS tool_calls,
+        o_orderkey % 11 AS mtime, 'p' || o_orderkey AS path,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 + o_orderkey % 5 DESC, o_orderkey % 7 DESC,
+        o_orderkey % 11 DESC, 'p' || o_orderkey DESC) AS n FROM orders) WHERE n = 1"""
 )
 def stream_ingest_equals_batch(spark, sf_dir):
     """The orders as snapshots in three drops, streamed file by file into a bucketed table."""

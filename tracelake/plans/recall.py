@@ -20,14 +20,21 @@ _TERMS = """list_filter(list_filter(regexp_extract_all(replace(replace(lower(que
 
 
 def _terms_cte(queries: str) -> str:
-    return f"{_STOPS}, raw_terms AS (SELECT query_id, query, {_TERMS} AS raw FROM {queries}, stops), terms AS (SELECT query_id, query, list_filter(raw, lambda t, i: list_position(raw, t) = i) AS terms FROM raw_terms)"
+    return f"""{_STOPS}, raw_terms AS (SELECT query_id, query, {_TERMS} AS raw FROM {queries}, stops),
+        terms AS (SELECT query_id, query, list_filter(raw, lambda t, i: list_position(raw, t) = i) AS terms
+        FROM raw_terms)"""
 
 
-_VARIANTS = """items AS (SELECT query_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS compact, terms[1:8] AS terms FROM terms),
-  many AS (SELECT query_id, 1 AS n, compact AS text, 'original' AS label, CASE WHEN len(terms) > 0 THEN 0.8 ELSE 1.0 END AS weight FROM items WHERE compact <> '' AND len(terms) > 0
-    UNION ALL SELECT query_id, 2, array_to_string(terms, ' '), 'terms', 1.15 FROM items WHERE len(terms) > 0 AND lower(array_to_string(terms, ' ')) <> lower(compact)
-    UNION ALL SELECT query_id, 2 + i, terms[i], 'term:' || terms[i], 0.28 FROM items, unnest(range(1, len(terms) + 1)) AS r(i)),
-  variants AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY n) AS f FROM many) WHERE f = 1)"""
+_VARIANTS = """items AS (SELECT query_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS compact, terms[1:8] AS terms
+    FROM terms),
+  many AS (SELECT query_id, 1 AS n, compact AS text, 'original' AS label,
+    CASE WHEN len(terms) > 0 THEN 0.8 ELSE 1.0 END AS weight FROM items WHERE compact <> '' AND len(terms) > 0
+    UNION ALL SELECT query_id, 2, array_to_string(terms, ' '), 'terms', 1.15 FROM items
+    WHERE len(terms) > 0 AND lower(array_to_string(terms, ' ')) <> lower(compact)
+    UNION ALL SELECT query_id, 2 + i, terms[i], 'term:' || terms[i], 0.28
+    FROM items, unnest(range(1, len(terms) + 1)) AS r(i)),
+  variants AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY n) AS f
+    FROM many) WHERE f = 1)"""
 
 
 @register(
@@ -42,9 +49,19 @@ def query_variants(spark, sf_dir):
     return R.query_variants(V.queries(spark, sf_dir)).select("query_id", "text", "label", "weight")
 
 
-_META = """meta AS (SELECT query_id, session_id, snippet, pos FROM (SELECT q.query_id, s.id AS session_id, concat_ws('; ', 'source ' || source, 'project ' || project_name, 'path ' || project_path, 'model ' || model, CASE WHEN title <> '' THEN 'title ' || title END) AS snippet,
-  row_number() OVER (PARTITION BY q.query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos FROM v_transcripts s JOIN (SELECT query_id, needles[1:8] AS needles FROM (SELECT query_id, list_filter(list_filter(list_append(terms, lower(trim(query))), lambda t, i: list_position(list_append(terms, lower(trim(query))), t) = i), lambda t: length(t) >= 2) AS needles FROM terms)) q
-  ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')), n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')), n) OR contains(lower(coalesce(model, '')), n) OR contains(lower(coalesce(model_provider, '')), n) OR contains(lower(coalesce(git_branch, '')), n) OR contains(lower(coalesce(git_sha, '')), n) OR contains(lower(coalesce(git_origin_url, '')), n))) > 0) WHERE pos <= 20)"""
+_META = """meta AS (SELECT query_id, session_id, snippet, pos
+    FROM (SELECT q.query_id, s.id AS session_id, concat_ws('; ', 'source ' || source, 'project ' || project_name,
+    'path ' || project_path, 'model ' || model, CASE WHEN title <> '' THEN 'title ' || title END) AS snippet,
+  row_number() OVER (PARTITION BY q.query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos FROM v_transcripts s
+    JOIN (SELECT query_id, needles[1:8] AS needles
+    FROM (SELECT query_id, list_filter(list_filter(list_append(terms, lower(trim(query))), lambda t,
+    i: list_position(list_append(terms, lower(trim(query))), t) = i), lambda t: length(t) >= 2) AS needles
+    FROM terms)) q
+  ON len(list_filter(needles, lambda n: contains(lower(coalesce(source, '')), n) OR contains(lower(coalesce(title, '')),
+    n) OR contains(lower(coalesce(project_name, '')), n) OR contains(lower(coalesce(project_path, '')),
+    n) OR contains(lower(coalesce(model, '')), n) OR contains(lower(coalesce(model_provider, '')),
+    n) OR contains(lower(coalesce(git_branch, '')), n) OR contains(lower(coalesce(git_sha, '')),
+    n) OR contains(lower(coalesce(git_origin_url, '')), n))) > 0) WHERE pos <= 20)"""
 
 
 @register(
@@ -60,25 +77,43 @@ def metadata_hits(spark, sf_dir):
 
 
 def _best(hits: str, keys: str, weight: float, kind: str) -> str:
-    return f"""SELECT query_id, session_id, '{kind}' AS kind, {weight} * weight / pos AS score FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY variant, rank, started_at DESC, doc) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qk, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n FROM
+    return f"""SELECT query_id, session_id, '{kind}' AS kind, {weight} * weight / pos AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY variant, rank, started_at DESC, doc) AS pos
+        FROM (SELECT *, row_number() OVER (PARTITION BY qk, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n
+        FROM
     (SELECT h.query_id AS qk, v.query_id, v.weight, h.variant, h.doc, h.rank, {hits}) ) WHERE n = 1) WHERE pos <= 20"""
 
 
-_SIGNALS = f"""{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_VARIANTS}, asked AS (SELECT query_id * 100 + n AS query_id, text AS query FROM variants), keyed AS (SELECT query_id * 100 + n AS qk, query_id, weight FROM variants),
-  m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 'asked', 'm_')}, {bm25_sql('s_docs', 'asked', 's_')}, {bm25_sql('t_docs', 'asked', 't_')}, {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')}, {_META},
+_SIGNALS = f"""{_SESSION_QUERIES}, {_terms_cte('s_queries')}, {_VARIANTS},
+    asked AS (SELECT query_id * 100 + n AS query_id, text AS query FROM variants),
+    keyed AS (SELECT query_id * 100 + n AS qk, query_id, weight FROM variants),
+  m_docs AS (SELECT id AS doc, content AS text
+    FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 'asked', 'm_')},
+    {bm25_sql('s_docs', 'asked', 's_')}, {bm25_sql('t_docs', 'asked', 't_')},
+    {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')}, {_META},
   found AS ({_best("m.session_id, s.started_at FROM m_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_messages m ON m.id = h.doc JOIN v_transcripts s ON s.id = m.session_id", "session_id", 5.0, "message")}
     UNION ALL {_best("h.doc AS session_id, s.started_at FROM s_ranked h JOIN keyed v ON v.qk = h.query_id JOIN v_transcripts s ON s.id = h.doc", "session_id", 3.25, "session")}
     UNION ALL {_best("d.session_id, d.tool_name, b.snippet, s.started_at FROM t_ranked h JOIN t_best b USING (query_id, variant, doc) JOIN keyed v ON v.qk = h.query_id JOIN t_docs d ON d.doc = h.doc JOIN v_transcripts s ON s.id = d.session_id", "session_id, tool_name, snippet", 4.5, "tool_call")}
     UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta),
-  vague AS (SELECT query_id FROM terms WHERE (len(terms) = 0 OR regexp_matches(query, '(?i)\\b(resume|continue|pick up|where did we leave|building this|this thing)\\b')) AND query_id NOT IN (SELECT query_id FROM found)),
-  latest AS (SELECT id AS session_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id) AS pos FROM v_transcripts QUALIFY pos <= 20),
-  signals AS (SELECT query_id, session_id, kind, sum(score) AS score FROM (SELECT * FROM found UNION ALL SELECT query_id, session_id, 'recent', 0.75 / pos FROM vague, latest) GROUP BY ALL)"""
+  vague AS (SELECT query_id FROM terms WHERE (len(terms) = 0 OR regexp_matches(query,
+    '(?i)\\b(resume|continue|pick up|where did we leave|building this|this thing)\\b')) AND query_id NOT IN (SELECT
+    query_id FROM found)),
+  latest AS (SELECT id AS session_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id) AS pos
+    FROM v_transcripts QUALIFY pos <= 20),
+  signals AS (SELECT query_id, session_id, kind, sum(score) AS score FROM (SELECT * FROM found
+    UNION ALL SELECT query_id, session_id, 'recent', 0.75 / pos FROM vague, latest) GROUP BY ALL)"""
 
 
 #: As _SIGNALS, with the semantic signal: vectors are those of first messages and of the questions' numbers.
-_SEMANTIC_SIGNALS = _SIGNALS.replace("UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta)", """UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta
-    UNION ALL SELECT query_id, session_id, 'semantic', 3.75 * greatest(0.05, cosine + 1e-7) FROM close)""").replace("  found AS (", f"""  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
-  close AS (SELECT query_id, session_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 40),
+_SEMANTIC_SIGNALS = _SIGNALS.replace("UNION ALL SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta)", """UNION ALL
+    SELECT query_id, session_id, 'graph', 2.25 / pos FROM meta
+    UNION ALL SELECT query_id, session_id, 'semantic', 3.75 * greatest(0.05, cosine + 1e-7) FROM close)""").replace("  found AS (", f"""  pairs
+        AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a
+        JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
+  close AS (SELECT query_id, session_id, cosine
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n
+        FROM pairs) WHERE n = 1) WHERE pos <= 40),
   found AS (""", 1)
 
 
@@ -102,15 +137,26 @@ def _semantic(spark, sf_dir):
     return R.semantic_hits(vectors, questions, limit=40)
 
 
-@register("semantic_hits", with_views("SELECT query_id, session_id, message_id, cosine, pos, left(trim(regexp_replace(content, '\\s+', ' ', 'g')), 200) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 40", "v_transcripts", "v_messages",
-    ctes=f"{_SESSION_QUERIES}, pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, left(m.content, 2000) AS content, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0')"))
+@register("semantic_hits", with_views("""SELECT query_id, session_id, message_id, cosine, pos,
+    left(trim(regexp_replace(content, '\\s+', ' ', 'g')), 200) AS snippet
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n
+    FROM pairs) WHERE n = 1) WHERE pos <= 40""", "v_transcripts", "v_messages",
+    ctes=f"""{_SESSION_QUERIES}, pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, left(m.content,
+        2000) AS content, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e
+        JOIN v_messages m ON m.id = e.vec_id || ':0')"""))
 def semantic_hits(spark, sf_dir):
     """The nearest transcripts of each question, over packed vectors, with the text of the chunk."""
     return _semantic(spark, sf_dir)
 
 
-@register("recall_semantic", with_views("""SELECT query_id, session_id, score, rank, signals FROM (SELECT t.query_id, t.session_id, t.score, t.signals, row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST, t.session_id) AS rank FROM
-    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind, ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", "v_transcripts", "v_messages", "v_tool_calls", ctes=_SEMANTIC_SIGNALS))
+@register("recall_semantic", with_views("""SELECT query_id, session_id, score, rank, signals
+    FROM (SELECT t.query_id, t.session_id, t.score, t.signals,
+    row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST,
+    t.session_id) AS rank FROM
+    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind,
+    ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t
+    JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", "v_transcripts", "v_messages", "v_tool_calls", ctes=_SEMANTIC_SIGNALS))
 def recall_semantic(spark, sf_dir):
     """Recall fed with all of its signals, the semantic one among them."""
     # cosines have six decimals; beyond them no score lies halfway between two of four
@@ -154,7 +200,8 @@ _ALL = ("v_transcripts", "v_messages", "v_tool_calls")
 @register(
     "recall_signals",
     with_views(
-        "SELECT query_id, kind, count(*) AS transcripts, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals GROUP BY query_id, kind",
+        """SELECT query_id, kind, count(*) AS transcripts, round(CAST(sum(score) AS DOUBLE), 6) AS score FROM signals
+            GROUP BY query_id, kind""",
         *_ALL,
         ctes=_SIGNALS
     )
@@ -166,8 +213,13 @@ def recall_signals(spark, sf_dir):
     )
 
 
-@register("recall", with_views("""SELECT query_id, session_id, score, rank, signals FROM (SELECT t.query_id, t.session_id, t.score, t.signals, row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST, t.session_id) AS rank FROM
-    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind, ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", *_ALL, ctes=_SIGNALS))
+@register("recall", with_views("""SELECT query_id, session_id, score, rank, signals
+    FROM (SELECT t.query_id, t.session_id, t.score, t.signals,
+    row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, s.started_at DESC NULLS LAST,
+    t.session_id) AS rank FROM
+    (SELECT query_id, session_id, round(CAST(sum(score) AS DOUBLE), 4) AS score, string_agg(kind,
+    ',' ORDER BY -round(score, 6), kind) AS signals FROM signals GROUP BY query_id, session_id) t
+    JOIN v_transcripts s ON s.id = t.session_id) WHERE rank <= 10""", *_ALL, ctes=_SIGNALS))
 def recall(spark, sf_dir):
     return R.recall(_signals(spark, sf_dir), V.transcripts(spark, sf_dir))
 
@@ -180,14 +232,25 @@ def _tool_wanted(spark, sf_dir):
     )
 
 
-@register("matching_tools", with_views("""SELECT query_id, session_id, id, pos, input_preview FROM (SELECT query_id, w.session_id, c.id, tool_input AS input_preview, row_number() OVER (PARTITION BY query_id, w.session_id ORDER BY timestamp, length(c.id), c.id) AS pos FROM v_tool_calls c JOIN
-    (SELECT CAST(id AS BIGINT) % 5 AS query_id, id AS session_id, 'click ' || (CAST(id AS BIGINT) % 100) AS query FROM v_transcripts) w ON w.session_id = c.session_id WHERE contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), query) OR contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), 'click')) WHERE pos <= 8""", "v_transcripts", "v_tool_calls"))
+@register("matching_tools", with_views("""SELECT query_id, session_id, id, pos, input_preview
+    FROM (SELECT query_id, w.session_id, c.id, tool_input AS input_preview, row_number() OVER (PARTITION BY query_id,
+    w.session_id ORDER BY timestamp, length(c.id), c.id) AS pos FROM v_tool_calls c JOIN
+    (SELECT CAST(id AS BIGINT) % 5 AS query_id, id AS session_id, 'click ' || (CAST(id AS BIGINT) % 100) AS query
+    FROM v_transcripts) w ON w.session_id = c.session_id
+    WHERE contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)),
+    query) OR contains(lower(concat_ws(chr(10), tool_name, tool_input, tool_output)), 'click')) WHERE pos <= 8""", "v_transcripts", "v_tool_calls"))
 def matching_tools(spark, sf_dir):
     return R.matching_tools(V.tool_calls(spark, sf_dir), _tool_wanted(spark, sf_dir))
 
 
-@register("recall_evidence", with_views("""SELECT session_id, kind, snippet, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'tool_call' THEN 1 ELSE 3 END, score DESC, snippet) AS pos FROM
-    (SELECT session_id, kind, snippet, max(score) AS score FROM (SELECT session_id, 'message' AS kind, left(content, 40) AS snippet, CAST(sequence_num AS DOUBLE) AS score FROM v_messages UNION ALL SELECT session_id, 'tool_call', tool_name, duration FROM v_tool_calls UNION ALL SELECT id, 'session', title, 1.0 FROM v_transcripts) WHERE trim(snippet) <> '' GROUP BY ALL)) WHERE pos <= 8""", *_ALL))
+@register("recall_evidence", with_views("""SELECT session_id, kind, snippet, score, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'tool_call'
+    THEN 1 ELSE 3 END, score DESC, snippet) AS pos FROM
+    (SELECT session_id, kind, snippet, max(score) AS score
+    FROM (SELECT session_id, 'message' AS kind, left(content, 40) AS snippet, CAST(sequence_num AS DOUBLE) AS score
+    FROM v_messages UNION ALL SELECT session_id, 'tool_call', tool_name, duration FROM v_tool_calls
+    UNION ALL SELECT id, 'session', title, 1.0 FROM v_transcripts) WHERE trim(snippet) <> '' GROUP BY ALL))
+    WHERE pos <= 8""", *_ALL))
 def recall_evidence(spark, sf_dir):
     kinds = [
         V.messages(spark, sf_dir).select(
@@ -217,17 +280,32 @@ def recall_evidence(spark, sf_dir):
     return R.evidence(items).select("session_id", "kind", "snippet", "score", "pos")
 
 
-@register("recall_context", with_views(f"""SELECT session_id, id, hit, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hit DESC, sequence_num, id) AS pos, max(CAST(hit AS INTEGER)) OVER (PARTITION BY session_id) AS any_hit FROM
-    (SELECT m.*, len(list_intersect(list_filter(string_split_regex(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) > 0 AS hit FROM v_messages m JOIN terms t ON CAST(t.query_id AS VARCHAR) = m.session_id)) WHERE (hit AND pos <= 24) OR (any_hit = 0 AND pos <= 12)""",
+@register("recall_context", with_views(f"""SELECT session_id, id, hit, pos FROM (SELECT *,
+    row_number() OVER (PARTITION BY session_id ORDER BY hit DESC, sequence_num, id) AS pos,
+    max(CAST(hit AS INTEGER)) OVER (PARTITION BY session_id) AS any_hit FROM
+    (SELECT m.*, len(list_intersect(list_filter(string_split_regex(strip_accents(lower(content)),
+    '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '),
+    '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) > 0 AS hit FROM v_messages m
+    JOIN terms t ON CAST(t.query_id AS VARCHAR) = m.session_id))
+    WHERE (hit AND pos <= 24) OR (any_hit = 0 AND pos <= 12)""",
     "v_transcripts", "v_messages", ctes=f"{_SESSION_QUERIES}, {_terms_cte('s_queries')}"))
 def recall_context(spark, sf_dir):
     wanted = _session_queries(spark, sf_dir).withColumn("session_id", F.col("query_id").cast("string"))
     return R.session_context(V.messages(spark, sf_dir), wanted).select("session_id", "id", "hit", "pos")
 
 
-@register("recall_tools", with_views(f"""SELECT session_id, id, held > 0 AS hit, pos FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY held DESC, coalesce(timestamp, '') DESC, id) AS pos FROM (SELECT *, count(*) FILTER (held > 0) OVER (PARTITION BY session_id) AS hits, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, '') DESC, id) AS nth FROM
-    (SELECT c.session_id, c.id, c.timestamp, len(list_distinct(list_intersect(list_filter(string_split_regex(strip_accents(lower(concat_ws(' ', tool_name, tool_input, tool_output))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))) AS held FROM v_tool_calls c JOIN terms t ON CAST(t.query_id AS VARCHAR) = c.session_id)) WHERE held > 0 OR (hits < 12 AND nth <= 12)) WHERE pos <= 64""",
-    "v_tool_calls", ctes=f"c_queries AS (SELECT c_custkey AS query_id, ['click 5', 'signup error', 'nothing here', '87 view'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS query FROM customer), {_terms_cte('c_queries')}"))
+@register("recall_tools", with_views(f"""SELECT session_id, id, held > 0 AS hit, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY held DESC, coalesce(timestamp, '') DESC,
+    id) AS pos FROM (SELECT *, count(*) FILTER (held > 0) OVER (PARTITION BY session_id) AS hits,
+    row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, '') DESC, id) AS nth FROM
+    (SELECT c.session_id, c.id, c.timestamp,
+    len(list_distinct(list_intersect(list_filter(string_split_regex(strip_accents(lower(concat_ws(' ', tool_name,
+    tool_input, tool_output))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''),
+    list_filter(string_split_regex(array_to_string(t.terms[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda x: x <> '')))) AS held FROM v_tool_calls c JOIN terms t ON CAST(t.query_id AS VARCHAR) = c.session_id))
+    WHERE held > 0 OR (hits < 12 AND nth <= 12)) WHERE pos <= 64""",
+    "v_tool_calls", ctes=f"""c_queries AS (SELECT c_custkey AS query_id, ['click 5', 'signup error', 'nothing here',
+        '87 view'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS query FROM customer), {_terms_cte('c_queries')}"""))
 def recall_tools(spark, sf_dir):
     k = F.col("c_custkey")
     query = F.get(F.array(*[F.lit(x) for x in ("click 5", "signup error", "nothing here", "87 view")]), (k % 4).cast("int"))
@@ -238,7 +316,11 @@ def recall_tools(spark, sf_dir):
 @register(
     "resume_metadata",
     with_views(
-        """SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command, CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN 'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS cmd FROM v_transcripts)""",
+        """SELECT id, cmd IS NOT NULL AS available, cmd AS shell_command,
+            CASE WHEN cmd IS NULL THEN 'no resume command for ' || source END AS reason
+            FROM (SELECT id, source, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'run ' || id WHEN source = 'project' THEN
+            'agent --resume ' || source_id WHEN source = 'logs' THEN 'agent --resume ''' || source_id || ' x''' END AS
+            cmd FROM v_transcripts)""",
         "v_transcripts"
     )
 )
@@ -255,8 +337,11 @@ def resume_metadata(spark, sf_dir):
     return R.resume(s, {"project": "agent", "logs": "agent"})
 
 
-@register("recall_reason", with_views("""SELECT id, CASE WHEN line <> '' THEN line ELSE 'matched recall signals' END AS reason FROM (SELECT id, concat_ws('; ', CASE WHEN tool_call_count > 0 THEN 'matched message, tool call' END,
-    CASE WHEN tool_call_count > 0 THEN tool_call_count || ' matching tool call' || CASE WHEN tool_call_count = 1 THEN '' ELSE 's' END END, CASE WHEN title <> '' THEN 'top evidence: ' || substr(title, 1, 140) END) AS line FROM v_transcripts)""", "v_transcripts"))
+@register("recall_reason", with_views("""SELECT id, CASE WHEN line <> '' THEN line ELSE 'matched recall signals' END AS
+    reason FROM (SELECT id, concat_ws('; ', CASE WHEN tool_call_count > 0 THEN 'matched message, tool call' END,
+    CASE WHEN tool_call_count > 0 THEN tool_call_count || ' matching tool call' || CASE WHEN tool_call_count = 1 THEN ''
+    ELSE 's' END END, CASE WHEN title <> '' THEN 'top evidence: ' || substr(title, 1, 140) END) AS line
+    FROM v_transcripts)""", "v_transcripts"))
 def recall_reason(spark, sf_dir):
     kinds = F.when(F.col("tool_call_count") > 0, "message,tool_call").otherwise("")
     return V.transcripts(spark, sf_dir).select(
@@ -265,7 +350,10 @@ def recall_reason(spark, sf_dir):
     )
 
 
-@register("context_snippets", """SELECT conv_id, turn, CASE WHEN p > 0 THEN trim(regexp_replace(CASE WHEN greatest(p - 70, 1) > 1 THEN '…' ELSE '' END || substr(text, greatest(p - 70, 1), least(p + 4 + 119, length(text)) - greatest(p - 70, 1) + 1) || CASE WHEN least(p + 4 + 119, length(text)) < length(text) THEN '…' ELSE '' END, '\\s+', ' ', 'g')) END AS snippet
+@register("context_snippets", """SELECT conv_id, turn, CASE WHEN p > 0 THEN trim(regexp_replace(CASE WHEN greatest(p -
+    70, 1) > 1 THEN '…' ELSE '' END || substr(text, greatest(p - 70, 1), least(p + 4 + 119,
+    length(text)) - greatest(p - 70, 1) + 1) || CASE WHEN least(p + 4 + 119,
+    length(text)) < length(text) THEN '…' ELSE '' END, '\\s+', ' ', 'g')) END AS snippet
     FROM (SELECT *, instr(lower(text), 'tion') AS p FROM conversations)""")
 def context_snippets(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.snippet_around("text", F.lit("tion")).alias("snippet"))
@@ -276,7 +364,10 @@ _TRAIL = "'[),.;\\]}>\"''`]+$', ''"
 
 @register(
     "extract_repos",
-    f"SELECT DISTINCT page_id, regexp_replace(r, {_TRAIL}) AS repo FROM (SELECT page_id, unnest(regexp_extract_all(html || ' https://github.com/x/' || page_id || '.git), git@gitlab.com:a/b', '(?:https?://|git@)[^\\s\"''<>]+')) AS r FROM pages) WHERE regexp_matches(r, 'github\\.com|gitlab\\.com|bitbucket\\.org|\\.git\\b')"
+    f"""SELECT DISTINCT page_id, regexp_replace(r, {_TRAIL}) AS repo
+        FROM (SELECT page_id, unnest(regexp_extract_all(html || ' https://github.com/x/' || page_id ||
+        '.git), git@gitlab.com:a/b', '(?:https?://|git@)[^\\s\"''<>]+')) AS r FROM pages)
+        WHERE regexp_matches(r, 'github\\.com|gitlab\\.com|bitbucket\\.org|\\.git\\b')"""
 )
 def extract_repos(spark, sf_dir):
     text = F.concat("html", F.lit(" https://github.com/x/"), F.col("page_id").cast("string"), F.lit(".git), git@gitlab.com:a/b"))
@@ -285,15 +376,21 @@ def extract_repos(spark, sf_dir):
 
 @register(
     "extract_commits",
-    "SELECT DISTINCT page_id, unnest(regexp_extract_all(html || ' fix deadbeef' || (page_id % 10), '(?i)\\b([0-9a-f]{7,40})\\b', 1)) AS sha FROM pages"
+    """SELECT DISTINCT page_id, unnest(regexp_extract_all(html || ' fix deadbeef' || (page_id % 10),
+        '(?i)\\b([0-9a-f]{7,40})\\b', 1)) AS sha FROM pages"""
 )
 def extract_commits(spark, sf_dir):
     text = F.concat("html", F.lit(" fix deadbeef"), (F.col("page_id") % 10).cast("string"))
     return V.table(spark, sf_dir, "pages").select("page_id", F.explode(T.commits(text)).alias("sha"))
 
 
-@register("extract_branches", f"""SELECT DISTINCT doc_id, regexp_replace(b, {_TRAIL}) AS branch FROM (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(t, '\\bgit\\s+(?:checkout|switch)\\s+(?:-b\\s+)?([A-Za-z0-9._/-]+)', 1), regexp_extract_all(t, '(?i)\\bbranch[:=]\\s*([A-Za-z0-9._/-]+)', 1)), regexp_extract_all(t, '(?i)\\bon branch\\s+([A-Za-z0-9._/-]+)', 1))) AS b
-    FROM (SELECT doc_id, text || ' git checkout -b feat/' || doc_id || '. Branch: main, On branch dev' AS t FROM documents))""")
+@register("extract_branches", f"""SELECT DISTINCT doc_id, regexp_replace(b, {_TRAIL}) AS branch
+    FROM (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(t,
+    '\\bgit\\s+(?:checkout|switch)\\s+(?:-b\\s+)?([A-Za-z0-9._/-]+)', 1), regexp_extract_all(t,
+    '(?i)\\bbranch[:=]\\s*([A-Za-z0-9._/-]+)', 1)), regexp_extract_all(t, '(?i)\\bon branch\\s+([A-Za-z0-9._/-]+)',
+    1))) AS b
+    FROM (SELECT doc_id, text || ' git checkout -b feat/' || doc_id || '. Branch: main, On branch dev' AS t
+    FROM documents))""")
 def extract_branches(spark, sf_dir):
     text = F.concat("text", F.lit(" git checkout -b feat/"), F.col("doc_id").cast("string"), F.lit(". Branch: main, On branch dev"))
     return V.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.branches(text)).alias("branch"))
@@ -332,7 +429,9 @@ def extract_commands_all(spark, sf_dir):
 
 @register(
     "json_key_values",
-    """SELECT event_id, '/k' AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, '/a', 'a', '{"b":"' || event_type || '"}' FROM events UNION ALL SELECT event_id, '/a/b', 'b', event_type FROM events"""
+    """SELECT event_id, '/k' AS path, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events
+        UNION ALL SELECT event_id, '/a', 'a', '{"b":"' || event_type || '"}' FROM events
+        UNION ALL SELECT event_id, '/a/b', 'b', event_type FROM events"""
 )
 def json_key_values(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
@@ -370,7 +469,8 @@ def _sql_redacted(column: str) -> str:
 
 @register(
     "redact_text",
-    f"SELECT doc_id, sha256({_sql_redacted('t')}) AS digest, right({_sql_redacted('t')}, 120) AS tail FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)"
+    f"""SELECT doc_id, sha256({_sql_redacted('t')}) AS digest, right({_sql_redacted('t')}, 120) AS tail
+        FROM (SELECT doc_id, {_PLANTED} AS t FROM documents)"""
 )
 def redact_text(spark, sf_dir):
     told = _planted(spark, sf_dir).select("doc_id", T.redacted("text").alias("r"))
@@ -397,7 +497,9 @@ def _sql_handed(column: str, length: int) -> str:
     return f"substr(trim(regexp_replace({_sql_redacted(column)}, '\\s+', ' ', 'g')), 1, {length})"
 
 
-_SECRET_TURNS = "turns AS (SELECT session_id, sequence_num, role, CASE WHEN sequence_num % 3 = 1 THEN content || ' token=abcdef' || session_id || 'x' ELSE content END AS content FROM v_messages)"
+_SECRET_TURNS = """turns AS (SELECT session_id, sequence_num, role,
+    CASE WHEN sequence_num % 3 = 1 THEN content || ' token=abcdef' || session_id || 'x' ELSE content END AS content
+    FROM v_messages)"""
 
 
 def _secret_turns(spark, sf_dir):
@@ -409,7 +511,9 @@ def _secret_turns(spark, sf_dir):
 @register(
     "recent_turns",
     with_views(
-        f"SELECT session_id, n, role, {_sql_handed('content', 200)} AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num DESC) AS n FROM turns) WHERE n <= 8",
+        f"""SELECT session_id, n, role, {_sql_handed('content', 200)} AS text
+            FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num DESC) AS n FROM turns)
+            WHERE n <= 8""",
         "v_messages",
         ctes=_SECRET_TURNS
     )
@@ -421,7 +525,9 @@ def recent_turns(spark, sf_dir):
 @register(
     "context_summary",
     with_views(
-        f"SELECT session_id, coalesce({_sql_handed('last', 120)}, 'no user turn') AS summary FROM (SELECT session_id, arg_max(content, sequence_num) FILTER (role = 'user') AS last FROM turns GROUP BY session_id)",
+        f"""SELECT session_id, coalesce({_sql_handed('last', 120)}, 'no user turn') AS summary
+            FROM (SELECT session_id, arg_max(content, sequence_num) FILTER (role = 'user') AS last FROM turns
+            GROUP BY session_id)""",
         "v_messages",
         ctes=_SECRET_TURNS
     )
@@ -430,8 +536,14 @@ def context_summary(spark, sf_dir):
     return H.context_summary(_secret_turns(spark, sf_dir))
 
 
-@register("tool_commands", """SELECT session_id, pos, command FROM (SELECT session_id, command, row_number() OVER (PARTITION BY session_id ORDER BY o, command) AS pos FROM (SELECT session_id, command, min({'kind': kind, 'at': at_, 'id': id, 'path': path}) AS o FROM
-    (SELECT CAST(user_id AS VARCHAR) AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS kind, CASE WHEN event_type = 'click' THEN '/a/0/cmd' ELSE '' END AS path, CASE WHEN event_type = 'click' THEN 'make ' || event_id % 7 ELSE 'run ' || event_id % 5 END AS command FROM events WHERE event_type IN ('click', 'view'))
+@register("tool_commands", """SELECT session_id, pos, command FROM (SELECT session_id, command,
+    row_number() OVER (PARTITION BY session_id ORDER BY o, command) AS pos
+    FROM (SELECT session_id, command, min({'kind': kind, 'at': at_, 'id': id, 'path': path}) AS o FROM
+    (SELECT CAST(user_id AS VARCHAR) AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_,
+    CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS kind,
+    CASE WHEN event_type = 'click' THEN '/a/0/cmd' ELSE '' END AS path,
+    CASE WHEN event_type = 'click' THEN 'make ' || event_id % 7 ELSE 'run ' || event_id % 5 END AS command FROM events
+    WHERE event_type IN ('click', 'view'))
     GROUP BY session_id, command)) WHERE pos <= 16""")
 def tool_commands(spark, sf_dir):
     """Commands under a key within arrays, and the inputs of shells, which begin with lines that are none."""
@@ -446,8 +558,12 @@ def tool_commands(spark, sf_dir):
     return H.commands(calls.withColumn("tool_name", F.when(kind == "view", "Bash").otherwise(kind)))
 
 
-@register("auth_references", """SELECT c_nationkey AS owner, min(c_custkey) AS pos, lower(agent) AS agent, name, CASE WHEN name = '[REDACTED_AUTH_REF]' THEN 'secret-like auth reference was redacted; pass auth refs by name only' END AS warning FROM
-    (SELECT c_nationkey, c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'unknown' ELSE c_mktsegment END AS agent, CASE c_custkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN '[REDACTED_AUTH_REF]' ELSE 'n' || (c_custkey % 3) || ':x' END AS name FROM customer WHERE c_custkey % 5 < 4) GROUP BY c_nationkey, agent, name""")
+@register("auth_references", """SELECT c_nationkey AS owner, min(c_custkey) AS pos, lower(agent) AS agent, name,
+    CASE WHEN name = '[REDACTED_AUTH_REF]' THEN 'secret-like auth reference was redacted; pass auth refs by name only'
+    END AS warning FROM
+    (SELECT c_nationkey, c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'unknown' ELSE c_mktsegment END
+    AS agent, CASE c_custkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN '[REDACTED_AUTH_REF]' ELSE 'n' || (c_custkey % 3) ||
+    ':x' END AS name FROM customer WHERE c_custkey % 5 < 4) GROUP BY c_nationkey, agent, name""")
 def auth_references(spark, sf_dir):
     """References with and without an agent, secrets among them, and empty ones."""
     k = F.col("c_custkey")
@@ -462,7 +578,8 @@ def auth_references(spark, sf_dir):
 
 @register(
     "record_hash",
-    """SELECT conv_id, turn, sha256('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}') AS digest FROM conversations"""
+    """SELECT conv_id, turn, sha256('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}') AS
+        digest FROM conversations"""
 )
 def record_hash(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").select(
@@ -486,7 +603,9 @@ def auth_refs(spark, sf_dir):
 
 @register(
     "chunk_text",
-    "SELECT doc_id AS id, i AS chunk_index, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk_text FROM documents, unnest(range(0, CAST(floor((length(text) - 1) / 2000) AS BIGINT) + 1)) AS r(i) WHERE length(text) > 0"
+    """SELECT doc_id AS id, i AS chunk_index, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk_text
+        FROM documents, unnest(range(0, CAST(floor((length(text) - 1) / 2000) AS BIGINT) + 1)) AS r(i)
+        WHERE length(text) > 0"""
 )
 def chunk_text(spark, sf_dir):
     return X.chunks(
@@ -497,7 +616,8 @@ def chunk_text(spark, sf_dir):
 @register(
     "pending_embeddings",
     with_views(
-        "SELECT id, session_id FROM v_corpus WHERE trim(content) <> '' AND id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) ORDER BY length(id), id LIMIT 200",
+        """SELECT id, session_id FROM v_corpus WHERE trim(content) <> '' AND id NOT IN (SELECT CAST(vec_id AS VARCHAR)
+            FROM embeddings) ORDER BY length(id), id LIMIT 200""",
         "v_corpus"
     )
 )
@@ -530,7 +650,13 @@ def _counts(texts: list[str]) -> list[list[float]]:
 @register(
     "semantic_search",
     with_views(
-        "SELECT query_id, message_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM (SELECT q.query_id, e.id AS message_id, e.session_id, CASE WHEN list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v) = 0 THEN 0.0 ELSE round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) END AS cosine FROM vecs e, qvecs q)) WHERE n = 1) WHERE pos <= 10",
+        """SELECT query_id, message_id, cosine, pos FROM (SELECT *,
+            row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos
+            FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n
+            FROM (SELECT q.query_id, e.id AS message_id, e.session_id, CASE WHEN list_dot_product(e.v,
+            e.v) * list_dot_product(q.v, q.v) = 0 THEN 0.0 ELSE round(list_dot_product(e.v,
+            q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) END AS cosine
+            FROM vecs e, qvecs q)) WHERE n = 1) WHERE pos <= 10""",
         "v_corpus",
         ctes="vecs AS (SELECT id, session_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x = w)) AS DOUBLE)) AS v FROM v_corpus), qvecs AS (SELECT r_regionkey AS query_id, list_transform(['" + "','".join(_WORDS) + "'], lambda w: CAST(len(list_filter(string_split(['the', 'la de', 'und', 'que la', 'et de la'][CAST(r_regionkey + 1 AS INTEGER)], ' '), lambda x: x = w)) AS DOUBLE)) AS v FROM region)"
     )
@@ -546,26 +672,46 @@ def semantic_search(spark, sf_dir):
 
 
 _BAD = "coalesce(regexp_matches(trim(regexp_replace(regexp_replace({c}, '[\\[\\]]', '', 'g'), '\\s+', ' ', 'g')), '(?i)#?\\s*[a-z]+\\.md instructions for\\b|(?i)^\\s*<(?:goal_context|environment_context)\\b'), false)"
-_LIST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, started_at DESC, doc) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n FROM ({hits})) WHERE n = 1 QUALIFY pos <= 40)"
+_LIST = """(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, started_at DESC, doc) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n
+    FROM ({hits})) WHERE n = 1 QUALIFY pos <= 40)"""
 
 
 def _list(hits: str, keys: str, number: int, weight: int) -> str:
-    return f"SELECT query_id, session_id, title, project_name, project_path, started_at, rank, pos, snippet, {number} AS list, {weight} AS weight FROM " + _LIST.format(keys=keys, hits=hits)
+    return f"""SELECT query_id, session_id, title, project_name, project_path, started_at, rank, pos, snippet,
+        {number} AS list, {weight} AS weight FROM """ + _LIST.format(keys=keys, hits=hits)
 
 
 _SAID = "s.title, s.project_name, s.project_path, s.started_at"
 #: unified(query_id, session_id, list, score, rank, pos): the ranked list of at most 20 transcripts a question.
-_UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 's_queries', 'm_')}, {bm25_sql('s_docs', 's_queries', 's_')}, {bm25_sql('t_docs', 's_queries', 't_')},
-  {snippet_sql('m_', 'm_docs', 'text')}, s_fields AS (SELECT id AS doc, title, project_name, project_path FROM v_transcripts), {snippet_sql('s_', 's_fields', 'title', 'project_name', 'project_path')}, {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')},
+_UNIFIED = f"""{_SESSION_QUERIES}, m_docs AS (SELECT id AS doc, content AS text
+    FROM v_messages), {_SESSION_DOCS}, {_TOOL_DOCS}, {bm25_sql('m_docs', 's_queries', 'm_')},
+    {bm25_sql('s_docs', 's_queries', 's_')}, {bm25_sql('t_docs', 's_queries', 't_')},
+  {snippet_sql('m_', 'm_docs', 'text')}, s_fields AS (SELECT id AS doc, title, project_name, project_path
+    FROM v_transcripts), {snippet_sql('s_', 's_fields', 'title', 'project_name', 'project_path')},
+    {snippet_sql('t_', 't_docs', 'tool_name', 'tool_input', 'tool_output')},
   lists AS ({_list(f"SELECT h.*, m.session_id, {_SAID}, b.snippet FROM m_ranked h JOIN m_best b USING (query_id, variant, doc) JOIN v_messages m ON m.id = h.doc JOIN v_transcripts s ON s.id = m.session_id", "session_id", 1, 10)}
     UNION ALL {_list(f"SELECT h.*, s.id AS session_id, {_SAID}, b.snippet FROM s_ranked h JOIN s_best b USING (query_id, variant, doc) JOIN v_transcripts s ON s.id = h.doc", "session_id", 2, 35)}
     UNION ALL {_list(f"SELECT h.*, d.session_id, d.tool_name, {_SAID}, b.snippet AS own, concat_ws(': ', d.tool_name, b.snippet) AS snippet FROM t_ranked h JOIN t_best b USING (query_id, variant, doc) JOIN t_docs d ON d.doc = h.doc JOIN v_transcripts s ON s.id = d.session_id", "session_id, tool_name, own", 3, 25)}),
-  told AS (SELECT l.*, lower(trim(query)) AS plain, list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS parts, lower(coalesce(snippet, '')) AS txt, lower(coalesce(project_name, '')) AS nm,
-    list_filter(string_split(lower(coalesce(project_path, '')), '/'), lambda x: x <> '') AS seg, lower(concat_ws(' ', CASE WHEN title <> '' AND NOT {_BAD.format(c="title")} THEN title END, CASE WHEN project_name <> '' THEN project_name END, CASE WHEN project_path <> '' THEN project_path END)) AS said FROM lists l JOIN s_queries USING (query_id)),
-  scored AS (SELECT *, weight + coalesce(list_max(list_transform(list_filter(list_append(parts, plain), lambda t: t <> ''), lambda t: CASE WHEN nm = t THEN 140 WHEN seg[len(seg)] = t THEN 120 WHEN list_contains(seg, t) THEN 90 ELSE 0 END)), 0)
-    + CASE WHEN plain <> '' AND contains(said, plain) THEN 100 ELSE 0 END + CASE WHEN plain <> '' AND contains(txt, plain) THEN 70 ELSE 0 END + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(said, p))) = 0 THEN 60 ELSE 0 END
-    + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(txt, p))) = 0 THEN 35 ELSE 0 END - CASE WHEN {_BAD.format(c="title")} THEN 90 ELSE 0 END - CASE WHEN {_BAD.format(c="snippet")} THEN 90 ELSE 0 END AS score FROM told),
-  unified AS (SELECT query_id, session_id, list, score, rank, pos FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, started_at DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY score DESC, list, pos) AS first FROM scored) WHERE first = 1) WHERE pos <= 20)"""
+  told AS (SELECT l.*, lower(trim(query)) AS plain, list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'),
+    lambda x: lower(x)) AS parts, lower(coalesce(snippet, '')) AS txt, lower(coalesce(project_name, '')) AS nm,
+    list_filter(string_split(lower(coalesce(project_path, '')), '/'), lambda x: x <> '') AS seg, lower(concat_ws(' ',
+    CASE WHEN title <> '' AND NOT {_BAD.format(c="title")} THEN title END,
+    CASE WHEN project_name <> '' THEN project_name END, CASE WHEN project_path <> '' THEN project_path END)) AS said
+    FROM lists l JOIN s_queries USING (query_id)),
+  scored AS (SELECT *, weight + coalesce(list_max(list_transform(list_filter(list_append(parts, plain),
+    lambda t: t <> ''), lambda t: CASE WHEN nm = t THEN 140 WHEN seg[len(seg)] = t THEN 120 WHEN list_contains(seg,
+    t) THEN 90 ELSE 0 END)), 0)
+    + CASE WHEN plain <> '' AND contains(said, plain) THEN 100 ELSE 0 END + CASE WHEN plain <> '' AND contains(txt,
+    plain) THEN 70 ELSE 0 END + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(said,
+    p))) = 0 THEN 60 ELSE 0 END
+    + CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(txt,
+    p))) = 0 THEN 35 ELSE 0 END - CASE WHEN {_BAD.format(c="title")} THEN 90 ELSE 0 END - CASE WHEN
+    {_BAD.format(c="snippet")} THEN 90 ELSE 0 END AS score FROM told),
+  unified AS (SELECT query_id, session_id, list, score, rank, pos
+    FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, started_at DESC,
+    session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY score DESC, list,
+    pos) AS first FROM scored) WHERE first = 1) WHERE pos <= 20)"""
 
 
 @register("search_unified", with_views("SELECT query_id, session_id, list, score, rank, pos FROM unified", *_ALL, ctes=_UNIFIED))
@@ -578,10 +724,17 @@ def search_unified(spark, sf_dir):
     )
 
 
-@register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
-    (SELECT query_id, session_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM (SELECT query_id, session_id, pos FROM unified UNION ALL SELECT query_id, session_id, pos FROM close) GROUP BY ALL)) WHERE pos <= 10""", *_ALL, ctes=f"""{_UNIFIED},
-  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
-  close AS (SELECT query_id, session_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM pairs) WHERE n = 1) WHERE pos <= 20)"""))
+@register("hybrid_rrf", with_views("""SELECT query_id, session_id, score, pos FROM (SELECT *,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS pos FROM
+    (SELECT query_id, session_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score
+    FROM (SELECT query_id, session_id, pos FROM unified UNION ALL SELECT query_id, session_id, pos FROM close)
+    GROUP BY ALL)) WHERE pos <= 10""", *_ALL, ctes=f"""{_UNIFIED},
+  pairs AS (SELECT a.query_id, m.id AS message_id, m.session_id, {COSINE} AS cosine FROM s_queries a
+        JOIN embeddings q ON q.vec_id = a.query_id, embeddings e JOIN v_messages m ON m.id = e.vec_id || ':0'),
+  close AS (SELECT query_id, session_id, pos
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n
+        FROM pairs) WHERE n = 1) WHERE pos <= 20)"""))
 def hybrid_rrf(spark, sf_dir):
     """Full text and vectors together; the vector of a session's first message is that of its number, as is a question's."""
     e = V.table(spark, sf_dir, "embeddings")

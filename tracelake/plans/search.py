@@ -15,18 +15,31 @@ def bm25_sql(docs: str, queries: str, tag: str = "") -> str:
     """ctes {tag}phrases .. {tag}ranked(query_id, variant, doc, rank) over docs(doc, text) and queries(query_id, query)."""
     t = tag
     return f"""
-  {t}toks AS (SELECT doc, i - 1 AS pos, w[i] AS term, len(w) AS len FROM (SELECT doc, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs}) d, unnest(range(1, len(w) + 1)) AS r(i)),
-  {t}size AS (SELECT count(*) AS n_docs, avg(len(list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS mean_len FROM {docs}),
-  {t}parts AS (SELECT query_id, list_filter(string_split_regex(trim(query), '\\s+'), lambda x: x <> '') AS a, regexp_extract_all(query, '[A-Za-z0-9_]+') AS b FROM {queries}),
-  {t}variants AS (SELECT query_id, 1 AS variant, a AS p FROM {t}parts UNION ALL SELECT query_id, 2, b FROM {t}parts WHERE a <> b),
-  {t}terms AS (SELECT query_id, variant, list_filter(list_transform(p, lambda x: list_filter(string_split_regex(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '')), lambda z: len(z) > 0) AS ts FROM {t}variants),
-  {t}phrases AS (SELECT query_id, variant, len(ts) AS phrases, i AS phrase, ts[i] AS words FROM {t}terms, unnest(range(1, len(ts) + 1)) AS r(i)),
-  {t}asked AS (SELECT query_id, variant, phrases, phrase, len(words) AS phrase_len, k - 1 AS k, words[k] AS term FROM {t}phrases, unnest(range(1, len(words) + 1)) AS r(k)),
-  {t}starts AS (SELECT query_id, variant, phrases, phrase, doc, len, pos - k AS start FROM {t}toks JOIN {t}asked USING (term) GROUP BY query_id, variant, phrases, phrase, phrase_len, doc, len, pos - k HAVING count(*) = phrase_len),
+  {t}toks AS (SELECT doc, i - 1 AS pos, w[i] AS term, len(w) AS len
+        FROM (SELECT doc, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))),
+        '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {docs}) d, unnest(range(1, len(w) + 1)) AS r(i)),
+  {t}size AS (SELECT count(*) AS n_docs, avg(len(list_filter(string_split_regex(strip_accents(lower(coalesce(text,
+        ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS mean_len FROM {docs}),
+  {t}parts AS (SELECT query_id, list_filter(string_split_regex(trim(query), '\\s+'), lambda x: x <> '') AS a,
+        regexp_extract_all(query, '[A-Za-z0-9_]+') AS b FROM {queries}),
+  {t}variants AS (SELECT query_id, 1 AS variant, a AS p FROM {t}parts UNION ALL SELECT query_id, 2, b FROM {t}parts
+        WHERE a <> b),
+  {t}terms AS (SELECT query_id, variant, list_filter(list_transform(p,
+        lambda x: list_filter(string_split_regex(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '')),
+        lambda z: len(z) > 0) AS ts FROM {t}variants),
+  {t}phrases AS (SELECT query_id, variant, len(ts) AS phrases, i AS phrase, ts[i] AS words
+        FROM {t}terms, unnest(range(1, len(ts) + 1)) AS r(i)),
+  {t}asked AS (SELECT query_id, variant, phrases, phrase, len(words) AS phrase_len, k - 1 AS k, words[k] AS term
+        FROM {t}phrases, unnest(range(1, len(words) + 1)) AS r(k)),
+  {t}starts AS (SELECT query_id, variant, phrases, phrase, doc, len, pos - k AS start FROM {t}toks
+        JOIN {t}asked USING (term) GROUP BY query_id, variant, phrases, phrase, phrase_len, doc, len, pos - k
+        HAVING count(*) = phrase_len),
   {t}found AS (SELECT query_id, variant, phrases, phrase, doc, len, count(*) AS tf FROM {t}starts GROUP BY ALL),
   {t}freq AS (SELECT query_id, variant, phrase, count(*) AS df FROM {t}found GROUP BY ALL),
-  {t}ranked AS (SELECT query_id, variant, doc, round(-sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS rank
-    FROM {t}found JOIN {t}freq USING (query_id, variant, phrase), {t}size GROUP BY query_id, variant, phrases, doc HAVING count(*) = phrases)"""
+  {t}ranked AS (SELECT query_id, variant, doc, round(-sum(greatest(1e-6,
+        ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS rank
+    FROM {t}found JOIN {t}freq USING (query_id, variant, phrase), {t}size GROUP BY query_id, variant, phrases, doc
+        HAVING count(*) = phrases)"""
 
 
 _WORD = r"[\p{L}\p{N}][\p{L}\p{N}\x{0300}-\x{036f}]*"
@@ -36,38 +49,67 @@ def snippet_sql(t: str, docs: str, *fields: str) -> str:
     """ctes {t}said .. {t}best(query_id, variant, doc, snippet): the 12-word window of each hit of {t}ranked in docs(doc, fields), over tables of words and places."""
     key = "query_id, variant, doc, field"
     said = " UNION ALL ".join(
-        f"SELECT r.query_id, r.variant, r.doc, {k} AS field, coalesce(d.{f}, '') AS text, ts AS phrases FROM {t}ranked r JOIN {docs} d USING (doc) JOIN {t}terms USING (query_id, variant)" for k, f in enumerate(fields)
+        f"""SELECT r.query_id, r.variant, r.doc, {k} AS field, coalesce(d.{f}, '') AS text, ts AS phrases
+            FROM {t}ranked r JOIN {docs} d USING (doc) JOIN {t}terms USING (query_id, variant)""" for k, f in enumerate(fields)
     )
-    inside = f"""SELECT {key}, turn, any_value(w.n) AS n, any_value(w.begin) AS begin, any_value(w.bonus) AS bonus, count(DISTINCT x.k) * 999 + count(*) + any_value(w.bonus) AS score, min(x.place) AS first, arg_max(x.place + x.size, x.nth) AS last
-      FROM {t}ways w JOIN {t}places x USING ({key}) WHERE x.place >= w.begin AND x.place < w.begin + 12 GROUP BY {key}, turn"""
+    inside = f"""SELECT {key}, turn, any_value(w.n) AS n, any_value(w.begin) AS begin, any_value(w.bonus) AS bonus,
+        count(DISTINCT x.k) * 999 + count(*) + any_value(w.bonus) AS score, min(x.place) AS first,
+        arg_max(x.place + x.size, x.nth) AS last
+      FROM {t}ways w JOIN {t}places x USING ({key}) WHERE x.place >= w.begin AND x.place < w.begin + 12
+        GROUP BY {key}, turn"""
     return f"""
   {t}said AS ({said}),
-  {t}cut AS (SELECT *, regexp_extract_all(text, '{_WORD}[^\\p{{L}}\\p{{N}}]*') AS pieces, regexp_extract_all(text, '{_WORD}') AS words FROM {t}said),
-  {t}pieces AS (SELECT {key}, len(words) AS n, i - 1 AS i, pieces[i] AS piece, words[i] AS word, strip_accents(lower(words[i])) AS term FROM {t}cut, unnest(range(1, len(words) + 1)) AS r(i)),
-  {t}wanted AS (SELECT {key}, k, j - 1 AS j, len(phrases[k]) AS size, phrases[k][j] AS term FROM {t}said, unnest(range(1, len(phrases) + 1)) AS r(k), unnest(range(1, len(phrases[k]) + 1)) AS q(j)),
-  {t}places AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY place, k, size) AS nth FROM (SELECT {key}, n, k, size, i - j AS place FROM {t}pieces JOIN {t}wanted USING ({key}, term) GROUP BY {key}, n, k, size, i - j HAVING count(*) = size)),
-  {t}sentences AS (SELECT {key}, i AS s FROM (SELECT *, lag(piece) OVER (PARTITION BY {key} ORDER BY i) AS before FROM {t}pieces) WHERE i = 0 OR regexp_matches(before, '[.:][ \\t\\n\\r]+$')),
+  {t}cut AS (SELECT *, regexp_extract_all(text, '{_WORD}[^\\p{{L}}\\p{{N}}]*') AS pieces, regexp_extract_all(text,
+        '{_WORD}') AS words FROM {t}said),
+  {t}pieces AS (SELECT {key}, len(words) AS n, i - 1 AS i, pieces[i] AS piece, words[i] AS word,
+        strip_accents(lower(words[i])) AS term FROM {t}cut, unnest(range(1, len(words) + 1)) AS r(i)),
+  {t}wanted AS (SELECT {key}, k, j - 1 AS j, len(phrases[k]) AS size, phrases[k][j] AS term
+        FROM {t}said, unnest(range(1, len(phrases) + 1)) AS r(k), unnest(range(1, len(phrases[k]) + 1)) AS q(j)),
+  {t}places AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY place, k, size) AS nth
+        FROM (SELECT {key}, n, k, size, i - j AS place FROM {t}pieces JOIN {t}wanted USING ({key}, term)
+        GROUP BY {key}, n, k, size, i - j HAVING count(*) = size)),
+  {t}sentences AS (SELECT {key}, i AS s FROM (SELECT *, lag(piece) OVER (PARTITION BY {key} ORDER BY i) AS before
+        FROM {t}pieces) WHERE i = 0 OR regexp_matches(before, '[.:][ \\t\\n\\r]+$')),
   {t}ways AS (SELECT {key}, n, 2 * nth AS turn, place AS begin, 0 AS bonus FROM {t}places
-    UNION ALL SELECT {key}, n, 2 * nth + 1, s, CASE WHEN s = 0 THEN 120 ELSE 100 END FROM (SELECT {key}, n, nth, place, max(s) AS s FROM {t}places p JOIN {t}sentences USING ({key}) WHERE s <= place GROUP BY ALL) WHERE s < place AND n > 12),
-  {t}chosen AS (SELECT {key}, CASE WHEN bonus > 0 THEN begin ELSE greatest(0, least(first - CAST(trunc((12 - (last - first)) / 2.0) AS BIGINT), n - 12)) END AS begin FROM ({inside}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, turn) = 1),
+    UNION ALL SELECT {key}, n, 2 * nth + 1, s, CASE WHEN s = 0 THEN 120 ELSE 100 END
+        FROM (SELECT {key}, n, nth, place, max(s) AS s FROM {t}places p JOIN {t}sentences USING ({key}) WHERE s <= place
+        GROUP BY ALL) WHERE s < place AND n > 12),
+  {t}chosen AS (SELECT {key}, CASE WHEN bonus > 0 THEN begin ELSE greatest(0,
+        least(first - CAST(trunc((12 - (last - first)) / 2.0) AS BIGINT), n - 12)) END AS begin FROM ({inside})
+        QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, turn) = 1),
   {t}marks AS (SELECT p.*, coalesce(w.begin, 0) AS begin, least(coalesce(w.begin, 0) + 12, n) - 1 AS last,
-      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc, p.field) AND x.place <= i AND x.place + x.size > i) AS held,
-      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc, p.field) AND x.place < i AND x.place + x.size > i) AS goes_on,
-      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc, p.field) AND x.place <= i AND x.place + x.size > i + 1) AS more
-    FROM {t}pieces p LEFT JOIN {t}chosen w USING ({key}) WHERE i >= coalesce(w.begin, 0) AND i < coalesce(w.begin, 0) + 12),
-  {t}shown AS (SELECT {key}, any_value(begin) AS begin, any_value(last) + 1 < any_value(n) AS goes_on, string_agg(CASE WHEN held AND (i = begin OR NOT goes_on) THEN '[' ELSE '' END || word || CASE WHEN held AND (i = begin + 11 OR NOT more) THEN ']' ELSE '' END || CASE WHEN i = last AND last + 1 < n THEN '' ELSE substr(piece, length(word) + 1) END, '' ORDER BY i) AS body FROM {t}marks GROUP BY {key}),
-  {t}snips AS (SELECT {key}, CASE WHEN begin > 0 THEN '…' ELSE regexp_extract(text, '^[^\\p{{L}}\\p{{N}}]*') END || coalesce(body, '') || CASE WHEN goes_on THEN '…' ELSE '' END AS snippet FROM {t}said LEFT JOIN {t}shown USING ({key})),
-  {t}best AS (SELECT query_id, variant, doc, coalesce(arg_min(snippet, field) FILTER (contains(snippet, '[')), arg_min(snippet, field) FILTER (snippet <> ''), '') AS snippet FROM {t}snips GROUP BY query_id, variant, doc)"""
-
-
-_TOP = "SELECT query_id, {cols}, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, started_at DESC, doc) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {keys} ORDER BY variant, rank, started_at DESC, doc) AS n FROM {hits}) WHERE n = 1) WHERE pos <= {limit}"
+      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc,
+        p.field) AND x.place <= i AND x.place + x.size > i) AS held,
+      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc,
+        p.field) AND x.place < i AND x.place + x.size > i) AS goes_on,
+      EXISTS (FROM {t}places x WHERE (x.query_id, x.variant, x.doc, x.field) = (p.query_id, p.variant, p.doc,
+        p.field) AND x.place <= i AND x.place + x.size > i + 1) AS more
+    FROM {t}pieces p LEFT JOIN {t}chosen w USING ({key})
+        WHERE i >= coalesce(w.begin, 0) AND i < coalesce(w.begin, 0) + 12),
+  {t}shown AS (SELECT {key}, any_value(begin) AS begin, any_value(last) + 1 < any_value(n) AS goes_on,
+        string_agg(CASE WHEN held AND (i = begin OR NOT goes_on) THEN '[' ELSE '' END || word || CASE WHEN held AND (i =
+        begin + 11 OR NOT more) THEN ']' ELSE '' END || CASE WHEN i = last AND last + 1 < n THEN '' ELSE substr(piece,
+        length(word) + 1) END, '' ORDER BY i) AS body FROM {t}marks GROUP BY {key}),
+  {t}snips AS (SELECT {key}, CASE WHEN begin > 0 THEN '…' ELSE regexp_extract(text,
+        '^[^\\p{{L}}\\p{{N}}]*') END || coalesce(body, '') || CASE WHEN goes_on THEN '…' ELSE '' END AS snippet
+        FROM {t}said LEFT JOIN {t}shown USING ({key})),
+  {t}best AS (SELECT query_id, variant, doc, coalesce(arg_min(snippet, field) FILTER (contains(snippet, '[')),
+        arg_min(snippet, field) FILTER (snippet <> ''), '') AS snippet FROM {t}snips GROUP BY query_id, variant, doc)"""
+
+
+_TOP = """SELECT query_id, {cols}, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank,
+    started_at DESC, doc) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {keys} ORDER BY variant,
+    rank, started_at DESC, doc) AS n FROM {hits}) WHERE n = 1) WHERE pos <= {limit}"""
 
 
 @register(
     "bm25_messages",
     with_views(
-        _TOP.format(cols="session_id, doc, variant, rank", keys="session_id", hits="(SELECT r.*, c.session_id, s.started_at FROM ranked r JOIN v_corpus c ON c.id = r.doc JOIN v_corpus_transcripts s ON s.id = c.session_id)", limit=20),
-        "v_corpus", "v_corpus_transcripts", "v_queries", ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), " + bm25_sql("docs", "v_queries"),
+        _TOP.format(cols="session_id, doc, variant, rank", keys="session_id", hits="""(SELECT r.*, c.session_id,
+            s.started_at FROM ranked r JOIN v_corpus c ON c.id = r.doc
+            JOIN v_corpus_transcripts s ON s.id = c.session_id)""", limit=20),
+        "v_corpus", "v_corpus_transcripts", "v_queries", ctes="""docs AS (SELECT id AS doc, content AS text
+            FROM v_corpus), """ + bm25_sql("docs", "v_queries"),
     ),
 )
 def bm25_messages(spark, sf_dir):
@@ -89,16 +131,20 @@ def _session_queries(spark, sf_dir):
     return first.unionByName(second).unionByName(third)
 
 
-_SESSION_QUERIES = """s_queries AS (SELECT CAST(id AS BIGINT) AS query_id, array_to_string(string_split(title, ' ')[1:2], ' ') AS query FROM v_transcripts WHERE title IS NOT NULL AND CAST(id AS BIGINT) % 5 = 0
-    UNION ALL SELECT CAST(id AS BIGINT), project_name FROM v_transcripts WHERE title IS NOT NULL AND project_name IS NOT NULL AND CAST(id AS BIGINT) % 5 = 1
-    UNION ALL SELECT CAST(id AS BIGINT), 'w/' || project_name FROM v_transcripts WHERE title IS NOT NULL AND project_name IS NOT NULL AND CAST(id AS BIGINT) % 5 = 2)"""
+_SESSION_QUERIES = """s_queries AS (SELECT CAST(id AS BIGINT) AS query_id, array_to_string(string_split(title,
+    ' ')[1:2], ' ') AS query FROM v_transcripts WHERE title IS NOT NULL AND CAST(id AS BIGINT) % 5 = 0
+    UNION ALL SELECT CAST(id AS BIGINT), project_name FROM v_transcripts
+    WHERE title IS NOT NULL AND project_name IS NOT NULL AND CAST(id AS BIGINT) % 5 = 1
+    UNION ALL SELECT CAST(id AS BIGINT), 'w/' || project_name FROM v_transcripts
+    WHERE title IS NOT NULL AND project_name IS NOT NULL AND CAST(id AS BIGINT) % 5 = 2)"""
 _SESSION_DOCS = "s_docs AS (SELECT id AS doc, concat_ws(' ', title, project_name, project_path) AS text FROM v_transcripts)"
 
 
 @register(
     "bm25_transcripts",
     with_views(
-        _TOP.format(cols="doc, variant, rank", keys="doc", hits="(SELECT r.*, s.started_at FROM ranked r JOIN v_transcripts s ON s.id = r.doc)", limit=20),
+        _TOP.format(cols="doc, variant, rank", keys="doc", hits="""(SELECT r.*, s.started_at FROM ranked r JOIN
+            v_transcripts s ON s.id = r.doc)""", limit=20),
         "v_transcripts", ctes=f"{_SESSION_QUERIES}, {_SESSION_DOCS}, " + bm25_sql("s_docs", "s_queries"),
     ),
 )
@@ -109,14 +155,20 @@ def bm25_transcripts(spark, sf_dir):
     ).select("query_id", "doc", "variant", "rank", "pos")
 
 
-_TOOL_DOCS = "t_docs AS (SELECT id AS doc, concat_ws(' ', tool_name, tool_input, tool_output) AS text, session_id, tool_name, tool_input, tool_output FROM v_tool_calls)"
-_TOOL_QUERIES = "t_queries AS (SELECT DISTINCT 1000 + CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS query_id, event_type || ' ' || regexp_extract(props, '([0-9]+)', 1) AS query FROM events WHERE event_type = 'click')"
+_TOOL_DOCS = """t_docs AS (SELECT id AS doc, concat_ws(' ', tool_name, tool_input, tool_output) AS text, session_id,
+    tool_name, tool_input, tool_output FROM v_tool_calls)"""
+_TOOL_QUERIES = """t_queries AS (SELECT DISTINCT 1000 + CAST(regexp_extract(props, '([0-9]+)',
+    1) AS BIGINT) AS query_id, event_type || ' ' || regexp_extract(props, '([0-9]+)', 1) AS query FROM events
+    WHERE event_type = 'click')"""
 
 
 @register(
     "bm25_tools",
     with_views(
-        _TOP.format(cols="session_id, doc, variant, rank, snippet", keys="session_id, tool_name, snippet", hits="(SELECT r.*, b.snippet, d.session_id, d.tool_name, s.started_at FROM ranked r JOIN best b USING (query_id, variant, doc) JOIN t_docs d USING (doc) JOIN v_transcripts s ON s.id = d.session_id)", limit=20),
+        _TOP.format(cols="session_id, doc, variant, rank, snippet", keys="session_id, tool_name, snippet", hits="""(SELECT
+            r.*, b.snippet, d.session_id, d.tool_name, s.started_at FROM ranked r
+            JOIN best b USING (query_id, variant, doc) JOIN t_docs d USING (doc)
+            JOIN v_transcripts s ON s.id = d.session_id)""", limit=20),
         "v_transcripts", "v_tool_calls", ctes=f"{_TOOL_QUERIES}, {_TOOL_DOCS}, " + bm25_sql("t_docs", "t_queries") + "," + snippet_sql("", "t_docs", "tool_name", "tool_input", "tool_output"),
     ),
 )
@@ -140,7 +192,9 @@ def bm25_tools(spark, sf_dir):
 
 @register(
     "bm25_phrase",
-    with_views("SELECT query_id, doc, rank FROM ranked", "v_corpus", "v_queries", ctes="docs AS (SELECT id AS doc, content AS text FROM v_corpus), p_queries AS (SELECT query_id, replace(query, ' ', '_') AS query FROM v_queries), " + bm25_sql("docs", "p_queries")),
+    with_views("SELECT query_id, doc, rank FROM ranked", "v_corpus", "v_queries", ctes="""docs AS (SELECT id AS doc,
+        content AS text FROM v_corpus), p_queries AS (SELECT query_id, replace(query, ' ', '_') AS query
+        FROM v_queries), """ + bm25_sql("docs", "p_queries")),
 )
 def bm25_phrase(spark, sf_dir):
     asked = V.queries(spark, sf_dir).withColumn("query", F.replace("query", F.lit(" "), F.lit("_")))
@@ -174,7 +228,8 @@ def index_postings(spark, sf_dir):
         "SELECT doc, term, count(*) AS tf FROM toks GROUP BY doc, term",
         "v_corpus",
         "v_queries",
-        ctes="docs AS (SELECT id AS doc, content || CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN ' added' ELSE '' END AS text FROM v_corpus), " + bm25_sql("docs", "v_queries")
+        ctes="""docs AS (SELECT id AS doc, content || CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN ' added' ELSE '' END AS
+            text FROM v_corpus), """ + bm25_sql("docs", "v_queries")
     )
 )
 def index_refresh(spark, sf_dir):
@@ -184,20 +239,31 @@ def index_refresh(spark, sf_dir):
     return S.refreshed(S.postings(docs), new, docs.where(changed).select("doc")).select("doc", "term", "tf")
 
 
-@register("significant_terms", with_views("""SELECT item_id, array_to_string(list_filter(list_distinct_ordered, lambda t: true), '|') AS terms FROM (SELECT item_id,
-    list_filter(raw, lambda t, i: list_position(raw, t) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_extract_all(replace(replace(lower(text), '’', ''''), 'let''s', 'lets'), '[a-z0-9_./:@%+=-]+'),
-    lambda t: regexp_matches(t, '[./:@=-]') OR (NOT list_contains(stop, t) AND length(t) >= 3)) AS raw FROM benchmark, stops))""",
+@register("significant_terms", with_views("""SELECT item_id, array_to_string(list_filter(list_distinct_ordered,
+    lambda t: true), '|') AS terms FROM (SELECT item_id,
+    list_filter(raw, lambda t, i: list_position(raw, t) = i) AS list_distinct_ordered
+    FROM (SELECT item_id, list_filter(regexp_extract_all(replace(replace(lower(text), '’', ''''), 'let''s', 'lets'),
+    '[a-z0-9_./:@%+=-]+'),
+    lambda t: regexp_matches(t, '[./:@=-]') OR (NOT list_contains(stop, t) AND length(t) >= 3)) AS raw
+    FROM benchmark, stops))""",
     ctes="stops AS (SELECT string_split('" + " ".join(T.STOPWORDS) + "', ' ') AS stop)"))
 def significant_terms(spark, sf_dir):
     return V.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.significant_terms("text"), "|").alias("terms"))
 
 
-@register("substring_content", with_views("""SELECT query_id, session_id, list, snippet, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list, nth) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY list, nth) AS n FROM
-    (SELECT query_id, session_id, 1 AS list, snippet, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC, session_id) AS nth FROM meta QUALIFY nth <= 100 UNION ALL
-     SELECT query_id, session_id, 2, snippet, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC, session_id, id) AS nth FROM body QUALIFY nth <= 200)) WHERE n = 1) WHERE pos <= 20""",
-    "v_transcripts", "v_messages", ctes="""asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', ' the ', 'tion', 'ing'][CAST(r_regionkey + 1 AS INTEGER)] AS query FROM region),
-    meta AS (SELECT query_id, s.id AS session_id, started_at, coalesce(title, project_name) AS snippet FROM v_transcripts s JOIN asked ON title ILIKE '%' || query || '%' OR project_name ILIKE '%' || query || '%'),
-    body AS (SELECT query_id, m.session_id, s.started_at, left(content, 200) AS snippet, m.id FROM v_messages m JOIN asked ON content ILIKE '%' || query || '%' JOIN v_transcripts s ON s.id = m.session_id)"""))
+@register("substring_content", with_views("""SELECT query_id, session_id, list, snippet, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list, nth) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY list, nth) AS n FROM
+    (SELECT query_id, session_id, 1 AS list, snippet, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC,
+    session_id) AS nth FROM meta QUALIFY nth <= 100 UNION ALL
+     SELECT query_id, session_id, 2, snippet, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC,
+    session_id, id) AS nth FROM body QUALIFY nth <= 200)) WHERE n = 1) WHERE pos <= 20""",
+    "v_transcripts", "v_messages", ctes="""asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', ' the ', 'tion',
+        'ing'][CAST(r_regionkey + 1 AS INTEGER)] AS query FROM region),
+    meta AS (SELECT query_id, s.id AS session_id, started_at, coalesce(title, project_name) AS snippet
+        FROM v_transcripts s JOIN asked ON title ILIKE '%' || query || '%' OR project_name ILIKE '%' || query || '%'),
+    body AS (SELECT query_id, m.session_id, s.started_at, left(content, 200) AS snippet, m.id FROM v_messages m
+        JOIN asked ON content ILIKE '%' || query || '%' JOIN v_transcripts s ON s.id = m.session_id)"""))
 def substring_content(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in ("SRC1", " la ", " the ", "tion", "ing")])
     asked = V.table(spark, sf_dir, "region").select(
@@ -207,7 +273,8 @@ def substring_content(spark, sf_dir):
     return S.substring_content(V.messages(spark, sf_dir), V.transcripts(spark, sf_dir), asked)
 
 
-_ASKED = "asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', 'click', 'k\": 8', '_in%'][CAST(r_regionkey + 1 AS INTEGER)] AS query FROM region)"
+_ASKED = """asked AS (SELECT r_regionkey AS query_id, ['SRC1', ' la ', 'click', 'k\": 8',
+    '_in%'][CAST(r_regionkey + 1 AS INTEGER)] AS query FROM region)"""
 
 
 def _needles(spark, sf_dir):
@@ -218,14 +285,22 @@ def _needles(spark, sf_dir):
     )
 
 
-@register("substring_tools", with_views("""SELECT query_id, session_id, id, tool_name, snippet, pos FROM (SELECT query_id, c.session_id, c.id, tool_name, left(coalesce(tool_input, tool_output, tool_name), 200) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(c.timestamp, s.started_at) DESC NULLS LAST, c.id) AS pos
-    FROM v_tool_calls c JOIN asked ON tool_name ILIKE '%' || query || '%' OR tool_input ILIKE '%' || query || '%' OR tool_output ILIKE '%' || query || '%' JOIN v_transcripts s ON s.id = c.session_id) WHERE pos <= 20""", "v_transcripts", "v_tool_calls", ctes=_ASKED))
+@register("substring_tools", with_views("""SELECT query_id, session_id, id, tool_name, snippet, pos
+    FROM (SELECT query_id, c.session_id, c.id, tool_name, left(coalesce(tool_input, tool_output, tool_name),
+    200) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(c.timestamp,
+    s.started_at) DESC NULLS LAST, c.id) AS pos
+    FROM v_tool_calls c JOIN asked ON tool_name ILIKE '%' || query || '%' OR tool_input ILIKE '%' || query || '%' OR
+    tool_output ILIKE '%' || query || '%' JOIN v_transcripts s ON s.id = c.session_id) WHERE pos <= 20""", "v_transcripts", "v_tool_calls", ctes=_ASKED))
 def substring_tools(spark, sf_dir):
     return S.substring_tools(V.tool_calls(spark, sf_dir), V.transcripts(spark, sf_dir), _needles(spark, sf_dir))
 
 
-@register("substring_transcripts", with_views("""SELECT query_id, session_id, match, pos FROM (SELECT query_id, s.id AS session_id, CASE WHEN contains(lower(coalesce(title, '')), lower(query)) THEN 'title' ELSE 'project' END AS match, row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos
-    FROM v_transcripts s JOIN asked ON title ILIKE '%' || query || '%' OR project_name ILIKE '%' || query || '%' OR project_path ILIKE '%' || query || '%') WHERE pos <= 20""", "v_transcripts", ctes=_ASKED))
+@register("substring_transcripts", with_views("""SELECT query_id, session_id, match, pos FROM (SELECT query_id,
+    s.id AS session_id, CASE WHEN contains(lower(coalesce(title, '')),
+    lower(query)) THEN 'title' ELSE 'project' END AS match,
+    row_number() OVER (PARTITION BY query_id ORDER BY started_at DESC NULLS LAST, s.id) AS pos
+    FROM v_transcripts s JOIN asked ON title ILIKE '%' || query || '%' OR project_name ILIKE '%' || query || '%' OR
+    project_path ILIKE '%' || query || '%') WHERE pos <= 20""", "v_transcripts", ctes=_ASKED))
 def substring_transcripts(spark, sf_dir):
     return S.substring_transcripts(V.transcripts(spark, sf_dir), _needles(spark, sf_dir))
 
@@ -233,7 +308,8 @@ def substring_transcripts(spark, sf_dir):
 @register(
     "session_search_rows",
     with_views(
-        "SELECT t.query_id, t.pos, s.* FROM (" + _TOP.format(cols="doc", keys="doc", hits="(SELECT r.*, s.started_at FROM ranked r JOIN v_transcripts s ON s.id = r.doc)", limit=20) + ") t JOIN v_transcripts s ON s.id = t.doc",
+        "SELECT t.query_id, t.pos, s.* FROM (" + _TOP.format(cols="doc", keys="doc", hits="""(SELECT r.*, s.started_at
+            FROM ranked r JOIN v_transcripts s ON s.id = r.doc)""", limit=20) + ") t JOIN v_transcripts s ON s.id = t.doc",
         "v_transcripts", ctes=f"{_SESSION_QUERIES}, {_SESSION_DOCS}, " + bm25_sql("s_docs", "s_queries"),
     ),
 )
@@ -243,7 +319,11 @@ def session_search_rows(spark, sf_dir):
 
 @register(
     "limit_rules",
-    "SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE CAST(floor(v) AS INTEGER) END AS plain, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE least(CAST(floor(v) AS INTEGER), 500) END AS clamped FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -value ELSE value * 4 END AS v FROM events)"
+    """SELECT event_id, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE CAST(floor(v) AS INTEGER) END
+        AS plain, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) OR v < 1 THEN 20 ELSE least(CAST(floor(v) AS INTEGER),
+        500) END AS clamped FROM (SELECT event_id,
+        CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -value ELSE
+        value * 4 END AS v FROM events)"""
 )
 def limit_rules(spark, sf_dir):
     k = F.col("event_id") % 6

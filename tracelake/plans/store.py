@@ -21,17 +21,22 @@ def _orders(spark, sf_dir):
     )
 
 
-@register("upsert_transcripts", """SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title, coalesce(n.total, o.total) AS total FROM
-    (SELECT o_orderkey AS id, o_orderstatus AS title, o_totalprice AS total FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN
-    (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'new' END AS title, o_totalprice + 1 AS total FROM orders WHERE o_orderkey % 2 = 0) n ON o.id = n.id""")
+@register("upsert_transcripts", """SELECT coalesce(o.id, n.id) AS id, coalesce(n.title, o.title) AS title,
+    coalesce(n.total, o.total) AS total FROM
+    (SELECT o_orderkey AS id, o_orderstatus AS title, o_totalprice AS total FROM orders
+    WHERE o_orderkey % 3 <> 0) o FULL JOIN
+    (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'new' END AS title, o_totalprice + 1 AS total
+    FROM orders WHERE o_orderkey % 2 = 0) n ON o.id = n.id""")
 def upsert_transcripts(spark, sf_dir):
     o = _orders(spark, sf_dir).drop("custkey")
     new = o.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, "new").alias("title"), (F.col("total") + 1).alias("total"))
     return O.upserted(o.where("id % 3 <> 0"), new, ["id"], ["id"])
 
 
-@register("replace_children", """SELECT session_id, CAST(count(*) AS BIGINT) AS children, round(CAST(sum(q) AS DOUBLE), 2) AS quantity FROM (SELECT l_orderkey AS session_id, l_quantity AS q FROM lineitem WHERE l_orderkey % 5 <> 0
-    UNION ALL SELECT l_orderkey, l_quantity * 2 FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber <= 2) GROUP BY session_id""")
+@register("replace_children", """SELECT session_id, CAST(count(*) AS BIGINT) AS children, round(CAST(sum(q) AS DOUBLE),
+    2) AS quantity FROM (SELECT l_orderkey AS session_id, l_quantity AS q FROM lineitem WHERE l_orderkey % 5 <> 0
+    UNION ALL SELECT l_orderkey, l_quantity * 2 FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber <= 2)
+    GROUP BY session_id""")
 def replace_children(spark, sf_dir):
     lines = V.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"),
@@ -44,8 +49,11 @@ def replace_children(spark, sf_dir):
     return told.groupBy("session_id").agg(F.count("*").alias("children"), F.round(F.sum("q"), 2).alias("quantity"))
 
 
-@register("preferred_snapshot", """SELECT custkey, messages, tool_calls, mtime, path FROM (SELECT o_custkey AS custkey, o_orderkey % 7 AS messages, o_orderkey % 5 AS tool_calls, o_orderkey % 11 AS mtime, 'p' || o_orderkey AS path,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 + o_orderkey % 5 DESC, o_orderkey % 7 DESC, o_orderkey % 11 DESC, 'p' || o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
+@register("preferred_snapshot", """SELECT custkey, messages, tool_calls, mtime, path
+    FROM (SELECT o_custkey AS custkey, o_orderkey % 7 AS messages, o_orderkey % 5 AS tool_calls,
+    o_orderkey % 11 AS mtime, 'p' || o_orderkey AS path,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7 + o_orderkey % 5 DESC, o_orderkey % 7 DESC,
+    o_orderkey % 11 DESC, 'p' || o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def preferred_snapshot(spark, sf_dir):
     k = F.col("id")
     snapshots = _orders(spark, sf_dir).select(
@@ -58,9 +66,15 @@ def preferred_snapshot(spark, sf_dir):
     return O.preferred(snapshots, ["custkey"])
 
 
-@register("shrink_guard", """SELECT i.k, CASE WHEN s.k IS NULL THEN 'new' WHEN NOT (i.messages < s.messages OR i.tool_calls < s.tool_calls) THEN 'accept' WHEN i.intent AND i.reason <> '' THEN 'accept_shrink' ELSE 'refuse' END AS verdict FROM
-    (SELECT l_orderkey AS k, count(*) FILTER (l_linenumber <> 2) AS messages, count(*) FILTER (l_linenumber < 4) AS tool_calls, l_orderkey % 3 = 0 AS intent, CASE WHEN l_orderkey % 2 = 0 THEN 'asked' ELSE ' ' END AS reason_, trim(CASE WHEN l_orderkey % 2 = 0 THEN 'asked' ELSE ' ' END) AS reason FROM lineitem GROUP BY l_orderkey) i
-    LEFT JOIN (SELECT l_orderkey AS k, count(*) AS messages, count(*) FILTER (l_linenumber < 4) AS tool_calls FROM lineitem WHERE l_orderkey % 10 <> 7 GROUP BY l_orderkey) s ON s.k = i.k""")
+@register("shrink_guard", """SELECT i.k, CASE WHEN s.k IS NULL THEN 'new' WHEN NOT (i.messages < s.messages OR
+    i.tool_calls < s.tool_calls) THEN 'accept' WHEN i.intent AND i.reason <> '' THEN 'accept_shrink' ELSE 'refuse' END
+    AS verdict FROM
+    (SELECT l_orderkey AS k, count(*) FILTER (l_linenumber <> 2) AS messages,
+    count(*) FILTER (l_linenumber < 4) AS tool_calls, l_orderkey % 3 = 0 AS intent,
+    CASE WHEN l_orderkey % 2 = 0 THEN 'asked' ELSE ' ' END AS reason_,
+    trim(CASE WHEN l_orderkey % 2 = 0 THEN 'asked' ELSE ' ' END) AS reason FROM lineitem GROUP BY l_orderkey) i
+    LEFT JOIN (SELECT l_orderkey AS k, count(*) AS messages, count(*) FILTER (l_linenumber < 4) AS tool_calls
+    FROM lineitem WHERE l_orderkey % 10 <> 7 GROUP BY l_orderkey) s ON s.k = i.k""")
 def shrink_guard(spark, sf_dir):
     lines = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
     stored = lines.where("k % 10 <> 7").groupBy("k").agg(F.count("*").alias("messages"), F.count_if(F.col("n") < 4).alias("tool_calls"))
@@ -69,8 +83,11 @@ def shrink_guard(spark, sf_dir):
     return O.shrink_verdicts(stored, new, "k")
 
 
-_SLICES = """t AS (SELECT o_orderkey AS id, o_orderstatus AS source, CAST(o_orderkey // 2 AS VARCHAR) || o_orderstatus AS source_id FROM orders WHERE o_orderkey % 3 = 0),
-    s AS (SELECT o_orderkey AS id, o_orderstatus AS source, CAST(o_orderkey // 2 AS VARCHAR) || o_orderstatus AS source_id FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1)"""
+_SLICES = """t AS (SELECT o_orderkey AS id, o_orderstatus AS source,
+    CAST(o_orderkey // 2 AS VARCHAR) || o_orderstatus AS source_id FROM orders WHERE o_orderkey % 3 = 0),
+    s AS (SELECT o_orderkey AS id, o_orderstatus AS source,
+    CAST(o_orderkey // 2 AS VARCHAR) || o_orderstatus AS source_id FROM orders
+    WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1)"""
 
 
 def _slices(spark, sf_dir):
@@ -84,7 +101,8 @@ def _slices(spark, sf_dir):
 
 @register(
     "merge_stores",
-    f"WITH {_SLICES} SELECT *, 'target' AS origin FROM t UNION ALL SELECT *, 'source' FROM s WHERE NOT EXISTS (FROM t WHERE t.id = s.id) AND NOT EXISTS (FROM t WHERE t.source = s.source AND t.source_id = s.source_id)"
+    f"""WITH {_SLICES} SELECT *, 'target' AS origin FROM t UNION ALL SELECT *, 'source' FROM s WHERE NOT EXISTS (FROM t
+        WHERE t.id = s.id) AND NOT EXISTS (FROM t WHERE t.source = s.source AND t.source_id = s.source_id)"""
 )
 def merge_stores(spark, sf_dir):
     return O.merged_stores(*_slices(spark, sf_dir))
@@ -92,7 +110,9 @@ def merge_stores(spark, sf_dir):
 
 @register(
     "merge_children",
-    f"WITH {_SLICES}, ids AS (SELECT s.id, coalesce(min(t.id), s.id) AS to_id FROM s LEFT JOIN t USING (source, source_id) GROUP BY s.id) SELECT to_id AS session_id, count(*) AS children FROM lineitem JOIN ids ON ids.id = l_orderkey GROUP BY to_id"
+    f"""WITH {_SLICES}, ids AS (SELECT s.id, coalesce(min(t.id), s.id) AS to_id FROM s LEFT
+        JOIN t USING (source, source_id) GROUP BY s.id) SELECT to_id AS session_id, count(*) AS children FROM lineitem
+        JOIN ids ON ids.id = l_orderkey GROUP BY to_id"""
 )
 def merge_children(spark, sf_dir):
     target, source = _slices(spark, sf_dir)
@@ -103,7 +123,8 @@ def merge_children(spark, sf_dir):
 @register(
     "machine_register",
     with_views(
-        "SELECT machine AS name, min(started_at) AS first_seen_at, max(started_at) AS last_seen_at, count(*) AS session_count FROM v_transcripts WHERE machine IS NOT NULL GROUP BY machine",
+        """SELECT machine AS name, min(started_at) AS first_seen_at, max(started_at) AS last_seen_at,
+            count(*) AS session_count FROM v_transcripts WHERE machine IS NOT NULL GROUP BY machine""",
         "v_transcripts"
     )
 )
@@ -118,7 +139,8 @@ def machine_register(spark, sf_dir):
 
 @register(
     "project_index_merge",
-    "SELECT c_custkey AS session_id, 'new' AS entry FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0"
+    """SELECT c_custkey AS session_id, 'new' AS entry FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0"""
 )
 def project_index_merge(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
@@ -129,7 +151,10 @@ def project_index_merge(spark, sf_dir):
 @register(
     "delete_cascade",
     with_views(
-        "SELECT 'transcripts' AS tab, count(*) AS n FROM v_transcripts WHERE CAST(id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'messages', count(*) FROM v_messages WHERE CAST(session_id AS BIGINT) % 4 <> 1 UNION ALL SELECT 'tool_calls', count(*) FROM v_tool_calls WHERE NOT (CAST(session_id AS BIGINT) % 4 = 1 AND session_id IN (SELECT id FROM v_transcripts))",
+        """SELECT 'transcripts' AS tab, count(*) AS n FROM v_transcripts WHERE CAST(id AS BIGINT) % 4 <> 1
+            UNION ALL SELECT 'messages', count(*) FROM v_messages WHERE CAST(session_id AS BIGINT) % 4 <> 1
+            UNION ALL SELECT 'tool_calls', count(*) FROM v_tool_calls
+            WHERE NOT (CAST(session_id AS BIGINT) % 4 = 1 AND session_id IN (SELECT id FROM v_transcripts))""",
         "v_transcripts",
         "v_messages",
         "v_tool_calls"
@@ -161,8 +186,12 @@ def rename(spark, sf_dir):
     ).select("id", "title")
 
 
-@register("relocate_paths", with_views("""SELECT id, CASE WHEN project_path = '/w/src1' OR starts_with(project_path, '/w/src1/') THEN '/home/x' || substr(project_path, 8) ELSE project_path END AS project_path,
-    replace(CASE WHEN p = '/w/src1' OR starts_with(p, '/w/src1/') THEN '/home/x' || substr(p, 8) ELSE p END, '/-w-src1/', '/-home-x/') AS source_path FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN project_path || '/f.jsonl' ELSE '/state/' || replace(project_path, '/', '-') || '/f.jsonl' END AS p FROM v_transcripts)""", "v_transcripts"))
+@register("relocate_paths", with_views("""SELECT id, CASE WHEN project_path = '/w/src1' OR starts_with(project_path,
+    '/w/src1/') THEN '/home/x' || substr(project_path, 8) ELSE project_path END AS project_path,
+    replace(CASE WHEN p = '/w/src1' OR starts_with(p, '/w/src1/') THEN '/home/x' || substr(p, 8) ELSE p END,
+    '/-w-src1/', '/-home-x/') AS source_path FROM (SELECT *,
+    CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN project_path || '/f.jsonl' ELSE '/state/' || replace(project_path, '/',
+    '-') || '/f.jsonl' END AS p FROM v_transcripts)""", "v_transcripts"))
 def relocate_paths(spark, sf_dir):
     s = V.transcripts(spark, sf_dir)
     path = F.when(F.col("id").cast("bigint") % 2 == 0, F.concat("project_path", F.lit("/f.jsonl"))).otherwise(
@@ -178,7 +207,8 @@ def remap_prefix(spark, sf_dir):
 
 @register(
     "remap_bounded",
-    """SELECT doc_id, replace(replace(replace('{"cwd":"/w/src1","a":"/w/src1/x","b":"/w/src10","c":"/w/' || source || '"}', '/w/src1"', '/home/$1"'), '/w/src1/', '/home/$1/'), '/w/src1 ', '/home/$1 ') AS text FROM documents"""
+    """SELECT doc_id, replace(replace(replace('{"cwd":"/w/src1","a":"/w/src1/x","b":"/w/src10","c":"/w/' || source ||
+        '"}', '/w/src1"', '/home/$1"'), '/w/src1/', '/home/$1/'), '/w/src1 ', '/home/$1 ') AS text FROM documents"""
 )
 def remap_bounded(spark, sf_dir):
     text = F.concat(F.lit('{"cwd":"/w/src1","a":"/w/src1/x","b":"/w/src10","c":"/w/'), F.col("source"), F.lit('"}'))
@@ -187,7 +217,9 @@ def remap_bounded(spark, sf_dir):
 
 @register(
     "matching_folders",
-    "SELECT doc_id, folder FROM (SELECT doc_id, '-w-' || source || CASE WHEN doc_id % 3 = 0 THEN '-sub' ELSE '' END AS folder FROM documents) WHERE folder = '-w-src1' OR starts_with(folder, '-w-src1-')"
+    """SELECT doc_id, folder FROM (SELECT doc_id,
+        '-w-' || source || CASE WHEN doc_id % 3 = 0 THEN '-sub' ELSE '' END AS folder FROM documents)
+        WHERE folder = '-w-src1' OR starts_with(folder, '-w-src1-')"""
 )
 def matching_folders(spark, sf_dir):
     folder = F.concat(F.lit("-w-"), F.col("source"), F.when(F.col("doc_id") % 3 == 0, "-sub").otherwise(""))
@@ -197,7 +229,9 @@ def matching_folders(spark, sf_dir):
 @register(
     "rename_by_identifier",
     with_views(
-        "SELECT s.id, coalesce(t.title, s.title) AS title FROM v_transcripts s LEFT JOIN (SELECT candidates AS id, min('New ' || identifier) AS title FROM told WHERE matches = 1 GROUP BY candidates) t ON t.id = s.id",
+        """SELECT s.id, coalesce(t.title, s.title) AS title FROM v_transcripts s LEFT
+            JOIN (SELECT candidates AS id, min('New ' || identifier) AS title FROM told WHERE matches = 1
+            GROUP BY candidates) t ON t.id = s.id""",
         "v_transcripts",
         ctes=_WANTED
     )
@@ -224,9 +258,14 @@ def _files(spark, sf_dir):
     return files, state
 
 
-_FILES = """f AS (SELECT event_type AS source, '/' || event_type || '/' || event_id AS path, event_id AS k, event_id % 97 AS mtime, event_id % 13 AS size FROM events),
-    st AS (SELECT source, path, mtime - CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS mtime, size, CASE WHEN k % 7 = 0 THEN 'error' WHEN k % 11 = 0 THEN 'pending' ELSE 'ok' END AS status FROM f WHERE k % 3 <> 0),
-    gate AS (SELECT f.source, f.path, f.mtime, st.status, CASE WHEN st.status IS NULL THEN 'new' WHEN st.status = 'ok' AND st.mtime = f.mtime AND st.size = f.size THEN 'skip' WHEN st.status = 'ok' THEN 'changed' ELSE 'retry' END AS action FROM f LEFT JOIN st ON st.source = f.source AND st.path = f.path)"""
+_FILES = """f AS (SELECT event_type AS source, '/' || event_type || '/' || event_id AS path, event_id AS k,
+    event_id % 97 AS mtime, event_id % 13 AS size FROM events),
+    st AS (SELECT source, path, mtime - CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS mtime, size,
+    CASE WHEN k % 7 = 0 THEN 'error' WHEN k % 11 = 0 THEN 'pending' ELSE 'ok' END AS status FROM f WHERE k % 3 <> 0),
+    gate AS (SELECT f.source, f.path, f.mtime, st.status,
+    CASE WHEN st.status IS NULL THEN 'new' WHEN st.status = 'ok' AND st.mtime = f.mtime AND st.size = f.size THEN 'skip'
+    WHEN st.status = 'ok' THEN 'changed' ELSE 'retry' END AS action FROM f LEFT
+    JOIN st ON st.source = f.source AND st.path = f.path)"""
 
 
 @register("file_state_gate", f"WITH {_FILES} SELECT source, path, action FROM gate")
@@ -236,7 +275,9 @@ def file_state_gate(spark, sf_dir):
 
 @register(
     "watch_lag",
-    f"WITH {_FILES} SELECT source, count(*) FILTER (action = 'skip') AS ok, count(*) FILTER (action <> 'skip') AS pending, count(*) FILTER (status = 'error') AS errors, max(mtime) FILTER (action <> 'skip') AS newest_pending FROM gate GROUP BY source"
+    f"""WITH {_FILES} SELECT source, count(*) FILTER (action = 'skip') AS ok,
+        count(*) FILTER (action <> 'skip') AS pending, count(*) FILTER (status = 'error') AS errors,
+        max(mtime) FILTER (action <> 'skip') AS newest_pending FROM gate GROUP BY source"""
 )
 def watch_lag(spark, sf_dir):
     return O.watch_status(*_files(spark, sf_dir))
@@ -244,7 +285,9 @@ def watch_lag(spark, sf_dir):
 
 @register(
     "ingest_result",
-    f"WITH {_FILES} SELECT source, count(*) AS scanned, count(*) FILTER (action <> 'skip') AS ingested, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'retry') AS retried FROM gate GROUP BY source"
+    f"""WITH {_FILES} SELECT source, count(*) AS scanned, count(*) FILTER (action <> 'skip') AS ingested,
+        count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'retry') AS retried FROM gate
+        GROUP BY source"""
 )
 def ingest_result(spark, sf_dir):
     return O.ingest_result(O.file_gate(*_files(spark, sf_dir)))
@@ -252,7 +295,9 @@ def ingest_result(spark, sf_dir):
 
 @register(
     "latest_file_state",
-    "SELECT o_orderstatus AS source, 'p' || o_custkey AS path, arg_max(o_orderkey % 97, o_orderkey) AS mtime, arg_max(o_orderkey % 13, o_orderkey) AS size, arg_max(o_orderpriority, o_orderkey) AS status FROM orders GROUP BY ALL"
+    """SELECT o_orderstatus AS source, 'p' || o_custkey AS path, arg_max(o_orderkey % 97, o_orderkey) AS mtime,
+        arg_max(o_orderkey % 13, o_orderkey) AS size, arg_max(o_orderpriority, o_orderkey) AS status FROM orders
+        GROUP BY ALL"""
 )
 def latest_file_state(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders")
@@ -279,8 +324,11 @@ def export_manifest(spark, sf_dir):
     return O.export_manifest(d.select(F.col("source").alias("project"), F.octet_length("text").cast("bigint").alias("bytes")))
 
 
-@register("import_remap", """SELECT doc_id, CASE WHEN path = '/old/src1' OR starts_with(path, '/old/src1/') THEN '/new/src1' || substr(path, 10) ELSE path END AS path,
-    CASE WHEN doc_id % 4 = 0 THEN 'skipped' WHEN starts_with(path, '/old/src1/') THEN 'remapped' ELSE 'imported' END AS action FROM (SELECT doc_id, '/old/' || source || '/' || doc_id AS path FROM documents)""")
+@register("import_remap", """SELECT doc_id, CASE WHEN path = '/old/src1' OR starts_with(path,
+    '/old/src1/') THEN '/new/src1' || substr(path, 10) ELSE path END AS path,
+    CASE WHEN doc_id % 4 = 0 THEN 'skipped' WHEN starts_with(path,
+    '/old/src1/') THEN 'remapped' ELSE 'imported' END AS action
+    FROM (SELECT doc_id, '/old/' || source || '/' || doc_id AS path FROM documents)""")
 def import_remap(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -302,13 +350,19 @@ def _inventory(spark, sf_dir):
     return O.inventory(files)
 
 
-_INVENTORY = """files AS (SELECT source || ':' || doc_id % 400 AS key, '/f/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest, CASE WHEN doc_id % 50 = 7 THEN 'broken' END AS error FROM documents),
-    inv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY path) > 1 THEN first_value(path) OVER (PARTITION BY key ORDER BY path) END AS duplicate_of FROM files)"""
+_INVENTORY = """files AS (SELECT source || ':' || doc_id % 400 AS key, '/f/' || lpad(CAST(doc_id AS VARCHAR), 9,
+    '0') AS path, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS digest,
+    CASE WHEN doc_id % 50 = 7 THEN 'broken' END AS error FROM documents),
+    inv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY path) > 1 THEN first_value(path) OVER
+    (PARTITION BY key ORDER BY path) END AS duplicate_of FROM files)"""
 
 
 @register(
     "backfill_inventory",
-    f"WITH {_INVENTORY} SELECT count(*) AS files, count(*) FILTER (duplicate_of IS NULL) AS selected, count(*) FILTER (duplicate_of IS NOT NULL) AS duplicates, CAST(sum(bytes) FILTER (duplicate_of IS NULL) AS BIGINT) AS bytes, max(bytes) FILTER (duplicate_of IS NULL) AS largest, count(*) FILTER (error IS NOT NULL) AS errors FROM inv"
+    f"""WITH {_INVENTORY} SELECT count(*) AS files, count(*) FILTER (duplicate_of IS NULL) AS selected,
+        count(*) FILTER (duplicate_of IS NOT NULL) AS duplicates,
+        CAST(sum(bytes) FILTER (duplicate_of IS NULL) AS BIGINT) AS bytes,
+        max(bytes) FILTER (duplicate_of IS NULL) AS largest, count(*) FILTER (error IS NOT NULL) AS errors FROM inv"""
 )
 def backfill_inventory(spark, sf_dir):
     return O.inventory_summary(_inventory(spark, sf_dir))
@@ -321,7 +375,8 @@ def backfill_duplicates(spark, sf_dir):
 
 @register(
     "backfill_selection",
-    f"WITH {_INVENTORY} SELECT key, path FROM inv WHERE duplicate_of IS NULL AND error IS NULL AND key >= 'src1' AND key <= 'src5' ORDER BY key LIMIT 100"
+    f"""WITH {_INVENTORY} SELECT key, path FROM inv
+        WHERE duplicate_of IS NULL AND error IS NULL AND key >= 'src1' AND key <= 'src5' ORDER BY key LIMIT 100"""
 )
 def backfill_selection(spark, sf_dir):
     return O.selected(_inventory(spark, sf_dir), "src1", "src5", 100).select("key", "path")
@@ -329,15 +384,22 @@ def backfill_selection(spark, sf_dir):
 
 @register(
     "backfill_capacity",
-    f"WITH {_INVENTORY} SELECT max(bytes) AS largest, CAST(sum(bytes) AS BIGINT) AS total, CASE WHEN max(bytes) > 67108864 THEN 'session_too_large' WHEN sum(bytes) > 1000000 THEN 'total_too_large' ELSE 'fits' END AS verdict FROM inv WHERE duplicate_of IS NULL AND error IS NULL"
+    f"""WITH {_INVENTORY} SELECT max(bytes) AS largest, CAST(sum(bytes) AS BIGINT) AS total,
+        CASE WHEN max(bytes) > 67108864 THEN 'session_too_large' WHEN sum(bytes) > 1000000 THEN 'total_too_large' ELSE
+        'fits' END AS verdict FROM inv WHERE duplicate_of IS NULL AND error IS NULL"""
 )
 def backfill_capacity(spark, sf_dir):
     return O.capacity(O.selected(_inventory(spark, sf_dir)), 64 << 20, 1_000_000)
 
 
-@register("backfill_resume", f"""WITH {_INVENTORY}, sel AS (SELECT *, CAST(split_part(key, ':', 2) AS BIGINT) AS k FROM inv WHERE duplicate_of IS NULL AND error IS NULL),
-    c AS (SELECT key, bytes + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS bytes, digest, CASE WHEN k % 7 = 0 THEN 'failed' ELSE 'completed' END AS state FROM sel WHERE k % 3 <> 0), d AS (SELECT key, digest AS stored_digest FROM sel WHERE k % 4 <> 0)
-    SELECT s.key, CASE WHEN c.state IS NULL OR c.state <> 'completed' THEN 'pending' WHEN s.bytes = c.bytes AND s.digest = c.digest AND d.stored_digest IS NOT DISTINCT FROM c.digest THEN 'skip' ELSE 'quarantine' END AS plan FROM sel s LEFT JOIN c ON c.key = s.key LEFT JOIN d ON d.key = s.key""")
+@register("backfill_resume", f"""WITH {_INVENTORY}, sel AS (SELECT *, CAST(split_part(key, ':', 2) AS BIGINT) AS k
+    FROM inv WHERE duplicate_of IS NULL AND error IS NULL),
+    c AS (SELECT key, bytes + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS bytes, digest,
+    CASE WHEN k % 7 = 0 THEN 'failed' ELSE 'completed' END AS state FROM sel WHERE k % 3 <> 0),
+    d AS (SELECT key, digest AS stored_digest FROM sel WHERE k % 4 <> 0)
+    SELECT s.key, CASE WHEN c.state IS NULL OR c.state <> 'completed' THEN 'pending' WHEN s.bytes = c.bytes AND s.digest
+    = c.digest AND d.stored_digest IS NOT DISTINCT FROM c.digest THEN 'skip' ELSE 'quarantine' END AS plan FROM sel s
+    LEFT JOIN c ON c.key = s.key LEFT JOIN d ON d.key = s.key""")
 def backfill_resume(spark, sf_dir):
     files = O.selected(_inventory(spark, sf_dir)).withColumn("k", F.split_part("key", F.lit(":"), F.lit(2)).cast("bigint"))
     done = files.where("k % 3 <> 0").select(
@@ -351,7 +413,8 @@ def backfill_resume(spark, sf_dir):
 
 @register(
     "backfill_checkpoint",
-    "SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS state, max(o_orderkey) AS run, count(*) AS versions FROM orders GROUP BY o_custkey"
+    """SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS state, max(o_orderkey) AS run,
+        count(*) AS versions FROM orders GROUP BY o_custkey"""
 )
 def backfill_checkpoint(spark, sf_dir):
     return O.checkpoint_view(
@@ -361,7 +424,8 @@ def backfill_checkpoint(spark, sf_dir):
 
 @register(
     "backfill_verify",
-    f"WITH {_INVENTORY} SELECT DISTINCT 'src' || (c_custkey % 25) || ':' || c_custkey AS key FROM customer WHERE 'src' || (c_custkey % 25) || ':' || c_custkey NOT IN (SELECT key FROM inv WHERE key IS NOT NULL)"
+    f"""WITH {_INVENTORY} SELECT DISTINCT 'src' || (c_custkey % 25) || ':' || c_custkey AS key FROM customer
+        WHERE 'src' || (c_custkey % 25) || ':' || c_custkey NOT IN (SELECT key FROM inv WHERE key IS NOT NULL)"""
 )
 def backfill_verify(spark, sf_dir):
     c = F.col("c_custkey")
@@ -371,16 +435,26 @@ def backfill_verify(spark, sf_dir):
     return O.not_found(known, _inventory(spark, sf_dir))
 
 
-@register("sync_plan", with_views("""SELECT s.id, s.message_count AS stored, coalesce(m.n, 0) AS loaded, CASE WHEN coalesce(m.n, 0) = 0 THEN 'refuse_empty' WHEN m.n < s.message_count THEN 'refuse_short' ELSE 'push' END AS verdict
-    FROM (SELECT * FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500) s LEFT JOIN (SELECT session_id, count(*) AS n FROM v_messages WHERE CAST(session_id AS BIGINT) % 10 <> 3 AND (CAST(session_id AS BIGINT) % 10 <> 4 OR sequence_num > 0) GROUP BY session_id) m ON m.session_id = s.id""", "v_transcripts", "v_messages"))
+@register("sync_plan", with_views("""SELECT s.id, s.message_count AS stored, coalesce(m.n, 0) AS loaded,
+    CASE WHEN coalesce(m.n, 0) = 0 THEN 'refuse_empty' WHEN m.n < s.message_count THEN 'refuse_short' ELSE 'push' END AS
+    verdict
+    FROM (SELECT * FROM v_transcripts ORDER BY started_at DESC NULLS LAST, id LIMIT 500) s LEFT
+    JOIN (SELECT session_id, count(*) AS n FROM v_messages
+    WHERE CAST(session_id AS BIGINT) % 10 <> 3 AND (CAST(session_id AS BIGINT) % 10 <> 4 OR sequence_num > 0)
+    GROUP BY session_id) m ON m.session_id = s.id""", "v_transcripts", "v_messages"))
 def sync_plan(spark, sf_dir):
     k = F.col("session_id").cast("bigint") % 10
     return O.sync_plan(V.transcripts(spark, sf_dir), V.messages(spark, sf_dir).where((k != 3) & ((k != 4) | (F.col("sequence_num") > 0))))
 
 
-_READ = """b AS (SELECT event_type AS source, 'p' || event_id AS path, event_id AS k, event_id % 97 AS mtime, event_id % 13 AS size FROM events),
-    told AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'bad record' WHEN k % 17 = 0 THEN 'file vanished after parsing' WHEN k % 23 = 0 THEN 'incomplete trailing record' WHEN k % 19 = 0 THEN 'file changed during parsing' END AS message FROM b),
-    state AS (SELECT source, path, CASE WHEN k % 29 <> 0 AND k % 17 <> 0 AND k % 19 = 0 THEN mtime + 1 ELSE mtime END AS mtime, size, CASE WHEN k % 29 = 0 THEN 'error' WHEN message IS NOT NULL THEN 'pending' ELSE 'ok' END AS status, message FROM told)"""
+_READ = """b AS (SELECT event_type AS source, 'p' || event_id AS path, event_id AS k, event_id % 97 AS mtime,
+    event_id % 13 AS size FROM events),
+    told AS (SELECT *, CASE WHEN k % 29 = 0 THEN 'bad record' WHEN k % 17 = 0 THEN 'file vanished after parsing' WHEN k
+    % 23 = 0 THEN 'incomplete trailing record' WHEN k % 19 = 0 THEN 'file changed during parsing' END AS message
+    FROM b),
+    state AS (SELECT source, path, CASE WHEN k % 29 <> 0 AND k % 17 <> 0 AND k % 19 = 0 THEN mtime + 1 ELSE mtime END AS
+    mtime, size, CASE WHEN k % 29 = 0 THEN 'error' WHEN message IS NOT NULL THEN 'pending' ELSE 'ok' END AS status,
+    message FROM told)"""
 
 
 def _read(spark, sf_dir):
@@ -407,7 +481,9 @@ def file_deferral(spark, sf_dir):
 
 @register(
     "file_state_upsert",
-    f"WITH {_READ} SELECT source, path, mtime, size, status, message, 2 AS run FROM state WHERE status <> 'ok' UNION ALL SELECT source, path, mtime, size, 'pending', 'new', 1 FROM b WHERE path NOT IN (SELECT path FROM state WHERE status <> 'ok')"
+    f"""WITH {_READ} SELECT source, path, mtime, size, status, message, 2 AS run FROM state WHERE status <> 'ok'
+        UNION ALL SELECT source, path, mtime, size, 'pending', 'new', 1 FROM b WHERE path NOT IN (SELECT path FROM state
+        WHERE status <> 'ok')"""
 )
 def file_state_upsert(spark, sf_dir):
     old = V.table(spark, sf_dir, "events").select(
@@ -424,7 +500,8 @@ def file_state_upsert(spark, sf_dir):
 
 @register(
     "backfill_staleness",
-    f"WITH {_INVENTORY} SELECT key, (right(path, 1) = '3' OR right(path, 1) = '4') AS stale FROM inv WHERE duplicate_of IS NULL AND error IS NULL"
+    f"""WITH {_INVENTORY} SELECT key, (right(path, 1) = '3' OR right(path, 1) = '4') AS stale FROM inv
+        WHERE duplicate_of IS NULL AND error IS NULL"""
 )
 def backfill_staleness(spark, sf_dir):
     """Entries whose content changed (paths that end in 3) or that vanished (4) since the inventory."""
@@ -438,7 +515,10 @@ def backfill_staleness(spark, sf_dir):
 
 @register(
     "backfill_checkpoint_write",
-    "SELECT o_custkey AS key, CASE WHEN o_custkey % 2 = 0 THEN 'completed' WHEN arg_max(o_orderkey % 3, o_orderkey) = 0 THEN 'skipped' ELSE 'completed' END AS state, CASE WHEN o_custkey % 2 = 0 THEN max(max(o_orderkey)) OVER () + 1 ELSE max(o_orderkey) END AS run FROM orders GROUP BY o_custkey"
+    """SELECT o_custkey AS key, CASE WHEN o_custkey % 2 = 0 THEN 'completed' WHEN arg_max(o_orderkey % 3,
+        o_orderkey) = 0 THEN 'skipped' ELSE 'completed' END AS state,
+        CASE WHEN o_custkey % 2 = 0 THEN max(max(o_orderkey)) OVER () + 1 ELSE max(o_orderkey) END AS run FROM orders
+        GROUP BY o_custkey"""
 )
 def backfill_checkpoint_write(spark, sf_dir):
     """A checkpoint with rows of an old version, and one more run over every second key."""
@@ -456,7 +536,9 @@ def backfill_checkpoint_write(spark, sf_dir):
 
 @register(
     "pane_listing",
-    "SELECT event_id, machine, pos FROM (SELECT event_id, 'm' || user_id % 3 AS machine, row_number() OVER (PARTITION BY user_id % 3 ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, 'box-' || user_id % 9, user_id % 4, event_id) AS pos FROM events)"
+    """SELECT event_id, machine, pos FROM (SELECT event_id, 'm' || user_id % 3 AS machine,
+        row_number() OVER (PARTITION BY user_id % 3 ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN
+        'purchase' THEN 2 ELSE 3 END, 'box-' || user_id % 9, user_id % 4, event_id) AS pos FROM events)"""
 )
 def pane_listing(spark, sf_dir):
     u = F.col("user_id")

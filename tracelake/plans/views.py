@@ -105,21 +105,33 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "v_messages": "SELECT conv_id || ':' || turn AS id, CAST(conv_id AS VARCHAR) AS session_id, role, text AS content, turn AS sequence_num FROM conversations",
-    "v_tool_calls": """SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id, event_type AS tool_name, props AS tool_input,
-        CAST(NULL AS VARCHAR) AS tool_output, value AS duration, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
+    "v_messages": """SELECT conv_id || ':' || turn AS id, CAST(conv_id AS VARCHAR) AS session_id, role, text AS content,
+        turn AS sequence_num FROM conversations""",
+    "v_tool_calls": """SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id,
+        event_type AS tool_name, props AS tool_input,
+        CAST(NULL AS VARCHAR) AS tool_output, value AS duration,
+        CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
         strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM events""",
-    "v_transcripts": """SELECT CAST(c.conv_id AS VARCHAR) AS id, CASE c.conv_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'rollout' WHEN 2 THEN 'overlay' ELSE 'logs' END AS source,
-        's' || c.conv_id AS source_id, substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 120) AS title, d.source AS project_name, '/w/' || d.source AS project_path,
-        d.lang AS model, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c.conv_id), '%Y-%m-%d %H:%M:%S') AS started_at, n.n_name AS machine,
+    "v_transcripts": """SELECT CAST(c.conv_id AS VARCHAR) AS id, CASE c.conv_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN
+        'rollout' WHEN 2 THEN 'overlay' ELSE 'logs' END AS source,
+        's' || c.conv_id AS source_id, substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 120) AS title,
+        d.source AS project_name, '/w/' || d.source AS project_path,
+        d.lang AS model, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c.conv_id),
+        '%Y-%m-%d %H:%M:%S') AS started_at, n.n_name AS machine,
         CAST(c.message_count AS BIGINT) AS message_count, CAST(coalesce(e.n, 0) AS BIGINT) AS tool_call_count,
-        'maker' || c.conv_id % 3 AS model_provider, 'topic/' || d.lang AS git_branch, left(md5(c.text), 10) AS git_sha, 'https://host.test/' || d.source || '.git' AS git_origin_url
-        FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS text, count(*) AS message_count FROM conversations GROUP BY conv_id) c
-        LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = c.conv_id
+        'maker' || c.conv_id % 3 AS model_provider, 'topic/' || d.lang AS git_branch, left(md5(c.text), 10) AS git_sha,
+        'https://host.test/' || d.source || '.git' AS git_origin_url
+        FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS text, count(*) AS message_count
+        FROM conversations GROUP BY conv_id) c
+        LEFT JOIN documents d ON d.doc_id = c.conv_id LEFT JOIN (SELECT user_id, count(*) AS n FROM events
+        GROUP BY user_id) e ON e.user_id = c.conv_id
         LEFT JOIN nation n ON n.n_nationkey = c.conv_id % 30""",
     "v_corpus": "SELECT CAST(doc_id AS VARCHAR) AS id, source AS session_id, text AS content FROM documents",
-    "v_corpus_transcripts": "SELECT source AS id, min(lang) AS title, max(source) AS project_name, lpad(CAST(max(doc_id) AS VARCHAR), 12, '0') AS started_at FROM documents WHERE source IS NOT NULL GROUP BY source",
-    "v_queries": "SELECT item_id AS query_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 2 + item_id % 3), ' ') AS query FROM benchmark",
+    "v_corpus_transcripts": """SELECT source AS id, min(lang) AS title, max(source) AS project_name,
+        lpad(CAST(max(doc_id) AS VARCHAR), 12, '0') AS started_at FROM documents WHERE source IS NOT NULL
+        GROUP BY source""",
+    "v_queries": """SELECT item_id AS query_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'),
+        lambda w: w <> ''), 1, 2 + item_id % 3), ' ') AS query FROM benchmark""",
 }
 
 
@@ -131,5 +143,8 @@ def with_views(select: str, *names: str, ctes: str = "") -> str:
 
 #: In SQL, the cosine of e.embedding and q.embedding, and the cte knn of the nearest vectors of each fiftieth one.
 COSINE = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
-NEAREST = f"""knn AS (SELECT query_id, message_id, session_id, cosine, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM
-    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {COSINE} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE n = 1) WHERE pos <= 10)"""
+NEAREST = f"""knn AS (SELECT query_id, message_id, session_id, cosine, pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, session_id) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY cosine DESC, message_id) AS n FROM
+    (SELECT q.vec_id AS query_id, e.vec_id AS message_id, 's' || (e.vec_id % 100) AS session_id, {COSINE} AS cosine
+    FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE n = 1) WHERE pos <= 10)"""
