@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .materialize import materialized
 
 
 def chunks(messages: DataFrame, width: int = 2000) -> DataFrame:
@@ -124,31 +127,36 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
 
 
-#: Query vectors that a task holds at once, and multiplies at once.
-QUERIES_AT_ONCE, PRODUCT = 10_000, 512
+#: Rows of a block of vectors and of a block of queries, the cells of the grid at least while a block keeps LEAST_ROWS
+#: vectors, and the vectors and queries that a task multiplies at once.
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK, LEAST_CELLS, LEAST_ROWS = 65_536, 4_096, 32, 2_048
+ROWS_AT_ONCE, PRODUCT = 8_192, 256
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, message_id, session_id, cosine, pos: the best chunk of each session for each query vector.
 
-    The query vectors (query_id, query_vector) are dealt into blocks of bounded size; each
-    block passes over the vectors once, as matrix products of Arrow batches, of which every
-    batch sends on only the rows that its best ``limit`` transcripts leave possible. An
-    embedding is an array or the packed bytes of one, which are read where they lie. Vectors
-    that are null or hold a null count as empty; the cosine is over the shorter length and
-    0 where a norm is 0.
+    Vectors and query vectors (query_id, query_vector) are dealt into blocks of bounded size, of
+    which each two meet in a task, as matrix products; it sends on the best ``limit`` sessions of
+    its block for each query, so memory doesn't grow with either table and rows only with the
+    number of blocks. An embedding is an array or the packed bytes of one, which are read where
+    they lie. Vectors that are null or hold a null count as empty; the cosine is over the shorter
+    length and 0 where a norm is 0.
     """
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    asked = materialized(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")))
     held = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "binary" else F.col("embedding").cast("array<double>")
     told = vectors.select("message_id", "session_id", held.alias("embedding"))
-    types = dict(told.dtypes) | {"query_id": dict(asked.dtypes)["query_id"]}
-    schema = f"query_id {types['query_id']}, message_id {types['message_id']}, session_id {types['session_id']}, cosine double"
-    turns = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    found = None
-    for turn in range(turns):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow()
-        part = told.mapInArrow(_near_rows(vectors.sparkSession.sparkContext.broadcast(own), limit), schema)
-        found = part if found is None else found.unionByName(part)
+    schema = asked.select("query_id").schema.fields + told.select("message_id", "session_id").schema.fields
+    schema = StructType([*schema, StructField("cosine", DoubleType())])
+    parts = lambda n, most: max(1, -(-n // most))
+    number, slices = vectors.count(), parts(asked.count(), QUERIES_IN_BLOCK)
+    blocks = max(parts(number, VECTORS_IN_BLOCK), min(parts(number, LEAST_ROWS), parts(LEAST_CELLS, slices)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = told.withColumn("_block", dealt("message_id", blocks)).withColumn("_slice", every(slices))
+    right = asked.withColumn("_slice", dealt("query_id", slices)).withColumn("_block", every(blocks))
+    grid = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
+    found = grid.applyInArrow(_near_rows(limit), schema)
     one = found.withColumn(
         "_n",
         F.row_number().over(W.partitionBy("query_id", "session_id").orderBy(F.desc("cosine"), "message_id"))
@@ -176,47 +184,88 @@ def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _normed(matrix: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` entries of each row over their norm; zeros where it is 0."""
+    cut = matrix[:, :n]
+    norm = np.sqrt((cut * cut).sum(1))[:, None]
+    return cut / np.where(norm > 0, norm, 1.0)
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = min(a.shape[1], b.shape[1])
-    a, b = a[:, :n], b[:, :n]
-    norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
-    return np.round(np.where(norm > 0, a @ b.T / np.where(norm > 0, norm, 1.0), 0.0), 6)
-
-
-def _near_rows(queries, limit: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = queries.value["query_id"].combine_chunks()
-        asked = _by_length(queries.value["query_vector"].combine_chunks())
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = _by_length(batch["embedding"])
-            session = pc.dictionary_encode(batch["session_id"], null_encoding="encode").indices.to_numpy()
-            by_session = np.argsort(session, kind="stable")
-            starts = np.flatnonzero(np.append(True, session[by_session][1:] != session[by_session][:-1]))
-            place = np.empty(len(session), np.int64)
-            place[by_session] = np.cumsum(np.append(False, session[by_session][1:] != session[by_session][:-1]))
-            for wanted, matrix in asked.values():
-                for lo in range(0, len(wanted), PRODUCT):
-                    near = np.empty((batch.num_rows, min(PRODUCT, len(wanted) - lo)))
-                    for own, part in parts.values():
-                        near[own] = _cosines(part, matrix[lo : lo + PRODUCT])
-                    best = np.maximum.reduceat(near[by_session], starts, axis=0)
-                    least = -np.partition(-best, min(limit, len(best)) - 1, axis=0)[min(limit, len(best)) - 1]
-                    row, query = np.nonzero((near == best[place]) & (near >= least))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(wanted[lo + query])),
-                            batch["message_id"].take(pa.array(row)),
-                            batch["session_id"].take(pa.array(row)),
-                            pa.array(near[row, query])
-                        ],
-                        names=["query_id", "message_id", "session_id", "cosine"]
-                    )
+    """Of each row of ``a`` with that of ``b``, to six decimals."""
+    norm = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.round(np.where(norm > 0, (a * b).sum(1) / np.where(norm > 0, norm, 1.0), 0.0), 6)
+
+
+def _by_id(vectors: pa.Table) -> pa.Table:
+    """In the order of session and message, by which equal cosines are told apart."""
+    ids = vectors["message_id"].combine_chunks()
+    ids = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    keys = pa.table([vectors["session_id"], *ids], names=[str(k) for k in range(len(ids) + 1)])
+    return vectors.take(pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start"))
+
+
+def _near_rows(limit: int):
+    def rows(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        vectors = _by_id(vectors).combine_chunks()
+        groups = _by_length(_whole(asked["query_vector"])) if asked.num_rows else {}
+        session = pc.dictionary_encode(_whole(vectors["session_id"]), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        least = np.full(asked.num_rows, -np.inf)  # the cosine of a query's session number ``limit``; an equal one comes later
+        query, row, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, vectors.num_rows, ROWS_AT_ONCE):
+            own = session[lo : lo + ROWS_AT_ONCE]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            parts = _by_length(_whole(vectors["embedding"].slice(lo, ROWS_AT_ONCE)))
+            found = [(query, row, near)]
+            for wanted, matrix in groups.values():
+                for at in range(0, len(wanted), PRODUCT):
+                    some, part = wanted[at : at + PRODUCT], matrix[at : at + PRODUCT]
+                    about = np.empty((len(own), len(some)))
+                    for place, values in parts.values():
+                        n = min(values.shape[1], part.shape[1])
+                        about[place] = _normed(values, n) @ _normed(part, n).T
+                    floor = least[some]
+                    if np.isinf(floor).any() and len(starts) > limit:
+                        best = np.maximum.reduceat(about, starts, axis=0) if len(starts) < len(own) else about
+                        floor = np.maximum(floor, -np.partition(-best, limit - 1, axis=0)[limit - 1])
+                    good, which = np.nonzero(about >= floor - 2e-6)
+                    cosine = np.zeros(len(good))
+                    for place, values in parts.values():
+                        n, inside = min(values.shape[1], part.shape[1]), np.full(len(own), -1)
+                        inside[place] = np.arange(len(place))
+                        for k in range(0, len(good), ROWS_AT_ONCE):
+                            spot = inside[good[k : k + ROWS_AT_ONCE]]
+                            here = np.flatnonzero(spot >= 0)
+                            cosine[k + here] = _cosines(values[spot[here], :n], part[which[k + here], :n])
+                    above = cosine > least[some[which]]
+                    found.append((some[which[above]], lo + good[above], cosine[above]))
+            query, row, near = _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)), session, limit, least)
+        query, row = pa.array(query), pa.array(row)
+        told = [asked["query_id"].take(query), vectors["message_id"].take(row), vectors["session_id"].take(row), pa.array(near)]
+        return pa.Table.from_arrays(told, names=["query_id", "message_id", "session_id", "cosine"])
 
     return rows
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _best_of(
+    query: np.ndarray, row: np.ndarray, near: np.ndarray, session: np.ndarray, limit: int, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best row of each session for each query, the first ``limit`` of a query; ``least`` gets the last one's cosine."""
+    order = np.lexsort((row, -near, query))
+    query, row, near = query[order], row[order], near[order]
+    once = np.sort(np.unique(query * (len(session) + 1) + session[row], return_index=True)[1])
+    query, row, near = query[once], row[once], near[once]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    pos = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    least[query[pos == limit - 1]] = near[pos == limit - 1]
+    kept = pos < limit
+    return query[kept], row[kept], near[kept]
+
+
 def fused(lists: list[DataFrame], limit: int = 10, k: int = 60) -> DataFrame:
     """query_id, session_id, score, pos: reciprocal ranks of lists (query_id, session_id, pos), summed."""
     told = None
