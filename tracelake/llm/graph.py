@@ -75,17 +75,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def are_stars(pairs: DataFrame) -> bool:
+    """Whether each u of ``pairs`` (u, v) has one v, which is no u itself."""
+    sides = [F.struct(F.col(c).alias("x"), F.lit(own).alias("own")) for c, own in (("u", 1), ("v", 0))]
+    ends = pairs.select(F.inline(F.array(*sides)))
+    told = ends.groupBy("x").agg(F.sum("own").alias("own"), F.count("*").alias("n"))
+    return not told.agg(F.count_if((F.col("own") > 0) & (F.col("n") > 1))).first()[0]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for each node that reaches a smaller one.
 
     Alternating large-star and small-star steps on the edges; the edge set halves its depth
-    in each round, nothing is collected, and a round's edges are checkpointed. A node with
-    many neighbours is only ever pre-aggregated by min and joined, never gathered.
+    in each round, nothing is collected, and a round's edges are checkpointed. Rounds end when
+    the edges are stars, which a further round would leave as they are. A node with many
+    neighbours is only ever pre-aggregated by min and joined, never gathered.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = checkpointed(pairs)
-    told = None
-    while True:
+    while not are_stars(pairs):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -93,7 +101,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = checkpointed(small.where("u <> v").distinct())
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if told == (now["n"], now["h"]):
-            return pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-        told = (now["n"], now["h"])
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -36,6 +36,8 @@ CHAIN = 64
 TABLE_BITS = 17
 #: Distinct words of a block whose features are in memory together.
 WORDS_AT_ONCE = 8192
+#: Bytes of the sampled texts whose letters the driver holds at a time.
+TEXT_BYTES = 1 << 18
 LEXICON = 4000
 UNDETERMINED = "und"
 
@@ -76,6 +78,10 @@ class Letters:
         self.bounds = np.searchsorted(self.row, np.arange(self.rows + 1))
         self.name = word_hashes(_VALUE, self.data, self.start, self.end)
 
+    def name_and_count(self) -> tuple[np.ndarray, np.ndarray]:
+        """The names, and how many of them each row has."""
+        return self.name, np.diff(self.bounds)
+
 
 def word_features(
     data: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, lexicon: np.ndarray
@@ -180,26 +186,54 @@ def posteriors(emission: np.ndarray, length: np.ndarray, transitions: np.ndarray
     return alpha.transpose(1, 0, 2)
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 160, chains: int = 192, places: int = 32, seed: int = 7) -> Crf:
+def _text_blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    for block in blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", TEXT_BYTES):
+        yield block["text"]
+
+
+def _cells(texts: pa.Array, names: np.ndarray, first: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, bounds) of the features of each name, read where the name stands first in the texts."""
+    order = np.argsort(first, kind="stable")
+    cells_of, counts_of, before, done = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0, 0
+    for block in _text_blocks(texts):
+        letters = Letters(block)
+        until = int(np.searchsorted(first[order], before + len(letters.start)))
+        for lo in range(done, until, WORDS_AT_ONCE):
+            own = order[lo : min(lo + WORDS_AT_ONCE, until)]
+            at = first[own] - before
+            word, cell = word_features(letters.data, letters.start[at], letters.end[at], names[own], lexicon)
+            cells_of.append(cell.astype(np.int32))
+            counts_of.append(np.bincount(word, minlength=len(own)))
+        before, done = before + len(letters.start), until
+    cell, lengths = np.concatenate(cells_of), np.concatenate(counts_of)
+    del cells_of
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    starts, lengths = (np.cumsum(lengths) - lengths)[place], lengths[place]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.empty(len(cell), np.int32)
+    for lo in range(0, len(names), WORDS_AT_ONCE):
+        hi = min(lo + WORDS_AT_ONCE, len(names))
+        out[bounds[lo] : bounds[hi]] = cell[np.repeat(starts[lo:hi] - bounds[lo:hi], lengths[lo:hi]) + np.arange(bounds[lo], bounds[hi])]
+    return out, bounds
+
+
+def train(texts: pa.Array, labels: list[str], rounds: int = 160, chains: int = 192, places: int = 32, seed: int = 7) -> Crf:
     """A field fitted by Adagrad on spliced chains of the labelled texts."""
     langs = sorted(set(labels))
     number = {lang: i for i, lang in enumerate(langs)}
-    letters = Letters(pa.array(texts, pa.string()))
-    names, first, back, counts = np.unique(letters.name, return_index=True, return_inverse=True, return_counts=True)
+    held = [Letters(x).name_and_count() for x in _text_blocks(texts)]
+    name, count = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *held, strict=True))
+    names, first, back, counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    back, starts = back.astype(np.int32), np.concatenate([[0], np.cumsum(count)])
+    del held, name
     lexicon = np.sort(names[np.argsort(-counts, kind="stable")[:LEXICON]])
     field = Crf(langs, np.zeros((1 << TABLE_BITS, len(langs))), np.zeros((len(langs), len(langs))), lexicon)
     if not len(names) or len(langs) < 2:
         return field
-    cells_of, counts_of = [], []
-    for lo in range(0, len(names), WORDS_AT_ONCE):
-        own = first[lo : lo + WORDS_AT_ONCE]
-        word, cell = word_features(letters.data, letters.start[own], letters.end[own], names[lo : lo + WORDS_AT_ONCE], lexicon)
-        cells_of.append(cell.astype(np.int32))
-        counts_of.append(np.bincount(word, minlength=len(own)))
-    cell, bounds = np.concatenate(cells_of), np.concatenate([[0], np.cumsum(np.concatenate(counts_of))])
+    cell, bounds = _cells(texts, names, first, lexicon)
     share = 1.0 / np.maximum(np.diff(bounds), 1)
     label = np.array([number[x] for x in labels])
-    count = np.diff(letters.bounds)
     usable = np.flatnonzero(count >= places)
     if not len(usable):
         usable = np.flatnonzero(count > 0)
@@ -215,7 +249,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 160, chains: int =
                 if lo < hi:
                     group = by_lang[random.integers(len(by_lang))]
                     doc = group[random.integers(len(group))]
-                    at = letters.bounds[doc] + (random.integers(count[doc]) + np.arange(hi - lo)) % count[doc]
+                    at = starts[doc] + (random.integers(count[doc]) + np.arange(hi - lo)) % count[doc]
                     ids[c, lo:hi], gold[c, lo:hi] = back[at], label[doc]
         used, local = np.unique(ids, return_inverse=True)
         lengths = bounds[used + 1] - bounds[used]
@@ -324,11 +358,11 @@ def held_out(folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Crf:
     """The field, fitted on at most ``rows`` labelled rows that are not held out; without a column ``lang``, on none."""
     if "lang" not in docs.columns:
-        return train([], [])
+        return train(pa.array([], pa.string()), [])
     told = docs.where(~held_out()).where("lang is not null")
     short = told.where("text is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "lang")
     told = sampled(short, rows, short.count(), 8).toArrow()
-    return train(told["text"].to_pylist(), told["lang"].to_pylist())
+    return train(told["text"].combine_chunks(), told["lang"].to_pylist())
 
 
 def language_id(docs: DataFrame, model: Crf | None = None) -> DataFrame:

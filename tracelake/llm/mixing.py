@@ -52,6 +52,8 @@ from .graph import checkpointed, sampled, spare
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 16_384
 VOCABULARY = 20_000
+#: Bytes of the sampled texts whose words the driver holds at a time.
+TEXT_BYTES = 1 << 18
 #: A declared source is taken to be right this often.
 TRUST = 0.995
 MOST_DOMAINS, OTHERS = 512, 16
@@ -101,36 +103,60 @@ def _shares(score: np.ndarray) -> np.ndarray:
     return score / score.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], vocabulary: int = VOCABULARY, rows: dict[str, int] | None = None) -> Classifier:
+def _summed(name: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (name, label) once, sorted, with the sum of its ``n``."""
+    order = np.lexsort((label, name))
+    name, label = name[order], label[order]
+    starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (label[1:] != label[:-1])))[: len(name)]
+    return name[starts], label[starts], np.add.reduceat(n[order], starts) if len(starts) else n[:0]
+
+
+def _text_blocks(texts: pa.Array) -> Iterator[Words]:
+    for block in blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", TEXT_BYTES):
+        yield Words(block["text"], lower=True)
+
+
+def word_counts(texts: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, label, count) of the words of each label; words are in memory for a block of the texts at a time."""
+    told, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for words in _text_blocks(texts):
+        told.append(_summed(words.name, label[at + words.doc], np.ones(len(words), np.int64)))
+        at += words.rows
+    return _summed(*(np.concatenate(x) for x in zip(*told, strict=True)))
+
+
+def train(
+    counted: tuple[np.ndarray, np.ndarray, np.ndarray], rows: dict[str, int], vocabulary: int = VOCABULARY
+) -> Classifier:
     """Smoothed log word probabilities of each domain over the most frequent words.
 
-    ``rows`` has how many rows each domain has in all; by default, as many as there are labels.
+    ``rows`` has how many rows each domain has in all; labels are the places of the sorted domains.
     """
-    domains = sorted(rows if rows is not None else set(labels))
-    number = {x: i for i, x in enumerate(domains)}
-    words = Words(pa.array(texts, pa.string()), lower=True)
-    names, back, counts = np.unique(words.name, return_inverse=True, return_counts=True)
+    domains = sorted(rows)
+    name, label, n = counted
+    names, back = np.unique(name, return_inverse=True)
+    counts = np.bincount(back, weights=n, minlength=len(names)).astype(np.int64)
     chosen = np.sort(np.argsort(-counts, kind="stable")[:vocabulary])
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
-    label = np.array([number[x] for x in labels], np.int64)
-    at, own = place[back], label[words.doc] if len(words) else np.zeros(0, np.int64)
+    at = place[back]
     table = np.zeros((len(chosen), len(domains)))
-    np.add.at(table, (at[at >= 0], own[at >= 0]), 1)
+    table[at[at >= 0], label[at >= 0]] = n[at >= 0]
     table += 0.5
-    share = np.bincount(label, minlength=len(domains)) + 1.0 if rows is None else np.array([rows[x] for x in domains]) + 1.0
+    share = np.array([rows[x] for x in domains]) + 1.0
     return Classifier(domains, names[chosen], np.log(table / table.sum(axis=0)), np.log(share / share.sum()))
 
 
-def calibrated(texts: list[str], labels: list[str], rows: dict[str, int]) -> Classifier:
+def calibrated(texts: pa.Array, labels: list[str], rows: dict[str, int]) -> Classifier:
     """A classifier of all the texts, whose temper suits every fifth of them best when they are left out."""
-    model = train(texts, labels, rows=rows)
-    rest = [k for k in range(len(texts)) if k % 5]
-    if model.domains and len(rest) < len(texts):
-        without = train([texts[k] for k in rest], [labels[k] for k in rest], rows=rows)
-        left = range(0, len(texts), 5)
-        evidence = without.evidence(Words(pa.array([texts[k] for k in left], pa.string()), lower=True))
-        own = np.array([model.domains.index(labels[k]) for k in left])
+    number = {x: k for k, x in enumerate(sorted(rows))}
+    label, left = np.array([number[x] for x in labels], np.int64), np.arange(len(texts)) % 5 == 0
+    rest, own = (word_counts(texts.filter(pa.array(x)), label[x]) for x in (~left, left))
+    model = train(_summed(*(np.concatenate(x) for x in zip(rest, own, strict=True))), rows)
+    if model.domains and len(texts):
+        without = train(rest, rows)
+        evidence = np.concatenate([without.evidence(words) for words in _text_blocks(texts.filter(pa.array(left)))])
+        own = label[left]
         model.temper = max(TEMPERS, key=lambda t: np.log(_shares(t * evidence + without.prior)[np.arange(len(own)), own] + 1e-300).sum())
     return model
 
@@ -185,7 +211,7 @@ def fit(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, most: int
         ).collect()
     }
     told = sampled(told.where(short), rows, sum(eligible for _, eligible in held.values()), 3).toArrow()
-    return calibrated(told["text"].to_pylist(), told["label"].to_pylist(), {d: held.get(d, (0, 0))[0] for d in domains})
+    return calibrated(told["text"].combine_chunks(), told["label"].to_pylist(), {d: held.get(d, (0, 0))[0] for d in domains})
 
 
 def posteriors(docs: DataFrame, model: Classifier, label: str = "lang") -> DataFrame:

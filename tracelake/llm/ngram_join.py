@@ -374,7 +374,7 @@ def _candidates(threshold: tuple[int, int]):
                     keep[lo + fits] = True
                     keep[lo + x] |= len(fits) > 0
             yield from table.filter(pa.array(keep)).select(
-                ["tile", "part", "node", "n_shingles", "f1", "band", "block"]
+                ["tile", "part", "node", "n_shingles", "f1", "weight", "band", "block"]
             ).combine_chunks().to_batches()
 
     return rows
@@ -488,30 +488,27 @@ def _placed(docs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[Da
     shared = keyed.groupBy("key").agg(F.min("node").alias("tile"), F.count("*").alias("n")).where("n > 1").select("key", "tile")
     members = checkpointed(keyed.join(shared, "key").select("tile", "node", "n_shingles").distinct())
     parts = shuffle_partitions(docs.sparkSession)
-    tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "f1", "signature"), ["node", "n_shingles"])
+    tiles = tiled(members, threshold).join(classes.select("node", "n_shingles", "f1", "weight", "signature"), ["node", "n_shingles"])
     tiles = tiles.select(
         "tile",
         "part",
         "node",
         "n_shingles",
         "f1",
+        "weight",
         "band",
         "block",
         "signature"
     ).repartition(parts, "tile", "part").sortWithinPartitions("tile", "part")
     candidates = checkpointed(
-        tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long, n_shingles long, f1 long, band long, block int")
+        tiles.mapInArrow(_candidates(threshold), "tile long, part string, node long, n_shingles long, f1 long, weight long, band long, block int")
     )
 
     wanted = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
     names = docs.mapInArrow(_set_rows(width, wanted), "node long, f1 long, names array<long>")
     # two sets that link are candidates in each tile that holds both, so these tiles tell which one counts the link
     tiles_of = candidates.groupBy("node", "n_shingles").agg(F.collect_set("tile").alias("tiles"))
-    sought = candidates.join(tiles_of, ["node", "n_shingles"]).join(
-        classes.select("node", "n_shingles", "f1", "weight"),
-        ["node", "n_shingles", "f1"]
-    )
-    placed = sought.join(names, ["node", "f1"]).select("tile", "part", "node", "f1", "weight", "band", "block", "tiles", "names")
+    placed = candidates.join(tiles_of, ["node", "n_shingles"]).join(names, ["node", "f1"]).select("tile", "part", "node", "f1", "weight", "band", "block", "tiles", "names")
     return sets, classes, placed.repartition(parts, "tile", "part").sortWithinPartitions("tile", "part", "node", "f1")
 
 
