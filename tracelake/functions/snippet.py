@@ -1,111 +1,295 @@
-"""Snippets as columns: the window of a text that holds most of the asked phrases, with the phrases marked.
+"""Snippets: the window of a text that holds most of the asked phrases, with the phrases marked.
 
 A window begins near a place of a phrase, or at the start of the sentence that holds it.
 Distinct phrases count most, then places, then a start of a sentence; the first of the best
 windows is shown, its places between '[' and ']', and '…' where the text goes on.
+
+Texts are cut into words once for all that is asked of them, a block of texts at a time, and
+the windows of many questions are weighed together as arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .phrases import Phrases
 
 WIDTH = 12
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}̀-ͯ]*"
 #: Points of a window for a phrase's first place, for a sentence's start, and for the text's.
 FIRST_PLACE, SENTENCE, TEXT_START = 1000, 100, 120
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def places(words: Column, phrases: Column) -> Column:
-    """(at, phrase, size) of every place where a phrase's words stand one after another, in order."""
-
-    def of(phrase: Column, k: Column) -> Column:
-        first = F.transform(words, lambda w, i: F.when(w == F.get(phrase, F.lit(0)), i))
-        whole = F.filter(first, lambda i: i.isNotNull() & (F.slice(words, i + 1, F.size(phrase)) == phrase))
-        return F.transform(whole, lambda i: F.struct(i.alias("at"), k.alias("phrase"), F.size(phrase).alias("size")))
-
-    return F.sort_array(F.flatten(F.transform(phrases, of)))
-
-
-def sentence_starts(pieces: Column) -> Column:
-    """Words that begin the text or follow a full stop or colon and white space."""
-    begins = lambda p, i: F.when((i == 0) | F.get(pieces, i - 1).rlike(r"[.:][ \t\n\r]+$"), i)
-    return F.filter(F.transform(pieces, begins), lambda i: i.isNotNull())
-
-
-def best_start(found: Column, pieces: Column, width: int) -> Column:
-    """The word at which the best window begins."""
-    size = F.size(pieces)
-
-    def points(inside: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(inside, lambda x: x["phrase"])))
-        return (FIRST_PLACE - 1) * distinct + F.size(inside)
-
-    def held(start: Column) -> Column:
-        return F.filter(found, lambda x: (x["at"] >= start) & (x["at"] < start + width))
-
-    def centred(inside: Column) -> Column:
-        first, last = F.element_at(inside, 1)["at"], F.element_at(inside, -1)
-        spare = ((F.lit(width) - (last["at"] + last["size"] - first)) / 2).cast("int")
-        return F.greatest(F.lit(0), F.least(first - spare, size - width))
-
-    def window(score: Column, turn: Column, start: Column) -> Column:
-        return F.struct(score.alias("score"), (-turn).alias("turn"), start.alias("start"))
-
-    def ways(starts: Column) -> Column:
-        def at(x: Column, n: Column) -> Column:
-            near = let(held(x["at"]), lambda inside: window(points(inside), 2 * n, centred(inside)))
-
-            def whole(sentence: Column) -> Column:
-                bonus = F.when(sentence == 0, TEXT_START).otherwise(SENTENCE)
-                told = window(points(held(sentence)) + bonus, 2 * n + 1, sentence)
-                return F.when((sentence < x["at"]) & (size > width), told)
-
-            return F.array(near, let(F.array_max(F.filter(starts, lambda s: s <= x["at"])), whole))
-
-        return F.array_max(F.filter(F.flatten(F.transform(found, at)), lambda w: w.isNotNull()))["start"]
-
-    return F.coalesce(let(sentence_starts(pieces), ways), F.lit(0))
-
-
-def shown(text: Column, pieces: Column, found: Column, start: Column, width: int) -> Column:
-    """The window from word ``start``; places that overlap are marked as one."""
-    total = F.size(pieces)
-
-    def word(piece: Column, k: Column) -> Column:
-        i = start + k
-        over = lambda test: F.exists(found, test)
-        covered = over(lambda x: (x["at"] <= i) & (x["at"] + x["size"] > i))
-        opens = covered & ((k == 0) | ~over(lambda x: (x["at"] < i) & (x["at"] + x["size"] > i)))
-        ends = covered & ((k == width - 1) | ~over(lambda x: (x["at"] <= i) & (x["at"] + x["size"] > i + 1)))
-        said = F.regexp_extract(piece, f"^({WORD})", 1)
-        rest = F.when((k == width - 1) & (i < total - 1), "").otherwise(F.substr(piece, F.length(said) + 1))
-        return F.concat(F.when(opens, "[").otherwise(""), said, F.when(ends, "]").otherwise(""), rest)
-
-    head = F.when(start > 0, "…").otherwise(F.regexp_extract(text, r"^([^\p{L}\p{N}]*)", 1))
-    body = F.array_join(F.transform(F.slice(pieces, start + 1, width), word), "")
-    return F.concat(head, body, F.when(start + width < total, "…").otherwise(""))
+#: Sizes of a step within a task: bytes of texts (one text at least), questions of texts, places of phrases (one question at least).
+BYTES_AT_ONCE, ASKED_AT_ONCE, PLACES_AT_ONCE = 1_000_000, 50_000, 1_000_000
+#: Kinds of characters: what words are made of, marks within or after them, and white space that may end a sentence.
+LETTER, MARK, WHITE = 1, 2, 3
+
+
+@cache
+def letters() -> tuple[np.ndarray, ...]:
+    """First and last of each run of letters and digits, and those that are another one in ``tokens`` with that one, as Spark has them."""
+    code = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    every = SparkSession.active().range(0x40000).where("id NOT BETWEEN 55296 AND 57343").select("id", code.alias("c"))
+    told = every.where(F.col("c").rlike(r"[\p{L}\p{N}]")).select("id", T.folded(F.lower("c")).alias("low")).toArrow().sort_by("id")
+    held = told["id"].to_numpy()
+    low = np.array([ord(c) for c in told["low"].to_pylist()], np.int64)
+    new = np.flatnonzero(np.diff(held) > 1)
+    other = low != held
+    return held[np.append(0, new + 1)], held[np.append(new, len(held) - 1)], held[other], low[other]
+
+
+def tables(firsts: np.ndarray, lasts: np.ndarray, held: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each character, and what it is in ``tokens``."""
+    edges = np.zeros(0x110001, np.int8)
+    edges[firsts] += 1
+    edges[lasts + 1] -= 1
+    kind, low = np.cumsum(edges[:-1], dtype=np.int8), np.arange(0x110000, dtype=np.uint32)
+    kind[0x300:0x370], kind[[32, 9, 10, 13]] = MARK, WHITE
+    low[held] = lows
+    return kind, low
+
+
+def lowered(text: Column) -> Column:
+    """The text in lower case where a letter's depends on those around it, or else null: then ``letters`` tells it."""
+    return F.when(F.contains(text, F.lit("Σ")), F.lower(text))
+
+
+class _Texts:
+    """Texts cut into words: ``starts`` and ``ends`` of words in ``whole``, ``doc`` their texts, ``words`` as in ``tokens``;
+    of each text its ``begin`` and ``end`` in ``whole``, its first word and number of words."""
+
+    def __init__(self, texts: list[str], kind: np.ndarray, low: np.ndarray):
+        self.whole = "\n".join(texts)
+        codes = np.frombuffer(self.whole.encode("utf-32-le"), np.uint32)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.end = np.cumsum(length + 1) - 1
+        self.begin = self.end - length
+        of = kind[codes]
+        letter, mark = np.flatnonzero(of == LETTER), of == MARK
+        if mark.any():
+            inside = np.concatenate([[False], mark | (of == LETTER), [False]])
+            run_ends = np.flatnonzero(inside[:-1] & ~inside[1:])
+            run = np.searchsorted(run_ends, letter, "right")
+            first = _firsts(run)
+            self.ends = run_ends[run[first]]
+        else:
+            first = _firsts(letter - np.arange(len(letter)))
+            self.ends = letter[np.append(first[1:], len(letter))[: len(first)] - 1] + 1
+        self.starts = letter[first]
+        chars = low[codes[letter]]
+        sizes = np.append(first, len(letter)).astype(np.int64) * 4
+        self.words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(sizes), pa.py_buffer(chars)])
+        self.first = np.searchsorted(self.starts, self.begin)
+        self.number = np.searchsorted(self.starts, self.end) - self.first
+        self.doc = np.repeat(np.arange(len(texts)), self.number)
+        self._codes, self._of = codes, of
+
+    def sentences(self) -> np.ndarray:
+        """Words that begin a text or follow a full stop or colon and white space."""
+        stop = np.flatnonzero((self._codes == ord(".")) | (self._codes == ord(":")))
+        dark = np.append(np.flatnonzero(self._of != WHITE), len(self._of))
+        after = dark[np.searchsorted(dark, stop, "right")]
+        after = after[after > stop + 1]
+        place = np.searchsorted(self.starts, after)
+        held = place < len(self.starts)
+        place, after = place[held], after[held]
+        return np.unique(np.concatenate([self.first[self.number > 0], place[self.starts[place] == after]]))
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from each ``lo`` to before its ``hi``, and which of them each is of."""
+    count = hi - lo
+    which = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(which)) - np.repeat(np.cumsum(count) - count - lo, count), which
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def _best_windows(
+    key: np.ndarray, at: np.ndarray, end: np.ndarray, sentence: np.ndarray, before: np.ndarray, total: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which questions have places, and the first words of their best windows.
+
+    Places are in order of question, word and phrase: ``key`` is ``at`` plus the question times a number beyond all words,
+    ``end`` the word after the phrase, ``sentence`` the word where the sentence starts, ``before`` the last
+    place of the same phrase (-1: none), ``total`` the words of the text.
+    """
+    asked = key - at
+    place = np.arange(len(key))
+    # a window is tried once, for the first place that gives it
+    near = _firsts(key)
+    begin = asked + sentence
+    far = (sentence < at) & (total > width)
+    far = np.flatnonzero(far & np.append(True, (begin[1:] != begin[:-1]) | ~far[:-1])[: len(key)])
+    lo = np.concatenate([near, np.searchsorted(key, begin[far])])
+    hi = np.searchsorted(key, np.concatenate([key[near], begin[far]]) + width)
+    bonus = np.concatenate([np.zeros(len(near), np.int64), np.where(sentence[far] == 0, TEXT_START, SENTENCE)])
+    inside, window = _spread(lo, hi)
+    distinct = np.bincount(window[before[inside] < lo[window]], minlength=len(lo))
+    points = (FIRST_PLACE - 1) * distinct + (hi - lo) + bonus
+    # most points, then the first turn, in one number
+    worth = (points << 32) - np.concatenate([2 * place[near], 2 * place[far] + 1])
+    first, first_far = _firsts(asked[near]), _firsts(asked[far])
+    best, named = np.maximum.reduceat(worth[: len(near)], first), asked[near][first]
+    other = np.searchsorted(named, asked[far][first_far])
+    best[other] = np.maximum(best[other], np.maximum.reduceat(worth[len(near) :], first_far))
+    turn = -best & 0xFFFFFFFF
+    x = turn >> 1
+    last = np.searchsorted(key, key[x] + width) - 1
+    spare = np.trunc((width - (end[last] - at[x])) / 2).astype(np.int64)
+    centred = np.maximum(0, np.minimum(at[x] - spare, total[x] - width))
+    return named, np.where(turn & 1, sentence[x], centred)
+
+
+def _marks(key: np.ndarray, at: np.ndarray, end: np.ndarray, base: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(question, first word, word after) of what is marked in windows that begin at ``start``, of the questions ``base``
+    (keys of their words from 0); places that overlap are marked as one."""
+    longest = int((end - at).max(initial=1))
+    lo = np.searchsorted(key, base + np.maximum(0, start - longest + 1))
+    inside, which = _spread(lo, np.searchsorted(key, base + start + width))
+    held = end[inside] > start[which]
+    inside, which = inside[held], which[held]
+    a = base[which] + np.maximum(at[inside], start[which])
+    b = np.maximum.accumulate(base[which] + np.minimum(end[inside], (start + width)[which]))
+    first = np.flatnonzero(np.append(True, a[1:] >= b[:-1])[: len(a)])
+    which, last = which[first], np.append(first[1:], len(a))[: len(first)] - 1
+    return which, a[first] - base[which], b[last] - base[which]
+
+
+def snippets(texts: list[str], lows: list[str | None], doc: np.ndarray, asked: pa.Array, told: tuple[np.ndarray, ...], width: int = WIDTH) -> list[str]:
+    """The snippet of text number ``doc`` for each of ``asked``: its phrases, parted by line breaks, their words by spaces.
+
+    ``lows`` is what ``lowered`` gives of the texts, ``told`` what ``tables`` gives.
+    """
+    cut = _Texts(texts, *told)
+    same = all(x is None for x in lows)
+    words = cut.words if same else _Texts([t if x is None else x for t, x in zip(texts, lows, strict=True)], *told).words
+    coded = pc.dictionary_encode(asked.fill_null(""))
+    lists = [[p for p in q.split("\n") if p] for q in coded.dictionary.to_pylist()]
+    numbers: dict[str, int] = {}
+    flat = np.array([numbers.setdefault(p, len(numbers)) for q in lists for p in q], np.int64)
+    tree = Phrases(list(numbers.values()), list(numbers))
+    known = pa.array([w.encode("utf-32-le") for w in tree.words], pa.large_binary())
+    found = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, phrase, place = tree.found(found, cut.doc)
+    far = len(cut.starts) + 2 * width + 1  # beyond every word of a text and a window after it
+    order = np.lexsort((place, phrase))
+    place, name = place[order], phrase[order] * far + place[order]
+    long = np.array([p.count(" ") + 1 for p in numbers], np.int64)
+    sentences = cut.sentences()
+    # the phrases of each question, and the places of each in the question's text
+    question = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum([len(q) for q in lists], dtype=np.int64)
+    starts = ends - np.array([len(q) for q in lists], np.int64)
+    pair, of = _spread(starts[question], ends[question])
+    wanted = flat[pair] * far + cut.first[doc[of]]
+    lo, hi = np.searchsorted(name, wanted), np.searchsorted(name, wanted + cut.number[doc[of]])
+    places = np.append(0, np.cumsum(np.bincount(of, weights=hi - lo, minlength=len(doc)).astype(np.int64)))
+    out: list[str] = []
+    while len(out) < len(doc):
+        a = len(out)
+        b = max(a + 1, int(np.searchsorted(places, places[a] + PLACES_AT_ONCE, "right")) - 1)
+        p, q = np.searchsorted(of, [a, b])
+        inside, which = _spread(lo[p:q], hi[p:q])
+        of_pair = of[p:q][which] - a
+        text = doc[a:b][of_pair]
+        at = place[inside] - cut.first[text]
+        key = of_pair * far + at
+        order = np.argsort(key, kind="stable")  # of one question and word, phrases stay in order
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        before = np.full(len(order), -1, np.int64)
+        again = np.flatnonzero(which[1:] == which[:-1]) + 1
+        before[spot[again]] = spot[again - 1]
+        end = (at + long[flat[pair[p:q][which]]])[order]
+        text, key, at = text[order], key[order], at[order]
+        sentence = sentences[np.searchsorted(sentences, cut.first[text] + at, "right") - 1] - cut.first[text]
+        base, chosen = _best_windows(key, at, end, sentence, before, cut.number[text], width)
+        start = np.zeros(b - a, np.int64)
+        start[base // far] = chosen
+        marks = _marks(key, at, end, base, chosen, width)
+        out.extend(_shown(cut, doc[a:b], start, base // far, marks, width))
+    return out
+
+
+def _shown(cut: _Texts, doc: np.ndarray, start: np.ndarray, marked: np.ndarray, marks: tuple[np.ndarray, ...], width: int) -> Iterator[str]:
+    """The windows of texts number ``doc`` from word ``start``, with the ``marks`` of those numbered ``marked``."""
+    which, a, b = marks
+    which = marked[which]
+    opens, closes = cut.starts[cut.first[doc[which]] + a].tolist(), cut.ends[cut.first[doc[which]] + b - 1].tolist()
+    bounds = np.searchsorted(which, np.arange(len(doc) + 1)).tolist()
+    first, goes_on = cut.first[doc] + start, start + width < cut.number[doc]
+    begin, end = cut.begin[doc].copy(), cut.end[doc].copy()
+    begin[start > 0] = cut.starts[first[start > 0]]
+    end[goes_on] = cut.ends[first[goes_on] + width - 1]
+    whole = cut.whole
+    for k, (at, stop, inner, more) in enumerate(zip(begin.tolist(), end.tolist(), (start > 0).tolist(), goes_on.tolist(), strict=True)):
+        said = ["…"] if inner else []
+        for m in range(bounds[k], bounds[k + 1]):
+            said += (whole[at : opens[m]], "[", whole[opens[m] : closes[m]], "]")
+            at = closes[m]
+        said.append(whole[at:stop])
+        if more:
+            said.append("…")
+        yield "".join(said)
+
+
+def asked_text(phrases: str | Column) -> Column:
+    """Phrases, arrays of folded words, as one text."""
+    return F.array_join(F.transform(T.col(phrases), lambda p: F.array_join(p, " ")), "\n")
+
+
+def steps(size: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of ``size`` bytes of which ``asked`` is asked: what a task takes at once."""
+    lo = held = many = 0
+    for k, (n, m) in enumerate(zip(size.tolist(), asked.tolist(), strict=True)):
+        if k > lo and (held + n > BYTES_AT_ONCE or many + m > ASKED_AT_ONCE):
+            yield lo, k
+            lo, held, many = k, 0, 0
+        held, many = held + n, many + m
+    if lo < len(size):
+        yield lo, len(size)
+
+
+def bytes_of(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def best_of(fields: list[tuple[pa.Array, pa.Array]], doc: np.ndarray, asked: pa.Array, told: tuple[np.ndarray, ...]) -> list[str]:
+    """For each of ``asked``, of the fields (texts, and what ``lowered`` gives) the first snippet with a mark, or else the first that isn't empty."""
+    best = [""] * len(doc)
+    left = np.arange(len(doc))
+    for texts, lows in fields:
+        if not len(left):
+            break
+        said = snippets([t or "" for t in texts.to_pylist()], lows.to_pylist(), doc[left], asked.take(pa.array(left)), told)
+        for k, s in zip(left.tolist(), said, strict=True):
+            if "[" in s or not best[k]:
+                best[k] = s
+        left = left[np.array(["[" not in s for s in said], bool)]
+    return best
 
 
 def snippet(text: str | Column, phrases: str | Column, width: int = WIDTH) -> Column:
     """The best window of ``width`` words for ``phrases``, arrays of folded words; null texts count as empty."""
-    text, phrases = F.coalesce(T.col(text), F.lit("")), T.col(phrases)
-    pieces = F.regexp_extract_all(text, F.lit(rf"({WORD}[^\p{{L}}\p{{N}}]*)"), F.lit(1))
-    with_places = lambda ps, found: let(best_start(found, ps, width), lambda start: shown(text, ps, found, start, width))
-    return let(pieces, lambda ps: let(let(T.tokens(text), lambda ws: places(ws, phrases)), lambda found: with_places(ps, found)))
-
-
-def best_snippet(*snippets: Column) -> Column:
-    """The first with a mark, or else the first that isn't empty."""
-    told = F.array(*[F.coalesce(s, F.lit("")) for s in snippets])
-    first = lambda test: F.get(F.filter(told, test), F.lit(0))
-    return F.coalesce(first(lambda s: F.contains(s, F.lit("["))), first(lambda s: s != ""), F.lit(""))
+    kinds = letters()
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array, lows: pa.Array, asked: pa.Array) -> pa.Array:
+        told, out = tables(*kinds), []
+        for lo, hi in steps(bytes_of(texts), np.ones(len(texts), np.int64)):
+            part = texts[lo:hi].to_pylist(), lows[lo:hi].to_pylist(), np.arange(hi - lo), asked[lo:hi]
+            out += snippets(*part, told, width)
+        return pa.array(out, pa.string())
+
+    said = F.coalesce(T.col(text), F.lit(""))
+    return of(said, lowered(said), asked_text(phrases))
