@@ -213,7 +213,7 @@ def test_snippets_of_a_block_are_those_of_each_text(spark, monkeypatch):
     pick = random.Random(5)
     texts, doc, asked, want = [], [], [], []
     for k in range(120):
-        said = "".join(pick.choice("abcdE") + pick.choice([" "] * 5 + [". ", ":\n", "_", "  ", ".", "😀", "["]) for _ in range(pick.choice([0, 1, 11, 12, 13, 60])))
+        said = "".join(pick.choice("abcdE") + pick.choice([" "] * 5 + [". ", ":\n", "_", "  ", ".", "😀", "[", ". \u2028"]) for _ in range(pick.choice([0, 1, 11, 12, 13, 60])))
         texts.append(pick.choice(["", " ", "(", ". "]) + said + pick.choice(["", ".\n"]))
         for _ in range(pick.randrange(6)):
             phrases = [[pick.choice("abcdef") for _ in range(pick.choice([1, 1, 2, 3, 14]))] for _ in range(pick.randrange(4))]
